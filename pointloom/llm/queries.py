@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash
 from .common import documents
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public vocabulary lies; the file itself is never part of the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_encode_decode(spark, sf_dir):
+    return bpe.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
