@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from ..session import table
+from . import bpe, pii, secrets, simhash, toxicity
 from .common import documents
 
 
@@ -17,10 +18,23 @@ def op2_bpe_encode_decode(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
 
+def op3_pii_spans(spark, sf_dir):
+    return pii.scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op7_secret_scan(spark, sf_dir):
+    return secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op10_toxicity_ftrl(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.predictions(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
