@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import bpe, pii, secrets, simhash, toxicity
+from . import bpe, pii, secrets, simhash, toxicity, warc
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op7_secret_scan(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op8_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -35,9 +39,22 @@ def op10_toxicity_ftrl(spark, sf_dir):
     return toxicity.predictions(documents(spark, sf_dir, "doc_id", "text"), labels)
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS n, sha1(body) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (('0x' || substr(h || '0000', 1 + i // 4, 3))::INT >> (7 - i % 4)) % 32, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_warc_round_trip": OP8_SQL}

@@ -29,9 +29,9 @@ from .common import crc_remainder, map_texts
 #: Coordinates of the hashed feature space, as a power of two.
 BITS = 22
 #: Labelled rows that training reads at most.
-MAX_TRAIN = 8_000
+MAX_TRAIN = 16_000
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2, passes over the sample.
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 2.5, 0.5, 3
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.5, 3
 #: Kinds of features: words, neighbours, pairs with one word between.
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
