@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import bpe, pii, secrets, simhash, toxicity, warc
+from . import bpe, decontaminate, pii, secrets, simhash, toxicity, warc
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op2_bpe_encode_decode(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
 
+def op1_benchmark_leaks(spark, sf_dir):
+    return decontaminate.leaks(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op3_pii_spans(spark, sf_dir):
     return pii.scan(documents(spark, sf_dir, "doc_id", "text"))
 
