@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import bpe, decontaminate, pii, secrets, simhash, toxicity, warc
+from . import bpe, decontaminate, lm, pii, secrets, simhash, toxicity, warc
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op3_pii_spans(spark, sf_dir):
     return pii.scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_lm_score(spark, sf_dir):
+    return lm.scores(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
 
