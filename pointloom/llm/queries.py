@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import bpe, decontaminate, lm, pii, secrets, simhash, toxicity, warc
+from . import bpe, decontaminate, lm, multi_index, pii, secrets, simhash, toxicity, warc
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op5_lm_score(spark, sf_dir):
     return lm.scores(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_embedding_near_dedup(spark, sf_dir):
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
 
