@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..session import table
-from . import bpe, decontaminate, lm, multi_index, pii, secrets, simhash, toxicity, warc
+from ..session import scratch_path, table
+from . import bpe, decontaminate, lm, multi_index, pii, rollup, secrets, simhash, toxicity, warc
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op3_pii_spans(spark, sf_dir):
     return pii.scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_token_rollups(spark, sf_dir):
+    return rollup.corpus_totals(documents(spark, sf_dir, "doc_id", "source", "lang", "text"), rollup.Rollup(spark, scratch_path(spark, "rollup")))
+
+
 def op5_lm_score(spark, sf_dir):
     return lm.scores(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -69,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_warc_round_trip": OP8_SQL}
+    return {"op4_token_rollups": rollup.ORACLE_SQL, "op8_warc_round_trip": OP8_SQL}
