@@ -68,8 +68,14 @@ FROM f
 """
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k == "pipeline" or k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict:
