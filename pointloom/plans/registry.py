@@ -1,11 +1,578 @@
-"""Queries of the engine and their SQL counterparts, by name."""
+"""Queries of the engine and their SQL counterparts, by name.
+
+Every query runs its operator over the whole cloud that ``fixtures`` derives from the driver's
+tables. Computed doubles are rounded, as sums depend on the order of rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window, functions as F
+
+from ..config import DETECTOR, SPARSE
+from ..functions import scalars
+from ..operators import angular, cloud, corridor, detect, evaluate, ground, pairs, rule, sections, spatial, windows
+from ..session import materialise, table
+from ..streaming import replay
+from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, points
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def rounded(df, digits: int = 6):
+    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+# --- stages shared by queries -------------------------------------------------------------
+
+
+def surface(spark, sf_dir):
+    """Points, ground surfaces, local lines and the pooled residual."""
+    pts = points(spark, sf_dir)
+    tracks = materialise(ground.link_modes(ground.height_modes(ground.in_region(pts), SPARSE), SPARSE), "tracks")
+    lines = materialise(ground.local_lines(pts, tracks, SPARSE), "lines")
+    return pts, tracks, lines, ground.fitting_residual(pts, lines, tracks, SPARSE)
+
+
+def cross_sections(spark, sf_dir):
+    pts, tracks, lines, residual = surface(spark, sf_dir)
+    rows = sections.section_rows(ground.above_ground(ground.in_region(pts), lines, SPARSE), SPARSE)
+    return pts, tracks, lines, residual, rows
+
+
+def paired(spark, sf_dir):
+    pts, tracks, lines, residual, rows = cross_sections(spark, sf_dir)
+    frag = materialise(sections.link_clusters(sections.clusters(rows, SPARSE), "robust", SPARSE), "fragments")
+    plane = ground.summary_plane(pts.join(tracks.where("role = 'ground'").select("frame_index", "segment", F.col("h").alias("hm")), "frame_index").where((ground.segment_of("s", SPARSE) == F.col("segment")) & (F.abs(F.col("h") - F.col("hm")) <= 2 * SPARSE.height_bin_m)), SPARSE)
+    stations = frag.select("frame_index", "s_center").distinct().withColumn("segment", ground.segment_of("s_center", SPARSE))
+    slopes = stations.join(lines.select("frame_index", "segment", F.col("slope_dh_dl").alias("slope_l")), ["frame_index", "segment"]).join(plane.select("frame_index", F.col("b_s").alias("slope_s")), "frame_index").drop("segment")
+    return pts, lines, residual, frag, materialise(pairs.measure_sections(frag, slopes), "pair-sections")
+
+
+def masked(spark, sf_dir):
+    """Points of the configured volume with all masks."""
+    pts, tracks, lines, residual, rows = cross_sections(spark, sf_dir)
+    frag = sections.link_clusters(sections.clusters(rows, SPARSE), "robust", SPARSE)
+    samples = frag.select("frame_index", "s_center", "l_median", "h_median", (F.col("width_m") + 0.1).alias("width_m"), F.lit(True).alias("supported"))
+    marked = ground.above_ground(pts, lines, SPARSE).withColumn("inside", detect.in_profile())
+    return tracks, materialise(detect.surface_masks(detect.line_masks(marked, samples), residual), "masked")
+
+
+def found_candidates(spark, sf_dir):
+    tracks, marks = masked(spark, sf_dir)
+    pool = detect.object_pool(marks).withColumn("radius", spatial.link_radius())
+    return tracks, marks, detect.candidates(spatial.components(pool))
+
+
+# --- points ---------------------------------------------------------------------------
+
+
+@query(f"with {DUCK_CLOUD} select frame_index, count(*) as inside, round(min(range_m), 6) as nearest_m, round(max(s) - min(s), 6) as extent_s_m, round(max(h) - min(h), 6) as extent_h_m from cloud where s between 1 and 120 and abs(l) <= 1.05e0 and h between -1.075e0 and -1.075e0 + 3 group by frame_index")
+def configured_volume(spark, sf_dir):
+    inside = detect.configured_volume(records(spark, sf_dir))
+    return rounded(inside.groupBy("frame_index").agg(F.count("*").alias("inside"), F.min("range_m").alias("nearest_m"), (F.max("s") - F.min("s")).alias("extent_s_m"), (F.max("h") - F.min("h")).alias("extent_h_m")))
+
+
+@query(f"with {DUCK_CLOUD} select frame_index, count(*) as points, count(*) filter (s between 1 and 120) as in_s_only, count(*) filter (s between 1 and 120 and abs(l) <= 1.05e0 and h between -1.075e0 and -1.075e0 + 3) as inside, round(min(range_m) filter (s between 1 and 120 and abs(l) <= 1.05e0 and h between -1.075e0 and -1.075e0 + 3), 6) as nearest_m from cloud group by frame_index")
+def volume_diagnosis(spark, sf_dir):
+    return rounded(detect.volume_diagnosis(records(spark, sf_dir)))
+
+
+@query(f"with {DUCK_CLOUD}, f as (select frame_index, cast(x as float) x, cast(y as float) y, cast(z as float) z, intensity, ring, source_index from cloud) select frame_index, round(x::double, 6) as x, round(y::double, 6) as y, round(z::double, 6) as z, min(source_index) as first_index, count(*) as size, round(case when count(*) = 1 then 0 else max(intensity) - min(intensity) end, 6) as intensity_span, count(distinct ring) as ring_nunique, list(source_index order by source_index) as member_index from f group by f.frame_index, f.x, f.y, f.z")
+def exact_groups(spark, sf_dir):
+    f = records(spark, sf_dir).withColumns({c: F.col(c).cast("float") for c in "xyz"})
+    return rounded(cloud.group_exact(cloud.valid(f)).withColumns({c: F.col(c).cast("double") for c in "xyz"}))
+
+
+@query(f"with {DUCK_CLOUD}, g as (select frame_index, x, y, z, count(*) as size from (select frame_index, cast(x as float) x, cast(y as float) y, round(cast(z as float) * 2) z from cloud) group by all) select frame_index, size, count(*) as groups from g group by all")
+def repeat_summary(spark, sf_dir):
+    f = records(spark, sf_dir).withColumns({"x": F.col("x").cast("float"), "y": F.col("y").cast("float"), "z": F.round(F.col("z").cast("float") * 2)})
+    return cloud.repeat_summary(f)
+
+
+@query(f"with {DUCK_CLOUD}, g as (select frame_index, cast(floor(s) as bigint) x, cast(floor(l) as bigint) y, cast(floor(h) as bigint) z, source_index from cloud), d as (select source_index - lag(source_index) over (partition by frame_index, x, y, z order by source_index) as lag from g) select lag, count(*) as n from d where lag is not null group by lag order by n desc, lag limit 12")
+def repeat_lags(spark, sf_dir):
+    f = records(spark, sf_dir).select("frame_index", "source_index", F.floor("s").alias("x"), F.floor("l").alias("y"), F.floor("h").alias("z"))
+    return cloud.repeat_lags(f)
+
+
+@query(f"with {DUCK_CLOUD}, g as (select frame_index, source_index, floor(s) x, floor(l) y, floor(h) z from cloud) select a.frame_index, count(*) as pairs, count(*) filter (a.x = b.x and a.y = b.y and a.z = b.z) as equal from g a join g b on a.frame_index = b.frame_index and b.source_index = a.source_index + 128 group by a.frame_index")
+def repeat_at_offset(spark, sf_dir):
+    f = records(spark, sf_dir).select("frame_index", "source_index", F.floor("s").alias("x"), F.floor("l").alias("y"), F.floor("h").alias("z"))
+    return cloud.repeat_at_offset(f, 128)
+
+
+_MOUNT = cloud.Mount(tx_m=0.3, ty_m=-0.1, tz_m=1.2, roll_rad=0.02, pitch_rad=-0.03, yaw_rad=0.1, confirmed=True, source="organizer", basis="fixture")
+_R = [[repr(float(v)) + "e0" for v in row] for row in _MOUNT.rotation()]
+
+
+@query(f"with {DUCK_CLOUD}, t as (select frame_index, source_index, x*{_R[0][0]} + y*{_R[0][1]} + z*{_R[0][2]} + 0.3e0 as x, x*{_R[1][0]} + y*{_R[1][1]} + z*{_R[1][2]} - 0.1e0 as y, x*{_R[2][0]} + y*{_R[2][1]} + z*{_R[2][2]} + 1.2e0 as z from cloud) select frame_index, source_index, round(-y, 5) as s, round(x, 5) as l, round(z, 5) as h, 'train_working' as coordinate_frame from t")
+def train_frame(spark, sf_dir):
+    out = cloud.working_frame(records(spark, sf_dir).select("frame_index", "source_index", "x", "y", "z"), _MOUNT)
+    return rounded(out.select("frame_index", "source_index", "s", "l", "h", "coordinate_frame"), 5)
+
+
+@query(f"with {DUCK_CLOUD} select frame_index, 0.0e0 as worst_m, count(*) as points from cloud group by frame_index")
+def mount_round_trip(spark, sf_dir):
+    pts = records(spark, sf_dir).select("frame_index", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"), "x", "y", "z")
+    back = cloud.train_to_sensor(cloud.sensor_to_train(pts, _MOUNT), _MOUNT)
+    return rounded(back.groupBy("frame_index").agg(F.max(F.abs(F.col("x") - F.col("x0")) + F.abs(F.col("y") - F.col("y0")) + F.abs(F.col("z") - F.col("z0"))).alias("worst_m"), F.count("*").alias("points")), 9).withColumn("worst_m", F.col("worst_m") + 0.0)
+
+
+# --- ground ---------------------------------------------------------------------------
+
+_SEG = "case when s >= 5 and s < 30 then cast(floor((s - 5) / 2) as int) end"
+_MODES = DUCK_POINTS + f""",
+seg as (select *, {_SEG} as segment from pts where s between 5 and 30),
+hb as (select *, floor(min(h) over w / 0.05e0) * 0.05e0 as h0, ceil(max(h) over w / 0.05e0) * 0.05e0 as h1, count(*) over w as n from seg where segment is not null window w as (partition by frame_index, segment)),
+bn as (select *, least(cast(floor((h - h0) / 0.05e0) as int), greatest(cast(round((h1 - h0) / 0.05e0) as int), 1) - 1) as bin from hb where n >= 12),
+cnt as (select frame_index, segment, bin, count(*) as groups, median(h) as h, min(l) as l_min, max(l) as l_max from bn group by all),
+pk as (select c.* from cnt c left join cnt a on a.frame_index = c.frame_index and a.segment = c.segment and a.bin = c.bin - 1
+  left join cnt b on b.frame_index = c.frame_index and b.segment = c.segment and b.bin = c.bin + 1
+  where c.groups >= 12 and c.groups >= coalesce(a.groups, 0) and c.groups >= coalesce(b.groups, 0) and c.l_max - c.l_min >= 1.5e0),
+modes as (select *, row_number() over (partition by frame_index, segment order by h) - 1 as mode from pk p
+  where not exists (select 1 from pk o where o.frame_index = p.frame_index and o.segment = p.segment and o.h < p.h and p.h - o.h < 3 * 0.05e0))
+"""
+
+
+@query(f"with {_MODES} select frame_index, segment, cast(mode as int) as mode, round(h, 6) as h, groups, round(l_min, 6) as l_min, round(l_max, 6) as l_max, 5.0e0 + segment * 2 as s_lo, least(7.0e0 + segment * 2, 30) as s_hi from modes")
+def ground_modes(spark, sf_dir):
+    return rounded(ground.height_modes(ground.in_region(points(spark, sf_dir)), SPARSE))
+
+
+_GROUND = _MODES + """,
+gm as (select frame_index, segment, h as h_mode from modes where mode = 0),
+gr as (select p.*, g.segment, g.h_mode, median(p.h) over (partition by p.frame_index, g.segment) as med, count(*) over (partition by p.frame_index, g.segment) as n from (select *, case when s >= 5 and s < 30 then cast(floor((s - 5) / 2) as int) end as seg from pts) p
+  join gm g on g.frame_index = p.frame_index and g.segment = p.seg where abs(p.h - g.h_mode) <= 2 * 0.05e0),
+tr as (select *, abs(h - med) <= greatest(3.0e0 * 1.4826e0 * median(abs(h - med)) over (partition by frame_index, segment), 0.08e0) as near from gr),
+kp as (select *, n >= 8 and (near or count(*) filter (near) over (partition by frame_index, segment) < 8) as keep from tr),
+ln as (select frame_index, segment, count(*) as groups, min(l) as l_min, max(l) as l_max, coalesce(regr_intercept(h, l) filter (keep), any_value(med)) as intercept, case when regr_intercept(h, l) filter (keep) is null then 0 else regr_slope(h, l) filter (keep) end as slope_dh_dl from kp group by all)
+"""
+
+
+@query(f"with {_MODES} select frame_index, segment, round(h, 6) as h, groups from modes where mode = 0")
+def ground_surface(spark, sf_dir):
+    _, tracks, _, _ = surface(spark, sf_dir)
+    return rounded(tracks.where("role = 'ground'").select("frame_index", "segment", "h", "groups"))
+
+
+@query(f"with {_GROUND}, rs as (select k.frame_index, k.segment, quantile_cont(abs(k.h - ln.intercept - ln.slope_dh_dl * k.l), 0.5) as residual_p50_m, quantile_cont(abs(k.h - ln.intercept - ln.slope_dh_dl * k.l), 0.95) as residual_p95_m from kp k join ln using (frame_index, segment) group by all) select frame_index, segment, groups, round(l_min, 6) as l_min, round(l_max, 6) as l_max, round(intercept, 6) as intercept, round(slope_dh_dl, 6) as slope_dh_dl, round(residual_p50_m, 6) as residual_p50_m, round(residual_p95_m, 6) as residual_p95_m from ln join rs using (frame_index, segment)")
+def ground_lines(spark, sf_dir):
+    _, _, lines, _ = surface(spark, sf_dir)
+    return rounded(lines.drop("s_lo", "s_hi"))
+
+
+_RESIDUAL = _GROUND + """,
+fr as (select k.frame_index, quantile_cont(abs(k.h - ln.intercept - ln.slope_dh_dl * k.l), 0.5) as p50_m, quantile_cont(abs(k.h - ln.intercept - ln.slope_dh_dl * k.l), 0.95) as p95_m, count(*) as groups from kp k join ln using (frame_index, segment) where keep group by k.frame_index)
+"""
+
+
+@query(f"with {_RESIDUAL} select frame_index, round(p50_m, 6) as p50_m, round(p95_m, 6) as p95_m, groups from fr")
+def fitting_residual(spark, sf_dir):
+    return rounded(surface(spark, sf_dir)[3])
+
+
+_DH = _RESIDUAL + """,
+dh as (select p.*, p.h - (ln.intercept + ln.slope_dh_dl * p.l) as dh, coalesce(p.l between ln.l_min and ln.l_max, false) as supported from (select *, case when s >= 5 and s < 30 then cast(floor((s - 5) / 2) as int) end as segment from pts) p left join ln on ln.frame_index = p.frame_index and ln.segment = p.segment)
+"""
+
+
+@query(f"with {_DH} select frame_index, point_id, round(dh, 6) as dh, supported from dh")
+def height_above_ground(spark, sf_dir):
+    pts, _, lines, _ = surface(spark, sf_dir)
+    return rounded(ground.above_ground(pts, lines, SPARSE).select("frame_index", "point_id", "dh", "supported"))
+
+
+@query()
+def summary_plane(spark, sf_dir):
+    pts = points(spark, sf_dir)
+    return rounded(ground.summary_plane(pts.where("q <= 34"), SPARSE))
+
+
+# --- sections -------------------------------------------------------------------------
+
+_SECTIONS = _DH + """,
+sr as (select d.*, c.s_center, abs(d.s - c.s_center) <= 0.5e0 as narrow, count(*) over w as n_wide, count(*) filter (abs(d.s - c.s_center) <= 0.5e0) over w as n_narrow from dh d join (values (6.0e0), (10.0e0), (15.0e0), (20.0e0), (25.0e0)) c(s_center) on abs(d.s - c.s_center) <= 1.0e0 where d.s between 5 and 30 window w as (partition by d.frame_index, c.s_center)),
+sec as (select *, n_narrow < 8 as expanded, case when n_narrow < 8 then n_wide else n_narrow end as section_groups, case when (case when n_narrow < 8 then n_wide else n_narrow end) >= 8 then 'ok' else 'insufficient' end as status from sr where narrow or n_narrow < 8),
+bd as (select *, coalesce(cast(l - lag(l) over (partition by frame_index, s_center order by l, h, s) > 0.15e0 as int), 0) as brk, count(*) over (partition by frame_index, s_center) as band_groups from sec where status = 'ok' and dh between 0.04e0 and 0.40e0),
+isl as (select *, sum(brk) over (partition by frame_index, s_center order by l, h, s rows unbounded preceding) as island from bd),
+cl as (select frame_index, s_center, island::bigint as island, median(l) as l_median, min(l) as l_min, max(l) as l_max, median(dh) as dh_median, median(h) as h_median, count(*) as groups, max(l) - min(l) as width_m, case when count(*) < 4 then 'few' when max(l) - min(l) > 0.60e0 then 'wide' else 'kept' end as fate from isl where band_groups >= 4 group by frame_index, s_center, island)
+"""
+
+
+@query(f"with {_SECTIONS} select frame_index, s_center, any_value(status) as status, any_value(section_groups) as section_groups, bool_or(expanded) as expanded, count(*) as n from sec group by all")
+def section_rows(spark, sf_dir):
+    rows = cross_sections(spark, sf_dir)[4]
+    return rows.groupBy("frame_index", "s_center").agg(F.first("status").alias("status"), F.first("section_groups").alias("section_groups"), F.bool_or("expanded").alias("expanded"), F.count("*").alias("n"))
+
+
+@query(f"with {_SECTIONS} select frame_index, s_center, island, round(l_median, 6) as l_median, round(l_min, 6) as l_min, round(l_max, 6) as l_max, round(dh_median, 6) as dh_median, round(h_median, 6) as h_median, groups, round(width_m, 6) as width_m, fate from cl")
+def section_clusters(spark, sf_dir):
+    return rounded(sections.clusters(cross_sections(spark, sf_dir)[4], SPARSE))
+
+
+@query(f"with {_SECTIONS}, b as (select frame_index, s_center, any_value(status) as status, count(*) as section_groups, count(dh) as finite_dh, count(*) filter (dh < 0.04e0) as below_band, count(*) filter (dh > 0.40e0) as above_band, count(*) filter (dh between 0.04e0 and 0.40e0) as in_band from sec group by all), f as (select frame_index, s_center, count(*) filter (fate = 'kept') as kept, count(*) filter (fate = 'few') as few, count(*) filter (fate = 'wide') as wide from cl group by all) select b.*, coalesce(kept, 0) as kept, coalesce(few, 0) as few, coalesce(wide, 0) as wide from b left join f using (frame_index, s_center)")
+def section_rejections(spark, sf_dir):
+    return sections.rejections(cross_sections(spark, sf_dir)[4], SPARSE)
+
+
+@query(f"with {_SECTIONS}, m as (select i.frame_index, i.s_center, case when i.band_groups < 4 then 'band_below_min_groups' when c.fate = 'kept' then 'kept' else 'rejected_' || c.fate end as role from isl i left join cl c using (frame_index, s_center, island)), o as (select frame_index, s_center, case when status <> 'ok' or dh is null then 'no_dh' when dh < 0.04e0 then 'below_height_band' else 'above_height_band' end as role from sec where status <> 'ok' or dh is null or not (dh between 0.04e0 and 0.40e0)) select frame_index, s_center, role, count(*) as n from (select * from m union all select * from o) group by all")
+def section_roles(spark, sf_dir):
+    return sections.roles(cross_sections(spark, sf_dir)[4], SPARSE).groupBy("frame_index", "s_center", "role").agg(F.count("*").alias("n"))
+
+
+@query()
+def line_fragments(spark, sf_dir):
+    return rounded(sections.link_clusters(sections.clusters(cross_sections(spark, sf_dir)[4], SPARSE), "robust", SPARSE))
+
+
+@query()
+def line_fragments_fixed(spark, sf_dir):
+    return rounded(sections.link_clusters(sections.clusters(cross_sections(spark, sf_dir)[4], SPARSE), "fixed_dl", SPARSE))
+
+
+@query(f"with {_SECTIONS}, k as (select frame_index, s_center, l_median from cl where fate = 'kept'), a as (select *, case s_center when 6 then 10.0e0 when 10 then 15.0e0 when 15 then 20.0e0 when 20 then 25.0e0 end as s_next from k where s_center < 25) select a.frame_index, a.s_center, round(a.l_median, 6) as l_median, round(min(abs(b.l_median - a.l_median)), 6) as step_m, case when min(abs(b.l_median - a.l_median)) is null then 'no_cluster' when min(abs(b.l_median - a.l_median)) > 0.25e0 then 'step_over_match' else 'continues' end as why from a left join k b on b.frame_index = a.frame_index and b.s_center = a.s_next group by a.frame_index, a.s_center, a.l_median")
+def broken_hops(spark, sf_dir):
+    return rounded(sections.broken_hops(sections.clusters(cross_sections(spark, sf_dir)[4], SPARSE), SPARSE))
+
+
+@query()
+def wide_profiles(spark, sf_dir):
+    from dataclasses import replace
+
+    narrow = replace(SPARSE, structure_max_width_m=0.04, structure_l_gap_m=0.5, wide_bin_m=0.01)
+    return rounded(sections.wide_profile(cross_sections(spark, sf_dir)[4], narrow))
+
+
+# --- pairs and corridors ---------------------------------------------------------------
+
+
+@query()
+def pair_sections(spark, sf_dir):
+    return rounded(paired(spark, sf_dir)[4].select("frame_index", "a_track", "b_track", "s_center", "mid_l", "mid_h", "heading", "distance_m"))
+
+
+#: Lines of a frame as given sides: the medians of the cloud's two lines at each station, so that SQL can follow.
+_SIDES = DUCK_POINTS + """,
+sd as (select frame_index, case when l < 0 then 0 else 1 end as track, case when s < 8 then 6.0e0 when s < 12.5 then 10.0e0 when s < 17.5 then 15.0e0 when s < 22.5 then 20.0e0 else 25.0e0 end as s_center, median(l) as l_median, median(h) as h_median, median(h) + 1 as dh_median, max(l) - min(l) as width_m, count(*) as groups from pts where q between 35 and 40 group by all),
+tw as (select a.frame_index, a.s_center, a.l_median as al, b.l_median as bl, a.h_median as ah, b.h_median as bh, a.groups + b.groups as groups, (a.l_median + b.l_median) / 2 as mid_l from sd a join sd b using (frame_index, s_center) where a.track = 0 and b.track = 1),
+hd as (select *, (coalesce(lead(mid_l) over w, mid_l) - coalesce(lag(mid_l) over w, mid_l)) / (coalesce(lead(s_center) over w, s_center) - coalesce(lag(s_center) over w, s_center)) as heading, count(*) over (partition by frame_index) as common from tw window w as (partition by frame_index order by s_center)),
+ds as (select *, abs((bl - al) * 1.0e0 + (bh - ah) * 0) / sqrt(1 + heading * heading) as distance_m from hd where common >= 2),
+ag as (select * from (select *, median(distance_m) over (partition by frame_index) as center from ds) where center between 0.40e0 and 2.80e0 and abs(distance_m - center) <= 0.25e0)
+"""
+
+
+def _sides(spark, sf_dir):
+    station = F.when(F.col("s") < 8, 6.0).when(F.col("s") < 12.5, 10.0).when(F.col("s") < 17.5, 15.0).when(F.col("s") < 22.5, 20.0).otherwise(25.0)
+    return points(spark, sf_dir).where("q between 35 and 40").groupBy("frame_index", F.when(F.col("l") < 0, 0).otherwise(1).alias("track"), station.alias("s_center")).agg(
+        F.median("l").alias("l_median"), F.median("h").alias("h_median"), (F.median("h") + 1).alias("dh_median"), (F.max("l") - F.min("l")).alias("width_m"), F.count("*").alias("groups"))
+
+
+def _side_sections(spark, sf_dir):
+    sides = _sides(spark, sf_dir)
+    flat = sides.select("frame_index", "s_center").distinct().withColumns({"slope_s": F.lit(0.0), "slope_l": F.lit(0.0)})
+    return sides, pairs.measure_sections(sides, flat)
+
+
+@query(f"with {_SIDES}, md as (select *, abs(distance_m - median(distance_m) over (partition by frame_index)) as mad from ag) select frame_index, 0 as a_track, 1 as b_track, round(median(distance_m), 6) as distance_m, round(median(mad), 6) as distance_mad_m, round(median(al), 6) as left_l_m, round(median(bl), 6) as right_l_m, sum(groups)::bigint as support_groups, count(*) as sections, arg_min(s_center, abs(s_center - 15)) as publish_s_m from md group by frame_index having count(*) >= 2")
+def line_pairs(spark, sf_dir):
+    return rounded(pairs.pairs(_side_sections(spark, sf_dir)[1]))
+
+
+@query(f"with {_SIDES}, k as (select a.frame_index, median((b.mid_l - a.mid_l) / (b.s_center - a.s_center)) as k from ag a join ag b on a.frame_index = b.frame_index and b.s_center > a.s_center group by a.frame_index), b as (select frame_index, k, s_center, mid_l, median(mid_l - k * s_center) over (partition by frame_index) as b from ag join k using (frame_index)) select frame_index, 0 as a_track, 1 as b_track, round(k, 6) as k, round(b, 6) as b, count(*) as n_sections, min(s_center) as s_min, max(s_center) as s_max, round(median(abs(mid_l - b - k * s_center)), 6) as residual_p50_m, round(quantile_cont(abs(mid_l - b - k * s_center), 0.95), 6) as residual_p95_m, count(*) >= 3 and quantile_cont(abs(mid_l - b - k * s_center), 0.95) <= 0.08e0 as straight from b group by frame_index, k, b.b")
+def midpoint_lines(spark, sf_dir):
+    rows = pairs.agreeing(_side_sections(spark, sf_dir)[1])
+    return rounded(pairs.median_slope_line(rows, ["frame_index", "a_track", "b_track"], "s_center", "mid_l"))
+
+
+@query()
+def pair_scores(spark, sf_dir):
+    sides, sec = _side_sections(spark, sf_dir)
+    residual = sides.select("frame_index").distinct().withColumn("p95_m", F.lit(0.05))
+    return rounded(pairs.scores(sec, residual, pairs.assumed_sections(sides)))
+
+
+@query()
+def pair_poses(spark, sf_dir):
+    keys = ["frame_index", "a_track", "b_track"]
+    rows = pairs.agreeing(_side_sections(spark, sf_dir)[1])
+    return rounded(pairs.pose_at_reference(rows, pairs.median_slope_line(rows, keys, "s_center", "mid_l"), keys))
+
+
+@query()
+def assumed_sections(spark, sf_dir):
+    return rounded(pairs.assumed_sections(_sides(spark, sf_dir).where("not (track = 0 and s_center = 15)")))
+
+
+def _midpoints(spark, sf_dir):
+    return pairs.agreeing(_side_sections(spark, sf_dir)[1]).select("frame_index", F.lit("H1").alias("hypothesis"), F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
+
+
+@query(f"with {_SIDES} select frame_index, case when abs(arg_min(mid_l, abs(s_center - 6)) - 0) <= 0.25e0 and abs((arg_max(mid_l, s_center) - arg_min(mid_l, s_center)) / (max(s_center) - min(s_center))) <= 0.15e0 then 1 else 0 end as matches, case when abs(arg_min(mid_l, abs(s_center - 6)) - 0) <= 0.25e0 and abs((arg_max(mid_l, s_center) - arg_min(mid_l, s_center)) / (max(s_center) - min(s_center))) <= 0.15e0 then 'H1' end as hypothesis, case when abs(arg_min(mid_l, abs(s_center - 6)) - 0) <= 0.25e0 and abs((arg_max(mid_l, s_center) - arg_min(mid_l, s_center)) / (max(s_center) - min(s_center))) <= 0.15e0 then 'one' else 'none' end as attachment from ag group by frame_index")
+def attachment_matches(spark, sf_dir):
+    return corridor.attachment_match(_midpoints(spark, sf_dir), 6.0, 0.0).withColumn("matches", F.col("matches").cast("int"))
+
+
+@query()
+def corridor_relations(spark, sf_dir):
+    pts, _, lines, _ = surface(spark, sf_dir)
+    v = materialise(corridor.vertices(_midpoints(spark, sf_dir).where("s <> 15"), lines, cfg=SPARSE), "vertices")
+    return rounded(corridor.classify(pts, corridor.segments(v), v))
+
+
+@query()
+def axis_compatibility(spark, sf_dir):
+    sides, sec = _side_sections(spark, sf_dir)
+    axis = rule.axis_compatibility(pairs.agreeing(sec))
+    residual = sides.select("frame_index").distinct().withColumn("p95_m", F.lit(0.05))
+    return rounded(rule.forbids(axis, pairs.scores(sec, residual, pairs.assumed_sections(sides))))
+
+
+# --- candidates and decisions -----------------------------------------------------------
+
+_SLICE = DUCK_POINTS + """,
+sl as (select * from pts where abs(l) <= 1.05e0 and h between -0.85e0 and 1.925e0),
+ed as (select a.frame_index, a.point_id as a, b.point_id as b from sl a join sl b on a.frame_index = b.frame_index and a.point_id <> b.point_id where (a.s-b.s)**2 + (a.l-b.l)**2 + (a.h-b.h)**2 <= 0.15e0 * 0.15e0),
+rc as (select frame_index, point_id, point_id as r from sl union select rc.frame_index, ed.b, rc.r from rc join ed on ed.frame_index = rc.frame_index and ed.a = rc.point_id),
+lb as (select frame_index, point_id, min(r) as label from rc group by all)
+"""
+
+
+def _slice(spark, sf_dir):
+    return points(spark, sf_dir).where("abs(l) <= 1.05 and h between -0.85 and 1.925").withColumn("radius", F.lit(DETECTOR.link_m))
+
+
+@query(f"with recursive {_SLICE} select frame_index, point_id, label from lb")
+def radius_components(spark, sf_dir):
+    return spatial.components(_slice(spark, sf_dir)).select("frame_index", "point_id", "label")
+
+
+@query(f"with recursive {_SLICE} select frame_index, point_id, label from lb")
+def radius_components_joined(spark, sf_dir):
+    return spatial.components(_slice(spark, sf_dir), DETECTOR.link_m, by_frame=False).select("frame_index", "point_id", "label")
+
+
+@query(f"with recursive {_SLICE} select frame_index, a, b from ed where a < b")
+def radius_links(spark, sf_dir):
+    return spatial.radius_links(_slice(spark, sf_dir), DETECTOR.link_m)
+
+
+_CELLS = DUCK_POINTS + """,
+sl as (select *, cast(floor(s/0.15e0) as int) i, cast(floor(l/0.15e0) as int) j, cast(floor(h/0.15e0) as int) k from pts where abs(l) <= 1.05e0 and h between -0.85e0 and 1.925e0),
+ce as (select frame_index, i, j, k, min(point_id) as f from sl group by all),
+ed as (select a.frame_index, a.f as a, b.f as b from ce a join ce b on a.frame_index = b.frame_index and a.f <> b.f and abs(a.i-b.i) <= 1 and abs(a.j-b.j) <= 1 and abs(a.k-b.k) <= 1),
+rc as (select frame_index, f, f as r from ce union select rc.frame_index, ed.b, rc.r from rc join ed on ed.frame_index = rc.frame_index and ed.a = rc.f),
+lb as (select frame_index, f, min(r) as label from rc group by all)
+"""
+
+
+@query(f"with recursive {_CELLS} select sl.frame_index, sl.point_id, lb.label from sl join ce using (frame_index, i, j, k) join lb on lb.frame_index = ce.frame_index and lb.f = ce.f")
+def cell_components(spark, sf_dir):
+    return spatial.cell_components(_slice(spark, sf_dir)).select("frame_index", "point_id", "label")
+
+
+_CANDS = _SLICE + """,
+cd as (select l.frame_index, l.label, count(*) as unique_xyz, max(s)-min(s) as extent_s_m, max(p.l)-min(p.l) as extent_l_m, max(h)-min(h) as extent_h_m, min(s) as s_min_m, min(p.l) as l_min_m, min(h) as h_min_m, min(range_m) as range_from_lidar_m, case when count(*) >= 8 then 'large' else 'rare' end as kind from lb l join sl p on p.frame_index = l.frame_index and p.point_id = l.point_id group by l.frame_index, l.label),
+cn as (select *, (case when kind = 'large' then 'L' else 'R' end) || row_number() over (partition by frame_index, kind order by s_min_m, l_min_m, h_min_m, label) as candidate_id from cd)
+"""
+
+
+@query(f"with recursive {_CANDS} select frame_index, candidate_id, kind, unique_xyz, round(extent_s_m, 6) as extent_s_m, round(extent_l_m, 6) as extent_l_m, round(extent_h_m, 6) as extent_h_m, round(s_min_m, 6) as s_min_m, round(range_from_lidar_m, 6) as range_from_lidar_m from cn")
+def candidates(spark, sf_dir):
+    c = detect.candidates(spatial.components(_slice(spark, sf_dir)))
+    return rounded(c.select("frame_index", "candidate_id", "kind", "unique_xyz", "extent_s_m", "extent_l_m", "extent_h_m", "s_min_m", "range_from_lidar_m"))
+
+
+_JUDGED = _CANDS + """,
+fl as (select *, unique_xyz >= 8 as enough, extent_s_m + 1e-9 >= 0.3e0 or extent_l_m + 1e-9 >= 0.3e0 as horizontal, extent_h_m + 1e-9 >= 0.3e0 as tall, extent_h_m + 1e-9 >= 0.1e0 as high, extent_h_m + 1e-9 < 0.05e0 and extent_l_m + 1e-9 >= 1.5e0 as sheet, greatest(extent_s_m, extent_l_m) + 1e-9 >= 0.8e0 as long, h_min_m + 1e-9 >= -1.075e0 + 1.0e0 as up from cn),
+ev as (select *, case when unique_xyz <= 1 then null when enough and high and horizontal then 'volume' when enough and tall then 'vertical_face' when long and unique_xyz >= 10 and up and not sheet then 'thin_fragment' end as evidence from fl),
+jd as (select *, case when unique_xyz <= 1 then 'single_point_is_weak' when evidence is not null then null when sheet and unique_xyz >= 10 and long then 'wide_flat_sheet_not_a_fragment' when unique_xyz < 8 and not (long and unique_xyz >= 10 and up and not sheet) then 'support_below_large_min' else 'extent_below_object_size' end as reason, case when s_min_m >= 25 then 'assumed_continuation' else 'near_straight_assumption' end as corridor_segment from ev)
+"""
+
+
+@query(f"with recursive {_JUDGED} select frame_index, candidate_id, evidence, reason, corridor_segment from jd")
+def intrusion_evidence(spark, sf_dir):
+    c = rule.with_evidence(detect.candidates(spatial.components(_slice(spark, sf_dir))))
+    return c.select("frame_index", "candidate_id", "evidence", "reason", "corridor_segment")
+
+
+@query(f"with recursive {_JUDGED} select f.frame_index, count(j.frame_index) as candidates, count(evidence) as intrusions, round(min(range_from_lidar_m) filter (evidence is not null), 6) as nearest_intrusion_m, case when count(evidence) > 0 then 'conditional_intrusion' when count(j.frame_index) > 0 then 'candidate_only' else 'no_intrusion_detected' end as decision from (select distinct frame_index from pts) f left join jd j using (frame_index) group by f.frame_index")
+def slice_decisions(spark, sf_dir):
+    judged = rule.with_evidence(detect.candidates(spatial.components(_slice(spark, sf_dir))))
+    frames = points(spark, sf_dir).select("frame_index").distinct().select("frame_index", F.lit("ok").alias("status"), F.lit("configured_straight").alias("corridor_source"), F.lit(True).alias("profile_applicable"), F.lit(True).alias("ground_found"))
+    return rounded(rule.decide(frames, judged).select("frame_index", "candidates", "intrusions", "nearest_intrusion_m", "decision"))
+
+
+@query()
+def frame_decisions(spark, sf_dir):
+    """The flagship: from records to one decision for each frame."""
+    tracks, _, cands = found_candidates(spark, sf_dir)
+    have = tracks.where("role = 'ground'").select("frame_index").distinct().withColumn("ground_found", F.lit(True))
+    frames = points(spark, sf_dir).select("frame_index").distinct().join(have, "frame_index", "left").fillna(False, ["ground_found"])
+    frames = frames.select("frame_index", F.when(F.col("ground_found"), "ok").otherwise("insufficient_geometry").alias("status"), F.lit("configured_straight").alias("corridor_source"), F.lit(True).alias("profile_applicable"), "ground_found")
+    return rounded(rule.decide(frames, rule.with_evidence(cands)).select("frame_index", "status", "candidates", "intrusions", "nearest_intrusion_m", "decision"))
+
+
+@query()
+def detection_funnel(spark, sf_dir):
+    return evaluate.funnel(masked(spark, sf_dir)[1])
+
+
+@query()
+def local_protrusions(spark, sf_dir):
+    pts = points(spark, sf_dir)
+    return detect.local_protrusions(pts.where("q > 44"), pts.where("q <= 34 or q > 44")).groupBy("frame_index", "reason", "accepted", "radius_m").agg(F.count("*").alias("points"))
+
+
+@query()
+def insertion_outcomes(spark, sf_dir):
+    _, marks, cands = found_candidates(spark, sf_dir)
+    return rounded(evaluate.insertion(cands, marks.where("q > 44 and inside").select("frame_index", "point_id", "range_m")))
+
+
+# --- evaluation, grid, windows ------------------------------------------------------------
+
+
+@query(f"with {DUCK_POINTS}, b as (select frame_index, cast(floor(s/0.25e0) as int) as bin, count(*) as n from pts group by all having count(*) >= 12), m as (select frame_index, arg_max(bin, n * 10000 - bin) as bin, max(n) as n from b group by frame_index) select m.frame_index, m.bin, m.n, round(quantile_cont(s, 0.04), 6) as s_p4, round(quantile_cont(s, 0.96), 6) as s_p96, round(quantile_cont(l, 0.04), 6) as l_p4, round(quantile_cont(l, 0.96), 6) as l_p96, round(quantile_cont(h, 0.04), 6) as h_p4, round(quantile_cont(h, 0.96), 6) as h_p96 from m join pts p on p.frame_index = m.frame_index and cast(floor(p.s/0.25e0) as int) = m.bin group by all")
+def face_slabs(spark, sf_dir):
+    return rounded(evaluate.faces(points(spark, sf_dir), need=12))
+
+
+_GRID = DUCK_CLOUD + """,
+an as (select *, case when degrees(atan2(y, x)) >= 180 then degrees(atan2(y, x)) - 360 else degrees(atan2(y, x)) end as az, degrees(atan2(z, sqrt(x*x + y*y))) as el from cloud where range_m >= 1e-3),
+gd as (select *, least(cast(floor((az + 180) / 0.2e0) as int), 1799) as col, cast(floor((el - floor(min(el) over (partition by frame_index) / 0.2e0) * 0.2e0) / 0.2e0) as int) as row from an)
+"""
+
+
+@query(f"with {_GRID}, b as (select frame_index, row, col, count(*) as n, max(range_m) - min(range_m) as spread from gd group by all) select frame_index, count(*) as bins, sum(n)::bigint as points, count(*) filter (n >= 2) as collisions, count(*) filter (n >= 2 and spread > 0.2e0) as multiple_returns, max(n) as fullest from b group by frame_index")
+def angular_occupancy(spark, sf_dir):
+    return angular.occupancy(angular.grid(records(spark, sf_dir)))
+
+
+@query(f"with {_GRID} select frame_index, row, col, round(arg_min(intensity, range_m), 6) as value from gd group by all")
+def angular_raster(spark, sf_dir):
+    return rounded(angular.raster(angular.grid(records(spark, sf_dir))))
+
+
+@query()
+def angular_error(spark, sf_dir):
+    return rounded(angular.quantisation(angular.grid(records(spark, sf_dir))))
+
+
+@query(f"with {DUCK_CLOUD} select frame_index, cast(floor(s/0.5e0) as int) as ca, cast(floor(l/0.5e0) as int) as cb, round(min(range_m), 6) as range_m from cloud group by all")
+def display_cells(spark, sf_dir):
+    return rounded(angular.display_cells(records(spark, sf_dir), "s", "l", "range_m", 0.5).select("frame_index", "ca", "cb", "range_m"))
+
+
+@query(f"with {DUCK_CLOUD}, n as (select frame_index, count(*) as n from cloud group by all), k as (select frame_index, cast(floor(i.i * (n - 1) / 99) as bigint) + 1 as source_index from n, range(0, 100) i(i)), hl as (select frame_index, source_index from cloud where q > 48), u as (select frame_index, source_index from k union select frame_index, source_index from hl) select u.frame_index, u.source_index, case when hl.source_index is null then 0 else 1 end as label from u left join hl using (frame_index, source_index)")
+def display_sample(spark, sf_dir):
+    pts = records(spark, sf_dir)
+    return angular.display_sample(pts, 100, pts.where("q > 48"))
+
+
+@query(f"with {DUCK_CLOUD}, k as (select *, case when q <= 34 then 'floor' when q <= 40 then 'rail' else 'wall' end as kind, case when range_m >= 200 then 5 when range_m >= 100 then 4 when range_m >= 50 then 3 when range_m >= 30 then 2 when range_m >= 10 then 1 else 0 end as band from cloud), d as (select f.frame_index, t.kind, b.band from (select distinct frame_index from cloud) f, (values ('rail'), ('floor'), ('wall')) t(kind), (values (0), (1), (2), (3), (4), (5)) b(band)), s as (select frame_index, kind, band, count(*) as points from k group by all) select d.*, coalesce(points, 0) as points from d left join s using (frame_index, kind, band)")
+def evidence_table(spark, sf_dir):
+    kind = F.when(F.col("q") <= 34, "floor").when(F.col("q") <= 40, "rail").otherwise("wall")
+    return angular.evidence_table(records(spark, sf_dir).withColumn("kind", kind), ["rail", "floor", "wall"])
+
+
+@query(f"with {DUCK_POINTS}, s as (select frame_index, h, h - lag(h) over w as step, row_number() over w - 1 as below, count(*) over (partition by frame_index) as n from pts where l > 0 window w as (partition by frame_index order by h)) select frame_index, coalesce(bool_or(step > 0.08e0 and below >= 6 and n - below >= 6), false) as several_levels from s group by frame_index")
+def level_gaps(spark, sf_dir):
+    return windows.level_gap(points(spark, sf_dir).where("l > 0"), ["frame_index"])
+
+
+@query(f"with {DUCK_POINTS}, q as (select frame_index, quantile_cont(h, 0.4) as q from pts where q <= 34 group by all) select p.frame_index, count(*) as points, round(max(h), 6) as highest_m from pts p join q on q.frame_index = p.frame_index where p.q <= 34 and p.h <= q.q + 1e-12 group by p.frame_index")
+def lower_support(spark, sf_dir):
+    low = windows.lower_support(points(spark, sf_dir).where("q <= 34"), ["frame_index"])
+    return rounded(low.groupBy("frame_index").agg(F.count("*").alias("points"), F.max("h").alias("highest_m")))
+
+
+@query("with e as (select *, case when event_id % 1000 = 0 then ts - interval 1 day else ts end as t from events), b as (select *, coalesce(cast(t < lag(t) over (partition by user_id order by event_id) as int), 0) as back from e), s as (select user_id, event_id, sum(back) over (partition by user_id order by event_id rows unbounded preceding) as session_id from b) select user_id, session_id::bigint as session_id, count(*) as events, min(event_id) as first_event from s group by all")
+def session_resets(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", F.when(F.col("event_id") % 1000 == 0, F.col("ts") - F.expr("interval 1 day")).otherwise(F.col("ts")))
+    return windows.sessions(e, "t", "event_id", "user_id").groupBy("user_id", "session_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+
+
+@query("select user_id, event_id, sum(cast(value > 50 as int)) over (partition by user_id order by event_id rows between 2 preceding and current row) >= 2 as confirmed from events")
+def confirmations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("seen", F.col("value") > 50)
+    return windows.confirmed(e, "seen", "event_id", "user_id").select("user_id", "event_id", "confirmed")
+
+
+@query("with t as (select event_type, event_id, epoch(ts) as t from events), w as (select event_id, event_type, count(*) over r as n, max(t) over r - min(t) over r as span from t window r as (partition by event_type order by t range between 5 preceding and current row)) select event_id, event_type, round(case when span > 0 then (n - 1) / span else 0 end, 6) as rate_hz from w")
+def event_rates(spark, sf_dir):
+    return rounded(windows.rates(table(spark, sf_dir, "events"), "ts", "event_type").select("event_id", "event_type", "rate_hz"))
+
+
+@query("select user_id, event_id, round(median(value) over (partition by user_id order by event_id rows between 8 preceding and current row), 6) as tail_median from events")
+def tail_medians(spark, sf_dir):
+    return rounded(windows.tail_median(table(spark, sf_dir, "events"), "value", "event_id", "user_id").select("user_id", "event_id", "tail_median"))
+
+
+@query("with b as (select *, event_id // 50 as slot from events), n as (select *, row_number() over (partition by slot order by event_id desc) as r, count(*) over (partition by slot) - 1 as dropped from b) select slot, event_id, dropped from n where r = 1")
+def keep_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("slot", F.expr("event_id div 50"))
+    return windows.keep_latest(e, "slot", "event_id").select("slot", "event_id", "dropped")
+
+
+@query("with a as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type = (select min(event_type) from events)), b as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type = (select max(event_type) from events)) select a.user_id, a.n::int as n, a.event_id, b.event_id as r_event_id from a join b using (user_id, n)")
+def fifo_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    lo, hi = e.agg(F.min("event_type"), F.max("event_type")).first()
+    return windows.pair_fifo(e.where(F.col("event_type") == lo).drop("event_type"), e.where(F.col("event_type") == hi).drop("event_type"), "event_id", "user_id").select("user_id", "n", "event_id", "r_event_id")
+
+
+@query("with j as (select event_id as frame_index, event_type as status, value as range_m from events), a as (select frame_index, case when frame_index % 97 = 0 then 'changed' else status end as status, range_m + case when frame_index % 89 = 0 then 0.001e0 else 0 end as range_m from j where frame_index % 101 <> 0) select j.frame_index, d.difference from j left join a using (frame_index), lateral (select unnest([case when a.status is null then 'missing_frame' end, case when a.status is not null and a.status <> j.status then 'status' end, case when a.status is not null and not abs(a.range_m - j.range_m) <= 1e-5 then 'range_m' end]) as difference) d where d.difference is not null")
+def result_comparison(spark, sf_dir):
+    want = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_index"), F.col("event_type").alias("status"), F.col("value").alias("range_m"))
+    n = F.col("frame_index")
+    got = want.where(n % 101 != 0).select("frame_index", F.when(n % 97 == 0, "changed").otherwise(F.col("status")).alias("status"), (F.col("range_m") + F.when(n % 89 == 0, 0.001).otherwise(0.0)).alias("range_m"))
+    return evaluate.compare(want, got, ["status"], ["range_m"])
+
+
+@query("select event_type as run, count(*) as frames, count(*) filter (value >= 50) as ok, count(*) filter (value < 50) as insufficient, round(avg(cast(value < 50 as int)), 6) as share_insufficient, min(user_id) as support_min, max(user_id) as support_max, round(quantile_cont(value, 0.5), 6) as p50_s, round(quantile_cont(value, 0.95), 6) as p95_s, round(sum(value), 4) as sum_s from events group by event_type")
+def run_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.when(F.col("value") >= 50, "ok").otherwise("insufficient_geometry").alias("status"), F.col("user_id").alias("support"), F.col("value").alias("seconds"))
+    return rounded(evaluate.run_summary(e)).withColumn("sum_s", F.round("sum_s", 4))
+
+
+@query("select 'most_candidates' as why, arg_max(event_id, user_id * 100000000 - event_id) as frame_index from events union all select 'commonest_failure', arg_max(f, n * 100000000 - f) from (select event_type, count(*) as n, min(event_id) as f from events group by event_type)")
+def frame_picks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_index"), F.col("user_id").alias("candidates"), F.col("event_type").alias("status"))
+    return evaluate.pick_frames(e)
+
+
+@query("select user_id, event_id, substring(sha256(concat_ws('|', user_id, event_id, event_type)), 1, 16) as identity from events")
+def run_identity(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_id", scalars.identity("user_id", "event_id", "event_type").alias("identity"))
+
+
+@query()
+def stream_journal(spark, sf_dir):
+    return replay.journal_of(table(spark, sf_dir, "events"))
+
+
+@query()
+def stream_tracks(spark, sf_dir):
+    return replay.tracks_of(table(spark, sf_dir, "events"))
 
 
-def oracle_sql() -> dict:
-    return {}
+_ = Window
