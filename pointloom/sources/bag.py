@@ -2,7 +2,7 @@
 
 ``spark.read.format("bag").option("path", folder).option("topic", name).load()`` gives
 ``MESSAGE`` rows, one for each recorded cloud. Partitions are ranges of message ids, so each task
-seeks only its part; filters on the frame number are pushed down to that range.
+seeks only its part; with the option ``pushFilters`` filters on the frame number narrow that range.
 """
 
 from __future__ import annotations
@@ -134,16 +134,6 @@ class BagReader(DataSourceReader):
         self.known = tuple(x for x in options.get("known", "").split(",") if x)
         self.topic, self.low, self.high = options.get("topic"), 0, None
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            name = getattr(f, "attribute", None)
-            if name == ("frame_index",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-            if name == ("frame_index",) and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                top = f.value - isinstance(f, LessThan)
-                self.high = top if self.high is None else min(self.high, top)
-            yield f  # Spark still applies it; here it only narrows what is read
-
     def _open(self) -> tuple[sqlite3.Connection, int]:
         db = sqlite3.connect(f"file:{message_file(self.folder)}?mode=ro", uri=True)
         topics = {n: (i, t) for i, n, t in db.execute("SELECT id, name, type FROM topics")}
@@ -167,6 +157,20 @@ class BagReader(DataSourceReader):
         db.close()
 
 
+class PushingBagReader(BagReader):
+    """The reader where ``spark.sql.python.filterPushdown.enabled`` is on (option ``pushFilters``)."""
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            name = getattr(f, "attribute", None)
+            if name == ("frame_index",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            if name == ("frame_index",) and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                top = f.value - isinstance(f, LessThan)
+                self.high = top if self.high is None else min(self.high, top)
+            yield f  # Spark still applies it; here it only narrows what is read
+
+
 class BagSource(DataSource):
     """Registered with ``spark.dataSource.register(BagSource)``."""
 
@@ -178,4 +182,5 @@ class BagSource(DataSource):
         return MESSAGE
 
     def reader(self, schema):
-        return BagReader(dict(self.options))
+        options = dict(self.options)
+        return PushingBagReader(options) if options.get("pushFilters", "false").lower() == "true" else BagReader(options)
