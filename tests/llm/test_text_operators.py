@@ -1,0 +1,405 @@
+import array
+import base64
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from pointloom.llm import bpe, decontaminate, lm, pii, rollup, secrets, simhash, toxicity, warc
+from pointloom.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, schema=DOCS):
+    return spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], schema)
+
+
+ODD = [None, "", "   \n\t", "word", "Same text here twice over.", "Same text here twice over.", "x" * 5000, "é漢字 \U0001f600 ͘ " * 40, "a\x1cb\x85c\xa0d"]
+TEXTS = [*ODD, *("the quick brown fox number %d jumps over it" % k for k in range(6))]
+
+
+# --- byte-pair encoding ------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    v = bpe.Vocabulary(tokenizer_path())
+    words = bpe.whole_words(v)
+    return v, words, bpe.Encoder(v, bpe.Lexicon.build(words).to_bytes())
+
+
+def test_lexicon_is_minimal_and_exact(encoder):
+    _, words, e = encoder
+    for w, ids in words.items():
+        assert list(e.lexicon.find(w)) == ids
+    assert e.lexicon.find(b"") is None and e.lexicon.find(b" thexq") is None
+    few = {b"abing": [1], b"cding": [2, 3], b"ing": [4]}
+    lex = bpe.Lexicon.build(few)
+    assert {w: list(lex.find(w)) for w in few} == few and lex.find(b"ab") is None
+    assert lex.states == 7  # root, a, c, the one state after ab and cd, and the shared path of "ing"
+
+
+def test_merges_one_and_many(encoder):
+    v, _, _ = encoder
+    r = random.Random(1)
+    words = ["".join(r.choice("abthering é") for _ in range(r.randint(1, 30))).encode() for _ in range(300)] + [b"a" * 7, b"ab" * 150, b"ab" * 900, b""]
+    assert v.merge_many(words) == [array.array("I", v.merge(w)).tobytes() for w in words]
+    long = b"thering" * 60
+    assert v._merge_long([v.byte_id[b] for b in long]) == bpe.Vocabulary.merge.__get__(_Short(v))(long)
+
+
+class _Short:
+    """The scanning merge whatever the length."""
+
+    def __init__(self, v):
+        self.byte_id, self.merges = v.byte_id, v.merges
+
+    def _merge_long(self, ids):
+        get, none = self.merges.get, 1 << 62
+        while True:
+            found = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+            if not found or min(found) == none:
+                return ids
+            i = found.index(min(found))
+            ids[i : i + 2] = [min(found) & 0xFFFFFFFF]
+
+
+def test_encode_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    r = random.Random(2)
+    texts = [*TEXTS, "<|endoftext|>a<|endoftext|> b", "it's we'll I'D", "".join(chr(r.choice([r.randrange(32, 127), r.randrange(0xA0, 0x3000), r.randrange(0x10000, 0x1FFFF), 0x558, 10, 13])) for _ in range(4000))]
+    got = {x.doc_id: x for x in bpe.digests(docs(spark, texts), tokenizer_path()).collect()}
+    full = {x.doc_id: x for x in bpe.encode(docs(spark, texts), tokenizer_path()).collect()}
+    for k, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert got[k].n_tokens == len(ids) and full[k].token_ids == ids
+        assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert got[k].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    back = bpe.decode(bpe.encode(docs(spark, texts), tokenizer_path()), tokenizer_path())
+    assert {x.doc_id: x.text for x in back.collect()} == {k: x or "" for k, x in enumerate(texts)}
+
+
+# --- fingerprints ---------------------------------------------------------------------------
+
+
+def fingerprint(text):
+    import xxhash
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not w:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+
+
+def components(pairs, nodes):
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_simhash_equals_brute_force(spark):
+    r = random.Random(3)
+    words = ["w%d" % k for k in range(60)]
+    base = [" ".join(r.choices(words, k=r.randint(1, 200))) for _ in range(25)]
+    texts = [*ODD, *base, *(b + " w1" for b in base), *(b.upper() for b in base[:5]), *base[:5]]
+    got = {x.doc_id: x for x in simhash.near_duplicates(docs(spark, texts)).collect()}
+    fp = {k: fingerprint(t) for k, t in enumerate(texts)}
+    assert {k: x.fingerprint for k, x in got.items()} == {k: f"{f:016x}" for k, f in fp.items()}
+    links = [(a, b) for a in fp for b in fp if a < b and bin(fp[a] ^ fp[b]).count("1") <= 2]
+    assert {k: x.component_id for k, x in got.items()} == components(links, fp)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 4])
+def test_signatures_find_every_close_pair(spark, bits):
+    r = random.Random(bits)
+    fps = {r.getrandbits(64) for _ in range(30)}
+    for f in list(fps):
+        for _ in range(3):
+            fps.add(f ^ sum(1 << b for b in r.sample(range(64), r.randint(1, bits + 2))))
+    signed = {f - (1 << 64) if f >= 1 << 63 else f for f in fps}
+    got = {(x.a, x.b) for x in simhash.linked_pairs(spark.createDataFrame([(f,) for f in signed], "fp long"), bits).collect()}
+    near = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= bits
+    assert got == {(a, b) for a in signed for b in signed if a < b and near(a, b)}
+
+
+# --- toxicity ----------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_from_the_training_fold_only(spark):
+    r = random.Random(5)
+    words = ["w%d" % k for k in range(400)]
+    texts, marks = [], []
+    for _ in range(500):
+        bad = r.random() < 0.3
+        w = r.choices(words, k=80)
+        if bad:
+            w[r.randrange(80)] = "vile,"
+        texts.append(" ".join(w))
+        marks.append(int(bad))
+    d = docs(spark, [*texts, None, ""])
+    held = [zlib.crc32(str(k).encode()) % 5 == 0 for k in range(502)]
+    labels = spark.createDataFrame([(k, (1 - m) if held[k] else m) for k, m in enumerate(marks)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.predictions(d, labels).collect()}  # held-out labels are turned round: if they were used, the score would suffer
+    assert [got[k].held_out for k in range(502)] == held
+    assert sum(got[k].predicted == marks[k] for k in range(500)) > 490
+    assert got[500].score == got[501].score and 0 <= got[500].score < 0.5
+    none = toxicity.predictions(d, labels.where("false")).collect()
+    assert all(x.score == 0.5 for x in none)
+    assert toxicity.predictions(d.where("false"), labels).count() == 0
+
+
+# --- personal data -----------------------------------------------------------------------------
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, text):
+            d = re.sub(r"\D", "", m[0])
+            if k == 0 or k == 1 and all(int(x) <= 255 for x in m[0].split(".")) or k == 2 and 14 <= len(d) <= 19 and pii.luhn(d) or k == 3 and 10 <= len(d) <= 15:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(6)
+    for _ in range(4000):
+        t = "".join(r.choice("ab.@-+ 19(") for _ in range(40))
+        assert pii.base_spans(t) == plain_spans(t), t
+    t = "é mail a.b@c-d.org, 10.0.0.255 and 10.0.0.256; 4111 1111 1111 1111 or 4111-1111-1111-1112; +49 (30) 1234-5678"
+    assert pii.base_spans(t) == plain_spans(t) and [k for _, k, _ in pii.base_spans(t)] == [0, 1, 2, 3]
+
+
+def test_trees_add_what_patterns_miss_and_leave_look_alikes():
+    forest = pii.model()
+    added = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii.find(t, forest)[1] if (a, k, b) not in pii.find(t, forest)[0]]
+    assert added("write to anna.lee(at)example(dot)com today") == [("email", "anna.lee(at)example(dot)com")]
+    assert added("call 030-123-4567 now") == [("phone", "030-123-4567")]
+    assert added("iban DE89370400440532013000 here") == [("iban", "DE89370400440532013000")]
+    assert added("order number 4929348385146307 shipped") == []
+    assert added("version 10:22:33 on date 2024-05-06 page 12") == []
+    assert added("plain prose about the cat at noon and dots") == []
+    x, y = pii.examples(seed=99, n=800)
+    assert np.mean([(forest.odds(list(r)) > 0) == bool(t) for r, t in zip(x, y)]) > 0.93
+
+
+def test_pii_scan_of_odd_texts(spark):
+    got = pii.scan(docs(spark, [*TEXTS, "x@y.zz"])).collect()
+    assert len(got) == len(TEXTS) + 1
+    for x in got:
+        t = ([*TEXTS, "x@y.zz"][x.doc_id]) or ""
+        base = plain_spans(t)
+        assert x.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert set(pii.joined(base).split(",")) <= set(x.spans.split(","))
+    assert sum(x.n_email for x in got) == 1
+
+
+# --- secrets --------------------------------------------------------------------------------------
+
+
+def plain_secrets(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def der(tag, body):
+    n = len(body)
+    head = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + head + body
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1]) * 40) for k in range(8)))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, RSA))
+b64 = lambda b: base64.b64encode(b).decode()
+url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+
+
+def test_base_secrets_equal_the_patterns():
+    r = random.Random(7)
+    for _ in range(3000):
+        t = "".join(r.choice(["token", "SECRET", "api_key", "apikey", "=", ":", " ", '"', "abcdef0123", "AKIA", "ABCDEFGH01234567", "ſ", "x", "."]) for _ in range(14))
+        assert secrets.find(t)[0] == plain_secrets(t), t
+
+
+def test_structures_are_confirmed_by_decoding():
+    kinds = lambda t: [secrets.KINDS[k] for a, k, b in secrets.find(t)[1] if (a, k, b) not in secrets.find(t)[0]]
+    assert kinds("see " + b64(PKCS8) + " end") == ["key"] and kinds(RSA.hex().upper()) == ["key"]
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" + b64(RSA) + "\n-----END RSA PRIVATE KEY-----")[0] == "key"
+    assert kinds(b64(RSA[:-3])) == [] and kinds(b64(bytes(range(200)))) == []
+    token = ".".join([url(json.dumps({"alg": "HS256"}).encode()), url(json.dumps({"sub": "1"}).encode()), url(b"s" * 32)])
+    assert kinds("bearer " + token) == ["jwt"]
+    assert kinds(".".join([url(b'{"nope": 1}'), url(b'{"sub": 1}'), url(b"s" * 32)])) == []
+    assert kinds(b64(b"here: password = hunter2hunter2")) == ["nested"]
+    assert kinds(b64(b"nothing to see in this long plain sentence")) == []
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"k" * 40
+    assert kinds(b64(ssh)) == ["key"]
+
+
+def test_secret_scan_and_redaction(spark):
+    texts = [*TEXTS, 'é token = "abcdef123456" then ' + b64(PKCS8), None]
+    got = {x.doc_id: x for x in secrets.scan(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].base_sha256 == hashlib.sha256(secrets.joined(plain_secrets(t or "")).encode()).hexdigest()
+    assert got[len(TEXTS)].n_assign == 1 and got[len(TEXTS)].n_confirmed == 1
+    clean = {x.doc_id: x.text for x in secrets.redacted(docs(spark, texts)).collect()}
+    assert clean[len(TEXTS)] == 'é [SECRET]" then [SECRET]' and [clean[k] for k in range(len(TEXTS))] == TEXTS
+
+
+# --- language model -------------------------------------------------------------------------------
+
+
+def test_lm_counts_and_probabilities(spark):
+    r = random.Random(8)
+    words = ["w%d" % min(int(r.expovariate(0.3)), 30) for _ in range(6000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 6000, 40)] + [None, "", "Unseen Things w1"]
+    got = {x.doc_id: x for x in lm.scores(docs(spark, texts)).collect()}
+    tok = lambda t: (t or "").lower().split() + [""]
+    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in got}
+    c = Counter(w for k, t in enumerate(texts) if not held[k] for w in tok(t))
+    n, v = sum(c.values()), len(c)
+    z = n + 0.1 * (v + 1)
+    pairs = Counter(p for k, t in enumerate(texts) if not held[k] for p in zip(["", *tok(t)], tok(t)))
+    state = {w for w in c if c[w] >= 2 or w == ""}
+    arcs = {p: x for p, x in pairs.items() if x >= 2 and p[0] in state and p[1] in state}
+    p1 = lambda w: (c[w] + 0.1) / z
+
+    def p2(a, w):
+        if a not in state:
+            return p1(w)
+        if (a, w) in arcs:
+            return (arcs[a, w] - 0.5) / c[a]
+        mine = [x for x in arcs if x[0] == a]
+        return p1(w) * (1 - sum((arcs[x] - 0.5) / c[a] for x in mine)) / (1 - sum(p1(x[1]) for x in mine))
+
+    for k, t in enumerate(texts):
+        w = tok(t)
+        assert (got[k].held_out, got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (held[k], len(w), sum(x in c for x in w), n)
+        assert got[k].base_score == pytest.approx(sum(math.log10(p1(x)) for x in w))
+        assert got[k].score == pytest.approx(sum(math.log10(p2(a, x)) for a, x in zip(["", *w], w)))
+    for a in list(state)[:5]:
+        assert sum(p2(a, w) for w in c) + p2(a, "never seen") == pytest.approx(1.0)  # each state's probabilities sum to one
+    assert lm.scores(docs(spark, TEXTS).where("false")).count() == 0
+
+
+# --- benchmark leaks ----------------------------------------------------------------------------
+
+
+def passages(seed, n, k):
+    r = random.Random(seed)
+    words = ["v%d" % min(int(r.expovariate(0.01)), 900) for _ in range(n * k)]
+    return [" ".join(words[i * k : (i + 1) * k - 8]) + ". " + " ".join(words[(i + 1) * k - 8 : (i + 1) * k]) for i in range(n)]
+
+
+def test_wand_retrieves_all_above_the_threshold():
+    items = [(k, t) for k, t in enumerate(passages(1, 60, 30))]
+    ix = decontaminate.Index(items)
+    for text in [*passages(2, 10, 60), *(items[k][1] for k in range(10))]:
+        terms = [ix.vocab[w] for w in set(decontaminate.words_of(text.encode())) if w in ix.vocab]
+        scores = np.zeros(60)
+        for t in terms:
+            for k, x in ix.postings[t]:
+                scores[k] += x
+        for floor in (0.1, 0.3, 0.6):
+            got = {k: s for b in range(ix.blocks) for k, s in ix.wand(terms, b * decontaminate.BLOCK, (b + 1) * decontaminate.BLOCK, floor)}
+            assert set(got) == set(np.flatnonzero(scores >= floor)) and all(s == pytest.approx(scores[k]) for k, s in got.items())
+
+
+def test_leaks_are_found_wherever_they_stand(spark, monkeypatch):
+    items = [*passages(1, 40, 30), "too short", None, ""]
+    noise = passages(3, 60, 50)
+    texts = [*ODD, *noise, *(" ".join(noise[:k]) + "\n" + items[k].upper() + "! " + noise[k] for k in range(12)), items[5] + " " + items[6]]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
+    want = {(len(ODD) + 60 + k, k) for k in range(12)} | {(len(ODD) + 72, 5), (len(ODD) + 72, 6)}
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, texts), bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 7)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, texts), bench).collect()} == want
+    assert decontaminate.leaks(docs(spark, texts), bench.where("false")).count() == 0
+    half = spark.createDataFrame([(0, " ".join(items[3].split()[:12]))], "doc_id long, text string")
+    assert decontaminate.leaks(half, bench).count() == 0  # a question without its answer
+
+
+# --- rollups ------------------------------------------------------------------------------------
+
+
+def test_rollup_deltas_and_repeats(spark, tmp_path):
+    store = rollup.Rollup(spark, f"file://{tmp_path}/r")
+    change = lambda rows: spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, tokenizer string, tokens long, at int")
+    first = change([("insert", 1, "a", "en", "v1", 10, 0), ("insert", 2, "a", "en", "v1", 5, 0), ("insert", 3, None, "de", "v1", 7, 0), ("insert", None, "a", "en", "v1", 1, 0), ("delete", 99, "a", "en", "v1", 0, 0)])
+    assert store.apply("b1", first) and not store.apply("b1", first)
+    totals = lambda: {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in store.totals().collect()}
+    assert totals() == {("a", "en", "v1"): (3, 16), (None, "de", "v1"): (1, 7)}
+    second = change([("revise", 1, "b", "en", "v1", 12, 0), ("revise", 1, "b", "en", "v1", 13, 1), ("delete", 2, "a", "en", "v1", 0, 0), ("insert", 1, "b", "en", "v2", 4, 0), ("revise", 3, None, "de", "v1", None, 0)])
+    assert store.apply("b2", second) and not store.apply("b2", second) and not store.apply("b1", first)
+    assert totals() == {("a", "en", "v1"): (1, 1), ("b", "en", "v1"): (1, 13), ("b", "en", "v2"): (1, 4), (None, "de", "v1"): (1, 0)}
+    assert store.apply("b3", second.where("false")) and store.batches() == ["b1", "b2", "b3"]
+    assert store.apply("b4", change([("insert", 2, "a", "en", "v1", 6, 0)])) and totals()[("a", "en", "v1")] == (2, 7)
+
+
+def test_corpus_totals(spark, tmp_path):
+    texts = ["One two | three.", "One two | three.", None, "", "x" * 100, "été 42 fois"]
+    got = {r.tokenizer: (r.docs, r.tokens) for r in rollup.corpus_totals(docs(spark, texts), rollup.Rollup(spark, f"file://{tmp_path}/c")).collect()}
+    distinct = ["One two | three.", "", "x" * 100, "été 42 fois"]
+    assert got == {"words/1": (4, 3 + 0 + 1 + 3), "words/2": (4, 3 + 0 + 1 + 3), "bytes/1": (4, sum(len(t.encode()) for t in distinct))}
+
+
+# --- archives ------------------------------------------------------------------------------------
+
+
+def page_rows(htmls):
+    return [(k, f"https://e.org/{k}\n x", h, k) for k, h in enumerate(htmls)]
+
+
+def test_archives_round_trip(spark):
+    htmls = ["<p>%d</p>" % (k % 7) * 30 for k in range(40)] + [None, "", "é" * 10, "x" * 300_000]
+    df = spark.createDataFrame(page_rows(htmls), "page_id long, url string, html string, content int").repartition(3)
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    assert len(got) == len(htmls)
+    first = {}
+    for k, h in enumerate(htmls):
+        body = (h or "").encode()
+        first.setdefault(body, k)
+        assert (got[k].payload_bytes, got[k].payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+        assert (got[k].record_type, got[k].refers_to) == (("response", None) if first[body] == k else ("revisit", first[body]))
+    full = {r.page_id: r for r in warc.records(warc.archives(df), payload=True).collect()}
+    assert full[43].payload == b"x" * 300_000 and full[0].url == "https://e.org/0%0A%20x"
+    assert warc.round_trip(df.where("false")).count() == 0
+
+
+def test_archives_are_validated():
+    rec = warc.to_bytes(warc.Record(1, "u", b"hello", 5, warc.base32_sha1(b"hello"), "response", None))
+    assert warc.from_bytes(rec).payload == b"hello"
+    for bad in (rec[:-1], rec.replace(b"hello", b"hullo"), rec.replace(b"WARC/1.1", b"WARC/9.9"), rec.replace(b"WARC-Date", b"X-Date"), rec + b"x"):
+        with pytest.raises(ValueError):
+            warc.from_bytes(bad)
+    blob = warc.write_archive([rec] * 30)
+    assert len(list(warc.read_archive(blob))) == 30
+    for cut in (blob[:-3], blob[:20], blob + b"abc"):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(cut))
+
+
+def test_compressed_dictionary_frame():
+    import struct
+
+    import zstandard
+
+    rec = warc.to_bytes(warc.Record(1, None, b"hello" * 20, 100, warc.base32_sha1(b"hello" * 20), "response", None))
+    words = b"WARC/1.1 WARC-Type: response hello hello Content-Length" * 9
+    packed = zstandard.ZstdCompressor().compress(words)
+    frame = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words)).compress(rec)
+    blob = struct.pack("<II", warc.DICTIONARY_MAGIC, len(packed)) + packed + frame + struct.pack("<II", 0x184D2A51, 3) + b"abc" + frame
+    assert [r.page_id for r in warc.read_archive(blob)] == [1, 1]
