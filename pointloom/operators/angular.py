@@ -95,8 +95,8 @@ def band(range_m: Column) -> Column:
 
 def evidence_table(points: DataFrame, kinds: list[str], marks: DataFrame | None = None) -> DataFrame:
     """Every frame x kind x range band, with the points seen there and what was marked by hand."""
-    spark = points.sparkSession
-    dims = points.select("frame_index").distinct().join(F.broadcast(spark.createDataFrame([(k, b) for k in kinds for b in range(len(BANDS_M))], "kind string, band int")))
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(b).alias("band")) for k in kinds for b in range(len(BANDS_M))])
+    dims = points.select("frame_index").distinct().select("frame_index", F.explode(every).alias("d")).select("frame_index", "d.*")
     seen = points.groupBy("frame_index", "kind", band(F.col("range_m")).alias("band")).agg(F.count("*").alias("points"))
     out = dims.join(seen, ["frame_index", "kind", "band"], "left").fillna(0, ["points"])
     if marks is None:

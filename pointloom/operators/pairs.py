@@ -133,3 +133,39 @@ def scores(sections: DataFrame, residual: DataFrame, assumed: DataFrame, cfg: Pa
     p = p.withColumn("id", F.struct("a_track", "b_track")).join(rival, ["frame_index", "id"], "left").drop("id").fillna(0, ["shared_with"])
     lowered = (F.col("kind") == "consistent") & (F.col("closest") <= cfg.rival_score)
     return p.withColumn("kind", F.when(lowered, "ambiguous").otherwise(F.col("kind"))).drop("closest")
+
+
+def shifted(rows: DataFrame, shift_l: float, yaw: float) -> DataFrame:
+    """Points (s, l) as a sensor sees them that is moved by ``shift_l`` and turned by ``yaw``."""
+    import math
+
+    c, k = math.cos(yaw), math.sin(yaw)
+    moved = F.col("l") - shift_l
+    return rows.withColumns({"s": F.col("s") * c + moved * k, "l": -F.col("s") * k + moved * c})
+
+
+def same_place_cut(left: DataFrame, right: DataFrame, stations: list[float]) -> DataFrame:
+    """Lateral separation of two polylines (frame_index, s, l) at stations, by linear interpolation inside both."""
+    def at(df: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy("frame_index").orderBy("s")
+        piece = df.select("frame_index", "s", "l", F.lead("s").over(w).alias("s1"), F.lead("l").over(w).alias("l1")).where("s1 is not null")
+        hit = piece.withColumn("station", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in stations]), lambda x: (x >= F.col("s")) & (x <= F.col("s1")))))
+        return hit.groupBy("frame_index", "station").agg(F.min_by(F.col("l") + (F.col("station") - F.col("s")) / (F.col("s1") - F.col("s")) * (F.col("l1") - F.col("l")), "s").alias(name))
+
+    return at(left, "a").join(at(right, "b"), ["frame_index", "station"]).withColumn("delta_l", F.col("b") - F.col("a"))
+
+
+def distance_of_points(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Median distance of corresponding points (ds, dl, dh) of two lines across their common heading.
+
+    The heading is the least-squares slope of the midpoints (s, mid_l).
+    """
+    k = rows.groupBy(*keys).agg(F.coalesce(F.regr_slope("mid_l", "s"), F.lit(0.0)).alias("k"))
+    d = F.abs(F.col("dl") - F.col("k") * F.col("ds")) / F.sqrt(1 + F.col("k") * F.col("k"))
+    return rows.join(k, keys).withColumn("d", F.sqrt(d * d + F.col("dh") * F.col("dh"))).groupBy(*keys).agg(F.median("d").alias("distance_m"), F.count("*").alias("points"))
+
+
+def feature_table(sections: DataFrame) -> DataFrame:
+    """Features of each pair side by side, as arrays over its stations."""
+    by = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("s_center", F.col(c).alias("v")))), lambda x: x.v)
+    return sections.groupBy("frame_index", "a_track", "b_track").agg(*[by(c).alias(c) for c in ("s_center", "distance_m", "a_l_median", "b_l_median", "a_width_m", "b_width_m", "a_groups", "b_groups")])

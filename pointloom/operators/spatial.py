@@ -94,3 +94,10 @@ def cell_components(df: DataFrame, gap_m: float = DETECTOR.cell_gap_m) -> DataFr
     links = moved.join(cells.withColumnRenamed("first", "b"), ["frame_index", "ci", "cj", "ck"]).select(code("a").alias("a"), code("b").alias("b"))
     done = connected_components(cells.withColumn("__node", code("first")), "__node", links, "a", "b").select("frame_index", "ci", "cj", "ck", F.pmod("component_id", F.lit(1 << 32)).alias("label"))
     return rows.join(done, ["frame_index", "ci", "cj", "ck"]).drop("ci", "cj", "ck")
+
+
+def split_components(df: DataFrame, split_m: float = DETECTOR.far_range_m, near_m: float = DETECTOR.link_m, far_m: float = DETECTOR.far_link_m) -> DataFrame:
+    """Near and far points in components of their own, never linked across the border."""
+    r = F.sqrt(F.col("s") ** 2 + F.col("l") ** 2 + F.col("h") ** 2)
+    near = components(df.where(r < split_m).withColumn("radius", F.lit(near_m)))
+    return near.unionByName(components(df.where(r >= split_m).withColumn("radius", F.lit(far_m))))

@@ -303,6 +303,14 @@ def midpoint_lines(spark, sf_dir):
     return rounded(pairs.median_slope_line(rows, ["frame_index", "a_track", "b_track"], "s_center", "mid_l"))
 
 
+@query(f"with {_SIDES}, dk as (select *, abs((al - lag(al) over w) / (s_center - lag(s_center) over w) - (bl - lag(bl) over w) / (s_center - lag(s_center) over w)) as dk from ag window w as (partition by frame_index order by s_center)), wd as (select frame_index, s_center, max(width_m) as width from sd group by all), p as (select d.frame_index, count(*) as n, median(dk) as dk, max(distance_m) - min(distance_m) as span, median(bh - ah) as dh, max(width) as width, median(distance_m) as distance_m from dk d join wd using (frame_index, s_center) group by d.frame_index having count(*) >= 2), q as (select *, least(1, n / 3.0e0) as support, coalesce(1 - least(1, dk / 0.08e0), 1) as direction, 1 - least(1, span / 0.25e0) as stability, 1 - least(1, abs(dh) / 0.05e0) as height, case when width <= 0.6e0 then 1.0e0 else 0.4e0 end as narrow from p) select frame_index, round(least(support, direction, stability, height, narrow), 6) as score, coalesce(dk, 0) > 0.02e0 or span > 0.25e0 as inconsistent, case when coalesce(dk, 0) > 0.02e0 or span > 0.25e0 or least(support, direction, stability, height, narrow) < 0.35e0 then 'insufficient' when least(support, direction, stability, height, narrow) >= 0.6e0 and support >= 1 and direction >= 0.5e0 and stability >= 0.5e0 and height >= 0.5e0 and narrow >= 1 then 'consistent' else 'ambiguous' end as kind from q")
+def pair_kinds(spark, sf_dir):
+    sides, sec = _side_sections(spark, sf_dir)
+    residual = sides.select("frame_index").distinct().withColumn("p95_m", F.lit(0.05))
+    none = pairs.assumed_sections(sides).where("false")
+    return rounded(pairs.scores(sec, residual, none).select("frame_index", "score", "inconsistent", "kind"))
+
+
 @query()
 def pair_scores(spark, sf_dir):
     sides, sec = _side_sections(spark, sf_dir)
@@ -310,14 +318,14 @@ def pair_scores(spark, sf_dir):
     return rounded(pairs.scores(sec, residual, pairs.assumed_sections(sides)))
 
 
-@query()
+@query(f"with {_SIDES}, k as (select a.frame_index, median((b.mid_l - a.mid_l) / (b.s_center - a.s_center)) as k from ag a join ag b on a.frame_index = b.frame_index and b.s_center > a.s_center group by a.frame_index), b as (select frame_index, k, s_center, mid_l, median(mid_l - k * s_center) over (partition by frame_index) as b from ag join k using (frame_index)), l as (select frame_index, any_value(k) as k, any_value(b.b) as b, count(*) >= 3 and quantile_cont(abs(mid_l - b.b - k * s_center), 0.95) <= 0.08e0 as straight, min(s_center) as lo, max(s_center) as hi, arg_min(mid_l, abs(s_center - 15) * 100 + s_center / 100) as near_l, min(abs(s_center - 15)) as off from b group by frame_index), g as (select *, greatest(lo - 15, 15 - hi, 0) as gap from l) select frame_index, 0 as a_track, 1 as b_track, case when off < 1e-6 then 'observed' when gap = 0 then 'inside' when gap <= 5 then 'extrapolated' else 'too_far' end as support, round(case when off < 1e-6 then near_l when straight and gap <= 5 then b + k * 15 else near_l end, 6) as pose_l_m from g")
 def pair_poses(spark, sf_dir):
     keys = ["frame_index", "a_track", "b_track"]
     rows = pairs.agreeing(_side_sections(spark, sf_dir)[1])
     return rounded(pairs.pose_at_reference(rows, pairs.median_slope_line(rows, keys, "s_center", "mid_l"), keys))
 
 
-@query()
+@query(f"with {_SIDES}, k as (select frame_index, track, s_center, l_median from sd where not (track = 0 and s_center = 15)), sp as (select frame_index, greatest(min(s_center) filter (track = 0), min(s_center) filter (track = 1)) as lo, least(max(s_center) filter (track = 0), max(s_center) filter (track = 1)) as hi from k group by all), f as (select coalesce(a.frame_index, b.frame_index) as frame_index, coalesce(a.s_center, b.s_center) as s_center, a.l_median as al, b.l_median as bl from (select * from k where track = 0) a full join (select * from k where track = 1) b on a.frame_index = b.frame_index and a.s_center = b.s_center), m as (select *, median(bl - al) over (partition by frame_index) as sep from f) select m.frame_index, 0 as a_track, 1 as b_track, s_center, round(coalesce(al, bl - sep), 6) as a_l_m, round(coalesce(bl, al + sep), 6) as b_l_m, case when al is null then 'a' else 'b' end as assumed from m join sp using (frame_index) where (al is null or bl is null) and s_center between lo and hi")
 def assumed_sections(spark, sf_dir):
     return rounded(pairs.assumed_sections(_sides(spark, sf_dir).where("not (track = 0 and s_center = 15)")))
 
@@ -338,6 +346,11 @@ def corridor_relations(spark, sf_dir):
     return rounded(corridor.classify(pts, corridor.segments(v), v))
 
 
+@query(f"with {_SIDES}, dk as (select *, abs((al - lag(al) over w) / (s_center - lag(s_center) over w) - (bl - lag(bl) over w) / (s_center - lag(s_center) over w)) as dk from ag window w as (partition by frame_index order by s_center)), p as (select frame_index, arg_min(mid_l, s_center) as offset_m, arg_min(heading, s_center) as first_heading, arg_max(heading, s_center) as last_heading, count(*) as sections from dk group by frame_index) select frame_index, 0 as a_track, 1 as b_track, round(offset_m, 6) as offset_m, round(first_heading, 6) as first_heading, round(last_heading, 6) as last_heading, sections, round(abs(last_heading - first_heading), 6) as heading_change, abs(last_heading - first_heading) > 0.15e0 + 1e-9 as changing from p")
+def axis_changes(spark, sf_dir):
+    return rounded(rule.axis_compatibility(pairs.agreeing(_side_sections(spark, sf_dir)[1])))
+
+
 @query()
 def axis_compatibility(spark, sf_dir):
     sides, sec = _side_sections(spark, sf_dir)
@@ -472,7 +485,7 @@ def angular_raster(spark, sf_dir):
     return rounded(angular.raster(angular.grid(records(spark, sf_dir))))
 
 
-@query()
+@query(f"with {_GRID}, e as (select frame_index, range_m * sqrt(power(radians(az - ((col + 0.5) * 0.2e0 - 180.0)) * cos(radians(el)), 2) + power(radians(el - (floor(min(el) over (partition by frame_index) / 0.2e0) * 0.2e0 + (row + 0.5) * 0.2e0)), 2)) as err from gd) select frame_index, round(quantile_cont(err, 0.5), 6) as p50_m, round(quantile_cont(err, 0.95), 6) as p95_m, round(max(err), 6) as max_m from e group by frame_index")
 def angular_error(spark, sf_dir):
     return rounded(angular.quantisation(angular.grid(records(spark, sf_dir))))
 
@@ -565,7 +578,7 @@ def run_identity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", scalars.identity("user_id", "event_id", "event_type").alias("identity"))
 
 
-@query()
+@query("with k as (select *, event_id // 20 as sequence, row_number() over (partition by event_id // 20 order by event_id desc) as r, count(*) over (partition by event_id // 20) - 1 as dropped from events), b as (select *, coalesce(cast(ts < lag(ts) over (order by event_id) as int), 0) as back from k where r = 1), s as (select *, sum(back) over (order by event_id rows unbounded preceding) as session_id from b) select session_id::bigint as session_id, sequence, event_id, dropped from s")
 def stream_journal(spark, sf_dir):
     return replay.journal_of(table(spark, sf_dir, "events"))
 

@@ -77,3 +77,15 @@ def manifest(path: str, **fields) -> None:
     """The description of a run, written once."""
     with open(path, "x", encoding="utf-8") as f:
         json.dump(fields, f, sort_keys=True, indent=1)
+
+
+def inventory(spark: SparkSession, root: str, roles: DataFrame) -> DataFrame:
+    """Recordings under a folder, by their descriptions, with their split."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "metadata.yaml").option("recursiveFileLookup", "true").load(root)
+    return with_roles(found.select(F.element_at(F.split("path", "/"), -2).alias("run"), F.regexp_replace("path", "/metadata.yaml$", "").alias("folder")).distinct(), roles)
+
+
+def search_gate(frames: DataFrame, gate: str) -> DataFrame:
+    """Frames that a search looks at: all, those with a decision that isn't a failure, or those with candidates."""
+    rules = {"none": "true", "decided": "decision not in ('processing_timeout', 'processing_error', 'insufficient_geometry')", "candidates": "candidates > 0"}
+    return frames.where(rules[gate])
