@@ -12,11 +12,14 @@ from ..session import table
 
 #: Rows of one Arrow batch: whole texts are passed on, so a batch stays small even where they are long.
 BATCH_ROWS = 1000
+#: Bytes of one Arrow batch where Spark can bound them.
+BATCH_BYTES = 32 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the Arrow batches that text operators exchange with Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

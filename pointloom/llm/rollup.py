@@ -105,7 +105,7 @@ def corpus_totals(docs: DataFrame, store: Rollup) -> DataFrame:
     counts = materialise(body.select("doc_id", "source", "lang", count(DRAFT).alias("draft"), count(WORDS_1).alias("words1"), count(WORDS_2).alias("words2"), F.octet_length("body").cast("long").alias("bytes"), F.sha2(F.col("body").cast("binary"), 256).alias("digest")), "token-counts")
     rows = lambda op, tokenizer, col: counts.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(col).alias("tokens"), F.lit(0).alias("at"))
     copies = counts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    deleted = counts.join(copies, "digest").where("doc_id <> first").select("doc_id", "source", "lang").crossJoin(F.broadcast(docs.sparkSession.createDataFrame([("words/1",), ("words/2",), ("bytes/1",)], "tokenizer string")))
+    deleted = counts.join(copies, "digest").where("doc_id <> first").select("doc_id", "source", "lang", F.explode(F.array(*map(F.lit, ("words/1", "words/2", "bytes/1")))).alias("tokenizer"))
     steps = [
         ("load", rows("insert", "words/1", "draft").unionByName(rows("insert", "bytes/1", "bytes"))),
         ("recount", rows("revise", "words/1", "words1").unionByName(rows("insert", "words/2", "words2"))),
