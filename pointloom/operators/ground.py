@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import statistics
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import GROUND, Ground
@@ -44,6 +47,7 @@ def height_modes(df: DataFrame, cfg: Ground = GROUND) -> DataFrame:
 
 
 TRACKS = "frame_index long, track int, role string, ambiguous boolean, segment int, s_lo double, s_hi double, h double, groups long, l_min double, l_max double, h_median double, n_segments int"
+_TRACK_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
 
 
 def link_modes(modes: DataFrame, cfg: Ground = GROUND) -> DataFrame:
@@ -53,35 +57,35 @@ def link_modes(modes: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     of thirteen segments.
     """
     reach = 2.5 * cfg.segment_m
+    names = [c.split()[0] for c in TRACKS.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        by: dict[int, list[dict]] = {}
+        for m in sorted(table.to_pylist(), key=lambda m: (m["segment"], m["h"])):
+            m["mid"] = (m["s_lo"] + m["s_hi"]) / 2
+            by.setdefault(m["segment"], []).append(m)
         tracks: list[list[dict]] = []
-        for _, part in pdf.sort_values(["segment", "h"]).groupby("segment"):
-            free = part.to_dict("records")
+        for free in by.values():
             for t in tracks:
-                mid = lambda m: (m["s_lo"] + m["s_hi"]) / 2
-                fit = [(abs(m["h"] - t[-1]["h"]), k) for k, m in enumerate(free) if 0 < mid(m) - mid(t[-1]) <= reach and abs(m["h"] - t[-1]["h"]) <= cfg.continuity_m]
+                fit = [(abs(m["h"] - t[-1]["h"]), k) for k, m in enumerate(free) if 0 < m["mid"] - t[-1]["mid"] <= reach and abs(m["h"] - t[-1]["h"]) <= cfg.continuity_m]
                 if fit:
                     t.append(free.pop(min(fit)[1]))
             tracks += [[m] for m in free]
-        ready = sorted((t for t in tracks if len(t) >= 4), key=lambda t: np.median([m["h"] for m in t]))
+        ready = sorted(((statistics.median(m["h"] for m in t), t) for t in tracks if len(t) >= 4), key=lambda x: x[0])
         rows = []
-        for k, t in enumerate(ready):
-            med = float(np.median([m["h"] for m in t]))
-            low = float(np.median([m["h"] for m in ready[0]]))
-            role = "ground" if k == 0 else "higher_surface" if med - low > 0.8 else "nearby_surface"
-            close = k == 0 and any(abs(np.median([m["h"] for m in o]) - med) <= 0.25 for o in ready[1:])
-            rows += [(m["frame_index"], k, role, close, m["segment"], m["s_lo"], m["s_hi"], m["h"], m["groups"], m["l_min"], m["l_max"], med, len(t)) for m in t]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACKS.split(", ")])
+        for k, (med, t) in enumerate(ready):
+            role = "ground" if k == 0 else "higher_surface" if med - ready[0][0] > 0.8 else "nearby_surface"
+            close = k == 0 and any(abs(o - med) <= 0.25 for o, _ in ready[1:])
+            rows += [{**m, "track": k, "role": role, "ambiguous": close, "h_median": med, "n_segments": len(t)} for m in t]
+        return pa.table({n: pa.array([r[n] for r in rows], t) for n, t in zip(names, _TRACK_TYPES, strict=True)})
 
-    return modes.groupBy("frame_index").applyInPandas(run, TRACKS)
+    return modes.groupBy("frame_index").applyInArrow(run, TRACKS)
 
 
-def local_lines(df: DataFrame, ground: DataFrame, cfg: Ground = GROUND) -> DataFrame:
-    """A line h = intercept + slope * l in each ground segment, and its residuals.
+def band_rows(df: DataFrame, ground: DataFrame, cfg: Ground = GROUND) -> DataFrame:
+    """Rows within two bins of the ground's mode in their segment; ``keep``: used by the line of the segment.
 
-    Rows within two bins of the mode are trimmed at three scaled median deviations (0.08 m at
-    least); under eight rows the line is flat at the median.
+    Rows are trimmed at three scaled median deviations (0.08 m at least), unless under eight would stay.
     """
     key = ["frame_index", "segment"]
     modes = ground.where("role = 'ground'").select(*key, "s_lo", "s_hi", F.col("h").alias("h_mode"))
@@ -90,7 +94,15 @@ def local_lines(df: DataFrame, ground: DataFrame, cfg: Ground = GROUND) -> DataF
     rows = rows.withColumns({"n": F.count("*").over(w), "med": F.median("h").over(w)})
     rows = rows.withColumn("limit", F.greatest(3.0 * 1.4826 * F.median(F.abs(F.col("h") - F.col("med"))).over(w), F.lit(0.08)))
     rows = rows.withColumn("near", F.abs(F.col("h") - F.col("med")) <= F.col("limit"))
-    rows = rows.withColumn("keep", (F.col("n") >= 8) & (F.col("near") | (F.count_if("near").over(w) < 8)))
+    return rows.withColumn("keep", (F.col("n") >= 8) & (F.col("near") | (F.count_if("near").over(w) < 8))).select(*key, "s_lo", "s_hi", "l", "h", "med", "keep")
+
+
+def local_lines(rows: DataFrame) -> DataFrame:
+    """A line h = intercept + slope * l in each ground segment from ``band_rows``, and its residuals over all of them.
+
+    Under eight rows the line is flat at the median.
+    """
+    key = ["frame_index", "segment"]
     k = lambda c: F.when(F.col("keep"), F.col(c))
     fit = rows.groupBy(*key, "s_lo", "s_hi").agg(F.count("*").alias("groups"), F.min("l").alias("l_min"), F.max("l").alias("l_max"), F.first("med").alias("med"), F.regr_slope(k("h"), k("l")).alias("k"), F.regr_intercept(k("h"), k("l")).alias("b"))
     fit = fit.select(*key, "s_lo", "s_hi", "groups", "l_min", "l_max", F.coalesce("b", "med").alias("intercept"), F.when(F.col("b").isNull(), 0.0).otherwise(F.col("k")).alias("slope_dh_dl"))
@@ -99,17 +111,10 @@ def local_lines(df: DataFrame, ground: DataFrame, cfg: Ground = GROUND) -> DataF
     return fit.join(spread, key)
 
 
-def fitting_residual(df: DataFrame, lines: DataFrame, ground: DataFrame, cfg: Ground = GROUND) -> DataFrame:
-    """Pooled residuals of a frame: the band that the surface filter uses. Trimmed rows don't count."""
-    key = ["frame_index", "segment"]
-    modes = ground.where("role = 'ground'").select(*key, F.col("h").alias("h_mode"))
-    w = Window.partitionBy(*key)
-    rows = df.withColumn("segment", segment_of("s", cfg)).join(modes, key).where(F.abs(F.col("h") - F.col("h_mode")) <= 2 * cfg.height_bin_m)
-    rows = rows.withColumns({"n": F.count("*").over(w), "med": F.median("h").over(w)})
-    rows = rows.withColumn("near", F.abs(F.col("h") - F.col("med")) <= F.greatest(3.0 * 1.4826 * F.median(F.abs(F.col("h") - F.col("med"))).over(w), F.lit(0.08)))
-    rows = rows.where((F.col("n") >= 8)).withColumn("kept", F.count_if("near").over(w)).where("near or kept < 8")
+def fitting_residual(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pooled residuals of a frame's kept rows: the band that the surface filter uses."""
     r = F.abs(F.col("h") - F.col("intercept") - F.col("slope_dh_dl") * F.col("l"))
-    return rows.join(lines.select(*key, "intercept", "slope_dh_dl"), key).groupBy("frame_index").agg(F.percentile(r, F.lit(0.5)).alias("p50_m"), F.percentile(r, F.lit(0.95)).alias("p95_m"), F.count("*").alias("groups"))
+    return rows.where("keep").join(lines.select("frame_index", "segment", "intercept", "slope_dh_dl"), ["frame_index", "segment"]).groupBy("frame_index").agg(F.percentile(r, F.lit(0.5)).alias("p50_m"), F.percentile(r, F.lit(0.95)).alias("p95_m"), F.count("*").alias("groups"))
 
 
 def above_ground(df: DataFrame, lines: DataFrame, cfg: Ground = GROUND) -> DataFrame:

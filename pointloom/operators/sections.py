@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import statistics
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import GROUND, Ground
@@ -82,6 +83,7 @@ def wide_profile(rows: DataFrame, cfg: Ground = GROUND) -> DataFrame:
 
 
 FRAGMENTS = "frame_index long, track int, s_center double, l_median double, h_median double, dh_median double, width_m double, groups long, sections int, missed int"
+_FRAGMENT_TYPES = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
 
 
 def link_clusters(found: DataFrame, mode: str = "robust", cfg: Ground = GROUND, min_sections: int | None = None) -> DataFrame:
@@ -104,14 +106,17 @@ def link_clusters(found: DataFrame, mode: str = "robust", cfg: Ground = GROUND,
         if mode == "robust" and len(line) < cfg.forecast_min_sections:
             return last["l_median"], cfg.init_max_abs_dl_ds * (s - last["s_center"])
         slopes = [(b["l_median"] - a["l_median"]) / (b["s_center"] - a["s_center"]) for i, a in enumerate(tail) for b in tail[i + 1 :]]
-        k = float(np.median(slopes))
-        return float(np.median([p["l_median"] - k * p["s_center"] for p in tail])) + k * s, 0.0
+        k = float(statistics.median(slopes))
+        return float(statistics.median([p["l_median"] - k * p["s_center"] for p in tail])) + k * s, 0.0
+
+    names = [c.split()[0] for c in FRAGMENTS.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         lines: list[list[dict]] = []
+        every = table.to_pylist()
         stations = sorted(cfg.section_s_m)
         for at, s in enumerate(stations):
-            here = sorted(pdf[pdf.s_center == s].to_dict("records"), key=lambda c: (c["l_median"], c["h_median"], c["groups"]))
+            here = sorted((c for c in every if c["s_center"] == s), key=lambda c: (c["l_median"], c["h_median"], c["groups"]))
             proposals = []
             for n, line in enumerate(lines):
                 missed = at - stations.index(line[-1]["s_center"]) - 1
@@ -138,15 +143,15 @@ def link_clusters(found: DataFrame, mode: str = "robust", cfg: Ground = GROUND,
                 if not branch:
                     lines[n] = [*lines[n], here[c]]
             lines += fresh + [[here[c]] for c in range(len(here)) if c not in taken]
-        done = sorted((x for x in lines if len(x) >= need), key=lambda x: (np.median([p["l_median"] for p in x]), x[0]["s_center"], len(x)))
+        done = sorted((x for x in lines if len(x) >= need), key=lambda x: (statistics.median([p["l_median"] for p in x]), x[0]["s_center"], len(x)))
         rows = []
         for t, line in enumerate(done):
             span = stations.index(line[-1]["s_center"]) - stations.index(line[0]["s_center"]) + 1
             rows += [(p["frame_index"], t, p["s_center"], p["l_median"], p["h_median"], p["dh_median"], p["width_m"], p["groups"], len(line), span - len(line)) for p in line]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FRAGMENTS.split(", ")])
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, _FRAGMENT_TYPES, strict=True))})
 
     cols = ["frame_index", "s_center", "l_median", "h_median", "dh_median", "width_m", "groups"]
-    return found.where("fate = 'kept'").select(*cols).groupBy("frame_index").applyInPandas(run, FRAGMENTS)
+    return found.where("fate = 'kept'").select(*cols).groupBy("frame_index").applyInArrow(run, FRAGMENTS)
 
 
 def broken_hops(found: DataFrame, cfg: Ground = GROUND) -> DataFrame:

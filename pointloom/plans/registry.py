@@ -46,10 +46,11 @@ def rounded(df, digits: int = 6):
 
 def surface(spark, sf_dir):
     """Points, ground surfaces, local lines and the pooled residual."""
-    pts = points(spark, sf_dir)
+    pts = materialise(points(spark, sf_dir).repartition("frame_index"), "points")
     tracks = materialise(ground.link_modes(ground.height_modes(ground.in_region(pts), SPARSE), SPARSE), "tracks")
-    lines = materialise(ground.local_lines(pts, tracks, SPARSE), "lines")
-    return pts, tracks, lines, ground.fitting_residual(pts, lines, tracks, SPARSE)
+    band = materialise(ground.band_rows(pts, tracks, SPARSE), "band")
+    lines = materialise(ground.local_lines(band), "lines")
+    return pts, tracks, lines, ground.fitting_residual(band, lines)
 
 
 def cross_sections(spark, sf_dir):
@@ -437,9 +438,9 @@ def slice_decisions(spark, sf_dir):
 @query()
 def frame_decisions(spark, sf_dir):
     """The flagship: from records to one decision for each frame."""
-    tracks, _, cands = found_candidates(spark, sf_dir)
+    tracks, marks, cands = found_candidates(spark, sf_dir)
     have = tracks.where("role = 'ground'").select("frame_index").distinct().withColumn("ground_found", F.lit(True))
-    frames = points(spark, sf_dir).select("frame_index").distinct().join(have, "frame_index", "left").fillna(False, ["ground_found"])
+    frames = marks.select("frame_index").distinct().join(have, "frame_index", "left").fillna(False, ["ground_found"])
     frames = frames.select("frame_index", F.when(F.col("ground_found"), "ok").otherwise("insufficient_geometry").alias("status"), F.lit("configured_straight").alias("corridor_source"), F.lit(True).alias("profile_applicable"), "ground_found")
     return rounded(rule.decide(frames, rule.with_evidence(cands)).select("frame_index", "status", "candidates", "intrusions", "nearest_intrusion_m", "decision"))
 

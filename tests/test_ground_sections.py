@@ -24,7 +24,7 @@ def surfaces():
 def fitted(spark):
     df = cloud(spark, surfaces()).cache()
     tracks = ground.link_modes(ground.height_modes(ground.in_region(df))).cache()
-    return df, tracks, ground.local_lines(df, tracks).cache()
+    return df, tracks, ground.local_lines(ground.band_rows(df, tracks)).cache()
 
 
 def test_larger_ceiling_does_not_beat_the_floor(fitted):
@@ -45,7 +45,7 @@ def test_lines_heights_and_plane(fitted):
     assert [(r.dh, r.supported) for r in out] == [(None, False), (None, False)]  # 30 falls out of every half-open segment
     plane = ground.summary_plane(df.where("h < 0 and h > -2")).first()
     assert plane.tilt_deg < 0.5 and abs(plane.c + 1.0) < 0.02
-    assert ground.fitting_residual(df, lines, tracks).first().p95_m < 0.03
+    assert ground.fitting_residual(ground.band_rows(df, tracks), lines).first().p95_m < 0.03
 
 
 def test_islands_split_at_gaps_and_reject(spark):
