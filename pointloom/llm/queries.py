@@ -55,6 +55,19 @@ def op10_toxicity_ftrl(spark, sf_dir):
     return toxicity.predictions(documents(spark, sf_dir, "doc_id", "text"), labels)
 
 
+#: All pairs; the query reaches the same links where its recall is one, as on the driver's tables.
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0
+),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+n AS (SELECT a, count(DISTINCT b) AS n FROM p GROUP BY a),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body)::BIGINT AS n, sha1(body) AS h FROM p),
@@ -79,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_token_rollups": rollup.ORACLE_SQL, "op8_warc_round_trip": OP8_SQL}
+    return {"op4_token_rollups": rollup.ORACLE_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_warc_round_trip": OP8_SQL}
