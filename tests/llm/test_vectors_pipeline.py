@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pointloom.llm import multi_index
+from pointloom.llm import minhash, multi_index
 
 V = "vec_id long, embedding array<float>, vec string"
 
@@ -76,3 +76,27 @@ def test_pipeline(spark, tmp_path):
     clean = {k for k in range(60) if k % 3 != 1} | {63, 64}  # of the empty texts the first stays
     assert set(got) == clean and all(x.round_trip for x in got.values())
     assert got[64].n_tokens == 0
+
+
+def test_near_duplicate_stage_links_by_shingle_similarity(spark, tmp_path):
+    r = np.random.default_rng(4)
+    base = [words(r, 100).split() for _ in range(30)]
+    texts = [" ".join(b) for b in base]
+    for k, b in enumerate(base):  # k % 3: one word, two words, or half of the words replaced: similarity 0.90, 0.81 at least, 0.3 or less
+        copy = list(b)
+        for at in ([50], [30, 60], range(0, 100, 2))[k % 3]:
+            copy[at] = "other"
+        texts.append("  ".join(copy).upper())
+    texts += [texts[0], "one two", "ONE  two", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()}
+    assert kept == set(range(30)) | {30 + k for k in range(30) if k % 3 == 2} | {61, 63}
+
+
+def test_members_that_fail_the_smallest_class_still_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "bands", lambda s: np.zeros(min(len(s), 1), dtype=np.int64))  # all share one band
+    r = np.random.default_rng(5)
+    base = [words(r, 100).split() for _ in range(20)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:50], "other", *b[51:]]) for b in base]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()} == {k: k % 20 for k in range(40)}
