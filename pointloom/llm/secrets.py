@@ -10,7 +10,7 @@ decoded, and it is reported when what comes out has the structure of a secret:
   BEGIN/END block, in base64 or in hex;
 * ``nested``: base64 or hex of printable text that itself holds an assignment, an access key or a key block.
 
-Texts without a chunk of 20 characters free of white space and without a keyword
+Texts without a chunk of 16 characters free of white space and without a keyword
 cannot match anything, which a cheap test tells.
 
 Defined results: a null or empty text has no spans; offsets count code points, ends
@@ -39,9 +39,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Shortest candidate that can hold a key or a token.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}")
-ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Za-z])")
+#: Shortest candidates that can hold a secret: the 12 bytes of "token=" and six characters.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![0-9A-Za-z])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 BLOCK = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
 
@@ -170,7 +170,7 @@ def find(text: str) -> tuple[list, list]:
     """Base spans and all spans as (start, kind, end), each sorted."""
     longest = max(map(len, text.split()), default=0)
     base = base_spans(text, longest >= 20)
-    more = confirmed_spans(text) if longest >= 32 or "-----BEGIN" in text else []
+    more = confirmed_spans(text) if longest >= 16 or "-----BEGIN" in text else []
     return sorted(base), sorted(base + more)
 
 
