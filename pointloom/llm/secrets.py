@@ -40,10 +40,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Shortest candidates that can hold a secret: the 12 bytes of "token=" and six characters.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![0-9A-Za-z])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-BLOCK = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+#: A key block; in a string literal its line ends, tabs and slashes may be escaped.
+BLOCK = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----")
+ESCAPED = re.compile(r"\\+([nrt/])")
+PLAIN = {"n": "\n", "r": "\r", "t": "\t", "/": "/"}
 
 
 def unbase64(run: str) -> bytes | None:
@@ -145,18 +148,20 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what decodes to a secret."""
     out = []
     for m in BLOCK.finditer(text):
-        body = "".join(x for x in m[2].split("\n") if ":" not in x)
+        lines = ESCAPED.sub(lambda e: PLAIN[e[1]], m[2])
+        body = "".join(x for x in lines.split("\n") if ":" not in x)
         raw = unbase64(re.sub(r"\s", "", body)) if body.strip() else None
         if raw and (is_key(raw) or "Proc-Type" in m[2]):
             out.append((m.start(), 4, m.end()))
     if "." in text:
         out += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if m[1].startswith("e") and is_token(m[1], m[2], m[3])]
     for m in RUN.finditer(text):
-        raw = unbase64(m[0])
+        start = m.start() + (text[max(0, m.start() - 1)] == "\\" and m[0][0] in "nrt")  # the letter of an escape is no part of the run
+        raw = unbase64(text[start : m.end()])
         if raw and is_key(raw):
-            out.append((m.start(), 4, m.end()))
+            out.append((start, 4, m.end()))
         elif raw and holds_secret(raw):
-            out.append((m.start(), 5, m.end()))
+            out.append((start, 5, m.end()))
     for m in ANY_HEX.finditer(text):
         raw = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else b""
         if is_key(raw):

@@ -257,6 +257,20 @@ def test_short_secrets_are_decoded():
     assert more("see " + base64.b64encode(b"nothing to hide").decode() + " internationalisation") == []
 
 
+def test_keys_after_equals_signs_and_with_escaped_lines():
+    key = der(0x30, b"".join(der(2, b) for b in [b"\0", b"\x00" + bytes(range(1, 65)), b"\1\0\1", *(bytes(range(k, k + 32)) for k in range(1, 7))]))
+    run = base64.b64encode(key).decode()
+    more = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.find(t)[1] if (a, k, b) not in secrets.find(t)[0]]
+    for before, after in (("PRIVATE_KEY=", ""), ("https://x.org/?k=", "&b=2"), ("A_VERY_LONG_NAME_OF_A_KEY=", " x"), ("key: ", ""), ("lines\\n", "\\n")):
+        assert more(before + run + after) == [("key", run)]
+    lines = [run[k : k + 64] for k in range(0, len(run), 64)]
+    for end in ("\n", "\\n", "\\r\\n", "\\\\n"):
+        block = end.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"])
+        assert ("key", block) in more('{"private_key": "%s"}' % block)
+    escaped = json.dumps("\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])).replace("/", "\\/")
+    assert [k for k, _ in more(escaped)] == ["key"]
+
+
 def test_secret_scan_and_redaction(spark):
     texts = [*TEXTS, 'é token = "abcdef123456" then ' + b64(PKCS8), None]
     got = {x.doc_id: x for x in secrets.scan(docs(spark, texts)).collect()}
