@@ -78,6 +78,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 DIGIT = re.compile(r"[0-9]")
+#: Bracketed words of spelt mail addresses, in lower-case text.
+AT, DOT = (re.compile(rf"[(\[{{]\x20?{w}\x20?[)\]}}]") for w in ("at", "dot"))
 #: High-recall generators, by the kind that they propose.
 GENERATORS = (
     (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,63}){1,4}", re.I)),
@@ -125,12 +127,11 @@ def describe(text: str, start: int, kind: int, end: int) -> list[float]:
 def proposals(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of all generators that touch no base span; they may overlap each other."""
     has_digit = bool(DIGIT.search(text))
-    low = None
     out = []
     for kind, pattern in GENERATORS:
         if kind == 0:
             low = text.lower()
-            if not ("@" in text or any(x in low for x in ("(at)", "[at]", "{at}", "( at ", "[ at ", "{ at ")) or " at " in low and " dot " in low):
+            if not ("@" in text or AT.search(low) or " at " in low and (" dot " in low or DOT.search(low))):
                 continue
         elif not has_digit or kind == 1 and ":" not in text:
             continue
@@ -261,8 +262,6 @@ def model() -> Forest:
 def find(text: str, forest: Forest) -> tuple[list, list]:
     """Base spans and all spans, as sorted (start, kind, end)."""
     base = base_spans(text)
-    if not (base or DIGIT.search(text) or " at " in text or "@" in text or "(at)" in text or "[at]" in text):
-        return base, base
     rated = [(forest.odds(describe(text, *c)), c) for c in proposals(text, base)]
     added: list = []
     for s, c in sorted((x for x in rated if x[0] >= forest.threshold[x[1][1]]), key=lambda x: (-x[0], x[1])):

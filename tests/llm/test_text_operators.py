@@ -196,6 +196,15 @@ def test_trees_add_what_patterns_miss_and_leave_look_alikes():
     assert np.mean([(forest.odds(list(r)) > 0) == bool(t) for r, t in zip(x, y)]) > 0.93
 
 
+def test_mail_addresses_need_nothing_else_in_the_text():
+    forest = pii.model()
+    for t in ("john.smith (AT) example (DOT) com", "john.smith {at} example {dot} com", "JOHN AT EXAMPLE DOT COM", "john.smith(At)example(dot)com", "john.smith ( at) example (dot ) com"):
+        alone = f"write to {t}"
+        assert pii.find(alone, forest)[1] == [(9, 0, len(alone))], t
+        assert pii.find(alone + " in 7 days", forest)[1] == [(9, 0, len(alone))], t
+    assert [k for _, k, _ in pii.proposals("ann at example(dot)com", [])] == [0]
+
+
 def test_pii_scan_of_odd_texts(spark):
     got = pii.scan(docs(spark, [*TEXTS, "x@y.zz"])).collect()
     assert len(got) == len(TEXTS) + 1
