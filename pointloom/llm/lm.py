@@ -1,24 +1,22 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a smoothed bigram model in backoff form. Its automaton has a state for
-each frequent word (those that make up at least ``STATE_SHARE`` of the training tokens), for
-the end of a text, and one empty state. A state has an arc for each frequent
-successor (``ARC_SHARE`` of the training tokens at least) with the discounted
-log-probability, and a failure arc to the empty state with its backoff weight; the
-empty state has arcs for all words, with their additively smoothed probability. So the
-probabilities of every state sum to one over the words seen in training and one
-unseen class. Shares bound the automaton: at most 1/STATE_SHARE states and 1/ARC_SHARE
-arcs whatever the corpus, which is why it may be broadcast. The counts of all words,
-which have no such bound, never are: they reach the texts by joins.
+The model is a smoothed bigram model in backoff form. Its automaton has a state for every
+word, the end of a text included, and an arc for every pair of words seen ``ARC_MIN`` times or
+more in training, with the discounted log-probability; where a state has no arc for a word, its
+failure arc leads to the empty state with a backoff weight, and the empty state has arcs
+for all words, with their additively smoothed probability. So the probabilities of every
+state sum to one over the words seen in training and one unseen class. States and arcs grow
+with the corpus and are never in one place: each block of texts gets the counts, arcs and
+sums for the backoff weights of its own words by joins.
 
 1. Texts become sequences of word numbers in blocks of about ``BLOCK_TOKENS`` tokens, each with
    a word list of its own; sequences and lists are written to the shared folder.
 2. One shuffle of the lists by word adds up training counts over the whole corpus and
-   gives every block the counts of its words.
-3. Blocks meet their counts (one shuffle by block): unigram sums are final here, rare words
-   are folded into a sum per text, as they lead to the empty state, and the pairs of frequent
-   words are counted and added up over the corpus.
-4. One left-to-right traversal of each sequence carries the state and adds up log-probabilities.
+   gives every block the counts of its words and their numbers in the corpus.
+3. Blocks deal their distinct pairs, packed, to buckets by pair, which add up the counts and
+   return the arcs; pairs of a word seen less than ``ARC_MIN`` times can't be arcs and stay. The
+   arcs' sums for each first word go to buckets by word and from there to all blocks that have it.
+4. Each block, with all that, reads its texts from left to right and adds up log-probabilities.
 
 Defined results: a null or empty text is one end token; texts without any training text
 (N = 0) score on the unseen class; repeated rows are scored each; null ids belong to the
@@ -28,6 +26,8 @@ empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -37,56 +37,18 @@ from .common import arrow_limits, crc32_text
 
 #: Tokens after which a block of texts is closed.
 BLOCK_TOKENS = 2_500_000
-#: Shares of the training tokens from which on a word is a state and a pair an arc.
-STATE_SHARE, ARC_SHARE = 2e-5, 2e-6
+#: Tokens for each bucket of pairs; there are as many buckets as the corpus needs.
+BUCKET_TOKENS = 2_000_000
+#: Occurrences of a word for each bucket that its pairs are dealt to.
+SPREAD = 200_000
+#: Training occurrences from which on a pair is an arc.
+ARC_MIN = 2
 #: Additive smoothing of words and absolute discount of pairs.
 ADD, DISCOUNT = 0.1, 0.5
-#: The number of the empty state in a sequence; states are numbered below it.
-EMPTY = 0xFFFF
 #: The end token, which no word equals.
 END = b""
 
 
-class Automaton:
-    """States 0..n-1 (0: end of text), arcs as sorted codes ``from << 16 | word``.
-
-    ``word``: log10 probability of each state's word from the empty state; ``back``: weight of
-    its failure arc; ``arc``: weights of the arcs.
-    """
-
-    def __init__(self, counts: np.ndarray, codes: np.ndarray, pairs: np.ndarray, total: int, distinct: int):
-        z = total + ADD * (distinct + 1)
-        p = (counts + ADD) / z
-        order = np.argsort(codes)
-        self.codes, pairs = codes[order].astype(np.int64), pairs[order]
-        start, word = self.codes >> 16, self.codes & 0xFFFF
-        joint = (pairs - DISCOUNT) / counts[start] if len(pairs) else np.zeros(0)
-        kept, seen = np.bincount(start, joint, len(counts)), np.bincount(start, p[word], len(counts))
-        self.word, self.arc = np.log10(p), np.log10(joint)
-        self.back = np.log10((1 - kept) / (1 - seen))
-
-    def traverse(self, seq: np.ndarray) -> float:
-        """log10 probability of a sequence of states, without the word terms of empty states.
-
-        The state after a word is the word's own, so the carried states are the sequence
-        moved by one; it starts in the state of the end of a text.
-        """
-        word = seq.astype(np.int64)
-        state = np.concatenate([[0], word[:-1]])
-        inner = (state != EMPTY) & (word != EMPTY)
-        codes = (state << 16 | word)[inner]
-        at = np.searchsorted(self.codes, codes)
-        hit = np.zeros(len(codes), dtype=bool)
-        if len(self.codes):
-            at = np.minimum(at, len(self.codes) - 1)
-            hit = self.codes[at] == codes
-        fails = state != EMPTY
-        fails[np.flatnonzero(inner)[hit]] = False
-        read = word != EMPTY
-        read[np.flatnonzero(inner)[hit]] = False
-        return float(self.arc[at[hit]].sum() + self.back[state[fails]].sum() + self.word[word[read]].sum())
-
-
 def _blocks(folds: int):
     """Texts to word numbers and word lists, block by block."""
 
@@ -98,7 +60,7 @@ def _blocks(folds: int):
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
         def rows(kind: int, count: int, **given):
-            cols = [pa.array([kind] * count, pa.int32()), pa.array([part << 24 | k] * count, pa.int64())]
+            cols = [pa.array([kind] * count, pa.int32()), pa.array([part << 19 | k] * count, pa.int64())]
             cols += [pa.array(given[n], t) if n in given else pa.nulls(count, t) for n, t in zip(names[2:], kinds[2:], strict=True)]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -113,7 +75,7 @@ def _blocks(folds: int):
                         np.add.at(tally, seq, 1)
             for a in range(0, len(seqs), 1000):
                 part_of = seqs[a : a + 1000]
-                yield rows(0, len(part_of), doc_id=ids[a : a + 1000], held_out=helds[a : a + 1000], n_tokens=[len(s) for s in part_of], seq=[s.tobytes() for s in part_of])
+                yield rows(0, len(part_of), doc_id=ids[a : a + 1000], held_out=helds[a : a + 1000], n_tokens=[len(s) for s in part_of], seq=[_bytes(s) for s in part_of])
             for a in range(0, len(words), 50_000):
                 b = min(len(words), a + 50_000)
                 yield rows(1, b - a, word=words[a:b], local=np.arange(a, b, dtype=np.int32), n=tally[a:b])
@@ -138,24 +100,26 @@ def _blocks(folds: int):
     return run
 
 
-PACKED = "block long, locals binary, counts binary, state_locals binary, states array<binary>, first_states array<struct<word:binary,c:long>>, distinct long"
+PACKED = "block long, locals binary, counts binary, words binary, distinct long"
+#: What blocks, buckets of pairs and buckets of words send to each other.
+PACKET = "kind int, bucket long, block long, doc_id long, held_out boolean, n_tokens long, a binary, b binary, c binary, d binary, e binary"
+PACKET_TYPES = {x.split()[0]: {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in PACKET.split(", ")}
+#: Kinds of packets: texts, counted words, pairs to buckets, words to buckets, arcs to blocks, sums to buckets, sums to blocks.
+TEXT, WORDS, PAIRS, OWN, ARCS, PARTS, SUMS = range(7)
 
 
 def _pack(batches):
-    """Counted words to one row for each block: numbers and counts as arrays, frequent words by name."""
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())])), pa.int64()]
-    names = [x.split()[0] for x in PACKED.split(", ")]
+    """Counted words to one row for each block: numbers, counts and corpus numbers as arrays."""
+    names, kinds = [x.split()[0] for x in PACKED.split(", ")], [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
 
     def flush(held: list[pa.RecordBatch]):
         t = pa.Table.from_batches(held)
-        block, local, c, first = (t.column(n).to_numpy() for n in ("block", "local", "c", "first"))
-        named = t.column("state").is_valid().to_numpy()
+        block, local, c, word = (t.column(n).to_numpy() for n in ("block", "local", "c", "word_id"))
+        first = (block << 24 | local) == word
         order = np.argsort(block, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            with_name = rows[named[rows]]
-            words = t.column("state").take(pa.array(with_name)).to_pylist()
-            opened = [{"word": w, "c": n} for w, n, f in zip(words, c[with_name].tolist(), first[with_name].tolist(), strict=True) if f]
-            row = [block[rows[0]], local[rows].tobytes(), c[rows].tobytes(), local[with_name].tobytes(), words, opened, int((first[rows] & (c[rows] > 0)).sum())]
+            rows = rows[np.argsort(local[rows])]
+            row = [block[rows[0]], _bytes(np.diff(local[rows], prepend=np.int32(0))), _bytes(c[rows]), _bytes(word[rows]), int((first[rows] & (c[rows] > 0)).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
     held, n = [], 0
@@ -170,6 +134,183 @@ def _pack(batches):
         yield from flush(held)
 
 
+def _packets(rows: list[dict]) -> pa.Table:
+    pa.default_memory_pool().release_unused()
+    return pa.table({n: pa.array([r.get(n) for r in rows], t) for n, t in PACKET_TYPES.items()})
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    """An array by planes of bytes, compressed: the high bytes of most numbers are alike."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _array(raw: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(raw[:4], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, dtype=kind)
+    planes = np.frombuffer(pa.decompress(raw[4:], decompressed_size=n * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def _arrays(t: pa.Table, col: str, kind) -> list[np.ndarray]:
+    return [_array(x, kind) for x in t.column(col).to_pylist()]
+
+
+def _steps(t: pa.Table, col: str) -> list[np.ndarray]:
+    """Ascending numbers kept as steps."""
+    return [np.cumsum(x, dtype=np.int32) for x in _arrays(t, col, np.int32)]
+
+
+def _joined(t: pa.Table, col: str, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *_arrays(t, col, kind)])
+
+
+def _of_kind(t: pa.Table, kind: int) -> pa.Table:
+    return t.filter(pa.array(t.column("kind").to_numpy() == kind))
+
+
+def _dealt(number: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, rows) of numbers mixed over the buckets."""
+    mixed = number.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return [(int(bucket[rows[0]]), rows) for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(rows)]
+
+
+class _Block:
+    """A block's texts and words: sequences, counts and corpus numbers, and its distinct pairs that may be arcs."""
+
+    def __init__(self, t: pa.Table):
+        words, self.texts = _of_kind(t, WORDS), _of_kind(t, TEXT)
+        local = np.concatenate([np.zeros(0, dtype=np.int32), *_steps(words, "a")])
+        self.c, self.word = np.zeros(len(local), dtype=np.int64), np.zeros(len(local), dtype=np.int64)
+        self.c[local], self.word[local] = _joined(words, "b", np.int64), _joined(words, "c", np.int64)
+        seqs = _arrays(self.texts, "a", np.int32)
+        self.bounds = np.cumsum([0, *map(len, seqs)])
+        self.seq = np.concatenate(seqs)
+        del seqs
+        self.before = np.empty_like(self.seq)
+        self.before[1:] = self.seq[:-1]
+        self.before[self.bounds[:-1]] = self.seq[-1]  # each text ends with the end token, and starts after one
+        often = self.c >= ARC_MIN
+        self.open = np.flatnonzero(often[self.before] & often[self.seq]).astype(np.int32)
+        code = self.before[self.open].astype(np.int64)
+        code <<= 32
+        code |= self.seq[self.open]
+        order = np.argsort(code)
+        code = code[order]
+        new = np.diff(code, prepend=np.int64(-1)) != 0
+        self.pairs = code[new]
+        del code
+        self.at = np.empty(len(order), dtype=np.int32)
+        self.at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+
+
+def _deal(buckets: int):
+    def run(t: pa.Table) -> pa.Table:
+        x, block = _Block(t), t.column("block")[0].as_py()
+        held = np.repeat(x.texts.column("held_out").to_numpy(), np.diff(x.bounds))
+        n = np.bincount(x.at, ~held[x.open], len(x.pairs)).astype(np.int32)
+        first, second = x.pairs >> 32, x.pairs & 0xFFFFFFFF
+        v, w, cw = x.word[first], x.word[second], x.c[second]
+        x.seq = x.before = x.open = x.at = held = None
+        rows = []
+        # the pairs of a first word share a bucket, which packs well; those of frequent ones are dealt over several
+        several = 1 + x.c[first] // SPREAD
+        for bucket, r in _dealt(v * 31 + w % several, buckets):
+            rows.append({"kind": PAIRS, "bucket": bucket, "block": block, "a": _bytes(np.diff(r.astype(np.int32), prepend=np.int32(0))), "b": _bytes(np.diff(v[r], prepend=np.int64(0))), "c": _bytes(w[r]), "d": _bytes(n[r]), "e": _bytes(cw[r])})
+        own = np.unique(first)
+        for bucket, r in _dealt(x.word[own], buckets):
+            rows.append({"kind": OWN, "bucket": bucket, "block": block, "a": _bytes(np.diff(own[r].astype(np.int32), prepend=np.int32(0))), "b": _bytes(x.word[own[r]])})
+        return _packets(rows)
+
+    return run
+
+
+def _add_pairs(buckets: int):
+    """Counts of a bucket's pairs over all blocks: arcs to the blocks, and their sums by first word."""
+
+    def run(t: pa.Table) -> pa.Table:
+        v = np.concatenate([np.cumsum(a) for a in _arrays(t, "b", np.int64)])
+        w, n, cw = (_joined(t, c, k) for c, k in zip("cde", (np.int64, np.int32, np.int64), strict=True))
+        order = np.lexsort((w, v))
+        new = np.r_[True, (np.diff(v[order]) != 0) | (np.diff(w[order]) != 0)]
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(n[order].astype(np.int64), starts)
+        mine = np.empty(len(v), dtype=np.int64)
+        mine[order] = total[np.cumsum(new) - 1]
+        rows, at = [], 0
+        for block, pos in zip(t.column("block").to_pylist(), _steps(t, "a"), strict=True):
+            got = mine[at : at + len(pos)]
+            at += len(pos)
+            arc = got >= ARC_MIN
+            if arc.any():
+                rows.append({"kind": ARCS, "block": block, "a": _bytes(np.diff(pos[arc], prepend=np.int32(0))), "b": _bytes(got[arc])})
+        arc = total >= ARC_MIN
+        kept = order[starts[arc]]
+        if len(kept):
+            by = np.r_[0, np.flatnonzero(np.diff(v[kept])) + 1]
+            words, sums = v[kept][by], [np.add.reduceat(y, by) for y in (total[arc], np.ones(len(kept), dtype=np.int64), cw[kept])]
+            for bucket, r in _dealt(words, buckets):
+                rows.append({"kind": PARTS, "bucket": bucket, **{c: _bytes(y[r]) for c, y in zip("bcde", (words, *sums), strict=True)}})
+        return _packets(rows)
+
+    return run
+
+
+def _add_sums(t: pa.Table) -> pa.Table:
+    """Sums of a bucket's first words over all buckets of pairs, to the blocks that have the words."""
+    parts, own = _of_kind(t, PARTS), _of_kind(t, OWN)
+    words, at = np.unique(_joined(parts, "b", np.int64), return_inverse=True)
+    sums = np.zeros((3, len(words)), dtype=np.int64)
+    for k, c in enumerate("cde"):
+        np.add.at(sums[k], at, _joined(parts, c, np.int64))
+    rows = []
+    for block, local, word in zip(own.column("block").to_pylist(), _steps(own, "a"), _arrays(own, "b", np.int64), strict=True):
+        k = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
+        hit = words[k] == word if len(words) else np.zeros(len(word), dtype=bool)
+        if hit.any():
+            rows.append({"kind": SUMS, "block": block, "a": _bytes(np.diff(local[hit], prepend=np.int32(0))), **{c: _bytes(sums[j][k[hit]]) for j, c in enumerate("bcd")}})
+    return _packets(rows)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _traverse(total: int, distinct: int):
+    z = total + ADD * (distinct + 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _Block(t)
+        sums, arcs = _of_kind(t, SUMS), _of_kind(t, ARCS)
+        back, counts = np.zeros(len(x.c)), np.zeros(len(x.pairs), dtype=np.int64)
+        n, k, cw = (_joined(sums, c, np.int64) for c in "bcd")
+        local = np.concatenate([np.zeros(0, dtype=np.int32), *_steps(sums, "a")])
+        back[local] = np.log10((1 - (n - DISCOUNT * k) / x.c[local]) / (1 - (cw + ADD * k) / z))
+        counts[np.concatenate([np.zeros(0, dtype=np.int32), *_steps(arcs, "a")])] = _joined(arcs, "b", np.int64)
+        term = np.log10(x.c + ADD)
+        log_z = float(np.log10(z))
+        weight = back[x.before]
+        weight += term[x.seq]
+        weight -= log_z
+        arc = counts > 0
+        counts = counts.astype(np.float64)
+        counts[arc] = np.log10((counts[arc] - DISCOUNT) / x.c[x.pairs[arc] >> 32])
+        hit = arc[x.at]
+        weight[x.open[hit]] = counts[x.at[hit]]
+        spans = list(zip(x.bounds[:-1], x.bounds[1:], strict=True))
+        return pa.table({
+            "doc_id": x.texts.column("doc_id"), "held_out": x.texts.column("held_out"), "n_tokens": x.texts.column("n_tokens"),
+            "n_known": pa.array([int((x.c[x.seq[a:b]] > 0).sum()) for a, b in spans], pa.int64()),
+            "base_score": pa.array([float(term[x.seq[a:b]].sum()) - (b - a) * log_z for a, b in spans], pa.float64()),
+            "score": pa.array([float(weight[a:b].sum()) for a, b in spans], pa.float64()),
+        })
+
+    return run
+
+
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = df.sparkSession
@@ -181,89 +322,47 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     blocks = spark.read.schema(schema).parquet(path)
     docs = blocks.where("kind = 0").select("block", "doc_id", "held_out", "n_tokens", "seq")
     lists = blocks.where("kind = 1").select("block", "word", "local", "n")
-    total = docs.where("not held_out").agg(F.sum("n_tokens")).first()[0] or 0
+    seen = docs.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("train"), F.sum("n_tokens").alias("every")).first()
+    total, buckets = seen.train or 0, 1 + (seen.every or 0) // BUCKET_TOKENS
 
-    state_cut, arc_cut = max(2.0, STATE_SHARE * total), max(2.0, ARC_SHARE * total)
     by_word = Window.partitionBy("word")
     rows = (
         lists.withColumn("c", F.sum("n").over(by_word))
-        .withColumn("first", F.col("block") == F.min("block").over(by_word))
-        .select("block", "local", "c", F.when((F.col("c") >= state_cut) | (F.length("word") == 0), F.col("word")).alias("state"), "first")
+        .withColumn("word_id", F.min(F.shiftleft("block", 24).bitwiseOR(F.col("local").cast("long"))).over(by_word))
+        .select("block", "local", "c", "word_id")
     )
     counted = materialise(rows.mapInArrow(_pack, PACKED), "lm-counts")
     distinct = counted.agg(F.sum("distinct")).first()[0] or 0
-    # 1 / STATE_SHARE rows at most, by the cut itself
-    states = sorted((-r.c, r.word) for r in counted.select(F.explode("first_states").alias("s")).select("s.word", "s.c").toLocalIterator())
-    states.sort(key=lambda x: (x[1] != END, x))
-    number = spark.sparkContext.broadcast({bytes(w): k for k, (_, w) in enumerate(states)})
-    counts = np.array([-c for c, _ in states], dtype=np.float64)
-
-    def meet(texts: pa.Table, words: pa.Table) -> pa.Table:
-        joined = lambda col, kind: np.frombuffer(b"".join(words.column(col).to_pylist()), dtype=kind)
-        local = joined("locals", np.int32)
-        c, state = np.zeros(len(local), dtype=np.int64), np.full(len(local), EMPTY, dtype=np.uint16)
-        c[local] = joined("counts", np.int64)
-        get = number.value.get
-        state[joined("state_locals", np.int32)] = [get(w, EMPTY) for part in words.column("states").to_pylist() for w in part]
-        term = np.log10(c + ADD)
-        rare = np.where(state == EMPTY, term, 0.0)
-        n_known, base, rare_sum, n_rare, seqs, codes = [], [], [], [], [], []
-        tally = np.zeros((0, 2), dtype=np.int64)
-
-        def add(more: list) -> np.ndarray:
-            code, n = np.unique(np.concatenate([tally[:, 0], *more]), return_inverse=True)
-            weight = np.concatenate([tally[:, 1], *(np.ones(len(x), dtype=np.int64) for x in more)])
-            return np.stack([code, np.bincount(n, weight, len(code)).astype(np.int64)], axis=1)
-
-        held = texts.column("held_out").to_pylist()
-        pending = 0
-        for k, raw in enumerate(texts.column("seq")):
-            seq = np.frombuffer(raw.as_buffer(), dtype=np.int32)
-            n_known.append(int((c[seq] > 0).sum()))
-            base.append(float(term[seq].sum()))
-            rare_sum.append(float(rare[seq].sum()))
-            s = state[seq]
-            n_rare.append(int((s == EMPTY).sum()))
-            seqs.append(s.tobytes())
-            if not held[k]:
-                w = s.astype(np.int64)
-                v = np.concatenate([[0], w[:-1]])
-                codes.append((v << 16 | w)[(v != EMPTY) & (w != EMPTY)])
-                pending += len(codes[-1])
-                if pending > 2_000_000:
-                    tally, codes, pending = add(codes), [], 0
-        if codes:
-            tally = add(codes)
-        n, m = texts.num_rows, len(tally)
-        col = lambda first, second, t: pa.concat_arrays([pa.array(first, t) if first is not None else pa.nulls(n, t), pa.array(second, t) if second is not None else pa.nulls(m, t)])
-        return pa.table({
-            "kind": col([0] * n, [1] * m, pa.int32()), "doc_id": col(texts.column("doc_id").to_pylist(), None, pa.int64()), "held_out": col(held, None, pa.bool_()),
-            "n_tokens": col(texts.column("n_tokens").to_pylist(), None, pa.int64()), "n_known": col(n_known, None, pa.int64()), "base": col(base, None, pa.float64()),
-            "rare": col(rare_sum, None, pa.float64()), "n_rare": col(n_rare, None, pa.int64()), "seq": col(seqs, None, pa.binary()), "code": col(None, tally[:, 0], pa.int64()), "n": col(None, tally[:, 1], pa.int64()),
-        })
-
-    met_schema = "kind int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, rare double, n_rare long, seq binary, code long, n long"
-    met_path = scratch_path(spark, "lm-states")
-    docs.groupBy("block").cogroup(counted.select("block", "locals", "counts", "state_locals", "states").groupBy("block")).applyInArrow(meet, met_schema).write.partitionBy("kind").parquet(met_path)
-    met = spark.read.schema(met_schema).parquet(met_path)
-    drop_path(spark, path)
-    drop_path(spark, counted._scratch_path)
-    # 1 / ARC_SHARE rows at most, by the cut itself
-    arcs = met.where("kind = 1").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= arc_cut).toArrow()
-    automaton = spark.sparkContext.broadcast(Automaton(counts, arcs.column("code").to_numpy(), arcs.column("n").to_numpy().astype(np.float64), total, distinct))
-    log_z = float(np.log10(total + ADD * (distinct + 1)))
-
-    def traverse(batches):
-        a = automaton.value
-        for b in batches:
-            col = lambda n: b.column(b.schema.get_field_index(n))  # noqa: B023, E731
-            n, rare, n_rare = col("n_tokens").to_numpy(), col("rare").to_numpy(), col("n_rare").to_numpy()
-            walked = np.array([a.traverse(np.frombuffer(s.as_buffer(), dtype=np.uint16)) for s in col("seq")])
-            yield pa.RecordBatch.from_arrays(
-                [col("doc_id"), col("held_out"), col("n_tokens"), col("n_known"), pa.array(col("base").to_numpy() - n * log_z), pa.array(walked + rare - n_rare * log_z)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
-
-    out = met.where("kind = 0").select("doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "n_rare", "seq")
-    scored = out.mapInArrow(traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    drop_path(spark, f"{path}/kind=1")
+    del rows, lists
+    _release(spark)
+
+    def packets(given: DataFrame, kind: int, **columns: str) -> DataFrame:
+        cols = {"block": "block", **columns}
+        return given.select(*[(F.lit(kind) if n == "kind" else F.col(cols[n]) if n in cols else F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in PACKET.split(", "))])
+
+    own = packets(docs, TEXT, doc_id="doc_id", held_out="held_out", n_tokens="n_tokens", a="seq").unionByName(packets(counted, WORDS, a="locals", b="counts", c="words"))
+    dealt = _written(own.groupBy("block").applyInArrow(_deal(buckets), PACKET), "lm-pairs")
+    _release(spark)
+    added = _written(dealt.where(F.col("kind") == PAIRS).groupBy("bucket").applyInArrow(_add_pairs(buckets), PACKET), "lm-arcs")
+    drop_path(spark, f"{dealt._scratch_path}/kind={PAIRS}")
+    _release(spark)
+    sums = dealt.where(F.col("kind") == OWN).unionByName(added.where(F.col("kind") == PARTS)).groupBy("bucket").applyInArrow(_add_sums, PACKET)
+    met = own.unionByName(added.where(F.col("kind") == ARCS)).unionByName(sums)
+    scored = met.groupBy("block").applyInArrow(_traverse(total, distinct), SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in shared storage, by kind."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy("kind").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._scratch_path = path
+    return out
+
+
+def _release(spark) -> None:
+    """Let Spark delete the shuffled files of finished steps now, as nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -326,6 +326,30 @@ def test_lm_counts_and_probabilities(spark):
     assert lm.scores(docs(spark, TEXTS).where("false")).count() == 0
 
 
+def test_lm_keeps_rare_pairs_of_a_large_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 50_000)
+    if hasattr(lm, "BUCKET_TOKENS"):
+        monkeypatch.setattr(lm, "BUCKET_TOKENS", 40_000)
+    r = random.Random(12)
+    words = ["w%d" % min(int(r.expovariate(0.002)), 3000) for _ in range(300_000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 300_000, 100)] + ["rare pair"] * 40
+    got = {x.doc_id: x for x in lm.scores(docs(spark, texts).repartition(3)).collect()}
+    tok = [t.split() + [""] for t in texts]
+    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k in range(len(texts))]
+    c = Counter(w for t, h in zip(tok, held) if not h for w in t)
+    pairs = Counter(p for t, h in zip(tok, held) if not h for p in zip(["", *t], t))
+    n = sum(c.values())
+    z = n + 0.1 * (len(c) + 1)
+    kept, lower = Counter(), Counter()
+    for (a, w), x in pairs.items():
+        if x >= 2:
+            kept[a] += (x - 0.5) / c[a]
+            lower[a] += (c[w] + 0.1) / z
+    p2 = lambda a, w: (pairs[a, w] - 0.5) / c[a] if pairs[a, w] >= 2 else (c[w] + 0.1) / z * (1 - kept[a]) / (1 - lower[a])
+    for k, t in enumerate(tok):
+        assert got[k].score == pytest.approx(sum(math.log10(p2(a, w)) for a, w in zip(["", *t], t)))
+
+
 # --- benchmark leaks ----------------------------------------------------------------------------
 
 
