@@ -8,12 +8,16 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import materialise, table
 
 #: Rows of one Arrow batch: whole texts are passed on, so a batch stays small even where they are long.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch where Spark can bound them.
 BATCH_BYTES = 32 << 20
+#: Rows up to which a list of ids or keys is broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: A class with one of so many parts of all rows is hot; there are at most so many hot classes.
+HOT_PARTS = 1_000
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -35,6 +39,7 @@ def map_texts(
     make: Callable[[], Callable[[list, list], dict[str, Iterable]]],
     fields: list[tuple[str, str, pa.DataType]],
     keep: bool = False,
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """One output row per input row, computed from the whole text in Arrow batches.
 
@@ -42,10 +47,11 @@ def map_texts(
     UTF-8 bytes (null: empty). ``fields``: name, Spark type, Arrow type of the
     new columns. With ``keep`` all the input's columns stay in front, and a new
     column takes the place of an input column of its name; else only the id stays.
+    Columns in ``drop`` are not passed on.
     """
     arrow_limits(df.sparkSession)
     names = {n for n, _, _ in fields}
-    passed = [c for c in df.columns if c not in names] if keep else [id_col]
+    passed = [c for c in df.columns if c not in names and c not in drop] if keep else [id_col]
     body = F.col(f"`{text_col}`").cast("binary").alias("__text")
     inner = df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{id_col}`").alias("__id"), body)
     out = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in passed] + [f"`{n}` {t}" for n, t, _ in fields]
@@ -71,3 +77,22 @@ def crc32_text(value) -> int:
 def crc_remainder(col: str, mod: int):
     """The same as a column."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def broadcast_if_few(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` (narrow rows) marked for broadcast where there are at most ``most`` of them, else as they are."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of their class; ``classes`` has one row a key, and its rows' number in ``n``.
+
+    The rows of a hot class would meet in one task of a shuffle join. There are at most
+    HOT_PARTS such classes, whatever the table, so these are broadcast and only the
+    other rows are shuffled.
+    """
+    classes = materialise(classes, "class-results")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col("n") > max(1, total / HOT_PARTS)))
+    cold = classes.where(F.col("n") <= max(1, total / HOT_PARTS))
+    return rows.join(hot.drop("n"), key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.drop("n"), key))

@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.graph import star_edges
-from .common import map_texts
+from .common import join_classes, map_texts
 
 #: Seed of the shingle hash.
 SEED = 42
+#: Fingerprints that one task expands to their signatures.
+FINGERPRINTS = 8_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> bytes:
@@ -81,7 +83,9 @@ def linked_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
             hole -= (1 << 64) if hole >= 1 << 63 else 0
             # 64 bits of segment do not fit beside a tag, so the tag is hashed in with the masked bits
             signatures.append(F.struct(F.lit(64 * s + j).cast("short").alias("tag"), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(hole)), low).alias("key")))
-    met = fps.select("fp", F.explode(F.array(*signatures)).alias("s")).select("fp", "s.tag", "s.key")
+    # a small table is read as one or two partitions, which would expand it 64-fold in as many tasks
+    tasks = 1 + fps.count() // FINGERPRINTS
+    met = fps.repartition(tasks).select("fp", F.explode(F.array(*signatures)).alias("s")).select("fp", "s.tag", "s.key")
     both = met.withColumn("n", F.count("*").over(Window.partitionBy("tag", "key"))).where("n > 1").drop("n")
     # the bits outside the segment differ by max_bits at most: of max_bits + 1 pieces one is equal
     pieces = max_bits + 1
@@ -108,11 +112,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     from ..session import materialise
 
     docs = materialise(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    classes = docs.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    classes = materialise(docs.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("n")), "classes")
     stars = star_edges(linked_pairs(classes.select("fp"), max_bits), "a", "b")  # components of fingerprints
     rooted = classes.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     moved = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
     # only classes in a component of two or more need the second look-up; alone, a class is its own component
     several = rooted.join(moved.where("size > 1"), "root").select("fp", F.col("component_id").alias("joined"))
-    found = classes.join(several, "fp", "left").select("fp", F.coalesce("joined", "rep").alias("component_id"))
-    return docs.join(found, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = classes.join(several, "fp", "left").select("fp", "n", F.coalesce("joined", "rep").alias("component_id"))
+    return join_classes(docs, found, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
