@@ -7,6 +7,9 @@ block. Every passage of every document is a query: a document is cut into stride
 a passage is two neighbouring strides, and the longest item fits into one stride, so
 each occurrence of an item lies whole in some passage.
 
+Document frequencies, the number of items and their mean length are those of all items, whatever
+part of them an index holds, so a score means the same however many items there are.
+
 For all passages of a document at once the block maxima of their distinct words are
 summed, and a block is entered only by passages whose sum reaches the threshold.
 Inside, WAND keeps the words' cursors in item order, skips to the first item that the
@@ -14,37 +17,42 @@ words before it can lift over the threshold, and scores it. All items above the
 threshold are retrieved; none is lost, as only what cannot reach it is skipped.
 
 A retrieved item is then verified on words: 80 % of its five-word shingles must stand
-in the passage, and 80 % of the words of its question and of its answer (its last
-sentence; the second half where there is one sentence).
+in the passage (items of fewer words are one shingle, so these match whole or not at all),
+and 80 % of the words of its question and of its answer (its last sentence; the second
+half where there is one sentence; a part without words is no condition).
 
-Benchmarks are collected by the driver in shards of ``SHARD_ITEMS`` items, each with an
-index of bounded size; every further shard is one more pass over the documents.
+Items are read in order into indexes of at most ``SHARD_WORDS`` words, and one pass over the
+documents searches ``SHARDS_A_PASS`` of them: what is broadcast at once, and held by a worker, has
+a bounded size. Only benchmarks beyond that, some 100,000 items, need a further pass.
 
 Defined results: null or word-free texts and items match nothing; words are runs
 between ASCII white space and punctuation, with A-Z lower-cased; equal items are reported
-each under its own id; repeated rows repeat results; empty tables give an empty result;
-columns other than ids and texts are not read. Items of fewer than ``MIN_WORDS`` words are too
-short to tell a leak and are left out.
+each under its own id, repeated rows of items count once; repeated rows of documents repeat results; empty
+tables give an empty result; columns other than ids and texts are not read; ids keep their types.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import materialise
 from .common import arrow_limits
 
 #: BM25's constants, the retrieval threshold, shares of shingles and of words that verify.
 K1, B, THRESHOLD, SHINGLES, WORDS = 1.2, 0.75, 0.6, 0.8, 0.8
-#: Items in a block, items in an index, words in a stride at least, and the fewest words of an item.
-BLOCK, SHARD_ITEMS, STRIDE, MIN_WORDS = 4, 2_000, 64, 8
+#: Items in a block, words of the items in an index, indexes in a pass, words in a stride at least, words in a shingle.
+BLOCK, SHARD_WORDS, SHARDS_A_PASS, STRIDE, SHINGLE = 4, 200_000, 25, 64, 5
 _APART = bytes.maketrans(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 31)
 
 
@@ -61,34 +69,59 @@ def parts_of(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[: len(words) // 2], words[len(words) // 2 :]
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What a score takes from all items: their number, their mean length and document frequencies."""
+
+    items: int
+    mean: float
+
+    @classmethod
+    def of(cls, texts: list[str]) -> tuple[Corpus, Counter]:
+        words = [w for t in texts if (w := words_of((t or "").encode()))]
+        return cls(len(words), sum(map(len, words)) / max(1, len(words))), Counter(t for w in words for t in set(w))
+
+
 class Index:
-    """The inverted index over items [(id, text), ...]."""
+    """The inverted index over items [(id, text), ...]; statistics are those of all items (by default these)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        rows = [(i, t, w) for i, t in items if len(w := words_of((t or "").encode())) >= MIN_WORDS]
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None, df: dict[bytes, int] | None = None):
+        rows = [(i, t, w) for i, t in items if (w := words_of((t or "").encode()))]
+        if corpus is None:
+            corpus, df = Corpus.of([t for _, t, _ in rows])
         self.ids = [i for i, _, _ in rows]
         self.words = [w for _, _, w in rows]
         self.parts = [parts_of(t) for _, t, _ in rows]
         self.stride = max([STRIDE, *map(len, self.words)])
-        n = len(rows)
-        df = Counter(t for w in self.words for t in set(w))
-        self.vocab = {t: k for k, t in enumerate(sorted(df))}
-        mean = sum(map(len, self.words)) / max(1, n)
+        n = corpus.items
+        self.vocab = {t: k for k, t in enumerate(sorted({t for w in self.words for t in w}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
         for k, w in enumerate(self.words):
             tf = Counter(w)
-            norm = K1 * (1 - B + B * len(w) / mean)
+            norm = K1 * (1 - B + B * len(w) / corpus.mean)
             raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in tf.items()}
             own = sum(raw.values())
             for t, x in raw.items():
                 postings[self.vocab[t]].append((k, x / own))
         self.postings = postings
-        self.blocks = (n + BLOCK - 1) // BLOCK
-        self.block_max = np.zeros((len(self.vocab), self.blocks), dtype=np.float32)
-        for t, p in enumerate(postings):
+        self.blocks = (len(rows) + BLOCK - 1) // BLOCK
+        # the largest share of a word in each block that has it: blocks and maxima of word t at first[t]:first[t + 1]
+        maxima = [{} for _ in postings]
+        for best, p in zip(maxima, postings, strict=True):
             for k, x in p:
-                self.block_max[t, k // BLOCK] = max(self.block_max[t, k // BLOCK], x)
-        self.shingles = [list({tuple(w[a : a + 5]) for a in range(len(w) - 4)}) for w in self.words]
+                best[k // BLOCK] = max(best.get(k // BLOCK, 0.0), x)
+        self.first = np.cumsum([0, *map(len, maxima)])
+        self.block = np.array([b for m in maxima for b in m], dtype=np.int64)
+        self.block_max = np.array([x for m in maxima for x in m.values()], dtype=np.float32)
+        self.size = [min(SHINGLE, len(w)) for w in self.words]
+        self.shingles = [list({tuple(w[a : a + n]) for a in range(len(w) - n + 1)}) for w, n in zip(self.words, self.size, strict=True)]
+
+    def bounds(self, stride: np.ndarray, terms: np.ndarray, strides: int) -> np.ndarray:
+        """Sums of the block maxima of distinct (stride, word) pairs, by stride and block."""
+        n = self.first[terms + 1] - self.first[terms]
+        at = np.repeat(self.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = np.repeat(stride, n) * self.blocks + self.block[at]
+        return np.bincount(cell, self.block_max[at], strides * self.blocks).reshape(strides, self.blocks)
 
     def wand(self, terms: Iterable[int], low: int, high: int, floor: float) -> list[tuple[int, float]]:
         """Items of [low, high) whose score reaches ``floor``: cursors in item order, pivot by upper bounds."""
@@ -144,9 +177,7 @@ class Index:
             a, b = np.searchsorted(stride_of, [first, first + step + 1])
             if a == b:
                 continue
-            sums = np.zeros((step + 2, self.blocks), dtype=np.float32)
-            starts = np.flatnonzero(np.diff(stride_of[a:b], prepend=-1))
-            sums[stride_of[a:b][starts] - first] = np.add.reduceat(self.block_max[terms[a:b]], starts, axis=0)
+            sums = self.bounds(stride_of[a:b] - first, terms[a:b], step + 2)
             bound = sums[:-2] + sums[1:-1]
             entered = np.argwhere(bound >= THRESHOLD - 1e-4)
             passage = -1
@@ -165,7 +196,7 @@ class Index:
 
     def verify(self, item: int, passage: list[bytes]) -> tuple[float, float, float] | None:
         """Shares of the item's shingles, question words and answer words in the passage; None where they don't suffice."""
-        have = set(zip(*(passage[k:] for k in range(5)), strict=False))
+        have = set(zip(*(passage[k:] for k in range(self.size[item])), strict=False))
         own = self.shingles[item]
         share = sum(s in have for s in own) / len(own)
         if share < SHINGLES:
@@ -174,38 +205,62 @@ class Index:
         rates = []
         for part in self.parts[item]:
             c = Counter(part)
-            rates.append(sum(min(n, counts[w]) for w, n in c.items()) / max(1, len(part)))
+            rates.append(sum(min(n, counts[w]) for w, n in c.items()) / len(part) if part else 1.0)
         return (share, *rates) if min(rates) >= WORDS else None
 
 
 def shards(items: DataFrame, item_id: str, item_text: str) -> Iterable[Index]:
-    """Indexes of at most SHARD_ITEMS items each, in item order."""
-    held: list[tuple[int, str]] = []
-    for r in items.select(item_id, item_text).where(F.col(item_text).isNotNull()).orderBy(item_id).toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == SHARD_ITEMS:
-            yield Index(held)
-            held = []
+    """Indexes of bounded size over the distinct items in order, all with the statistics of all items."""
+    kind = items.schema[item_id].dataType.simpleString()
+
+    def split(batches):
+        for b in batches:
+            words = [words_of(t or b"") for t in b.column(2).to_pylist()]
+            kept = pa.array([bool(w) for w in words], pa.bool_())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.binary()))], names=["item", "body", "words"])
+            yield out.filter(kept)
+
+    rows = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).distinct()
+    rows = materialise(rows.withColumn("raw", F.col("body").cast("binary")).mapInArrow(split, f"item {kind}, body string, words array<binary>"), "items")
+    seen = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    corpus = Corpus(seen.n, seen.mean or 0.0)
+    df = rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    each = rows.select("item", "body", F.size("words").alias("n"), F.explode(F.array_distinct("words")).alias("word")).join(df, "word")
+    each = each.groupBy("item", "body").agg(F.first("n").alias("n"), F.collect_list("word").alias("words"), F.collect_list("df").alias("dfs"))
+    held: list = []
+    known: dict[bytes, int] = {}
+    size = 0
+    for r in each.orderBy("item", "body").toLocalIterator():
+        if held and size + r.n > SHARD_WORDS:
+            yield Index(held, corpus, known)
+            held, known, size = [], {}, 0
+        held.append((r.item, r.body))
+        known.update(zip(map(bytes, r.words), r.dfs, strict=True))
+        size += r.n
     if held:
-        yield Index(held)
+        yield Index(held, corpus, known)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and test item that it leaks: ids, best score and the shares that verified it."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    schema = "doc_id long, item_id long, score double, shingle_share double, question_share double, answer_share double"
-    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rates = ("score", "shingle_share", "question_share", "answer_share")
+    schema = ", ".join([f"doc_id {docs.schema[id_col].dataType.simpleString()}", f"item_id {items.schema[item_id].dataType.simpleString()}", *(f"{x} double" for x in rates)])
+    item_type = to_arrow_type(items.schema[item_id].dataType)
+    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    indexes = shards(items, item_id, item_text)
     out = None
-    for index in shards(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(index)
+    while part := list(itertools.islice(indexes, SHARDS_A_PASS)):
+        shared = [spark.sparkContext.broadcast(x) for x in part]
 
         def run(batches, shared=shared):
-            own = shared.value
+            own = [x.value for x in shared]
             for b in batches:
-                rows = [(i, own.ids[k], *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for k, x in sorted(own.search(words_of(t)).items())]
+                texts = [(k, words_of(t)) for k, t in enumerate(b.column(1).to_pylist()) if t]
+                rows = [(k, index.ids[place], *x) for k, words in texts for index in own for place, x in sorted(index.search(words).items())]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", "score", "shingle_share", "question_share", "answer_share"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", *rates])
 
         got = body.mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)
