@@ -20,6 +20,7 @@ results; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -35,7 +36,8 @@ from .common import map_texts
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A leftmost match starts where a run of digits does, so no start inside a run is tried.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Precision that a kind's threshold must reach on held-out candidates.
@@ -136,7 +138,18 @@ def proposals(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, i
         elif not has_digit or kind == 1 and ":" not in text:
             continue
         out += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
-    return [x for x in out if not any(a < x[2] and x[0] < b for a, _, b in taken)]
+    return free(out, [(a, b) for a, _, b in taken])
+
+
+def free(spans: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that touch none of ``taken``."""
+    starts, reach, last = [], [], 0  # by start, with the furthest end so far
+    for a, b in sorted(taken):
+        last = max(last, b)
+        starts.append(a)
+        reach.append(last)
+    # of what starts before a span's end, none may reach beyond its start
+    return [x for x in spans if not (k := bisect.bisect_left(starts, x[2])) or reach[k - 1] <= x[0]]
 
 
 def examples(seed: int = 7, n: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
@@ -263,10 +276,11 @@ def find(text: str, forest: Forest) -> tuple[list, list]:
     """Base spans and all spans, as sorted (start, kind, end)."""
     base = base_spans(text)
     rated = [(forest.odds(describe(text, *c)), c) for c in proposals(text, base)]
-    added: list = []
-    for s, c in sorted((x for x in rated if x[0] >= forest.threshold[x[1][1]]), key=lambda x: (-x[0], x[1])):
-        if not any(a < c[2] and c[0] < b for a, _, b in added):  # of overlapping candidates the likeliest stays
-            added.append(c)
+    added: list = []  # sorted and disjoint
+    for _, c in sorted((x for x in rated if x[0] >= forest.threshold[x[1][1]]), key=lambda x: (-x[0], x[1])):
+        k = bisect.bisect_left(added, c)
+        if (k == 0 or added[k - 1][2] <= c[0]) and (k == len(added) or c[2] <= added[k][0]):  # of overlapping candidates the likeliest stays
+            added.insert(k, c)
     return base, sorted(base + added)
 
 
