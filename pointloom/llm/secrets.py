@@ -10,8 +10,8 @@ decoded, and it is reported when what comes out has the structure of a secret:
   BEGIN/END block, in base64 or in hex;
 * ``nested``: base64 or hex of printable text that itself holds an assignment, an access key or a key block.
 
-Texts without a chunk of 16 characters free of white space and without a keyword
-cannot match anything, which a cheap test tells.
+All candidates but assignments and key blocks are free of white space and of 16 characters or more,
+so texts without such a chunk need no search for them. All scans are linear in the text.
 
 Defined results: a null or empty text has no spans; offsets count code points, ends
 are exclusive; spans of different kinds may overlap; repeated rows repeat results;
@@ -44,7 +44,10 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![0-9A-Za-z])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 #: A key block; in a string literal its line ends, tabs and slashes may be escaped.
-BLOCK = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY)-----")
+BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*")
+#: Headers of an encrypted block in the old style; the cipher's start value is 8 or 16 bytes.
+SEALED = re.compile(r"\s*Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,\s*(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{16})\s+([A-Za-z0-9+/=\s]+)")
 ESCAPED = re.compile(r"\\+([nrt/])")
 PLAIN = {"n": "\n", "r": "\r", "t": "\t", "/": "/"}
 
@@ -128,7 +131,24 @@ def holds_secret(raw: bytes) -> bool:
         return False
     if not all(c.isprintable() or c in "\r\n\t" for c in text):
         return False
-    return any(len(m[2]) >= 6 for m in ASSIGN.finditer(text)) or any(len(m[0]) >= 20 for m in ACCESS.finditer(text)) or bool(BLOCK.search(text))
+    return any(len(m[2]) >= 6 for m in ASSIGN.finditer(text)) or any(len(m[0]) >= 20 for m in ACCESS.finditer(text)) or bool(blocks(text))
+
+
+def blocks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, body) of key blocks: a mark of the beginning, and as the next mark the end of the same name."""
+    marks = list(MARK.finditer(text))
+    return [(a.start(), b.end(), text[a.end() : b.start()]) for a, b in zip(marks, marks[1:], strict=False) if a[1] == "BEGIN" and b[1] == "END" and a[2] == b[2] and BODY.fullmatch(text, a.end(), b.start())]
+
+
+def is_block(body: str) -> bool:
+    """Whether the body of a key block decodes to a key, or is sealed: headers of a cipher and whole blocks of bytes."""
+    plain = ESCAPED.sub(lambda e: PLAIN[e[1]], body)
+    if sealed := SEALED.fullmatch(plain):
+        raw = unbase64(re.sub(r"\s", "", sealed[1])) or b""
+        return len(raw) >= 24 and len(raw) % 8 == 0
+    lines = "".join(x for x in plain.split("\n") if ":" not in x)
+    raw = unbase64(re.sub(r"\s", "", lines))
+    return bool(raw) and is_key(raw)
 
 
 def base_spans(text: str, chunks: bool) -> list[tuple[int, int, int]]:
@@ -147,12 +167,7 @@ def base_spans(text: str, chunks: bool) -> list[tuple[int, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what decodes to a secret."""
     out = []
-    for m in BLOCK.finditer(text):
-        lines = ESCAPED.sub(lambda e: PLAIN[e[1]], m[2])
-        body = "".join(x for x in lines.split("\n") if ":" not in x)
-        raw = unbase64(re.sub(r"\s", "", body)) if body.strip() else None
-        if raw and (is_key(raw) or "Proc-Type" in m[2]):
-            out.append((m.start(), 4, m.end()))
+    out += [(start, 4, end) for start, end, body in blocks(text) if is_block(body)]
     if "." in text:
         out += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if m[1].startswith("e") and is_token(m[1], m[2], m[3])]
     for m in RUN.finditer(text):
