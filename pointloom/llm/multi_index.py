@@ -4,8 +4,11 @@ Vectors are scaled to length one and cut into halves. Each half has a codebook o
 own (k-means on a bounded sample, ``SAMPLE`` vectors), and the product of the two books
 is the grid of cells; every vector lies in the cell of its nearest codewords. A vector
 visits cells in the order of the multi-sequence traversal, nearest first, and it visits
-as many as brought ``RECALL`` of sampled neighbours, at cosines spread from the threshold
-to one, into reach. What it meets in a visited cell is verified in double precision.
+as many as brought ``RECALL`` of the neighbours of ``QUERIES`` vectors into reach. Those are
+sampled, too, but kept out of the fit, and their neighbours lie at the threshold's cosine itself
+in random directions: real links are as far apart at most, and can be found from either end, so the
+share of links that is found is above RECALL. There is no cap on visits short of the whole grid,
+which is the exact search. What a vector meets in a visited cell is verified in double precision.
 
 A cell is a group of a join, however many vectors it has: its members and its visitors
 are dealt into chunks of ``CHUNK`` rows, and each pair of chunks is a task of its own
@@ -14,8 +17,8 @@ never the links themselves, so a dense cluster gives few rows. Members carry the
 visited cells, which tells for each link whether it will be met from the other side too;
 so each link counts once for both ends.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing and stay alone; rows with one vec_id never link to
+Defined results: vectors that are null, zero or hold null or non-finite components link with
+nothing and stay alone; vectors of each length link among themselves, on a grid of their own; rows with one vec_id never link to
 each other, and each gets the result of their id; null ids keep their row and link with nothing; an
 empty table gives an empty result; columns other than id and vector are not read.
 """
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import star_edges
@@ -35,9 +39,9 @@ from ..session import materialise
 from .common import arrow_limits
 
 #: Vectors that codebooks are fitted on at most, queries that set the number of visits, and k-means rounds.
-SAMPLE, QUERIES, ROUNDS = 8_192, 200, 12
-#: Share of sampled neighbours that the visited cells must hold; cells visited at most 4096, since then all is near.
-RECALL, MOST_VISITS = 0.98, 4_096
+SAMPLE, QUERIES, ROUNDS = 16_384, 512, 12
+#: Share of the queries' neighbours that the visited cells must hold, and sampled vectors for each codeword at least.
+RECALL, PER_WORD = 0.95, 16
 #: Rows of a chunk of a cell.
 CHUNK = 1_024
 
@@ -70,16 +74,20 @@ def first_cells(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(x[:, i] * k2 + y[:, j], best, 1)
 
 
-def unit(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of length one in double precision and the mask of the valid ones."""
-    out, valid = np.zeros((len(vectors), width)), np.zeros(len(vectors), dtype=bool)
-    for k, v in enumerate(vectors):
-        if v is None or len(v) != width or any(c is None for c in v):
-            continue
-        x = np.array(v, dtype=np.float64)
-        if np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-            x /= top
-            out[k], valid[k] = x / np.linalg.norm(x), True
+def unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one in double precision and the mask of the valid ones, from an Arrow column of lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(column)
+    sized = pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False)
+    out, valid = np.zeros((n, width)), sized.copy()
+    if sized.any():
+        values = pc.list_flatten(column.filter(pa.array(sized))).cast(pa.float64())
+        x = np.nan_to_num(values.to_numpy(zero_copy_only=False), nan=np.nan, posinf=np.nan, neginf=np.nan).reshape(-1, width)  # null, too, becomes nan
+        top = np.abs(x).max(1)
+        good = np.isfinite(top) & (top > 0)
+        valid[sized] = good
+        x = x[good] / top[good, None]
+        out[valid] = x / np.linalg.norm(x, axis=1)[:, None]
     return out, valid
 
 
@@ -105,19 +113,22 @@ class Grid:
 
     def __init__(self, sample: np.ndarray, k: int, threshold: float, recall: float = RECALL):
         self.half = sample.shape[1] // 2
-        k = max(1, min(k, len(sample)))
-        self.books = codebook(sample[:, : self.half], k, 1), codebook(sample[:, self.half :], k, 2)
+        # every so many vectors are queries and not fitted on, where there are enough
+        apart = np.zeros(len(sample), dtype=bool)
+        apart[:: max(2, len(sample) // QUERIES)] = len(sample) >= 8
+        x, rest = (sample[apart], sample[~apart]) if apart.any() else (sample, sample)
+        k = max(1, min(k, len(rest) // PER_WORD))
+        self.books = codebook(rest[:, : self.half], k, 1), codebook(rest[:, self.half :], k, 2)
         r = np.random.default_rng(3)
-        x = sample[r.integers(0, len(sample), QUERIES)]
         noise = r.standard_normal(x.shape)
         noise -= (noise * x).sum(1)[:, None] * x
         noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-300)[:, None]
-        cos = np.linspace(threshold, 1, QUERIES)[:, None]
-        y = cos * x + np.sqrt(1 - cos * cos) * noise
+        y = threshold * x + math.sqrt(1 - threshold * threshold) * noise
         (a, b), (c, d) = self.tables(x), self.tables(y)
-        own = a[np.arange(QUERIES), c.argmin(1)] + b[np.arange(QUERIES), d.argmin(1)]
-        ranks = np.array([int(np.searchsorted(np.sort(b[q]), own[q] - np.sort(a[q]), side="left").sum()) for q in range(QUERIES)])
-        self.visits = int(min(max(1, math.ceil(np.quantile(ranks, recall)) + 1), MOST_VISITS, k * k))
+        q = np.arange(len(x))
+        own = a[q, c.argmin(1)] + b[q, d.argmin(1)]
+        ranks = np.array([int(np.searchsorted(np.sort(b[i]), own[i] - np.sort(a[i]), side="left").sum()) for i in q])
+        self.visits = int(min(max(1, math.ceil(np.quantile(ranks, recall)) + 1), k * k))
 
     def tables(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(x[:, : self.half], self.books[0]), _distances(x[:, self.half :], self.books[1])
@@ -126,18 +137,11 @@ class Grid:
         return first_cells(*self.tables(x), self.visits)
 
 
-def fit(vectors: DataFrame, threshold: float) -> tuple[Grid | None, int]:
-    """The grid for a table (None where no vector is valid) and the usual length of its vectors."""
-    n, width = vectors.count(), 0
-    lengths = vectors.where("vec is not null").groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if lengths is None or lengths.w < 2:
-        return None, lengths.w if lengths else 0
-    width = lengths.w
-    rows = vectors.where(F.size("vec") == width).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow().column("vec").to_pylist()
-    x, valid = unit(rows, width)
-    if not valid.any():
-        return None, width
-    return Grid(x[valid], min(1024, math.ceil(math.sqrt(n) / 4) + 1), threshold), width
+def fit(vectors: DataFrame, width: int, n: int, threshold: float) -> Grid | None:
+    """The grid for the ``n`` vectors of one length (None where none of the sampled ones is valid)."""
+    rows = vectors.where(F.size("vec") == width).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()
+    x, valid = unit(rows.column("vec"), width)
+    return Grid(x[valid], min(1024, math.ceil(math.sqrt(n) / 4) + 1), threshold) if valid.any() else None
 
 
 def _meet(threshold: float):
@@ -175,19 +179,27 @@ def _meet(threshold: float):
 
 def links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95) -> DataFrame | None:
     """(id, n, root): parts of link counts and forest edges; None where nothing can link."""
-    spark = df.sparkSession
-    arrow_limits(spark)
-    vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
-    grid, width = fit(vectors, threshold)
-    if grid is None:
-        return None
+    arrow_limits(df.sparkSession)
+    vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
+    finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))) & F.exists("vec", lambda c: c != 0)
+    out, lengths = None, vectors.where(finite).groupBy(F.size("vec").alias("w")).count().where("count > 1")
+    for r in lengths.orderBy("w").toLocalIterator():  # as a rule, one
+        grid = fit(vectors.where(finite), r.w, r["count"], threshold)
+        if grid is not None:
+            found = _links_of(vectors, grid, r.w, threshold)
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _links_of(vectors: DataFrame, grid: Grid, width: int, threshold: float) -> DataFrame:
+    spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(grid)
 
     def encode(batches):
         g = shared.value
         for b in batches:
             ids = b.column(0).to_numpy()
-            x, valid = unit(b.column(1).to_pylist(), width)
+            x, valid = unit(b.column(1), width)
             x, ids = x[valid], ids[valid]
             for at in range(0, len(x), 256):
                 part = x[at : at + 256]
