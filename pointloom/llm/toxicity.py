@@ -1,17 +1,20 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are binary: single words, pairs of neighbours and pairs with one word
-between them, hashed into ``2**BITS`` coordinates. Training goes once or a few
-times through a bounded sample of labelled rows (``MAX_TRAIN``, those with the
-smallest hashes of their ids, so the choice is random and repeatable); executors
-compute the features, the driver gets compact index arrays of the sample only.
-Each coordinate has its own learning rate, and L1 keeps all but some thousand
-weights at zero. The weights, at most ``2**BITS`` however large the corpus, are
-broadcast to score every document.
+between them, hashed into ``2**BITS`` coordinates. Training goes a few
+times through a bounded sample of labelled rows (at most ``MAX_TRAIN`` rows and
+``MAX_FEATURES`` features, those with the smallest hashes of their ids, so the choice is
+random and repeatable); executors compute the features, the driver gets compact index
+arrays of the sample only. Each coordinate has its own learning rate, and L1 keeps all but
+some thousand weights at zero. Rate and L1 are chosen inside the training sample: each setting
+of ``GRID`` is fitted on a part of it and rated on another part, and the best is fitted on all.
+Labels of the held-out fold are never read. The weights, at most ``2**BITS`` however large the
+corpus, are broadcast to score every document.
 
 Defined results: a null or empty text has no features and gets the score of the
 bias; repeated rows get equal scores; without any labelled row every score is
-0.5; rows of labels with a null id or label are ignored; an empty table gives an
+0.5; rows of labels with a null id or label are ignored; of several texts under one id the one with the
+smallest hash is learnt from; ids of any type; an empty table gives an
 empty result; only id and text feed the score.
 """
 
@@ -22,16 +25,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialise
 from .common import crc_remainder, map_texts
 
 #: Coordinates of the hashed feature space, as a power of two.
 BITS = 22
-#: Labelled rows that training reads at most.
-MAX_TRAIN = 16_000
-#: FTRL-proximal: learning rate, its smoothing, L1 and L2, passes over the sample.
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.5, 3
+#: Labelled rows, and distinct features in them, that training reads at most; rows that settings are tried on.
+MAX_TRAIN, MAX_FEATURES, TRIAL = 16_000, 20_000_000, 4_000
+#: FTRL-proximal: smoothing of the rate, L2, passes over the sample.
+BETA, L2, EPOCHS = 1.0, 0.5, 3
+#: (learning rate, L1) that are tried.
+GRID = ((0.3, 1.0), (0.3, 4.0), (1.0, 1.0), (1.0, 4.0))
 #: Kinds of features: words, neighbours, pairs with one word between.
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -68,25 +74,43 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.bias + float(dense[hit].sum(dtype=np.float64))))))
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, l1: float = 4.0) -> Model:
     """FTRL-proximal over (distinct coordinates, label) pairs, in the given order."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     last = 1 << BITS  # the bias is one more coordinate, without L1
     for _ in range(EPOCHS):
         for x, y in rows:
             zx, nx = z[x], n[x]
-            w = np.where(np.abs(zx) <= L1, 0.0, -(zx - np.sign(zx) * L1) / ((BETA + np.sqrt(nx)) / ALPHA + L2))
-            b = -z[last] / ((BETA + math.sqrt(n[last])) / ALPHA + L2)
+            w = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((BETA + np.sqrt(nx)) / alpha + L2))
+            b = -z[last] / ((BETA + math.sqrt(n[last])) / alpha + L2)
             g = 1 / (1 + math.exp(-max(-40.0, min(40.0, b + w.sum())))) - y
-            s = (np.sqrt(nx + g * g) - np.sqrt(nx)) / ALPHA
+            s = (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha
             z[x] = zx + g - s * w
             n[x] = nx + g * g
-            sb = (math.sqrt(n[last] + g * g) - math.sqrt(n[last])) / ALPHA
+            sb = (math.sqrt(n[last] + g * g) - math.sqrt(n[last])) / alpha
             z[last] += g - sb * b
             n[last] += g * g
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))[:last]
+    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / alpha + L2))[:last]
     index = np.flatnonzero(w)
-    return Model(index.astype(np.int32), w[index].astype(np.float32), float(-z[last] / ((BETA + math.sqrt(n[last])) / ALPHA + L2)))
+    return Model(index.astype(np.int32), w[index].astype(np.float32), float(-z[last] / ((BETA + math.sqrt(n[last])) / alpha + L2)))
+
+
+def loss(model: Model, rows: list[tuple[np.ndarray, int]]) -> float:
+    """Mean logistic loss."""
+    dense, total = model.dense(), 0.0
+    for x, y in rows:
+        s = max(-40.0, min(40.0, model.bias + float(dense[x].sum(dtype=np.float64))))
+        total += math.log1p(math.exp(-s if y else s))
+    return total / len(rows)
+
+
+def choose(rows: list[tuple[np.ndarray, int]]) -> tuple[float, float]:
+    """The setting of GRID with the least loss on every fourth row of the first TRIAL, fitted on the others; ties to the first."""
+    part = rows[:TRIAL]
+    fitted, rated = [r for k, r in enumerate(part) if k % 4], part[::4]
+    if not fitted or not rated:
+        return GRID[-1]
+    return min(GRID, key=lambda s: loss(fit(fitted, *s), rated))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN, folds: int = 5) -> Model:
@@ -94,19 +118,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_remainder(id_col, folds) != 0))
         .select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("__label"))
+        .distinct()
         .orderBy(F.xxhash64("__lid"), "__lid", "__label")
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).alias("__lid"), F.col(text_col).alias("__body")).join(F.broadcast(chosen), "__lid")  # max_rows narrow rows
+    texts = texts.withColumn("__text_hash", F.xxhash64(F.coalesce("__body", F.lit(""))))
 
     def make():
         return lambda _, texts: {"x": [np.unique(features(t)) for t in texts]}
 
-    rows = map_texts(texts, "__label", "__body", make, [("x", "array<int>", pa.list_(pa.int32()))], keep=True).select("__lid", "__label", F.col("x")).toArrow()
-    ids, ys, xs = rows.column("__lid").to_pylist(), rows.column("__label").to_pylist(), rows.column("x").combine_chunks()
+    rows = map_texts(texts, "__label", "__body", make, [("x", "array<int>", pa.list_(pa.int32()))], keep=True)
+    rows = materialise(rows.groupBy("__lid", "__label").agg(F.min_by("x", "__text_hash").alias("x")), "features")
+    # at most max_rows rows: by hash, as many as have MAX_FEATURES features together
+    before = F.sum(F.size("x")).over(Window.orderBy(F.xxhash64("__lid"), "__lid", "__label"))
+    within = rows.select("__lid", "__label", "x").join(F.broadcast(rows.select("__lid", "__label", before.alias("before")).where(F.col("before") <= MAX_FEATURES)), ["__lid", "__label"], "left_semi")
+    got = within.toArrow()
+    ids, ys, xs = got.column("__lid").to_pylist(), got.column("__label").to_pylist(), got.column("x").combine_chunks()
     values, offsets = xs.values.to_numpy(), xs.offsets.to_numpy()
-    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(b"order%d" % ids[k]), ys[k]))
-    return fit([(values[offsets[k] : offsets[k + 1]], ys[k]) for k in order])
+    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(f"order{ids[k]}".encode()), str(ids[k]), ys[k]))
+    sample = [(values[offsets[k] : offsets[k + 1]], ys[k]) for k in order]
+    return fit(sample, *choose(sample))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
