@@ -27,7 +27,7 @@ def op3_pii_spans(spark, sf_dir):
 
 
 def op4_token_rollups(spark, sf_dir):
-    return rollup.corpus_totals(documents(spark, sf_dir, "doc_id", "source", "lang", "text"), rollup.Rollup(spark, scratch_path(spark, "rollup")))
+    return rollup.corpus_totals(documents(spark, sf_dir, "doc_id", "source", "lang", "text"), rollup.Rollup(spark, scratch_path(spark, "rollup")), tokenizer_path())
 
 
 def op5_lm_score(spark, sf_dir):
@@ -92,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_token_rollups": rollup.ORACLE_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_warc_round_trip": OP8_SQL}
+    return {"op6_embedding_near_dedup": OP6_SQL, "op8_warc_round_trip": OP8_SQL}

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -159,6 +160,24 @@ def test_toxicity_learns_from_the_training_fold_only(spark):
     none = toxicity.predictions(d, labels.where("false")).collect()
     assert all(x.score == 0.5 for x in none)
     assert toxicity.predictions(d.where("false"), labels).count() == 0
+    named = d.select(d.doc_id.cast("string").alias("doc_id"), "text", d.n_chars.alias("x"))  # ids that are texts, one of them twice
+    again = toxicity.predictions(named.unionByName(named.limit(1)), labels.select(labels.doc_id.cast("string").alias("doc_id"), "toxic"))
+    assert sum(x.predicted == marks[int(x.doc_id)] for x in again.collect() if int(x.doc_id) < 500) > 490
+
+
+def test_toxicity_settings_come_from_the_sample_and_features_are_bounded(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(np.unique(np.array([r.randrange(1000) for _ in range(20)] + [2000 + y] * y, dtype=np.int32)), y) for y in [0, 0, 1] * 100]
+    alpha, l1 = toxicity.choose(rows)
+    assert (alpha, l1) in toxicity.GRID and toxicity.choose(rows[:1]) == toxicity.GRID[-1]
+    least = min(toxicity.GRID, key=lambda s: toxicity.loss(toxicity.fit([x for k, x in enumerate(rows) if k % 4], *s), rows[::4]))
+    assert (alpha, l1) == least
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *s: seen.append(rows) or toxicity.Model(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32), 0.0))
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 100)
+    d = docs(spark, ["a b c d e f"] * 50)  # 15 features each
+    toxicity.train(d, spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int"))
+    assert sum(len(x) for x, _ in seen[-1]) == 90 and toxicity.features(b"a b c d e f").size == 15
 
 
 # --- personal data -----------------------------------------------------------------------------
@@ -216,6 +235,19 @@ def test_pii_scan_of_odd_texts(spark):
     assert sum(x.n_email for x in got) == 1
 
 
+def test_pii_of_long_texts_takes_linear_time():
+    forest = pii.model()
+    for unit in ("1", "1.", "a@", "+1 ", "at ", "1-2 ", "4111 1111 1111 1111 ", "10.0.0.1 ", "a at b dot com ", "é"):
+        text = unit * (1_000_000 // len(unit))
+        began = time.time()
+        base, every = pii.find(text, forest)
+        assert set(base) <= set(every) and time.time() - began < 20, unit
+        short = unit * 300
+        assert pii.base_spans(short) == plain_spans(short)
+    spans, taken = [(5, 0, 9), (9, 1, 12), (20, 0, 30)], [(0, 5), (11, 13), (3, 4)]
+    assert pii.free(spans, taken) == [(5, 0, 9), (20, 0, 30)] and pii.free(spans, []) == spans
+
+
 # --- secrets --------------------------------------------------------------------------------------
 
 
@@ -290,6 +322,31 @@ def test_secret_scan_and_redaction(spark):
     assert clean[len(TEXTS)] == 'é [SECRET]" then [SECRET]' and [clean[k] for k in range(len(TEXTS))] == TEXTS
 
 
+def test_sealed_key_blocks_need_structure():
+    block = lambda head, body: f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,%s\n\n" % ("0A" * 16)
+    found = lambda t: [k for _, k, _ in secrets.find(t)[1]]
+    assert found(block(head, b64(bytes(range(64))))) == [4]
+    assert found(block(head, b64(bytes(range(63))))) == [] and found(block("Proc-Type: 4,ENCRYPTED\n", b64(bytes(range(64))))) == []
+    assert found(block("Proc-Type: none\n", "short text only")) == []
+
+
+def test_short_tokens_need_nothing_else_in_the_text():
+    token = ".".join([url(b'{"alg":"none"}'), url(b"{}").ljust(4, "A")[:4], ""])
+    token = url(b'{"alg":"none"}') + "." + url(b'{"a":1}') + "."
+    assert len(token) == 31
+    for t in (token, token + " " + "x" * 40, "see " + token + " end"):
+        assert [k for _, k, _ in secrets.find(t)[1]] == [3], t
+
+
+def test_secrets_of_long_texts_take_linear_time():
+    for unit in ("-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN " + "A" * 50, "a", "=", "token=", "AKIA", "e.", "eyJh.", "-----END RSA PRIVATE KEY-----", "0", "\\n", "ab "):
+        text = unit * (1_000_000 // len(unit))
+        began = time.time()
+        base, every = secrets.find(text)
+        assert set(base) <= set(every) and time.time() - began < 10, unit
+
+
 # --- language model -------------------------------------------------------------------------------
 
 
@@ -380,13 +437,34 @@ def test_leaks_are_found_wherever_they_stand(spark, monkeypatch):
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
     want = {(len(ODD) + 60 + k, k) for k in range(12)} | {(len(ODD) + 72, 5), (len(ODD) + 72, 6)}
     assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, texts), bench).collect()} == want
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 7)
-    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, texts), bench).collect()} == want
+    whole = {(x.doc_id, x.item_id): x.score for x in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 200)  # six or seven items an index, three indexes a pass: the same rows and scores
+    monkeypatch.setattr(decontaminate, "SHARDS_A_PASS", 3)
+    parts = {(x.doc_id, x.item_id): x.score for x in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert set(parts) == want and all(parts[k] == pytest.approx(whole[k]) for k in want)
     assert decontaminate.leaks(docs(spark, texts), bench.where("false")).count() == 0
     half = spark.createDataFrame([(0, " ".join(items[3].split()[:12]))], "doc_id long, text string")
     assert decontaminate.leaks(half, bench).count() == 0  # a question without its answer
 
 
+def test_short_items_match_whole(spark):
+    items = [(1, "What is the capital of France? Paris."), (2, "Blue whale"), (3, "zebra"), (4, "..."), (5, "Blue whale"), (6, "a b c d e f g h. i j k")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["x " * 70 + "what is the capital of france -- paris", "what is the capital of Spain? Paris", "a blue big whale", "the BLUE\nwhale sings", "a zebra", "zebras", "e f g h i j k a b c d"]
+    got = sorted((x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, texts), bench).collect())
+    assert got == [(0, 1), (3, 2), (3, 5), (4, 3)]  # equal items are reported each
+
+
+def test_leaks_in_long_texts_and_with_other_ids(spark):
+    items, noise = passages(1, 6, 30), passages(4, 600, 50)
+    text = " ".join([*noise[:300], items[1], *noise[300:], items[4]])  # 30,060 words, well over 256 strides
+    d = spark.createDataFrame([("a", text, 1), (None, items[2], 2), ("b", None, 3)], "doc_id string, text string, item_id int")
+    bench = spark.createDataFrame([(str(k), t, "x") for k, t in enumerate(items)] + [("1", items[1], "y"), (None, items[5], "z")], "item_id string, text string, score string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(d, bench).collect()} == {("a", "1"), ("a", "4"), (None, "2")}
+    plain = decontaminate.Index(list(enumerate(items))).search(decontaminate.words_of(text.encode()))
+    assert set(plain) == {1, 4}
+
+
 # --- rollups ------------------------------------------------------------------------------------
 
 
@@ -404,11 +482,39 @@ def test_rollup_deltas_and_repeats(spark, tmp_path):
     assert store.apply("b4", change([("insert", 2, "a", "en", "v1", 6, 0)])) and totals()[("a", "en", "v1")] == (2, 7)
 
 
+def test_rollup_snapshots_and_taken_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rollup, "SNAPSHOT", 2)
+    store = rollup.Rollup(spark, f"file://{tmp_path}/s")
+    change = lambda rows: spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, tokenizer string, tokens long, at int")
+    totals = lambda: {r.source: (r.docs, r.tokens) for r in store.totals().collect()}
+    for k in range(5):
+        store.apply(f"b{k}", change([("insert", k, "a", "en", "v", 10 + k, 0), ("delete", k - 2, "a", "en", "v", 0, 0), ("revise", 3, "c", "en", "v", k, 0)]))
+    assert totals() == {"a": (1, 14), "c": (1, 4)}  # 0, 1 and 2 deleted again, 3 revised to c, 4 inserted
+    assert sorted((r.doc_id, r.tokens) for r in store.ledger().where("alive").collect()) == [(3, 4), (4, 14)]
+    assert store._fs.createNewFile(store._hadoop(store._claim(5)))  # another writer is about to commit
+    with pytest.raises(RuntimeError, match="apply batch late again"):
+        store.apply("late", change([("insert", 9, "a", "en", "v", 1, 0)]))
+    assert len(store.batches()) == 5 and totals()["a"] == (1, 14)
+    store.release(5)
+    assert store.apply("late", change([("insert", 9, "a", "en", "v", 1, 0)])) and totals()["a"] == (2, 15)
+
+
 def test_corpus_totals(spark, tmp_path):
-    texts = ["One two | three.", "One two | three.", None, "", "x" * 100, "été 42 fois"]
-    got = {r.tokenizer: (r.docs, r.tokens) for r in rollup.corpus_totals(docs(spark, texts), rollup.Rollup(spark, f"file://{tmp_path}/c")).collect()}
-    distinct = ["One two | three.", "", "x" * 100, "été 42 fois"]
-    assert got == {"words/1": (4, 3 + 0 + 1 + 3), "words/2": (4, 3 + 0 + 1 + 3), "bytes/1": (4, sum(len(t.encode()) for t in distinct))}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = [*TEXTS, "One two | three.", "One two | three.", None, "", "été 42 fois", "<|endoftext|> a"]
+    df = docs(spark, texts)
+    df = df.withColumns({"source": (df.doc_id % 3).cast("string"), "body": df.text})  # an extra column of a name used inside
+    got = {(r.source, r.tokenizer): (r.docs, r.tokens) for r in rollup.corpus_totals(df, rollup.Rollup(spark, f"file://{tmp_path}/c"), tokenizer_path()).collect()}
+    first, want = {}, Counter()
+    for k, x in enumerate(texts):
+        if first.setdefault(x or "", k) == k:
+            for name, n in (("byte_bpe_50k/1", len(t.encode(x or "", add_special_tokens=False).ids)), ("bytes/1", len((x or "").encode()))):
+                want[str(k % 3), name, "docs"] += 1
+                want[str(k % 3), name, "tokens"] += n
+    assert got == {k: (want[(*k, "docs")], want[(*k, "tokens")]) for k in got} and len(got) == 6
+    assert rollup.corpus_totals(df.where("false"), rollup.Rollup(spark, f"file://{tmp_path}/e"), tokenizer_path()).count() == 0
 
 
 # --- archives ------------------------------------------------------------------------------------

@@ -43,12 +43,29 @@ def test_links_equal_brute_force(spark, monkeypatch, chunk):
 
 def test_odd_vectors_link_with_nothing(spark):
     rows = [(0, [1, 0, 0, 0]), (1, [2, 0, 0, 0]), (2, [0, 0, 0, 0]), (3, None), (4, [1, None, 0, 0]), (5, [float("nan"), 0, 0, 0]), (6, [1, 0]), (7, [float("inf"), 0, 0, 0]), (None, [1, 0, 0, 0]), (8, [0, 1, 0, 0]), (8, [0, 1, 0, 0])]
+    rows += [(20, [1, 0]), (21, [-1, 0]), (22, [3]), (23, [0.5]), (24, [-2]), (25, [])]  # each length among itself
     got = near(spark, rows)
     assert got[0] == (1, 0, True) and got[1] == (1, 0, False) and got[8] == (0, 8, True)
-    assert all(got[i] == (0, i, True) for i in (2, 3, 4, 5, 6, 7)) and got[None] == (0, None, True)
+    assert got[6] == (1, 6, True) and got[20] == (1, 6, False) and got[22] == (1, 22, True) and got[23] == (1, 22, False)
+    assert all(got[i] == (0, i, True) for i in (2, 3, 4, 5, 7, 21, 24, 25)) and got[None] == (0, None, True)
     assert near(spark, [(1, None)]) == {1: (0, 1, True)} and near(spark, []) == {}
 
 
+@pytest.mark.parametrize("width", [16, 64])
+def test_recall_of_links_at_the_threshold(width):
+    """Links that start at the threshold's cosine, of vectors outside of the fit, over a grid as for millions of rows."""
+    r = np.random.default_rng(width)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    grid = multi_index.Grid(unit(r.normal(size=(8_192, width))), 512, 0.95)
+    x = unit(r.normal(size=(2_000, width)))
+    noise = r.normal(size=x.shape)
+    noise = unit(noise - (noise * x).sum(1)[:, None] * x)
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * noise
+    home = lambda v: grid.cells(v)[:, :1]
+    found = (grid.cells(x) == home(y)).any(1) | (grid.cells(y) == home(x)).any(1)
+    assert found.mean() >= 0.95
+
+
 def words(r, n):
     return " ".join("".join(r.choice(list("abcdefgh"), 4)) for _ in range(n))
 
