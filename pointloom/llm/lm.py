@@ -1,27 +1,28 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a smoothed bigram model in backoff form. Its automaton has a state for every
-word, the end of a text included, and an arc for every pair of words seen ``ARC_MIN`` times or
-more in training, with the discounted log-probability; where a state has no arc for a word, its
-failure arc leads to the empty state with a backoff weight, and the empty state has arcs
-for all words, with their additively smoothed probability. So the probabilities of every
-state sum to one over the words seen in training and one unseen class. States and arcs grow
-with the corpus and are never in one place: each block of texts gets the counts, arcs and
-sums for the backoff weights of its own words by joins.
+The model is a smoothed trigram model in backoff form. Its automaton has the empty state, a state for every
+word seen ``ARC_MIN`` times or more in training, the end of a text included, and a state for every pair of such
+words that was seen as often. A state has an arc for every word that followed it ``ARC_MIN`` times or more,
+with the discounted log-probability, and a failure arc with a backoff weight to the state of its last word, or
+from there to the empty state, which has arcs for all words, with their additively smoothed probability. So the
+probabilities of every state sum to one over the words seen in training and one unseen class. States and arcs
+grow with the corpus and are never in one place: each block of texts gets the counts, arcs and sums for
+the backoff weights of its own states by joins.
 
 1. Texts become sequences of word numbers in blocks of about ``BLOCK_TOKENS`` tokens, each with
    a word list of its own; sequences and lists are written to the shared folder.
 2. One shuffle of the lists by word adds up training counts over the whole corpus and
    gives every block the counts of its words and their numbers in the corpus.
-3. Blocks deal their distinct pairs, packed, to buckets by pair, which add up the counts and
-   return the arcs; pairs of a word seen less than ``ARC_MIN`` times can't be arcs and stay. The
-   arcs' sums for each first word go to buckets by word and from there to all blocks that have it.
-4. Each block, with all that, reads its texts from left to right and adds up log-probabilities.
+3. For pairs, and then for triples whose two pairs are arcs: blocks deal what follows each of their states, packed,
+   to buckets by state, which add up the counts and return the arcs, and their sums for each state. What follows a very
+   frequent state is dealt to several buckets, and the sums meet in a bucket of their own. An n-gram with a part that is
+   no arc can't be an arc itself and stays.
+4. Each block, with all that, reads its texts from left to right, carries the state, and adds up log-probabilities.
 
 Defined results: a null or empty text is one end token; texts without any training text
 (N = 0) score on the unseen class; repeated rows are scored each; null ids belong to the
-training part unless crc32 of the empty text says otherwise; an empty table gives an
-empty result; columns other than id and text are not read.
+training part unless crc32 of the empty text says otherwise; ids keep their type; an empty table gives an
+empty result; columns other than id and text are not read. Pairs are known by 64 mixed bits of their words' numbers.
 """
 
 from __future__ import annotations
@@ -31,25 +32,26 @@ import gc
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import drop_path, materialise, scratch_path
 from .common import arrow_limits, crc32_text
 
 #: Tokens after which a block of texts is closed.
-BLOCK_TOKENS = 2_500_000
-#: Tokens for each bucket of pairs; there are as many buckets as the corpus needs.
-BUCKET_TOKENS = 2_000_000
-#: Occurrences of a word for each bucket that its pairs are dealt to.
+BLOCK_TOKENS = 1_250_000
+#: Tokens for each bucket of what follows states; there are as many buckets as the corpus needs.
+BUCKET_TOKENS = 1_500_000
+#: Occurrences of a state for each bucket that what follows it is dealt to.
 SPREAD = 200_000
-#: Training occurrences from which on a pair is an arc.
+#: Training occurrences from which on an n-gram is an arc.
 ARC_MIN = 2
-#: Additive smoothing of words and absolute discount of pairs.
+#: Additive smoothing of words and absolute discount of arcs.
 ADD, DISCOUNT = 0.1, 0.5
 #: The end token, which no word equals.
 END = b""
 
 
-def _blocks(folds: int):
+def _blocks(folds: int, id_type: pa.DataType):
     """Texts to word numbers and word lists, block by block."""
 
     def run(batches):
@@ -57,7 +59,7 @@ def _blocks(folds: int):
 
         part, k = TaskContext.get().partitionId(), 0
         names = ["kind", "block", "doc_id", "held_out", "n_tokens", "seq", "word", "local", "n"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+        kinds = [pa.int32(), pa.int64(), id_type, pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
         def rows(kind: int, count: int, **given):
             cols = [pa.array([kind] * count, pa.int32()), pa.array([part << 19 | k] * count, pa.int64())]
@@ -101,11 +103,14 @@ def _blocks(folds: int):
 
 
 PACKED = "block long, locals binary, counts binary, words binary, distinct long"
-#: What blocks, buckets of pairs and buckets of words send to each other.
-PACKET = "kind int, bucket long, block long, doc_id long, held_out boolean, n_tokens long, a binary, b binary, c binary, d binary, e binary"
-PACKET_TYPES = {x.split()[0]: {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in PACKET.split(", ")}
-#: Kinds of packets: texts, counted words, pairs to buckets, words to buckets, arcs to blocks, sums to buckets, sums to blocks.
-TEXT, WORDS, PAIRS, OWN, ARCS, PARTS, SUMS = range(7)
+#: What blocks and buckets send to each other; ``ID`` stands for the type of the ids.
+PACKET = "kind int, bucket long, block long, doc_id ID, held_out boolean, n_tokens long, a binary, b binary, c binary, d binary, e binary"
+#: Kinds of packets: texts and counted words; what follows states, of frequent states, and requests for their sums;
+#: arcs to blocks, parts of sums to buckets, sums to blocks. Those to blocks count on by ``LEVEL`` for triples.
+TEXT, WORDS, FOLLOW, SPREAD_OUT, ASK, ARCS, PARTS, SUMS = range(8)
+LEVEL = 10
+#: What stands for no word.
+NOTHING = 0xFFFFFFFF
 
 
 def _pack(batches):
@@ -134,9 +139,10 @@ def _pack(batches):
         yield from flush(held)
 
 
-def _packets(rows: list[dict]) -> pa.Table:
+def _packets(rows: list[dict], id_type: pa.DataType) -> pa.Table:
     pa.default_memory_pool().release_unused()
-    return pa.table({n: pa.array([r.get(n) for r in rows], t) for n, t in PACKET_TYPES.items()})
+    types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "ID": id_type}
+    return pa.table({n: pa.array([r.get(n) for r in rows], types[t]) for n, t in (x.split() for x in PACKET.split(", "))})
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -170,17 +176,51 @@ def _of_kind(t: pa.Table, kind: int) -> pa.Table:
     return t.filter(pa.array(t.column("kind").to_numpy() == kind))
 
 
+def _mixed(number: np.ndarray) -> np.ndarray:
+    x = number.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def _dealt(number: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, rows) of numbers mixed over the buckets."""
-    mixed = number.astype(np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    bucket = ((_mixed(number) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return [(int(bucket[rows[0]]), rows) for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(rows)]
 
 
+def _up(x: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as steps."""
+    return _bytes(np.diff(x.astype(np.int32), prepend=np.int32(0)))
+
+
+class _Level:
+    """What follows the states of a block: distinct (state, word) codes, ascending, and the place of each position's code.
+
+    A state that no open word follows has a code with ``NOTHING``, so that its sums come back, too.
+    """
+
+    def __init__(self, position: np.ndarray, state: np.ndarray, word: np.ndarray, is_open: np.ndarray):
+        self.position, self.open = position, is_open
+        code = state.astype(np.int64) << 32
+        code |= np.where(is_open, word.astype(np.int64), NOTHING)
+        order = np.argsort(code)
+        code = code[order]
+        new = np.diff(code, prepend=np.int64(-1)) != 0
+        codes = code[new]
+        del code
+        alone = (codes & NOTHING) == NOTHING
+        idle = alone & np.r_[False, codes[1:] >> 32 == codes[:-1] >> 32]
+        self.codes = codes[~idle]
+        place = (np.cumsum(~idle, dtype=np.int32) - np.int32(1))[np.cumsum(new, dtype=np.int32) - np.int32(1)]
+        self.at = np.empty(len(order), dtype=np.int32)
+        self.at[order] = place
+        self.state, self.word = self.codes >> 32, self.codes & NOTHING
+        self.known = self.word != NOTHING
+
+
 class _Block:
-    """A block's texts and words: sequences, counts and corpus numbers, and its distinct pairs that may be arcs."""
+    """A block's texts and words: sequences, counts and corpus numbers."""
 
     def __init__(self, t: pa.Table):
         words, self.texts = _of_kind(t, WORDS), _of_kind(t, TEXT)
@@ -190,116 +230,196 @@ class _Block:
         seqs = _arrays(self.texts, "a", np.int32)
         self.bounds = np.cumsum([0, *map(len, seqs)])
         self.seq = np.concatenate(seqs)
-        del seqs
         self.before = np.empty_like(self.seq)
         self.before[1:] = self.seq[:-1]
         self.before[self.bounds[:-1]] = self.seq[-1]  # each text ends with the end token, and starts after one
+
+    def held(self) -> np.ndarray:
+        return np.repeat(self.texts.column("held_out").to_numpy(), np.diff(self.bounds))
+
+    def pairs(self) -> _Level:
+        """Words that are states, and what follows them."""
         often = self.c >= ARC_MIN
-        self.open = np.flatnonzero(often[self.before] & often[self.seq]).astype(np.int32)
-        code = self.before[self.open].astype(np.int64)
-        code <<= 32
-        code |= self.seq[self.open]
-        order = np.argsort(code)
-        code = code[order]
-        new = np.diff(code, prepend=np.int64(-1)) != 0
-        self.pairs = code[new]
-        del code
-        self.at = np.empty(len(order), dtype=np.int32)
-        self.at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        position = np.flatnonzero(often[self.before]).astype(np.int32)
+        word = self.seq[position]
+        return _Level(position, self.before[position], word, often[word])
 
+    def triples(self, pairs: _Level, n: np.ndarray) -> _Level:
+        """Pairs that are states (``n``: counts of the pairs that are arcs, else 0), and what follows them."""
+        arc = np.full(len(self.seq), -1, dtype=np.int32)
+        hit = pairs.open & (n[pairs.at] > 0)
+        arc[pairs.position[hit]] = pairs.at[hit]
+        state = np.empty_like(arc)
+        state[1:] = arc[:-1]
+        state[self.bounds[:-1]] = -1  # the first word of a text follows the end token only
+        position = np.flatnonzero(state >= 0).astype(np.int32)
+        return _Level(position, state[position], self.seq[position], arc[position] >= 0)
+
+
+def _counts(t: pa.Table, kind: int, size: int) -> np.ndarray:
+    """The counts of a level's arcs by code, 0 for what is none."""
+    arcs = _of_kind(t, kind)
+    n = np.zeros(size, dtype=np.int64)
+    n[np.concatenate([np.zeros(0, dtype=np.int32), *_steps(arcs, "a")])] = _joined(arcs, "b", np.int64)
+    return n
+
+
+def _deal(level: int, buckets: int, id_type: pa.DataType):
+    """What follows the states of a block, packed for the buckets."""
 
-def _deal(buckets: int):
     def run(t: pa.Table) -> pa.Table:
         x, block = _Block(t), t.column("block")[0].as_py()
-        held = np.repeat(x.texts.column("held_out").to_numpy(), np.diff(x.bounds))
-        n = np.bincount(x.at, ~held[x.open], len(x.pairs)).astype(np.int32)
-        first, second = x.pairs >> 32, x.pairs & 0xFFFFFFFF
-        v, w, cw = x.word[first], x.word[second], x.c[second]
-        x.seq = x.before = x.open = x.at = held = None
+        held, pairs = x.held(), x.pairs()
+        if level == 1:
+            now, total = pairs, x.c[pairs.state]
+            state = x.word[pairs.state]
+            lower = np.where(pairs.known, x.c[np.where(pairs.known, pairs.word, 0)], 0)
+        else:
+            n = _counts(t, ARCS, len(pairs.codes))
+            now = x.triples(pairs, n)
+            total = n[now.state]
+            first, second = (x.word[k] for k in (pairs.state[now.state], pairs.word[now.state]))
+            state = (_mixed(_mixed(first) + second.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            # the count of the pair that the triple ends with
+            code = (pairs.word[now.state] << 32) | now.word
+            at = np.minimum(np.searchsorted(pairs.codes, code), max(len(pairs.codes) - 1, 0))
+            lower = np.where(now.known, n[at] if len(n) else 0, 0)
+        seen = np.bincount(now.at[now.open], ~held[now.position[now.open]], len(now.codes)).astype(np.int32)
+        word = np.where(now.known, x.word[np.where(now.known, now.word, 0)], -1)
+        del x, held, pairs
+        several = 1 + total // SPREAD
         rows = []
-        # the pairs of a first word share a bucket, which packs well; those of frequent ones are dealt over several
-        several = 1 + x.c[first] // SPREAD
-        for bucket, r in _dealt(v * 31 + w % several, buckets):
-            rows.append({"kind": PAIRS, "bucket": bucket, "block": block, "a": _bytes(np.diff(r.astype(np.int32), prepend=np.int32(0))), "b": _bytes(np.diff(v[r], prepend=np.int64(0))), "c": _bytes(w[r]), "d": _bytes(n[r]), "e": _bytes(cw[r])})
-        own = np.unique(first)
-        for bucket, r in _dealt(x.word[own], buckets):
-            rows.append({"kind": OWN, "bucket": bucket, "block": block, "a": _bytes(np.diff(own[r].astype(np.int32), prepend=np.int32(0))), "b": _bytes(x.word[own[r]])})
-        return _packets(rows)
+
+        def send(kind: int, of: np.ndarray, number: np.ndarray, whole: bool):
+            for bucket, r in _dealt(number, buckets) if len(of) else ():
+                k = of[r]
+                row = {"kind": kind, "bucket": bucket, "block": block, "a": _up(k), "b": _bytes(np.diff(state[k], prepend=np.int64(0)))}
+                rows.append(row | ({"c": _bytes(word[k]), "d": _bytes(seen[k]), "e": _bytes(lower[k])} if whole else {}))
+
+        send(FOLLOW, of := np.flatnonzero(several == 1), state[of], True)
+        of = np.flatnonzero(several > 1)
+        send(ASK, asked := of[np.diff(now.state[of], prepend=np.int64(-1)) != 0], state[asked], False)
+        of = of[now.known[of]]
+        send(SPREAD_OUT, of, state[of] * 31 + word[of] % several[of] + 1, True)
+        return _packets(rows, id_type)
 
     return run
 
 
-def _add_pairs(buckets: int):
-    """Counts of a bucket's pairs over all blocks: arcs to the blocks, and their sums by first word."""
+def _add(level: int, buckets: int, id_type: pa.DataType):
+    """Counts of a bucket over all blocks: arcs to the blocks, and sums for each state, or their parts for frequent ones."""
+    to_block = LEVEL * (level - 1)
 
     def run(t: pa.Table) -> pa.Table:
-        v = np.concatenate([np.cumsum(a) for a in _arrays(t, "b", np.int64)])
-        w, n, cw = (_joined(t, c, k) for c, k in zip("cde", (np.int64, np.int32, np.int64), strict=True))
-        order = np.lexsort((w, v))
-        new = np.r_[True, (np.diff(v[order]) != 0) | (np.diff(w[order]) != 0)]
-        starts = np.flatnonzero(new)
-        total = np.add.reduceat(n[order].astype(np.int64), starts)
-        mine = np.empty(len(v), dtype=np.int64)
-        mine[order] = total[np.cumsum(new) - 1]
-        rows, at = [], 0
-        for block, pos in zip(t.column("block").to_pylist(), _steps(t, "a"), strict=True):
-            got = mine[at : at + len(pos)]
-            at += len(pos)
-            arc = got >= ARC_MIN
-            if arc.any():
-                rows.append({"kind": ARCS, "block": block, "a": _bytes(np.diff(pos[arc], prepend=np.int32(0))), "b": _bytes(got[arc])})
-        arc = total >= ARC_MIN
-        kept = order[starts[arc]]
-        if len(kept):
-            by = np.r_[0, np.flatnonzero(np.diff(v[kept])) + 1]
-            words, sums = v[kept][by], [np.add.reduceat(y, by) for y in (total[arc], np.ones(len(kept), dtype=np.int64), cw[kept])]
-            for bucket, r in _dealt(words, buckets):
-                rows.append({"kind": PARTS, "bucket": bucket, **{c: _bytes(y[r]) for c, y in zip("bcde", (words, *sums), strict=True)}})
-        return _packets(rows)
+        rows = []
+        for kind in (FOLLOW, SPREAD_OUT):
+            got = _of_kind(t, kind)
+            if not got.num_rows:
+                continue
+            state = np.concatenate([np.cumsum(a) for a in _arrays(got, "b", np.int64)])
+            word, n, lower = (_joined(got, c, k) for c, k in zip("cde", (np.int64, np.int32, np.int64), strict=True))
+            order = np.lexsort((word, state))
+            starts = np.flatnonzero(np.r_[True, (np.diff(state[order]) != 0) | (np.diff(word[order]) != 0)])
+            total = np.add.reduceat(n[order].astype(np.int64), starts)
+            first = order[starts]
+            arc = (total >= ARC_MIN) & (word[first] >= 0)
+            mine = np.zeros(len(state), dtype=np.int64)
+            mine[order] = np.repeat(np.where(arc, total, 0), np.diff(np.r_[starts, len(order)]))
+            # sums over the arcs of each state that has any
+            kept = state[first[arc]]
+            by = np.r_[0, np.flatnonzero(np.diff(kept)) + 1] if len(kept) else np.zeros(0, dtype=np.int64)
+            states = kept[by]
+            sums = [np.add.reduceat(y, by) if len(by) else y[:0] for y in (total[arc], np.ones(len(kept), dtype=np.int64), lower[first[arc]])]
+            if kind == SPREAD_OUT:
+                rows += [{"kind": PARTS, "bucket": bucket, **{c: _bytes(y[r]) for c, y in zip("bcde", (states, *sums), strict=True)}} for bucket, r in (_dealt(states, buckets) if len(states) else ())]
+            low = 0
+            for block, pos in zip(got.column("block").to_pylist(), _steps(got, "a"), strict=True):
+                here = slice(low, low + len(pos))
+                low += len(pos)
+                hit = mine[here] > 0
+                if hit.any():
+                    rows.append({"kind": ARCS + to_block, "block": block, "a": _up(pos[hit]), "b": _bytes(mine[here][hit])})
+                if kind == FOLLOW and len(states):
+                    rows += _sums_for(block, pos, state[here], states, sums, SUMS + to_block)
+        asked = _of_kind(t, ASK)
+        rows += [{"kind": ASK, "bucket": u, "block": b, "a": p, "b": q} for u, b, p, q in zip(*(asked.column(c).to_pylist() for c in ("bucket", "block", "a", "b")), strict=True)]
+        return _packets(rows, id_type)
 
     return run
 
 
-def _add_sums(t: pa.Table) -> pa.Table:
-    """Sums of a bucket's first words over all buckets of pairs, to the blocks that have the words."""
-    parts, own = _of_kind(t, PARTS), _of_kind(t, OWN)
-    words, at = np.unique(_joined(parts, "b", np.int64), return_inverse=True)
-    sums = np.zeros((3, len(words)), dtype=np.int64)
-    for k, c in enumerate("cde"):
-        np.add.at(sums[k], at, _joined(parts, c, np.int64))
-    rows = []
-    for block, local, word in zip(own.column("block").to_pylist(), _steps(own, "a"), _arrays(own, "b", np.int64), strict=True):
-        k = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
-        hit = words[k] == word if len(words) else np.zeros(len(word), dtype=bool)
-        if hit.any():
-            rows.append({"kind": SUMS, "block": block, "a": _bytes(np.diff(local[hit], prepend=np.int32(0))), **{c: _bytes(sums[j][k[hit]]) for j, c in enumerate("bcd")}})
-    return _packets(rows)
+def _sums_for(block: int, pos: np.ndarray, state: np.ndarray, states: np.ndarray, sums: list[np.ndarray], kind: int) -> list[dict]:
+    """A packet with the sums of a block's states, at the first place of each."""
+    new = np.diff(state, prepend=state[0] - 1) != 0 if len(state) else np.zeros(0, dtype=bool)
+    pos, state = pos[new], state[new]
+    k = np.minimum(np.searchsorted(states, state), len(states) - 1)
+    hit = states[k] == state
+    return [{"kind": kind, "block": block, "a": _up(pos[hit]), **{c: _bytes(y[k[hit]]) for c, y in zip("bcd", sums, strict=True)}}] if hit.any() else []
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _add_parts(level: int, id_type: pa.DataType):
+    """Sums of frequent states over all their buckets, to the blocks that asked."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts, asked = _of_kind(t, PARTS), _of_kind(t, ASK)
+        states, at = np.unique(_joined(parts, "b", np.int64), return_inverse=True)
+        sums = np.zeros((3, len(states)), dtype=np.int64)
+        for k, c in enumerate("cde"):
+            np.add.at(sums[k], at, _joined(parts, c, np.int64))
+        rows = []
+        for block, pos, state in zip(asked.column("block").to_pylist(), _steps(asked, "a"), _arrays(asked, "b", np.int64), strict=True):
+            if len(states):
+                rows += _sums_for(block, pos, np.cumsum(state), states, list(sums), SUMS + LEVEL * (level - 1))
+        return _packets(rows, id_type)
+
+    return run
+
+
+SCORED = "doc_id ID, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _traverse(total: int, distinct: int):
     z = total + ADD * (distinct + 1)
 
+    def backoff(t: pa.Table, level: _Level, kind: int, seen: np.ndarray, below) -> np.ndarray:
+        """The weight of the failure arc of each state: what its arcs leave, over what they leave to the state below.
+
+        ``seen``: occurrences by state; ``below``: the probability of the arcs' words below, from their sums and states.
+        """
+        given = _of_kind(t, kind)
+        n, k, low = (_joined(given, c, np.int64) for c in "bcd")
+        state = level.state[np.concatenate([np.zeros(0, dtype=np.int32), *_steps(given, "a")])]
+        out = np.zeros(len(seen))
+        out[state] = np.log10((1 - (n - DISCOUNT * k) / seen[state]) / (1 - below(low, k, state)))
+        return out
+
     def run(t: pa.Table) -> pa.Table:
         x = _Block(t)
-        sums, arcs = _of_kind(t, SUMS), _of_kind(t, ARCS)
-        back, counts = np.zeros(len(x.c)), np.zeros(len(x.pairs), dtype=np.int64)
-        n, k, cw = (_joined(sums, c, np.int64) for c in "bcd")
-        local = np.concatenate([np.zeros(0, dtype=np.int32), *_steps(sums, "a")])
-        back[local] = np.log10((1 - (n - DISCOUNT * k) / x.c[local]) / (1 - (cw + ADD * k) / z))
-        counts[np.concatenate([np.zeros(0, dtype=np.int32), *_steps(arcs, "a")])] = _joined(arcs, "b", np.int64)
         term = np.log10(x.c + ADD)
         log_z = float(np.log10(z))
-        weight = back[x.before]
-        weight += term[x.seq]
+        pairs = x.pairs()
+        n = _counts(t, ARCS, len(pairs.codes))
+        back = backoff(t, pairs, SUMS, x.c, lambda low, k, _: (low + ADD * k) / z)
+        # a word's weight after the last word: by an arc, or by the failure arc and the empty state
+        weight = term[x.seq]
         weight -= log_z
-        arc = counts > 0
-        counts = counts.astype(np.float64)
-        counts[arc] = np.log10((counts[arc] - DISCOUNT) / x.c[x.pairs[arc] >> 32])
-        hit = arc[x.at]
-        weight[x.open[hit]] = counts[x.at[hit]]
+        weight[pairs.position] += back[x.before[pairs.position]]
+        arc = n > 0
+        value = np.zeros(len(n))
+        value[arc] = np.log10((n[arc] - DISCOUNT) / x.c[pairs.state[arc]])
+        hit = pairs.open & arc[pairs.at]
+        weight[pairs.position[hit]] = value[pairs.at[hit]]
+        # and after the last two, where they are a state
+        triples = x.triples(pairs, n)
+        m = _counts(t, ARCS + LEVEL, len(triples.codes))
+        c_last = x.c[np.where(pairs.known, pairs.word, 0)]  # occurrences of the last word of a pair
+        back = backoff(t, triples, SUMS + LEVEL, np.maximum(n, 1), lambda low, k, state: (low - DISCOUNT * k) / c_last[state])
+        weight[triples.position] += back[triples.state[triples.at]]
+        arc = m > 0
+        value = np.zeros(len(m))
+        value[arc] = np.log10((m[arc] - DISCOUNT) / n[triples.state[arc]])
+        hit = triples.open & arc[triples.at]
+        weight[triples.position[hit]] = value[triples.at[hit]]
         spans = list(zip(x.bounds[:-1], x.bounds[1:], strict=True))
         return pa.table({
             "doc_id": x.texts.column("doc_id"), "held_out": x.texts.column("held_out"), "n_tokens": x.texts.column("n_tokens"),
@@ -316,14 +436,19 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     spark = df.sparkSession
     arrow_limits(spark)
     path = scratch_path(spark, "lm-blocks")
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "kind int, block long, doc_id long, held_out boolean, n_tokens long, seq binary, word binary, local int, n long"
-    texts.mapInArrow(_blocks(folds), schema).write.partitionBy("kind").parquet(path)
+    kind_of_id = df.schema[id_col].dataType
+    id_name, id_type = kind_of_id.simpleString(), to_arrow_type(kind_of_id)
+    packet = PACKET.replace("ID", id_name)
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    schema = f"kind int, block long, doc_id {id_name}, held_out boolean, n_tokens long, seq binary, word binary, local int, n long"
+    texts.mapInArrow(_blocks(folds, id_type), schema).write.partitionBy("kind").parquet(path)
     blocks = spark.read.schema(schema).parquet(path)
     docs = blocks.where("kind = 0").select("block", "doc_id", "held_out", "n_tokens", "seq")
     lists = blocks.where("kind = 1").select("block", "word", "local", "n")
     seen = docs.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("train"), F.sum("n_tokens").alias("every")).first()
     total, buckets = seen.train or 0, 1 + (seen.every or 0) // BUCKET_TOKENS
+    #: Tasks for blocks and for buckets: so many that few hold two.
+    tasks = 4 * (1 + (seen.every or 0) // BLOCK_TOKENS)
 
     by_word = Window.partitionBy("word")
     rows = (
@@ -339,17 +464,21 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
     def packets(given: DataFrame, kind: int, **columns: str) -> DataFrame:
         cols = {"block": "block", **columns}
-        return given.select(*[(F.lit(kind) if n == "kind" else F.col(cols[n]) if n in cols else F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in PACKET.split(", "))])
+        return given.select(*[(F.lit(kind) if n == "kind" else F.col(cols[n]) if n in cols else F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in packet.split(", "))])
+
+    def by(given: DataFrame, key: str, run, out: str = packet) -> DataFrame:
+        return given.repartition(tasks, key).groupBy(key).applyInArrow(run, out)
 
     own = packets(docs, TEXT, doc_id="doc_id", held_out="held_out", n_tokens="n_tokens", a="seq").unionByName(packets(counted, WORDS, a="locals", b="counts", c="words"))
-    dealt = _written(own.groupBy("block").applyInArrow(_deal(buckets), PACKET), "lm-pairs")
-    _release(spark)
-    added = _written(dealt.where(F.col("kind") == PAIRS).groupBy("bucket").applyInArrow(_add_pairs(buckets), PACKET), "lm-arcs")
-    drop_path(spark, f"{dealt._scratch_path}/kind={PAIRS}")
-    _release(spark)
-    sums = dealt.where(F.col("kind") == OWN).unionByName(added.where(F.col("kind") == PARTS)).groupBy("bucket").applyInArrow(_add_sums, PACKET)
-    met = own.unionByName(added.where(F.col("kind") == ARCS)).unionByName(sums)
-    scored = met.groupBy("block").applyInArrow(_traverse(total, distinct), SCORED)
+    known = own  # what the blocks have so far
+    for level in (1, 2):
+        dealt = by(known, "block", _deal(level, buckets, id_type))
+        added = _written(by(dealt, "bucket", _add(level, buckets, id_type)), "lm-arcs")
+        _release(spark)
+        to_block, frequent = F.col("kind") >= ARCS + LEVEL * (level - 1), F.col("kind").isin(ASK, PARTS)
+        sums = by(added.where(frequent), "bucket", _add_parts(level, id_type))
+        known = known.unionByName(added.where(to_block & ~frequent)).unionByName(sums)
+    scored = by(known, "block", _traverse(total, distinct), SCORED.replace("ID", id_name))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

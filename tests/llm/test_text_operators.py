@@ -350,61 +350,82 @@ def test_secrets_of_long_texts_take_linear_time():
 # --- language model -------------------------------------------------------------------------------
 
 
+class Backoff:
+    """The trigram model by plain counting."""
+
+    def __init__(self, texts, ids=None):
+        self.tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [""]
+        self.held = [zlib.crc32(str(k).encode()) % 10 == 0 for k in (ids or range(len(texts)))]
+        train = [["", *self.tok(t)] for t, h in zip(texts, self.held) if not h]
+        self.c = Counter(w for t in train for w in t[1:])
+        self.pairs = Counter(p for t in train for p in zip(t, t[1:]))
+        self.triples = Counter(p for t in train for p in zip(t, t[1:], t[2:]))
+        self.n, self.z = sum(self.c.values()), sum(self.c.values()) + 0.1 * (len(self.c) + 1)
+        self.arcs2, self.arcs3 = {}, {}
+        for (a, w), x in self.pairs.items():
+            if x >= 2:
+                self.arcs2.setdefault(a, {})[w] = x
+        for (a, b, w), x in self.triples.items():
+            if x >= 2:
+                self.arcs3.setdefault((a, b), {})[w] = x
+
+    def p1(self, w):
+        return (self.c[w] + 0.1) / self.z
+
+    def p2(self, a, w):
+        mine = self.arcs2.get(a, {})
+        if w in mine:
+            return (mine[w] - 0.5) / self.c[a]
+        left = 1 - sum((x - 0.5) / self.c[a] for x in mine.values())
+        return self.p1(w) * left / (1 - sum(map(self.p1, mine)))
+
+    def p3(self, a, b, w):
+        if b not in self.arcs2.get(a, {}):
+            return self.p2(b, w)
+        mine, n = self.arcs3.get((a, b), {}), self.arcs2[a][b]
+        if w in mine:
+            return (mine[w] - 0.5) / n
+        left = 1 - sum((x - 0.5) / n for x in mine.values())
+        return self.p2(b, w) * left / (1 - sum(self.p2(b, x) for x in mine))
+
+    def score(self, t):
+        w = ["", *self.tok(t)]
+        return math.log10(self.p2(*w[:2])) + sum(math.log10(self.p3(*x)) for x in zip(w, w[1:], w[2:]))
+
+
+def check_lm(got, model, texts):
+    for k, t in enumerate(texts):
+        w = model.tok(t)
+        assert (got[k].held_out, got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (model.held[k], len(w), sum(x in model.c for x in w), model.n)
+        assert got[k].base_score == pytest.approx(sum(math.log10(model.p1(x)) for x in w))
+        assert got[k].score == pytest.approx(model.score(t)), k
+
+
 def test_lm_counts_and_probabilities(spark):
     r = random.Random(8)
     words = ["w%d" % min(int(r.expovariate(0.3)), 30) for _ in range(6000)]
-    texts = [" ".join(words[k : k + 40]) for k in range(0, 6000, 40)] + [None, "", "Unseen Things w1"]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 6000, 40)] + [None, "", "Unseen Things w1", "once only", "w1 once w2"]
     got = {x.doc_id: x for x in lm.scores(docs(spark, texts)).collect()}
-    tok = lambda t: (t or "").lower().split() + [""]
-    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in got}
-    c = Counter(w for k, t in enumerate(texts) if not held[k] for w in tok(t))
-    n, v = sum(c.values()), len(c)
-    z = n + 0.1 * (v + 1)
-    pairs = Counter(p for k, t in enumerate(texts) if not held[k] for p in zip(["", *tok(t)], tok(t)))
-    state = {w for w in c if c[w] >= 2 or w == ""}
-    arcs = {p: x for p, x in pairs.items() if x >= 2 and p[0] in state and p[1] in state}
-    p1 = lambda w: (c[w] + 0.1) / z
-
-    def p2(a, w):
-        if a not in state:
-            return p1(w)
-        if (a, w) in arcs:
-            return (arcs[a, w] - 0.5) / c[a]
-        mine = [x for x in arcs if x[0] == a]
-        return p1(w) * (1 - sum((arcs[x] - 0.5) / c[a] for x in mine)) / (1 - sum(p1(x[1]) for x in mine))
-
-    for k, t in enumerate(texts):
-        w = tok(t)
-        assert (got[k].held_out, got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (held[k], len(w), sum(x in c for x in w), n)
-        assert got[k].base_score == pytest.approx(sum(math.log10(p1(x)) for x in w))
-        assert got[k].score == pytest.approx(sum(math.log10(p2(a, x)) for a, x in zip(["", *w], w)))
-    for a in list(state)[:5]:
-        assert sum(p2(a, w) for w in c) + p2(a, "never seen") == pytest.approx(1.0)  # each state's probabilities sum to one
+    m = Backoff(texts)
+    check_lm(got, m, texts)
+    seen = [*m.c, "never seen"]
+    for a, b in list(m.arcs3)[:5]:
+        assert sum(m.p3(a, b, w) for w in seen) == pytest.approx(1.0)  # each state's probabilities sum to one
+        assert sum(m.p2(b, w) for w in seen) == pytest.approx(1.0)
     assert lm.scores(docs(spark, TEXTS).where("false")).count() == 0
+    assert {x.doc_id: x.score for x in lm.scores(docs(spark, texts).selectExpr("cast(doc_id as string) doc_id", "text")).collect()} == pytest.approx({str(k): x.score for k, x in got.items()})
 
 
-def test_lm_keeps_rare_pairs_of_a_large_corpus(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", 50_000)
-    if hasattr(lm, "BUCKET_TOKENS"):
-        monkeypatch.setattr(lm, "BUCKET_TOKENS", 40_000)
+@pytest.mark.parametrize("spread", [200_000, 200])
+def test_lm_over_many_blocks_and_buckets(spark, monkeypatch, spread):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 3_000)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 9_000)
+    monkeypatch.setattr(lm, "SPREAD", spread)  # frequent states over several buckets
     r = random.Random(12)
-    words = ["w%d" % min(int(r.expovariate(0.002)), 3000) for _ in range(300_000)]
-    texts = [" ".join(words[k : k + 100]) for k in range(0, 300_000, 100)] + ["rare pair"] * 40
+    words = ["w%d" % min(int(r.expovariate(0.02)), 300) for _ in range(40_000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 40_000, 100)] + ["rare pair"] * 40 + ["rare %d" % k for k in range(60)] + ["a rare pair here"] * 3
     got = {x.doc_id: x for x in lm.scores(docs(spark, texts).repartition(3)).collect()}
-    tok = [t.split() + [""] for t in texts]
-    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k in range(len(texts))]
-    c = Counter(w for t, h in zip(tok, held) if not h for w in t)
-    pairs = Counter(p for t, h in zip(tok, held) if not h for p in zip(["", *t], t))
-    n = sum(c.values())
-    z = n + 0.1 * (len(c) + 1)
-    kept, lower = Counter(), Counter()
-    for (a, w), x in pairs.items():
-        if x >= 2:
-            kept[a] += (x - 0.5) / c[a]
-            lower[a] += (c[w] + 0.1) / z
-    p2 = lambda a, w: (pairs[a, w] - 0.5) / c[a] if pairs[a, w] >= 2 else (c[w] + 0.1) / z * (1 - kept[a]) / (1 - lower[a])
-    for k, t in enumerate(tok):
-        assert got[k].score == pytest.approx(sum(math.log10(p2(a, w)) for a, w in zip(["", *t], t)))
+    check_lm(got, Backoff(texts), texts)
 
 
 # --- benchmark leaks ----------------------------------------------------------------------------
