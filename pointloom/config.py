@@ -60,6 +60,8 @@ class Pairs:
     admit_m: float = 0.12
     admit_after: int = 3
     conflict_run: int = 3
+    width_window: int = 9
+    pose_window: int = 3
     match_m: float = 0.40
     match_gap_m: float = 0.15
 
@@ -84,6 +86,10 @@ class Detector:
     unstable_ratio: float = 2.0
     fit_min: int = 8
     holdout_min: int = 4
+    #: Slope of a plane at most (30 degrees), random triples and their seed.
+    steepest: float = 0.57735026919
+    tries: int = 40
+    seed: int = 4
 
 
 @dataclass(frozen=True)
@@ -115,6 +121,25 @@ class Rule:
     slack: float = 1e-9
 
 
-GROUND, PAIRS, DETECTOR, PROFILE, RULE = Ground(), Pairs(), Detector(), Profile(), Rule()
+@dataclass(frozen=True)
+class Axis:
+    heading: float = 0.15
+    min_span_m: float = 4.0
+
+
+@dataclass(frozen=True)
+class Attachment:
+    """Where a session was attached to a track, and how far a hypothesis may be from it."""
+
+    s_m: float
+    l_m: float
+    support_s_min_m: float
+    support_s_max_m: float
+    lateral_m: float = 0.25
+    heading: float | None = None
+    heading_tolerance: float | None = 0.15
+
+
+GROUND, PAIRS, DETECTOR, PROFILE, RULE, AXIS = Ground(), Pairs(), Detector(), Profile(), Rule(), Axis()
 #: Thresholds for sparse clouds of some hundred points a frame.
 SPARSE = replace(GROUND, min_groups_per_mode=12, section_min_groups=8, structure_min_groups=4)

@@ -13,11 +13,17 @@ BANDS_M = (0.0, 10.0, 30.0, 50.0, 100.0, 200.0)
 
 
 def grid(df: DataFrame, step: float = STEP_DEG) -> DataFrame:
-    """Valid points with ``row`` and ``col``; rows start at the frame's lowest elevation, floored to the grid."""
+    """Valid points with ``row`` and ``col``; rows start at the frame's lowest elevation, floored to the grid.
+
+    Points on the right and the upper edge lie in the last column and row.
+    """
     pts = angles(df.where(is_valid_angular())).withColumn("range_m", range_of("x", "y", "z"))
-    low = F.floor(F.min("elevation_deg").over(Window.partitionBy("frame_index")) / step) * step
-    pts = pts.withColumn("el_min", low)
-    return pts.withColumns({"col": F.least(F.floor((F.col("azimuth_deg") + 180.0) / step), F.lit(round(360 / step) - 1)).cast("int"), "row": F.floor((F.col("elevation_deg") - F.col("el_min")) / step).cast("int")})
+    w = Window.partitionBy("frame_index")
+    pts = pts.withColumns({"el_min": F.floor(F.min("elevation_deg").over(w) / step) * step, "el_max": F.ceil(F.max("elevation_deg").over(w) / step) * step})
+    rows = F.greatest(F.round((F.col("el_max") - F.col("el_min")) / step).cast("int"), F.lit(1))
+    row = F.floor((F.col("elevation_deg") - F.col("el_min")) / step).cast("int")
+    col = F.floor((F.col("azimuth_deg") + 180.0) / step)
+    return pts.withColumns({"col": F.greatest(F.least(col, F.lit(round(360 / step) - 1)), F.lit(0)).cast("int"), "row": F.greatest(F.least(row, rows - 1), F.lit(0))}).drop("el_max")
 
 
 def ring_grid(df: DataFrame, step: float = STEP_DEG) -> DataFrame:
@@ -37,16 +43,19 @@ def bin_centre(row: Column, col: Column, el_min: Column, step: float = STEP_DEG)
 
 
 def quantisation(gridded: DataFrame, step: float = STEP_DEG) -> DataFrame:
-    """How far points lie from the centre of their bin, in metres at their range."""
-    az, el = bin_centre(F.col("row"), F.col("col"), F.col("el_min"), step)
-    da, de = F.radians(F.col("azimuth_deg") - az) * F.cos(F.radians("elevation_deg")), F.radians(F.col("elevation_deg") - el)
-    e = gridded.withColumn("error_m", F.col("range_m") * F.sqrt(da * da + de * de))
+    """How far points lie from the place at their own range in the direction of their bin's centre."""
+    az, el = (F.radians(c) for c in bin_centre(F.col("row"), F.col("col"), F.col("el_min"), step))
+    flat = F.col("range_m") * F.cos(el)
+    dx, dy, dz = flat * F.cos(az) - F.col("x"), flat * F.sin(az) - F.col("y"), F.col("range_m") * F.sin(el) - F.col("z")
+    e = gridded.withColumn("error_m", F.sqrt(dx * dx + dy * dy + dz * dz))
     return e.groupBy("frame_index").agg(F.percentile("error_m", F.lit(0.5)).alias("p50_m"), F.percentile("error_m", F.lit(0.95)).alias("p95_m"), F.max("error_m").alias("max_m"))
 
 
 def audit(df: DataFrame, gridded: DataFrame) -> DataFrame:
-    """Records that the grid dropped, by frame."""
-    return df.groupBy("frame_index").agg(F.count("*").alias("records")).join(gridded.groupBy("frame_index").agg(F.count("*").alias("kept")), "frame_index", "left").withColumn("dropped", F.col("records") - F.coalesce("kept", F.lit(0)))
+    """Records that the grid dropped, and those that it has more than once, by frame."""
+    kept = gridded.groupBy("frame_index").agg(F.count("*").alias("rows"), F.count_distinct("source_index").alias("kept"))
+    out = df.groupBy("frame_index").agg(F.count("*").alias("records")).join(kept, "frame_index", "left").fillna(0, ["rows", "kept"])
+    return out.withColumns({"dropped": F.col("records") - F.col("kept"), "duplicated": F.col("rows") - F.col("kept")}).drop("rows")
 
 
 def raster(gridded: DataFrame, value: str = "nearest_intensity", flip: bool = False) -> DataFrame:
@@ -64,9 +73,12 @@ def display_cells(df: DataFrame, a: str, b: str, key: str, cell_m: float) -> Dat
 def display_sample(df: DataFrame, limit: int, highlight: DataFrame) -> DataFrame:
     """Evenly spaced rows of each frame, ``limit`` at most, and every highlighted one (frame_index, source_index)."""
     rows = df.select("frame_index", "source_index").withColumns({"pos": F.row_number().over(Window.partitionBy("frame_index").orderBy("source_index")) - 1, "n": F.count("*").over(Window.partitionBy("frame_index"))})
-    # position p is one of trunc(k (n-1) / (limit-1)) for a whole k
-    k = F.ceil(F.col("pos") * (limit - 1) / (F.col("n") - 1))
-    on = (F.col("n") <= limit) | (F.floor(k * (F.col("n") - 1) / (limit - 1)) == F.col("pos"))
+    # position p is one of trunc(k (n-1) / (limit-1)) for a whole k; a limit of one keeps the first row
+    if limit > 1:
+        k = F.ceil(F.try_divide(F.col("pos") * (limit - 1), F.col("n") - 1))
+        on = (F.col("n") <= limit) | F.coalesce(F.floor(k * (F.col("n") - 1) / (limit - 1)) == F.col("pos"), F.lit(False))
+    else:
+        on = F.col("pos") < limit
     marks = highlight.select("frame_index", "source_index").distinct().withColumn("mark", F.lit(1))
     return rows.join(marks, ["frame_index", "source_index"], "left").where(on | F.col("mark").isNotNull()).select("frame_index", "source_index", F.coalesce("mark", F.lit(0)).alias("label"))
 
@@ -103,3 +115,9 @@ def evidence_table(points: DataFrame, kinds: list[str], marks: DataFrame | None
         return out
     m = marks.groupBy("frame_index", "kind", "band").agg(F.bool_or("visible").alias("visible"), F.array_join(F.array_sort(F.collect_set("confidence")), ",").alias("confidence"))
     return out.join(m, ["frame_index", "kind", "band"], "left")
+
+
+def first_cells(df: DataFrame, cells: list[str], order: str) -> DataFrame:
+    """The distinct cells of each frame in the order in which its rows first meet them."""
+    found = df.groupBy("frame_index", *cells).agg(F.min(order).alias("first"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("frame_index").orderBy("first")))

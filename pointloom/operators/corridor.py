@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import GROUND, PAIRS, PROFILE, Ground, Profile
+from ..config import GROUND, PAIRS, PROFILE, Attachment, Ground, Profile
 
 KEY = ("frame_index", "hypothesis")
 
@@ -55,43 +57,98 @@ def segments(vertex: DataFrame) -> DataFrame:
     return seg.withColumn("arc", F.coalesce(F.sum("length_m").over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
 
 
-def classify(points: DataFrame, seg: DataFrame, vertex: DataFrame, lower_m: float | None = 0.0, profile: Profile = PROFILE) -> DataFrame:
+RELATIONS = "frame_index long, hypothesis string, point_id long, path_s_m double, lateral_m double, vertical_m double, support string, relation string, uncertain_reason string"
+#: Of segments equally near the one with the smaller place here is taken.
+PREFERENCE = {"between_samples": 1, "gap_interpolation": 2, "attachment_prior": 3, "extrapolated": 4}
+
+
+def _relations(points: dict, seg: list[dict], vertex: list[dict], lower_m: float | None, profile: Profile, half_m: float) -> dict:
+    """Arrays of the results of one hypothesis for the points (arrays s, l and h) of a frame; segments and vertices in order."""
+    s, l, h = (points[c] for c in "slh")  # noqa: E741
+    n = len(s)
+    of = lambda rows, c: np.array([np.nan if r[c] is None else float(r[c]) for r in rows])
+    if not seg:
+        v = vertex[0]
+        k = np.nan_to_num(of([v], "slope")[0])
+        up = h - of([v], "h_ref")[0] - (np.nan if lower_m is None else lower_m)
+        near = np.abs(s - v["s"]) <= half_m
+        lateral = (l - v["l"] + k * up) / np.hypot(1.0, k)
+        return {"path_s_m": np.zeros(n), "lateral_m": np.where(np.isfinite(lateral), lateral, l - v["l"]), "vertical_m": (up - k * (l - v["l"])) / np.hypot(1.0, k), "support": np.where(near, v["role"], "unsupported"), "relation": np.full(n, "uncertain"), "uncertain_reason": np.where(near, "insufficient_direction", "outside_applicability")}
+    s0, l0, s1, l1, h0, h1, length, arc = (of(seg, c) for c in ("s0", "l0", "s1", "l1", "h0", "h1", "length_m", "arc"))
+    k0, k1 = np.nan_to_num(of(seg, "k0")), np.nan_to_num(of(seg, "k1"))
+    ds, dl = s1 - s0, l1 - l0
+    raw = ((s[:, None] - s0) * ds + (l[:, None] - l0) * dl) / (length * length)
+    t = np.clip(raw, 0.0, 1.0)
+    d2 = (s[:, None] - s0 - t * ds) ** 2 + (l[:, None] - l0 - t * dl) ** 2
+    role = np.array([r["role"] for r in seg])
+    best = (d2 + np.array([PREFERENCE[r] for r in role]) * 1e-12).argmin(1)
+    raw, t = raw[np.arange(n), best], t[np.arange(n), best]
+    beyond = ((best == 0) & (raw < 0)) | ((best == len(seg) - 1) & (raw > 1))
+    foot_s, foot_l = s0[best] + t * ds[best], l0[best] + t * dl[best]
+    seen = np.array([v["s"] for v in vertex if v["role"] == "observed"])
+    support = role[best].astype(object)
+    close = np.abs(foot_s[:, None] - seen).min(1) <= half_m if len(seen) else np.zeros(n, dtype=bool)
+    support[close & np.isin(support, ("between_samples", "gap_interpolation"))] = "observed"
+    support[beyond] = "unsupported"
+    ref = np.array([bool(r["ref0"]) and bool(r["ref1"]) for r in seg])[best]
+    base = h0[best] + t * (h1 - h0)[best]
+    ref &= np.isfinite(base)
+    k = (k0[best] + t * (k1 - k0)[best]) * (ds / length)[best]
+    across = (-(s - foot_s) * dl[best] + (l - foot_l) * ds[best]) / length[best]
+    up = h - base - (lower_m or 0.0)
+    norm = np.hypot(1.0, k)
+    lateral, vertical = (across + k * up) / norm, (up - k * across) / norm
+    lateral = np.where(np.isfinite(lateral), lateral, across)
+    placed = np.isin(support, ("observed", "between_samples")) & (len(seen) >= 2)
+    out = placed & (np.abs(lateral) > profile.width_m / 2)
+    known = placed & ~out & ref & (lower_m is not None) & np.isfinite(vertical)
+    high = (vertical < 0) | (vertical > profile.height_m)
+    relation = np.full(n, "uncertain", dtype=object)
+    relation[known & ~high] = "inside"
+    relation[out | (known & high)] = "outside"
+    reason = np.full(n, "lower_boundary_not_established" if lower_m is None else "outside_applicability", dtype=object)
+    reason[~ref] = "reference_surface_unsupported"
+    if len(seen) < 2:
+        reason[:] = "insufficient_direction"
+    for name in ("attachment_prior", "gap_interpolation", "extrapolated"):
+        reason[support == name] = name
+    # beyond the ends, and outside of the stations that the vertices span, nothing is known
+    low, far = min(v["s"] for v in vertex), max(v["s"] for v in vertex)
+    reason[support == "unsupported"] = "outside_applicability"
+    reason[relation != "uncertain"] = None
+    start = next((r["arc"] for r in seg if r["r0"] == "observed"), 0.0)
+    if seg[0]["r0"] != "observed" and not any(r["r0"] == "observed" for r in seg) and seg[-1]["r1"] == "observed":
+        start = seg[-1]["arc"] + seg[-1]["length_m"]
+    path = arc[best] + t * length[best] - start
+    off = (s < low) | (s > far)
+    for x, v in ((path, np.nan), (lateral, np.nan), (vertical, np.nan), (support, "unsupported"), (relation, "uncertain"), (reason, "outside_applicability")):
+        x[off] = v
+    return {"path_s_m": path, "lateral_m": lateral, "vertical_m": vertical, "support": support, "relation": relation, "uncertain_reason": reason}
+
+
+def classify(points: DataFrame, seg: DataFrame, vertex: DataFrame, lower_m: float | None = 0.0, profile: Profile = PROFILE, half_m: float = GROUND.section_half_m) -> DataFrame:
     """Each point against each hypothesis of its frame: place along, across and above, and the relation.
 
-    The segments of a hypothesis, a handful, come as one array; the nearest is the minimum over it.
+    Points (frame_index, point_id, s, l, h) meet the few segments and vertices of their frame in one array kernel.
+    Outside of the vertices' span a point is unsupported and has no place; a hypothesis of one vertex has no direction.
     """
-    pref = F.when(F.col("role") == "between_samples", 0).when(F.col("role") == "gap_interpolation", 1).when(F.col("role") == "attachment_prior", 2).otherwise(3)
-    cols = ["s0", "l0", "h0", "k0", "ref0", "s1", "l1", "h1", "k1", "ref1", "role", "length_m", "arc", "last"]
-    packed = seg.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("n", pref.alias("pref"), *cols))).alias("segs"))
-    packed = packed.join(vertex.where("role = 'observed'").groupBy(*KEY).agg(F.collect_list(F.struct("s", "l")).alias("seen")), list(KEY))
-    rows = points.select("frame_index", "point_id", "s", "l", "h").join(packed, "frame_index")
-    t_raw = lambda x: ((F.col("s") - x.s0) * (x.s1 - x.s0) + (F.col("l") - x.l0) * (x.l1 - x.l0)) / (x.length_m * x.length_m)
-    clip = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    d2 = lambda x: (F.col("s") - x.s0 - clip(t_raw(x)) * (x.s1 - x.s0)) ** 2 + (F.col("l") - x.l0 - clip(t_raw(x)) * (x.l1 - x.l0)) ** 2
-    best = F.array_min(F.transform("segs", lambda x: F.struct((d2(x) + x.pref * 1e-12).alias("d"), x.n.alias("n")))).n
-    rows = rows.withColumn("x", F.element_at("segs", best.cast("int")))
-    x = F.col("x")
-    rows = rows.withColumn("traw", t_raw(x)).withColumn("t", clip(F.col("traw")))
-    lerp = lambda a, b: x[a] + F.col("t") * (x[b] - x[a])
-    foot_s, foot_l = lerp("s0", "s1"), lerp("l0", "l1")
-    beyond = ((x.n == 1) & (F.col("traw") < 0)) | (x.last & (F.col("traw") > 1))
-    across = (-(x.l1 - x.l0) * (F.col("s") - foot_s) + (x.s1 - x.s0) * (F.col("l") - foot_l)) / x.length_m
-    up_close = F.exists("seen", lambda v: (v.s - foot_s) ** 2 + (v.l - foot_l) ** 2 <= 0.25)
-    support = F.when(x.role.isin("between_samples", "gap_interpolation") & up_close, "observed").otherwise(x.role)
-    rows = rows.withColumns({"path_s_m": x.arc + F.col("t") * x.length_m, "across": across, "beyond": beyond, "support": support, "k": F.coalesce(lerp("k0", "k1"), F.lit(0.0)), "floor": lerp("h0", "h1") + F.lit(lower_m), "reference": x.ref0 & x.ref1})
-    norm = F.sqrt(1 + F.col("k") * F.col("k"))
-    up = F.col("h") - F.col("floor")
-    rows = rows.withColumns({"lateral_m": F.when(F.col("floor").isNull(), F.col("across")).otherwise((F.col("across") + F.col("k") * up) / norm), "vertical_m": (up - F.col("k") * F.col("across")) / norm})
-    placed = F.col("support").isin("observed", "between_samples") & ~F.col("beyond")
-    lat_in, vert_in = F.abs(F.col("lateral_m")) <= profile.width_m / 2, F.col("vertical_m").between(0.0, profile.height_m)
-    inside = placed & lat_in & F.col("reference") & F.coalesce(vert_in, F.lit(False))
-    outside = placed & (~lat_in | F.coalesce(F.col("reference") & ~vert_in, F.lit(False)))
-    reason = (
-        F.when(F.col("beyond"), "outside_applicability").when(F.col("support") == "extrapolated", "extrapolated").when(F.col("support") == "gap_interpolation", "gap_interpolation")
-        .when(F.col("support") == "attachment_prior", "attachment_prior").when(~F.col("reference"), "reference_surface_unsupported").otherwise("lower_boundary_not_established")
-    )
-    relation = F.when(inside, "inside").when(outside, "outside").otherwise("uncertain")
-    return rows.withColumn("relation", relation).withColumn("uncertain_reason", F.when(F.col("relation") == "uncertain", reason)).select("frame_index", "hypothesis", "point_id", "path_s_m", "lateral_m", "vertical_m", "support", "relation", "uncertain_reason")
+    pieces = seg.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("n", "s0", "l0", "h0", "k0", "ref0", "r0", "s1", "l1", "h1", "k1", "ref1", "r1", "role", "length_m", "arc"))).alias("seg"))
+    ends = vertex.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("s", "l", "h_ref", "slope", "role"))).alias("vertex"))
+    paths = ends.join(pieces, list(KEY), "left").select(F.col("frame_index").alias("its_frame"), "hypothesis", "vertex", "seg")
+    names = [c.split()[0] for c in RELATIONS.split(", ")]
+
+    def run(pts: pa.Table, paths: pa.Table) -> pa.Table:
+        own = {c: pts.column(c).to_numpy() for c in ("point_id", "s", "l", "h")}
+        out = []
+        for p in sorted(paths.to_pylist(), key=lambda p: p["hypothesis"]) if pts.num_rows else []:
+            got = _relations(own, p["seg"] or [], p["vertex"], lower_m, profile, half_m)
+            cols = [pa.array(np.full(len(own["s"]), p["its_frame"])), pa.array([p["hypothesis"]] * len(own["s"])), pa.array(own["point_id"])]
+            cols += [pa.array(got[c], pa.float64(), from_pandas=True) for c in names[3:6]] + [pa.array(got[c].tolist(), pa.string()) for c in names[6:]]
+            out.append(pa.table(dict(zip(names, cols, strict=True))))
+        kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 3, *[pa.string()] * 3]
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
+
+    return points.select("frame_index", "point_id", "s", "l", "h").groupBy("frame_index").cogroup(paths.groupBy("its_frame")).applyInArrow(run, RELATIONS)
 
 
 def section_at(vertex: DataFrame, at: DataFrame) -> DataFrame:
@@ -103,12 +160,19 @@ def section_at(vertex: DataFrame, at: DataFrame) -> DataFrame:
     return hit.select(*KEY, "s_query", (F.col("l") + t * (F.col("l1") - F.col("l"))).alias("l_axis"), (F.col("h_ref") + t * (F.col("h1") - F.col("h_ref"))).alias("h_ref"))
 
 
-def attachment_match(midpoints: DataFrame, anchor_s: float, anchor_l: float, offset_m: float = 0.25, turn: float = 0.15) -> DataFrame:
-    """How many hypotheses of a frame pass the place that a session was attached at: none, one or several."""
-    w = Window.partitionBy(*KEY)
-    m = midpoints.groupBy(*KEY).agg(F.min_by("l", F.struct(F.abs(F.col("s") - anchor_s), "s")).alias("l_near"), F.min_by("l", "s").alias("l_a"), F.max_by("l", "s").alias("l_b"), F.min("s").alias("s_a"), F.max("s").alias("s_b"))
-    ok = (F.abs(F.col("l_near") - anchor_l) <= offset_m) & (F.abs((F.col("l_b") - F.col("l_a")) / (F.col("s_b") - F.col("s_a"))) <= turn)
-    n = m.withColumn("ok", F.coalesce(ok, F.lit(False))).groupBy("frame_index").agg(F.count_if("ok").alias("matches"), F.min(F.when(F.col("ok"), F.col("hypothesis"))).alias("hypothesis"))
+def attachment_match(midpoints: DataFrame, place: Attachment) -> DataFrame:
+    """How many hypotheses of a frame pass the place that a session was attached at: none, one or several.
+
+    Only sections in the support window count; the heading is checked where it is given and two sections are there.
+    """
+    inside = midpoints.where(F.col("s").between(place.support_s_min_m - 1e-6, place.support_s_max_m + 1e-6))
+    m = inside.groupBy(*KEY).agg(F.min_by("l", F.struct(F.abs(F.col("s") - place.s_m), "s")).alias("l_near"), F.min_by("l", "s").alias("l_a"), F.max_by("l", "s").alias("l_b"), (F.max("s") - F.min("s")).alias("ds"), F.count("*").alias("n"))
+    ok = F.abs(F.col("l_near") - place.l_m) <= place.lateral_m
+    if place.heading is not None and place.heading_tolerance is not None:
+        slope = F.when(F.col("ds") == 0, 0.0).otherwise(F.try_divide(F.col("l_b") - F.col("l_a"), "ds"))
+        ok &= (F.col("n") < 2) | (F.abs(slope - place.heading) <= place.heading_tolerance)
+    found = m.where(ok).groupBy("frame_index").agg(F.count("*").alias("matches"), F.sort_array(F.collect_list("hypothesis")).alias("hypotheses"))
+    n = midpoints.select("frame_index").distinct().join(found, "frame_index", "left").fillna(0, ["matches"])
     return n.withColumn("attachment", F.when(F.col("matches") == 0, "none").when(F.col("matches") == 1, "one").otherwise("several"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import DETECTOR, PROFILE, Detector, Profile
+from ..config import DETECTOR, GROUND, PROFILE, Detector, Ground, Profile
 
 
 def in_profile(profile: Profile = PROFILE) -> Column:
@@ -68,7 +70,7 @@ def candidates(labelled: DataFrame, branch: str = "volume_or_suspended", cfg: De
     """
     c = labelled.groupBy("frame_index", "label").agg(
         F.count("*").alias("unique_xyz"), (F.max("s") - F.min("s")).alias("extent_s_m"), (F.max("l") - F.min("l")).alias("extent_l_m"), (F.max("h") - F.min("h")).alias("extent_h_m"),
-        F.min("s").alias("s_min_m"), F.min("l").alias("l_min_m"), F.min("h").alias("h_min_m"), F.min("range_m").alias("range_from_lidar_m"), F.sort_array(F.collect_list("point_id")).alias("members"),
+        F.min("s").alias("s_min_m"), F.min("l").alias("l_min_m"), F.min("h").alias("h_min_m"), F.min("range_m").alias("range_from_sensor_m"), F.sort_array(F.collect_list("point_id")).alias("members"),
     )
     c = c.withColumn("kind", F.when(F.col("unique_xyz") >= cfg.large_min, "large").otherwise("rare"))
     n = F.row_number().over(Window.partitionBy("frame_index", "kind").orderBy("s_min_m", "l_min_m", "h_min_m", "label"))
@@ -81,98 +83,198 @@ def dominant_model(rows: DataFrame) -> DataFrame:
     return n.groupBy("frame_index", "label").agg(F.max_by("model_id", F.struct("n", -F.col("model_id"))).alias("model_id"))
 
 
-def anchors(queries: DataFrame, cfg: Detector = DETECTOR) -> DataFrame:
-    """A centre for each grid cell with query points: the median of them on each axis."""
-    cell = lambda c: F.floor(F.col(c) / cfg.anchor_step_m).cast("int")
-    a = queries.groupBy("frame_index", cell("s").alias("ci"), cell("l").alias("cj")).agg(F.median("s").alias("a_s"), F.median("l").alias("a_l"))
-    return a.withColumn("anchor", F.row_number().over(Window.partitionBy("frame_index").orderBy("ci", "cj")))
-
-
-def neighbourhoods(anchor: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """Points within a radius of each anchor in (s, l), by cells of the radius."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("int")
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
-    visit = anchor.select("frame_index", "anchor", "a_s", "a_l", steps, cell("a_s").alias("i"), cell("a_l").alias("j"))
-    visit = visit.select("frame_index", "anchor", "a_s", "a_l", (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j"))
-    near = points.select("frame_index", "s", "l", "h", cell("s").alias("i"), cell("l").alias("j"))
-    return visit.join(near, ["frame_index", "i", "j"]).where((F.col("s") - F.col("a_s")) ** 2 + (F.col("l") - F.col("a_l")) ** 2 <= radius * radius)
-
-
-MODELS = "frame_index long, anchor int, radius_m double, a_s double, a_l double, support int, reason string, usable boolean, b_s double, b_l double, c double, fit_p95_m double, holdout_p95_m double"
-
-
-def plane_models(anchor: DataFrame, points: DataFrame, radius: float, fit: str = "baseline", cfg: Detector = DETECTOR) -> DataFrame:
-    """A plane under each anchor, checked on rows that the fit didn't use.
-
-    Refused with too few rows, with two levels of height, when the held-out rows are too few, or
-    when they spread much more than the fitted ones. ``span_limit`` also refuses a support higher than the
-    level gap; ``ransac`` fits by random triples. The kernel gets one anchor's rows.
+@dataclass(frozen=True)
+class Model:
+    """A local plane h = a s + b l + c and what became of it; ``reason`` is empty where it can be used."""
+
+    reason: str
+    plane: tuple[float, float, float] | None = None
+    threshold: float | None = None
+    #: Where its support lies, if points outside may not ask it: (s_min, s_max, l_min, l_max).
+    extent: tuple[float, float, float, float] | None = None
+
+
+def _plane(a: np.ndarray) -> np.ndarray:
+    return np.linalg.lstsq(np.column_stack([a[:, :2], np.ones(len(a))]), a[:, 2], rcond=None)[0]
+
+
+def _off(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.abs(a[:, 2] - a[:, :2] @ c[:2] - c[2])
+
+
+def _checked(fitted: np.ndarray, held: np.ndarray, cfg: Detector) -> tuple[str, np.ndarray | None, float, float]:
+    """A plane by least squares on some rows, and the 95th percentiles of residuals on them and on rows held out."""
+    if len(fitted) < cfg.fit_min or len(held) < cfg.holdout_min:
+        return "too_few_held_out", None, 0.0, 0.0
+    c = _plane(fitted)
+    return "", c, float(np.quantile(_off(fitted, c), 0.95)), float(np.quantile(_off(held, c), 0.95))
+
+
+def _lower_plane(a: np.ndarray, fit: str, cfg: Detector) -> Model:
+    """The plane of a neighbourhood's lower rows, unless it has two levels; every second row is held out."""
+    half, h = max(4, cfg.min_support // 2), np.sort(a[:, 2])
+    cuts = np.flatnonzero(np.diff(h) > cfg.level_gap_m) + 1
+    if ((cuts >= half) & (cuts <= len(h) - half)).any():
+        return Model("several_levels")
+    low = a[a[:, 2] <= np.quantile(h, cfg.lower_fraction)]
+    if fit == "span_limit" and np.ptp(low[:, 2]) > cfg.level_gap_m:
+        return Model("support_too_high")
+    low = low[np.lexsort((low[:, 1], low[:, 0]))]
+    reason, c, fit_p95, held_p95 = _checked(low[0::2], low[1::2], cfg)
+    if not reason and held_p95 > cfg.unstable_ratio * max(fit_p95, 1e-4):
+        reason = "unstable"
+    return Model(reason) if reason else Model("", tuple(c.tolist()), held_p95)
+
+
+def _consensus(a: np.ndarray, seed: int, tries: int, cfg: Detector) -> tuple[np.ndarray | None, np.ndarray]:
+    """Of planes through random triples, none too steep, the one with most rows near it, and those rows."""
+    draw, best, near = np.random.default_rng(seed), None, np.zeros(len(a), dtype=bool)
+    for _ in range(tries):
+        t = a[draw.choice(len(a), 3, replace=False)]
+        (s0, l0), (s1, l1), (s2, l2) = t[:, :2]
+        if abs((s1 - s0) * (l2 - l0) - (s2 - s0) * (l1 - l0)) < 2e-6:
+            continue
+        c = _plane(t)
+        if np.hypot(c[0], c[1]) <= cfg.steepest and (m := _off(a, c) <= cfg.level_gap_m).sum() > near.sum():
+            best, near = c, m
+    return (best, near) if near.sum() >= cfg.min_support else (None, near)
+
+
+def _drawn_plane(a: np.ndarray, cfg: Detector) -> Model:
+    """The plane by consensus of random triples, if the rows that it leaves have no second one at another height."""
+    best, near = _consensus(a, cfg.seed, cfg.tries, cfg)
+    if best is None:
+        return Model("no_plane")
+    own = a[near]
+    if min(np.ptp(own[:, 0]), np.ptp(own[:, 1])) < cfg.link_m:
+        return Model("narrow_line")
+    own = own[np.lexsort((own[:, 1], own[:, 0]))]
+    reason, c, _, held_p95 = _checked(own[: len(own) // 2], own[len(own) // 2 :], cfg)
+    if not reason and np.hypot(c[0], c[1]) > cfg.steepest:
+        reason = "too_steep"
+    if not reason and held_p95 > cfg.level_gap_m:
+        reason = "held_out_rows_disagree"
+    if not reason and (~near).sum() >= cfg.min_support:
+        second, _ = _consensus(a[~near], cfg.seed + 1, cfg.tries // 2, cfg)
+        middle = np.array([np.median(a[:, 0]), np.median(a[:, 1]), 1.0])
+        if second is not None and abs(float((second - c) @ middle)) > cfg.level_gap_m:
+            reason = "several_supports"
+    return Model(reason) if reason else Model("", tuple(c.tolist()), held_p95, (own[:, 0].min(), own[:, 0].max(), own[:, 1].min(), own[:, 1].max()))
+
+
+def local_model(a: np.ndarray, fit: str = "baseline", cfg: Detector = DETECTOR) -> Model:
+    """The model of the rows (s, l, h) around an anchor; ``fit``: baseline, span_limit or ransac."""
+    if len(a) < cfg.min_support:
+        return Model("too_few_points")
+    return _drawn_plane(a, cfg) if fit == "ransac" else _lower_plane(a, fit, cfg)
+
+
+PROTRUSIONS = "frame_index long, point_id long, accepted boolean, reason string, radius_m double, model_id int, deviation_m double, threshold_m double"
+
+
+def _protrusions(q: np.ndarray, a: np.ndarray, fit: str, cfg: Detector) -> list[tuple]:
+    """(accepted, reason, radius, model, deviation, threshold) for each row of q against planes through rows of a."""
+    step = cfg.anchor_step_m
+    cells: dict[tuple, list[int]] = {}
+    for k, c in enumerate(map(tuple, np.floor(q[:, :2] / step).astype(int).tolist())):
+        cells.setdefault(c, []).append(k)  # anchors in the order in which their cells are first met
+    anchor = np.array([np.median(q[rows, :2], axis=0) for rows in cells.values()])
+    grid = np.floor(a[:, :2] / step).astype(np.int64)
+    order = np.lexsort((grid[:, 1], grid[:, 0]))
+    a, grid = a[order], grid[order]
+
+    def around(at: np.ndarray, radius: float) -> np.ndarray:
+        lo, hi = np.searchsorted(grid[:, 0], np.floor((at[0] - radius) / step)), np.searchsorted(grid[:, 0], np.floor((at[0] + radius) / step), side="right")
+        part = a[lo:hi]
+        part = part[(part[:, 0] - at[0]) ** 2 + (part[:, 1] - at[1]) ** 2 <= radius * radius]
+        return part[np.lexsort((part[:, 1], part[:, 0], part[:, 2]))]
+
+    out: list = [(False, "no_local_model", None, None, None, None)] * len(q)
+    left = np.arange(len(q))
+    for r, radius in enumerate(cfg.radii_m):
+        models: dict[int, Model] = {}
+        still = []
+        for at in np.array_split(left, 1 + len(left) * len(anchor) // 2_000_000):
+            d = np.hypot(q[at, 0, None] - anchor[:, 0], q[at, 1, None] - anchor[:, 1])
+            for k, n, far in zip(at.tolist(), d.argmin(1).tolist(), (d.min(1) > radius).tolist(), strict=True):
+                if far:
+                    still.append(k)
+                    continue
+                m = models.setdefault(n, None) or local_model(around(anchor[n], radius), fit, cfg)
+                models[n] = m
+                outside = m.extent is not None and not (m.extent[0] <= q[k, 0] <= m.extent[1] and m.extent[2] <= q[k, 1] <= m.extent[3])
+                if m.reason or outside:
+                    out[k] = (False, m.reason or "outside_of_support", None, None, None, None)
+                    still.append(k)
+                    continue
+                off = float(q[k, 2] - q[k, 0] * m.plane[0] - q[k, 1] * m.plane[1] - m.plane[2])
+                accepted = off > m.threshold and off > 0
+                out[k] = (accepted, "above_threshold" if accepted else "within_held_out_spread", radius, r * len(anchor) + n, off, m.threshold)
+        left = np.array(still, dtype=np.int64)
+        if not len(left):
+            break
+    return out
+
+
+def local_protrusions(queries: DataFrame, points: DataFrame, fit: str = "baseline", context: DataFrame | None = None, cfg: Detector = DETECTOR) -> DataFrame:
+    """Query points (frame_index, point_id, s, l, h) with ``accepted``, reason and model, by growing radii.
+
+    Anchors are the medians of the queries in cells; a point asks the nearest anchor within the radius; a usable model
+    decides, an unusable one, or none in reach, hands the point on to the next radius. All ``points`` of the frame,
+    and those of ``context`` (more rows of other scans, never queries), can support a plane. One kernel for each frame.
     """
-    half = max(4, cfg.min_support // 2)
-    names = [c.split()[0] for c in MODELS.split(", ")]
-
-    def plane(a: np.ndarray) -> np.ndarray:
-        return np.linalg.lstsq(np.column_stack([a[:, :2], np.ones(len(a))]), a[:, 2], rcond=None)[0]
-
-    def off(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.abs(a[:, 2] - a[:, :2] @ c[:2] - c[2])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        a = pdf[["s", "l", "h"]].to_numpy(float)
-        a = a[np.lexsort((a[:, 1], a[:, 0], a[:, 2]))]
-        reason, c, fit_p95, hold_p95, support = "", [None] * 3, None, None, len(a)
-        cuts = np.flatnonzero(np.diff(a[:, 2]) > cfg.level_gap_m) + 1
-        if len(a) < cfg.min_support:
-            reason = "too_few_points"
-        elif fit != "ransac" and any(half <= k <= len(a) - half for k in cuts):
-            reason = "several_levels"
-        else:
-            low = a if fit == "ransac" else a[a[:, 2] <= np.quantile(a[:, 2], cfg.lower_fraction)]
-            if fit == "ransac":
-                draw, best = np.random.default_rng(4), None
-                for _ in range(40):
-                    t = a[draw.choice(len(a), 3, replace=False)]
-                    if np.linalg.matrix_rank(np.column_stack([t[:, :2], np.ones(3)])) == 3:
-                        m = off(a, plane(t)) <= cfg.level_gap_m / 2
-                        best = m if best is None or m.sum() > best.sum() else best
-                low = a[best] if best is not None else a[:0]
-            support = len(low)
-            low = low[np.lexsort((low[:, 1], low[:, 0]))]
-            train, held = low[0::2], low[1::2]
-            if fit == "span_limit" and np.ptp(low[:, 2]) > cfg.level_gap_m:
-                reason = "support_too_high"
-            elif len(train) < cfg.fit_min or len(held) < cfg.holdout_min:
-                reason = "too_few_held_out"
-            else:
-                c = plane(train)
-                fit_p95, hold_p95 = float(np.quantile(off(train, c), 0.95)), float(np.quantile(off(held, c), 0.95))
-                reason = "unstable" if hold_p95 > cfg.unstable_ratio * max(fit_p95, 1e-4) else ""
-        return pd.DataFrame([(first.frame_index, first.anchor, radius, first.a_s, first.a_l, support, reason, reason == "", *c, fit_p95, hold_p95)], columns=names)
-
-    return neighbourhoods(anchor, points, radius).groupBy("frame_index", "anchor").applyInPandas(run, MODELS)
-
-
-def local_protrusions(queries: DataFrame, points: DataFrame, fit: str = "baseline", cfg: Detector = DETECTOR) -> DataFrame:
-    """Query points (frame_index, point_id, s, l, h) with ``accepted``, model and reason, by growing radii.
-
-    A point asks the nearest anchor within the radius; a usable model decides, an unusable one, or none
-    in reach, hands the point on to the next radius.
+    rows = points.select("frame_index", "s", "l", "h")
+    rows = rows if context is None else rows.unionByName(context.select("frame_index", "s", "l", "h"))
+    rows = rows.select(F.col("frame_index").alias("its_frame"), F.col("s").alias("s0"), F.col("l").alias("l0"), F.col("h").alias("h0"))
+    names = [c.split()[0] for c in PROTRUSIONS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
+
+    def run(asked: pa.Table, every: pa.Table) -> pa.Table:
+        asked = asked.sort_by("point_id")
+        read = lambda t, cols: np.column_stack([t.column(c).to_numpy() for c in cols])
+        found = _protrusions(read(asked, "slh"), read(every, ("s0", "l0", "h0")), fit, cfg) if asked.num_rows else []
+        cols = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 6
+        data = [asked.column("frame_index"), asked.column("point_id"), *cols]
+        return pa.table({n: pa.chunked_array(x) if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for n, t, x in zip(names, kinds, data, strict=True)})
+
+    return queries.select("frame_index", "point_id", "s", "l", "h").groupBy("frame_index").cogroup(rows.groupBy("its_frame")).applyInArrow(run, PROTRUSIONS)
+
+
+def straight_candidates(marked: DataFrame, fit: str = "baseline", protrusions: bool = True, cfg: Detector = DETECTOR) -> DataFrame:
+    """All candidates of a volume: components of the pool (L, R), and of the local protrusions in the ambiguous layer (P, Q)."""
+    from . import spatial
+
+    found = candidates(spatial.components(object_pool(marked).withColumn("radius", spatial.link_radius(cfg))), cfg=cfg)
+    if not protrusions:
+        return found.withColumn("model_id", F.lit(None).cast("int"))
+    asked = marked.where("inside and ambiguous and not excluded")
+    up = local_protrusions(asked, marked, fit, cfg=cfg).where("accepted").select("frame_index", "point_id", "model_id")
+    rows = spatial.components(asked.join(up, ["frame_index", "point_id"]).withColumn("radius", spatial.link_radius(cfg)))
+    bumps = candidates(rows, "local_protrusion", cfg, "P", "Q").join(dominant_model(rows), ["frame_index", "label"], "left")
+    return found.withColumn("model_id", F.lit(None).cast("int")).unionByName(bumps)
+
+
+def inferred_candidates(points: DataFrame, inside: DataFrame, pair_of: DataFrame, fragments: DataFrame, lines: DataFrame, residual: DataFrame, ground: Ground = GROUND, cfg: Detector = DETECTOR) -> DataFrame:
+    """Candidates of each hypothesis of each frame: its own points inside, without the volumes of its two lines.
+
+    ``points``: with dh and supported; ``inside``: frame_index, hypothesis, point_id; ``pair_of``: the tracks of each hypothesis.
+    Each (frame, hypothesis) is handled as a frame of its own.
     """
-    anchor = anchors(queries, cfg)
-    left, done = queries.select("frame_index", "point_id", "s", "l", "h").withColumn("reason", F.lit("no_local_model")), None
-    for radius in cfg.radii_m:
-        models = plane_models(anchor, points, radius, fit, cfg).withColumnsRenamed({"reason": "m_reason"})
-        cell = lambda c: F.floor(F.col(c) / radius).cast("int")  # noqa: B023, E731
-        steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
-        visit = models.withColumns({"i0": cell("a_s"), "j0": cell("a_l")}).select("*", steps).withColumns({"i": F.col("i0") + F.col("d.a"), "j": F.col("j0") + F.col("d.b")}).drop("d", "i0", "j0")
-        d2 = (F.col("s") - F.col("a_s")) ** 2 + (F.col("l") - F.col("a_l")) ** 2
-        met = left.withColumns({"i": cell("s"), "j": cell("l")}).join(visit, ["frame_index", "i", "j"]).where(d2 <= radius * radius)
-        picked = met.groupBy("frame_index", "point_id").agg(F.min_by(F.struct("usable", "m_reason", "anchor", "radius_m", "b_s", "b_l", "c", "holdout_p95_m"), F.struct(d2, "anchor")).alias("m"))
-        seen = left.join(picked, ["frame_index", "point_id"], "left")
-        dev = F.col("h") - F.col("m.b_s") * F.col("s") - F.col("m.b_l") * F.col("l") - F.col("m.c")
-        decided = seen.where("m.usable").select("frame_index", "point_id", F.col("m.radius_m").alias("radius_m"), F.col("m.anchor").alias("anchor"), ((dev > F.col("m.holdout_p95_m")) & (dev > 0)).alias("accepted"), F.when((dev > F.col("m.holdout_p95_m")) & (dev > 0), "above_threshold").otherwise("within_held_out_spread").alias("reason"))
-        done = decided if done is None else done.unionByName(decided)
-        left = seen.where("m is null or not m.usable").select("frame_index", "point_id", "s", "l", "h", F.coalesce("m.m_reason", "reason").alias("reason"))
-    none = F.lit(None)
-    return done.unionByName(left.select("frame_index", "point_id", none.cast("double").alias("radius_m"), none.cast("int").alias("anchor"), F.lit(False).alias("accepted"), "reason"))
+    from . import spatial
+    from .ground import segment_of
+
+    key = ["frame_index", "hypothesis"]
+    numbered = pair_of.withColumn("number", F.row_number().over(Window.partitionBy("frame_index").orderBy("hypothesis")) - 1)
+    code = (F.col("frame_index") * 4096 + F.col("number")).alias("code")  # at most max_live_tracks squared of them
+    who = numbered.select(*key, "a_track", "b_track", code)
+    ext = lines.select("frame_index", "segment", F.col("l_min").alias("g_min"), F.col("l_max").alias("g_max"))
+    samples = fragments.withColumn("segment", segment_of("s_center", ground)).join(ext, ["frame_index", "segment"], "left")
+    samples = samples.withColumn("supported", F.coalesce(F.col("l_median").between(F.col("g_min"), F.col("g_max")), F.lit(False)))
+    mine = who.select("frame_index", "code", F.explode(F.array("a_track", "b_track")).alias("track")).join(samples, ["frame_index", "track"])
+    mine = mine.select(F.col("code").alias("frame_index"), "s_center", "l_median", "h_median", "width_m", "supported")
+    rows = inside.join(who.select(*key, "code"), key).join(points, ["frame_index", "point_id"]).withColumn("inside", F.lit(True))
+    band = residual.join(who.select("frame_index", "code"), "frame_index").select(F.col("code").alias("frame_index"), "p95_m")
+    rows = rows.drop("frame_index", "hypothesis").withColumnRenamed("code", "frame_index")
+    found = straight_candidates(surface_masks(line_masks(rows, mine, cfg), band, cfg), cfg=cfg)
+    back = who.select(F.col("code").alias("frame_index"), F.col("frame_index").alias("frame"), "hypothesis")
+    return found.join(back, "frame_index").drop("frame_index").withColumnRenamed("frame", "frame_index").select("frame_index", "hypothesis", *[c for c in found.columns if c != "frame_index"])

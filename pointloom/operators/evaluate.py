@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import DETECTOR, Detector
+
+#: Statuses of frames that gave nothing.
+FAILED = ("insufficient_geometry", "no_hypotheses", "error")
 
 
 def run_summary(frames: DataFrame) -> DataFrame:
-    """Status counts, shares and times of a run. ``frames``: frame_index, status, support, seconds."""
+    """Status counts, shares and times of a run. ``frames``: run, frame_index, status, support, seconds."""
+    is_ = lambda *names: F.col("status").isin(*names)
+    missed = is_("insufficient_geometry", "no_hypotheses")
     return frames.groupBy("run").agg(
-        F.count("*").alias("frames"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "insufficient_geometry").alias("insufficient"), F.avg((F.col("status") == "insufficient_geometry").cast("double")).alias("share_insufficient"),
+        F.count("*").alias("frames"), F.count_if(is_("ok")).alias("ok"), F.count_if(is_("error")).alias("errors"), F.count_if(missed).alias("no_geometry"), F.avg(missed.cast("double")).alias("share_no_geometry"),
         F.min("support").alias("support_min"), F.max("support").alias("support_max"), F.percentile("seconds", F.lit(0.5)).alias("p50_s"), F.percentile("seconds", F.lit(0.95)).alias("p95_s"), F.sum("seconds").alias("sum_s"),
     )
 
 
 def candidate_totals(cands: DataFrame) -> DataFrame:
-    return cands.groupBy("hypothesis", "kind").agg(F.count("*").alias("candidates"), F.sum("unique_xyz").alias("points"))
+    """Candidates and their points of each hypothesis by kind and branch; sums over hypotheses are no number of objects."""
+    return cands.groupBy("hypothesis", "branch", "kind").agg(F.count("*").alias("candidates"), F.sum("unique_xyz").alias("points"))
 
 
 def pick_frames(frames: DataFrame) -> DataFrame:
-    """The frame with most candidates (lowest index on ties) and the first of the commonest failure."""
-    most = frames.agg(F.max_by("frame_index", F.struct("candidates", -F.col("frame_index"))).alias("frame_index")).select(F.lit("most_candidates").alias("why"), "frame_index")
-    fails = frames.where("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n"), F.min("frame_index").alias("first"))
-    worst = fails.agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("frame_index")).select(F.lit("commonest_failure").alias("why"), "frame_index")
+    """The frame with most candidates of one hypothesis (``candidates``; the first on ties), and the first frame of the commonest failure."""
+    most = frames.agg(F.max_by(F.struct("frame_index", F.col("candidates").alias("n")), F.struct("candidates", -F.col("frame_index"))).alias("x")).select(F.lit("most_candidates").alias("why"), "x.*")
+    fails = frames.where(F.col("status").isin(*FAILED)).groupBy("status").agg(F.count("*").alias("n"), F.min("frame_index").alias("frame_index"))
+    worst = fails.agg(F.max_by(F.struct("frame_index", "n"), F.struct("n", -F.col("frame_index"))).alias("x")).select(F.lit("commonest_failure").alias("why"), "x.*")
     return most.unionByName(worst).where("frame_index is not null")
 
 
@@ -33,18 +38,35 @@ def funnel(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     return points.groupBy(*(by or ["frame_index"])).agg(F.count("*").alias("points"), *[F.count_if(F.expr(" and ".join(stages[: k + 1]))).alias(n) for k, n in enumerate(("in_volume", "off_lines", "off_surface", "in_pool"))])
 
 
-def insertion(cands: DataFrame, inserted: DataFrame, cfg: Detector = DETECTOR, localised: float = 0.5, near_m: float = 1.0) -> DataFrame:
-    """What became of inserted points (frame_index, point_id, range_m), by frame.
+def insertion(marked: DataFrame, cands: DataFrame, inserted: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """What became of inserted points (frame_index, point_id, range_m), by frame, told after the detection.
 
-    A candidate localises the object with ``large_min`` hits that make up half of it.
+    ``marked``: all points with their masks; ``prior``: candidates of the same frames before the insertion. A candidate
+    is an insertion's where more than half of it was inserted; one that takes in points of an earlier candidate, or
+    is mostly others' points, is merged with the background.
     """
-    truth = inserted.groupBy("frame_index").agg(F.count("*").alias("inserted"), F.min("range_m").alias("true_range_m"))
-    hits = cands.select("frame_index", "candidate_id", "kind", "unique_xyz", "range_from_lidar_m", F.explode("members").alias("point_id")).join(inserted.select("frame_index", "point_id"), ["frame_index", "point_id"])
-    each = hits.groupBy("frame_index", "candidate_id", "kind", "unique_xyz", "range_from_lidar_m").agg(F.count("*").alias("hits")).withColumn("share", F.col("hits") / F.col("unique_xyz"))
-    best = each.groupBy("frame_index").agg(F.sum("hits").alias("hits"), F.count("*").alias("pieces"), F.max_by(F.struct("candidate_id", "hits", "share", "range_from_lidar_m"), F.struct("hits", "share", "candidate_id")).alias("best"))
-    out = truth.join(best, "frame_index", "left").select("frame_index", "inserted", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("pieces", F.lit(0)).alias("pieces"), F.col("best.candidate_id").alias("candidate_id"), F.col("best.share").alias("share"), F.abs(F.col("best.range_from_lidar_m") - F.col("true_range_m")).alias("range_error_m"), F.col("best.hits").alias("best_hits"))
-    outcome = F.when(F.col("hits") == 0, "missed").when((F.col("best_hits") >= cfg.large_min) & (F.col("share") >= localised) & (F.col("range_error_m") <= near_m), "localised").when(F.col("share") >= localised, "seen_in_part").otherwise("merged")
-    return out.withColumn("outcome", outcome).drop("best_hits")
+    key = ["frame_index", "point_id"]
+    seen = inserted.select(*key, "range_m").join(marked.select(*key, "inside", "excluded", "explained", "ambiguous"), key, "left")
+    on_line, layer = F.col("inside") & F.col("excluded"), F.col("inside") & F.col("ambiguous") & ~F.col("excluded")
+    pool = F.expr("inside and not excluded and not explained and not ambiguous")
+    truth = seen.groupBy("frame_index").agg(F.count("*").alias("inserted"), F.count_if("inside").alias("inside"), F.count_if(on_line).alias("on_lines"), F.count_if(layer).alias("in_layer"), F.count_if(pool).alias("in_pool"))
+    members = cands.select("frame_index", "candidate_id", "unique_xyz", "range_from_sensor_m", F.explode("members").alias("point_id")).join(inserted.select(*key, "range_m"), key, "left")
+    each = members.groupBy("frame_index", "candidate_id", "unique_xyz", "range_from_sensor_m").agg(F.count("range_m").alias("hits"), F.min("range_m").alias("true_range_m")).where("hits > 0")
+    if prior is None:
+        each = each.withColumn("overlaps", F.lit(False))
+    else:
+        before = prior.select("frame_index", F.explode("members").alias("point_id")).distinct().withColumn("before", F.lit(True))
+        again = members.where("range_m is null").join(before, key).select("frame_index", "candidate_id").distinct().withColumn("overlaps", F.lit(True))
+        each = each.join(again, ["frame_index", "candidate_id"], "left").fillna(False, ["overlaps"])
+    each = each.withColumns({"share": F.col("hits") / F.col("unique_xyz"), "range_error_m": F.abs(F.col("range_from_sensor_m") - F.col("true_range_m"))})
+    each = each.withColumn("merged", F.col("overlaps") | ((F.col("hits") < F.col("unique_xyz")) & (F.col("share") <= 0.5)))
+    best = each.groupBy("frame_index").agg(F.sum("hits").alias("hits"), F.count("*").alias("pieces"), F.bool_or(F.col("share") > 0.5).alias("mostly"), F.bool_or("merged").alias("merged"), F.max_by(F.struct("candidate_id", "share", "range_error_m"), F.struct("hits", "share", "candidate_id")).alias("best"))
+    out = truth.join(best, "frame_index", "left").fillna(0, ["hits", "pieces"]).fillna(False, ["mostly", "merged"])
+    outcome = (
+        F.when(F.col("inside") == 0, "outside_corridor").when(F.col("mostly"), "predominantly_insertion").when(F.col("merged"), "merged_with_background")
+        .when((F.col("in_layer") > 0) & (F.col("hits") == 0), "ambiguous_layer_only").when((F.col("on_lines") > 0) & (F.col("hits") == 0), "excluded_by_path_volume").otherwise("no_candidate")
+    )
+    return out.select("frame_index", "inserted", "inside", "in_pool", "in_layer", "on_lines", "hits", "pieces", "best.*", outcome.alias("outcome"))
 
 
 def prior_overlap(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -53,13 +75,30 @@ def prior_overlap(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(b, "frame_index").where(F.arrays_overlap("members", "prior")).select("frame_index", "candidate_id", "prior_id", F.size(F.array_intersect("members", "prior")).alias("common"))
 
 
-def faces(points: DataFrame, bin_m: float = 0.25, need: int = 40) -> DataFrame:
-    """The fullest slab across the path in each frame and the percentiles of its extent."""
-    b = F.floor(F.col("s") / bin_m).cast("int")
-    slabs = points.groupBy("frame_index", b.alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") >= need)
-    best = slabs.groupBy("frame_index").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"), F.max("n").alias("n"))
-    rows = points.withColumn("bin", b).join(best, ["frame_index", "bin"])
-    return rows.groupBy("frame_index", "bin", "n").agg(*[F.percentile(c, F.lit(p / 100)).alias(f"{c}_p{p}") for c in ("s", "l", "h") for p in (4, 96)])
+def faces(points: DataFrame, gate: Column | None = None, min_l_m: float = 0.0, min_h_m: float = 0.0, need: int = 40, core_need: int = 30) -> DataFrame:
+    """A dense thin slab across the path in each frame, and whether it is a face apart from floor and walls.
+
+    Of the bins along s that are full and wide enough the fullest starts a slab of 0.40 m; what stands above the floor
+    band of it is the core, and the percentiles of the core its extent. Frames without a slab have no row.
+    """
+    rows = points.where(gate) if gate is not None else points
+    rows = rows.withColumn("bin", F.floor(F.col("s") / 0.25).cast("int"))
+    full = rows.groupBy("frame_index", "bin").agg(F.count("*").alias("n"), (F.max("l") - F.min("l")).alias("wide"), (F.max("h") - F.min("h")).alias("tall"))
+    full = full.where((F.col("n") >= need) & (F.col("wide") >= min_l_m) & (F.col("tall") >= min_h_m))
+    best = full.groupBy("frame_index").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin")).select("frame_index", (F.col("bin") * 0.25).alias("s_lo_m"))
+    slab = rows.join(best, "frame_index").where((F.col("s") >= F.col("s_lo_m")) & (F.col("s") < F.col("s_lo_m") + 0.40))
+    w = Window.partitionBy("frame_index")
+    slab = slab.withColumns({"wide": F.max("l").over(w) - F.min("l").over(w), "core": F.col("h") >= F.percentile("h", F.lit(0.12)).over(w) + 0.05})
+    of = lambda f: f(F.when(F.col("core"), F.col("h")))
+    at = lambda c, p: F.percentile(F.when(F.col("core"), F.col(c)), F.lit(p))
+    out = slab.groupBy("frame_index", "s_lo_m").agg(
+        F.count("*").alias("n"), F.max("wide").alias("wide"), F.count_if("core").alias("core"), (of(F.max) - of(F.min)).alias("core_h"),
+        at("l", 0.04).alias("l_p4"), at("l", 0.96).alias("l_p96"), at("h", 0.04).alias("h_p4"), at("h", 0.96).alias("h_p96"),
+    ).where(F.col("n") >= need)
+    reason = F.when(F.col("wide") > 3.6, "spans_the_tunnel").when((F.col("core") < core_need) | (F.col("core_h") < 0.45), "not_apart_from_the_floor").otherwise("separated")
+    out = out.withColumn("reason", reason)
+    apart = F.col("reason") == "separated"
+    return out.select("frame_index", "s_lo_m", "n", "core", "reason", *[F.when(apart, F.col(c)).alias(c) for c in ("l_p4", "l_p96", "h_p4", "h_p96")])
 
 
 def region_hits(cands: DataFrame, region: DataFrame, hits_needed: int = 4, share_needed: float = 0.5) -> DataFrame:
@@ -88,6 +127,25 @@ def compare(expected: DataFrame, actual: DataFrame, exact: list[str], near: list
     return both.select("frame_index", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("difference"))
 
 
+def compare_candidates(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """Differences of the candidates of two results, place by place in each frame, the first of each frame.
+
+    Both: frame_index, place, hypothesis, candidate_id, kind, branch, members (array), range_from_sensor_m.
+    """
+    exact = ["hypothesis", "candidate_id", "kind", "branch", "members"]
+    side = lambda df, p: df.select("frame_index", "place", *[(F.sort_array(c) if c == "members" else F.col(c)).alias(f"{p}_{c}") for c in exact], F.col("range_from_sensor_m").alias(f"{p}_r"), F.lit(1).alias(p))
+    both = side(expected, "e").join(side(actual, "a"), ["frame_index", "place"], "full_outer")
+    same = F.lit(True)
+    for c in exact:
+        same &= F.col(f"e_{c}").eqNullSafe(F.col(f"a_{c}"))
+    odd = F.isnan("a_r") | (F.abs("a_r") == float("inf")) | F.isnan("e_r") | (F.abs("e_r") == float("inf"))
+    close = F.col("e_r").eqNullSafe(F.col("a_r")) | F.coalesce(F.abs(F.col("e_r") - F.col("a_r")) <= tolerance, F.lit(False))
+    what = F.when(F.col("e").isNull() | F.col("a").isNull(), "number").when(F.coalesce(odd, F.lit(False)), "range_not_finite").when(~same, "members").when(~close, "range")
+    found = both.withColumn("difference", what).where("difference is not null")
+    # another number of candidates is told first, then the first place that differs
+    return found.groupBy("frame_index").agg(F.min_by(F.struct("difference", "place"), F.struct(F.col("difference") != "number", "place")).alias("d")).select("frame_index", "d.*")
+
+
 def frame_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Frames of one result only."""
     a, b = expected.select("frame_index").distinct(), actual.select("frame_index").distinct()

@@ -150,3 +150,16 @@ def summary_plane(df: DataFrame, cfg: Ground = GROUND, tries: int = 80, seed: in
         return pd.DataFrame([(pdf.frame_index.iloc[0], *best, tilt, *np.percentile(r, [50, 95]), int((r <= cfg.plane_inlier_m).sum()), n)], columns=[c.split()[0] for c in PLANE.split(", ")])
 
     return df.select("frame_index", "s", "l", "h").groupBy("frame_index").applyInPandas(run, PLANE)
+
+
+def slopes_at(stations: DataFrame, lines: DataFrame, plane: DataFrame, cfg: Ground = GROUND, reach_m: float = 1.0) -> DataFrame:
+    """Slopes of the ground at stations (frame_index, s_center): across by the line of the segment there, or else by the
+    nearest segment's whose middle is within reach; along by the summary plane. Stations without either have no row.
+    """
+    near = lines.select("frame_index", "s_lo", "s_hi", F.col("slope_dh_dl").alias("slope_l"))
+    met = stations.join(near, "frame_index")
+    inside = (F.col("s_lo") <= F.col("s_center")) & (F.col("s_center") < F.col("s_hi"))
+    off = F.abs((F.col("s_lo") + F.col("s_hi")) / 2 - F.col("s_center"))
+    best = met.withColumns({"inside": inside, "off": off}).where(F.col("inside") | (F.col("off") <= reach_m))
+    best = best.groupBy("frame_index", "s_center").agg(F.min_by("slope_l", F.struct(~F.col("inside"), "off", "s_lo")).alias("slope_l"))
+    return best.join(plane.select("frame_index", F.col("b_s").alias("slope_s")), "frame_index")

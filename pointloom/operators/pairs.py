@@ -65,14 +65,22 @@ def median_slope_line(rows: DataFrame, keys: list[str], s: str, l: str, cfg: Pai
 
 
 def pose_at_reference(rows: DataFrame, lines: DataFrame, keys: list[str], cfg: Pairs = PAIRS) -> DataFrame:
-    """The midpoint at the reference station: observed there, else by the straight line with its support, else the nearest one."""
+    """The midpoint at the reference station: what was seen there or nearest, and what the line says, each under its own name.
+
+    The line's value is given only where it is straight and not too far outside of its sections; it is never an observation.
+    """
     ref = cfg.reference_s_m
-    near = rows.groupBy(*keys).agg(F.min_by("mid_l", F.struct(F.abs(F.col("s_center") - ref), "s_center")).alias("near_l"), F.min(F.abs(F.col("s_center") - ref)).alias("off"))
-    out = near.join(lines, keys)
-    gap = F.greatest(F.col("s_min") - ref, ref - F.col("s_max"), F.lit(0.0))
-    support = F.when(F.col("off") < 1e-6, "observed").when(gap == 0, "inside").when(gap <= cfg.extrapolate_m, "extrapolated").otherwise("too_far")
-    value = F.when(F.col("off") < 1e-6, F.col("near_l")).when(F.col("straight") & (gap <= cfg.extrapolate_m), F.col("b") + F.col("k") * ref).otherwise(F.col("near_l"))
-    return out.select(*keys, support.alias("support"), value.alias("pose_l_m"))
+    near = rows.groupBy(*keys).agg(F.min_by(F.struct("s_center", "mid_l"), F.struct(F.abs(F.col("s_center") - ref), "s_center")).alias("n"))
+    out = near.join(lines, keys, "left")
+    direct = F.abs(F.col("n.s_center") - ref) <= 1e-6
+    outside = F.greatest(F.col("s_min") - ref, ref - F.col("s_max"), F.lit(0.0))
+    support = F.when(outside > 1e-9, "extrapolation").when(direct, "observed").otherwise("gap")
+    reliable = F.coalesce(F.col("straight") & (outside <= cfg.extrapolate_m), F.lit(False))
+    reason = F.when(F.col("k").isNull(), "no_line").when(~F.col("straight"), "not_straight").when(outside > cfg.extrapolate_m, "too_far").otherwise("reliable")
+    return out.select(
+        *keys, support.alias("support"), F.when(direct, F.col("n.mid_l")).alias("direct_l_m"), F.col("n.s_center").alias("nearest_s_m"), F.col("n.mid_l").alias("nearest_l_m"),
+        F.when(reliable, F.col("b") + F.col("k") * ref).alias("model_l_m"), outside.alias("outside_m"), reliable.alias("reliable"), reason.alias("reason"),
+    )
 
 
 def pairs(sections: DataFrame, cfg: Pairs = PAIRS) -> DataFrame:
@@ -156,13 +164,22 @@ def same_place_cut(left: DataFrame, right: DataFrame, stations: list[float]) ->
 
 
 def distance_of_points(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Median distance of corresponding points (ds, dl, dh) of two lines across their common heading.
+    """Median distance of corresponding points of two lines (a_s, a_l, a_h and b_s, b_l, b_h), across their local heading.
 
-    The heading is the least-squares slope of the midpoints (s, mid_l).
+    The base is the least-squares plane through both lines, by sums; headings are those of the midpoints.
     """
-    k = rows.groupBy(*keys).agg(F.coalesce(F.regr_slope("mid_l", "s"), F.lit(0.0)).alias("k"))
-    d = F.abs(F.col("dl") - F.col("k") * F.col("ds")) / F.sqrt(1 + F.col("k") * F.col("k"))
-    return rows.join(k, keys).withColumn("d", F.sqrt(d * d + F.col("dh") * F.col("dh"))).groupBy(*keys).agg(F.median("d").alias("distance_m"), F.count("*").alias("points"))
+    ends = rows.select(*keys, F.explode(F.array(*[F.struct(*[F.col(f"{e}_{c}").alias(c) for c in "slh"]) for e in "ab"])).alias("p")).select(*keys, "p.*")
+    v = lambda a, b: F.covar_pop(a, b)
+    sums = ends.groupBy(*keys).agg(v("s", "s").alias("ss"), v("l", "l").alias("ll"), v("s", "l").alias("sl"), v("s", "h").alias("sh"), v("l", "h").alias("lh"))
+    c = {x: F.col(x) for x in ("ss", "ll", "sl", "sh", "lh")}
+    det = c["ss"] * c["ll"] - c["sl"] * c["sl"]
+    flat = lambda x: F.coalesce(F.try_divide(x, F.when(det > 1e-12 * c["ss"] * c["ll"], det)), F.lit(0.0))
+    plane = sums.select(*keys, flat(c["sh"] * c["ll"] - c["lh"] * c["sl"]).alias("slope_s"), flat(c["lh"] * c["ss"] - c["sh"] * c["sl"]).alias("slope_l"))
+    mid = rows.withColumns({"mid_s": (F.col("a_s") + F.col("b_s")) / 2, "mid_l": (F.col("a_l") + F.col("b_l")) / 2})
+    mid = mid.withColumn("heading", heading("mid_s", "mid_l", Window.partitionBy(*keys).orderBy("mid_s"))).join(plane, keys)
+    gap = {x: F.col(f"b_{x}") - F.col(f"a_{x}") for x in "slh"}
+    d = line_distance(gap["s"], gap["l"], gap["h"], F.col("heading"), F.col("slope_s"), F.col("slope_l"))
+    return mid.withColumn("d", d).groupBy(*keys).agg(F.median("d").alias("distance_m"), F.median(F.abs(gap["l"])).alias("same_s_delta_l_m"), F.count("*").alias("points"))
 
 
 def feature_table(sections: DataFrame) -> DataFrame:

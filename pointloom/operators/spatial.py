@@ -9,7 +9,7 @@ neighbours; half of those are visited, so each pair meets once. Components come
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DETECTOR, Detector
@@ -35,29 +35,45 @@ def radius_links(df: DataFrame, cell_m: float) -> DataFrame:
     return met.select("frame_index", F.least("p", "point_id").alias("a"), F.greatest("p", "point_id").alias("b"))
 
 
+#: Pairs of points that are measured at once.
+PAIRS_AT_ONCE = 2_000_000
+
+
 def _labels(points: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """The smallest row number linked to each row, by cells of the largest radius."""
-    parent = list(range(len(points)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    width = max(float(radius.max()), 1e-12)
-    cells: dict[tuple, list[int]] = {}
-    for n, c in enumerate(map(tuple, np.floor(points / width).astype(int).tolist())):
-        cells.setdefault(c, []).append(n)
-    for c, rows in cells.items():
-        near = np.array(sorted(x for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1) for x in cells.get((c[0] + a, c[1] + b, c[2] + d), ())))
-        for n in rows:
-            d2 = ((points[near] - points[n]) ** 2).sum(1)
-            for m in near[d2 <= np.maximum(radius[near], radius[n]) ** 2].tolist():
-                a, b = root(n), root(m)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    return np.array([root(n) for n in range(len(points))])
+    n = len(points)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    cell = np.floor(points / max(float(radius.max()), 1e-12)).astype(np.int64)
+    cell -= cell.min(0) - 1  # so that neighbours have positive numbers, too
+    span = cell.max(0) + 2
+    code = (cell[:, 0] * span[1] + cell[:, 1]) * span[2] + cell[:, 2]
+    order = np.argsort(code, kind="stable")
+    cells, start, size = np.unique(code[order], return_index=True, return_counts=True)
+    steps = [(a * span[1] + b) * span[2] + c for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+    label = np.arange(n)
+    links = []
+    for step in steps:
+        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        mine = np.flatnonzero(cells[at] == cells + step)
+        theirs, many = at[mine], size[mine] * size[at[mine]]
+        for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS_AT_ONCE)) + 1):
+            # every row of a cell with every row of the other
+            m, t = mine[part], theirs[part]
+            rows = np.repeat(start[m], many[part]) + np.concatenate([np.repeat(np.arange(x), y) for x, y in zip(size[m], size[t], strict=True)] or [[]]).astype(np.int64)
+            cols = np.repeat(start[t], many[part]) + np.concatenate([np.tile(np.arange(y), x) for x, y in zip(size[m], size[t], strict=True)] or [[]]).astype(np.int64)
+            rows, cols = order[rows], order[cols]
+            near = ((points[rows] - points[cols]) ** 2).sum(1) <= np.maximum(radius[rows], radius[cols]) ** 2
+            links.append(np.column_stack([rows[near], cols[near]])[rows[near] != cols[near]])
+    edge = np.concatenate(links)
+    while len(edge):  # each end takes the smaller label of the two, and labels are followed to their own labels
+        low = np.minimum(label[edge[:, 0]], label[edge[:, 1]])
+        np.minimum.at(label, label[edge[:, 0]], low)
+        np.minimum.at(label, label[edge[:, 1]], low)
+        while (label[label] != label).any():
+            label = label[label]
+        edge = edge[label[edge[:, 0]] != label[edge[:, 1]]]
+    return label
 
 
 def components(df: DataFrame, cell_m: float | None = None, by_frame: bool = True) -> DataFrame:
@@ -69,12 +85,12 @@ def components(df: DataFrame, cell_m: float | None = None, by_frame: bool = True
     if by_frame:
         schema = df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("point_id", kind="stable").reset_index(drop=True)
-            at = _labels(pdf[["s", "l", "h"]].to_numpy(float), pdf["radius"].to_numpy(float))
-            return pdf.assign(label=pdf["point_id"].to_numpy()[at])
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("point_id")
+            at = _labels(np.column_stack([table.column(c).to_numpy() for c in "slh"]), table.column("radius").to_numpy())
+            return table.append_column("label", pa.array(table.column("point_id").to_numpy()[at]))
 
-        return df.groupBy("frame_index").applyInPandas(run, schema + ", label long")
+        return df.groupBy("frame_index").applyInArrow(run, schema + ", label long")
     links = radius_links(df, cell_m or df.agg(F.max("radius")).first()[0])
     code = lambda c: F.col("frame_index") * (1 << 32) + F.col(c)
     nodes = df.withColumn("__node", code("point_id"))

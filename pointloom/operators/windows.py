@@ -52,9 +52,9 @@ def tail_median(df: DataFrame, value: str, order: str, by: str, rows: int = 9) -
     ).drop("__last")
 
 
-def keep_latest(df: DataFrame, slot: str, order: str) -> DataFrame:
+def keep_latest(df: DataFrame, slot: str | tuple[str, ...], order: str) -> DataFrame:
     """One row for each slot, the last one, and how many were dropped for it."""
-    w = Window.partitionBy(slot)
+    w = Window.partitionBy(*([slot] if isinstance(slot, str) else slot))
     return df.withColumns({"__n": F.row_number().over(w.orderBy(F.desc(order))), "dropped": F.count("*").over(w) - 1}).where("__n = 1").drop("__n")
 
 

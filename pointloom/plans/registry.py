@@ -6,14 +6,15 @@ tables. Computed doubles are rounded, as sums depend on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..config import DETECTOR, SPARSE
+from ..config import DETECTOR, SPARSE, Attachment
 from ..functions import scalars
 from ..operators import angular, cloud, corridor, detect, evaluate, ground, pairs, rule, sections, spatial, windows
-from ..session import materialise, table
+from ..session import frame_keyed, materialise, table
+from ..sources import pointcloud
 from ..streaming import replay
-from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, points
+from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, grouped, points
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -44,11 +45,11 @@ def rounded(df, digits: int = 6):
 # --- stages shared by queries -------------------------------------------------------------
 
 
-def surface(spark, sf_dir):
-    """Points, ground surfaces, local lines and the pooled residual."""
-    pts = materialise(points(spark, sf_dir).repartition("frame_index"), "points")
+def surface(spark, sf_dir, pts=None):
+    """Points, ground surfaces, local lines and the pooled residual. All of it is dealt by frame once."""
+    pts = frame_keyed(points(spark, sf_dir) if pts is None else pts)
     tracks = materialise(ground.link_modes(ground.height_modes(ground.in_region(pts), SPARSE), SPARSE), "tracks")
-    band = materialise(ground.band_rows(pts, tracks, SPARSE), "band")
+    band = ground.band_rows(pts, tracks, SPARSE)
     lines = materialise(ground.local_lines(band), "lines")
     return pts, tracks, lines, ground.fitting_residual(band, lines)
 
@@ -59,28 +60,36 @@ def cross_sections(spark, sf_dir):
     return pts, tracks, lines, residual, rows
 
 
+def on_ground(pts, tracks):
+    """Points near the ground's mode of their segment."""
+    modes = tracks.where("role = 'ground'").select("frame_index", "segment", F.col("h").alias("h_mode"))
+    return pts.withColumn("segment", ground.segment_of("s", SPARSE)).join(modes, ["frame_index", "segment"]).where(F.abs(F.col("h") - F.col("h_mode")) <= 2 * SPARSE.height_bin_m)
+
+
 def paired(spark, sf_dir):
     pts, tracks, lines, residual, rows = cross_sections(spark, sf_dir)
     frag = materialise(sections.link_clusters(sections.clusters(rows, SPARSE), "robust", SPARSE), "fragments")
-    plane = ground.summary_plane(pts.join(tracks.where("role = 'ground'").select("frame_index", "segment", F.col("h").alias("hm")), "frame_index").where((ground.segment_of("s", SPARSE) == F.col("segment")) & (F.abs(F.col("h") - F.col("hm")) <= 2 * SPARSE.height_bin_m)), SPARSE)
-    stations = frag.select("frame_index", "s_center").distinct().withColumn("segment", ground.segment_of("s_center", SPARSE))
-    slopes = stations.join(lines.select("frame_index", "segment", F.col("slope_dh_dl").alias("slope_l")), ["frame_index", "segment"]).join(plane.select("frame_index", F.col("b_s").alias("slope_s")), "frame_index").drop("segment")
-    return pts, lines, residual, frag, materialise(pairs.measure_sections(frag, slopes), "pair-sections")
+    slopes = ground.slopes_at(frag.select("frame_index", "s_center").distinct(), lines, ground.summary_plane(on_ground(pts, tracks), SPARSE), SPARSE)
+    return pts, tracks, lines, residual, frag, materialise(pairs.measure_sections(frag, slopes), "pair-sections")
 
 
-def masked(spark, sf_dir):
-    """Points of the configured volume with all masks."""
-    pts, tracks, lines, residual, rows = cross_sections(spark, sf_dir)
-    frag = sections.link_clusters(sections.clusters(rows, SPARSE), "robust", SPARSE)
-    samples = frag.select("frame_index", "s_center", "l_median", "h_median", (F.col("width_m") + 0.1).alias("width_m"), F.lit(True).alias("supported"))
-    marked = ground.above_ground(pts, lines, SPARSE).withColumn("inside", detect.in_profile())
-    return tracks, materialise(detect.surface_masks(detect.line_masks(marked, samples), residual), "masked")
+def marked(spark, sf_dir, pts=None, coarse_m: float | None = None):
+    """Points with the masks of the straight profile, which knows no lines; ``coarse_m``: a least residual, as of a rougher ground."""
+    pts, tracks, lines, residual = surface(spark, sf_dir, pts)
+    if coarse_m is not None:
+        residual = residual.withColumn("p95_m", F.greatest("p95_m", F.lit(coarse_m)))
+    rows = ground.above_ground(pts, lines, SPARSE).withColumns({"inside": detect.in_profile(), "excluded": F.lit(False)})
+    return tracks, materialise(detect.surface_masks(rows, residual), "masked")
 
 
-def found_candidates(spark, sf_dir):
-    tracks, marks = masked(spark, sf_dir)
-    pool = detect.object_pool(marks).withColumn("radius", spatial.link_radius())
-    return tracks, marks, detect.candidates(spatial.components(pool))
+def decided(spark, sf_dir, pts=None):
+    """Frames with their decision by the straight profile, and the candidates with their evidence."""
+    tracks, marks = marked(spark, sf_dir, pts)
+    judged = materialise(rule.with_evidence(detect.straight_candidates(marks)).drop("label"), "judged")
+    have = tracks.where("role = 'ground'").select("frame_index").distinct().withColumn("ground_found", F.lit(True))
+    frames = marks.select("frame_index").distinct().join(have, "frame_index", "left").fillna(False, ["ground_found"])
+    frames = frames.withColumns({"status": F.lit("ok"), "corridor_source": F.lit("configured_straight")})
+    return marks, judged, frames
 
 
 # --- points ---------------------------------------------------------------------------
@@ -131,7 +140,12 @@ def train_frame(spark, sf_dir):
     return rounded(out.select("frame_index", "source_index", "s", "l", "h", "coordinate_frame"), 5)
 
 
-@query(f"with {DUCK_CLOUD} select frame_index, 0.0e0 as worst_m, count(*) as points from cloud group by frame_index")
+_BACK = " + ".join(f"abs({' + '.join(f'{_R[j][i]}*t{j}' for j in range(3))} - {c})" for i, c in enumerate("xyz"))
+
+
+@query(f"""with {DUCK_CLOUD},
+t as (select *, x*{_R[0][0]} + y*{_R[0][1]} + z*{_R[0][2]} + 0.3e0 - 0.3e0 as t0, x*{_R[1][0]} + y*{_R[1][1]} + z*{_R[1][2]} - 0.1e0 + 0.1e0 as t1, x*{_R[2][0]} + y*{_R[2][1]} + z*{_R[2][2]} + 1.2e0 - 1.2e0 as t2 from cloud)
+select frame_index, round(max({_BACK}), 9) as worst_m, count(*) as points from t group by frame_index""")
 def mount_round_trip(spark, sf_dir):
     pts = records(spark, sf_dir).select("frame_index", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"), "x", "y", "z")
     back = cloud.train_to_sensor(cloud.sensor_to_train(pts, _MOUNT), _MOUNT)
@@ -204,8 +218,8 @@ def height_above_ground(spark, sf_dir):
 
 @query()
 def summary_plane(spark, sf_dir):
-    pts = points(spark, sf_dir)
-    return rounded(ground.summary_plane(pts.where("q <= 34"), SPARSE))
+    pts, tracks, _, _ = surface(spark, sf_dir)
+    return rounded(ground.summary_plane(on_ground(pts, tracks), SPARSE))
 
 
 # --- sections -------------------------------------------------------------------------
@@ -240,27 +254,45 @@ def section_roles(spark, sf_dir):
     return sections.roles(cross_sections(spark, sf_dir)[4], SPARSE).groupBy("frame_index", "s_center", "role").agg(F.count("*").alias("n"))
 
 
+def _clusters(spark, sf_dir):
+    _, _, lines, _, rows = cross_sections(spark, sf_dir)
+    return lines, sections.clusters(rows, SPARSE)
+
+
 @query()
 def line_fragments(spark, sf_dir):
-    return rounded(sections.link_clusters(sections.clusters(cross_sections(spark, sf_dir)[4], SPARSE), "robust", SPARSE))
+    return rounded(sections.link_clusters(_clusters(spark, sf_dir)[1], "robust", SPARSE))
+
+
+@query()
+def line_fragments_spatial(spark, sf_dir):
+    return rounded(sections.link_clusters(_clusters(spark, sf_dir)[1], "spatial", SPARSE))
 
 
 @query()
 def line_fragments_fixed(spark, sf_dir):
-    return rounded(sections.link_clusters(sections.clusters(cross_sections(spark, sf_dir)[4], SPARSE), "fixed_dl", SPARSE))
+    return rounded(sections.link_clusters(_clusters(spark, sf_dir)[1], "fixed_dl", SPARSE))
+
+
+@query()
+def line_candidates(spark, sf_dir):
+    lines, found = _clusters(spark, sf_dir)
+    return rounded(sections.line_candidates(sections.link_clusters(found, "robust", SPARSE), lines, SPARSE).drop("samples"))
+
+
+@query()
+def selection_funnel(spark, sf_dir):
+    return sections.selection_funnel(materialise(_clusters(spark, sf_dir)[1], "clusters"), SPARSE)
 
 
-@query(f"with {_SECTIONS}, k as (select frame_index, s_center, l_median from cl where fate = 'kept'), a as (select *, case s_center when 6 then 10.0e0 when 10 then 15.0e0 when 15 then 20.0e0 when 20 then 25.0e0 end as s_next from k where s_center < 25) select a.frame_index, a.s_center, round(a.l_median, 6) as l_median, round(min(abs(b.l_median - a.l_median)), 6) as step_m, case when min(abs(b.l_median - a.l_median)) is null then 'no_cluster' when min(abs(b.l_median - a.l_median)) > 0.25e0 then 'step_over_match' else 'continues' end as why from a left join k b on b.frame_index = a.frame_index and b.s_center = a.s_next group by a.frame_index, a.s_center, a.l_median")
+@query()
 def broken_hops(spark, sf_dir):
-    return rounded(sections.broken_hops(sections.clusters(cross_sections(spark, sf_dir)[4], SPARSE), SPARSE))
+    return rounded(sections.broken_hops(sections.link_clusters(_clusters(spark, sf_dir)[1], "robust", SPARSE, 2), SPARSE))
 
 
 @query()
 def wide_profiles(spark, sf_dir):
-    from dataclasses import replace
-
-    narrow = replace(SPARSE, structure_max_width_m=0.04, structure_l_gap_m=0.5, wide_bin_m=0.01)
-    return rounded(sections.wide_profile(cross_sections(spark, sf_dir)[4], narrow))
+    return rounded(sections.wide_profile(cross_sections(spark, sf_dir)[4], SPARSE))
 
 
 # --- pairs and corridors ---------------------------------------------------------------
@@ -268,23 +300,24 @@ def wide_profiles(spark, sf_dir):
 
 @query()
 def pair_sections(spark, sf_dir):
-    return rounded(paired(spark, sf_dir)[4].select("frame_index", "a_track", "b_track", "s_center", "mid_l", "mid_h", "heading", "distance_m"))
+    return rounded(paired(spark, sf_dir)[5].select("frame_index", "a_track", "b_track", "s_center", "mid_l", "mid_h", "heading", "distance_m"))
 
 
-#: Lines of a frame as given sides: the medians of the cloud's two lines at each station, so that SQL can follow.
-_SIDES = DUCK_POINTS + """,
-sd as (select frame_index, case when l < 0 then 0 else 1 end as track, case when s < 8 then 6.0e0 when s < 12.5 then 10.0e0 when s < 17.5 then 15.0e0 when s < 22.5 then 20.0e0 else 25.0e0 end as s_center, median(l) as l_median, median(h) as h_median, median(h) + 1 as dh_median, max(l) - min(l) as width_m, count(*) as groups from pts where q between 35 and 40 group by all),
-tw as (select a.frame_index, a.s_center, a.l_median as al, b.l_median as bl, a.h_median as ah, b.h_median as bh, a.groups + b.groups as groups, (a.l_median + b.l_median) / 2 as mid_l from sd a join sd b using (frame_index, s_center) where a.track = 0 and b.track = 1),
-hd as (select *, (coalesce(lead(mid_l) over w, mid_l) - coalesce(lag(mid_l) over w, mid_l)) / (coalesce(lead(s_center) over w, s_center) - coalesce(lag(s_center) over w, s_center)) as heading, count(*) over (partition by frame_index) as common from tw window w as (partition by frame_index order by s_center)),
+#: The fullest kept cluster left and right of the axis at each station: pairs of lines that SQL can follow, too.
+_SIDES = _SECTIONS + """,
+sd as materialized (select frame_index, track, s_center, l_median, h_median, dh_median, width_m, groups from (select *, case when l_median < 0 then 0 else 1 end as track, row_number() over (partition by frame_index, s_center, l_median < 0 order by groups desc, l_median) as place from cl where fate = 'kept') where place = 1),
+tw as (select a.frame_index, a.s_center, a.l_median as al, b.l_median as bl, a.h_median as ah, b.h_median as bh, a.dh_median as adh, b.dh_median as bdh, a.groups + b.groups as groups, (a.l_median + b.l_median) / 2 as mid_l from sd a join sd b using (frame_index, s_center) where a.track = 0 and b.track = 1),
+hd as (select *, (coalesce(lead(mid_l) over w, mid_l) - coalesce(lag(mid_l) over w, mid_l)) / nullif(coalesce(lead(s_center) over w, s_center) - coalesce(lag(s_center) over w, s_center), 0) as heading, count(*) over (partition by frame_index) as common from tw window w as (partition by frame_index order by s_center)),
 ds as (select *, abs((bl - al) * 1.0e0 + (bh - ah) * 0) / sqrt(1 + heading * heading) as distance_m from hd where common >= 2),
-ag as (select * from (select *, median(distance_m) over (partition by frame_index) as center from ds) where center between 0.40e0 and 2.80e0 and abs(distance_m - center) <= 0.25e0)
+ag as materialized (select * from (select *, count(*) over (partition by frame_index) as agree from (select *, median(distance_m) over (partition by frame_index) as center from ds) where center between 0.40e0 and 2.80e0 and abs(distance_m - center) <= 0.25e0) where agree >= 2)
 """
 
 
 def _sides(spark, sf_dir):
-    station = F.when(F.col("s") < 8, 6.0).when(F.col("s") < 12.5, 10.0).when(F.col("s") < 17.5, 15.0).when(F.col("s") < 22.5, 20.0).otherwise(25.0)
-    return points(spark, sf_dir).where("q between 35 and 40").groupBy("frame_index", F.when(F.col("l") < 0, 0).otherwise(1).alias("track"), station.alias("s_center")).agg(
-        F.median("l").alias("l_median"), F.median("h").alias("h_median"), (F.median("h") + 1).alias("dh_median"), (F.max("l") - F.min("l")).alias("width_m"), F.count("*").alias("groups"))
+    kept = _clusters(spark, sf_dir)[1].where("fate = 'kept'").withColumn("track", F.when(F.col("l_median") < 0, 0).otherwise(1))
+    place = F.row_number().over(Window.partitionBy("frame_index", "s_center", "track").orderBy(F.desc("groups"), "l_median"))
+    sides = kept.withColumn("place", place).where("place = 1").select("frame_index", "track", "s_center", "l_median", "h_median", "dh_median", "width_m", "groups")
+    return materialise(sides, "sides")
 
 
 def _side_sections(spark, sf_dir):
@@ -293,7 +326,7 @@ def _side_sections(spark, sf_dir):
     return sides, pairs.measure_sections(sides, flat)
 
 
-@query(f"with {_SIDES}, md as (select *, abs(distance_m - median(distance_m) over (partition by frame_index)) as mad from ag) select frame_index, 0 as a_track, 1 as b_track, round(median(distance_m), 6) as distance_m, round(median(mad), 6) as distance_mad_m, round(median(al), 6) as left_l_m, round(median(bl), 6) as right_l_m, sum(groups)::bigint as support_groups, count(*) as sections, arg_min(s_center, abs(s_center - 15)) as publish_s_m from md group by frame_index having count(*) >= 2")
+@query(f"with {_SIDES}, md as (select *, abs(distance_m - median(distance_m) over (partition by frame_index)) as mad from ag) select frame_index, 0 as a_track, 1 as b_track, round(median(distance_m), 6) as distance_m, round(median(mad), 6) as distance_mad_m, round(median(al), 6) as left_l_m, round(median(bl), 6) as right_l_m, sum(groups)::bigint as support_groups, count(*) as sections, arg_min(s_center, abs(s_center - 15) * 100 + s_center / 100) as publish_s_m from md group by frame_index having count(*) >= 2")
 def line_pairs(spark, sf_dir):
     return rounded(pairs.pairs(_side_sections(spark, sf_dir)[1]))
 
@@ -304,95 +337,135 @@ def midpoint_lines(spark, sf_dir):
     return rounded(pairs.median_slope_line(rows, ["frame_index", "a_track", "b_track"], "s_center", "mid_l"))
 
 
-@query(f"with {_SIDES}, dk as (select *, abs((al - lag(al) over w) / (s_center - lag(s_center) over w) - (bl - lag(bl) over w) / (s_center - lag(s_center) over w)) as dk from ag window w as (partition by frame_index order by s_center)), wd as (select frame_index, s_center, max(width_m) as width from sd group by all), p as (select d.frame_index, count(*) as n, median(dk) as dk, max(distance_m) - min(distance_m) as span, median(bh - ah) as dh, max(width) as width, median(distance_m) as distance_m from dk d join wd using (frame_index, s_center) group by d.frame_index having count(*) >= 2), q as (select *, least(1, n / 3.0e0) as support, coalesce(1 - least(1, dk / 0.08e0), 1) as direction, 1 - least(1, span / 0.25e0) as stability, 1 - least(1, abs(dh) / 0.05e0) as height, case when width <= 0.6e0 then 1.0e0 else 0.4e0 end as narrow from p) select frame_index, round(least(support, direction, stability, height, narrow), 6) as score, coalesce(dk, 0) > 0.02e0 or span > 0.25e0 as inconsistent, case when coalesce(dk, 0) > 0.02e0 or span > 0.25e0 or least(support, direction, stability, height, narrow) < 0.35e0 then 'insufficient' when least(support, direction, stability, height, narrow) >= 0.6e0 and support >= 1 and direction >= 0.5e0 and stability >= 0.5e0 and height >= 0.5e0 and narrow >= 1 then 'consistent' else 'ambiguous' end as kind from q")
-def pair_kinds(spark, sf_dir):
+_SCORED = _SIDES + """,
+dk as (select *, abs((al - lag(al) over w) / (s_center - lag(s_center) over w) - (bl - lag(bl) over w) / (s_center - lag(s_center) over w)) as dk from ag window w as (partition by frame_index order by s_center)),
+wd as (select frame_index, s_center, max(width_m) as width from sd group by all),
+pp as (select d.frame_index, count(*) as n, median(dk) as dk, max(distance_m) - min(distance_m) as span, median(bdh - adh) as dh, max(width) as width from dk d join wd using (frame_index, s_center) group by d.frame_index),
+pq as (select frame_index, n, dk, span, least(1, n / 3.0e0) as support, coalesce(1 - least(1, dk / 0.08e0), 1) as direction, 1 - least(1, span / 0.25e0) as stability, coalesce(1 - least(1, abs(dh) / greatest(coalesce(p95_m, 0), 0.05e0)), 1) as height, case when width <= 0.6e0 then 1.0e0 else 0.4e0 end as narrow from pp left join fr using (frame_index)),
+sc as (select *, least(support, direction, stability, height, narrow) as score, coalesce(dk, 0) > 0.02e0 or span > 0.25e0 as inconsistent from pq),
+kd as materialized (select *, case when inconsistent or score < 0.35e0 then 'insufficient' when score >= 0.6e0 and support >= 1 and direction >= 0.5e0 and stability >= 0.5e0 and height >= 0.5e0 and narrow >= 1 then 'consistent' else 'ambiguous' end as kind from sc)
+"""
+
+
+def _kinds(spark, sf_dir):
+    """Agreeing sections of the two sides, and their scores without assumed sections."""
     sides, sec = _side_sections(spark, sf_dir)
-    residual = sides.select("frame_index").distinct().withColumn("p95_m", F.lit(0.05))
-    none = pairs.assumed_sections(sides).where("false")
-    return rounded(pairs.scores(sec, residual, none).select("frame_index", "score", "inconsistent", "kind"))
+    residual = surface(spark, sf_dir)[3]
+    return pairs.agreeing(sec), pairs.scores(sec, residual, pairs.assumed_sections(sides).where("false"))
+
+
+@query(f"with {_SCORED} select frame_index, round(score, 6) as score, inconsistent, kind from kd")
+def pair_kinds(spark, sf_dir):
+    return rounded(_kinds(spark, sf_dir)[1].select("frame_index", "score", "inconsistent", "kind"))
 
 
 @query()
 def pair_scores(spark, sf_dir):
-    sides, sec = _side_sections(spark, sf_dir)
-    residual = sides.select("frame_index").distinct().withColumn("p95_m", F.lit(0.05))
-    return rounded(pairs.scores(sec, residual, pairs.assumed_sections(sides)))
+    _, _, _, residual, frag, sec = paired(spark, sf_dir)
+    return rounded(pairs.scores(sec, residual, pairs.assumed_sections(frag)))
 
 
-@query(f"with {_SIDES}, k as (select a.frame_index, median((b.mid_l - a.mid_l) / (b.s_center - a.s_center)) as k from ag a join ag b on a.frame_index = b.frame_index and b.s_center > a.s_center group by a.frame_index), b as (select frame_index, k, s_center, mid_l, median(mid_l - k * s_center) over (partition by frame_index) as b from ag join k using (frame_index)), l as (select frame_index, any_value(k) as k, any_value(b.b) as b, count(*) >= 3 and quantile_cont(abs(mid_l - b.b - k * s_center), 0.95) <= 0.08e0 as straight, min(s_center) as lo, max(s_center) as hi, arg_min(mid_l, abs(s_center - 15) * 100 + s_center / 100) as near_l, min(abs(s_center - 15)) as off from b group by frame_index), g as (select *, greatest(lo - 15, 15 - hi, 0) as gap from l) select frame_index, 0 as a_track, 1 as b_track, case when off < 1e-6 then 'observed' when gap = 0 then 'inside' when gap <= 5 then 'extrapolated' else 'too_far' end as support, round(case when off < 1e-6 then near_l when straight and gap <= 5 then b + k * 15 else near_l end, 6) as pose_l_m from g")
+@query(f"""with {_SIDES},
+k as (select a.frame_index, median((b.mid_l - a.mid_l) / (b.s_center - a.s_center)) as k from ag a join ag b on a.frame_index = b.frame_index and b.s_center > a.s_center group by a.frame_index),
+b as (select frame_index, k, s_center, mid_l, median(mid_l - k * s_center) over (partition by frame_index) as b from ag join k using (frame_index)),
+l as (select frame_index, any_value(k) as k, any_value(b.b) as b, count(*) >= 3 and quantile_cont(abs(mid_l - b.b - k * s_center), 0.95) <= 0.08e0 as straight, min(s_center) as lo, max(s_center) as hi, arg_min(mid_l, abs(s_center - 15) * 100 + s_center / 100) as near_l, arg_min(s_center, abs(s_center - 15) * 100 + s_center / 100) as near_s from b group by frame_index),
+g as (select *, greatest(lo - 15, 15 - hi, 0) as outside, near_s = 15 as direct from l)
+select frame_index, 0 as a_track, 1 as b_track, case when outside > 0 then 'extrapolation' when direct then 'observed' else 'gap' end as support, round(case when direct then near_l end, 6) as direct_l_m, near_s as nearest_s_m, round(near_l, 6) as nearest_l_m,
+  round(case when straight and outside <= 5 then b + k * 15 end, 6) as model_l_m, outside as outside_m, straight and outside <= 5 as reliable, case when not straight then 'not_straight' when outside > 5 then 'too_far' else 'reliable' end as reason from g""")
 def pair_poses(spark, sf_dir):
     keys = ["frame_index", "a_track", "b_track"]
     rows = pairs.agreeing(_side_sections(spark, sf_dir)[1])
     return rounded(pairs.pose_at_reference(rows, pairs.median_slope_line(rows, keys, "s_center", "mid_l"), keys))
 
 
-@query(f"with {_SIDES}, k as (select frame_index, track, s_center, l_median from sd where not (track = 0 and s_center = 15)), sp as (select frame_index, greatest(min(s_center) filter (track = 0), min(s_center) filter (track = 1)) as lo, least(max(s_center) filter (track = 0), max(s_center) filter (track = 1)) as hi from k group by all), f as (select coalesce(a.frame_index, b.frame_index) as frame_index, coalesce(a.s_center, b.s_center) as s_center, a.l_median as al, b.l_median as bl from (select * from k where track = 0) a full join (select * from k where track = 1) b on a.frame_index = b.frame_index and a.s_center = b.s_center), m as (select *, median(bl - al) over (partition by frame_index) as sep from f) select m.frame_index, 0 as a_track, 1 as b_track, s_center, round(coalesce(al, bl - sep), 6) as a_l_m, round(coalesce(bl, al + sep), 6) as b_l_m, case when al is null then 'a' else 'b' end as assumed from m join sp using (frame_index) where (al is null or bl is null) and s_center between lo and hi")
+@query(f"with {_SIDES}, sp as (select frame_index, greatest(min(s_center) filter (track = 0), min(s_center) filter (track = 1)) as lo, least(max(s_center) filter (track = 0), max(s_center) filter (track = 1)) as hi from sd group by all having count(*) filter (track = 0) > 0 and count(*) filter (track = 1) > 0), f as (select coalesce(a.frame_index, b.frame_index) as frame_index, coalesce(a.s_center, b.s_center) as s_center, a.l_median as al, b.l_median as bl from (select * from sd where track = 0) a full join (select * from sd where track = 1) b on a.frame_index = b.frame_index and a.s_center = b.s_center), m as (select *, median(bl - al) over (partition by frame_index) as sep from f) select m.frame_index, 0 as a_track, 1 as b_track, s_center, round(coalesce(al, bl - sep), 6) as a_l_m, round(coalesce(bl, al + sep), 6) as b_l_m, case when al is null then 'a' else 'b' end as assumed from m join sp using (frame_index) where (al is null or bl is null) and s_center between lo and hi")
 def assumed_sections(spark, sf_dir):
-    return rounded(pairs.assumed_sections(_sides(spark, sf_dir).where("not (track = 0 and s_center = 15)")))
+    return rounded(pairs.assumed_sections(_sides(spark, sf_dir)))
 
 
 def _midpoints(spark, sf_dir):
     return pairs.agreeing(_side_sections(spark, sf_dir)[1]).select("frame_index", F.lit("H1").alias("hypothesis"), F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
 
 
-@query(f"with {_SIDES} select frame_index, case when abs(arg_min(mid_l, abs(s_center - 6)) - 0) <= 0.25e0 and abs((arg_max(mid_l, s_center) - arg_min(mid_l, s_center)) / (max(s_center) - min(s_center))) <= 0.15e0 then 1 else 0 end as matches, case when abs(arg_min(mid_l, abs(s_center - 6)) - 0) <= 0.25e0 and abs((arg_max(mid_l, s_center) - arg_min(mid_l, s_center)) / (max(s_center) - min(s_center))) <= 0.15e0 then 'H1' end as hypothesis, case when abs(arg_min(mid_l, abs(s_center - 6)) - 0) <= 0.25e0 and abs((arg_max(mid_l, s_center) - arg_min(mid_l, s_center)) / (max(s_center) - min(s_center))) <= 0.15e0 then 'one' else 'none' end as attachment from ag group by frame_index")
+@query(f"""with {_SIDES}, w as (select frame_index, arg_min(mid_l, abs(s_center - 6)) as near_l, arg_min(mid_l, s_center) as la, arg_max(mid_l, s_center) as lb, max(s_center) - min(s_center) as ds, count(*) as n from ag where s_center between 5 and 16 group by frame_index),
+ok as (select frame_index from w where abs(near_l) <= 0.02e0 and (n < 2 or abs((lb - la) / ds) <= 0.002e0))
+select f.frame_index, case when ok.frame_index is null then 0 else 1 end::bigint as matches, case when ok.frame_index is not null then ['H1'] end as hypotheses, case when ok.frame_index is null then 'none' else 'one' end as attachment from (select distinct frame_index from ag) f left join ok using (frame_index)""")
 def attachment_matches(spark, sf_dir):
-    return corridor.attachment_match(_midpoints(spark, sf_dir), 6.0, 0.0).withColumn("matches", F.col("matches").cast("int"))
+    place = Attachment(s_m=6.0, l_m=0.0, support_s_min_m=5.0, support_s_max_m=16.0, lateral_m=0.02, heading=0.0, heading_tolerance=0.002)
+    return corridor.attachment_match(_midpoints(spark, sf_dir), place)
 
 
 @query()
 def corridor_relations(spark, sf_dir):
-    pts, _, lines, _ = surface(spark, sf_dir)
-    v = materialise(corridor.vertices(_midpoints(spark, sf_dir).where("s <> 15"), lines, cfg=SPARSE), "vertices")
+    """The inferred corridor end to end: pairs of lines as hypotheses, a corridor along each, all points against all corridors of their frame."""
+    pts, _, lines, _, _, sec = paired(spark, sf_dir)
+    middle = pairs.agreeing(sec).select("frame_index", F.format_string("H%d-%d", "a_track", "b_track").alias("hypothesis"), F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
+    v = materialise(corridor.vertices(middle, lines, cfg=SPARSE), "vertices")
     return rounded(corridor.classify(pts, corridor.segments(v), v))
 
 
-@query(f"with {_SIDES}, dk as (select *, abs((al - lag(al) over w) / (s_center - lag(s_center) over w) - (bl - lag(bl) over w) / (s_center - lag(s_center) over w)) as dk from ag window w as (partition by frame_index order by s_center)), p as (select frame_index, arg_min(mid_l, s_center) as offset_m, arg_min(heading, s_center) as first_heading, arg_max(heading, s_center) as last_heading, count(*) as sections from dk group by frame_index) select frame_index, 0 as a_track, 1 as b_track, round(offset_m, 6) as offset_m, round(first_heading, 6) as first_heading, round(last_heading, 6) as last_heading, sections, round(abs(last_heading - first_heading), 6) as heading_change, abs(last_heading - first_heading) > 0.15e0 + 1e-9 as changing from p")
-def axis_changes(spark, sf_dir):
-    return rounded(rule.axis_compatibility(pairs.agreeing(_side_sections(spark, sf_dir)[1])))
-
-
 @query()
-def axis_compatibility(spark, sf_dir):
-    sides, sec = _side_sections(spark, sf_dir)
-    axis = rule.axis_compatibility(pairs.agreeing(sec))
-    residual = sides.select("frame_index").distinct().withColumn("p95_m", F.lit(0.05))
-    return rounded(rule.forbids(axis, pairs.scores(sec, residual, pairs.assumed_sections(sides))))
+def inferred_candidates(spark, sf_dir):
+    """Candidates in the corridor of each hypothesis, without the volumes of the lines that it was made of."""
+    pts, _, lines, residual, frag, sec = paired(spark, sf_dir)
+    of = F.format_string("H%d-%d", "a_track", "b_track").alias("hypothesis")
+    rows = pairs.agreeing(sec).select("frame_index", of, F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
+    v = materialise(corridor.vertices(rows, lines, cfg=SPARSE), "vertices")
+    inside = corridor.classify(pts, corridor.segments(v), v).where("relation = 'inside'").select("frame_index", "hypothesis", "point_id")
+    pair_of = sec.select("frame_index", of, "a_track", "b_track").distinct()
+    return rounded(detect.inferred_candidates(ground.above_ground(pts, lines, SPARSE), inside, pair_of, frag, lines, residual, SPARSE).drop("label", "members"))
+
+
+@query(f"""with {_SCORED}, ar as (select frame_index, list(mid_l order by s_center) as m, list(s_center order by s_center) as st, avg(mid_l) as lateral_m, count(*)::int as sections from ag group by frame_index),
+sp as (select *, st[sections] - st[1] as span_m, (m[sections] - m[1]) / (st[sections] - st[1]) as direction, greatest(2, sections // 2) as half from ar where sections >= 2),
+tn as (select *, case when sections >= 3 and span_m >= 4 then abs((m[sections] - m[half]) / (st[sections] - st[half]) - (m[half] - m[1]) / (st[half] - st[1])) end as direction_change from sp),
+fl as (select t.*, kind, abs(lateral_m) > 1.05e0 as offset_, coalesce(direction_change > 0.15e0, false) as turns, kind <> 'consistent' or sections < 3 or span_m < 4 as weak from tn t join kd using (frame_index))
+select frame_index, 0 as a_track, 1 as b_track, sections, round(lateral_m, 6) as lateral_m, round(span_m, 6) as span_m, round(direction, 6) as direction, round(direction_change, 6) as direction_change, kind, 0::bigint as shared_with, offset_ as "offset", turns, coalesce(abs(direction) > 0.15e0 and not turns, false) as constant_heading, weak, false as shared,
+  case when weak then 'weak_or_shared' when offset_ then 'offset' when turns then 'turns_of_unknown_owner' when abs(direction) > 0.15e0 then 'constant_heading' else 'no_contradiction' end as reason, false as forbids from fl""")
+def axis_assessment(spark, sf_dir):
+    return rounded(rule.axis_assessment(*_kinds(spark, sf_dir)))
 
 
 # --- candidates and decisions -----------------------------------------------------------
 
-_SLICE = DUCK_POINTS + """,
-sl as (select * from pts where abs(l) <= 1.05e0 and h between -0.85e0 and 1.925e0),
-ed as (select a.frame_index, a.point_id as a, b.point_id as b from sl a join sl b on a.frame_index = b.frame_index and a.point_id <> b.point_id where (a.s-b.s)**2 + (a.l-b.l)**2 + (a.h-b.h)**2 <= 0.15e0 * 0.15e0),
+_MASKS = _DH + """,
+bs as (select d.*, f.p95_m, d.s between 1 and 120 and abs(d.l) <= 1.05e0 and d.h between -1.075e0 and -1.075e0 + 3 as inside, 32 * 2.220446049250313e-16 * greatest(1, abs(d.h)) as slack from dh d left join fr f using (frame_index)),
+mk as materialized (select *, coalesce(inside and supported and dh >= -slack and p95_m < 0.05e0 and dh <= p95_m + slack, false) as explained, coalesce(inside and supported and dh >= -slack and p95_m >= 0.05e0 and dh <= greatest(p95_m, 0.10e0), false) as ambiguous from bs)
+"""
+_POOL = _MASKS + """,
+sl as materialized (select *, cast(floor(s/0.15e0) as int) i, cast(floor(l/0.15e0) as int) j, cast(floor(h/0.15e0) as int) k from mk where inside and not explained and not ambiguous),
+st as (select a.x as di, b.x as dj, c.x as dk from (values (-1), (0), (1)) a(x), (values (-1), (0), (1)) b(x), (values (-1), (0), (1)) c(x)),
+vi as (select frame_index, point_id, s, l, h, i + di as i, j + dj as j, k + dk as k from sl, st),
+ed as materialized (select v.frame_index, v.point_id as a, w.point_id as b from vi v join sl w using (frame_index, i, j, k) where v.point_id <> w.point_id and (v.s-w.s)**2 + (v.l-w.l)**2 + (v.h-w.h)**2 <= 0.15e0 * 0.15e0),
 rc as (select frame_index, point_id, point_id as r from sl union select rc.frame_index, ed.b, rc.r from rc join ed on ed.frame_index = rc.frame_index and ed.a = rc.point_id),
-lb as (select frame_index, point_id, min(r) as label from rc group by all)
+lb as materialized (select frame_index, point_id, min(r) as label from rc group by all)
 """
 
 
-def _slice(spark, sf_dir):
-    return points(spark, sf_dir).where("abs(l) <= 1.05 and h between -0.85 and 1.925").withColumn("radius", F.lit(DETECTOR.link_m))
+def _pool(spark, sf_dir):
+    """Points of the straight volume that neither lines nor the surface explain."""
+    return detect.object_pool(marked(spark, sf_dir)[1]).withColumn("radius", spatial.link_radius())
 
 
-@query(f"with recursive {_SLICE} select frame_index, point_id, label from lb")
+@query(f"with recursive {_POOL} select frame_index, point_id, label from lb")
 def radius_components(spark, sf_dir):
-    return spatial.components(_slice(spark, sf_dir)).select("frame_index", "point_id", "label")
+    return spatial.components(_pool(spark, sf_dir)).select("frame_index", "point_id", "label")
 
 
-@query(f"with recursive {_SLICE} select frame_index, point_id, label from lb")
+@query(f"with recursive {_POOL} select frame_index, point_id, label from lb")
 def radius_components_joined(spark, sf_dir):
-    return spatial.components(_slice(spark, sf_dir), DETECTOR.link_m, by_frame=False).select("frame_index", "point_id", "label")
+    return spatial.components(_pool(spark, sf_dir), DETECTOR.link_m, by_frame=False).select("frame_index", "point_id", "label")
 
 
-@query(f"with recursive {_SLICE} select frame_index, a, b from ed where a < b")
+@query(f"with recursive {_POOL} select frame_index, a, b from ed where a < b")
 def radius_links(spark, sf_dir):
-    return spatial.radius_links(_slice(spark, sf_dir), DETECTOR.link_m)
+    return spatial.radius_links(_pool(spark, sf_dir), DETECTOR.link_m)
 
 
-_CELLS = DUCK_POINTS + """,
-sl as (select *, cast(floor(s/0.15e0) as int) i, cast(floor(l/0.15e0) as int) j, cast(floor(h/0.15e0) as int) k from pts where abs(l) <= 1.05e0 and h between -0.85e0 and 1.925e0),
-ce as (select frame_index, i, j, k, min(point_id) as f from sl group by all),
-ed as (select a.frame_index, a.f as a, b.f as b from ce a join ce b on a.frame_index = b.frame_index and a.f <> b.f and abs(a.i-b.i) <= 1 and abs(a.j-b.j) <= 1 and abs(a.k-b.k) <= 1),
+_CELLS = _POOL[: _POOL.index(",\nst as")] + """,
+st as (select a.x as di, b.x as dj, c.x as dk from (values (-1), (0), (1)) a(x), (values (-1), (0), (1)) b(x), (values (-1), (0), (1)) c(x)),
+ce as materialized (select frame_index, i, j, k, min(point_id) as f from sl group by all),
+ed as materialized (select a.frame_index, a.f as a, b.f as b from (select frame_index, f, i + di as i, j + dj as j, k + dk as k from ce, st) a join ce b using (frame_index, i, j, k) where a.f <> b.f),
 rc as (select frame_index, f, f as r from ce union select rc.frame_index, ed.b, rc.r from rc join ed on ed.frame_index = rc.frame_index and ed.a = rc.f),
 lb as (select frame_index, f, min(r) as label from rc group by all)
 """
@@ -400,19 +473,19 @@ lb as (select frame_index, f, min(r) as label from rc group by all)
 
 @query(f"with recursive {_CELLS} select sl.frame_index, sl.point_id, lb.label from sl join ce using (frame_index, i, j, k) join lb on lb.frame_index = ce.frame_index and lb.f = ce.f")
 def cell_components(spark, sf_dir):
-    return spatial.cell_components(_slice(spark, sf_dir)).select("frame_index", "point_id", "label")
+    return spatial.cell_components(_pool(spark, sf_dir)).select("frame_index", "point_id", "label")
 
 
-_CANDS = _SLICE + """,
-cd as (select l.frame_index, l.label, count(*) as unique_xyz, max(s)-min(s) as extent_s_m, max(p.l)-min(p.l) as extent_l_m, max(h)-min(h) as extent_h_m, min(s) as s_min_m, min(p.l) as l_min_m, min(h) as h_min_m, min(range_m) as range_from_lidar_m, case when count(*) >= 8 then 'large' else 'rare' end as kind from lb l join sl p on p.frame_index = l.frame_index and p.point_id = l.point_id group by l.frame_index, l.label),
+_CANDS = _POOL + """,
+cd as (select l.frame_index, l.label, count(*) as unique_xyz, max(s)-min(s) as extent_s_m, max(p.l)-min(p.l) as extent_l_m, max(h)-min(h) as extent_h_m, min(s) as s_min_m, min(p.l) as l_min_m, min(h) as h_min_m, min(range_m) as range_from_sensor_m, case when count(*) >= 8 then 'large' else 'rare' end as kind from lb l join sl p on p.frame_index = l.frame_index and p.point_id = l.point_id group by l.frame_index, l.label),
 cn as (select *, (case when kind = 'large' then 'L' else 'R' end) || row_number() over (partition by frame_index, kind order by s_min_m, l_min_m, h_min_m, label) as candidate_id from cd)
 """
 
 
-@query(f"with recursive {_CANDS} select frame_index, candidate_id, kind, unique_xyz, round(extent_s_m, 6) as extent_s_m, round(extent_l_m, 6) as extent_l_m, round(extent_h_m, 6) as extent_h_m, round(s_min_m, 6) as s_min_m, round(range_from_lidar_m, 6) as range_from_lidar_m from cn")
+@query(f"with recursive {_CANDS} select frame_index, candidate_id, kind, unique_xyz, round(extent_s_m, 6) as extent_s_m, round(extent_l_m, 6) as extent_l_m, round(extent_h_m, 6) as extent_h_m, round(s_min_m, 6) as s_min_m, round(range_from_sensor_m, 6) as range_from_sensor_m from cn")
 def candidates(spark, sf_dir):
-    c = detect.candidates(spatial.components(_slice(spark, sf_dir)))
-    return rounded(c.select("frame_index", "candidate_id", "kind", "unique_xyz", "extent_s_m", "extent_l_m", "extent_h_m", "s_min_m", "range_from_lidar_m"))
+    c = detect.candidates(spatial.components(_pool(spark, sf_dir)))
+    return rounded(c.select("frame_index", "candidate_id", "kind", "unique_xyz", "extent_s_m", "extent_l_m", "extent_h_m", "s_min_m", "range_from_sensor_m"))
 
 
 _JUDGED = _CANDS + """,
@@ -424,55 +497,104 @@ jd as (select *, case when unique_xyz <= 1 then 'single_point_is_weak' when evid
 
 @query(f"with recursive {_JUDGED} select frame_index, candidate_id, evidence, reason, corridor_segment from jd")
 def intrusion_evidence(spark, sf_dir):
-    c = rule.with_evidence(detect.candidates(spatial.components(_slice(spark, sf_dir))))
-    return c.select("frame_index", "candidate_id", "evidence", "reason", "corridor_segment")
+    return decided(spark, sf_dir)[1].select("frame_index", "candidate_id", "evidence", "reason", "corridor_segment")
 
 
-@query(f"with recursive {_JUDGED} select f.frame_index, count(j.frame_index) as candidates, count(evidence) as intrusions, round(min(range_from_lidar_m) filter (evidence is not null), 6) as nearest_intrusion_m, case when count(evidence) > 0 then 'conditional_intrusion' when count(j.frame_index) > 0 then 'candidate_only' else 'no_intrusion_detected' end as decision from (select distinct frame_index from pts) f left join jd j using (frame_index) group by f.frame_index")
-def slice_decisions(spark, sf_dir):
-    judged = rule.with_evidence(detect.candidates(spatial.components(_slice(spark, sf_dir))))
-    frames = points(spark, sf_dir).select("frame_index").distinct().select("frame_index", F.lit("ok").alias("status"), F.lit("configured_straight").alias("corridor_source"), F.lit(True).alias("profile_applicable"), F.lit(True).alias("ground_found"))
-    return rounded(rule.decide(frames, judged).select("frame_index", "candidates", "intrusions", "nearest_intrusion_m", "decision"))
+_DECIDED = _JUDGED + """,
+gf as (select distinct frame_index from gm),
+dc as (select f.frame_index, gf.frame_index is not null as ground, count(j.frame_index) as candidates, count(evidence) as intrusions, min(range_from_sensor_m) filter (evidence is not null) as nearest from (select distinct frame_index from pts) f left join gf using (frame_index) left join jd j on j.frame_index = f.frame_index group by all)
+select frame_index, 'ok' as status, candidates, case when ground then intrusions else 0 end as intrusions, round(case when ground then nearest end, 6) as nearest_intrusion_m, case when not ground then 'insufficient_evidence' when intrusions > 0 then 'conditional_intrusion' when candidates > 0 then 'candidate_only' else 'no_intrusion_detected' end as decision,
+  case when not ground then 'no_ground_filter' when intrusions > 0 then 'unexplained_cluster_in_the_volume' when candidates > 0 then 'no_candidate_accepted' else 'nothing_in_the_volume' end as reason from dc
+"""
 
 
-@query()
+def _card(frames, judged):
+    return rounded(rule.decide(frames, judged).select("frame_index", "status", "candidates", "intrusions", "nearest_intrusion_m", "decision", "reason"))
+
+
+@query(f"with recursive {_DECIDED}")
 def frame_decisions(spark, sf_dir):
-    """The flagship: from records to one decision for each frame."""
-    tracks, marks, cands = found_candidates(spark, sf_dir)
-    have = tracks.where("role = 'ground'").select("frame_index").distinct().withColumn("ground_found", F.lit(True))
-    frames = marks.select("frame_index").distinct().join(have, "frame_index", "left").fillna(False, ["ground_found"])
-    frames = frames.select("frame_index", F.when(F.col("ground_found"), "ok").otherwise("insufficient_geometry").alias("status"), F.lit("configured_straight").alias("corridor_source"), F.lit(True).alias("profile_applicable"), "ground_found")
-    return rounded(rule.decide(frames, rule.with_evidence(cands)).select("frame_index", "status", "candidates", "intrusions", "nearest_intrusion_m", "decision"))
+    """The flagship: from points to one decision for each frame by the straight profile.
 
+    Only a pair of lines that is known to be the own track can forbid the profile, and none is known here.
+    """
+    _, judged, frames = decided(spark, sf_dir)
+    return _card(frames.withColumn("profile_applicable", F.lit(True)), judged)
 
-@query()
+
+@query(f"with recursive {_DECIDED}")
+def assessed_decisions(spark, sf_dir):
+    """The same with every pair of lines held against the straight axis before the rule."""
+    _, judged, frames = decided(spark, sf_dir)
+    _, _, _, residual, frag, sec = paired(spark, sf_dir)
+    axis = rule.axis_assessment(pairs.agreeing(sec), pairs.scores(sec, residual, pairs.assumed_sections(frag)))
+    return _card(rule.applicable(frames, axis), judged)
+
+
+@query(f"with recursive {_DECIDED}")
+def packed_decisions(spark, sf_dir):
+    """The same from packed messages: decoded, valid records only, exact groups."""
+    messages = materialise(pointcloud.packed(records(spark, sf_dir).select("frame_index", "source_index", "x", "y", "z", "intensity", "ring")), "messages")
+    decoded = cloud.valid(pointcloud.points(messages, "double"))
+    _, judged, frames = decided(spark, sf_dir, grouped(decoded))
+    return _card(frames.withColumn("profile_applicable", F.lit(True)), judged)
+
+
+@query(f"with {_MASKS} select frame_index, count(*) as points, count(*) filter (inside) as in_volume, count(*) filter (inside) as off_lines, count(*) filter (inside and not explained) as off_surface, count(*) filter (inside and not explained and not ambiguous) as in_pool from mk group by frame_index")
 def detection_funnel(spark, sf_dir):
-    return evaluate.funnel(masked(spark, sf_dir)[1])
+    return evaluate.funnel(marked(spark, sf_dir)[1])
 
 
 @query()
 def local_protrusions(spark, sf_dir):
-    pts = points(spark, sf_dir)
-    return detect.local_protrusions(pts.where("q > 44"), pts.where("q <= 34 or q > 44")).groupBy("frame_index", "reason", "accepted", "radius_m").agg(F.count("*").alias("points"))
+    """Points of the layer that a rough ground leaves ambiguous, against local planes."""
+    marks = marked(spark, sf_dir, coarse_m=0.06)[1]
+    asked = marks.where("inside and ambiguous")
+    return rounded(detect.local_protrusions(asked, marks).groupBy("frame_index", "reason", "accepted", "radius_m").agg(F.count("*").alias("points")))
 
 
 @query()
+def united_candidates(spark, sf_dir):
+    """Candidates of the pool and of local protrusions of a rough ground, with their evidence."""
+    judged = rule.with_evidence(detect.straight_candidates(marked(spark, sf_dir, coarse_m=0.06)[1]))
+    return rounded(judged.select("frame_index", "candidate_id", "branch", "kind", "unique_xyz", "extent_s_m", "extent_l_m", "extent_h_m", "range_from_sensor_m", "evidence", "reason"))
+
+
+_INSERTED = _POOL + """,
+ins as (select frame_index, point_id, range_m, inside, explained, ambiguous from mk where q > 44),
+sz as (select frame_index, label, count(*) as n, min(sl.range_m) as near from lb join sl using (frame_index, point_id) group by all),
+ht as (select lb.frame_index, lb.label, count(*) as hits, min(ins.range_m) as true_near from lb join ins using (frame_index, point_id) group by all),
+pc as (select ht.*, n, hits / n as share, abs(near - true_near) as err from ht join sz using (frame_index, label)),
+fm as (select frame_index, sum(hits)::bigint as hits, count(*) as pieces, bool_or(share > 0.5) as mostly, bool_or(hits < n and share <= 0.5) as merged from pc group by all),
+tt as (select frame_index, count(*) as inserted, count(*) filter (inside) as inside, count(*) filter (inside and not explained and not ambiguous) as in_pool, count(*) filter (inside and ambiguous) as in_layer from ins group by all)
+select tt.*, 0::bigint as on_lines, coalesce(hits, 0) as hits, coalesce(pieces, 0) as pieces, case when inside = 0 then 'outside_corridor' when mostly then 'predominantly_insertion' when merged then 'merged_with_background' when in_layer > 0 and hits is null then 'ambiguous_layer_only' else 'no_candidate' end as outcome from tt left join fm using (frame_index)
+"""
+
+
+@query(f"with recursive {_INSERTED}")
 def insertion_outcomes(spark, sf_dir):
-    _, marks, cands = found_candidates(spark, sf_dir)
-    return rounded(evaluate.insertion(cands, marks.where("q > 44 and inside").select("frame_index", "point_id", "range_m")))
+    """The boxes of the cloud as insertions, which only the evaluation knows of."""
+    marks, judged, _ = decided(spark, sf_dir)
+    return evaluate.insertion(marks, judged, marks.where("q > 44").select("frame_index", "point_id", "range_m")).drop("candidate_id", "share", "range_error_m")
 
 
 # --- evaluation, grid, windows ------------------------------------------------------------
 
 
-@query(f"with {DUCK_POINTS}, b as (select frame_index, cast(floor(s/0.25e0) as int) as bin, count(*) as n from pts group by all having count(*) >= 12), m as (select frame_index, arg_max(bin, n * 10000 - bin) as bin, max(n) as n from b group by frame_index) select m.frame_index, m.bin, m.n, round(quantile_cont(s, 0.04), 6) as s_p4, round(quantile_cont(s, 0.96), 6) as s_p96, round(quantile_cont(l, 0.04), 6) as l_p4, round(quantile_cont(l, 0.96), 6) as l_p96, round(quantile_cont(h, 0.04), 6) as h_p4, round(quantile_cont(h, 0.96), 6) as h_p96 from m join pts p on p.frame_index = m.frame_index and cast(floor(p.s/0.25e0) as int) = m.bin group by all")
+@query(f"""with {DUCK_POINTS}, g as (select *, cast(floor(s/0.25e0) as int) as bin from pts where s between 1 and 120 and abs(l) <= 1.05e0 and h between -1.075e0 and -1.075e0 + 3),
+b as (select frame_index, bin, count(*) as n from g group by all having count(*) >= 40), m as (select frame_index, arg_max(bin, n * 10000 - bin) * 0.25e0 as s_lo_m from b group by frame_index),
+sb as (select g.*, s_lo_m from g join m using (frame_index) where s >= s_lo_m and s < s_lo_m + 0.40e0), cr as (select *, h >= quantile_cont(h, 0.12) over (partition by frame_index) + 0.05e0 as core from sb),
+x as (select frame_index, s_lo_m, count(*) as n, max(l) - min(l) as wide, count(*) filter (core) as core, max(h) filter (core) - min(h) filter (core) as core_h, quantile_cont(l, 0.04) filter (core) as l4, quantile_cont(l, 0.96) filter (core) as l96, quantile_cont(h, 0.04) filter (core) as h4, quantile_cont(h, 0.96) filter (core) as h96 from cr group by all having count(*) >= 40),
+r as (select *, case when wide > 3.6e0 then 'spans_the_tunnel' when core < 30 or core_h < 0.45e0 then 'not_apart_from_the_floor' else 'separated' end as reason from x)
+select frame_index, s_lo_m, n, core, reason, round(case when reason = 'separated' then l4 end, 6) as l_p4, round(case when reason = 'separated' then l96 end, 6) as l_p96, round(case when reason = 'separated' then h4 end, 6) as h_p4, round(case when reason = 'separated' then h96 end, 6) as h_p96 from r""")
 def face_slabs(spark, sf_dir):
-    return rounded(evaluate.faces(points(spark, sf_dir), need=12))
+    return rounded(evaluate.faces(points(spark, sf_dir), detect.in_profile()))
 
 
 _GRID = DUCK_CLOUD + """,
 an as (select *, case when degrees(atan2(y, x)) >= 180 then degrees(atan2(y, x)) - 360 else degrees(atan2(y, x)) end as az, degrees(atan2(z, sqrt(x*x + y*y))) as el from cloud where range_m >= 1e-3),
-gd as (select *, least(cast(floor((az + 180) / 0.2e0) as int), 1799) as col, cast(floor((el - floor(min(el) over (partition by frame_index) / 0.2e0) * 0.2e0) / 0.2e0) as int) as row from an)
+gb as (select *, floor(min(el) over (partition by frame_index) / 0.2e0) * 0.2e0 as lo, ceil(max(el) over (partition by frame_index) / 0.2e0) * 0.2e0 as hi from an),
+gd as (select *, greatest(least(cast(floor((az + 180) / 0.2e0) as int), 1799), 0) as col, greatest(least(cast(floor((el - lo) / 0.2e0) as int), greatest(cast(round((hi - lo) / 0.2e0) as int), 1) - 1), 0) as row from gb)
 """
 
 
@@ -486,7 +608,7 @@ def angular_raster(spark, sf_dir):
     return rounded(angular.raster(angular.grid(records(spark, sf_dir))))
 
 
-@query(f"with {_GRID}, e as (select frame_index, range_m * sqrt(power(radians(az - ((col + 0.5) * 0.2e0 - 180.0)) * cos(radians(el)), 2) + power(radians(el - (floor(min(el) over (partition by frame_index) / 0.2e0) * 0.2e0 + (row + 0.5) * 0.2e0)), 2)) as err from gd) select frame_index, round(quantile_cont(err, 0.5), 6) as p50_m, round(quantile_cont(err, 0.95), 6) as p95_m, round(max(err), 6) as max_m from e group by frame_index")
+@query(f"with {_GRID}, c as (select *, radians((col + 0.5) * 0.2e0 - 180.0) as ca, radians(lo + (row + 0.5) * 0.2e0) as ce from gd), e as (select frame_index, sqrt(power(range_m * cos(ce) * cos(ca) - x, 2) + power(range_m * cos(ce) * sin(ca) - y, 2) + power(range_m * sin(ce) - z, 2)) as err from c) select frame_index, round(quantile_cont(err, 0.5), 6) as p50_m, round(quantile_cont(err, 0.95), 6) as p95_m, round(max(err), 6) as max_m from e group by frame_index")
 def angular_error(spark, sf_dir):
     return rounded(angular.quantisation(angular.grid(records(spark, sf_dir))))
 
@@ -508,14 +630,14 @@ def evidence_table(spark, sf_dir):
     return angular.evidence_table(records(spark, sf_dir).withColumn("kind", kind), ["rail", "floor", "wall"])
 
 
-@query(f"with {DUCK_POINTS}, s as (select frame_index, h, h - lag(h) over w as step, row_number() over w - 1 as below, count(*) over (partition by frame_index) as n from pts where l > 0 window w as (partition by frame_index order by h)) select frame_index, coalesce(bool_or(step > 0.08e0 and below >= 6 and n - below >= 6), false) as several_levels from s group by frame_index")
+@query(f"with {DUCK_POINTS}, s as (select frame_index, h, h - lag(h) over w as step, row_number() over w - 1 as below, count(*) over (partition by frame_index) as n from pts window w as (partition by frame_index order by h)) select frame_index, coalesce(bool_or(step > 0.08e0 and below >= 6 and n - below >= 6), false) as several_levels from s group by frame_index")
 def level_gaps(spark, sf_dir):
-    return windows.level_gap(points(spark, sf_dir).where("l > 0"), ["frame_index"])
+    return windows.level_gap(points(spark, sf_dir), ["frame_index"])
 
 
-@query(f"with {DUCK_POINTS}, q as (select frame_index, quantile_cont(h, 0.4) as q from pts where q <= 34 group by all) select p.frame_index, count(*) as points, round(max(h), 6) as highest_m from pts p join q on q.frame_index = p.frame_index where p.q <= 34 and p.h <= q.q + 1e-12 group by p.frame_index")
+@query(f"with {DUCK_POINTS}, q as (select frame_index, quantile_cont(h, 0.4) as q from pts group by all) select p.frame_index, count(*) as points, round(max(h), 6) as highest_m from pts p join q on q.frame_index = p.frame_index where p.h <= q.q + 1e-12 group by p.frame_index")
 def lower_support(spark, sf_dir):
-    low = windows.lower_support(points(spark, sf_dir).where("q <= 34"), ["frame_index"])
+    low = windows.lower_support(points(spark, sf_dir), ["frame_index"])
     return rounded(low.groupBy("frame_index").agg(F.count("*").alias("points"), F.max("h").alias("highest_m")))
 
 
@@ -531,9 +653,9 @@ def confirmations(spark, sf_dir):
     return windows.confirmed(e, "seen", "event_id", "user_id").select("user_id", "event_id", "confirmed")
 
 
-@query("with t as (select event_type, event_id, epoch(ts) as t from events), w as (select event_id, event_type, count(*) over r as n, max(t) over r - min(t) over r as span from t window r as (partition by event_type order by t range between 5 preceding and current row)) select event_id, event_type, round(case when span > 0 then (n - 1) / span else 0 end, 6) as rate_hz from w")
+@query("with t as (select user_id, event_id, epoch(ts) as t from events), w as (select event_id, user_id, count(*) over r as n, max(t) over r - min(t) over r as span from t window r as (partition by user_id order by t range between 5 preceding and current row)) select event_id, user_id, round(case when span > 0 then (n - 1) / span else 0 end, 6) as rate_hz from w")
 def event_rates(spark, sf_dir):
-    return rounded(windows.rates(table(spark, sf_dir, "events"), "ts", "event_type").select("event_id", "event_type", "rate_hz"))
+    return rounded(windows.rates(table(spark, sf_dir, "events"), "ts", "user_id").select("event_id", "user_id", "rate_hz"))
 
 
 @query("select user_id, event_id, round(median(value) over (partition by user_id order by event_id rows between 8 preceding and current row), 6) as tail_median from events")
@@ -547,11 +669,11 @@ def keep_latest(spark, sf_dir):
     return windows.keep_latest(e, "slot", "event_id").select("slot", "event_id", "dropped")
 
 
-@query("with a as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type = (select min(event_type) from events)), b as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type = (select max(event_type) from events)) select a.user_id, a.n::int as n, a.event_id, b.event_id as r_event_id from a join b using (user_id, n)")
+@query("with a as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_id % 2 = 0), b as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_id % 2 = 1) select a.user_id, a.n::int as n, a.event_id, b.event_id as r_event_id from a join b using (user_id, n)")
 def fifo_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    lo, hi = e.agg(F.min("event_type"), F.max("event_type")).first()
-    return windows.pair_fifo(e.where(F.col("event_type") == lo).drop("event_type"), e.where(F.col("event_type") == hi).drop("event_type"), "event_id", "user_id").select("user_id", "n", "event_id", "r_event_id")
+    """Two queues of each user, the even and the odd events."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    return windows.pair_fifo(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "event_id", "user_id").select("user_id", "n", "event_id", "r_event_id")
 
 
 @query("with j as (select event_id as frame_index, event_type as status, value as range_m from events), a as (select frame_index, case when frame_index % 97 = 0 then 'changed' else status end as status, range_m + case when frame_index % 89 = 0 then 0.001e0 else 0 end as range_m from j where frame_index % 101 <> 0) select j.frame_index, d.difference from j left join a using (frame_index), lateral (select unnest([case when a.status is null then 'missing_frame' end, case when a.status is not null and a.status <> j.status then 'status' end, case when a.status is not null and not abs(a.range_m - j.range_m) <= 1e-5 then 'range_m' end]) as difference) d where d.difference is not null")
@@ -562,16 +684,22 @@ def result_comparison(spark, sf_dir):
     return evaluate.compare(want, got, ["status"], ["range_m"])
 
 
-@query("select event_type as run, count(*) as frames, count(*) filter (value >= 50) as ok, count(*) filter (value < 50) as insufficient, round(avg(cast(value < 50 as int)), 6) as share_insufficient, min(user_id) as support_min, max(user_id) as support_max, round(quantile_cont(value, 0.5), 6) as p50_s, round(quantile_cont(value, 0.95), 6) as p95_s, round(sum(value), 4) as sum_s from events group by event_type")
+_STATUS = "case when value < 5 then 'error' when value < 12 then 'no_hypotheses' when value < 30 then 'insufficient_geometry' when value < 33 then 'processing_timeout' else 'ok' end"
+
+
+def _frames(spark, sf_dir):
+    """Events as results of frames, with every status."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_index"), F.col("event_type").alias("run"), F.expr(_STATUS).alias("status"), F.col("user_id").alias("support"), F.col("user_id").alias("candidates"), F.col("value").alias("seconds"))
+
+
+@query(f"with f as (select *, {_STATUS} as status from events) select event_type as run, count(*) as frames, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'error') as errors, count(*) filter (status in ('no_hypotheses', 'insufficient_geometry')) as no_geometry, round(avg(cast(status in ('no_hypotheses', 'insufficient_geometry') as int)), 6) as share_no_geometry, min(user_id) as support_min, max(user_id) as support_max, round(quantile_cont(value, 0.5), 6) as p50_s, round(quantile_cont(value, 0.95), 6) as p95_s, round(sum(value), 4) as sum_s from f group by event_type")
 def run_summary(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.when(F.col("value") >= 50, "ok").otherwise("insufficient_geometry").alias("status"), F.col("user_id").alias("support"), F.col("value").alias("seconds"))
-    return rounded(evaluate.run_summary(e)).withColumn("sum_s", F.round("sum_s", 4))
+    return rounded(evaluate.run_summary(_frames(spark, sf_dir))).withColumn("sum_s", F.round("sum_s", 4))
 
 
-@query("select 'most_candidates' as why, arg_max(event_id, user_id * 100000000 - event_id) as frame_index from events union all select 'commonest_failure', arg_max(f, n * 100000000 - f) from (select event_type, count(*) as n, min(event_id) as f from events group by event_type)")
+@query(f"with f as (select *, {_STATUS} as status from events), c as (select status, count(*) as n, min(event_id) as frame_index from f where status in ('error', 'no_hypotheses', 'insufficient_geometry') group by status) select * from (select 'most_candidates' as why, event_id as frame_index, user_id as n from events order by user_id desc, event_id limit 1) union all select * from (select 'commonest_failure', frame_index, n from c order by n desc, frame_index limit 1)")
 def frame_picks(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_index"), F.col("user_id").alias("candidates"), F.col("event_type").alias("status"))
-    return evaluate.pick_frames(e)
+    return evaluate.pick_frames(_frames(spark, sf_dir))
 
 
 @query("select user_id, event_id, substring(sha256(concat_ws('|', user_id, event_id, event_type)), 1, 16) as identity from events")
@@ -579,7 +707,7 @@ def run_identity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", scalars.identity("user_id", "event_id", "event_type").alias("identity"))
 
 
-@query("with k as (select *, event_id // 20 as sequence, row_number() over (partition by event_id // 20 order by event_id desc) as r, count(*) over (partition by event_id // 20) - 1 as dropped from events), b as (select *, coalesce(cast(ts < lag(ts) over (order by event_id) as int), 0) as back from k where r = 1), s as (select *, sum(back) over (order by event_id rows unbounded preceding) as session_id from b) select session_id::bigint as session_id, sequence, event_id, dropped from s")
+@query("with k as (select *, event_id // 200 as sequence, row_number() over (partition by user_id, event_id // 200 order by event_id desc) as r, count(*) over (partition by user_id, event_id // 200) - 1 as dropped from events), b as (select *, coalesce(cast(ts < lag(ts) over (partition by user_id order by event_id) as int), 0) as back from k where r = 1), s as (select *, sum(back) over (partition by user_id order by event_id rows unbounded preceding) as session_id from b) select user_id as source, session_id::bigint as session_id, sequence, event_id, dropped from s")
 def stream_journal(spark, sf_dir):
     return replay.journal_of(table(spark, sf_dir, "events"))
 
@@ -588,3 +716,9 @@ def stream_journal(spark, sf_dir):
 def stream_tracks(spark, sf_dir):
     return replay.tracks_of(table(spark, sf_dir, "events"))
 
+
+
+@query()
+def stream_pair_histories(spark, sf_dir):
+    """Histories of each user's events as widths of one pair."""
+    return rounded(replay.histories_of(table(spark, sf_dir, "events")))

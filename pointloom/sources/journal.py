@@ -69,7 +69,7 @@ def select_frames(frames: DataFrame, first: int | None = None, last: int | None
 
 def card(decisions: DataFrame, intrusions: DataFrame) -> DataFrame:
     """A short record for each frame: the decision, its first intrusion, the range of all."""
-    c = intrusions.groupBy("frame_index").agg(F.min_by(F.struct("candidate_id", "evidence", "range_from_lidar_m"), F.struct("range_from_lidar_m", "candidate_id")).alias("first"), F.round(F.min("range_from_lidar_m"), 4).alias("nearest_m"), F.round(F.max("range_from_lidar_m"), 4).alias("farthest_m"))
+    c = intrusions.groupBy("frame_index").agg(F.min_by(F.struct("candidate_id", "evidence", "range_from_sensor_m"), F.struct("range_from_sensor_m", "candidate_id")).alias("first"), F.round(F.min("range_from_sensor_m"), 4).alias("nearest_m"), F.round(F.max("range_from_sensor_m"), 4).alias("farthest_m"))
     return decisions.join(c, "frame_index", "left")
 
 

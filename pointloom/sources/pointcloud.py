@@ -47,9 +47,9 @@ def field(m: dict, name: str) -> np.ndarray:
 
 
 def decode(m: dict) -> dict[str, np.ndarray]:
-    """Columns of a message: x, y, z as float32, and the optional fields that it has."""
+    """Columns of a message: x, y, z in the type that the fields declare, and the optional fields that it has."""
     by = check_fields(m["fields"])
-    out = {c: field(m, c).astype(np.float32) for c in "xyz"}
+    out = {c: field(m, c) for c in "xyz"}
     for name, kind in (("intensity", np.float32), ("ring", np.int32), ("timestamp", np.float64)):
         if name in by:
             out[name] = field(m, name).astype(kind)
@@ -83,8 +83,36 @@ def pack(columns: dict[str, list], kinds: dict[str, int], point_step: int | None
     return {"height": height, "width": width, "point_step": step, "row_step": width * step + pad, "is_bigendian": bigendian, "fields": fields, "payload": bytes(payload)}
 
 
-def points(messages: DataFrame) -> DataFrame:
-    """One row for each record of each message, every record kept, missing fields null and listed."""
+#: Fields of the messages that ``packed`` makes: coordinates as float64, offsets as they come.
+PACKED = (("x", "f8", 8), ("y", "f8", 8), ("z", "f8", 8), ("intensity", "f4", 7), ("ring", "u2", 4))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """One message for each frame of records (frame_index, source_index, x, y, z, intensity, ring), in the order of source_index."""
+    names = [c.split()[0] for c in MESSAGE.split(", ")]
+    kind = np.dtype([(n, "<" + t) for n, t, _ in PACKED])
+    fields = [{"name": n, "offset": kind.fields[n][1], "datatype": code, "count": 1} for n, _, code in PACKED]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("source_index")
+        raw = np.zeros(table.num_rows, dtype=kind)
+        for n, _, _ in PACKED:
+            raw[n] = table.column(n).to_numpy()
+        n, size = table.num_rows, kind.itemsize
+        frame = table.column("frame_index")[0].as_py()
+        row = [frame, frame * 100_000_000, "sensor", 1, n, size, n * size, False, fields, raw.tobytes()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.bool_(), pa.list_(pa.struct([("name", pa.string()), ("offset", pa.int32()), ("datatype", pa.int32()), ("count", pa.int32())])), pa.binary()]
+        return pa.table({c: pa.array([v], t) for c, t, v in zip(names, kinds, row, strict=True)})
+
+    return rows.select("frame_index", "source_index", *[n for n, _, _ in PACKED]).groupBy("frame_index").applyInArrow(run, MESSAGE)
+
+
+def points(messages: DataFrame, kind: str = "float") -> DataFrame:
+    """One row for each record of each message, every record kept, missing fields null and listed.
+
+    ``kind`` is the type of x, y and z: "double" keeps what messages of float64 coordinates say, and is exact for others too.
+    """
+    xyz = {"float": pa.float32(), "double": pa.float64()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,12 +120,12 @@ def points(messages: DataFrame) -> DataFrame:
                 cols = decode(m)
                 n = len(cols["x"])
                 data = {"frame_index": pa.array(np.full(n, m["frame_index"]), pa.int64()), "stamp_ns": pa.array([m["stamp_ns"]] * n, pa.int64()), "source_index": pa.array(np.arange(n), pa.int64())}
-                for c, t in (("x", pa.float32()), ("y", pa.float32()), ("z", pa.float32()), ("intensity", pa.float32()), ("ring", pa.int32()), ("timestamp", pa.float64())):
-                    data[c] = pa.array(cols[c], t) if c in cols else pa.nulls(n, t)
+                for c, t in (("x", xyz), ("y", xyz), ("z", xyz), ("intensity", pa.float32()), ("ring", pa.int32()), ("timestamp", pa.float64())):
+                    data[c] = pa.array(cols[c]).cast(t, safe=False) if c in cols else pa.nulls(n, t)
                 data["absent_fields"] = pa.array([[c for c in OPTIONAL if c not in cols]] * n, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_pydict(data)
 
-    return messages.select(*[c.split()[0] for c in MESSAGE.split(", ")]).mapInArrow(run, POINTS)
+    return messages.select(*[c.split()[0] for c in MESSAGE.split(", ")]).mapInArrow(run, POINTS.replace("x float, y float, z float", f"x {kind}, y {kind}, z {kind}"))
 
 
 def headers(messages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .replay import TRACK_ROWS
+from .replay import TRACK_ROWS, posed, tracked
 from .tracker import Tracker
 
 
@@ -22,27 +22,21 @@ def shed_load(batch: DataFrame, order: str = "reception") -> DataFrame:
     return batch.agg(F.max_by(F.struct(*batch.columns), order).alias("f"), (F.count("*") - 1).alias("dropped")).where("f is not null").select("f.*", "dropped")
 
 
-def write_journal(stream: DataFrame, path: str, checkpoint: str, keep_latest: bool = False, transform=None):
+def write_journal(stream: DataFrame, path: str, checkpoint: str, keep_latest: bool = False, transform=None, event_time: str | None = None, late: str = "1 hour"):
     """Exactly one JSON line for each (session_id, sequence).
 
     Each micro-batch goes to a folder of its own number, overwritten when it is repeated after a
-    failure; keys that earlier batches wrote are dropped by an anti join.
+    failure. Keys that were seen are state of the stream; with ``event_time`` only those within the
+    watermark are, so the state stays bounded.
     """
     key = ["session_id", "sequence"]
+    once = stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(key) if event_time else stream.dropDuplicates(key)
 
     def put(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
         rows = shed_load(batch) if keep_latest else batch
-        rows = (transform(rows) if transform else rows).dropDuplicates(key)
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = [s.getPath().toString() for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName().startswith("batch=") and s.getPath().getName() != f"batch={n}"]
-        if done:
-            rows = rows.join(spark.read.schema("session_id long, sequence long").json(done).select(*key), key, "left_anti")
-        rows.write.mode("overwrite").json(f"{path}/batch={n}")
+        (transform(rows) if transform else rows).write.mode("overwrite").json(f"{path}/batch={n}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
 def track_stream(candidates: DataFrame, **settings) -> DataFrame:
@@ -54,15 +48,11 @@ def track_stream(candidates: DataFrame, **settings) -> DataFrame:
         t = Tracker(**settings)
         if state.exists:
             t.state = json.loads(state.get[0])
-        eye = [[float(i == j) for j in range(4)] for i in range(4)]
-        pdf, rows = pd.concat(list(parts)), []
-        for frame, part in pdf.sort_values(["frame", "candidate_id"]).groupby("frame"):
-            cands = [{"candidate_id": r.candidate_id, "corridor_key": r.corridor_key, "position": (r.s, r.l, r.h)} for r in part.itertuples()]
-            rows += [(key[0], frame, r["track_id"], r["candidate_id"], r["status"], r["confirmed"]) for r in t.step(int(frame), float(part.stamp_s.iloc[0]), cands, pose=eye)]
+        rows = tracked(t, key[0], pd.concat(list(parts)))
         state.update((json.dumps(t.state),))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_ROWS.split(", ")])
+        yield rows
 
-    return candidates.groupBy("session_key").applyInPandasWithState(run, TRACK_ROWS, "state string", "append", GroupStateTimeout.NoTimeout)
+    return posed(candidates).groupBy("session_key").applyInPandasWithState(run, TRACK_ROWS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def join_cards(cards: DataFrame, clouds: DataFrame, late: str = "10 seconds") -> DataFrame:

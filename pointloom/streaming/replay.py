@@ -3,33 +3,73 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.windows import keep_latest, sessions
-from .tracker import Tracker
+from .tracker import SENSOR_FRAME, PairHistories, Tracker
 
-TRACK_ROWS = "session_key long, frame long, track_id int, candidate_id string, status string, confirmed boolean"
+TRACK_ROWS = "session_key long, frame long, track_id int, candidate_id string, association string, count int, confirmed boolean"
+#: What tracking needs of each candidate; the pose is 16 numbers by rows, null where it is unknown.
+CANDIDATES = "session_key long, frame long, stamp_s double, candidate_id string, corridor_key string, s double, l double, h double, pose array<double>, reliable boolean, reference string"
 
 
-def journal_of(events: DataFrame, slot: int = 20) -> DataFrame:
-    """Keep-latest over slots of arrivals, sessions by backward stamps, one row for each (session, sequence)."""
-    e = events.select(F.lit(0).alias("source"), "event_id", "ts", "user_id").withColumn("slot", F.expr(f"event_id div {slot}"))
-    kept = sessions(keep_latest(e, "slot", "event_id"), "ts", "event_id", "source")
-    return kept.select("session_id", F.col("slot").alias("sequence"), "event_id", "dropped").dropDuplicates(["session_id", "sequence"])
+def tracked(t: Tracker, session: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one session's further frames, in order; a row without a candidate_id stands for an empty frame."""
+    rows = []
+    some = lambda x: None if x is None or x != x else x
+    for frame, part in pdf.sort_values(["frame", "candidate_id"]).groupby("frame"):
+        first = part.iloc[0]
+        cands = [{"candidate_id": r.candidate_id, "corridor_key": some(r.corridor_key), "position": (r.s, r.l, r.h)} for r in part.itertuples() if some(r.candidate_id) is not None]
+        pose = None if first.pose is None else [list(map(float, first.pose[k : k + 4])) for k in (0, 4, 8, 12)]
+        got = t.step(int(frame), float(first.stamp_s), cands, first.reference or SENSOR_FRAME, pose, bool(first.reliable))
+        rows += [(session, int(frame), r["track_id"], r["candidate_id"], r["association"], r["count"], r["confirmed"]) for r in got]
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_ROWS.split(", ")])
+    return out.astype({"track_id": "Int32"})
+
+
+def posed(candidates: DataFrame) -> DataFrame:
+    """``candidates`` with the columns that tracking needs; without poses every frame stands at one place."""
+    eye = F.array(*[F.lit(float(i == j)) for i in range(4) for j in range(4)])
+    given = {"pose": eye, "reliable": F.lit(True), "reference": F.lit(SENSOR_FRAME)}
+    return candidates.withColumns({c: v for c, v in given.items() if c not in candidates.columns}).select(*[c.split()[0] for c in CANDIDATES.split(", ")])
+
+
+def journal_of(events: DataFrame, slot: int = 200) -> DataFrame:
+    """Keep-latest over slots of each source's arrivals, sessions by backward stamps, one row for each (source, session, sequence)."""
+    e = events.select(F.col("user_id").alias("source"), "event_id", "ts").withColumn("sequence", F.expr(f"event_id div {slot}"))
+    latest = keep_latest(e, ("source", "sequence"), "event_id")
+    return sessions(latest, "ts", "event_id", "source").select("source", "session_id", "sequence", "event_id", "dropped")
 
 
 def track_frames(candidates: DataFrame, **settings) -> DataFrame:
-    """Tracks of each session from candidates (session_key, frame, stamp_s, candidate_id, corridor_key, s, l, h)."""
+    """Tracks of each session from ``CANDIDATES``."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return tracked(Tracker(**settings), key[0], pdf)
+
+    return posed(candidates).groupBy("session_key").applyInPandas(run, TRACK_ROWS)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, rows = Tracker(**settings), []
-        eye = [[float(i == j) for j in range(4)] for i in range(4)]
-        for frame, part in pdf.sort_values(["frame", "candidate_id"]).groupby("frame"):
-            cands = [{"candidate_id": r.candidate_id, "corridor_key": r.corridor_key, "position": (r.s, r.l, r.h)} for r in part.itertuples()]
-            rows += [(pdf.session_key.iloc[0], frame, r["track_id"], r["candidate_id"], r["status"], r["confirmed"]) for r in t.step(int(frame), float(part.stamp_s.iloc[0]), cands, pose=eye)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_ROWS.split(", ")])
+HISTORY_ROWS = "session_key long, frame long, pair_id int, update string, reason string, raw double, width double, width_age int, conflict double, slope double, place double, place_age int, assumed_side string, assumed_l double"
 
-    return candidates.groupBy("session_key").applyInPandas(run, TRACK_ROWS)
+
+def pair_histories(frames: DataFrame) -> DataFrame:
+    """Histories of the line pairs of each session.
+
+    ``frames``: session_key, frame, ground_found, pairs (array of left, right, distance, slope, place), lines (array of
+    lateral places); one row for each frame, in the order of ``frame``.
+    """
+    names = [c.split()[0] for c in HISTORY_ROWS.split(", ")]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        h, rows = PairHistories(), []
+        for f in table.sort_by("frame").to_pylist():
+            rows += [{"session_key": key[0].as_py(), **r} for r in h.step(f["frame"], f["pairs"] or [], f["lines"] or [], f["ground_found"])]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+        return pa.table({n: pa.array([r.get(n) for r in rows], kinds[c.split()[1]]) for n, c in zip(names, HISTORY_ROWS.split(", "), strict=True)})
+
+    return frames.select("session_key", "frame", "ground_found", "pairs", "lines").groupBy("session_key").applyInArrow(run, HISTORY_ROWS)
 
 
 def tracks_of(events: DataFrame) -> DataFrame:
@@ -37,3 +77,13 @@ def tracks_of(events: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     c = events.select(F.col("user_id").alias("session_key"), n.cast("long").alias("frame"), (n * 0.1).cast("double").alias("stamp_s"), F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("candidate_id"), F.lit("H1").alias("corridor_key"), (F.col("value") / 100.0).alias("s"), F.lit(0.0).alias("l"), F.lit(0.0).alias("h"))
     return track_frames(c)
+
+
+def histories_of(events: DataFrame) -> DataFrame:
+    """Events as frames with one pair each: the value says how far the lines are apart; every seventh frame has one line only."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = events.select(F.col("user_id").alias("session_key"), n.cast("long").alias("frame"), (1.4 + F.col("value") / 400).alias("d"))
+    pair = F.struct((-F.col("d") / 2).alias("left"), (F.col("d") / 2).alias("right"), F.col("d").alias("distance"), (F.col("d") / 100).alias("slope"), (F.col("d") - 1.5).alias("place"))
+    one = F.col("frame") % 7 == 0
+    rows = e.select("session_key", "frame", (F.col("frame") % 11 != 0).alias("ground_found"), F.when(~one & (F.col("frame") % 11 != 0), F.array(pair)).alias("pairs"), F.when(one, F.array(-F.col("d") / 2)).alias("lines"))
+    return pair_histories(rows)

@@ -81,7 +81,7 @@ def test_local_bump_is_accepted_and_two_levels_refused(spark):
     assert {r.reason for r in refused} == {"several_levels"} and not any(r.accepted for r in refused)
 
 
-C = "frame_index long, candidate_id string, branch string, unique_xyz long, extent_s_m double, extent_l_m double, extent_h_m double, s_min_m double, h_min_m double, range_from_lidar_m double"
+C = "frame_index long, candidate_id string, branch string, unique_xyz long, extent_s_m double, extent_l_m double, extent_h_m double, s_min_m double, h_min_m double, range_from_sensor_m double"
 
 
 @pytest.mark.parametrize(
@@ -120,9 +120,81 @@ def test_candidates_and_insertion(spark):
     df = pts(spark, box + [(20.0, 0, 0)]).withColumn("range_m", F.sqrt(F.col("s") ** 2 + F.col("l") ** 2 + F.col("h") ** 2))
     c = detect.candidates(spatial.components(df)).cache()
     assert sorted((x.candidate_id, x.unique_xyz) for x in c.collect()) == [("L1", 48), ("R1", 1)]
-    out = evaluate.insertion(c, df.where("s < 15")).first()
-    assert (out.outcome, out.hits, out.pieces) == ("localised", 48, 1)
-    assert evaluate.insertion(c.where("candidate_id = 'R1'"), df.where("s < 15")).first().outcome == "missed"
+
+
+def outcome(spark, cands, inserted, inside=(), layer=(), lines=(), prior=None):
+    n = 12
+    marks = spark.createDataFrame([(0, k, k in inside, k in lines, False, k in layer) for k in range(n)], "frame_index long, point_id long, inside boolean, excluded boolean, explained boolean, ambiguous boolean")
+    c = "frame_index long, candidate_id string, unique_xyz long, range_from_sensor_m double, members array<long>"
+    found = spark.createDataFrame([(0, f"L{k}", len(m), 10.0, list(m)) for k, m in enumerate(cands)], c)
+    before = None if prior is None else spark.createDataFrame([(0, "old", len(m), 10.0, list(m)) for m in prior], c)
+    ins = spark.createDataFrame([(0, k, 10.0 + k) for k in inserted], "frame_index long, point_id long, range_m double")
+    return evaluate.insertion(marks, found, ins, before).first()
+
+
+def test_insertion_outcomes(spark):
+    every = range(12)
+    assert outcome(spark, [], [1, 2]).outcome == "outside_corridor"
+    r = outcome(spark, [[1, 2, 3]], [1, 2, 4], every)
+    assert (r.outcome, r.hits, r.pieces, r.share, r.range_error_m) == ("predominantly_insertion", 2, 1, pytest.approx(2 / 3), pytest.approx(1.0))
+    assert outcome(spark, [[1, 2]], [1], every).outcome == "merged_with_background"  # half is no majority
+    assert outcome(spark, [[1, 5, 6]], [1], every).outcome == "merged_with_background"
+    assert outcome(spark, [[1, 2, 5]], [1, 2], every, prior=[[5]]).outcome == "predominantly_insertion"
+    assert outcome(spark, [[5, 6]], [1], every, layer=[1]).outcome == "ambiguous_layer_only"
+    assert outcome(spark, [], [1], every, lines=[1]).outcome == "excluded_by_path_volume"
+    assert outcome(spark, [], [1], every).outcome == "no_candidate"
+
+
+def test_candidate_comparison_by_place(spark):
+    c = "frame_index long, place int, hypothesis string, candidate_id string, kind string, branch string, members array<long>, range_from_sensor_m double"
+    row = lambda f, p, m, r: (f, p, "H", f"L{p}", "large", "volume_or_suspended", m, r)
+    a = spark.createDataFrame([row(0, 0, [1, 2], 5.0), row(1, 0, [1], 5.0), row(2, 0, [1], 5.0), row(3, 0, [1], 5.0), row(3, 1, [2], 5.0), row(4, 0, [1], None)], c)
+    b = spark.createDataFrame([row(0, 0, [2, 1], 5.000001), row(1, 0, [2], 9.0), row(2, 0, [1], 5.1), row(3, 0, [9], 5.0), row(4, 0, [1], float("nan"))], c)
+    assert sorted((r.frame_index, r.difference, r.place) for r in evaluate.compare_candidates(a, b).collect()) == [(1, "members", 0), (2, "range", 0), (3, "number", 1), (4, "range_not_finite", 0)]
+
+
+def test_faces(spark):
+    r = np.random.default_rng(8)
+    face = r.uniform((12.0, -0.9, -0.9), (12.2, 0.9, 0.9), (200, 3)).tolist()
+    got = evaluate.faces(pts(spark, face + [(20.0, 0, 0)]), min_l_m=1.0, min_h_m=0.5).first()
+    assert (got.s_lo_m, got.reason) == (12.0, "separated") and -0.9 <= got.l_p4 < -0.7 < 0.7 < got.l_p96 <= 0.9
+    low = [(12.0 + 0.001 * k, -0.9 + 0.009 * k, -0.9) for k in range(200)]
+    assert evaluate.faces(pts(spark, low)).first().reason == "not_apart_from_the_floor"
+    assert evaluate.faces(pts(spark, [(12.0, -2.0 + 0.02 * k, 0.01 * k) for k in range(200)])).first().reason == "spans_the_tunnel"
+    assert evaluate.faces(pts(spark, face), F.col("s") < 12.0).count() == 0
+
+
+def test_pick_frames_knows_three_failures(spark):
+    f = spark.createDataFrame([(0, "ok", 3), (1, "processing_timeout", 9), (2, "processing_timeout", 9), (3, "processing_timeout", 0), (5, "no_hypotheses", 0), (6, "error", 0), (7, "error", 0), (8, "no_hypotheses", 0)], "frame_index long, status string, candidates int")
+    assert {r.why: (r.frame_index, r.n) for r in evaluate.pick_frames(f).collect()} == {"most_candidates": (1, 9), "commonest_failure": (5, 2)}
+
+
+def test_ransac_and_context(spark):
+    r = np.random.default_rng(5)
+    floor = [(float(s), float(v), 0.05 * float(s)) for s, v in r.uniform(-0.4, 0.4, (60, 2))]
+    bump = [(0.0, 0.02 * k, 0.30) for k in range(6)]
+    every = pts(spark, floor + bump)
+    got = detect.local_protrusions(every.where("h > 0.2"), every, "ransac").collect()
+    assert len(got) == 6 and all(x.accepted and x.threshold_m < 0.08 for x in got)
+    alone = detect.local_protrusions(every.where("h > 0.2"), every.where("h > 0.2")).collect()
+    assert {x.reason for x in alone} == {"too_few_points"}
+    helped = detect.local_protrusions(every.where("h > 0.2"), every.where("h > 0.2"), "ransac", context=pts(spark, floor)).collect()
+    assert all(x.accepted for x in helped)  # other scans may support the plane
+    two = np.concatenate([np.column_stack([r.uniform(-0.4, 0.4, (40, 2)), np.zeros(40)]), np.column_stack([r.uniform(-0.4, 0.4, (30, 2)), np.full(30, 0.5)])])
+    assert detect.local_model(two, "ransac").reason == "several_supports" and detect.local_model(two).reason == "several_levels"
+    assert detect.local_model(np.column_stack([np.linspace(0, 1, 40), np.zeros(40), np.zeros(40)]), "ransac").reason in ("narrow_line", "no_plane")
+
+
+def test_protrusions_join_the_candidates(spark):
+    r = np.random.default_rng(6)
+    floor = [(10 + float(s), float(v), float(h)) for s, v, h in np.column_stack([r.uniform(-1, 1, (400, 2)), r.uniform(0, 0.004, 400)])]
+    bump = [(10 + 0.05 * k, 0.0, 0.09) for k in range(9)]
+    box = [(10 + 0.1 * k, 0.1 * j, 0.6 + 0.1 * i) for k in range(3) for j in range(3) for i in range(3)]
+    rows = pts(spark, floor + bump + box).withColumns({"range_m": F.sqrt(F.col("s") ** 2), "inside": F.lit(True), "excluded": F.lit(False), "explained": F.lit(False), "ambiguous": F.col("h") < 0.1}).drop("radius")
+    got = {x.candidate_id: (x.branch, x.unique_xyz) for x in detect.straight_candidates(rows).collect()}
+    assert got["L1"] == ("volume_or_suspended", 27) and got["P1"][0] == "local_protrusion" and got["P1"][1] >= 9
+    judged = rule.with_evidence(detect.straight_candidates(rows)).where("candidate_id = 'P1'").first()
+    assert judged.evidence is None or judged.evidence == "low_protrusion"
 
 
 def test_volume_is_closed(spark):

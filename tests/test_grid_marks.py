@@ -18,7 +18,12 @@ def test_grid_keeps_every_return(spark):
     assert g.where("source_index = 4").first().col == 0
     o = angular.occupancy(g).first()
     assert (o.points, o.collisions, o.multiple_returns, o.fullest) == (5, 1, 1, 3)
-    assert angular.audit(df, g).first().dropped == 1
+    assert (lambda r: (r.dropped, r.duplicated))(angular.audit(df, g).first()) == (1, 0)
+    assert angular.audit(df, g.unionByName(g.limit(2))).first().duplicated == 2
+    edge = angular.grid(records(spark, [(1, 0, 0), (0, 0, 1)]), 1.0)  # straight up is on the upper edge of the grid
+    assert sorted(r.row for r in edge.collect()) == [0, 89]
+    cells = spark.createDataFrame([(0, 5, 1), (0, 3, 1), (0, 4, 2)], "frame_index long, n int, cell int")
+    assert [(r.cell, r.place) for r in angular.first_cells(cells, ["cell"], "n").orderBy("place").collect()] == [(1, 1), (2, 2)]
     r = {(x.row, x.col): x.value for x in angular.raster(g).collect()}
     assert len(r) == 3 and {x.value for x in angular.raster(g, "count").collect()} == {3.0, 1.0}
     flipped = angular.raster(g, "min", flip=True)
@@ -34,6 +39,8 @@ def test_display_sample_keeps_highlights(spark):
     assert {r.source_index for r in got if not r.label} == {int(k * 999 / 9) for k in range(9)}
     assert {r.source_index for r in got if r.label} == {3, 500, 999}
     assert angular.display_sample(df.where("source_index < 5"), 10, marked).count() == 5
+    assert {r.source_index for r in angular.display_sample(df, 1, marked).collect()} == {0, 3, 500, 999}
+    assert angular.display_sample(df.limit(1), 1, marked.where("false")).count() == 1
     assert angular.seeded_sample(df, 7).count() == 7 and angular.stride_sample(df, 100).count() == 10
     a = sorted(r.source_index for r in angular.seeded_sample(df.repartition(5), 7).collect())
     assert a == sorted(r.source_index for r in angular.seeded_sample(df, 7).collect())
@@ -79,16 +86,52 @@ def test_separation_survives_shift_and_turn(spark):
     import math
 
     assert len(got) == 3 and all(x == pytest.approx(1.52 / math.cos(0.12)) for x in got)
-    rows = spark.createDataFrame([(0, s, 0.1 * s, 0.0, 1.52, 0.0) for s in (6.0, 10.0, 15.0)], "frame_index long, s double, mid_l double, ds double, dl double, dh double")
-    assert pairs.distance_of_points(rows, ["frame_index"]).first().distance_m == pytest.approx(1.52 / math.sqrt(1.01))
 
 
-def test_axis_changes(spark):
-    rows = spark.createDataFrame([(0, 0, 1, 6.0, 0.0, 0.0), (0, 0, 1, 20.0, 1.0, 0.2)], "frame_index long, a_track int, b_track int, s_center double, mid_l double, heading double")
-    axis = rule.axis_compatibility(rows)
-    assert axis.first().changing
-    ranked = spark.createDataFrame([(0, 0, 1, "consistent", 0)], "frame_index long, a_track int, b_track int, kind string, shared_with long")
-    assert not rule.forbids(axis, ranked).first().forbids and rule.forbids(axis, ranked, own_track_known=True).first().forbids
+def test_distance_survives_shift_and_yaw(spark):
+    """Lines 1.52 m apart on a tilted plane, as the sensor sees them before and after it is moved and turned."""
+    import math
+
+    def line(l):  # noqa: E741
+        return [(s, l, -1.30 + 0.001 * s + 0.04 * l) for s in (6.0, 10.0, 15.0, 20.0, 25.0)]
+
+    def turned(p, shift, yaw):
+        s, l, h = p  # noqa: E741
+        x, y, c, k = l + shift, -s, math.cos(yaw), math.sin(yaw)
+        return -(k * x + c * y), c * x - k * y, h
+
+    cols = "frame_index long, " + ", ".join(f"{e}_{c} double" for e in "ab" for c in "slh")
+    got = []
+    for shift, yaw in ((0.0, 0.0), (0.45, math.radians(20))):
+        rows = [(0, *turned(a, shift, yaw), *turned(b, shift, yaw)) for a, b in zip(line(-0.25), line(1.27))]
+        got.append(pairs.distance_of_points(spark.createDataFrame(rows, cols), ["frame_index"]).first())
+    assert got[0].distance_m == pytest.approx(got[1].distance_m, abs=1e-6) and got[0].distance_m > 1.52
+    assert got[0].same_s_delta_l_m == pytest.approx(1.52) and got[0].points == 5
+
+
+AXIS = "frame_index long, a_track int, b_track int, s_center double, mid_l double"
+
+
+def assessed(spark, mids, kind="consistent", shared=0, own=True):
+    rows = spark.createDataFrame([(0, 0, 1, float(s), float(m)) for s, m in mids], AXIS)
+    ranked = spark.createDataFrame([(0, 0, 1, kind, shared)], "frame_index long, a_track int, b_track int, kind string, shared_with long")
+    mine = spark.createDataFrame([(0, 0, 1)] if own else [], "frame_index long, a_track int, b_track int")
+    return rule.axis_assessment(rows, ranked, mine).first()
+
+
+def test_only_the_own_turning_track_forbids_the_profile(spark):
+    bend = [(6, 0.0), (10, 0.0), (15, 1.0), (20, 2.0)]  # halves of slope 0 and 0.2
+    r = assessed(spark, bend)
+    assert (r.direction_change, r.forbids, r.reason) == (pytest.approx(0.2), True, "no_contradiction")
+    assert (lambda r: (r.forbids, r.reason))(assessed(spark, bend, own=False)) == (False, "turns_of_unknown_owner")
+    assert assessed(spark, bend, kind="ambiguous").reason == "weak_or_shared" and assessed(spark, bend, shared=1).reason == "weak_or_shared"
+    assert assessed(spark, [(s, m + 1.2) for s, m in bend]).reason == "offset"  # a neighbouring track
+    straight = assessed(spark, [(6, 0.0), (10, 0.8), (15, 1.8)])
+    assert (straight.constant_heading, straight.turns, straight.reason) == (True, False, "constant_heading")
+    assert assessed(spark, [(6, 0.0), (9, 0.9)]).weak and assessed(spark, [(6, 0.0)]).direction is None
+    frames = spark.createDataFrame([(0,), (1,)], "frame_index long")
+    axis = rule.axis_assessment(spark.createDataFrame([(0, 0, 1, float(s), float(m)) for s, m in bend], AXIS), spark.createDataFrame([(0, 0, 1, "consistent", 0)], "frame_index long, a_track int, b_track int, kind string, shared_with long"), spark.createDataFrame([(0, 0, 1)], "frame_index long, a_track int, b_track int"))
+    assert {r.frame_index: r.profile_applicable for r in rule.applicable(frames, axis).collect()} == {0: False, 1: True}
 
 
 def test_inventory_and_gates(spark, tmp_path):

@@ -96,12 +96,81 @@ def test_one_missed_section_is_bridged_two_are_not(spark):
     assert sections.link_clusters(clusters(spark, [(6, 0), (10, 0), (25, 0)])).count() == 0
 
 
-def test_wide_island_splits_at_a_valley(spark):
-    two = [(6.0, a + 0.004 * k, -0.8 + d) for a, d in ((0.0, 0.0), (0.56, 0.1)) for k in range(15)] + [(6.0, 0.1 + 0.08 * k, -0.8) for k in range(6)]
-    floor = [(6.0, -2 + 0.1 * k, -1.0) for k in range(30)]
-    rows = sections.section_rows(cloud(spark, [two, floor]).selectExpr("*", "h + 1.0 as dh"))
-    r = sections.wide_profile(rows, replace(GROUND, structure_max_width_m=0.4)).where("s_center = 6").first()
-    assert r.splits and r.gap_m > 0.4
+def lines_of(spark, places, mode="robust", need=1):
+    by = {}
+    for r in sections.link_clusters(clusters(spark, places), mode, min_sections=need).collect():
+        by.setdefault(r.track, []).append((r.s_center, round(r.l_median, 3)))
+    return sorted(sorted(x) for x in by.values())
+
+
+def test_steep_lines_do_not_start(spark):
+    steep = [(6, 0.0), (10, 0.8), (15, 1.8)]  # a slope of 0.2, over the cone of 0.15 and over the match distance
+    for mode in ("robust", "spatial", "fixed_dl"):
+        assert lines_of(spark, steep, mode) == [[(6.0, 0.0)], [(10.0, 0.8)], [(15.0, 1.8)]]
+    assert lines_of(spark, [(6, 0.0), (10, 0.5)]) == [[(6.0, 0.0), (10.0, 0.5)]]  # 0.125 is in the cone
+    assert lines_of(spark, [(6, 0.0), (10, 0.5)], "spatial") == [[(6.0, 0.0)], [(10.0, 0.5)]]  # one sample has the match distance only
+
+
+def test_forecast_starts_at_the_last_sample(spark):
+    bent = [(6, 0.0), (10, 0.0), (15, 0.0), (20, 0.24)]
+    assert lines_of(spark, bent) == [[(6.0, 0.0), (10.0, 0.0), (15.0, 0.0), (20.0, 0.24)]]
+    # slopes of the last four: 0, 0, 0.048, 0.024, 0.017, 0; their median 0.0086 from 0.24 on gives 0.283 at 25
+    assert [(25.0, 0.53)] not in lines_of(spark, [*bent, (25, 0.53)]) and [(25.0, 0.54)] in lines_of(spark, [*bent, (25, 0.54)])
+
+
+def test_close_rivals_branch(spark):
+    fork = [(6, 0.0), (10, 0.0), (15, 0.0), (20, 0.04), (20, -0.05)]
+    for mode in ("spatial", "robust"):
+        assert lines_of(spark, fork, mode) == [[(6.0, 0.0), (10.0, 0.0), (15.0, 0.0), (20.0, -0.05)], [(6.0, 0.0), (10.0, 0.0), (15.0, 0.0), (20.0, 0.04)]]
+        others = {r.track: r.alternatives for r in sections.link_clusters(clusters(spark, fork), mode).collect()}
+        assert sorted(map(tuple, others.values())) == [(-0.05,), (0.04,)]
+    assert len(lines_of(spark, fork, "fixed_dl")) == 2 and [(20.0, -0.05)] in lines_of(spark, fork, "fixed_dl")
+    assert len(lines_of(spark, [(6, 0.0), (10, 0.0), (15, 0.0), (20, 0.0), (20, 0.2)])) == 2  # not close enough: a line of its own
+
+
+def test_branches_take_no_other_lines_cluster(spark):
+    two = [(s, side) for s in (6, 10, 15) for side in (0.0, 0.3)] + [(20, 0.12), (20, 0.18)]
+    assert lines_of(spark, two) == [[(6.0, 0.0), (10.0, 0.0), (15.0, 0.0), (20.0, 0.12)], [(6.0, 0.3), (10.0, 0.3), (15.0, 0.3), (20.0, 0.18)]]
+
+
+def test_line_candidates(spark):
+    frag = sections.link_clusters(clusters(spark, [(6, 0.0), (10, 0.01), (20, 0.02)]))
+    ground_lines = spark.createDataFrame([(0, 0, -1.0, 1.0), (0, 2, 0.5, 1.0)], "frame_index long, segment int, l_min double, l_max double")
+    c = sections.line_candidates(frag, ground_lines).first()
+    assert (c.geometry_key, c.gaps_s_m, c.sections, c.below_minimum, c.groups) == ("6.0:0.000|10.0:0.010|20.0:0.020", [15.0], 3, False, 30)
+    assert [x.height_support for x in c.samples] == ["supported", "extrapolated", "unknown"] and c.l_median_m == 0.01
+    f = sections.selection_funnel(clusters(spark, [(6, 0.0), (10, 0.0), (15, 0.0), (15, 0.7)])).first()
+    assert (f.kept, f.robust_lines, f.robust_candidates, f.fixed_dl_candidates) == (4, 2, 2, 1)  # of a young line every continuation in the cone is one
+
+
+def test_broken_hops(spark):
+    def hop(places):
+        return sections.broken_hops(spark.createDataFrame([(0, 0, float(s), float(a)) for s, a in places], "frame_index long, track int, s_center double, l_median double")).first()
+
+    assert not hop([(6, 0.0), (10, 0.2), (15, 0.45)]).broke
+    r = hop([(6, 0.0), (10, 0.2), (15, 0.0)])  # the two samples before forecast 0.45
+    assert (r.broke, r.at_s_m, r.from_s_m, r.mode, r.expected_l_m, r.residual_m) == (True, 15.0, 10.0, "last_two_samples", pytest.approx(0.45), pytest.approx(0.45))
+    first = hop([(6, 0.0), (10, 0.4), (15, 9.0)])
+    assert (first.at_s_m, first.mode, first.slope_dl_ds) == (10.0, "no_slope_yet", None)
+
+
+def wide(s, step=0.1, right=10):
+    """An island 0.64 m wide with two inner peaks, rows of one height under each."""
+    thin = [(s, 0.04 + 0.08 * k, -0.8 + (step if k > 4 else 0.0)) for k in range(9)]
+    return thin + [(s, 0.13 + 0.005 * k, -0.8) for k in range(10)] + [(s, 0.53 + 0.005 * k, -0.8 + step) for k in range(right)]
+
+
+def test_wide_islands_split_where_both_parts_go_on(spark):
+    def profiles(*parts):
+        rows = sections.section_rows(cloud(spark, [*parts, *[[(s, -2 + 0.05 * k, -1.0) for k in range(30)] for s in (6.0, 10.0)]]).selectExpr("*", "h + 1.0 as dh"))
+        return {r.s_center: r for r in sections.wide_profile(rows).collect()}
+
+    both = profiles(wide(6.0), wide(10.0))
+    assert both[6.0].splits and both[6.0].valley == 1 and both[6.0].dh_step_m == pytest.approx(0.1) and both[6.0].part_groups == [15, 14]
+    assert (both[10.0].splits, both[10.0].reason) == (False, "seen_at_one_station_only")
+    assert profiles(wide(6.0, 0.01), wide(10.0))[6.0].reason == "valley_or_height_step_too_small"
+    moved = [(s, l + 2.5, h) for s, l, h in wide(10.0)]
+    assert profiles(wide(6.0), moved)[6.0].reason == "does_not_go_on"
 
 
 def test_sparse_thresholds_only_change_counts():

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom.config import Attachment
 from pointloom.operators import corridor, pairs
 
 FR = "frame_index long, track int, s_center double, l_median double, h_median double, dh_median double, width_m double, groups long"
@@ -57,7 +58,9 @@ def test_midpoint_line_and_pose(spark):
     r = line.first()
     assert (r.k, r.b, r.straight) == (pytest.approx(0.02), pytest.approx(0.10), True)
     pose = pairs.pose_at_reference(rows, line, keys).first()
-    assert (pose.pose_l_m, pose.support) == (pytest.approx(0.40), "inside")
+    assert (pose.model_l_m, pose.support, pose.direct_l_m, pose.nearest_s_m) == (pytest.approx(0.40), "gap", None, 10.0)
+    near = pairs.pose_at_reference(rows.where("s_center < 15"), line.withColumn("s_max", F.lit(9.0)), keys).first()
+    assert (near.support, near.reliable, near.model_l_m, near.reason) == ("extrapolation", False, None, "too_far")
 
 
 def test_assumed_sections_fill_the_missing_side(spark):
@@ -90,14 +93,27 @@ def test_curve_and_gap_and_ends(spark):
     near, before, far = placed(spark, [(6, 0, -0.5), (5.2, 0, -0.5), (220, 0, -0.5)])
     assert near.relation == "inside"
     assert (before.relation, before.uncertain_reason) == ("uncertain", "extrapolated")
-    assert far.uncertain_reason == "outside_applicability"
+    assert (far.uncertain_reason, far.support, far.lateral_m) == ("outside_applicability", "unsupported", None)
+    side = placed(spark, [(10, 1.2, -0.5)])[0]
+    assert (side.lateral_m, side.relation) == (pytest.approx(1.2), "outside")
+
+
+def test_one_section_has_no_direction(spark):
+    near, far = placed(spark, [(15.3, 0.2, -0.5), (16, 0.2, -0.5)], stations=(15.0,))
+    assert (near.relation, near.uncertain_reason, near.support, near.lateral_m) == ("uncertain", "insufficient_direction", "observed", pytest.approx(0.2))
+    assert (far.uncertain_reason, far.support) == ("outside_applicability", "unsupported")
 
 
 def test_attachment_counts_matches(spark):
     m = spark.createDataFrame([(0, h, s, a) for h, a in (("H1", -1.40), ("H2", 1.26)) for s in (6.0, 10.0)], "frame_index long, hypothesis string, s double, l double")
-    assert (lambda r: (r.attachment, r.hypothesis))(corridor.attachment_match(m, 6.0, -1.40).first()) == ("one", "H1")
+    at = lambda l, **k: Attachment(6.0, l, 5.0, 12.0, **k)  # noqa: E741, E731
+    assert (lambda r: (r.attachment, r.hypotheses))(corridor.attachment_match(m, at(-1.40)).first()) == ("one", ["H1"])
+    assert corridor.attachment_match(m, Attachment(6.0, -1.40, 12.0, 20.0)).first().attachment == "none"  # no section in the window
+    assert corridor.attachment_match(m, at(-1.40, heading=0.3)).first().attachment == "none"
+    one = m.where("s = 6")  # a single section has no heading to compare
+    assert corridor.attachment_match(one, at(-1.40, heading=0.3)).first().attachment == "one"
     two = spark.createDataFrame([(0, h, s, a) for h, a in (("H1", -0.40), ("H2", -0.10)) for s in (6.0, 10.0)], "frame_index long, hypothesis string, s double, l double")
-    assert corridor.attachment_match(two, 6.0, -0.28).first().attachment == "several"
+    assert corridor.attachment_match(two, at(-0.28)).first().attachment == "several"
 
 
 def test_overlap(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pointloom.operators import evaluate, windows
 from pointloom.sources import bag, journal, pointcloud
 from pointloom.streaming import live, replay
-from pointloom.streaming.tracker import PairHistory, Tracker, match_histories
+from pointloom.streaming.tracker import PairHistories, Tracker, moved
 
 KINDS = {"x": 7, "y": 7, "z": 7, "intensity": 7, "ring": 4, "timestamp": 8}
 
@@ -25,7 +25,7 @@ def test_decode_padding_alignment_byte_order(spark, big, pad):
     for k, name in enumerate(KINDS):
         assert got[name].tolist() == columns(6)[name], name
     assert [r["timestamp"] for r in pointcloud.decode_records(m, [5, 0])] == [0.625, 0.0]
-    m |= {"frame_index": 3, "stamp_ns": 17, "frame_id": "lidar", "fields": [tuple(f.values()) for f in m["fields"]]}
+    m |= {"frame_index": 3, "stamp_ns": 17, "frame_id": "sensor", "fields": [tuple(f.values()) for f in m["fields"]]}
     df = spark.createDataFrame([tuple(m[c.split()[0]] for c in pointcloud.MESSAGE.split(", "))], pointcloud.MESSAGE)
     rows = pointcloud.points(df).orderBy("source_index").collect()
     assert [r.ring for r in rows] == columns(6)["ring"] and rows[0].absent_fields == [] and rows[0].frame_index == 3
@@ -41,14 +41,14 @@ def test_bad_layouts_are_refused():
         pointcloud.decode(m | {"fields": m["fields"][:2]})
 
 
-def recording(folder, n=5, topics=("/lidar",)):
+def recording(folder, n=5, topics=("/points",)):
     db = sqlite3.connect(folder / "run_0.db3")
     db.execute("CREATE TABLE topics(id INTEGER PRIMARY KEY, name TEXT, type TEXT)")
     db.execute("CREATE TABLE messages(id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
     for k, t in enumerate((*topics, "/imu")):
         db.execute("INSERT INTO topics VALUES (?, ?, ?)", (k, t, bag.CLOUD_TYPE if t != "/imu" else "other"))
     for k in range(n):
-        m = pointcloud.pack({c: [float(k), 1.0] for c in "xyz"}, {c: 7 for c in "xyz"}) | {"stamp_ns": 1_500_000_000 + k, "frame_id": "lidar"}
+        m = pointcloud.pack({c: [float(k), 1.0] for c in "xyz"}, {c: 7 for c in "xyz"}) | {"stamp_ns": 1_500_000_000 + k, "frame_id": "sensor"}
         db.execute("INSERT INTO messages(topic_id, timestamp, data) VALUES (0, ?, ?)", (k, bag.serialise(m)))
         db.execute("INSERT INTO messages(topic_id, timestamp, data) VALUES (?, ?, ?)", (len(topics), k, b"x"))
     db.commit()
@@ -120,28 +120,67 @@ def cand(i, s, key="H"):
     return {"candidate_id": i, "corridor_key": key, "position": (s, 0.0, 0.0)}
 
 
+def step(t, frame, cands, **k):
+    return [(r["track_id"], r["candidate_id"], r["association"], r["confirmed"]) for r in t.step(frame, 0.1 * frame, cands, **({"pose": EYE} | k))]
+
+
 def test_tracker():
+    t = Tracker(link_m=0.5)
+    assert step(t, 0, [cand("a", 1.0)]) == [(1, "a", "new", False)]
+    assert step(t, 1, [cand("b", 1.2)]) == [(1, "b", "linked", True)]
+    assert step(t, 0, [cand("z", 1.2)]) == [(None, "z", "repeated_frame", False)]  # any earlier frame, not only the last
+    assert step(t, 2, [cand("c", 1.2), cand("d", 1.3)]) == [(None, "c", "ambiguous", False), (None, "d", "ambiguous", False), (1, None, "missed", True)]
+    assert step(t, 3, [cand("e", 1.2, "other")]) == [(2, "e", "new", False)]  # missed twice: gone
+    assert step(t, 4, [cand("f", 1.2, None)]) == [(None, "f", "no_corridor", False), (2, None, "missed", False)]
+    assert step(t, 5, [cand("g", 1.2)], reference="train") == [(None, "g", "other_coordinates", False)]
+    assert step(t, 6, [cand("h", 1.2)]) == [(3, "h", "new", False)]
+    assert step(t, 7, [cand("i", 1.2)], pose=None) == [(None, "i", "no_pose", False), (3, None, "missed", False)]
+    assert step(t, 8, [cand("j", 1.2)], reliable=False) == [(None, "j", "unreliable", False)]
+
+
+def test_poses_act_on_sensor_axes():
+    ahead = [[1.0, 0, 0, 0], [0, 1, 0, -2.0], [0, 0, 1, 0], [0, 0, 0, 1]]  # the sensor moves two metres along s, that is -y
+    assert moved([10.0, 0.5, -1.0], EYE, ahead) == pytest.approx([8.0, 0.5, -1.0])
+    aside = [[1.0, 0, 0, 1.0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+    assert moved([10.0, 0.5, -1.0], EYE, aside) == pytest.approx([10.0, -0.5, -1.0])
     t = Tracker()
-    t.step(0, 0.0, [cand("a", 1.0)], pose=EYE)
-    assert t.step(1, 0.1, [cand("b", 1.2)], pose=EYE) == [{"track_id": 1, "candidate_id": "b", "status": "matched", "confirmed": True}]
-    same = t.step(1, 0.1, [cand("z", 9.0)], pose=EYE)  # a repeated frame changes nothing
-    assert same[0]["candidate_id"] == "b"
-    near = t.step(2, 0.2, [cand("c", 1.2), cand("d", 1.3)], pose=EYE)  # two partners: nothing is matched, nothing is born
-    assert len(near) == 1 and near[0]["status"] == "ambiguous"
-    assert t.step(3, 0.3, [cand("e", 1.2, "other")], pose=EYE)[0]["candidate_id"] == "e"  # missed twice: gone, and another corridor opens a track
-    assert t.step(4, 0.4, [cand("f", 1.2)], reference="train", pose=EYE)[0]["status"] == "new"
-    assert t.step(5, 0.5, [], reference="train")[0]["status"] == "missed"
-
-
-def test_pair_history():
-    h = PairHistory()
-    assert [h.add(w) for w in [1.52] * 6] == ["admitted"] * 6
-    assert h.add(2.40) == "outlier" and h.width() == 1.52
-    g = PairHistory()
-    assert [g.add(w) for w in [1.52] * 4 + [1.80] * 3][-1] == "width_conflict"
-    assert (g.conflict, g.width()) == (1.80, 1.52)
-    assert match_histories({"A": (-0.7, 0.7), "B": (0.7, 2.1)}, [("p", -0.65, 0.72)]) == {"p": "A"}
-    assert match_histories({"A": (-0.7, 0.7), "B": (-0.6, 0.8)}, [("p", -0.65, 0.75)]) == {}
+    step(t, 0, [{"candidate_id": "a", "corridor_key": "H", "position": (10.0, 0.5, -1.0)}])
+    assert step(t, 1, [{"candidate_id": "b", "corridor_key": "H", "position": (10.0, -0.5, -1.0)}], pose=aside)[0][2:] == ("linked", True)
+
+
+def pair(d, at=0.0, **k):
+    return {"left": at - 0.76, "right": at + 0.76, "distance": d, "slope": 0.01, "place": at} | k
+
+
+def test_pair_histories():
+    h = PairHistories()
+    rows = [h.step(k, [pair(1.52)])[0] for k in range(6)]
+    assert [r["reason"] for r in rows] == ["admitted"] * 6 and rows[-1]["place"] == 0.0 and rows[-1]["slope"] == 0.01
+    out = h.step(6, [pair(2.40)])[0]
+    assert (out["update"], out["reason"], out["width"], out["width_age"]) == ("paused", "outlier", 1.52, 1)
+    g = PairHistories()
+    rows = [g.step(k, [pair(d)])[0] for k, d in enumerate([1.52] * 4 + [1.80] * 3)]
+    assert (rows[-1]["update"], rows[-1]["conflict"], rows[-1]["width"]) == ("width_conflict", 1.80, 1.52)
+    assert g.histories[0]["widths"] == [1.52] * 4  # a conflict is not adopted
+
+
+def test_pair_histories_pause_and_assume():
+    h = PairHistories()
+    h.step(0, [pair(1.52)])
+    one = h.step(1, [], [-0.80])[0]
+    assert (one["reason"], one["assumed_side"], one["assumed_l"]) == ("one_line_seen", "right", pytest.approx(0.72))
+    assert h.step(2, [], [])[0]["reason"] == "not_seen" and h.step(3, [], [], ground_found=False)[0]["reason"] == "no_ground"
+    both = h.step(4, [pair(1.52, 0.05), pair(1.50, 0.10)])  # two pairs nearly as near: nothing is updated, nothing is opened
+    assert [r["reason"] for r in both] == ["ambiguous", "ambiguous_not_opened", "ambiguous_not_opened"] and len(h.histories) == 1
+    far = h.step(5, [pair(1.52, 3.0)])
+    assert [(r["pair_id"], r["reason"]) for r in far] == [(1, "not_seen"), (2, "admitted")]
+
+
+def test_pair_history_rows(spark):
+    p = "array<struct<left:double,right:double,distance:double,slope:double,place:double>>"
+    rows = [(s, f, True, [(-0.76, 0.76, 1.52, 0.0, 0.0)] if f != 2 else None, [0.7] if f == 2 else None) for s in range(2) for f in (2, 0, 1)]
+    got = replay.pair_histories(spark.createDataFrame(rows, f"session_key long, frame long, ground_found boolean, pairs {p}, lines array<double>")).where("session_key = 1").orderBy("frame").collect()
+    assert [(r.pair_id, r.reason, r.width, r.assumed_side) for r in got] == [(1, "admitted", 1.52, None)] * 2 + [(1, "one_line_seen", 1.52, "left")]
 
 
 CANDS = "session_key long, frame long, stamp_s double, candidate_id string, corridor_key string, s double, l double, h double"
@@ -174,3 +213,12 @@ def test_journal_stream_is_exactly_once(spark, tmp_path):
 def test_balance(spark):
     c = live.counters(spark.createDataFrame([("ok",), ("processing_timeout",)], "status string"))
     assert evaluate.balance(c.withColumn("dropped", F.lit(0))).first().balanced
+
+
+def test_packed_messages_round_trip(spark):
+    r = np.random.default_rng(1)
+    rows = [(f, k, *map(float, r.uniform(-50, 50, 3)), float(k), k % 128) for f in range(3) for k in range(40)]
+    df = spark.createDataFrame(rows, "frame_index long, source_index long, x double, y double, z double, intensity double, ring int")
+    got = pointcloud.points(pointcloud.packed(df), "double").orderBy("frame_index", "source_index").collect()
+    assert [(x.frame_index, x.source_index, x.x, x.y, x.z, x.ring) for x in got] == [(f, k, a, b, c, n) for f, k, a, b, c, _, n in rows]  # float64 as it was declared
+    assert pointcloud.points(pointcloud.packed(df)).schema["x"].dataType.simpleString() == "float"
