@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialise
 from .bpe import counts as token_counts
-from .common import broadcast_if_few, join_classes
+from .common import join_classes
 
 KEY = ("doc_id", "tokenizer")
 GROUP = ("source", "lang", "tokenizer")
 LEDGER = "doc_id long, tokenizer string, source string, lang string, tokens long, alive boolean, seq long"
 DELTAS = "source string, lang string, tokenizer string, docs long, tokens long"
-#: Batches after which the ledger is written whole.
-SNAPSHOT = 16
+#: Batches after which the ledger is written whole, and keys of a batch up to which the ledger is read for them alone.
+SNAPSHOT, FEW_KEYS = 16, 50_000
 
 
 class Rollup:
@@ -87,14 +87,14 @@ class Rollup:
             raise RuntimeError(f"batch {batch} could not be committed")
 
     def ledger(self, keys: DataFrame | None = None) -> DataFrame:
-        """The last row of each document and tokenizer version (of those in ``keys``)."""
+        """The last row of each document and tokenizer version (of those in ``keys`` at least, where these are few)."""
         done = self._commits()
         start = max((k for k, c in enumerate(done) if c["snapshot"]), default=None)
         paths = [f"{self.path}/{c['folder']}/ledger" for c in done[0 if start is None else start + 1 :]]
         paths += [f"{self.path}/{done[start]['folder']}/snapshot"] if start is not None else []
         rows = self.spark.read.schema(LEDGER).parquet(*paths) if paths else self.spark.createDataFrame([], LEDGER)
-        if keys is not None:
-            wanted = broadcast_if_few(keys.select(*[F.col(k).alias(f"w_{k}") for k in KEY]).distinct())
+        if keys is not None and keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+            wanted = F.broadcast(keys.select(*[F.col(k).alias(f"w_{k}") for k in KEY]).distinct())
             rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & F.col("tokenizer").eqNullSafe(F.col("w_tokenizer")), "left_semi")
         last = rows.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "alive", "seq"), "seq").alias("x"))
         return last.select(*KEY, "x.*")
