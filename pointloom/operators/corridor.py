@@ -178,3 +178,14 @@ def attachment_match(midpoints: DataFrame, place: Attachment) -> DataFrame:
 
 def object_overlap(object_low: Column, object_high: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(object_high, high) - F.greatest(object_low, low))
+
+
+def observed_span(vertex: DataFrame) -> DataFrame:
+    """From where to where each hypothesis was seen above known ground; hypotheses without such a vertex have no row."""
+    seen = vertex.where("role = 'observed' and h_ref is not null")
+    return seen.groupBy(*KEY).agg(F.min("s").alias("s_min_m"), F.max("s").alias("s_max_m"))
+
+
+def support_range(lines: DataFrame) -> DataFrame:
+    """From where to where a frame's ground reaches."""
+    return lines.groupBy("frame_index").agg(F.min("s_lo").alias("support_s_min_m"), F.max("s_hi").alias("support_s_max_m"))

@@ -261,16 +261,13 @@ def inferred_candidates(points: DataFrame, inside: DataFrame, pair_of: DataFrame
     Each (frame, hypothesis) is handled as a frame of its own.
     """
     from . import spatial
-    from .ground import segment_of
+    from .pairs import line_samples
 
     key = ["frame_index", "hypothesis"]
     numbered = pair_of.withColumn("number", F.row_number().over(Window.partitionBy("frame_index").orderBy("hypothesis")) - 1)
     code = (F.col("frame_index") * 4096 + F.col("number")).alias("code")  # at most max_live_tracks squared of them
     who = numbered.select(*key, "a_track", "b_track", code)
-    ext = lines.select("frame_index", "segment", F.col("l_min").alias("g_min"), F.col("l_max").alias("g_max"))
-    samples = fragments.withColumn("segment", segment_of("s_center", ground)).join(ext, ["frame_index", "segment"], "left")
-    samples = samples.withColumn("supported", F.coalesce(F.col("l_median").between(F.col("g_min"), F.col("g_max")), F.lit(False)))
-    mine = who.select("frame_index", "code", F.explode(F.array("a_track", "b_track")).alias("track")).join(samples, ["frame_index", "track"])
+    mine = line_samples(numbered, fragments, lines, ground).join(who.select(*key, "code"), key)
     mine = mine.select(F.col("code").alias("frame_index"), "s_center", "l_median", "h_median", "width_m", "supported")
     rows = inside.join(who.select(*key, "code"), key).join(points, ["frame_index", "point_id"]).withColumn("inside", F.lit(True))
     band = residual.join(who.select("frame_index", "code"), "frame_index").select(F.col("code").alias("frame_index"), "p95_m")

@@ -109,12 +109,6 @@ def region_hits(cands: DataFrame, region: DataFrame, hits_needed: int = 4, share
     return c.groupBy("frame_index").agg(F.max_by(F.struct("candidate_id", "hits", "localising"), F.struct("localising", "hits", "candidate_id")).alias("best")).select("frame_index", "best.*")
 
 
-def ab_axis_spread(cands: DataFrame, spread_m: float = 0.40, limit_m: float = 0.50) -> DataFrame:
-    """Whether the lateral places of a frame's candidates are too far apart or off axis to name one."""
-    mid = F.col("l_min_m") + F.col("extent_l_m") / 2
-    return cands.groupBy("frame_index").agg((F.max(mid) - F.min(mid)).alias("spread_m"), F.max(F.abs(mid)).alias("off_m")).withColumn("ambiguous", (F.col("spread_m") > spread_m) | (F.col("off_m") > limit_m))
-
-
 def compare(expected: DataFrame, actual: DataFrame, exact: list[str], near: list[str], tolerance: float = 1e-5) -> DataFrame:
     """One row for each difference of two results by frame: missing frames, differing fields."""
     a = expected.select("frame_index", *[F.col(c).alias(f"e_{c}") for c in exact + near], F.lit(1).alias("e"))
@@ -166,3 +160,31 @@ def balance(counters: DataFrame) -> DataFrame:
     """Whether every frame that came in is accounted for."""
     total = sum((F.col(c) for c in ("written", "dropped", "timeout", "failed")), F.lit(0))
     return counters.withColumns({"accounted": total, "balanced": total == F.col("received")})
+
+
+def playback_counters(answers: DataFrame) -> DataFrame:
+    """What became of the frames of each run that was played one by one, and how many stamps came again (run, sequence, stamp_ns, status)."""
+    w = Window.partitionBy("run").orderBy("sequence")
+    rows = answers.withColumn("again", F.coalesce(F.col("stamp_ns") == F.lag("stamp_ns").over(w), F.lit(False)))
+    is_ = lambda *names: F.col("status").isin(*names)
+    counted = {"ok": is_("ok"), "timeout": is_("processing_timeout"), "expired": is_("player_wait_expired")}
+    other = ~F.coalesce(is_("ok", "processing_timeout", "player_wait_expired"), F.lit(False))
+    return rows.groupBy("run").agg(F.count("*").alias("played"), *[F.count_if(c).alias(n) for n, c in counted.items()], F.count_if(other).alias("error"), F.count_if("again").alias("repeated_stamps"))
+
+
+def reference_range(region: DataFrame) -> DataFrame:
+    """The nearest and the farthest range of a region's points (frame_index, range_m), and what lies between."""
+    out = region.groupBy("frame_index").agg(F.min("range_m").alias("min_m"), F.max("range_m").alias("max_m"), F.count("*").alias("points"))
+    return out.withColumn("uncertainty_m", F.col("max_m") - F.col("min_m"))
+
+
+def two_ways(a: DataFrame, b: DataFrame, region: DataFrame, axes: DataFrame) -> DataFrame:
+    """One frame's region in the candidates of the full pipeline (``a``) and of the plain straight volume (``b``), side by side.
+
+    ``axes``: lateral places of the hypotheses' axes (frame_index, axis_l_m); where they are spread or off, a straight
+    volume names no track, and where there are none nothing is said.
+    """
+    side = lambda df, p: region_hits(df, region).select("frame_index", *[F.col(c).alias(f"{p}_{c}") for c in ("candidate_id", "hits", "localising")])
+    spread = axes.groupBy("frame_index").agg((F.max("axis_l_m") - F.min("axis_l_m")).alias("spread_m"), F.max(F.abs("axis_l_m")).alias("off_m"))
+    out = region.select("frame_index").distinct().join(side(a, "a"), "frame_index", "left").join(side(b, "b"), "frame_index", "left").join(spread, "frame_index", "left")
+    return out.withColumn("ambiguous", (F.col("spread_m") > 0.40) | (F.col("off_m") > 0.50))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import PAIRS, Pairs
+from ..config import GROUND, PAIRS, Ground, Pairs
+from .ground import segment_of
 
 
 def heading(s: str, l: str, over: Window) -> Column:  # noqa: E741
@@ -186,3 +187,24 @@ def feature_table(sections: DataFrame) -> DataFrame:
     """Features of each pair side by side, as arrays over its stations."""
     by = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("s_center", F.col(c).alias("v")))), lambda x: x.v)
     return sections.groupBy("frame_index", "a_track", "b_track").agg(*[by(c).alias(c) for c in ("s_center", "distance_m", "a_l_median", "b_l_median", "a_width_m", "b_width_m", "a_groups", "b_groups")])
+
+
+def stations(fragments: DataFrame) -> DataFrame:
+    """For every two lines of a frame the stations that both have, and those inside both spans that one lacks."""
+    own = fragments.groupBy("frame_index", "track").agg(F.sort_array(F.collect_set(F.round("s_center", 3))).alias("at"))
+    a = own.select("frame_index", F.col("track").alias("a_track"), F.col("at").alias("a"))
+    b = own.select("frame_index", F.col("track").alias("b_track"), F.col("at").alias("b"))
+    both = a.join(b, "frame_index").where("a_track < b_track")
+    low, high = F.greatest(F.array_min("a"), F.array_min("b")), F.least(F.array_max("a"), F.array_max("b"))
+    common = F.array_intersect("a", "b")
+    one = F.array_except(F.array_union("a", "b"), common)
+    return both.select("frame_index", "a_track", "b_track", F.sort_array(common).alias("common"), F.sort_array(F.filter(one, lambda s: s.between(low, high))).alias("missing"))
+
+
+def line_samples(pair_of: DataFrame, fragments: DataFrame, lines: DataFrame, cfg: Ground = GROUND) -> DataFrame:
+    """The sections of the two lines that made each hypothesis (frame_index, hypothesis, a_track, b_track), with the support of their heights."""
+    ground = lines.select("frame_index", "segment", F.col("l_min").alias("g_min"), F.col("l_max").alias("g_max"))
+    rows = fragments.withColumn("segment", segment_of("s_center", cfg)).join(ground, ["frame_index", "segment"], "left")
+    rows = rows.withColumn("supported", F.coalesce(F.col("l_median").between(F.col("g_min"), F.col("g_max")), F.lit(False)))
+    own = pair_of.select("frame_index", "hypothesis", F.explode(F.array("a_track", "b_track")).alias("track"))
+    return own.join(rows, ["frame_index", "track"]).select("frame_index", "hypothesis", "s_center", "l_median", "h_median", "width_m", "supported")

@@ -2,7 +2,9 @@
 
 ``spark.read.format("bag").option("path", folder).option("topic", name).load()`` gives
 ``MESSAGE`` rows, one for each recorded cloud. Partitions are ranges of message ids, so each task
-seeks only its part; with the option ``pushFilters`` filters on the frame number narrow that range.
+seeks only its part; with the option ``pushFilters`` filters on the frame number narrow that range. The topic
+``*`` reads the clouds of all topics in the order of their ids; the option ``every`` keeps every so many-th, and ``atMost``
+as many of them, evenly spread. The folder must be mounted where tasks run, as SQLite opens files by path.
 """
 
 from __future__ import annotations
@@ -124,32 +126,39 @@ def serialise(m: dict) -> bytes:
 
 
 class IdRange(InputPartition):
-    def __init__(self, low: int, high: int, before: int):
-        self.low, self.high, self.before = low, high, before
+    def __init__(self, low: int, high: int, before: int, every: int = 1):
+        self.low, self.high, self.before, self.every = low, high, before, every
 
 
 class BagReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.per = options["path"], int(options.get("messagesPerPartition", "64"))
+        self.folder, self.per = options["path"], int(options.get("messagesperpartition", "64"))
         self.known = tuple(x for x in options.get("known", "").split(",") if x)
         self.topic, self.low, self.high = options.get("topic"), 0, None
+        self.every, self.most = int(options.get("every", "1")), options.get("atmost")
 
-    def _open(self) -> tuple[sqlite3.Connection, int]:
+    def _open(self) -> tuple[sqlite3.Connection, str]:
+        """The file, and the condition on the topics that are read."""
         db = sqlite3.connect(f"file:{message_file(self.folder)}?mode=ro", uri=True)
         topics = {n: (i, t) for i, n, t in db.execute("SELECT id, name, type FROM topics")}
-        return db, topics[choose_topic({n: t for n, (_, t) in topics.items()}, self.known, self.topic)][0]
+        if self.topic == "*":
+            return db, f"topic_id IN ({', '.join(str(i) for i, t in topics.values() if t == CLOUD_TYPE) or 'NULL'})"
+        return db, f"topic_id = {topics[choose_topic({n: t for n, (_, t) in topics.items()}, self.known, self.topic)][0]}"
 
     def partitions(self):
         db, topic = self._open()
-        ids = [r[0] for r in db.execute("SELECT id FROM messages WHERE topic_id = ? ORDER BY id", (topic,))]
+        ids = [r[0] for r in db.execute(f"SELECT id FROM messages WHERE {topic} ORDER BY id")]
         db.close()
+        every = self.every if self.most is None else max(1, -(-len(ids) // int(self.most)))
         chosen = range(self.low, len(ids) if self.high is None else min(len(ids), self.high + 1))
-        return [IdRange(ids[k], ids[min(k + self.per, chosen.stop) - 1], k) for k in chosen[:: self.per]] or [IdRange(1, 0, 0)]
+        return [IdRange(ids[k], ids[min(k + self.per, chosen.stop) - 1], k, every) for k in chosen[:: self.per]] or [IdRange(1, 0, 0)]
 
     def read(self, part: IdRange) -> Iterator[tuple]:
         db, topic = self._open()
         names = [c.split()[0] for c in MESSAGE.split(", ")]
-        for k, (data,) in enumerate(db.execute("SELECT data FROM messages WHERE topic_id = ? AND id BETWEEN ? AND ? ORDER BY id", (topic, part.low, part.high))):
+        for k, (data,) in enumerate(db.execute(f"SELECT data FROM messages WHERE {topic} AND id BETWEEN ? AND ? ORDER BY id", (part.low, part.high))):
+            if (part.before + k) % part.every:
+                continue
             m = parse(data)
             m["frame_index"] = part.before + k
             m["fields"] = [(f["name"], f["offset"], f["datatype"], f["count"]) for f in m["fields"]]
@@ -182,5 +191,18 @@ class BagSource(DataSource):
         return MESSAGE
 
     def reader(self, schema):
-        options = dict(self.options)
-        return PushingBagReader(options) if options.get("pushFilters", "false").lower() == "true" else BagReader(options)
+        options = {k.lower(): v for k, v in self.options.items()}  # as Spark matches their names
+        return PushingBagReader(options) if options.get("pushfilters", "false").lower() == "true" else BagReader(options)
+
+
+def message_at(folder: str, place: int, topic: str | None = None, stamp_ns: int | None = None) -> dict:
+    """One message of a recording by its place among its topic's, for a look at a single frame; an error if its stamp is another."""
+    db, which = BagReader({"path": folder} | ({"topic": topic} if topic else {}))._open()
+    row = db.execute(f"SELECT data FROM messages WHERE {which} ORDER BY id LIMIT 1 OFFSET ?", (place,)).fetchone()
+    db.close()
+    if row is None:
+        raise ValueError(f"no message {place}")
+    m = parse(row[0])
+    if stamp_ns is not None and m["stamp_ns"] != stamp_ns:
+        raise ValueError(f"message {place} has the stamp {m['stamp_ns']}")
+    return m

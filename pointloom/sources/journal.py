@@ -13,17 +13,44 @@ def write(frames: DataFrame, path: str, mode: str = "append") -> None:
     frames.write.mode(mode).json(path)
 
 
+def _torn_tails(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, text) of last lines that were not ended; only the ends of files are read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    fs = found.getFileSystem(conf)
+    out = []
+    for status in fs.globStatus(found) or []:
+        for s in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+            name, size = s.getPath().getName(), s.getLen()
+            if s.isDirectory() or name.startswith(("_", ".")) or not size:
+                continue
+            stream, tail, at = fs.open(s.getPath()), b"", size
+            while at and b"\n" not in tail:
+                n = min(at, 1 << 16)
+                at -= n
+                stream.seek(at)
+                tail = bytes(stream.readNBytes(n)) + tail
+            stream.close()
+            if not tail.endswith(b"\n"):
+                out.append((s.getPath().toString(), tail.rpartition(b"\n")[2].decode("utf-8", "replace")))
+    return out
+
+
 def read_completed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The last complete record of each frame: a last line that was not ended is dropped.
 
-    Files are split at line ends by Spark; the text after a file's last line end is what is torn.
+    Files are split at line ends by Spark; the driver looks at the last bytes of each file only.
     """
-    whole = spark.read.format("binaryFile").load(path).select("path", F.expr("right(decode(content, 'utf-8'), 1) = '\n'").alias("ended"))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    w = Window.partitionBy("file")
-    ended = whole.select(F.regexp_replace("path", "^file:/+", "/").alias("f"), "ended")
-    lines = lines.withColumns({"last": F.max("n").over(w), "f": F.regexp_replace("file", "^file:/+", "/")}).join(ended, "f")
-    good = lines.where("ended or n < last").where("trim(value) <> ''")
+    place = F.col("_metadata.file_path").alias("file")
+    lines = spark.read.text(path).select(place, F.monotonically_increasing_id().alias("n"), "value")
+    torn = spark.createDataFrame(_torn_tails(spark, path), "file string, tail string")
+    clean = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    torn = torn.select(clean("file").alias("f"), "tail")
+    # of the lines that read like a file's torn one, the last is it
+    marked = lines.withColumn("f", clean("file")).join(F.broadcast(torn.withColumnRenamed("f", "torn_f")), (F.col("f") == F.col("torn_f")) & (F.col("value") == F.col("tail")), "left")
+    last = marked.where("torn_f is not null").groupBy("f").agg(F.max("n").alias("n")).withColumn("gone", F.lit(True))
+    good = marked.select("f", "n", "value").join(F.broadcast(last), ["f", "n"], "left").where("gone is null and trim(value) <> ''")
     rows = good.select("n", F.from_json("value", schema).alias("r")).where("r.frame_index is not null")
     return rows.groupBy(F.col("r.frame_index").alias("k")).agg(F.max_by("r", "n").alias("r")).select("r.*")
 
@@ -55,6 +82,18 @@ def development_only(runs: DataFrame) -> DataFrame:
     return runs.where("role = 'development'")
 
 
+def require_development(runs: DataFrame) -> None:
+    """An error if a run is not of the development split."""
+    other = runs.where("role <> 'development'").select("run").first()
+    if other is not None:
+        raise ValueError(f"run {other.run} is not for development")
+
+
+def view(frames: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Frames (run, message_index) that were chosen to be looked at."""
+    return frames.join(F.broadcast(chosen.distinct()), ["run", "message_index"], "left_semi")  # written by hand
+
+
 def select_frames(frames: DataFrame, first: int | None = None, last: int | None = None, chosen: list[int] | None = None, most: int | None = None) -> DataFrame:
     """Frames of a window, a list, and at most so many from the start."""
     out = frames
@@ -73,10 +112,49 @@ def card(decisions: DataFrame, intrusions: DataFrame) -> DataFrame:
     return decisions.join(c, "frame_index", "left")
 
 
-def manifest(path: str, **fields) -> None:
+def _once(spark: SparkSession, path: str, text: str) -> None:
+    """A new file in any store; an error where it exists."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def manifest(spark: SparkSession, folder: str, **given) -> None:
     """The description of a run, written once."""
-    with open(path, "x", encoding="utf-8") as f:
-        json.dump(fields, f, sort_keys=True, indent=1)
+    _once(spark, f"{folder}/manifest.json", json.dumps(given, sort_keys=True, indent=1))
+
+
+def machine(spark: SparkSession, folder: str) -> None:
+    """What the run ran on: versions, parallelism, memory of executors."""
+    import platform
+
+    sc = spark.sparkContext
+    about = {"spark": spark.version, "python": platform.python_version(), "system": platform.platform(), "parallelism": sc.defaultParallelism, "executor_memory": sc._conf.get("spark.executor.memory", "1g"), "master": sc.master}
+    _once(spark, f"{folder}/machine.json", json.dumps(about, sort_keys=True, indent=1))
+
+
+def summary(frames: DataFrame, folder: str) -> None:
+    """The summary of a finished run: a row for each run, written once."""
+    from ..operators.evaluate import run_summary
+
+    rows = [r.asDict() for r in run_summary(frames).collect()]  # one row for each run
+    _once(frames.sparkSession, f"{folder}/summary.json", json.dumps(rows, sort_keys=True, indent=1))
+
+
+def own(spark: SparkSession, folder: str, run_id: str) -> None:
+    """Claim a folder for one writer: the lock file can be made once only."""
+    _once(spark, f"{folder}/run.lock", run_id)
+
+
+def run_id(name: str, when_ns: int) -> str:
+    return f"{name}-{when_ns}"
+
+
+def expected(messages: DataFrame) -> DataFrame:
+    """How many messages each run and topic has (run, topic), to compare with what was processed."""
+    return messages.groupBy("run", "topic").agg(F.count("*").alias("expected"))
 
 
 def inventory(spark: SparkSession, root: str, roles: DataFrame) -> DataFrame:
@@ -89,3 +167,11 @@ def search_gate(frames: DataFrame, gate: str) -> DataFrame:
     """Frames that a search looks at: all, those with a decision that isn't a failure, or those with candidates."""
     rules = {"none": "true", "decided": "decision not in ('processing_timeout', 'processing_error', 'insufficient_geometry')", "candidates": "candidates > 0"}
     return frames.where(rules[gate])
+
+
+#: Boxes (s, l, h; borders excluded) that a study of one recording looks in; fixed values.
+STUDY_GATES = {
+    "e01": "s > 0.4 and s < 40 and abs(l) < 1.7 and h > -1.7 and h < 1.4",
+    "e03": "s > 1 and s < 30 and l > -3 and l < -0.4 and h > -1.7 and h < 2.2",
+    "none": "false",
+}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.marks import newest_picture
 from .replay import TRACK_ROWS, posed, tracked
 from .tracker import Tracker
 
@@ -55,6 +58,45 @@ def track_stream(candidates: DataFrame, **settings) -> DataFrame:
     return posed(candidates).groupBy("session_key").applyInPandasWithState(run, TRACK_ROWS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def within_budget(spark: SparkSession, action, seconds: float) -> dict:
+    """Run an action (a function that starts Spark jobs) with a deadline: its jobs are cancelled when it is over.
+
+    Returns the status, the action's result (None where it has none) and the error. A late result is not waited for.
+    """
+    group = f"budget-{uuid.uuid4().hex}"
+    found: dict = {}
+
+    def run() -> None:
+        spark.sparkContext.setJobGroup(group, "a frame's budget", interruptOnCancel=True)
+        try:
+            found["result"] = action()
+        except Exception as e:  # the status tells of it, whatever it is
+            found["error"] = f"{type(e).__name__}: {e}"[:500]
+
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        spark.sparkContext.cancelJobGroup(group)
+        return {"status": "processing_timeout", "result": None, "error": None}
+    return {"status": "processing_error" if "error" in found else "ok", "result": found.get("result"), "error": found.get("error")}
+
+
+def pictures(stream: DataFrame, put, checkpoint: str, hertz: float = 2.0):
+    """At most so many pictures a second: of each batch the newest for each slot, never one older than what the slot has shown."""
+    shown: dict = {}
+
+    def show(batch: DataFrame, _: int) -> None:
+        newest = newest_picture(batch)
+        for p in newest.collect():  # one row for each slot
+            key = (p.session_id, p.reception)
+            if key > shown.get(p.slot, (-1, -1)):
+                shown[p.slot] = key
+                put(p)
+
+    return stream.writeStream.foreachBatch(show).trigger(processingTime=f"{round(1000 / hertz)} milliseconds").option("checkpointLocation", checkpoint)
+
+
 def join_cards(cards: DataFrame, clouds: DataFrame, late: str = "10 seconds") -> DataFrame:
     """Result cards with their clouds by sequence; both sides forget what is later than the watermark."""
     c = cards.withWatermark("ts", late)

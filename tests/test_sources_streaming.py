@@ -1,3 +1,4 @@
+import json
 import sqlite3
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import evaluate, windows
-from pointloom.sources import bag, journal, pointcloud
+from pointloom.sources import bag, journal, pointcloud, settings
 from pointloom.streaming import live, replay
 from pointloom.streaming.tracker import PairHistories, Tracker, moved
 
@@ -49,7 +50,8 @@ def recording(folder, n=5, topics=("/points",)):
         db.execute("INSERT INTO topics VALUES (?, ?, ?)", (k, t, bag.CLOUD_TYPE if t != "/imu" else "other"))
     for k in range(n):
         m = pointcloud.pack({c: [float(k), 1.0] for c in "xyz"}, {c: 7 for c in "xyz"}) | {"stamp_ns": 1_500_000_000 + k, "frame_id": "sensor"}
-        db.execute("INSERT INTO messages(topic_id, timestamp, data) VALUES (0, ?, ?)", (k, bag.serialise(m)))
+        for t in range(len(topics)):
+            db.execute("INSERT INTO messages(topic_id, timestamp, data) VALUES (?, ?, ?)", (t, k, bag.serialise(m)))
         db.execute("INSERT INTO messages(topic_id, timestamp, data) VALUES (?, ?, ?)", (len(topics), k, b"x"))
     db.commit()
     db.close()
@@ -222,3 +224,88 @@ def test_packed_messages_round_trip(spark):
     got = pointcloud.points(pointcloud.packed(df), "double").orderBy("frame_index", "source_index").collect()
     assert [(x.frame_index, x.source_index, x.x, x.y, x.z, x.ring) for x in got] == [(f, k, a, b, c, n) for f, k, a, b, c, _, n in rows]  # float64 as it was declared
     assert pointcloud.points(pointcloud.packed(df)).schema["x"].dataType.simpleString() == "float"
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text("""
+prior: {rail_head_h_if_z_up_and_angles_zero_m: -1.075}
+profile: {width_m: 2.4, height_m: 3.1, center_l_m: 0.1, lower_boundary_above_rail_head_m: 0.05}
+longitudinal: {s_min_m: 1.0, s_max_m: 90, far_assumption_from_s_m: 20}
+axis_check: {heading_tolerance_dl_ds: 0.2, min_support_span_m: 5}
+own_path_assigned: false
+match: {support_s_min_m: 6, support_s_max_m: 10, lateral_tolerance_m: 0.3, heading_dl_ds: 0.0, heading_tolerance: 0.1}
+default_variant: C
+variants: {B: {connectivity: cells}, C: {connectivity: distance, local_protrusions: true}, D: {connectivity: guess}}
+mount: {confirmed: true, source: organizer, basis: measured, translation_m: {x: 1, y: 0, z: 2}, rpy_rad: {roll: 0, pitch: 0, yaw: 0.1}}
+large_min_unique_xyz: {value: 9}
+local_radius_m: [0.5, 1.5]
+split: {development: [a, b], locked_test: [c]}
+view_frames: [{run: a, message_index: 3}]
+""")
+    got = settings.load(spark, f"file://{tmp_path}/p.yaml")
+    p, axis = settings.profile(got)
+    assert (p.width_m, p.s_max_m, p.floor_h_m, axis.heading, axis.min_span_m) == (2.4, 90.0, pytest.approx(-1.025), 0.2, 5.0)
+    assert settings.variant(got) == settings.Variant("C", True, True) and not settings.variant(got, "B").by_distance
+    for bad in ("D", "E"):
+        with pytest.raises(ValueError):
+            settings.variant(got, bad)
+    d = settings.detector(got)
+    assert (d.large_min, d.radii_m, d.link_m) == (9, (0.5, 1.5), 0.15) and settings.mount(got).applied
+    session = {**got, "variants": [{"name": "left", "enabled": True, "s_m": 6.0, "l_m": -1.4}, {"name": "off", "enabled": False}]}
+    assert settings.attachments(session)["left"].heading_tolerance == 0.1 and len(settings.attachments(session)) == 1
+    with pytest.raises(ValueError):
+        settings.attachments({**session, "own_path_assigned": True})
+    roles = settings.roles(spark, got)
+    runs = journal.with_roles(spark.createDataFrame([("a",), ("c",), ("x",)], "run string"), roles)
+    assert sorted((r.run, r.role) for r in runs.collect()) == [("a", "development"), ("c", "locked_test"), ("x", "unassigned")]
+    with pytest.raises(ValueError):
+        journal.require_development(runs)
+    frames = spark.createDataFrame([("a", 3), ("a", 4), ("b", 3)], "run string, message_index long")
+    assert [tuple(r) for r in journal.view(frames, settings.view_frames(spark, got)).collect()] == [("a", 3)]
+    with pytest.raises(ValueError):
+        settings.view_frames(spark, {"view_frames": [{"message_index": 3}]})
+    assert settings.parameters(spark, p).where("name = 'width_m'").first().value == "2.4"
+
+
+def test_run_files_are_written_once(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    journal.own(spark, at, journal.run_id("bag", 17))
+    assert (tmp_path / "run.lock").read_text() == "bag-17"
+    journal.manifest(spark, at, variant="C")
+    journal.machine(spark, at)
+    journal.summary(spark.createDataFrame([("r", 0, "ok", 5, 0.1)], "run string, frame_index long, status string, support int, seconds double"), at)
+    assert json.loads((tmp_path / "summary.json").read_text())[0]["ok"] == 1
+    for again in (lambda: journal.own(spark, at, "other"), lambda: journal.manifest(spark, at)):
+        with pytest.raises(Exception, match="exist"):
+            again()
+
+
+def test_recordings_without_topic_and_by_place(spark, tmp_path):
+    recording(tmp_path, 4, ("/a", "/b"))
+    spark.dataSource.register(bag.BagSource)
+    load = lambda **o: spark.read.format("bag").options(path=str(tmp_path), **o).load()
+    one = load(topic="/a").count()
+    assert load(topic="*").count() == 2 * one and load(topic="*", messagesPerPartition=3, every=2).count() == one
+    assert load(topic="/a", atMost=2).count() == 2
+    assert bag.message_at(str(tmp_path), 1, "/a")["stamp_ns"] == bag.message_at(str(tmp_path), 1, "/a", bag.message_at(str(tmp_path), 1, "/a")["stamp_ns"])["stamp_ns"]
+    for call in (lambda: bag.message_at(str(tmp_path), 99, "/a"), lambda: bag.message_at(str(tmp_path), 0, "/a", 1)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_budget_cancels_jobs(spark):
+    import time
+
+    assert live.within_budget(spark, lambda: spark.range(5).count(), 60) == {"status": "ok", "result": 5, "error": None}
+    slow = spark.range(1).select(F.expr("java_method('java.lang.Thread', 'sleep', 20000L)"))
+    began = time.time()
+    assert live.within_budget(spark, slow.collect, 1.0)["status"] == "processing_timeout" and time.time() - began < 10
+    assert live.within_budget(spark, lambda: spark.table("no_such_table").count(), 60)["status"] == "processing_error"
+
+
+def test_playback_counters_and_ranges(spark):
+    rows = [("r", 0, 5, "ok"), ("r", 1, 5, "processing_timeout"), ("r", 2, 6, "player_wait_expired"), ("r", 3, 6, "strange"), ("r", 4, 7, None)]
+    c = evaluate.playback_counters(spark.createDataFrame(rows, "run string, sequence long, stamp_ns long, status string")).first()
+    assert (c.played, c.ok, c.timeout, c.expired, c.error, c.repeated_stamps) == (5, 1, 1, 1, 2, 2)
+    g = evaluate.reference_range(spark.createDataFrame([(0, 5.0), (0, 5.5)], "frame_index long, range_m double")).first()
+    assert (g.min_m, g.max_m, g.uncertainty_m) == (5.0, 5.5, 0.5)
