@@ -15,7 +15,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op2_bpe_encode_decode(spark, sf_dir):
-    return bpe.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return bpe.digests(docs, tokenizer_path(), more=bpe.frequent_words(docs))
 
 
 def op1_benchmark_leaks(spark, sf_dir):
