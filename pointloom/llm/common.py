@@ -52,8 +52,8 @@ def map_texts(
     arrow_limits(df.sparkSession)
     names = {n for n, _, _ in fields}
     passed = [c for c in df.columns if c not in names and c not in drop] if keep else [id_col]
-    body = F.col(f"`{text_col}`").cast("binary").alias("__text")
-    inner = df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{id_col}`").alias("__id"), body)
+    body = F.col(f"`{text_col}`").cast("binary").alias(fresh(df, "__text"))
+    inner = df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{id_col}`").alias(fresh(df, "__id")), body)
     out = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in passed] + [f"`{n}` {t}" for n, t, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,6 +69,14 @@ def map_texts(
     return mapped.select(*[F.col(f"`{c}`") for c in df.columns if c in passed or c in names], *[F.col(f"`{n}`") for n, _, _ in fields if n not in df.columns]) if keep else mapped
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_text(value) -> int:
     """crc32 of an integer id written as decimal text; a null id counts as the empty text."""
     return zlib.crc32(b"" if value is None else str(value).encode())

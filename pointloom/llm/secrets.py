@@ -29,7 +29,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import fresh, map_texts
 
 #: Kinds in the order that breaks ties of a start: base kinds, then confirmed structures.
 KINDS = ("assign", "access", "hex", "jwt", "key", "nested")
@@ -237,9 +237,10 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 text = t.decode()
                 spans = find(text)[1]
                 out.append(redact(text, spans) if spans else None)
-            return {"__clean": out}
+            return {clean: out}
 
         return f
 
-    got = map_texts(df, id_col, text_col, make, [("__clean", "string", pa.string())], keep=True)
-    return got.withColumn(text_col, F.coalesce("__clean", text_col)).drop("__clean").select(*[F.col(f"`{c}`") for c in df.columns])
+    clean = fresh(df, "__clean")
+    got = map_texts(df, id_col, text_col, make, [(clean, "string", pa.string())], keep=True)
+    return got.withColumn(text_col, F.coalesce(clean, text_col)).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -63,6 +63,10 @@ class Model:
     def __init__(self, index: np.ndarray, weight: np.ndarray, bias: float):
         self.index, self.weight, self.bias = index, weight, bias
 
+    @property
+    def trained(self) -> bool:
+        return bool(len(self.index)) or self.bias != 0.0
+
     def dense(self) -> np.ndarray:
         w = np.zeros(1 << BITS, dtype=np.float32)
         w[self.index] = self.weight

@@ -89,6 +89,22 @@ def test_encode_equals_the_library(spark):
     assert {x.doc_id: x.text for x in back.collect()} == {k: x or "" for k, x in enumerate(texts)}
 
 
+def test_frequent_words_of_the_texts_join_the_lexicon(spark, encoder):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["Zqxblorp fnarglewump zqxblorp"] * 5 + [None, "", "rare zorgblat", "\u0378odd " * 9]
+    more = bpe.frequent_words(docs(spark, texts))
+    assert set(more) >= {b" fnarglewump", b" zqxblorp", b"Zqxblorp"} and b" zorgblat" not in more
+    assert more == bpe.frequent_words(docs(spark, texts).repartition(3)) and bpe.frequent_words(docs(spark, texts).where("false")) == []
+    words = bpe.whole_words(encoder[0], more)
+    assert len(words[b" fnarglewump"]) > 1 and list(bpe.Lexicon.build(words).find(b" fnarglewump")) == words[b" fnarglewump"]
+    got = {x.doc_id: x for x in bpe.digests(docs(spark, texts), tokenizer_path(), more=more).collect()}
+    for k, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+
+
 # --- fingerprints ---------------------------------------------------------------------------
 
 
@@ -211,8 +227,18 @@ def test_trees_add_what_patterns_miss_and_leave_look_alikes():
     assert added("order number 4929348385146307 shipped") == []
     assert added("version 10:22:33 on date 2024-05-06 page 12") == []
     assert added("plain prose about the cat at noon and dots") == []
-    x, y = pii.examples(seed=99, n=800)
-    assert np.mean([(forest.odds(list(r)) > 0) == bool(t) for r, t in zip(x, y)]) > 0.93
+
+
+def test_ratings_are_calibrated():
+    forest = pii.model()
+    x, y = pii.examples(seed=99, n=6_000)
+    p = np.array([forest.probability(int(r[0]), forest.odds(list(r))) for r in x])
+    for low, high in ((0.0, 0.1), (0.1, 0.5), (0.5, 0.9), (0.9, 1.01)):
+        part = (p >= low) & (p < high)
+        assert abs(p[part].mean() - y[part].mean()) < 0.08, (low, high)  # on examples of another seed
+    added = np.array([forest.odds(list(r)) >= forest.threshold[int(r[0])] for r in x])
+    assert (added == (p >= pii.PROBABILITY)).all() and y[added].mean() > 0.93
+    assert len(set(forest.threshold.values())) == len(pii.KINDS) and y[added].sum() > 0.7 * y.sum()
 
 
 def test_mail_addresses_need_nothing_else_in_the_text():
@@ -374,19 +400,15 @@ class Backoff:
 
     def p2(self, a, w):
         mine = self.arcs2.get(a, {})
-        if w in mine:
-            return (mine[w] - 0.5) / self.c[a]
         left = 1 - sum((x - 0.5) / self.c[a] for x in mine.values())
-        return self.p1(w) * left / (1 - sum(map(self.p1, mine)))
+        return (mine[w] - 0.5) / self.c[a] + left * self.p1(w) if w in mine else left * self.p1(w)
 
     def p3(self, a, b, w):
         if b not in self.arcs2.get(a, {}):
             return self.p2(b, w)
         mine, n = self.arcs3.get((a, b), {}), self.arcs2[a][b]
-        if w in mine:
-            return (mine[w] - 0.5) / n
         left = 1 - sum((x - 0.5) / n for x in mine.values())
-        return self.p2(b, w) * left / (1 - sum(self.p2(b, x) for x in mine))
+        return (mine[w] - 0.5) / n + left * self.p2(b, w) if w in mine else left * self.p2(b, w)
 
     def score(self, t):
         w = ["", *self.tok(t)]
