@@ -1,20 +1,21 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a smoothed trigram model in backoff form. Its automaton has the empty state, a state for every
+The model is a smoothed trigram model. Its automaton has the empty state, a state for every
 word seen ``ARC_MIN`` times or more in training, the end of a text included, and a state for every pair of such
-words that was seen as often. A state has an arc for every word that followed it ``ARC_MIN`` times or more,
-with the discounted log-probability, and a failure arc with a backoff weight to the state of its last word, or
-from there to the empty state, which has arcs for all words, with their additively smoothed probability. So the
+words that was seen as often. A state has an arc for every word that followed it ``ARC_MIN`` times or more, and a
+failure arc to the state of its last word, or from there to the empty state, which has arcs for all words. Each arc's
+count is discounted; what the arcs of a state leave is the weight of its failure arc and is spread
+as the state below has it, over the arcs' words, too. The empty state's words are smoothed additively. So the
 probabilities of every state sum to one over the words seen in training and one unseen class. States and arcs
-grow with the corpus and are never in one place: each block of texts gets the counts, arcs and sums for
-the backoff weights of its own states by joins.
+grow with the corpus and are never in one place: each block of texts gets the counts of its own arcs, and the sums for
+the failure arcs of its own states, by joins.
 
 1. Texts become sequences of word numbers in blocks of about ``BLOCK_TOKENS`` tokens, each with
    a word list of its own; sequences and lists are written to the shared folder.
 2. One shuffle of the lists by word adds up training counts over the whole corpus and
    gives every block the counts of its words and their numbers in the corpus.
 3. For pairs, and then for triples whose two pairs are arcs: blocks deal what follows each of their states, packed,
-   to buckets by state, which add up the counts and return the arcs, and their sums for each state. What follows a very
+   to buckets by state, which add up the counts and answer each packet in its own order. What follows a very
    frequent state is dealt to several buckets, and the sums meet in a bucket of their own. An n-gram with a part that is
    no arc can't be an arc itself and stays.
 4. Each block, with all that, reads its texts from left to right, carries the state, and adds up log-probabilities.
@@ -22,12 +23,13 @@ the backoff weights of its own states by joins.
 Defined results: a null or empty text is one end token; texts without any training text
 (N = 0) score on the unseen class; repeated rows are scored each; null ids belong to the
 training part unless crc32 of the empty text says otherwise; ids keep their type; an empty table gives an
-empty result; columns other than id and text are not read. Pairs are known by 64 mixed bits of their words' numbers.
+empty result; columns other than id and text are not read. N-grams are known by 64 mixed bits of their words' numbers.
 """
 
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -104,10 +106,10 @@ def _blocks(folds: int, id_type: pa.DataType):
 
 PACKED = "block long, locals binary, counts binary, words binary, distinct long"
 #: What blocks and buckets send to each other; ``ID`` stands for the type of the ids.
-PACKET = "kind int, bucket long, block long, doc_id ID, held_out boolean, n_tokens long, a binary, b binary, c binary, d binary, e binary"
-#: Kinds of packets: texts and counted words; what follows states, of frequent states, and requests for their sums;
-#: arcs to blocks, parts of sums to buckets, sums to blocks. Those to blocks count on by ``LEVEL`` for triples.
-TEXT, WORDS, FOLLOW, SPREAD_OUT, ASK, ARCS, PARTS, SUMS = range(8)
+PACKET = "kind int, bucket long, block long, doc_id ID, held_out boolean, n_tokens long, a binary, b binary, c binary"
+#: Kinds of packets: texts and counted words; to buckets what follows states, what follows frequent states, and requests
+#: for the sums of these; parts of such sums; answers to the three. Those for triples count on by ``LEVEL``.
+TEXT, WORDS, FOLLOW, SPREAD_OUT, ASK, PARTS, ARCS, SPREAD_ARCS, SUMS = range(9)
 LEVEL = 10
 #: What stands for no word.
 NOTHING = 0xFFFFFFFF
@@ -178,20 +180,29 @@ def _of_kind(t: pa.Table, kind: int) -> pa.Table:
 
 def _mixed(number: np.ndarray) -> np.ndarray:
     x = number.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _dealt(number: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, rows) of numbers mixed over the buckets."""
-    bucket = ((_mixed(number) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return [(int(bucket[rows[0]]), rows) for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(rows)]
+    if not len(number):
+        return []
+    bucket = ((_mixed(number) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int16 if buckets < 1 << 15 else np.int64)
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    at = bucket[order]
+    cuts = np.flatnonzero(np.diff(at)) + 1
+    return [(int(at[k]), rows) for k, rows in zip([0, *cuts.tolist()], np.split(order, cuts), strict=True)]
 
 
-def _up(x: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as steps."""
-    return _bytes(np.diff(x.astype(np.int32), prepend=np.int32(0)))
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal numbers starts."""
+    new = np.empty(len(x), dtype=bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
 
 
 class _Level:
@@ -206,18 +217,52 @@ class _Level:
         code |= np.where(is_open, word.astype(np.int64), NOTHING)
         order = np.argsort(code)
         code = code[order]
-        new = np.diff(code, prepend=np.int64(-1)) != 0
+        new = _first(code)
         codes = code[new]
         del code
-        alone = (codes & NOTHING) == NOTHING
-        idle = alone & np.r_[False, codes[1:] >> 32 == codes[:-1] >> 32]
-        self.codes = codes[~idle]
+        state = codes >> 32
+        idle = ((codes & NOTHING) == NOTHING) & ~_first(state)
         place = (np.cumsum(~idle, dtype=np.int32) - np.int32(1))[np.cumsum(new, dtype=np.int32) - np.int32(1)]
         self.at = np.empty(len(order), dtype=np.int32)
         self.at[order] = place
-        self.state, self.word = self.codes >> 32, self.codes & NOTHING
+        self.state, self.word = state[~idle].astype(np.int32), (codes[~idle] & NOTHING).astype(np.uint32)
         self.known = self.word != NOTHING
 
+    def follow(self, number: np.ndarray, seen: np.ndarray, words: np.ndarray, buckets: int):
+        """The packets in their order: (kind, bucket, places of codes), by the states' numbers and how often they were seen."""
+        several = (1 + seen // SPREAD)[self.state]
+        mine = number[self.state]
+        if not (several > 1).any():
+            return [(FOLLOW, b, r) for b, r in _dealt(mine, buckets)]
+        of = np.flatnonzero(several == 1)
+        out = [(FOLLOW, b, of[r]) for b, r in _dealt(mine[of], buckets)]
+        of = np.flatnonzero(several > 1)
+        asked = of[_first(self.state[of])]
+        out += [(ASK, b, asked[r]) for b, r in _dealt(mine[asked], buckets)]
+        of = of[self.known[of]]
+        word = words[self.word[of].astype(np.int64)]
+        return out + [(SPREAD_OUT, b, of[r]) for b, r in _dealt(mine[of] * 31 + word % several[of] + 1, buckets)]
+
+    def answers(self, t: pa.Table, level: int, packets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the arcs by code (0: none), and by state the sums and the number of all its arcs."""
+        count = np.zeros(len(self.state), dtype=np.int64)
+        total, arcs = (np.zeros(int(self.state[-1]) + 1 if len(self.state) else 0, dtype=np.int64) for _ in range(2))
+        given = {}
+        kinds, buckets = t.column("kind").to_numpy() - LEVEL * (level - 1), t.column("bucket").to_numpy()
+        for k in np.flatnonzero((kinds >= ARCS) & (kinds <= SUMS)).tolist():
+            given[int(kinds[k]), int(buckets[k])] = [t.column(c)[k].as_py() for c in "abc"]
+        for kind, bucket, places in packets:
+            got = given.get(({FOLLOW: ARCS, SPREAD_OUT: SPREAD_ARCS, ASK: SUMS}[kind], bucket))
+            if got is None:
+                continue
+            if kind != ASK:
+                count[places] = _array(got[0], np.int64)
+            if kind != SPREAD_OUT:
+                state = self.state[places]
+                state = state[_first(state)]
+                total[state], arcs[state] = _array(got[1], np.int64), _array(got[2], np.int64)
+        return count, total, arcs
+
 
 class _Block:
     """A block's texts and words: sequences, counts and corpus numbers."""
@@ -237,14 +282,15 @@ class _Block:
     def held(self) -> np.ndarray:
         return np.repeat(self.texts.column("held_out").to_numpy(), np.diff(self.bounds))
 
-    def pairs(self) -> _Level:
+    def pairs(self, buckets: int) -> tuple[_Level, list]:
         """Words that are states, and what follows them."""
         often = self.c >= ARC_MIN
         position = np.flatnonzero(often[self.before]).astype(np.int32)
         word = self.seq[position]
-        return _Level(position, self.before[position], word, often[word])
+        level = _Level(position, self.before[position], word, often[word])
+        return level, level.follow(self.word, self.c, self.word, buckets)
 
-    def triples(self, pairs: _Level, n: np.ndarray) -> _Level:
+    def triples(self, pairs: _Level, n: np.ndarray, buckets: int) -> tuple[_Level, list]:
         """Pairs that are states (``n``: counts of the pairs that are arcs, else 0), and what follows them."""
         arc = np.full(len(self.seq), -1, dtype=np.int32)
         hit = pairs.open & (n[pairs.at] > 0)
@@ -253,15 +299,14 @@ class _Block:
         state[1:] = arc[:-1]
         state[self.bounds[:-1]] = -1  # the first word of a text follows the end token only
         position = np.flatnonzero(state >= 0).astype(np.int32)
-        return _Level(position, state[position], self.seq[position], arc[position] >= 0)
+        level = _Level(position, state[position], self.seq[position], arc[position] >= 0)
+        self.pair_number = self.numbers(pairs)
+        return level, level.follow(self.pair_number, n, self.word, buckets)
 
-
-def _counts(t: pa.Table, kind: int, size: int) -> np.ndarray:
-    """The counts of a level's arcs by code, 0 for what is none."""
-    arcs = _of_kind(t, kind)
-    n = np.zeros(size, dtype=np.int64)
-    n[np.concatenate([np.zeros(0, dtype=np.int32), *_steps(arcs, "a")])] = _joined(arcs, "b", np.int64)
-    return n
+    def numbers(self, pairs: _Level) -> np.ndarray:
+        """The numbers of pairs: 63 mixed bits of their words' numbers."""
+        second = self.word[np.where(pairs.known, pairs.word, 0).astype(np.int64)].astype(np.uint64)
+        return (_mixed(_mixed(self.word[pairs.state]) + second) >> np.uint64(1)).astype(np.int64)
 
 
 def _deal(level: int, buckets: int, id_type: pa.DataType):
@@ -269,92 +314,78 @@ def _deal(level: int, buckets: int, id_type: pa.DataType):
 
     def run(t: pa.Table) -> pa.Table:
         x, block = _Block(t), t.column("block")[0].as_py()
-        held, pairs = x.held(), x.pairs()
-        if level == 1:
-            now, total = pairs, x.c[pairs.state]
-            state = x.word[pairs.state]
-            lower = np.where(pairs.known, x.c[np.where(pairs.known, pairs.word, 0)], 0)
-        else:
-            n = _counts(t, ARCS, len(pairs.codes))
-            now = x.triples(pairs, n)
-            total = n[now.state]
-            first, second = (x.word[k] for k in (pairs.state[now.state], pairs.word[now.state]))
-            state = (_mixed(_mixed(first) + second.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-            # the count of the pair that the triple ends with
-            code = (pairs.word[now.state] << 32) | now.word
-            at = np.minimum(np.searchsorted(pairs.codes, code), max(len(pairs.codes) - 1, 0))
-            lower = np.where(now.known, n[at] if len(n) else 0, 0)
-        seen = np.bincount(now.at[now.open], ~held[now.position[now.open]], len(now.codes)).astype(np.int32)
-        word = np.where(now.known, x.word[np.where(now.known, now.word, 0)], -1)
-        del x, held, pairs
-        several = 1 + total // SPREAD
+        held = x.held()
+        now, packets = x.pairs(buckets)
+        number = x.word
+        if level == 2:
+            n, _, _ = now.answers(t, 1, packets)
+            now, packets = x.triples(now, n, buckets)
+            number = x.pair_number
+        seen = np.bincount(now.at[now.open], ~held[now.position[now.open]], len(now.state)).astype(np.int32)
+        word = np.where(now.known, x.word[np.where(now.known, now.word, 0).astype(np.int64)], -1)
         rows = []
-
-        def send(kind: int, of: np.ndarray, number: np.ndarray, whole: bool):
-            for bucket, r in _dealt(number, buckets) if len(of) else ():
-                k = of[r]
-                row = {"kind": kind, "bucket": bucket, "block": block, "a": _up(k), "b": _bytes(np.diff(state[k], prepend=np.int64(0)))}
-                rows.append(row | ({"c": _bytes(word[k]), "d": _bytes(seen[k]), "e": _bytes(lower[k])} if whole else {}))
-
-        send(FOLLOW, of := np.flatnonzero(several == 1), state[of], True)
-        of = np.flatnonzero(several > 1)
-        send(ASK, asked := of[np.diff(now.state[of], prepend=np.int64(-1)) != 0], state[asked], False)
-        of = of[now.known[of]]
-        send(SPREAD_OUT, of, state[of] * 31 + word[of] % several[of] + 1, True)
+        for kind, bucket, k in packets:
+            row = {"kind": kind, "bucket": bucket, "block": block, "a": _bytes(np.diff(number[now.state[k]], prepend=np.int64(0)))}
+            rows.append(row if kind == ASK else row | {"b": _bytes(word[k]), "c": _bytes(seen[k])})
         return _packets(rows, id_type)
 
     return run
 
 
 def _add(level: int, buckets: int, id_type: pa.DataType):
-    """Counts of a bucket over all blocks: arcs to the blocks, and sums for each state, or their parts for frequent ones."""
+    """Counts of a bucket over all blocks: answers to the packets, and parts of the sums of frequent states."""
     to_block = LEVEL * (level - 1)
 
     def run(t: pa.Table) -> pa.Table:
         rows = []
+        bucket = t.column("bucket")[0].as_py()
         for kind in (FOLLOW, SPREAD_OUT):
             got = _of_kind(t, kind)
             if not got.num_rows:
                 continue
-            state = np.concatenate([np.cumsum(a) for a in _arrays(got, "b", np.int64)])
-            word, n, lower = (_joined(got, c, k) for c, k in zip("cde", (np.int64, np.int32, np.int64), strict=True))
-            order = np.lexsort((word, state))
-            starts = np.flatnonzero(np.r_[True, (np.diff(state[order]) != 0) | (np.diff(word[order]) != 0)])
+            state = np.concatenate([np.cumsum(a) for a in _arrays(got, "a", np.int64)])
+            word, n = _joined(got, "b", np.int64), _joined(got, "c", np.int32)
+            key = _mixed(state)
+            key += word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            order = np.argsort(key)
+            new = _first(key[order])
+            starts = np.flatnonzero(new)
             total = np.add.reduceat(n[order].astype(np.int64), starts)
             first = order[starts]
-            arc = (total >= ARC_MIN) & (word[first] >= 0)
-            mine = np.zeros(len(state), dtype=np.int64)
-            mine[order] = np.repeat(np.where(arc, total, 0), np.diff(np.r_[starts, len(order)]))
-            # sums over the arcs of each state that has any
-            kept = state[first[arc]]
-            by = np.r_[0, np.flatnonzero(np.diff(kept)) + 1] if len(kept) else np.zeros(0, dtype=np.int64)
-            states = kept[by]
-            sums = [np.add.reduceat(y, by) if len(by) else y[:0] for y in (total[arc], np.ones(len(kept), dtype=np.int64), lower[first[arc]])]
+            total[(total < ARC_MIN) | (word[first] < 0)] = 0
+            mine = np.empty(len(state), dtype=np.int64)
+            mine[order] = total[np.cumsum(new) - 1]
+            arc = total > 0
+            states, at = np.unique(state[first[arc]], return_inverse=True)
+            sums, arcs = np.bincount(at, total[arc], len(states)).astype(np.int64), np.bincount(at, minlength=len(states))
             if kind == SPREAD_OUT:
-                rows += [{"kind": PARTS, "bucket": bucket, **{c: _bytes(y[r]) for c, y in zip("bcde", (states, *sums), strict=True)}} for bucket, r in (_dealt(states, buckets) if len(states) else ())]
+                rows += [{"kind": PARTS, "bucket": b, **{c: _bytes(y[r]) for c, y in zip("abc", (states, sums, arcs), strict=True)}} for b, r in _dealt(states, buckets)]
             low = 0
-            for block, pos in zip(got.column("block").to_pylist(), _steps(got, "a"), strict=True):
-                here = slice(low, low + len(pos))
-                low += len(pos)
-                hit = mine[here] > 0
-                if hit.any():
-                    rows.append({"kind": ARCS + to_block, "block": block, "a": _up(pos[hit]), "b": _bytes(mine[here][hit])})
-                if kind == FOLLOW and len(states):
-                    rows += _sums_for(block, pos, state[here], states, sums, SUMS + to_block)
+            for block, size in zip(got.column("block").to_pylist(), _sizes(got, "b"), strict=True):
+                here = slice(low, low := low + size)
+                row = {"kind": to_block + (ARCS if kind == FOLLOW else SPREAD_ARCS), "bucket": bucket, "block": block, "a": _bytes(mine[here])}
+                if kind == FOLLOW:
+                    own = state[here]
+                    row |= dict(zip("bc", map(_bytes, _looked_up(own[_first(own)], states, sums, arcs)), strict=True))
+                rows.append(row)
         asked = _of_kind(t, ASK)
-        rows += [{"kind": ASK, "bucket": u, "block": b, "a": p, "b": q} for u, b, p, q in zip(*(asked.column(c).to_pylist() for c in ("bucket", "block", "a", "b")), strict=True)]
+        rows += [{"kind": ASK, "bucket": bucket, "block": b, "a": a} for b, a in zip(asked.column("block").to_pylist(), asked.column("a").to_pylist(), strict=True)]
         return _packets(rows, id_type)
 
     return run
 
 
-def _sums_for(block: int, pos: np.ndarray, state: np.ndarray, states: np.ndarray, sums: list[np.ndarray], kind: int) -> list[dict]:
-    """A packet with the sums of a block's states, at the first place of each."""
-    new = np.diff(state, prepend=state[0] - 1) != 0 if len(state) else np.zeros(0, dtype=bool)
-    pos, state = pos[new], state[new]
+def _sizes(t: pa.Table, col: str) -> list[int]:
+    return [int.from_bytes(x[:4], "little") for x in t.column(col).to_pylist()]
+
+
+def _looked_up(state: np.ndarray, states: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Values by state (``states`` ascending), zero for what isn't there."""
+    if not len(states):
+        return [np.zeros(len(state), dtype=np.int64) for _ in values]
     k = np.minimum(np.searchsorted(states, state), len(states) - 1)
     hit = states[k] == state
-    return [{"kind": kind, "block": block, "a": _up(pos[hit]), **{c: _bytes(y[k[hit]]) for c, y in zip("bcd", sums, strict=True)}}] if hit.any() else []
+    return [np.where(hit, v[k], 0) for v in values]
 
 
 def _add_parts(level: int, id_type: pa.DataType):
@@ -362,14 +393,12 @@ def _add_parts(level: int, id_type: pa.DataType):
 
     def run(t: pa.Table) -> pa.Table:
         parts, asked = _of_kind(t, PARTS), _of_kind(t, ASK)
-        states, at = np.unique(_joined(parts, "b", np.int64), return_inverse=True)
-        sums = np.zeros((3, len(states)), dtype=np.int64)
-        for k, c in enumerate("cde"):
-            np.add.at(sums[k], at, _joined(parts, c, np.int64))
+        states, at = np.unique(_joined(parts, "a", np.int64), return_inverse=True)
+        values = [np.bincount(at, _joined(parts, c, np.int64), len(states)).astype(np.int64) for c in "bc"]
         rows = []
-        for block, pos, state in zip(asked.column("block").to_pylist(), _steps(asked, "a"), _arrays(asked, "b", np.int64), strict=True):
-            if len(states):
-                rows += _sums_for(block, pos, np.cumsum(state), states, list(sums), SUMS + LEVEL * (level - 1))
+        for block, state in zip(asked.column("block").to_pylist(), _arrays(asked, "a", np.int64), strict=True):
+            found = _looked_up(np.cumsum(state), states, *values)
+            rows.append({"kind": SUMS + LEVEL * (level - 1), "bucket": t.column("bucket")[0].as_py(), "block": block, **{c: _bytes(v) for c, v in zip("bc", found, strict=True)}})
         return _packets(rows, id_type)
 
     return run
@@ -378,54 +407,36 @@ def _add_parts(level: int, id_type: pa.DataType):
 SCORED = "doc_id ID, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _traverse(total: int, distinct: int):
+def _traverse(total: int, distinct: int, buckets: int):
     z = total + ADD * (distinct + 1)
 
-    def backoff(t: pa.Table, level: _Level, kind: int, seen: np.ndarray, below) -> np.ndarray:
-        """The weight of the failure arc of each state: what its arcs leave, over what they leave to the state below.
-
-        ``seen``: occurrences by state; ``below``: the probability of the arcs' words below, from their sums and states.
-        """
-        given = _of_kind(t, kind)
-        n, k, low = (_joined(given, c, np.int64) for c in "bcd")
-        state = level.state[np.concatenate([np.zeros(0, dtype=np.int32), *_steps(given, "a")])]
-        out = np.zeros(len(seen))
-        out[state] = np.log10((1 - (n - DISCOUNT * k) / seen[state]) / (1 - below(low, k, state)))
-        return out
+    def follow(p: np.ndarray, level: _Level, seen: np.ndarray, count: np.ndarray, sums: np.ndarray, arcs: np.ndarray) -> None:
+        """The probabilities of positions with a state: what its failure arc passes of those below, and what its arcs add."""
+        times = seen[: len(sums)]
+        fail = np.ones(len(sums))
+        has = arcs > 0
+        fail[has] = 1 - (sums[has] - DISCOUNT * arcs[has]) / times[has]
+        p[level.position] *= fail[level.state[level.at]]
+        arc = count > 0
+        more = np.zeros(len(count))
+        more[arc] = (count[arc] - DISCOUNT) / seen[level.state[arc]]
+        p[level.position[level.open]] += more[level.at[level.open]]
 
     def run(t: pa.Table) -> pa.Table:
         x = _Block(t)
-        term = np.log10(x.c + ADD)
-        log_z = float(np.log10(z))
-        pairs = x.pairs()
-        n = _counts(t, ARCS, len(pairs.codes))
-        back = backoff(t, pairs, SUMS, x.c, lambda low, k, _: (low + ADD * k) / z)
-        # a word's weight after the last word: by an arc, or by the failure arc and the empty state
-        weight = term[x.seq]
-        weight -= log_z
-        weight[pairs.position] += back[x.before[pairs.position]]
-        arc = n > 0
-        value = np.zeros(len(n))
-        value[arc] = np.log10((n[arc] - DISCOUNT) / x.c[pairs.state[arc]])
-        hit = pairs.open & arc[pairs.at]
-        weight[pairs.position[hit]] = value[pairs.at[hit]]
-        # and after the last two, where they are a state
-        triples = x.triples(pairs, n)
-        m = _counts(t, ARCS + LEVEL, len(triples.codes))
-        c_last = x.c[np.where(pairs.known, pairs.word, 0)]  # occurrences of the last word of a pair
-        back = backoff(t, triples, SUMS + LEVEL, np.maximum(n, 1), lambda low, k, state: (low - DISCOUNT * k) / c_last[state])
-        weight[triples.position] += back[triples.state[triples.at]]
-        arc = m > 0
-        value = np.zeros(len(m))
-        value[arc] = np.log10((m[arc] - DISCOUNT) / n[triples.state[arc]])
-        hit = triples.open & arc[triples.at]
-        weight[triples.position[hit]] = value[triples.at[hit]]
-        spans = list(zip(x.bounds[:-1], x.bounds[1:], strict=True))
+        p = (x.c + ADD) / z
+        base = np.log10(p)
+        p = p[x.seq]
+        pairs, packets = x.pairs(buckets)
+        n, sums, arcs = pairs.answers(t, 1, packets)
+        follow(p, pairs, x.c, n, sums, arcs)
+        triples, packets = x.triples(pairs, n, buckets)
+        follow(p, triples, n, *triples.answers(t, 2, packets))
+        weight, plain, known = np.log10(p), base[x.seq], (x.c > 0)[x.seq]
+        starts = x.bounds[:-1]
         return pa.table({
             "doc_id": x.texts.column("doc_id"), "held_out": x.texts.column("held_out"), "n_tokens": x.texts.column("n_tokens"),
-            "n_known": pa.array([int((x.c[x.seq[a:b]] > 0).sum()) for a, b in spans], pa.int64()),
-            "base_score": pa.array([float(term[x.seq[a:b]].sum()) - (b - a) * log_z for a, b in spans], pa.float64()),
-            "score": pa.array([float(weight[a:b].sum()) for a, b in spans], pa.float64()),
+            "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)), "base_score": pa.array(np.add.reduceat(plain, starts)), "score": pa.array(np.add.reduceat(weight, starts)),
         })
 
     return run
@@ -474,11 +485,11 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     for level in (1, 2):
         dealt = by(known, "block", _deal(level, buckets, id_type))
         added = _written(by(dealt, "bucket", _add(level, buckets, id_type)), "lm-arcs")
+        del dealt
         _release(spark)
-        to_block, frequent = F.col("kind") >= ARCS + LEVEL * (level - 1), F.col("kind").isin(ASK, PARTS)
-        sums = by(added.where(frequent), "bucket", _add_parts(level, id_type))
-        known = known.unionByName(added.where(to_block & ~frequent)).unionByName(sums)
-    scored = by(known, "block", _traverse(total, distinct), SCORED.replace("ID", id_name))
+        frequent = F.col("kind").isin(ASK, PARTS)
+        known = known.unionByName(added.where(~frequent)).unionByName(by(added.where(frequent), "bucket", _add_parts(level, id_type)))
+    scored = by(known, "block", _traverse(total, distinct, buckets), SCORED.replace("ID", id_name))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -492,6 +503,11 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _release(spark) -> None:
-    """Let Spark delete the shuffled files of finished steps now, as nothing refers to them any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffled files of finished steps now, as nothing refers to them any more.
+
+    The first round frees what Python held, the second what that kept alive in the JVM.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
