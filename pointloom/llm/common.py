@@ -13,7 +13,7 @@ from ..session import materialise, table
 #: Rows of one Arrow batch: whole texts are passed on, so a batch stays small even where they are long.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch where Spark can bound them.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: Rows up to which a list of ids or keys is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: A class with one of so many parts of all rows is hot; there are at most so many hot classes.

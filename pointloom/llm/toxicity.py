@@ -37,7 +37,7 @@ MAX_TRAIN, MAX_FEATURES, TRIAL = 16_000, 20_000_000, 4_000
 #: FTRL-proximal: smoothing of the rate, L2, passes over the sample.
 BETA, L2, EPOCHS = 1.0, 0.5, 3
 #: (learning rate, L1) that are tried.
-GRID = ((0.3, 1.0), (0.3, 4.0), (1.0, 1.0), (1.0, 4.0))
+GRID = ((0.3, 4.0), (1.0, 2.0), (2.0, 4.0), (1.0, 8.0), (1.0, 4.0))
 #: Kinds of features: words, neighbours, pairs with one word between.
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -94,9 +94,10 @@ def fit(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, l1: float = 4.0)
             sb = (math.sqrt(n[last] + g * g) - math.sqrt(n[last])) / alpha
             z[last] += g - sb * b
             n[last] += g * g
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / alpha + L2))[:last]
-    index = np.flatnonzero(w)
-    return Model(index.astype(np.int32), w[index].astype(np.float32), float(-z[last] / ((BETA + math.sqrt(n[last])) / alpha + L2)))
+    bias = float(-z[last] / ((BETA + math.sqrt(n[last])) / alpha + L2))
+    index = np.flatnonzero((z[:last] > l1) | (z[:last] < -l1))
+    z, n = z[index], n[index]
+    return Model(index.astype(np.int32), (-(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / alpha + L2)).astype(np.float32), bias)
 
 
 def loss(model: Model, rows: list[tuple[np.ndarray, int]]) -> float:
@@ -139,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     within = rows.select("__lid", "__label", "x").join(F.broadcast(rows.select("__lid", "__label", before.alias("before")).where(F.col("before") <= MAX_FEATURES)), ["__lid", "__label"], "left_semi")
     got = within.toArrow()
     ids, ys, xs = got.column("__lid").to_pylist(), got.column("__label").to_pylist(), got.column("x").combine_chunks()
+    del got
     values, offsets = xs.values.to_numpy(), xs.offsets.to_numpy()
     order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(f"order{ids[k]}".encode()), str(ids[k]), ys[k]))
     sample = [(values[offsets[k] : offsets[k + 1]], ys[k]) for k in order]

@@ -159,8 +159,30 @@ def frame_end(buf: memoryview, at: int) -> int:
             return pos
 
 
-def read_archive(content: bytes) -> Iterator[Record]:
-    """The records of an archive, each validated."""
+def read_archive(content: bytes, problems: list[str] | None = None) -> Iterator[Record]:
+    """The records of an archive, each validated.
+
+    What is wrong raises ValueError. With a list of ``problems`` it is told there instead: a bad record is left out, and
+    where a frame's end can't be found, so is the rest of the archive.
+    """
+    try:
+        for at, raw in frames(content):
+            try:
+                if isinstance(raw, ValueError):
+                    raise raw
+                yield from_bytes(raw)
+            except ValueError as e:
+                if problems is None:
+                    raise
+                problems.append(f"record at {at}: {e}")
+    except ValueError as e:
+        if problems is None:
+            raise
+        problems.append(str(e))
+
+
+def frames(content: bytes) -> Iterator[tuple[int, bytes | ValueError]]:
+    """Where each frame starts and what it holds, or why it can't be unpacked."""
     buf, at, words = memoryview(content), 0, b""
     if len(buf) >= 8 and struct.unpack_from("<I", buf)[0] == DICTIONARY_MAGIC:
         at = 8 + struct.unpack_from("<I", buf, 4)[0]
@@ -178,8 +200,8 @@ def read_archive(content: bytes) -> Iterator[Record]:
         try:
             raw = reader.decompress(buf[at:end], max_output_size=zstandard.frame_content_size(buf[at:end]) or 1 << 30)
         except zstandard.ZstdError as e:
-            raise ValueError(f"frame at {at}: {e}") from e
-        yield from_bytes(raw)
+            raw = ValueError(f"frame at {at}: {e}")
+        yield at, raw
         at = end
 
 
@@ -217,22 +239,30 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     return typed.mapInArrow(run, "name string, content binary")
 
 
-def records(found: DataFrame, content_col: str = "content", payload: bool = False) -> DataFrame:
-    """The records of archives, one row each; ``found`` may be ``archives`` or Spark's binaryFile source over .warc.zst files."""
+def records(found: DataFrame, content_col: str = "content", payload: bool = False, problems: bool = False) -> DataFrame:
+    """The records of archives, one row each; ``found`` may be ``archives`` or Spark's binaryFile source over .warc.zst files.
+
+    A bad record fails the job, or with ``problems`` is a row of its own that says why in the column ``problem`` (null else).
+    """
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("url", pa.string()), ("payload", pa.binary())] * payload
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payload
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payload + ", problem string" * problems
+    names = [n for n, _ in fields] + ["problem"] * problems
+
+    def packed(rows: list[Record], told: list[str]) -> pa.RecordBatch:
+        cols = [pa.array([getattr(x, n) for x in rows] + [None] * len(told), t) for n, t in fields]
+        return pa.RecordBatch.from_arrays(cols + [pa.array([None] * len(rows) + told, pa.string())] * problems, names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                rows = []
-                for r in read_archive(content.as_py()):
+                rows, told = [], [] if problems else None
+                for r in read_archive(content.as_py(), told):
                     rows.append(r)
                     if len(rows) == 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array([getattr(x, n) for x in rows], t) for n, t in fields], names=[n for n, _ in fields])
+                        yield packed(rows, [])
                         rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([getattr(x, n) for x in rows], t) for n, t in fields], names=[n for n, _ in fields])
+                if rows or told:
+                    yield packed(rows, told or [])
 
     return found.select(content_col).mapInArrow(run, schema)
 

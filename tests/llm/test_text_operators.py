@@ -596,6 +596,18 @@ def test_archives_are_validated():
             list(warc.read_archive(cut))
 
 
+def test_bad_records_are_told_and_the_others_read(spark):
+    good = [warc.to_bytes(warc.Record(k, "u", b"hello%d" % k, 6, warc.base32_sha1(b"hello%d" % k), "response", None)) for k in range(4)]
+    bad = good[1].replace(b"hello1", b"hullo1")
+    blob = warc.write_archive([good[0], bad, good[2], good[3]])
+    df = spark.createDataFrame([(blob,), (blob[:-3],), (None,)], "content binary").where("content is not null")
+    got = warc.records(df, problems=True).collect()
+    assert sorted(r.page_id for r in got if r.problem is None) == [0, 0, 2, 2, 3]
+    assert sum("digest differs" in r.problem for r in got if r.problem) == 2 and sum("cut short" in r.problem for r in got if r.problem) == 1
+    with pytest.raises(Exception, match="digest differs"):
+        warc.records(df).collect()
+
+
 def test_compressed_dictionary_frame():
     import struct
 
