@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Where the setting is absent (unit tests, local runs) a temporary folder of
-    the single machine is set and used.
+    Where the setting is absent in a local run (as in unit tests) a temporary folder of
+    the single machine is set and used; on a cluster that would be each executor's own, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -58,7 +61,22 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-def frame_keyed(df: DataFrame) -> DataFrame:
-    """``df`` dealt by frame once and kept so in shared storage; further steps by frame and something else need no other shuffle."""
-    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return materialise(df, "points")
+def frame_keyed(df: DataFrame, key: str = "frame_index") -> DataFrame:
+    """``df`` dealt by frame once, into a bucketed table in the shared folder.
+
+    Whatever is grouped, windowed or joined by the frame, and by the frame and something else, then reads
+    its buckets and needs no further shuffle.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    name, n = f"pointloom_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", scratch_path(spark, "by-frame")).saveAsTable(name)
+    atexit.register(_forget, spark, name)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # the JVM may be gone by then, and the catalog with it
+        pass
