@@ -35,45 +35,77 @@ def radius_links(df: DataFrame, cell_m: float) -> DataFrame:
     return met.select("frame_index", F.least("p", "point_id").alias("a"), F.greatest("p", "point_id").alias("b"))
 
 
-#: Pairs of points that are measured at once.
-PAIRS_AT_ONCE = 2_000_000
+#: Pairs of points that are measured at once, and places looked up at once.
+PAIRS_AT_ONCE, LOOKUPS = 2_000_000, 4_000_000
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest of its group) after the groups of a[k] and b[k] are joined."""
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def _neighbours(cell: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in ``cell``) of occupied cells that may hold points in reach; ``cell`` is sorted by rows."""
+    steps = [(x, y, z) for x in range(reach + 1) for y in range(-reach, reach + 1) for z in range(-reach, reach + 1) if (x, y, z) > (0, 0, 0)]
+    # the gap between two cells is one side less than their step; three of its squares are a squared diagonal
+    steps = np.array([s for s in steps if sum(max(abs(x) - 1, 0) ** 2 for x in s) <= reach * reach])
+    low = cell.min(0) - reach
+    span = cell.max(0) - low + reach + 1
+    code = lambda c: ((c[..., 0] - low[0]) * span[1] + c[..., 1] - low[1]) * span[2] + c[..., 2] - low[2]
+    codes, many = code(cell), max(1, LOOKUPS // len(steps))
+    found = []
+    for at in range(0, len(cell), many):
+        want = code(cell[at : at + many, None, :] + steps[None, :, :])
+        place = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+        k, s = np.nonzero(codes[place] == want)
+        found.append((k + at, place[k, s]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _labels(points: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """The smallest row number linked to each row, by cells of the largest radius."""
+    """The smallest row number linked to each row.
+
+    Cells have the smallest radius as their diagonal, so all points of a cell are linked. Neighbouring cells are
+    linked where their first points are in reach, and only cells that are in different groups by then are compared point by point.
+    """
     n = len(points)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    cell = np.floor(points / max(float(radius.max()), 1e-12)).astype(np.int64)
-    cell -= cell.min(0) - 1  # so that neighbours have positive numbers, too
-    span = cell.max(0) + 2
-    code = (cell[:, 0] * span[1] + cell[:, 1]) * span[2] + cell[:, 2]
-    order = np.argsort(code, kind="stable")
-    cells, start, size = np.unique(code[order], return_index=True, return_counts=True)
-    steps = [(a * span[1] + b) * span[2] + c for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
-    label = np.arange(n)
-    links = []
-    for step in steps:
-        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
-        mine = np.flatnonzero(cells[at] == cells + step)
-        theirs, many = at[mine], size[mine] * size[at[mine]]
-        for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS_AT_ONCE)) + 1):
-            # every row of a cell with every row of the other
-            m, t = mine[part], theirs[part]
-            rows = np.repeat(start[m], many[part]) + np.concatenate([np.repeat(np.arange(x), y) for x, y in zip(size[m], size[t], strict=True)] or [[]]).astype(np.int64)
-            cols = np.repeat(start[t], many[part]) + np.concatenate([np.tile(np.arange(y), x) for x, y in zip(size[m], size[t], strict=True)] or [[]]).astype(np.int64)
-            rows, cols = order[rows], order[cols]
-            near = ((points[rows] - points[cols]) ** 2).sum(1) <= np.maximum(radius[rows], radius[cols]) ** 2
-            links.append(np.column_stack([rows[near], cols[near]])[rows[near] != cols[near]])
-    edge = np.concatenate(links)
-    while len(edge):  # each end takes the smaller label of the two, and labels are followed to their own labels
-        low = np.minimum(label[edge[:, 0]], label[edge[:, 1]])
-        np.minimum.at(label, label[edge[:, 0]], low)
-        np.minimum.at(label, label[edge[:, 1]], low)
-        while (label[label] != label).any():
-            label = label[label]
-        edge = edge[label[edge[:, 0]] != label[edge[:, 1]]]
-    return label
+    side = max(float(radius.min()), 1e-12) / 3**0.5 * (1 - 1e-9)
+    cell, of = np.unique(np.floor(points / side).astype(np.int64), axis=0, return_inverse=True)
+    of = of.ravel()
+    order = np.argsort(of, kind="stable")
+    size = np.bincount(of)
+    start = np.cumsum(size) - size
+    a, b = _neighbours(cell, int(np.ceil(radius.max() / side)))
+    near = lambda x, y: ((points[x] - points[y]) ** 2).sum(1) <= np.maximum(radius[x], radius[y]) ** 2
+    first = order[start]
+    hit = near(first[a], first[b])
+    label = _merged(np.arange(len(cell)), a[hit], b[hit])
+    rest = np.flatnonzero(label[a] != label[b])
+    rest = rest[np.argsort(size[a[rest]] * size[b[rest]], kind="stable")]  # few points first
+    while len(rest):
+        many = size[a[rest]] * size[b[rest]]
+        part = rest[: max(1, int(np.searchsorted(np.cumsum(many), PAIRS_AT_ONCE, side="right")))]
+        x, y = a[part], b[part]
+        many, own = size[x] * size[y], np.repeat(np.arange(len(part)), size[x] * size[y])
+        k = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        hit = near(order[start[x[own]] + k // size[y[own]]], order[start[y[own]] + k % size[y[own]]])
+        linked = np.unique(own[hit])
+        label = _merged(label, x[linked], y[linked])
+        rest = rest[len(part) :]
+        rest = rest[label[a[rest]] != label[b[rest]]]
+    least = np.full(len(cell), n)
+    np.minimum.at(least, label[of], np.arange(n))
+    return least[label[of]]
 
 
 def components(df: DataFrame, cell_m: float | None = None, by_frame: bool = True) -> DataFrame:
