@@ -19,23 +19,28 @@ def grid(df: DataFrame, step: float = STEP_DEG) -> DataFrame:
     """
     pts = angles(df.where(is_valid_angular())).withColumn("range_m", range_of("x", "y", "z"))
     w = Window.partitionBy("frame_index")
-    pts = pts.withColumns({"el_min": F.floor(F.min("elevation_deg").over(w) / step) * step, "el_max": F.ceil(F.max("elevation_deg").over(w) / step) * step})
+    pts = pts.withColumns({"el_min": F.floor(F.min("elevation_deg").over(w) / step) * step,
+        "el_max": F.ceil(F.max("elevation_deg").over(w) / step) * step})
     rows = F.greatest(F.round((F.col("el_max") - F.col("el_min")) / step).cast("int"), F.lit(1))
     row = F.floor((F.col("elevation_deg") - F.col("el_min")) / step).cast("int")
     col = F.floor((F.col("azimuth_deg") + 180.0) / step)
-    return pts.withColumns({"col": F.greatest(F.least(col, F.lit(round(360 / step) - 1)), F.lit(0)).cast("int"), "row": F.greatest(F.least(row, rows - 1), F.lit(0))}).drop("el_max")
+    return pts.withColumns({"col": F.greatest(F.least(col, F.lit(round(360 / step) - 1)), F.lit(0)).cast("int"),
+        "row": F.greatest(F.least(row, rows - 1), F.lit(0))}).drop("el_max")
 
 
 def ring_grid(df: DataFrame, step: float = STEP_DEG) -> DataFrame:
     """Rows are the sensor's rings instead; only rings 0..127 have one."""
     pts = angles(df.where(is_valid_angular())).withColumn("range_m", range_of("x", "y", "z")).where(F.col("ring").between(0, 127))
-    return pts.withColumns({"col": F.least(F.floor((F.col("azimuth_deg") + 180.0) / step), F.lit(round(360 / step) - 1)).cast("int"), "row": F.col("ring").cast("int")})
+    return pts.withColumns({"col": F.least(F.floor((F.col("azimuth_deg") + 180.0) / step), F.lit(round(360 / step) - 1)).cast("int"),
+        "row": F.col("ring").cast("int")})
 
 
 def occupancy(gridded: DataFrame, several_m: float = 0.2) -> DataFrame:
     """Bins with two points or more, and those whose ranges are apart, for each frame."""
     b = gridded.groupBy("frame_index", "row", "col").agg(F.count("*").alias("n"), (F.max("range_m") - F.min("range_m")).alias("spread"))
-    return b.groupBy("frame_index").agg(F.count("*").alias("bins"), F.sum("n").alias("points"), F.count_if(F.col("n") >= 2).alias("collisions"), F.count_if((F.col("n") >= 2) & (F.col("spread") > several_m)).alias("multiple_returns"), F.max("n").alias("fullest"))
+    return b.groupBy("frame_index").agg(F.count("*").alias("bins"), F.sum("n").alias("points"),
+        F.count_if(F.col("n") >= 2).alias("collisions"),
+        F.count_if((F.col("n") >= 2) & (F.col("spread") > several_m)).alias("multiple_returns"), F.max("n").alias("fullest"))
 
 
 def bin_centre(row: Column, col: Column, el_min: Column, step: float = STEP_DEG) -> tuple[Column, Column]:
@@ -48,7 +53,8 @@ def quantisation(gridded: DataFrame, step: float = STEP_DEG) -> DataFrame:
     flat = F.col("range_m") * F.cos(el)
     dx, dy, dz = flat * F.cos(az) - F.col("x"), flat * F.sin(az) - F.col("y"), F.col("range_m") * F.sin(el) - F.col("z")
     e = gridded.withColumn("error_m", F.sqrt(dx * dx + dy * dy + dz * dz))
-    return e.groupBy("frame_index").agg(F.percentile("error_m", F.lit(0.5)).alias("p50_m"), F.percentile("error_m", F.lit(0.95)).alias("p95_m"), F.max("error_m").alias("max_m"))
+    return e.groupBy("frame_index").agg(F.percentile("error_m", F.lit(0.5)).alias("p50_m"),
+        F.percentile("error_m", F.lit(0.95)).alias("p95_m"), F.max("error_m").alias("max_m"))
 
 
 def audit(df: DataFrame, gridded: DataFrame) -> DataFrame:
@@ -60,19 +66,26 @@ def audit(df: DataFrame, gridded: DataFrame) -> DataFrame:
 
 def raster(gridded: DataFrame, value: str = "nearest_intensity", flip: bool = False) -> DataFrame:
     """One value for each bin: how many points, the nearest range, or the intensity of the nearest."""
-    v = {"count": F.count("*").cast("double"), "min": F.min("range_m"), "nearest_intensity": F.min_by("intensity", F.struct("range_m", "source_index"))}[value]
+    v = {"count": F.count("*").cast("double"), "min": F.min("range_m"),
+        "nearest_intensity": F.min_by("intensity", F.struct("range_m", "source_index"))}[value]
     out = gridded.groupBy("frame_index", "row", "col").agg(v.alias("value"))
     return out.withColumn("row", F.max("row").over(Window.partitionBy("frame_index")) - F.col("row")) if flip else out
 
 
 def display_cells(df: DataFrame, a: str, b: str, key: str, cell_m: float) -> DataFrame:
     """The row with the smallest ``key`` in each cell of a plane."""
-    return df.groupBy("frame_index", F.floor(F.col(a) / cell_m).cast("int").alias("ca"), F.floor(F.col(b) / cell_m).cast("int").alias("cb")).agg(F.min_by(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(key).alias("k")), F.struct(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))).alias("p")).select("frame_index", "ca", "cb", F.col("p.a").alias(a), F.col("p.b").alias(b), F.col("p.k").alias(key))
+    return df.groupBy("frame_index", F.floor(F.col(a) / cell_m).cast("int").alias("ca"),
+        F.floor(F.col(b) / cell_m).cast("int").alias("cb")).agg(F.min_by(F.struct(F.col(a).alias("a"), F.col(b).alias("b"),
+                F.col(key).alias("k")), F.struct(F.col(key).alias("k"), F.col(a).alias("a"),
+                F.col(b).alias("b"))).alias("p")).select("frame_index", "ca", "cb", F.col("p.a").alias(a), F.col("p.b").alias(b),
+        F.col("p.k").alias(key))
 
 
 def display_sample(df: DataFrame, limit: int, highlight: DataFrame) -> DataFrame:
     """Evenly spaced rows of each frame, ``limit`` at most, and every highlighted one (frame_index, source_index)."""
-    rows = df.select("frame_index", "source_index").withColumns({"pos": F.row_number().over(Window.partitionBy("frame_index").orderBy("source_index")) - 1, "n": F.count("*").over(Window.partitionBy("frame_index"))})
+    rows = df.select("frame_index",
+        "source_index").withColumns({"pos": F.row_number().over(Window.partitionBy("frame_index").orderBy("source_index")) - 1,
+            "n": F.count("*").over(Window.partitionBy("frame_index"))})
     # position p is one of trunc(k (n-1) / (limit-1)) for a whole k; a limit of one keeps the first row
     if limit > 1:
         k = F.ceil(F.try_divide(F.col("pos") * (limit - 1), F.col("n") - 1))
@@ -80,7 +93,8 @@ def display_sample(df: DataFrame, limit: int, highlight: DataFrame) -> DataFrame
     else:
         on = F.col("pos") < limit
     marks = highlight.select("frame_index", "source_index").distinct().withColumn("mark", F.lit(1))
-    return rows.join(marks, ["frame_index", "source_index"], "left").where(on | F.col("mark").isNotNull()).select("frame_index", "source_index", F.coalesce("mark", F.lit(0)).alias("label"))
+    return rows.join(marks, ["frame_index", "source_index"], "left").where(on | F.col("mark").isNotNull()).select("frame_index",
+        "source_index", F.coalesce("mark", F.lit(0)).alias("label"))
 
 
 def stride_sample(df: DataFrame, step: int) -> DataFrame:
@@ -113,7 +127,8 @@ def evidence_table(points: DataFrame, kinds: list[str], marks: DataFrame | None
     out = dims.join(seen, ["frame_index", "kind", "band"], "left").fillna(0, ["points"])
     if marks is None:
         return out
-    m = marks.groupBy("frame_index", "kind", "band").agg(F.bool_or("visible").alias("visible"), F.array_join(F.array_sort(F.collect_set("confidence")), ",").alias("confidence"))
+    m = marks.groupBy("frame_index", "kind", "band").agg(F.bool_or("visible").alias("visible"),
+        F.array_join(F.array_sort(F.collect_set("confidence")), ",").alias("confidence"))
     return out.join(m, ["frame_index", "kind", "band"], "left")
 
 

@@ -62,14 +62,18 @@ def repeat_lags(df: DataFrame, top: int = 12) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("frame_index", "x", "y", "z").orderBy("source_index")
-    return df.withColumn("lag", F.col("source_index") - F.lag("source_index").over(w)).where("lag is not null").groupBy("lag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lag").limit(top)
+    return df.withColumn("lag",
+        F.col("source_index") - F.lag("source_index").over(w)).where("lag is not null").groupBy("lag").agg(F.count("*").alias("n")).orderBy(F.desc("n"),
+        "lag").limit(top)
 
 
 def repeat_at_offset(df: DataFrame, offset: int) -> DataFrame:
     """For each frame the records that equal the one ``offset`` later, exactly."""
     a = df.select("frame_index", "source_index", "x", "y", "z")
-    b = df.select("frame_index", (F.col("source_index") - offset).alias("source_index"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
-    return a.join(b, ["frame_index", "source_index"]).groupBy("frame_index").agg(F.count("*").alias("pairs"), F.count_if((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")) & (F.col("z") == F.col("z2"))).alias("equal"))
+    b = df.select("frame_index", (F.col("source_index") - offset).alias("source_index"), F.col("x").alias("x2"), F.col("y").alias("y2"),
+        F.col("z").alias("z2"))
+    return a.join(b, ["frame_index", "source_index"]).groupBy("frame_index").agg(F.count("*").alias("pairs"),
+        F.count_if((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")) & (F.col("z") == F.col("z2"))).alias("equal"))
 
 
 def to_working(df: DataFrame) -> DataFrame:
@@ -102,7 +106,8 @@ class Mount:
     def rotation(self) -> list[list[float]]:
         """Yaw about z after pitch about y after roll about x."""
         cr, sr, cp, sp, cy, sy = math.cos(self.roll_rad), math.sin(self.roll_rad), math.cos(self.pitch_rad), math.sin(self.pitch_rad), math.cos(self.yaw_rad), math.sin(self.yaw_rad)
-        return [[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], [-sp, cp * sr, cp * cr]]
+        return [[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr],
+            [-sp, cp * sr, cp * cr]]
 
 
 def _rotated(r: list[list[float]], cols: tuple[str, str, str], t: tuple[float, float, float]) -> list[Column]:

@@ -17,22 +17,30 @@ def _surface(vertices: DataFrame, lines: DataFrame, cfg: Ground) -> DataFrame:
 
     small = lines.select("frame_index", "segment", "intercept", "slope_dh_dl", "l_min", "l_max")
     out = vertices.withColumn("segment", segment_of("s", cfg)).join(small, ["frame_index", "segment"], "left")
-    return out.withColumns({"h_ref": F.col("intercept") + F.col("slope_dh_dl") * F.col("l"), "slope": F.col("slope_dh_dl"), "reference": F.coalesce(F.col("l").between(F.col("l_min"), F.col("l_max")), F.lit(False))}).drop("segment", "intercept", "slope_dh_dl", "l_min", "l_max")
+    return out.withColumns({"h_ref": F.col("intercept") + F.col("slope_dh_dl") * F.col("l"), "slope": F.col("slope_dh_dl"),
+            "reference": F.coalesce(F.col("l").between(F.col("l_min"), F.col("l_max")), F.lit(False))}).drop("segment", "intercept",
+        "slope_dh_dl", "l_min", "l_max")
 
 
-def vertices(midpoints: DataFrame, lines: DataFrame, attachment: tuple[float, float] | None = None, cfg: Ground = GROUND, extra_m: float = PAIRS.extrapolate_m) -> DataFrame:
+def vertices(midpoints: DataFrame, lines: DataFrame, attachment: tuple[float, float] | None = None, cfg: Ground = GROUND,
+    extra_m: float = PAIRS.extrapolate_m) -> DataFrame:
     """Vertices of each hypothesis: observed (``midpoints``: frame_index, hypothesis, s, l), ends
     extrapolated along the outer segments, stations between that are missing, and a prior place ahead.
     Of vertices at one place the observed one stays.
     """
     w = Window.partitionBy(*KEY).orderBy("s")
-    seen = midpoints.select(*KEY, "s", "l").withColumns({"ps": F.lag("s").over(w), "pl": F.lag("l").over(w), "ns": F.lead("s").over(w), "nl": F.lead("l").over(w)})
+    seen = midpoints.select(*KEY, "s", "l").withColumns({"ps": F.lag("s").over(w), "pl": F.lag("l").over(w), "ns": F.lead("s").over(w),
+            "nl": F.lead("l").over(w)})
     observed = seen.select(*KEY, "s", "l", F.lit("observed").alias("role"))
     slope = lambda a, b, c, d: F.when(F.col(c) == F.col(a), 0.0).otherwise((F.col(d) - F.col(b)) / (F.col(c) - F.col(a)))
-    head = seen.where("ps is null and ns is not null").select(*KEY, (F.col("s") - extra_m).alias("s"), (F.col("l") - slope("s", "l", "ns", "nl") * extra_m).alias("l"), F.lit("extrapolated").alias("role"))
-    tail = seen.where("ns is null and ps is not null").select(*KEY, (F.col("s") + extra_m).alias("s"), (F.col("l") + slope("ps", "pl", "s", "l") * extra_m).alias("l"), F.lit("extrapolated").alias("role"))
+    head = seen.where("ps is null and ns is not null").select(*KEY, (F.col("s") - extra_m).alias("s"),
+        (F.col("l") - slope("s", "l", "ns", "nl") * extra_m).alias("l"), F.lit("extrapolated").alias("role"))
+    tail = seen.where("ns is null and ps is not null").select(*KEY, (F.col("s") + extra_m).alias("s"),
+        (F.col("l") + slope("ps", "pl", "s", "l") * extra_m).alias("l"), F.lit("extrapolated").alias("role"))
     between = F.filter(F.array(*[F.lit(float(x)) for x in cfg.section_s_m]), lambda x: (x > F.col("s") + 5e-4) & (x < F.col("ns") - 5e-4))
-    gaps = seen.where("ns is not null").withColumn("at", F.explode(between)).select(*KEY, F.col("at").alias("s"), (F.col("l") + (F.col("at") - F.col("s")) / (F.col("ns") - F.col("s")) * (F.col("nl") - F.col("l"))).alias("l"), F.lit("gap_interpolation").alias("role"))
+    gaps = seen.where("ns is not null").withColumn("at", F.explode(between)).select(*KEY, F.col("at").alias("s"),
+        (F.col("l") + (F.col("at") - F.col("s")) / (F.col("ns") - F.col("s")) * (F.col("nl") - F.col("l"))).alias("l"),
+        F.lit("gap_interpolation").alias("role"))
     parts = [observed, gaps] + ([head, tail] if extra_m > 0 else [])
     if attachment is not None:
         first = seen.where("ps is null").where(F.lit(attachment[0]) < F.col("s") - 1e-6)
@@ -48,9 +56,12 @@ def segments(vertex: DataFrame) -> DataFrame:
     """Segments between neighbouring vertices with the weaker role of the two and the arc at their start."""
     w = Window.partitionBy(*KEY).orderBy("s")
     nxt = lambda c: F.lead(c).over(w)
-    seg = vertex.select(*KEY, F.col("s").alias("s0"), F.col("l").alias("l0"), F.col("h_ref").alias("h0"), F.col("slope").alias("k0"), F.col("reference").alias("ref0"), F.col("role").alias("r0"), nxt("s").alias("s1"), nxt("l").alias("l1"), nxt("h_ref").alias("h1"), nxt("slope").alias("k1"), nxt("reference").alias("ref1"), nxt("role").alias("r1")).where("s1 is not null")
+    seg = vertex.select(*KEY, F.col("s").alias("s0"), F.col("l").alias("l0"), F.col("h_ref").alias("h0"), F.col("slope").alias("k0"),
+        F.col("reference").alias("ref0"), F.col("role").alias("r0"), nxt("s").alias("s1"), nxt("l").alias("l1"), nxt("h_ref").alias("h1"),
+        nxt("slope").alias("k1"), nxt("reference").alias("ref1"), nxt("role").alias("r1")).where("s1 is not null")
     either = lambda r: (F.col("r0") == r) | (F.col("r1") == r)
-    role = F.when(either("extrapolated"), "extrapolated").when(either("gap_interpolation"), "gap_interpolation").when(either("attachment_prior"), "attachment_prior").otherwise("between_samples")
+    role = F.when(either("extrapolated"), "extrapolated").when(either("gap_interpolation"),
+        "gap_interpolation").when(either("attachment_prior"), "attachment_prior").otherwise("between_samples")
     v = Window.partitionBy(*KEY).orderBy("s0")
     length = F.sqrt((F.col("s1") - F.col("s0")) ** 2 + (F.col("l1") - F.col("l0")) ** 2)
     seg = seg.withColumns({"role": role, "length_m": length, "n": F.row_number().over(v), "last": F.lead("s0").over(v).isNull()})
@@ -73,7 +84,9 @@ def _relations(points: dict, seg: list[dict], vertex: list[dict], lower_m: float
         up = h - of([v], "h_ref")[0] - (np.nan if lower_m is None else lower_m)
         near = np.abs(s - v["s"]) <= half_m
         lateral = (l - v["l"] + k * up) / np.hypot(1.0, k)
-        return {"path_s_m": np.zeros(n), "lateral_m": np.where(np.isfinite(lateral), lateral, l - v["l"]), "vertical_m": (up - k * (l - v["l"])) / np.hypot(1.0, k), "support": np.where(near, v["role"], "unsupported"), "relation": np.full(n, "uncertain"), "uncertain_reason": np.where(near, "insufficient_direction", "outside_applicability")}
+        return {"path_s_m": np.zeros(n), "lateral_m": np.where(np.isfinite(lateral), lateral, l - v["l"]),
+            "vertical_m": (up - k * (l - v["l"])) / np.hypot(1.0, k), "support": np.where(near, v["role"], "unsupported"),
+            "relation": np.full(n, "uncertain"), "uncertain_reason": np.where(near, "insufficient_direction", "outside_applicability")}
     s0, l0, s1, l1, h0, h1, length, arc = (of(seg, c) for c in ("s0", "l0", "s1", "l1", "h0", "h1", "length_m", "arc"))
     k0, k1 = np.nan_to_num(of(seg, "k0")), np.nan_to_num(of(seg, "k1"))
     ds, dl = s1 - s0, l1 - l0
@@ -121,18 +134,21 @@ def _relations(points: dict, seg: list[dict], vertex: list[dict], lower_m: float
         start = seg[-1]["arc"] + seg[-1]["length_m"]
     path = arc[best] + t * length[best] - start
     off = (s < low) | (s > far)
-    for x, v in ((path, np.nan), (lateral, np.nan), (vertical, np.nan), (support, "unsupported"), (relation, "uncertain"), (reason, "outside_applicability")):
+    for x, v in ((path, np.nan), (lateral, np.nan), (vertical, np.nan), (support, "unsupported"), (relation, "uncertain"),
+        (reason, "outside_applicability")):
         x[off] = v
     return {"path_s_m": path, "lateral_m": lateral, "vertical_m": vertical, "support": support, "relation": relation, "uncertain_reason": reason}
 
 
-def classify(points: DataFrame, seg: DataFrame, vertex: DataFrame, lower_m: float | None = 0.0, profile: Profile = PROFILE, half_m: float = GROUND.section_half_m) -> DataFrame:
+def classify(points: DataFrame, seg: DataFrame, vertex: DataFrame, lower_m: float | None = 0.0, profile: Profile = PROFILE,
+    half_m: float = GROUND.section_half_m) -> DataFrame:
     """Each point against each hypothesis of its frame: place along, across and above, and the relation.
 
     Points (frame_index, point_id, s, l, h) meet the few segments and vertices of their frame in one array kernel.
     Outside of the vertices' span a point is unsupported and has no place; a hypothesis of one vertex has no direction.
     """
-    pieces = seg.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("n", "s0", "l0", "h0", "k0", "ref0", "r0", "s1", "l1", "h1", "k1", "ref1", "r1", "role", "length_m", "arc"))).alias("seg"))
+    pieces = seg.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("n", "s0", "l0", "h0", "k0", "ref0", "r0", "s1", "l1", "h1", "k1",
+        "ref1", "r1", "role", "length_m", "arc"))).alias("seg"))
     ends = vertex.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("s", "l", "h_ref", "slope", "role"))).alias("vertex"))
     paths = ends.join(pieces, list(KEY), "left").select(F.col("frame_index").alias("its_frame"), "hypothesis", "vertex", "seg")
     names = [c.split()[0] for c in RELATIONS.split(", ")]
@@ -143,21 +159,25 @@ def classify(points: DataFrame, seg: DataFrame, vertex: DataFrame, lower_m: floa
         for p in sorted(paths.to_pylist(), key=lambda p: p["hypothesis"]) if pts.num_rows else []:
             got = _relations(own, p["seg"] or [], p["vertex"], lower_m, profile, half_m)
             cols = [pa.array(np.full(len(own["s"]), p["its_frame"])), pa.array([p["hypothesis"]] * len(own["s"])), pa.array(own["point_id"])]
-            cols += [pa.array(got[c], pa.float64(), from_pandas=True) for c in names[3:6]] + [pa.array(got[c].tolist(), pa.string()) for c in names[6:]]
+            cols += [pa.array(got[c], pa.float64(), from_pandas=True) for c in names[3:6]] + [pa.array(got[c].tolist(),
+                pa.string()) for c in names[6:]]
             out.append(pa.table(dict(zip(names, cols, strict=True))))
         kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 3, *[pa.string()] * 3]
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
 
-    return points.select("frame_index", "point_id", "s", "l", "h").groupBy("frame_index").cogroup(paths.groupBy("its_frame")).applyInArrow(run, RELATIONS)
+    return points.select("frame_index", "point_id", "s", "l",
+        "h").groupBy("frame_index").cogroup(paths.groupBy("its_frame")).applyInArrow(run, RELATIONS)
 
 
 def section_at(vertex: DataFrame, at: DataFrame) -> DataFrame:
     """Axis and reference height at query places (frame_index, s_query), between the neighbouring vertices."""
     w = Window.partitionBy(*KEY).orderBy("s")
-    pieces = vertex.select(*KEY, "s", "l", "h_ref", F.lead("s").over(w).alias("s1"), F.lead("l").over(w).alias("l1"), F.lead("h_ref").over(w).alias("h1")).where("s1 is not null")
+    pieces = vertex.select(*KEY, "s", "l", "h_ref", F.lead("s").over(w).alias("s1"), F.lead("l").over(w).alias("l1"),
+        F.lead("h_ref").over(w).alias("h1")).where("s1 is not null")
     hit = at.join(pieces, "frame_index").where("s_query >= s and s_query < s1")
     t = (F.col("s_query") - F.col("s")) / (F.col("s1") - F.col("s"))
-    return hit.select(*KEY, "s_query", (F.col("l") + t * (F.col("l1") - F.col("l"))).alias("l_axis"), (F.col("h_ref") + t * (F.col("h1") - F.col("h_ref"))).alias("h_ref"))
+    return hit.select(*KEY, "s_query", (F.col("l") + t * (F.col("l1") - F.col("l"))).alias("l_axis"),
+        (F.col("h_ref") + t * (F.col("h1") - F.col("h_ref"))).alias("h_ref"))
 
 
 def attachment_match(midpoints: DataFrame, place: Attachment) -> DataFrame:
@@ -166,7 +186,8 @@ def attachment_match(midpoints: DataFrame, place: Attachment) -> DataFrame:
     Only sections in the support window count; the heading is checked where it is given and two sections are there.
     """
     inside = midpoints.where(F.col("s").between(place.support_s_min_m - 1e-6, place.support_s_max_m + 1e-6))
-    m = inside.groupBy(*KEY).agg(F.min_by("l", F.struct(F.abs(F.col("s") - place.s_m), "s")).alias("l_near"), F.min_by("l", "s").alias("l_a"), F.max_by("l", "s").alias("l_b"), (F.max("s") - F.min("s")).alias("ds"), F.count("*").alias("n"))
+    m = inside.groupBy(*KEY).agg(F.min_by("l", F.struct(F.abs(F.col("s") - place.s_m), "s")).alias("l_near"),
+        F.min_by("l", "s").alias("l_a"), F.max_by("l", "s").alias("l_b"), (F.max("s") - F.min("s")).alias("ds"), F.count("*").alias("n"))
     ok = F.abs(F.col("l_near") - place.l_m) <= place.lateral_m
     if place.heading is not None and place.heading_tolerance is not None:
         slope = F.when(F.col("ds") == 0, 0.0).otherwise(F.try_divide(F.col("l_b") - F.col("l_a"), "ds"))

@@ -14,7 +14,9 @@ from ..config import DETECTOR, GROUND, PROFILE, Detector, Ground, Profile
 def in_profile(profile: Profile = PROFILE) -> Column:
     """Inside the straight clearance volume, borders included."""
     floor = profile.floor_h_m
-    return F.col("s").between(profile.s_min_m, profile.s_max_m) & (F.abs(F.col("l") - profile.center_l_m) <= profile.width_m / 2) & F.col("h").between(floor, floor + profile.height_m)
+    return F.col("s").between(profile.s_min_m,
+        profile.s_max_m) & (F.abs(F.col("l") - profile.center_l_m) <= profile.width_m / 2) & F.col("h").between(floor,
+        floor + profile.height_m)
 
 
 def configured_volume(df: DataFrame, profile: Profile = PROFILE) -> DataFrame:
@@ -24,7 +26,8 @@ def configured_volume(df: DataFrame, profile: Profile = PROFILE) -> DataFrame:
 def volume_diagnosis(df: DataFrame, profile: Profile = PROFILE) -> DataFrame:
     """What the volume keeps and what each side cuts."""
     in_s = F.col("s").between(profile.s_min_m, profile.s_max_m)
-    return df.groupBy("frame_index").agg(F.count("*").alias("points"), F.count_if(in_s).alias("in_s_only"), F.count_if(in_profile(profile)).alias("inside"), F.min(F.when(in_profile(profile), F.col("range_m"))).alias("nearest_m"))
+    return df.groupBy("frame_index").agg(F.count("*").alias("points"), F.count_if(in_s).alias("in_s_only"),
+        F.count_if(in_profile(profile)).alias("inside"), F.min(F.when(in_profile(profile), F.col("range_m"))).alias("nearest_m"))
 
 
 def line_masks(points: DataFrame, samples: DataFrame, cfg: Detector = DETECTOR) -> DataFrame:
@@ -37,7 +40,8 @@ def line_masks(points: DataFrame, samples: DataFrame, cfg: Detector = DETECTOR)
     foot = lambda x: (F.abs(F.col("s") - x.s_center) <= cfg.line_half_m) & (F.abs(F.col("l") - x.l_median) <= x.width_m / 2)
     hit = F.exists("samples", lambda x: foot(x) & x.supported & (F.abs(F.col("h") - x.h_median) <= cfg.line_height_tol_m))
     maybe = F.exists("samples", lambda x: foot(x) & ~(x.supported & x.h_median.isNotNull()))
-    out = points.join(packed, "frame_index", "left").withColumns({"excluded": F.coalesce(hit, F.lit(False)), "possible": F.coalesce(maybe, F.lit(False))})
+    out = points.join(packed, "frame_index", "left").withColumns({"excluded": F.coalesce(hit, F.lit(False)),
+            "possible": F.coalesce(maybe, F.lit(False))})
     return out.withColumn("possible", F.col("possible") & ~F.col("excluded")).drop("samples")
 
 
@@ -54,7 +58,8 @@ def surface_masks(points: DataFrame, residual: DataFrame, cfg: Detector = DETECT
     near = F.coalesce(F.col("inside") & F.col("supported") & F.col("dh").isNotNull() & (F.col("dh") >= -slack), F.lit(False))
     out = out.withColumns({"surface_mode": mode, "used": used, "slack": slack, "near": near})
     return out.withColumns({
-        "explained": F.coalesce(F.col("near") & (F.col("surface_mode") == "thin_band_removed") & (F.col("dh") <= F.col("used") + F.col("slack")), F.lit(False)),
+        "explained": F.coalesce(F.col("near") & (F.col("surface_mode") == "thin_band_removed") & (F.col("dh") <= F.col("used") + F.col("slack")),
+            F.lit(False)),
         "ambiguous": F.coalesce(F.col("near") & (F.col("surface_mode") == "ambiguous_not_deleted") & (F.col("dh") <= F.col("used")), F.lit(False)),
     }).drop("used", "slack", "near", "band")
 
@@ -69,12 +74,15 @@ def candidates(labelled: DataFrame, branch: str = "volume_or_suspended", cfg: De
     Ids count in the order of the component's smallest (s, l, h), which doesn't depend on partitions.
     """
     c = labelled.groupBy("frame_index", "label").agg(
-        F.count("*").alias("unique_xyz"), (F.max("s") - F.min("s")).alias("extent_s_m"), (F.max("l") - F.min("l")).alias("extent_l_m"), (F.max("h") - F.min("h")).alias("extent_h_m"),
-        F.min("s").alias("s_min_m"), F.min("l").alias("l_min_m"), F.min("h").alias("h_min_m"), F.min("range_m").alias("range_from_sensor_m"), F.sort_array(F.collect_list("point_id")).alias("members"),
+        F.count("*").alias("unique_xyz"), (F.max("s") - F.min("s")).alias("extent_s_m"), (F.max("l") - F.min("l")).alias("extent_l_m"),
+            (F.max("h") - F.min("h")).alias("extent_h_m"),
+        F.min("s").alias("s_min_m"), F.min("l").alias("l_min_m"), F.min("h").alias("h_min_m"),
+            F.min("range_m").alias("range_from_sensor_m"), F.sort_array(F.collect_list("point_id")).alias("members"),
     )
     c = c.withColumn("kind", F.when(F.col("unique_xyz") >= cfg.large_min, "large").otherwise("rare"))
     n = F.row_number().over(Window.partitionBy("frame_index", "kind").orderBy("s_min_m", "l_min_m", "h_min_m", "label"))
-    return c.withColumns({"candidate_id": F.concat(F.when(F.col("kind") == "large", large).otherwise(rare), n.cast("string")), "branch": F.lit(branch)})
+    return c.withColumns({"candidate_id": F.concat(F.when(F.col("kind") == "large", large).otherwise(rare), n.cast("string")),
+        "branch": F.lit(branch)})
 
 
 def dominant_model(rows: DataFrame) -> DataFrame:
@@ -184,7 +192,8 @@ def _protrusions(q: np.ndarray, a: np.ndarray, fit: str, cfg: Detector) -> list[
     a, grid = a[order], grid[order]
 
     def around(at: np.ndarray, radius: float) -> np.ndarray:
-        lo, hi = np.searchsorted(grid[:, 0], np.floor((at[0] - radius) / step)), np.searchsorted(grid[:, 0], np.floor((at[0] + radius) / step), side="right")
+        lo, hi = np.searchsorted(grid[:, 0], np.floor((at[0] - radius) / step)), np.searchsorted(grid[:, 0],
+            np.floor((at[0] + radius) / step), side="right")
         part = a[lo:hi]
         part = part[(part[:, 0] - at[0]) ** 2 + (part[:, 1] - at[1]) ** 2 <= radius * radius]
         return part[np.lexsort((part[:, 1], part[:, 0], part[:, 2]))]
@@ -216,7 +225,8 @@ def _protrusions(q: np.ndarray, a: np.ndarray, fit: str, cfg: Detector) -> list[
     return out
 
 
-def local_protrusions(queries: DataFrame, points: DataFrame, fit: str = "baseline", context: DataFrame | None = None, cfg: Detector = DETECTOR) -> DataFrame:
+def local_protrusions(queries: DataFrame, points: DataFrame, fit: str = "baseline", context: DataFrame | None = None,
+    cfg: Detector = DETECTOR) -> DataFrame:
     """Query points (frame_index, point_id, s, l, h) with ``accepted``, reason and model, by growing radii.
 
     Anchors are the medians of the queries in cells; a point asks the nearest anchor within the radius; a usable model
@@ -235,9 +245,11 @@ def local_protrusions(queries: DataFrame, points: DataFrame, fit: str = "baselin
         found = _protrusions(read(asked, "slh"), read(every, ("s0", "l0", "h0")), fit, cfg) if asked.num_rows else []
         cols = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 6
         data = [asked.column("frame_index"), asked.column("point_id"), *cols]
-        return pa.table({n: pa.chunked_array(x) if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for n, t, x in zip(names, kinds, data, strict=True)})
+        return pa.table({n: pa.chunked_array(x) if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for n, t,
+            x in zip(names, kinds, data, strict=True)})
 
-    return queries.select("frame_index", "point_id", "s", "l", "h").groupBy("frame_index").cogroup(rows.groupBy("its_frame")).applyInArrow(run, PROTRUSIONS)
+    return queries.select("frame_index", "point_id", "s", "l",
+        "h").groupBy("frame_index").cogroup(rows.groupBy("its_frame")).applyInArrow(run, PROTRUSIONS)
 
 
 def straight_candidates(marked: DataFrame, fit: str = "baseline", protrusions: bool = True, cfg: Detector = DETECTOR) -> DataFrame:
@@ -254,7 +266,8 @@ def straight_candidates(marked: DataFrame, fit: str = "baseline", protrusions: b
     return found.withColumn("model_id", F.lit(None).cast("int")).unionByName(bumps)
 
 
-def inferred_candidates(points: DataFrame, inside: DataFrame, pair_of: DataFrame, fragments: DataFrame, lines: DataFrame, residual: DataFrame, ground: Ground = GROUND, cfg: Detector = DETECTOR) -> DataFrame:
+def inferred_candidates(points: DataFrame, inside: DataFrame, pair_of: DataFrame, fragments: DataFrame, lines: DataFrame,
+    residual: DataFrame, ground: Ground = GROUND, cfg: Detector = DETECTOR) -> DataFrame:
     """Candidates of each hypothesis of each frame: its own points inside, without the volumes of its two lines.
 
     ``points``: with dh and supported; ``inside``: frame_index, hypothesis, point_id; ``pair_of``: the tracks of each hypothesis.
@@ -274,4 +287,5 @@ def inferred_candidates(points: DataFrame, inside: DataFrame, pair_of: DataFrame
     rows = rows.drop("frame_index", "hypothesis").withColumnRenamed("code", "frame_index")
     found = straight_candidates(surface_masks(line_masks(rows, mine, cfg), band, cfg), cfg=cfg)
     back = who.select(F.col("code").alias("frame_index"), F.col("frame_index").alias("frame"), "hypothesis")
-    return found.join(back, "frame_index").drop("frame_index").withColumnRenamed("frame", "frame_index").select("frame_index", "hypothesis", *[c for c in found.columns if c != "frame_index"])
+    return found.join(back, "frame_index").drop("frame_index").withColumnRenamed("frame", "frame_index").select("frame_index", "hypothesis",
+        *[c for c in found.columns if c != "frame_index"])

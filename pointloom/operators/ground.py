@@ -29,25 +29,31 @@ def height_modes(df: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     """
     seg = Window.partitionBy("frame_index", "segment")
     rows = df.withColumn("segment", segment_of("s", cfg)).where("segment is not null").select("frame_index", "segment", "l", "h")
-    rows = rows.withColumns({"h0": F.floor(F.min("h").over(seg) / cfg.height_bin_m) * cfg.height_bin_m, "h1": F.ceil(F.max("h").over(seg) / cfg.height_bin_m) * cfg.height_bin_m, "in_segment": F.count("*").over(seg)})
+    rows = rows.withColumns({"h0": F.floor(F.min("h").over(seg) / cfg.height_bin_m) * cfg.height_bin_m,
+        "h1": F.ceil(F.max("h").over(seg) / cfg.height_bin_m) * cfg.height_bin_m, "in_segment": F.count("*").over(seg)})
     bins = F.greatest(F.round((F.col("h1") - F.col("h0")) / cfg.height_bin_m).cast("int"), F.lit(1))
-    rows = rows.where(F.col("in_segment") >= cfg.min_groups_per_mode).withColumn("bin", F.least(F.floor((F.col("h") - F.col("h0")) / cfg.height_bin_m).cast("int"), bins - 1))
-    counts = rows.groupBy("frame_index", "segment", "bin").agg(F.count("*").alias("groups"), F.median("h").alias("h"), F.min("l").alias("l_min"), F.max("l").alias("l_max"))
+    rows = rows.where(F.col("in_segment") >= cfg.min_groups_per_mode).withColumn("bin",
+        F.least(F.floor((F.col("h") - F.col("h0")) / cfg.height_bin_m).cast("int"), bins - 1))
+    counts = rows.groupBy("frame_index", "segment", "bin").agg(F.count("*").alias("groups"), F.median("h").alias("h"),
+        F.min("l").alias("l_min"), F.max("l").alias("l_max"))
     near = Window.partitionBy("frame_index", "segment").orderBy("bin")
-    beside = lambda step: F.coalesce(F.when(F.lag("bin", step).over(near) == F.col("bin") - step, F.lag("groups", step).over(near)), F.lit(0))
+    beside = lambda step: F.coalesce(F.when(F.lag("bin", step).over(near) == F.col("bin") - step, F.lag("groups", step).over(near)),
+        F.lit(0))
     peaks = counts.withColumns({"below": beside(1), "above": beside(-1)}).where(
         (F.col("groups") >= cfg.min_groups_per_mode) & (F.col("groups") >= F.col("below")) & (F.col("groups") >= F.col("above")) & (F.col("l_max") - F.col("l_min") >= cfg.min_lateral_span_m)
     )
     # ascending sweep in one segment: a handful of peaks, folded in an array
     swept = peaks.groupBy("frame_index", "segment").agg(F.sort_array(F.collect_list(F.struct("h", "groups", "l_min", "l_max"))).alias("p"))
-    kept = F.aggregate("p", F.slice("p", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(x.h - y.h) < 3 * cfg.height_bin_m), acc).otherwise(F.concat(acc, F.array(x))))
+    kept = F.aggregate("p", F.slice("p", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(x.h - y.h) < 3 * cfg.height_bin_m),
+            acc).otherwise(F.concat(acc, F.array(x))))
     out = swept.select("frame_index", "segment", F.posexplode(kept).alias("mode", "m")).select("frame_index", "segment", "mode", "m.*")
     lo = F.lit(cfg.s_min_m) + F.col("segment") * cfg.segment_m
     return out.withColumns({"s_lo": lo, "s_hi": F.least(lo + cfg.segment_m, F.lit(cfg.s_max_m))})
 
 
 TRACKS = "frame_index long, track int, role string, ambiguous boolean, segment int, s_lo double, s_hi double, h double, groups long, l_min double, l_max double, h_median double, n_segments int"
-_TRACK_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
+_TRACK_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(),
+    pa.float64(), pa.float64(), pa.float64(), pa.int32())
 
 
 def link_modes(modes: DataFrame, cfg: Ground = GROUND) -> DataFrame:
@@ -67,7 +73,8 @@ def link_modes(modes: DataFrame, cfg: Ground = GROUND) -> DataFrame:
         tracks: list[list[dict]] = []
         for free in by.values():
             for t in tracks:
-                fit = [(abs(m["h"] - t[-1]["h"]), k) for k, m in enumerate(free) if 0 < m["mid"] - t[-1]["mid"] <= reach and abs(m["h"] - t[-1]["h"]) <= cfg.continuity_m]
+                fit = [(abs(m["h"] - t[-1]["h"]), k) for k,
+                    m in enumerate(free) if 0 < m["mid"] - t[-1]["mid"] <= reach and abs(m["h"] - t[-1]["h"]) <= cfg.continuity_m]
                 if fit:
                     t.append(free.pop(min(fit)[1]))
             tracks += [[m] for m in free]
@@ -89,12 +96,14 @@ def band_rows(df: DataFrame, ground: DataFrame, cfg: Ground = GROUND) -> DataFra
     """
     key = ["frame_index", "segment"]
     modes = ground.where("role = 'ground'").select(*key, "s_lo", "s_hi", F.col("h").alias("h_mode"))
-    rows = df.withColumn("segment", segment_of("s", cfg)).join(modes, key).where(F.abs(F.col("h") - F.col("h_mode")) <= 2 * cfg.height_bin_m).select(*key, "s_lo", "s_hi", "l", "h")
+    rows = df.withColumn("segment", segment_of("s", cfg)).join(modes,
+        key).where(F.abs(F.col("h") - F.col("h_mode")) <= 2 * cfg.height_bin_m).select(*key, "s_lo", "s_hi", "l", "h")
     w = Window.partitionBy(*key)
     rows = rows.withColumns({"n": F.count("*").over(w), "med": F.median("h").over(w)})
     rows = rows.withColumn("limit", F.greatest(3.0 * 1.4826 * F.median(F.abs(F.col("h") - F.col("med"))).over(w), F.lit(0.08)))
     rows = rows.withColumn("near", F.abs(F.col("h") - F.col("med")) <= F.col("limit"))
-    return rows.withColumn("keep", (F.col("n") >= 8) & (F.col("near") | (F.count_if("near").over(w) < 8))).select(*key, "s_lo", "s_hi", "l", "h", "med", "keep")
+    return rows.withColumn("keep", (F.col("n") >= 8) & (F.col("near") | (F.count_if("near").over(w) < 8))).select(*key, "s_lo", "s_hi", "l",
+        "h", "med", "keep")
 
 
 def local_lines(rows: DataFrame) -> DataFrame:
@@ -104,9 +113,12 @@ def local_lines(rows: DataFrame) -> DataFrame:
     """
     key = ["frame_index", "segment"]
     k = lambda c: F.when(F.col("keep"), F.col(c))
-    fit = rows.groupBy(*key, "s_lo", "s_hi").agg(F.count("*").alias("groups"), F.min("l").alias("l_min"), F.max("l").alias("l_max"), F.first("med").alias("med"), F.regr_slope(k("h"), k("l")).alias("k"), F.regr_intercept(k("h"), k("l")).alias("b"))
-    fit = fit.select(*key, "s_lo", "s_hi", "groups", "l_min", "l_max", F.coalesce("b", "med").alias("intercept"), F.when(F.col("b").isNull(), 0.0).otherwise(F.col("k")).alias("slope_dh_dl"))
-    resid = rows.join(fit.select(*key, "intercept", "slope_dh_dl"), key).withColumn("r", F.abs(F.col("h") - F.col("intercept") - F.col("slope_dh_dl") * F.col("l")))
+    fit = rows.groupBy(*key, "s_lo", "s_hi").agg(F.count("*").alias("groups"), F.min("l").alias("l_min"), F.max("l").alias("l_max"),
+        F.first("med").alias("med"), F.regr_slope(k("h"), k("l")).alias("k"), F.regr_intercept(k("h"), k("l")).alias("b"))
+    fit = fit.select(*key, "s_lo", "s_hi", "groups", "l_min", "l_max", F.coalesce("b", "med").alias("intercept"),
+        F.when(F.col("b").isNull(), 0.0).otherwise(F.col("k")).alias("slope_dh_dl"))
+    resid = rows.join(fit.select(*key, "intercept", "slope_dh_dl"), key).withColumn("r",
+        F.abs(F.col("h") - F.col("intercept") - F.col("slope_dh_dl") * F.col("l")))
     spread = resid.groupBy(*key).agg(F.percentile("r", F.lit(0.5)).alias("residual_p50_m"), F.percentile("r", F.lit(0.95)).alias("residual_p95_m"))
     return fit.join(spread, key)
 
@@ -114,14 +126,18 @@ def local_lines(rows: DataFrame) -> DataFrame:
 def fitting_residual(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """Pooled residuals of a frame's kept rows: the band that the surface filter uses."""
     r = F.abs(F.col("h") - F.col("intercept") - F.col("slope_dh_dl") * F.col("l"))
-    return rows.where("keep").join(lines.select("frame_index", "segment", "intercept", "slope_dh_dl"), ["frame_index", "segment"]).groupBy("frame_index").agg(F.percentile(r, F.lit(0.5)).alias("p50_m"), F.percentile(r, F.lit(0.95)).alias("p95_m"), F.count("*").alias("groups"))
+    return rows.where("keep").join(lines.select("frame_index", "segment", "intercept", "slope_dh_dl"),
+        ["frame_index", "segment"]).groupBy("frame_index").agg(F.percentile(r, F.lit(0.5)).alias("p50_m"),
+        F.percentile(r, F.lit(0.95)).alias("p95_m"), F.count("*").alias("groups"))
 
 
 def above_ground(df: DataFrame, lines: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     """``dh`` (null outside of ground) and ``supported``: within the lateral extent of the fitted rows."""
     small = lines.select("frame_index", "segment", "intercept", "slope_dh_dl", F.col("l_min").alias("g_min"), F.col("l_max").alias("g_max"))
     out = df.withColumn("segment", segment_of("s", cfg)).join(small, ["frame_index", "segment"], "left")
-    return out.withColumns({"dh": F.col("h") - (F.col("intercept") + F.col("slope_dh_dl") * F.col("l")), "supported": F.coalesce(F.col("l").between(F.col("g_min"), F.col("g_max")), F.lit(False))}).drop("intercept", "slope_dh_dl", "g_min", "g_max")
+    return out.withColumns({"dh": F.col("h") - (F.col("intercept") + F.col("slope_dh_dl") * F.col("l")),
+            "supported": F.coalesce(F.col("l").between(F.col("g_min"), F.col("g_max")), F.lit(False))}).drop("intercept", "slope_dh_dl",
+        "g_min", "g_max")
 
 
 PLANE = "frame_index long, b_s double, b_l double, c double, tilt_deg double, residual_p50_m double, residual_p95_m double, inliers long, groups long"
@@ -147,7 +163,8 @@ def summary_plane(df: DataFrame, cfg: Ground = GROUND, tries: int = 80, seed: in
             best = np.linalg.lstsq(x[near], h[near], rcond=None)[0]
         r = gap(best)
         tilt = np.degrees(np.arccos(min(1.0, 1 / np.sqrt(1 + best[0] ** 2 + best[1] ** 2))))
-        return pd.DataFrame([(pdf.frame_index.iloc[0], *best, tilt, *np.percentile(r, [50, 95]), int((r <= cfg.plane_inlier_m).sum()), n)], columns=[c.split()[0] for c in PLANE.split(", ")])
+        return pd.DataFrame([(pdf.frame_index.iloc[0], *best, tilt, *np.percentile(r, [50, 95]), int((r <= cfg.plane_inlier_m).sum()), n)],
+            columns=[c.split()[0] for c in PLANE.split(", ")])
 
     return df.select("frame_index", "s", "l", "h").groupBy("frame_index").applyInPandas(run, PLANE)
 

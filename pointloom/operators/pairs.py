@@ -34,20 +34,24 @@ def measure_sections(fragments: DataFrame, slopes: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("frame_index", "track")
     own = fragments.withColumn("l_track", F.median("l_median").over(order))
-    side = lambda p: own.select("frame_index", "s_center", *[F.col(c).alias(f"{p}_{c}") for c in ("track", "l_track", "l_median", "h_median", "dh_median", "width_m", "groups")])
+    side = lambda p: own.select("frame_index", "s_center", *[F.col(c).alias(f"{p}_{c}") for c in ("track", "l_track", "l_median",
+                "h_median", "dh_median", "width_m", "groups")])
     both = side("a").join(side("b"), ["frame_index", "s_center"]).where("(a_l_track, a_track) < (b_l_track, b_track)")
     pair = Window.partitionBy("frame_index", "a_track", "b_track")
-    both = both.withColumns({"common": F.count("*").over(pair), "mid_l": (F.col("a_l_median") + F.col("b_l_median")) / 2, "mid_h": (F.col("a_h_median") + F.col("b_h_median")) / 2})
+    both = both.withColumns({"common": F.count("*").over(pair), "mid_l": (F.col("a_l_median") + F.col("b_l_median")) / 2,
+        "mid_h": (F.col("a_h_median") + F.col("b_h_median")) / 2})
     both = both.where("common >= 2").withColumn("heading", heading("s_center", "mid_l", pair.orderBy("s_center")))
     both = both.join(slopes, ["frame_index", "s_center"]).where("heading is not null")
-    return both.withColumn("distance_m", line_distance(F.lit(0.0), F.col("b_l_median") - F.col("a_l_median"), F.col("b_h_median") - F.col("a_h_median"), F.col("heading"), F.col("slope_s"), F.col("slope_l")))
+    return both.withColumn("distance_m", line_distance(F.lit(0.0), F.col("b_l_median") - F.col("a_l_median"),
+            F.col("b_h_median") - F.col("a_h_median"), F.col("heading"), F.col("slope_s"), F.col("slope_l")))
 
 
 def agreeing(sections: DataFrame, cfg: Pairs = PAIRS) -> DataFrame:
     """Sections of pairs whose median distance is in range, without those away from the median."""
     pair = Window.partitionBy("frame_index", "a_track", "b_track")
     rows = sections.withColumns({"center": F.median("distance_m").over(pair), "usable": F.count("*").over(pair)})
-    rows = rows.where((F.col("usable") >= cfg.min_sections) & F.col("center").between(cfg.min_distance_m, cfg.max_distance_m) & (F.abs(F.col("distance_m") - F.col("center")) <= cfg.agree_m))
+    rows = rows.where((F.col("usable") >= cfg.min_sections) & F.col("center").between(cfg.min_distance_m,
+        cfg.max_distance_m) & (F.abs(F.col("distance_m") - F.col("center")) <= cfg.agree_m))
     return rows.withColumn("agree", F.count("*").over(pair)).where(F.col("agree") >= cfg.min_sections)
 
 
@@ -58,10 +62,13 @@ def median_slope_line(rows: DataFrame, keys: list[str], s: str, l: str, cfg: Pai
     """
     pts = rows.select(*keys, F.col(s).alias("s1"), F.col(l).alias("l1"))
     other = rows.select(*keys, F.col(s).alias("s2"), F.col(l).alias("l2"))
-    k = pts.join(other, keys).where("s2 - s1 >= 1e-9").groupBy(*keys).agg(F.median((F.col("l2") - F.col("l1")) / (F.col("s2") - F.col("s1"))).alias("k"))
+    k = pts.join(other,
+        keys).where("s2 - s1 >= 1e-9").groupBy(*keys).agg(F.median((F.col("l2") - F.col("l1")) / (F.col("s2") - F.col("s1"))).alias("k"))
     w = Window.partitionBy(*keys)
-    rest = pts.join(k, keys).withColumn("b", F.median(F.col("l1") - F.col("k") * F.col("s1")).over(w)).withColumn("r", F.abs(F.col("l1") - F.col("b") - F.col("k") * F.col("s1")))
-    out = rest.groupBy(*keys, "k", "b").agg(F.count("*").alias("n_sections"), F.min("s1").alias("s_min"), F.max("s1").alias("s_max"), F.median("r").alias("residual_p50_m"), F.percentile("r", F.lit(0.95)).alias("residual_p95_m"))
+    rest = pts.join(k, keys).withColumn("b", F.median(F.col("l1") - F.col("k") * F.col("s1")).over(w)).withColumn("r",
+        F.abs(F.col("l1") - F.col("b") - F.col("k") * F.col("s1")))
+    out = rest.groupBy(*keys, "k", "b").agg(F.count("*").alias("n_sections"), F.min("s1").alias("s_min"), F.max("s1").alias("s_max"),
+        F.median("r").alias("residual_p50_m"), F.percentile("r", F.lit(0.95)).alias("residual_p95_m"))
     return out.withColumn("straight", (F.col("n_sections") >= 3) & (F.col("residual_p95_m") <= cfg.straight_p95_m))
 
 
@@ -77,10 +84,13 @@ def pose_at_reference(rows: DataFrame, lines: DataFrame, keys: list[str], cfg: P
     outside = F.greatest(F.col("s_min") - ref, ref - F.col("s_max"), F.lit(0.0))
     support = F.when(outside > 1e-9, "extrapolation").when(direct, "observed").otherwise("gap")
     reliable = F.coalesce(F.col("straight") & (outside <= cfg.extrapolate_m), F.lit(False))
-    reason = F.when(F.col("k").isNull(), "no_line").when(~F.col("straight"), "not_straight").when(outside > cfg.extrapolate_m, "too_far").otherwise("reliable")
+    reason = F.when(F.col("k").isNull(), "no_line").when(~F.col("straight"), "not_straight").when(outside > cfg.extrapolate_m,
+        "too_far").otherwise("reliable")
     return out.select(
-        *keys, support.alias("support"), F.when(direct, F.col("n.mid_l")).alias("direct_l_m"), F.col("n.s_center").alias("nearest_s_m"), F.col("n.mid_l").alias("nearest_l_m"),
-        F.when(reliable, F.col("b") + F.col("k") * ref).alias("model_l_m"), outside.alias("outside_m"), reliable.alias("reliable"), reason.alias("reason"),
+        *keys, support.alias("support"), F.when(direct, F.col("n.mid_l")).alias("direct_l_m"), F.col("n.s_center").alias("nearest_s_m"),
+            F.col("n.mid_l").alias("nearest_l_m"),
+        F.when(reliable, F.col("b") + F.col("k") * ref).alias("model_l_m"), outside.alias("outside_m"), reliable.alias("reliable"),
+            reason.alias("reason"),
     )
 
 
@@ -91,8 +101,10 @@ def pairs(sections: DataFrame, cfg: Pairs = PAIRS) -> DataFrame:
     w = Window.partitionBy(*keys)
     rows = rows.withColumn("mad", F.abs(F.col("distance_m") - F.median("distance_m").over(w)))
     return rows.groupBy(*keys).agg(
-        F.median("distance_m").alias("distance_m"), F.median("mad").alias("distance_mad_m"), F.median("a_l_median").alias("left_l_m"), F.median("b_l_median").alias("right_l_m"),
-        F.sum(F.col("a_groups") + F.col("b_groups")).alias("support_groups"), F.count("*").alias("sections"), F.min_by("s_center", F.struct(F.abs(F.col("s_center") - cfg.reference_s_m), "s_center")).alias("publish_s_m"),
+        F.median("distance_m").alias("distance_m"), F.median("mad").alias("distance_mad_m"), F.median("a_l_median").alias("left_l_m"),
+            F.median("b_l_median").alias("right_l_m"),
+        F.sum(F.col("a_groups") + F.col("b_groups")).alias("support_groups"), F.count("*").alias("sections"),
+            F.min_by("s_center", F.struct(F.abs(F.col("s_center") - cfg.reference_s_m), "s_center")).alias("publish_s_m"),
     )
 
 
@@ -100,15 +112,21 @@ def assumed_sections(fragments: DataFrame) -> DataFrame:
     """Stations inside the common span of two lines where one side is missing; it stands the median separation away."""
     f = fragments.select("frame_index", "track", "s_center", "l_median")
     span = f.groupBy("frame_index", "track").agg(F.min("s_center").alias("lo"), F.max("s_center").alias("hi"), F.median("l_median").alias("l_track"))
-    two = span.select("frame_index", F.col("track").alias("a_track"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("l_track").alias("a_l")).join(
-        span.select("frame_index", F.col("track").alias("b_track"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("l_track").alias("b_l")), "frame_index"
-    ).where("(a_l, a_track) < (b_l, b_track)").select("frame_index", "a_track", "b_track", F.greatest("a_lo", "b_lo").alias("lo"), F.least("a_hi", "b_hi").alias("hi"))
+    two = span.select("frame_index", F.col("track").alias("a_track"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"),
+        F.col("l_track").alias("a_l")).join(
+        span.select("frame_index", F.col("track").alias("b_track"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"),
+                F.col("l_track").alias("b_l")), "frame_index"
+    ).where("(a_l, a_track) < (b_l, b_track)").select("frame_index", "a_track", "b_track", F.greatest("a_lo", "b_lo").alias("lo"),
+        F.least("a_hi", "b_hi").alias("hi"))
     a = two.join(f.select("frame_index", F.col("track").alias("a_track"), "s_center", F.col("l_median").alias("a")), ["frame_index", "a_track"])
     b = two.join(f.select("frame_index", F.col("track").alias("b_track"), "s_center", F.col("l_median").alias("b")), ["frame_index", "b_track"])
-    full = a.join(b.select("frame_index", "a_track", "b_track", "s_center", "b"), ["frame_index", "a_track", "b_track", "s_center"], "full_outer").drop("lo", "hi").join(two, ["frame_index", "a_track", "b_track"])
+    full = a.join(b.select("frame_index", "a_track", "b_track", "s_center", "b"), ["frame_index", "a_track", "b_track", "s_center"],
+        "full_outer").drop("lo", "hi").join(two, ["frame_index", "a_track", "b_track"])
     w = Window.partitionBy("frame_index", "a_track", "b_track")
-    full = full.withColumn("separation", F.median(F.col("b") - F.col("a")).over(w)).where(F.col("s_center").between(F.col("lo"), F.col("hi")) & (F.col("a").isNull() | F.col("b").isNull()))
-    return full.select("frame_index", "a_track", "b_track", "s_center", F.coalesce("a", F.col("b") - F.col("separation")).alias("a_l_m"), F.coalesce("b", F.col("a") + F.col("separation")).alias("b_l_m"), F.when(F.col("a").isNull(), "a").otherwise("b").alias("assumed"))
+    full = full.withColumn("separation", F.median(F.col("b") - F.col("a")).over(w)).where(F.col("s_center").between(F.col("lo"),
+            F.col("hi")) & (F.col("a").isNull() | F.col("b").isNull()))
+    return full.select("frame_index", "a_track", "b_track", "s_center", F.coalesce("a", F.col("b") - F.col("separation")).alias("a_l_m"),
+        F.coalesce("b", F.col("a") + F.col("separation")).alias("b_l_m"), F.when(F.col("a").isNull(), "a").otherwise("b").alias("assumed"))
 
 
 def scores(sections: DataFrame, residual: DataFrame, assumed: DataFrame, cfg: Pairs = PAIRS) -> DataFrame:
@@ -119,10 +137,12 @@ def scores(sections: DataFrame, residual: DataFrame, assumed: DataFrame, cfg: Pa
     step = lambda c: (F.col(c) - F.lag(c).over(w)) / (F.col("s_center") - F.lag("s_center").over(w))
     rows = rows.withColumn("dk", F.abs(step("a_l_median") - step("b_l_median")))
     p = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.median("dk").alias("dk"), (F.max("distance_m") - F.min("distance_m")).alias("span"), F.median(F.col("b_dh_median") - F.col("a_dh_median")).alias("dh"),
+        F.count("*").alias("n"), F.median("dk").alias("dk"), (F.max("distance_m") - F.min("distance_m")).alias("span"),
+            F.median(F.col("b_dh_median") - F.col("a_dh_median")).alias("dh"),
         F.max(F.greatest("a_width_m", "b_width_m")).alias("width"), F.median("distance_m").alias("distance_m"),
     )
-    p = p.join(residual.select("frame_index", "p95_m"), "frame_index", "left").join(assumed.groupBy(*keys).agg(F.count("*").alias("assumed")), keys, "left").fillna(0, ["assumed"])
+    p = p.join(residual.select("frame_index", "p95_m"), "frame_index",
+        "left").join(assumed.groupBy(*keys).agg(F.count("*").alias("assumed")), keys, "left").fillna(0, ["assumed"])
     one = F.lit(1.0)
     parts = {
         "support": F.least(one, F.col("n") / 3.0),
@@ -136,9 +156,12 @@ def scores(sections: DataFrame, residual: DataFrame, assumed: DataFrame, cfg: Pa
     bad = (F.coalesce(F.col("dk"), F.lit(0.0)) > cfg.slope_difference) | (F.col("span") > cfg.distance_span_m)
     penalties = (F.col("support") < 1).cast("int") + (F.col("direction") < 0.5).cast("int") + (F.col("stability") < 0.5).cast("int") + (F.col("height") < 0.5).cast("int") + (F.col("narrow") < 1).cast("int") + (F.col("assumed") > 0).cast("int")
     p = p.withColumns({"inconsistent": bad, "penalties": penalties})
-    p = p.withColumn("kind", F.when(bad | (F.col("score") < cfg.weak_score), "insufficient").when((F.col("score") >= cfg.strong_score) & (F.col("penalties") == 0), "consistent").otherwise("ambiguous"))
+    p = p.withColumn("kind", F.when(bad | (F.col("score") < cfg.weak_score),
+            "insufficient").when((F.col("score") >= cfg.strong_score) & (F.col("penalties") == 0), "consistent").otherwise("ambiguous"))
     ends = p.select("frame_index", F.explode(F.array("a_track", "b_track")).alias("line"), F.struct("a_track", "b_track").alias("id"), "score")
-    rival = ends.join(ends.withColumnsRenamed({"id": "other", "score": "its"}), ["frame_index", "line"]).where("id <> other").groupBy("frame_index", "id").agg(F.count_distinct("other").alias("shared_with"), F.min(F.abs(F.col("score") - F.col("its"))).alias("closest"))
+    rival = ends.join(ends.withColumnsRenamed({"id": "other", "score": "its"}),
+        ["frame_index", "line"]).where("id <> other").groupBy("frame_index", "id").agg(F.count_distinct("other").alias("shared_with"),
+        F.min(F.abs(F.col("score") - F.col("its"))).alias("closest"))
     p = p.withColumn("id", F.struct("a_track", "b_track")).join(rival, ["frame_index", "id"], "left").drop("id").fillna(0, ["shared_with"])
     lowered = (F.col("kind") == "consistent") & (F.col("closest") <= cfg.rival_score)
     return p.withColumn("kind", F.when(lowered, "ambiguous").otherwise(F.col("kind"))).drop("closest")
@@ -158,8 +181,11 @@ def same_place_cut(left: DataFrame, right: DataFrame, stations: list[float]) ->
     def at(df: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("frame_index").orderBy("s")
         piece = df.select("frame_index", "s", "l", F.lead("s").over(w).alias("s1"), F.lead("l").over(w).alias("l1")).where("s1 is not null")
-        hit = piece.withColumn("station", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in stations]), lambda x: (x >= F.col("s")) & (x <= F.col("s1")))))
-        return hit.groupBy("frame_index", "station").agg(F.min_by(F.col("l") + (F.col("station") - F.col("s")) / (F.col("s1") - F.col("s")) * (F.col("l1") - F.col("l")), "s").alias(name))
+        hit = piece.withColumn("station", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in stations]),
+                    lambda x: (x >= F.col("s")) & (x <= F.col("s1")))))
+        return hit.groupBy("frame_index",
+            "station").agg(F.min_by(F.col("l") + (F.col("station") - F.col("s")) / (F.col("s1") - F.col("s")) * (F.col("l1") - F.col("l")),
+                "s").alias(name))
 
     return at(left, "a").join(at(right, "b"), ["frame_index", "station"]).withColumn("delta_l", F.col("b") - F.col("a"))
 
@@ -169,24 +195,29 @@ def distance_of_points(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     The base is the least-squares plane through both lines, by sums; headings are those of the midpoints.
     """
-    ends = rows.select(*keys, F.explode(F.array(*[F.struct(*[F.col(f"{e}_{c}").alias(c) for c in "slh"]) for e in "ab"])).alias("p")).select(*keys, "p.*")
+    ends = rows.select(*keys,
+        F.explode(F.array(*[F.struct(*[F.col(f"{e}_{c}").alias(c) for c in "slh"]) for e in "ab"])).alias("p")).select(*keys, "p.*")
     v = lambda a, b: F.covar_pop(a, b)
-    sums = ends.groupBy(*keys).agg(v("s", "s").alias("ss"), v("l", "l").alias("ll"), v("s", "l").alias("sl"), v("s", "h").alias("sh"), v("l", "h").alias("lh"))
+    sums = ends.groupBy(*keys).agg(v("s", "s").alias("ss"), v("l", "l").alias("ll"), v("s", "l").alias("sl"), v("s", "h").alias("sh"),
+        v("l", "h").alias("lh"))
     c = {x: F.col(x) for x in ("ss", "ll", "sl", "sh", "lh")}
     det = c["ss"] * c["ll"] - c["sl"] * c["sl"]
     flat = lambda x: F.coalesce(F.try_divide(x, F.when(det > 1e-12 * c["ss"] * c["ll"], det)), F.lit(0.0))
-    plane = sums.select(*keys, flat(c["sh"] * c["ll"] - c["lh"] * c["sl"]).alias("slope_s"), flat(c["lh"] * c["ss"] - c["sh"] * c["sl"]).alias("slope_l"))
+    plane = sums.select(*keys, flat(c["sh"] * c["ll"] - c["lh"] * c["sl"]).alias("slope_s"),
+        flat(c["lh"] * c["ss"] - c["sh"] * c["sl"]).alias("slope_l"))
     mid = rows.withColumns({"mid_s": (F.col("a_s") + F.col("b_s")) / 2, "mid_l": (F.col("a_l") + F.col("b_l")) / 2})
     mid = mid.withColumn("heading", heading("mid_s", "mid_l", Window.partitionBy(*keys).orderBy("mid_s"))).join(plane, keys)
     gap = {x: F.col(f"b_{x}") - F.col(f"a_{x}") for x in "slh"}
     d = line_distance(gap["s"], gap["l"], gap["h"], F.col("heading"), F.col("slope_s"), F.col("slope_l"))
-    return mid.withColumn("d", d).groupBy(*keys).agg(F.median("d").alias("distance_m"), F.median(F.abs(gap["l"])).alias("same_s_delta_l_m"), F.count("*").alias("points"))
+    return mid.withColumn("d", d).groupBy(*keys).agg(F.median("d").alias("distance_m"), F.median(F.abs(gap["l"])).alias("same_s_delta_l_m"),
+        F.count("*").alias("points"))
 
 
 def feature_table(sections: DataFrame) -> DataFrame:
     """Features of each pair side by side, as arrays over its stations."""
     by = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("s_center", F.col(c).alias("v")))), lambda x: x.v)
-    return sections.groupBy("frame_index", "a_track", "b_track").agg(*[by(c).alias(c) for c in ("s_center", "distance_m", "a_l_median", "b_l_median", "a_width_m", "b_width_m", "a_groups", "b_groups")])
+    return sections.groupBy("frame_index", "a_track", "b_track").agg(*[by(c).alias(c) for c in ("s_center", "distance_m", "a_l_median",
+                "b_l_median", "a_width_m", "b_width_m", "a_groups", "b_groups")])
 
 
 def stations(fragments: DataFrame) -> DataFrame:
@@ -198,7 +229,8 @@ def stations(fragments: DataFrame) -> DataFrame:
     low, high = F.greatest(F.array_min("a"), F.array_min("b")), F.least(F.array_max("a"), F.array_max("b"))
     common = F.array_intersect("a", "b")
     one = F.array_except(F.array_union("a", "b"), common)
-    return both.select("frame_index", "a_track", "b_track", F.sort_array(common).alias("common"), F.sort_array(F.filter(one, lambda s: s.between(low, high))).alias("missing"))
+    return both.select("frame_index", "a_track", "b_track", F.sort_array(common).alias("common"),
+        F.sort_array(F.filter(one, lambda s: s.between(low, high))).alias("missing"))
 
 
 def line_samples(pair_of: DataFrame, fragments: DataFrame, lines: DataFrame, cfg: Ground = GROUND) -> DataFrame:

@@ -35,13 +35,15 @@ def with_evidence(candidates: DataFrame, floor_h_m: float | None = PROFILE.floor
         .when((n < rule.min_points) & ~thin, "support_below_large_min")
         .otherwise("extent_below_object_size")
     )
-    segment = F.when(F.col("s_min_m").isNull(), "position_unknown").when(F.col("s_min_m") >= profile.far_from_m, "assumed_continuation").otherwise("near_straight_assumption")
+    segment = F.when(F.col("s_min_m").isNull(), "position_unknown").when(F.col("s_min_m") >= profile.far_from_m,
+        "assumed_continuation").otherwise("near_straight_assumption")
     return candidates.withColumn("evidence", evidence).withColumns({"reason": reason, "corridor_segment": segment})
 
 
 def gate(status: Column, source: Column, applicable: Column, has_ground: Column) -> Column:
     """The decision and its reason that stand before any candidate is looked at; null where the rule applies."""
-    said = lambda decision, reason: F.struct(decision.alias("decision") if isinstance(decision, Column) else F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
+    said = lambda decision, reason: F.struct(decision.alias("decision") if isinstance(decision,
+            Column) else F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
     return (
         F.when(status.isin("processing_timeout", "processing_error"), said(status, "frame_not_finished"))
         .when(status == "insufficient_geometry", said(status, "ground_not_built"))
@@ -53,16 +55,20 @@ def gate(status: Column, source: Column, applicable: Column, has_ground: Column)
 
 def decide(frames: DataFrame, judged: DataFrame) -> DataFrame:
     """One row for each frame of ``frames`` (frame_index, status, corridor_source, profile_applicable, ground_found)."""
-    seen = judged.groupBy("frame_index").agg(F.count("*").alias("candidates"), F.count("evidence").alias("intrusions"), F.min(F.when(F.col("evidence").isNotNull(), F.col("range_from_sensor_m"))).alias("nearest_intrusion_m"))
+    seen = judged.groupBy("frame_index").agg(F.count("*").alias("candidates"), F.count("evidence").alias("intrusions"),
+        F.min(F.when(F.col("evidence").isNotNull(), F.col("range_from_sensor_m"))).alias("nearest_intrusion_m"))
     out = frames.join(seen, "frame_index", "left").fillna(0, ["candidates", "intrusions"])
     before = gate(F.col("status"), F.col("corridor_source"), F.coalesce("profile_applicable", F.lit(True)), F.col("ground_found"))
     after = (
-        F.when(F.col("intrusions") > 0, F.struct(F.lit("conditional_intrusion").alias("decision"), F.lit("unexplained_cluster_in_the_volume").alias("reason")))
+        F.when(F.col("intrusions") > 0, F.struct(F.lit("conditional_intrusion").alias("decision"),
+                F.lit("unexplained_cluster_in_the_volume").alias("reason")))
         .when(F.col("candidates") > 0, F.struct(F.lit("candidate_only").alias("decision"), F.lit("no_candidate_accepted").alias("reason")))
         .otherwise(F.struct(F.lit("no_intrusion_detected").alias("decision"), F.lit("nothing_in_the_volume").alias("reason")))
     )
     out = out.withColumns({"said": F.coalesce(before, after), "applies": before.isNull()})
-    out = out.withColumns({"decision": F.col("said.decision"), "reason": F.col("said.reason"), "intrusions": F.when(F.col("applies"), F.col("intrusions")).otherwise(0), "nearest_intrusion_m": F.when(F.col("applies"), F.col("nearest_intrusion_m"))})
+    out = out.withColumns({"decision": F.col("said.decision"), "reason": F.col("said.reason"),
+        "intrusions": F.when(F.col("applies"), F.col("intrusions")).otherwise(0),
+        "nearest_intrusion_m": F.when(F.col("applies"), F.col("nearest_intrusion_m"))})
     return out.withColumn("absence_is_not_clear", F.lit(True)).drop("said", "applies")
 
 
@@ -76,7 +82,8 @@ def axis_assessment(sections: DataFrame, scored: DataFrame, own: DataFrame | Non
     keys = ["frame_index", "a_track", "b_track"]
     rows = sections.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s_center", "mid_l"))).alias("m"), F.avg("mid_l").alias("lateral_m"))
     at = lambda k: F.element_at("m", F.greatest(k, F.lit(1)).cast("int"))
-    rise = lambda a, b: F.when(F.abs(at(b).s_center - at(a).s_center) >= 1e-6, (at(b).mid_l - at(a).mid_l) / (at(b).s_center - at(a).s_center))
+    rise = lambda a, b: F.when(F.abs(at(b).s_center - at(a).s_center) >= 1e-6,
+        (at(b).mid_l - at(a).mid_l) / (at(b).s_center - at(a).s_center))
     n, one = F.size("m"), F.lit(1)
     rows = rows.withColumns({"sections": n, "span_m": F.when(n >= 2, at(n).s_center - at(one).s_center), "direction": F.when(n >= 2, rise(one, n))})
     half = F.greatest(F.lit(2), F.floor(n / 2))
@@ -90,10 +97,12 @@ def axis_assessment(sections: DataFrame, scored: DataFrame, own: DataFrame | Non
     rows = rows.withColumns({
         "offset": F.abs(F.col("lateral_m") - profile.center_l_m) > profile.width_m / 2, "turns": turns,
         "constant_heading": F.coalesce((F.abs("direction") > cfg.heading) & ~turns, F.lit(False)),
-        "weak": ~F.coalesce(F.col("kind") == "consistent", F.lit(False)) | (F.col("sections") < 3) | F.col("span_m").isNull() | (F.col("span_m") < cfg.min_span_m),
+        "weak": ~F.coalesce(F.col("kind") == "consistent",
+            F.lit(False)) | (F.col("sections") < 3) | F.col("span_m").isNull() | (F.col("span_m") < cfg.min_span_m),
         "shared": F.coalesce(F.col("shared_with") > 0, F.lit(False)),
     })
-    reason = F.when(F.col("weak") | F.col("shared"), "weak_or_shared").when(F.col("offset"), "offset").when(F.col("turns") & ~mine, "turns_of_unknown_owner").when(F.col("constant_heading"), "constant_heading").otherwise("no_contradiction")
+    reason = F.when(F.col("weak") | F.col("shared"), "weak_or_shared").when(F.col("offset"), "offset").when(F.col("turns") & ~mine,
+        "turns_of_unknown_owner").when(F.col("constant_heading"), "constant_heading").otherwise("no_contradiction")
     forbids = ~F.col("weak") & ~F.col("offset") & ~F.col("shared") & F.col("turns") & mine
     return rows.withColumns({"reason": reason, "forbids": forbids}).drop("own")
 

@@ -21,7 +21,8 @@ def section_rows(df: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     rows = rows.withColumns({"n_narrow": F.count_if("narrow").over(w), "n_wide": F.count("*").over(w)})
     rows = rows.withColumn("expanded", F.col("n_narrow") < cfg.section_min_groups)
     n = F.when(F.col("expanded"), F.col("n_wide")).otherwise(F.col("n_narrow"))
-    return rows.where("narrow or expanded").withColumns({"section_groups": n, "status": F.when(n >= cfg.section_min_groups, "ok").otherwise("insufficient")}).drop("n_narrow", "n_wide", "narrow")
+    return rows.where("narrow or expanded").withColumns({"section_groups": n,
+            "status": F.when(n >= cfg.section_min_groups, "ok").otherwise("insufficient")}).drop("n_narrow", "n_wide", "narrow")
 
 
 def in_band(cfg: Ground = GROUND) -> Column:
@@ -33,13 +34,15 @@ def islands(rows: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     w = Window.partitionBy("frame_index", "s_center").orderBy("l", "h", "s")
     band = rows.where((F.col("status") == "ok") & in_band(cfg))
     band = band.withColumn("new", F.coalesce((F.col("l") - F.lag("l").over(w) > cfg.structure_l_gap_m).cast("int"), F.lit(0)))
-    return band.withColumns({"island": F.sum("new").over(w), "band_groups": F.count("*").over(Window.partitionBy("frame_index", "s_center"))}).drop("new")
+    return band.withColumns({"island": F.sum("new").over(w), "band_groups": F.count("*").over(Window.partitionBy("frame_index",
+                "s_center"))}).drop("new")
 
 
 def clusters(rows: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     """One row for each island of a section with what became of it: kept, few or wide."""
     out = islands(rows, cfg).where(F.col("band_groups") >= cfg.structure_min_groups).groupBy("frame_index", "s_center", "island").agg(
-        F.median("l").alias("l_median"), F.min("l").alias("l_min"), F.max("l").alias("l_max"), F.median("dh").alias("dh_median"), F.median("h").alias("h_median"), F.count("*").alias("groups")
+        F.median("l").alias("l_median"), F.min("l").alias("l_min"), F.max("l").alias("l_max"), F.median("dh").alias("dh_median"),
+            F.median("h").alias("h_median"), F.count("*").alias("groups")
     )
     width = F.col("l_max") - F.col("l_min")
     fate = F.when(F.col("groups") < cfg.structure_min_groups, "few").when(width > cfg.structure_max_width_m, "wide").otherwise("kept")
@@ -50,7 +53,8 @@ def rejections(rows: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     """What each section's rows were lost to."""
     base = rows.groupBy("frame_index", "s_center").agg(
         F.first("status").alias("status"), F.count("*").alias("section_groups"), F.count("dh").alias("finite_dh"),
-        F.count_if(F.col("dh") < cfg.structure_dh_min_m).alias("below_band"), F.count_if(F.col("dh") > cfg.structure_dh_max_m).alias("above_band"), F.count_if(in_band(cfg)).alias("in_band"),
+        F.count_if(F.col("dh") < cfg.structure_dh_min_m).alias("below_band"),
+            F.count_if(F.col("dh") > cfg.structure_dh_max_m).alias("above_band"), F.count_if(in_band(cfg)).alias("in_band"),
     )
     fates = clusters(rows, cfg).groupBy("frame_index", "s_center").agg(*[F.count_if(F.col("fate") == f).alias(f) for f in ("kept", "few", "wide")])
     return base.join(fates, ["frame_index", "s_center"], "left").fillna(0, ["kept", "few", "wide"])
@@ -61,15 +65,19 @@ def roles(rows: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     key = ["frame_index", "s_center"]
     marked = islands(rows, cfg)
     of = clusters(rows, cfg).select(*key, "island", "fate")
-    marked = marked.join(of, [*key, "island"], "left").withColumn("role", F.when(F.col("band_groups") < cfg.structure_min_groups, "band_below_min_groups").when(F.col("fate") == "kept", "kept").otherwise(F.concat(F.lit("rejected_"), "fate")))
+    marked = marked.join(of, [*key, "island"], "left").withColumn("role",
+        F.when(F.col("band_groups") < cfg.structure_min_groups, "band_below_min_groups").when(F.col("fate") == "kept",
+            "kept").otherwise(F.concat(F.lit("rejected_"), "fate")))
     other = rows.where((F.col("status") != "ok") | ~in_band(cfg) | F.col("dh").isNull())
-    role = F.when((F.col("status") != "ok") | F.col("dh").isNull(), "no_dh").when(F.col("dh") < cfg.structure_dh_min_m, "below_height_band").otherwise("above_height_band")
+    role = F.when((F.col("status") != "ok") | F.col("dh").isNull(), "no_dh").when(F.col("dh") < cfg.structure_dh_min_m,
+        "below_height_band").otherwise("above_height_band")
     cols = [*key, "s", "l", "h", "role"]
     return marked.select(*cols).unionByName(other.withColumn("role", role).select(*cols))
 
 
 WIDE = "frame_index long, s_center double, island long, l_median double, width_m double, groups long, dh_median double, internal_gap_m double, valley long, dh_step_m double, splits boolean, reason string, part_l array<double>, part_h array<double>, part_groups array<long>"
-_WIDE_TYPES = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+_WIDE_TYPES = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
+    pa.float64(), pa.bool_(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
 
 
 def _profile(l: np.ndarray, dh: np.ndarray, h: np.ndarray, cfg: Ground) -> dict:  # noqa: E741
@@ -97,7 +105,8 @@ def _profile(l: np.ndarray, dh: np.ndarray, h: np.ndarray, cfg: Ground) -> dict:
     apart = step >= cfg.wide_peak_dh_m or out["internal_gap_m"] >= 0.8 * cfg.structure_l_gap_m
     splits = valley <= cfg.wide_valley_ratio * smaller and full and apart
     parts = [(float(np.median(l[m])), float(np.median(h[m])), int(m.sum())) for m in sides] if splits else []
-    return out | {"valley": valley, "dh_step_m": step, "splits": splits, "reason": "two_peaks" if splits else "valley_or_height_step_too_small", "parts": parts}
+    return out | {"valley": valley, "dh_step_m": step, "splits": splits,
+        "reason": "two_peaks" if splits else "valley_or_height_step_too_small", "parts": parts}
 
 
 def wide_profile(rows: DataFrame, cfg: Ground = GROUND) -> DataFrame:
@@ -109,7 +118,8 @@ def wide_profile(rows: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     key = ["frame_index", "s_center", "island"]
     found = clusters(rows, cfg)
     members = islands(rows, cfg).join(found.where("fate = 'wide'").select(*key), key).select(*key, "l", "dh", "h")
-    every = members.unionByName(found.where("fate = 'kept'").select(*key, F.col("l_median").alias("l"), F.lit(None).cast("double").alias("dh"), F.lit(None).cast("double").alias("h")))
+    every = members.unionByName(found.where("fate = 'kept'").select(*key, F.col("l_median").alias("l"),
+        F.lit(None).cast("double").alias("dh"), F.lit(None).cast("double").alias("h")))
     names = [c.split()[0] for c in WIDE.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
@@ -120,25 +130,29 @@ def wide_profile(rows: DataFrame, cfg: Ground = GROUND) -> DataFrame:
             at = np.flatnonzero(~kept & (station == s) & (island == i))
             at = at[np.lexsort((h[at], l[at]))]
             own = _profile(l[at], dh[at], h[at], cfg)
-            found.setdefault(s, []).append(own | {"frame_index": frame[0], "s_center": s, "island": i, "l_median": float(np.median(l[at])), "width_m": float(l[at[-1]] - l[at[0]]), "groups": len(at), "dh_median": float(np.median(dh[at]))})
+            found.setdefault(s, []).append(own | {"frame_index": frame[0], "s_center": s, "island": i, "l_median": float(np.median(l[at])),
+                    "width_m": float(l[at[-1]] - l[at[0]]), "groups": len(at), "dh_median": float(np.median(dh[at]))})
         stations = sorted(found)
         for s, beyond in zip(stations, [*stations, None][1:], strict=True):
             for x in (x for x in found[s] if x["splits"]):
                 if beyond is None:
                     x |= {"splits": False, "reason": "seen_at_one_station_only", "parts": []}
                     continue
-                places = [*l[kept & (station == beyond)].tolist(), *(y["l_median"] for y in found[beyond]), *(p[0] for y in found[beyond] for p in y["parts"])]
+                places = [*l[kept & (station == beyond)].tolist(), *(y["l_median"] for y in found[beyond]),
+                    *(p[0] for y in found[beyond] for p in y["parts"])]
                 reach = max(cfg.structure_match_m, (beyond - s) * cfg.init_max_abs_dl_ds)
                 if not all(any(abs(p[0] - place) <= reach for place in places) for p in x["parts"]):
                     x |= {"splits": False, "reason": "does_not_go_on", "parts": []}
-        out = [x | {"part_l": [p[0] for p in x["parts"]], "part_h": [p[1] for p in x["parts"]], "part_groups": [p[2] for p in x["parts"]]} for s in stations for x in found[s]]
+        out = [x | {"part_l": [p[0] for p in x["parts"]], "part_h": [p[1] for p in x["parts"]],
+            "part_groups": [p[2] for p in x["parts"]]} for s in stations for x in found[s]]
         return pa.table({n: pa.array([x.get(n) for x in out], t) for n, t in zip(names, _WIDE_TYPES, strict=True)})
 
     return every.groupBy("frame_index").applyInArrow(run, WIDE)
 
 
 FRAGMENTS = "frame_index long, track int, s_center double, l_median double, h_median double, dh_median double, width_m double, groups long, sections int, missed int, alternatives array<double>"
-_FRAGMENT_TYPES = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+_FRAGMENT_TYPES = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(),
+    pa.int32(), pa.list_(pa.float64()))
 
 
 class _Line:
@@ -189,7 +203,8 @@ def _by_cost(lines: list[_Line], live: list[bool], here: list[dict], s: float, c
         young = len(line.at[-cfg.forecast_window :]) < cfg.forecast_min_sections
         for c, cluster in enumerate(here if live[n] else []):
             last = line.at[-1]
-            off = abs((cluster["l_median"] - last["l_median"]) / (s - last["s_center"])) if young else abs(cluster["l_median"] - line.ahead(s, cfg.forecast_window))
+            off = abs((cluster["l_median"] - last["l_median"]) / (s - last["s_center"])) if young else abs(cluster["l_median"] - line.ahead(s,
+                cfg.forecast_window))
             if off <= (cfg.init_max_abs_dl_ds if young else cfg.structure_match_m):
                 offers.append((0.0 if young else off, line.key(), cluster["l_median"], c, n, young))
     offers.sort()
@@ -251,11 +266,14 @@ def line_candidates(fragments: DataFrame, lines: DataFrame, cfg: Ground = GROUND
     key = ["frame_index", "track"]
     ground = lines.select("frame_index", "segment", F.col("l_min").alias("g_min"), F.col("l_max").alias("g_max"))
     rows = fragments.withColumn("segment", segment_of("s_center", cfg)).join(ground, ["frame_index", "segment"], "left")
-    support = F.when(F.col("g_min").isNull(), "unknown").when(F.col("l_median").between(F.col("g_min"), F.col("g_max")), "supported").otherwise("extrapolated")
+    support = F.when(F.col("g_min").isNull(), "unknown").when(F.col("l_median").between(F.col("g_min"), F.col("g_max")),
+        "supported").otherwise("extrapolated")
     sample = F.struct("s_center", "l_median", "h_median", "dh_median", "width_m", "groups", support.alias("height_support"))
     out = rows.groupBy(*key).agg(
-        F.sort_array(F.collect_list(sample)).alias("samples"), F.median("l_median").alias("l_median_m"), F.median("dh_median").alias("dh_median_m"), F.min("width_m").alias("width_min_m"), F.median("width_m").alias("width_median_m"),
-        F.max("width_m").alias("width_max_m"), F.count("*").cast("int").alias("sections"), F.sum("groups").alias("groups"), F.first("alternatives").alias("alternatives"),
+        F.sort_array(F.collect_list(sample)).alias("samples"), F.median("l_median").alias("l_median_m"),
+            F.median("dh_median").alias("dh_median_m"), F.min("width_m").alias("width_min_m"), F.median("width_m").alias("width_median_m"),
+        F.max("width_m").alias("width_max_m"), F.count("*").cast("int").alias("sections"), F.sum("groups").alias("groups"),
+            F.first("alternatives").alias("alternatives"),
     )
     stations = F.array(*[F.lit(float(s)) for s in sorted(cfg.section_s_m)])
     seen = F.transform("samples", lambda x: x.s_center)
@@ -266,10 +284,12 @@ def line_candidates(fragments: DataFrame, lines: DataFrame, cfg: Ground = GROUND
 
 def selection_funnel(found: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     """For each frame the kept clusters, and the lines and candidates of the three ways of linking."""
-    kept = found.groupBy("frame_index").agg(F.count_if(F.col("fate") == "kept").alias("kept"), F.count_if(F.col("fate") == "few").alias("few"), F.count_if(F.col("fate") == "wide").alias("wide"))
+    kept = found.groupBy("frame_index").agg(F.count_if(F.col("fate") == "kept").alias("kept"),
+        F.count_if(F.col("fate") == "few").alias("few"), F.count_if(F.col("fate") == "wide").alias("wide"))
     for mode in ("fixed_dl", "spatial", "robust"):
         n = link_clusters(found, mode, cfg, min_sections=1).select("frame_index", "track", "sections").distinct()
-        n = n.groupBy("frame_index").agg(F.count("*").alias(f"{mode}_lines"), F.count_if(F.col("sections") >= cfg.structure_min_sections).alias(f"{mode}_candidates"))
+        n = n.groupBy("frame_index").agg(F.count("*").alias(f"{mode}_lines"),
+            F.count_if(F.col("sections") >= cfg.structure_min_sections).alias(f"{mode}_candidates"))
         kept = kept.join(n, "frame_index", "left").fillna(0, [f"{mode}_lines", f"{mode}_candidates"])
     return kept
 
@@ -279,12 +299,17 @@ def broken_hops(fragments: DataFrame, cfg: Ground = GROUND) -> DataFrame:
     key = ["frame_index", "track"]
     w = Window.partitionBy(*key).orderBy("s_center")
     back = lambda c, k: F.lag(c, k).over(w)
-    rows = fragments.select(*key, "s_center", "l_median", *[back(c, k).alias(f"{n}{k}") for c, n in (("s_center", "s"), ("l_median", "l")) for k in (1, 2)])
+    rows = fragments.select(*key, "s_center", "l_median", *[back(c, k).alias(f"{n}{k}") for c,
+            n in (("s_center", "s"), ("l_median", "l")) for k in (1, 2)])
     ds = F.col("s_center") - F.col("s1")
     slope = (F.col("l1") - F.col("l2")) / (F.col("s1") - F.col("s2"))
-    rows = rows.withColumns({"slope": slope, "expected_l_m": F.col("l1") + F.coalesce(slope, F.lit(0.0)) * ds, "implied": (F.col("l_median") - F.col("l1")) / ds})
+    rows = rows.withColumns({"slope": slope, "expected_l_m": F.col("l1") + F.coalesce(slope, F.lit(0.0)) * ds,
+        "implied": (F.col("l_median") - F.col("l1")) / ds})
     rows = rows.withColumn("off_m", F.abs(F.col("l_median") - F.col("expected_l_m")))
-    hop = F.struct(F.col("s_center").alias("at_s_m"), F.col("s1").alias("from_s_m"), F.when(F.col("slope").isNull(), "no_slope_yet").otherwise("last_two_samples").alias("mode"), F.col("slope").alias("slope_dl_ds"), "expected_l_m", F.col("l_median").alias("observed_l_m"), F.col("off_m").alias("residual_m"), F.col("implied").alias("implied_dl_ds"))
+    hop = F.struct(F.col("s_center").alias("at_s_m"), F.col("s1").alias("from_s_m"),
+        F.when(F.col("slope").isNull(), "no_slope_yet").otherwise("last_two_samples").alias("mode"), F.col("slope").alias("slope_dl_ds"),
+        "expected_l_m", F.col("l_median").alias("observed_l_m"), F.col("off_m").alias("residual_m"),
+        F.col("implied").alias("implied_dl_ds"))
     bad = F.col("off_m") > cfg.structure_match_m
     first = rows.groupBy(*key).agg(F.min(F.when(bad, hop)).alias("hop"))
     return first.select(*key, F.col("hop").isNotNull().alias("broke"), "hop.*")

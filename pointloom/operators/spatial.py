@@ -28,10 +28,14 @@ def radius_links(df: DataFrame, cell_m: float) -> DataFrame:
     home = df.select("frame_index", "point_id", "s", "l", "h", "radius", cell("s").alias("i"), cell("l").alias("j"), cell("h").alias("k"))
     steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in steps])).alias("d")
-    visit = home.select("frame_index", F.col("point_id").alias("p"), F.col("s").alias("s1"), F.col("l").alias("l1"), F.col("h").alias("h1"), F.col("radius").alias("r1"), "i", "j", "k", near)
-    visit = visit.select("frame_index", "p", "s1", "l1", "h1", "r1", (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j"), (F.col("k") + F.col("d.c")).alias("k"), ((F.col("d.a") == 0) & (F.col("d.b") == 0) & (F.col("d.c") == 0)).alias("same"))
+    visit = home.select("frame_index", F.col("point_id").alias("p"), F.col("s").alias("s1"), F.col("l").alias("l1"), F.col("h").alias("h1"),
+        F.col("radius").alias("r1"), "i", "j", "k", near)
+    visit = visit.select("frame_index", "p", "s1", "l1", "h1", "r1", (F.col("i") + F.col("d.a")).alias("i"),
+        (F.col("j") + F.col("d.b")).alias("j"), (F.col("k") + F.col("d.c")).alias("k"),
+        ((F.col("d.a") == 0) & (F.col("d.b") == 0) & (F.col("d.c") == 0)).alias("same"))
     d2 = (F.col("s") - F.col("s1")) ** 2 + (F.col("l") - F.col("l1")) ** 2 + (F.col("h") - F.col("h1")) ** 2
-    met = visit.join(home, ["frame_index", "i", "j", "k"]).where((~F.col("same") | (F.col("p") < F.col("point_id"))) & (d2 <= F.greatest("radius", "r1") ** 2))
+    met = visit.join(home, ["frame_index", "i", "j",
+            "k"]).where((~F.col("same") | (F.col("p") < F.col("point_id"))) & (d2 <= F.greatest("radius", "r1") ** 2))
     return met.select("frame_index", F.least("p", "point_id").alias("a"), F.greatest("p", "point_id").alias("b"))
 
 
@@ -136,15 +140,19 @@ def cell_components(df: DataFrame, gap_m: float = DETECTOR.cell_gap_m) -> DataFr
     rows = df.withColumns({"ci": cell("s"), "cj": cell("l"), "ck": cell("h")})
     cells = rows.groupBy("frame_index", "ci", "cj", "ck").agg(F.min("point_id").alias("first"))
     steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
-    moved = cells.select("frame_index", F.col("first").alias("a"), "ci", "cj", "ck", F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a, b, c in steps])).alias("d"))
-    moved = moved.select("frame_index", "a", (F.col("ci") + F.col("d.x")).alias("ci"), (F.col("cj") + F.col("d.y")).alias("cj"), (F.col("ck") + F.col("d.z")).alias("ck"))
+    moved = cells.select("frame_index", F.col("first").alias("a"), "ci", "cj", "ck",
+        F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a, b, c in steps])).alias("d"))
+    moved = moved.select("frame_index", "a", (F.col("ci") + F.col("d.x")).alias("ci"), (F.col("cj") + F.col("d.y")).alias("cj"),
+        (F.col("ck") + F.col("d.z")).alias("ck"))
     code = lambda c: F.col("frame_index") * (1 << 32) + F.col(c)
     links = moved.join(cells.withColumnRenamed("first", "b"), ["frame_index", "ci", "cj", "ck"]).select(code("a").alias("a"), code("b").alias("b"))
-    done = connected_components(cells.withColumn("__node", code("first")), "__node", links, "a", "b").select("frame_index", "ci", "cj", "ck", F.pmod("component_id", F.lit(1 << 32)).alias("label"))
+    done = connected_components(cells.withColumn("__node", code("first")), "__node", links, "a", "b").select("frame_index", "ci", "cj",
+        "ck", F.pmod("component_id", F.lit(1 << 32)).alias("label"))
     return rows.join(done, ["frame_index", "ci", "cj", "ck"]).drop("ci", "cj", "ck")
 
 
-def split_components(df: DataFrame, split_m: float = DETECTOR.far_range_m, near_m: float = DETECTOR.link_m, far_m: float = DETECTOR.far_link_m) -> DataFrame:
+def split_components(df: DataFrame, split_m: float = DETECTOR.far_range_m, near_m: float = DETECTOR.link_m,
+    far_m: float = DETECTOR.far_link_m) -> DataFrame:
     """Near and far points in components of their own, never linked across the border."""
     r = F.sqrt(F.col("s") ** 2 + F.col("l") ** 2 + F.col("h") ** 2)
     near = components(df.where(r < split_m).withColumn("radius", F.lit(near_m)))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 def sessions(df: DataFrame, stamp: str, order: str, by: str) -> DataFrame:
     """``session_id``: counts up where the stamp goes back."""
     w = Window.partitionBy(by).orderBy(order)
-    return df.withColumn("__back", F.coalesce((F.col(stamp) < F.lag(stamp).over(w)).cast("int"), F.lit(0))).withColumn("session_id", F.sum("__back").over(w)).drop("__back")
+    return df.withColumn("__back", F.coalesce((F.col(stamp) < F.lag(stamp).over(w)).cast("int"), F.lit(0))).withColumn("session_id",
+        F.sum("__back").over(w)).drop("__back")
 
 
 def confirmed(df: DataFrame, seen: str, order: str, by: str, need: int = 2, of: int = 3) -> DataFrame:
@@ -28,8 +29,11 @@ def rates(df: DataFrame, ts: str, by: str, seconds: int = 5) -> DataFrame:
 def level_gap(df: DataFrame, by: list[str], h: str = "h", gap_m: float = 0.08, side: int = 6) -> DataFrame:
     """Whether sorted heights have a gap with enough rows on both sides."""
     w = Window.partitionBy(*by).orderBy(h)
-    rows = df.select(*by, F.col(h).alias("__h")).withColumnRenamed("__h", h).withColumns({"step": F.col(h) - F.lag(h).over(w), "below": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy(*by))})
-    return rows.groupBy(*by).agg(F.coalesce(F.bool_or((F.col("step") > gap_m) & (F.col("below") >= side) & (F.col("n") - F.col("below") >= side)), F.lit(False)).alias("several_levels"))
+    rows = df.select(*by, F.col(h).alias("__h")).withColumnRenamed("__h",
+        h).withColumns({"step": F.col(h) - F.lag(h).over(w), "below": F.row_number().over(w) - 1,
+            "n": F.count("*").over(Window.partitionBy(*by))})
+    return rows.groupBy(*by).agg(F.coalesce(F.bool_or((F.col("step") > gap_m) & (F.col("below") >= side) & (F.col("n") - F.col("below") >= side)),
+        F.lit(False)).alias("several_levels"))
 
 
 def lower_support(df: DataFrame, by: list[str], h: str = "h", fraction: float = 0.40) -> DataFrame:
@@ -48,7 +52,8 @@ def tail_median(df: DataFrame, value: str, order: str, by: str, rows: int = 9) -
     w = Window.partitionBy(by).orderBy(order).rowsBetween(-(rows - 1), 0)
     # a median has no sliding frame; the frame is a few rows, so it is sorted as an array
     return df.withColumn("__last", F.sort_array(F.collect_list(value).over(w))).withColumn(
-        "tail_median", (F.element_at("__last", F.floor((F.size("__last") + 1) / 2).cast("int")) + F.element_at("__last", F.ceil((F.size("__last") + 1) / 2).cast("int"))) / 2
+        "tail_median", (F.element_at("__last", F.floor((F.size("__last") + 1) / 2).cast("int")) + F.element_at("__last",
+                    F.ceil((F.size("__last") + 1) / 2).cast("int"))) / 2
     ).drop("__last")
 
 

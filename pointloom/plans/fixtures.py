@@ -33,7 +33,8 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grouped(records: DataFrame) -> DataFrame:
     """Distinct places of a frame as rows with ``point_id``, in the order of (s, l, h); all of it dealt by frame."""
-    rows = records.withColumns({"s": -F.col("y"), "l": F.col("x"), "h": F.col("z")}).withColumn("range_m", F.sqrt(F.col("s") * F.col("s") + F.col("l") * F.col("l") + F.col("h") * F.col("h")))
+    rows = records.withColumns({"s": -F.col("y"), "l": F.col("x"), "h": F.col("z")}).withColumn("range_m",
+        F.sqrt(F.col("s") * F.col("s") + F.col("l") * F.col("l") + F.col("h") * F.col("h")))
     kept = [F.min(c).alias(n) for c, n in (("range_m", "range_m"), ("source_index", "first_index"), ("q", "q")) if c in rows.columns]
     g = rows.repartition("frame_index").groupBy("frame_index", "s", "l", "h").agg(*kept)
     return g.withColumn("point_id", F.row_number().over(Window.partitionBy("frame_index").orderBy("s", "l", "h")).cast("long"))

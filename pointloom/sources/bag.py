@@ -56,7 +56,8 @@ def description(folder: str) -> dict:
     with open(os.path.join(folder, "metadata.yaml"), encoding="utf-8") as f:
         info = yaml.safe_load(f)["rosbag2_bagfile_information"]
     topics = {t["topic_metadata"]["name"]: (t["topic_metadata"]["type"], t["message_count"]) for t in info["topics_with_message_count"]}
-    return {"messages": info["message_count"], "duration_s": info["duration"]["nanoseconds"] / 1e9, "topics": {n: t for n, (t, _) in topics.items()}, "counts": {n: c for n, (_, c) in topics.items()}}
+    return {"messages": info["message_count"], "duration_s": info["duration"]["nanoseconds"] / 1e9,
+        "topics": {n: t for n, (t, _) in topics.items()}, "counts": {n: c for n, (_, c) in topics.items()}}
 
 
 class Reader:

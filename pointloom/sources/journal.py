@@ -48,7 +48,8 @@ def read_completed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     clean = lambda c: F.regexp_replace(c, "^file:/+", "/")
     torn = torn.select(clean("file").alias("f"), "tail")
     # of the lines that read like a file's torn one, the last is it
-    marked = lines.withColumn("f", clean("file")).join(F.broadcast(torn.withColumnRenamed("f", "torn_f")), (F.col("f") == F.col("torn_f")) & (F.col("value") == F.col("tail")), "left")
+    marked = lines.withColumn("f", clean("file")).join(F.broadcast(torn.withColumnRenamed("f", "torn_f")),
+        (F.col("f") == F.col("torn_f")) & (F.col("value") == F.col("tail")), "left")
     last = marked.where("torn_f is not null").groupBy("f").agg(F.max("n").alias("n")).withColumn("gone", F.lit(True))
     good = marked.select("f", "n", "value").join(F.broadcast(last), ["f", "n"], "left").where("gone is null and trim(value) <> ''")
     rows = good.select("n", F.from_json("value", schema).alias("r")).where("r.frame_index is not null")
@@ -94,7 +95,8 @@ def view(frames: DataFrame, chosen: DataFrame) -> DataFrame:
     return frames.join(F.broadcast(chosen.distinct()), ["run", "message_index"], "left_semi")  # written by hand
 
 
-def select_frames(frames: DataFrame, first: int | None = None, last: int | None = None, chosen: list[int] | None = None, most: int | None = None) -> DataFrame:
+def select_frames(frames: DataFrame, first: int | None = None, last: int | None = None, chosen: list[int] | None = None,
+    most: int | None = None) -> DataFrame:
     """Frames of a window, a list, and at most so many from the start."""
     out = frames
     if first is not None:
@@ -108,7 +110,9 @@ def select_frames(frames: DataFrame, first: int | None = None, last: int | None
 
 def card(decisions: DataFrame, intrusions: DataFrame) -> DataFrame:
     """A short record for each frame: the decision, its first intrusion, the range of all."""
-    c = intrusions.groupBy("frame_index").agg(F.min_by(F.struct("candidate_id", "evidence", "range_from_sensor_m"), F.struct("range_from_sensor_m", "candidate_id")).alias("first"), F.round(F.min("range_from_sensor_m"), 4).alias("nearest_m"), F.round(F.max("range_from_sensor_m"), 4).alias("farthest_m"))
+    c = intrusions.groupBy("frame_index").agg(F.min_by(F.struct("candidate_id", "evidence", "range_from_sensor_m"),
+            F.struct("range_from_sensor_m", "candidate_id")).alias("first"), F.round(F.min("range_from_sensor_m"), 4).alias("nearest_m"),
+        F.round(F.max("range_from_sensor_m"), 4).alias("farthest_m"))
     return decisions.join(c, "frame_index", "left")
 
 
@@ -131,7 +135,8 @@ def machine(spark: SparkSession, folder: str) -> None:
     import platform
 
     sc = spark.sparkContext
-    about = {"spark": spark.version, "python": platform.python_version(), "system": platform.platform(), "parallelism": sc.defaultParallelism, "executor_memory": sc._conf.get("spark.executor.memory", "1g"), "master": sc.master}
+    about = {"spark": spark.version, "python": platform.python_version(), "system": platform.platform(),
+        "parallelism": sc.defaultParallelism, "executor_memory": sc._conf.get("spark.executor.memory", "1g"), "master": sc.master}
     _once(spark, f"{folder}/machine.json", json.dumps(about, sort_keys=True, indent=1))
 
 
@@ -160,12 +165,14 @@ def expected(messages: DataFrame) -> DataFrame:
 def inventory(spark: SparkSession, root: str, roles: DataFrame) -> DataFrame:
     """Recordings under a folder, by their descriptions, with their split."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "metadata.yaml").option("recursiveFileLookup", "true").load(root)
-    return with_roles(found.select(F.element_at(F.split("path", "/"), -2).alias("run"), F.regexp_replace("path", "/metadata.yaml$", "").alias("folder")).distinct(), roles)
+    return with_roles(found.select(F.element_at(F.split("path", "/"), -2).alias("run"),
+            F.regexp_replace("path", "/metadata.yaml$", "").alias("folder")).distinct(), roles)
 
 
 def search_gate(frames: DataFrame, gate: str) -> DataFrame:
     """Frames that a search looks at: all, those with a decision that isn't a failure, or those with candidates."""
-    rules = {"none": "true", "decided": "decision not in ('processing_timeout', 'processing_error', 'insufficient_geometry')", "candidates": "candidates > 0"}
+    rules = {"none": "true", "decided": "decision not in ('processing_timeout', 'processing_error', 'insufficient_geometry')",
+        "candidates": "candidates > 0"}
     return frames.where(rules[gate])
 
 

@@ -66,7 +66,8 @@ def decode_records(m: dict, chosen: list[int]) -> list[dict]:
     return out
 
 
-def pack(columns: dict[str, list], kinds: dict[str, int], point_step: int | None = None, width: int | None = None, pad: int = 0, bigendian: bool = False, offsets: dict[str, int] | None = None) -> dict:
+def pack(columns: dict[str, list], kinds: dict[str, int], point_step: int | None = None, width: int | None = None, pad: int = 0,
+    bigendian: bool = False, offsets: dict[str, int] | None = None) -> dict:
     """A message with the given columns, the inverse of ``decode``."""
     order, fields, at = "<>"[bigendian], [], 0
     for name, kind in kinds.items():
@@ -79,8 +80,10 @@ def pack(columns: dict[str, list], kinds: dict[str, int], point_step: int | None
     payload = bytearray(height * (width * step + pad))
     for i in range(n):
         for f in fields:
-            struct.pack_into(order + LETTERS[f["datatype"]], payload, (i // width) * (width * step + pad) + (i % width) * step + f["offset"], columns[f["name"]][i])
-    return {"height": height, "width": width, "point_step": step, "row_step": width * step + pad, "is_bigendian": bigendian, "fields": fields, "payload": bytes(payload)}
+            struct.pack_into(order + LETTERS[f["datatype"]], payload,
+                (i // width) * (width * step + pad) + (i % width) * step + f["offset"], columns[f["name"]][i])
+    return {"height": height, "width": width, "point_step": step, "row_step": width * step + pad, "is_bigendian": bigendian,
+        "fields": fields, "payload": bytes(payload)}
 
 
 #: Fields of the messages that ``packed`` makes: coordinates as float64, offsets as they come.
@@ -101,7 +104,9 @@ def packed(rows: DataFrame) -> DataFrame:
         n, size = table.num_rows, kind.itemsize
         frame = table.column("frame_index")[0].as_py()
         row = [frame, frame * 100_000_000, "sensor", 1, n, size, n * size, False, fields, raw.tobytes()]
-        kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.bool_(), pa.list_(pa.struct([("name", pa.string()), ("offset", pa.int32()), ("datatype", pa.int32()), ("count", pa.int32())])), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.bool_(),
+            pa.list_(pa.struct([("name", pa.string()), ("offset", pa.int32()), ("datatype", pa.int32()), ("count", pa.int32())])),
+            pa.binary()]
         return pa.table({c: pa.array([v], t) for c, t, v in zip(names, kinds, row, strict=True)})
 
     return rows.select("frame_index", "source_index", *[n for n, _, _ in PACKED]).groupBy("frame_index").applyInArrow(run, MESSAGE)
@@ -119,17 +124,21 @@ def points(messages: DataFrame, kind: str = "float") -> DataFrame:
             for m in batch.to_pylist():
                 cols = decode(m)
                 n = len(cols["x"])
-                data = {"frame_index": pa.array(np.full(n, m["frame_index"]), pa.int64()), "stamp_ns": pa.array([m["stamp_ns"]] * n, pa.int64()), "source_index": pa.array(np.arange(n), pa.int64())}
+                data = {"frame_index": pa.array(np.full(n, m["frame_index"]), pa.int64()),
+                    "stamp_ns": pa.array([m["stamp_ns"]] * n, pa.int64()), "source_index": pa.array(np.arange(n), pa.int64())}
                 for c, t in (("x", xyz), ("y", xyz), ("z", xyz), ("intensity", pa.float32()), ("ring", pa.int32()), ("timestamp", pa.float64())):
                     data[c] = pa.array(cols[c]).cast(t, safe=False) if c in cols else pa.nulls(n, t)
                 data["absent_fields"] = pa.array([[c for c in OPTIONAL if c not in cols]] * n, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_pydict(data)
 
-    return messages.select(*[c.split()[0] for c in MESSAGE.split(", ")]).mapInArrow(run, POINTS.replace("x float, y float, z float", f"x {kind}, y {kind}, z {kind}"))
+    return messages.select(*[c.split()[0] for c in MESSAGE.split(", ")]).mapInArrow(run,
+        POINTS.replace("x float, y float, z float", f"x {kind}, y {kind}, z {kind}"))
 
 
 def headers(messages: DataFrame) -> DataFrame:
     """What each message says of itself, and whether it tells returns apart."""
     from pyspark.sql import functions as F
 
-    return messages.select("frame_index", "stamp_ns", "frame_id", "height", "width", "point_step", "row_step", "is_bigendian", F.exists("fields", lambda f: f["name"].isin(*RETURN_FIELDS)).alias("has_return_type"), F.transform("fields", lambda f: f["name"]).alias("field_names"))
+    return messages.select("frame_index", "stamp_ns", "frame_id", "height", "width", "point_step", "row_step", "is_bigendian",
+        F.exists("fields", lambda f: f["name"].isin(*RETURN_FIELDS)).alias("has_return_type"),
+        F.transform("fields", lambda f: f["name"]).alias("field_names"))

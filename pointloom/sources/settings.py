@@ -31,8 +31,10 @@ def profile(settings: dict) -> tuple[Profile, Axis]:
     """The straight clearance profile and the tolerances that a track is held against."""
     shape, along, axis = settings["profile"], settings["longitudinal"], settings["axis_check"]
     p = replace(
-        PROFILE, width_m=float(shape["width_m"]), height_m=float(shape["height_m"]), center_l_m=float(shape["center_l_m"]), floor_offset_m=float(shape["lower_boundary_above_rail_head_m"]),
-        rail_head_h_m=float(settings["prior"]["rail_head_h_if_z_up_and_angles_zero_m"]), s_min_m=float(along["s_min_m"]), s_max_m=float(along["s_max_m"]), far_from_m=float(along["far_assumption_from_s_m"]),
+        PROFILE, width_m=float(shape["width_m"]), height_m=float(shape["height_m"]), center_l_m=float(shape["center_l_m"]),
+            floor_offset_m=float(shape["lower_boundary_above_rail_head_m"]),
+        rail_head_h_m=float(settings["prior"]["rail_head_h_if_z_up_and_angles_zero_m"]), s_min_m=float(along["s_min_m"]),
+            s_max_m=float(along["s_max_m"]), far_from_m=float(along["far_assumption_from_s_m"]),
     )
     return p, replace(AXIS, heading=float(axis["heading_tolerance_dl_ds"]), min_span_m=float(axis["min_support_span_m"]))
 
@@ -43,7 +45,8 @@ def attachments(settings: dict) -> dict[str, Attachment]:
         raise ValueError("a session must not name the own path")
     m = settings["match"]
     return {
-        v["name"]: Attachment(float(v["s_m"]), float(v["l_m"]), float(m["support_s_min_m"]), float(m["support_s_max_m"]), float(m["lateral_tolerance_m"]), m.get("heading_dl_ds"), m.get("heading_tolerance"))
+        v["name"]: Attachment(float(v["s_m"]), float(v["l_m"]), float(m["support_s_min_m"]), float(m["support_s_max_m"]),
+            float(m["lateral_tolerance_m"]), m.get("heading_dl_ds"), m.get("heading_tolerance"))
         for v in settings["variants"]
         if v.get("enabled")
     }
@@ -53,7 +56,8 @@ def mount(settings: dict) -> Mount:
     """Where the sensor sits; it is applied only if it is confirmed."""
     m = settings["mount"]
     t, a = m["translation_m"], m["rpy_rad"]
-    return Mount(float(t["x"]), float(t["y"]), float(t["z"]), float(a["roll"]), float(a["pitch"]), float(a["yaw"]), bool(m["confirmed"]), m.get("source") or "", m.get("basis") or "")
+    return Mount(float(t["x"]), float(t["y"]), float(t["z"]), float(a["roll"]), float(a["pitch"]), float(a["yaw"]), bool(m["confirmed"]),
+        m.get("source") or "", m.get("basis") or "")
 
 
 @dataclass(frozen=True)
@@ -74,8 +78,10 @@ def variant(settings: dict, name: str | None = None) -> Variant:
 
 #: Settings of the detector by the names that files use.
 DETECTOR_NAMES = {
-    "comparable_object_height_m": "object_height_m", "surface_comparable_fraction": "object_fraction", "structure_height_tolerance_m": "line_height_tol_m", "cluster_gap_m": "cell_gap_m",
-    "link_distance_m": "link_m", "large_min_unique_xyz": "large_min", "local_radius_m": "radii_m", "local_anchor_step_m": "anchor_step_m", "local_min_support": "min_support", "local_lower_fraction": "lower_fraction",
+    "comparable_object_height_m": "object_height_m", "surface_comparable_fraction": "object_fraction",
+        "structure_height_tolerance_m": "line_height_tol_m", "cluster_gap_m": "cell_gap_m",
+    "link_distance_m": "link_m", "large_min_unique_xyz": "large_min", "local_radius_m": "radii_m", "local_anchor_step_m": "anchor_step_m",
+        "local_min_support": "min_support", "local_lower_fraction": "lower_fraction",
     "local_level_gap_m": "level_gap_m", "local_unstable_ratio": "unstable_ratio", "local_fit_min": "fit_min", "local_holdout_min": "holdout_min",
 }
 
@@ -93,7 +99,8 @@ def detector(settings: dict) -> Detector:
 
 def roles(spark: SparkSession, settings: dict) -> DataFrame:
     """The split of the recordings: run, role."""
-    return spark.createDataFrame([(run, role) for role, runs in (settings.get("split") or {}).items() for run in runs or []], "run string, role string")
+    return spark.createDataFrame([(run, role) for role, runs in (settings.get("split") or {}).items() for run in runs or []],
+        "run string, role string")
 
 
 def view_frames(spark: SparkSession, settings: dict) -> DataFrame:
@@ -106,4 +113,5 @@ def view_frames(spark: SparkSession, settings: dict) -> DataFrame:
 
 def parameters(spark: SparkSession, *settings) -> DataFrame:
     """Every number of some dataclasses, as a table: group, name, value."""
-    return spark.createDataFrame([(type(s).__name__.lower(), f.name, str(getattr(s, f.name))) for s in settings for f in fields(s)], "group string, name string, value string")
+    return spark.createDataFrame([(type(s).__name__.lower(), f.name, str(getattr(s, f.name))) for s in settings for f in fields(s)],
+        "group string, name string, value string")

@@ -22,10 +22,12 @@ def frames_stream(spark: SparkSession, path: str, schema: str, per_trigger: int
 
 def shed_load(batch: DataFrame, order: str = "reception") -> DataFrame:
     """The latest frame of a micro-batch, with the number of those dropped for it."""
-    return batch.agg(F.max_by(F.struct(*batch.columns), order).alias("f"), (F.count("*") - 1).alias("dropped")).where("f is not null").select("f.*", "dropped")
+    return batch.agg(F.max_by(F.struct(*batch.columns), order).alias("f"),
+        (F.count("*") - 1).alias("dropped")).where("f is not null").select("f.*", "dropped")
 
 
-def write_journal(stream: DataFrame, path: str, checkpoint: str, keep_latest: bool = False, transform=None, event_time: str | None = None, late: str = "1 hour"):
+def write_journal(stream: DataFrame, path: str, checkpoint: str, keep_latest: bool = False, transform=None, event_time: str | None = None,
+    late: str = "1 hour"):
     """Exactly one JSON line for each (session_id, sequence).
 
     Each micro-batch goes to a folder of its own number, overwritten when it is repeated after a
@@ -94,13 +96,15 @@ def pictures(stream: DataFrame, put, checkpoint: str, hertz: float = 2.0):
                 shown[p.slot] = key
                 put(p)
 
-    return stream.writeStream.foreachBatch(show).trigger(processingTime=f"{round(1000 / hertz)} milliseconds").option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(show).trigger(processingTime=f"{round(1000 / hertz)} milliseconds").option("checkpointLocation",
+        checkpoint)
 
 
 def join_cards(cards: DataFrame, clouds: DataFrame, late: str = "10 seconds") -> DataFrame:
     """Result cards with their clouds by sequence; both sides forget what is later than the watermark."""
     c = cards.withWatermark("ts", late)
-    d = clouds.select(F.col("sequence").alias("cloud_sequence"), F.col("ts").alias("cloud_ts"), F.col("points").alias("cloud_points")).withWatermark("cloud_ts", late)
+    d = clouds.select(F.col("sequence").alias("cloud_sequence"), F.col("ts").alias("cloud_ts"),
+        F.col("points").alias("cloud_points")).withWatermark("cloud_ts", late)
     return c.join(d, F.expr(f"sequence = cloud_sequence and cloud_ts between ts - interval {late} and ts + interval {late}"))
 
 
@@ -111,4 +115,6 @@ def windowed_rates(frames: DataFrame, seconds: int = 5, late: str = "10 seconds"
 
 def counters(frames: DataFrame) -> DataFrame:
     """Received, written, timed out and failed frames, whose sum must balance."""
-    return frames.agg(F.count("*").alias("received"), F.count_if(F.col("status") == "ok").alias("written"), F.count_if(F.col("status") == "processing_timeout").alias("timeout"), F.count_if(F.col("status") == "processing_error").alias("failed"), F.lit(0).alias("dropped"))
+    return frames.agg(F.count("*").alias("received"), F.count_if(F.col("status") == "ok").alias("written"),
+        F.count_if(F.col("status") == "processing_timeout").alias("timeout"),
+        F.count_if(F.col("status") == "processing_error").alias("failed"), F.lit(0).alias("dropped"))

@@ -20,7 +20,8 @@ def tracked(t: Tracker, session: int, pdf: pd.DataFrame) -> pd.DataFrame:
     some = lambda x: None if x is None or x != x else x
     for frame, part in pdf.sort_values(["frame", "candidate_id"]).groupby("frame"):
         first = part.iloc[0]
-        cands = [{"candidate_id": r.candidate_id, "corridor_key": some(r.corridor_key), "position": (r.s, r.l, r.h)} for r in part.itertuples() if some(r.candidate_id) is not None]
+        cands = [{"candidate_id": r.candidate_id, "corridor_key": some(r.corridor_key),
+            "position": (r.s, r.l, r.h)} for r in part.itertuples() if some(r.candidate_id) is not None]
         pose = None if first.pose is None else [list(map(float, first.pose[k : k + 4])) for k in (0, 4, 8, 12)]
         got = t.step(int(frame), float(first.stamp_s), cands, first.reference or SENSOR_FRAME, pose, bool(first.reliable))
         rows += [(session, int(frame), r["track_id"], r["candidate_id"], r["association"], r["count"], r["confirmed"]) for r in got]
@@ -32,7 +33,8 @@ def posed(candidates: DataFrame) -> DataFrame:
     """``candidates`` with the columns that tracking needs; without poses every frame stands at one place."""
     eye = F.array(*[F.lit(float(i == j)) for i in range(4) for j in range(4)])
     given = {"pose": eye, "reliable": F.lit(True), "reference": F.lit(SENSOR_FRAME)}
-    return candidates.withColumns({c: v for c, v in given.items() if c not in candidates.columns}).select(*[c.split()[0] for c in CANDIDATES.split(", ")])
+    return candidates.withColumns({c: v for c,
+        v in given.items() if c not in candidates.columns}).select(*[c.split()[0] for c in CANDIDATES.split(", ")])
 
 
 def journal_of(events: DataFrame, slot: int = 200) -> DataFrame:
@@ -75,7 +77,9 @@ def pair_histories(frames: DataFrame) -> DataFrame:
 def tracks_of(events: DataFrame) -> DataFrame:
     """Events as candidates: one session for each user, the value as place along the path."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    c = events.select(F.col("user_id").alias("session_key"), n.cast("long").alias("frame"), (n * 0.1).cast("double").alias("stamp_s"), F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("candidate_id"), F.lit("H1").alias("corridor_key"), (F.col("value") / 100.0).alias("s"), F.lit(0.0).alias("l"), F.lit(0.0).alias("h"))
+    c = events.select(F.col("user_id").alias("session_key"), n.cast("long").alias("frame"), (n * 0.1).cast("double").alias("stamp_s"),
+        F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("candidate_id"), F.lit("H1").alias("corridor_key"),
+        (F.col("value") / 100.0).alias("s"), F.lit(0.0).alias("l"), F.lit(0.0).alias("h"))
     return track_frames(c)
 
 
@@ -83,7 +87,9 @@ def histories_of(events: DataFrame) -> DataFrame:
     """Events as frames with one pair each: the value says how far the lines are apart; every seventh frame has one line only."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     e = events.select(F.col("user_id").alias("session_key"), n.cast("long").alias("frame"), (1.4 + F.col("value") / 400).alias("d"))
-    pair = F.struct((-F.col("d") / 2).alias("left"), (F.col("d") / 2).alias("right"), F.col("d").alias("distance"), (F.col("d") / 100).alias("slope"), (F.col("d") - 1.5).alias("place"))
+    pair = F.struct((-F.col("d") / 2).alias("left"), (F.col("d") / 2).alias("right"), F.col("d").alias("distance"),
+        (F.col("d") / 100).alias("slope"), (F.col("d") - 1.5).alias("place"))
     one = F.col("frame") % 7 == 0
-    rows = e.select("session_key", "frame", (F.col("frame") % 11 != 0).alias("ground_found"), F.when(~one & (F.col("frame") % 11 != 0), F.array(pair)).alias("pairs"), F.when(one, F.array(-F.col("d") / 2)).alias("lines"))
+    rows = e.select("session_key", "frame", (F.col("frame") % 11 != 0).alias("ground_found"),
+        F.when(~one & (F.col("frame") % 11 != 0), F.array(pair)).alias("pairs"), F.when(one, F.array(-F.col("d") / 2)).alias("lines"))
     return pair_histories(rows)

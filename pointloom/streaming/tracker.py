@@ -38,7 +38,8 @@ class Tracker:
     window: int = 3
     state: dict[str, Any] = field(default_factory=lambda: {"seen": [], "reference": None, "next": 1, "tracks": []})
 
-    def step(self, frame: int, stamp_s: float, candidates: list[dict], reference: str = SENSOR_FRAME, pose: list[list[float]] | None = None, reliable: bool = True) -> list[dict]:
+    def step(self, frame: int, stamp_s: float, candidates: list[dict], reference: str = SENSOR_FRAME, pose: list[list[float]] | None = None,
+        reliable: bool = True) -> list[dict]:
         """A row for each candidate, then one for each track without one: track_id, candidate_id, association, count, confirmed."""
         s = self.state
         if frame in s["seen"]:
@@ -69,11 +70,13 @@ class Tracker:
             elif mine:
                 (t,) = mine
                 track = s["tracks"][t]
-                track |= {"position": list(cand["position"]), "pose": pose, "seen": [*track["seen"], True][-self.window :], "missed": 0, "stamp": stamp_s, "candidate_id": cand["candidate_id"], "status": "active"}
+                track |= {"position": list(cand["position"]), "pose": pose, "seen": [*track["seen"], True][-self.window :], "missed": 0,
+                    "stamp": stamp_s, "candidate_id": cand["candidate_id"], "status": "active"}
                 used.add(t)
                 out.append(self._row(track, "linked", cand))
             else:
-                track = {"track_id": s["next"], "corridor_key": cand["corridor_key"], "position": list(cand["position"]), "pose": pose, "seen": [True], "missed": 0, "stamp": stamp_s, "candidate_id": cand["candidate_id"], "status": "active"}
+                track = {"track_id": s["next"], "corridor_key": cand["corridor_key"], "position": list(cand["position"]), "pose": pose,
+                    "seen": [True], "missed": 0, "stamp": stamp_s, "candidate_id": cand["candidate_id"], "status": "active"}
                 s["next"] += 1
                 born.append(track)
                 out.append(self._row(track, "new", cand))
@@ -94,7 +97,8 @@ class Tracker:
 
     def _row(self, track: dict, association: str, cand: dict | None = None) -> dict:
         n = sum(track["seen"])
-        return {"track_id": track["track_id"], "candidate_id": cand["candidate_id"] if cand else None, "association": association, "count": n, "confirmed": n >= self.need}
+        return {"track_id": track["track_id"], "candidate_id": cand["candidate_id"] if cand else None, "association": association,
+            "count": n, "confirmed": n >= self.need}
 
 
 def _tail(values: list[float], window: int) -> float | None:
@@ -117,9 +121,11 @@ class PairHistories:
 
     def step(self, frame: int, pairs: list[dict], lines: list[float] = (), ground_found: bool = True) -> list[dict]:
         """Rows of this frame: one for each history, new ones included, and for each pair that stays unassigned."""
-        cost = sorted((max(abs(p["left"] - h["left"]), abs(p["right"] - h["right"])), i, j) for i, h in enumerate(self.histories) for j, p in enumerate(pairs))
+        cost = sorted((max(abs(p["left"] - h["left"]), abs(p["right"] - h["right"])), i, j) for i, h in enumerate(self.histories) for j,
+            p in enumerate(pairs))
         cost = [x for x in cost if x[0] <= self.cfg.match_m]
-        torn = [{k for k in {x[1 + side] for x in cost} if len(own := [x[0] for x in cost if x[1 + side] == k]) > 1 and own[1] - own[0] < self.cfg.match_gap_m} for side in (0, 1)]
+        torn = [{k for k in {x[1 + side] for x in cost} if len(own := [x[0] for x in cost if x[1 + side] == k]) > 1 and own[1] - own[0] < self.cfg.match_gap_m} for side in (0,
+            1)]
         of: dict[int, int] = {}
         for _, i, j in cost:
             if i not in torn[0] and j not in torn[1] and i not in of and j not in of.values():
@@ -133,14 +139,16 @@ class PairHistories:
                 rows.append(self._row(h, frame, "paused", "ambiguous", raw=_tail([pairs[j]["distance"] for _, k, j in cost if k == i], len(cost))))
             else:
                 side, place = self._assumed(h, lines)
-                rows.append(self._row(h, frame, "paused", "one_line_seen" if side else "not_seen" if ground_found else "no_ground", assumed_side=side, assumed_l=place))
+                rows.append(self._row(h, frame, "paused", "one_line_seen" if side else "not_seen" if ground_found else "no_ground",
+                    assumed_side=side, assumed_l=place))
         for j, p in enumerate(pairs):
             if j in of.values():
                 continue
             if j in touched or j in torn[1]:
                 rows.append({"pair_id": None, "frame": frame, "update": "paused", "reason": "ambiguous_not_opened", "raw": p["distance"]})
             else:
-                h = {"pair_id": len(self.histories) + 1, "left": p["left"], "right": p["right"], "widths": [], "slopes": [], "places": [], "pending": [], "outliers": 0, "conflict": None, "width_frame": None, "place_frame": None}
+                h = {"pair_id": len(self.histories) + 1, "left": p["left"], "right": p["right"], "widths": [], "slopes": [], "places": [],
+                    "pending": [], "outliers": 0, "conflict": None, "width_frame": None, "place_frame": None}
                 self.histories.append(h)
                 rows.append(self._measured(h, frame, p))
         return rows
@@ -182,6 +190,8 @@ class PairHistories:
     def _row(self, h: dict, frame: int, update: str, reason: str, **more) -> dict:
         age = lambda k: None if h[k] is None else frame - h[k]
         return {
-            "pair_id": h["pair_id"], "frame": frame, "update": update, "reason": reason, "width": _tail(h["widths"], self.cfg.width_window), "width_age": age("width_frame"), "conflict": h["conflict"] if update == "width_conflict" else None,
-            "slope": _tail(h["slopes"], self.cfg.pose_window), "place": _tail(h["places"], self.cfg.pose_window), "place_age": age("place_frame"), **more,
+            "pair_id": h["pair_id"], "frame": frame, "update": update, "reason": reason, "width": _tail(h["widths"], self.cfg.width_window),
+                "width_age": age("width_frame"), "conflict": h["conflict"] if update == "width_conflict" else None,
+            "slope": _tail(h["slopes"], self.cfg.pose_window), "place": _tail(h["places"], self.cfg.pose_window),
+                "place_age": age("place_frame"), **more,
         }
