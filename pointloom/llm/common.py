@@ -66,7 +66,8 @@ def map_texts(
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(passed))] + new, names=passed + [n for n, _, _ in fields])
 
     mapped = inner.mapInArrow(run, ", ".join(out))
-    return mapped.select(*[F.col(f"`{c}`") for c in df.columns if c in passed or c in names], *[F.col(f"`{n}`") for n, _, _ in fields if n not in df.columns]) if keep else mapped
+    return mapped.select(*[F.col(f"`{c}`") for c in df.columns if c in passed or c in names],
+        *[F.col(f"`{n}`") for n, _, _ in fields if n not in df.columns]) if keep else mapped
 
 
 def fresh(df: DataFrame, name: str) -> str:

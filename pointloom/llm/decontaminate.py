@@ -221,7 +221,8 @@ def shards(items: DataFrame, item_id: str, item_text: str) -> Iterable[Index]:
             yield out.filter(kept)
 
     rows = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).distinct()
-    rows = materialise(rows.withColumn("raw", F.col("body").cast("binary")).mapInArrow(split, f"item {kind}, body string, words array<binary>"), "items")
+    rows = materialise(rows.withColumn("raw", F.col("body").cast("binary")).mapInArrow(split,
+            f"item {kind}, body string, words array<binary>"), "items")
     seen = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     corpus = Corpus(seen.n, seen.mean or 0.0)
     df = rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
@@ -241,12 +242,14 @@ def shards(items: DataFrame, item_id: str, item_text: str) -> Iterable[Index]:
         yield Index(held, corpus, known)
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
+    item_text: str = "text") -> DataFrame:
     """One row per document and test item that it leaks: ids, best score and the shares that verified it."""
     spark = docs.sparkSession
     arrow_limits(spark)
     rates = ("score", "shingle_share", "question_share", "answer_share")
-    schema = ", ".join([f"doc_id {docs.schema[id_col].dataType.simpleString()}", f"item_id {items.schema[item_id].dataType.simpleString()}", *(f"{x} double" for x in rates)])
+    schema = ", ".join([f"doc_id {docs.schema[id_col].dataType.simpleString()}", f"item_id {items.schema[item_id].dataType.simpleString()}",
+        *(f"{x} double" for x in rates)])
     item_type = to_arrow_type(items.schema[item_id].dataType)
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     indexes = shards(items, item_id, item_text)
@@ -260,7 +263,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 texts = [(k, words_of(t)) for k, t in enumerate(b.column(1).to_pylist()) if t]
                 rows = [(k, index.ids[place], *x) for k, words in texts for index in own for place, x in sorted(index.search(words).items())]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", *rates])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type),
+                        *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", *rates])
 
         got = body.mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)

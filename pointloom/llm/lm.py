@@ -79,7 +79,8 @@ def _blocks(folds: int, id_type: pa.DataType):
                         np.add.at(tally, seq, 1)
             for a in range(0, len(seqs), 1000):
                 part_of = seqs[a : a + 1000]
-                yield rows(0, len(part_of), doc_id=ids[a : a + 1000], held_out=helds[a : a + 1000], n_tokens=[len(s) for s in part_of], seq=[_bytes(s) for s in part_of])
+                yield rows(0, len(part_of), doc_id=ids[a : a + 1000], held_out=helds[a : a + 1000], n_tokens=[len(s) for s in part_of],
+                    seq=[_bytes(s) for s in part_of])
             for a in range(0, len(words), 50_000):
                 b = min(len(words), a + 50_000)
                 yield rows(1, b - a, word=words[a:b], local=np.arange(a, b, dtype=np.int32), n=tally[a:b])
@@ -126,7 +127,8 @@ def _pack(batches):
         order = np.argsort(block, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
             rows = rows[np.argsort(local[rows])]
-            row = [block[rows[0]], _bytes(np.diff(local[rows], prepend=np.int32(0))), _bytes(c[rows]), _bytes(word[rows]), int((first[rows] & (c[rows] > 0)).sum())]
+            row = [block[rows[0]], _bytes(np.diff(local[rows], prepend=np.int32(0))), _bytes(c[rows]), _bytes(word[rows]),
+                int((first[rows] & (c[rows] > 0)).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
     held, n = [], 0
@@ -359,7 +361,8 @@ def _add(level: int, buckets: int, id_type: pa.DataType):
             states, at = np.unique(state[first[arc]], return_inverse=True)
             sums, arcs = np.bincount(at, total[arc], len(states)).astype(np.int64), np.bincount(at, minlength=len(states))
             if kind == SPREAD_OUT:
-                rows += [{"kind": PARTS, "bucket": b, **{c: _bytes(y[r]) for c, y in zip("abc", (states, sums, arcs), strict=True)}} for b, r in _dealt(states, buckets)]
+                rows += [{"kind": PARTS, "bucket": b, **{c: _bytes(y[r]) for c, y in zip("abc", (states, sums, arcs), strict=True)}} for b,
+                    r in _dealt(states, buckets)]
             low = 0
             for block, size in zip(got.column("block").to_pylist(), _sizes(got, "b"), strict=True):
                 here = slice(low, low := low + size)
@@ -369,7 +372,8 @@ def _add(level: int, buckets: int, id_type: pa.DataType):
                     row |= dict(zip("bc", map(_bytes, _looked_up(own[_first(own)], states, sums, arcs)), strict=True))
                 rows.append(row)
         asked = _of_kind(t, ASK)
-        rows += [{"kind": ASK, "bucket": bucket, "block": b, "a": a} for b, a in zip(asked.column("block").to_pylist(), asked.column("a").to_pylist(), strict=True)]
+        rows += [{"kind": ASK, "bucket": bucket, "block": b, "a": a} for b,
+            a in zip(asked.column("block").to_pylist(), asked.column("a").to_pylist(), strict=True)]
         return _packets(rows, id_type)
 
     return run
@@ -398,7 +402,8 @@ def _add_parts(level: int, id_type: pa.DataType):
         rows = []
         for block, state in zip(asked.column("block").to_pylist(), _arrays(asked, "a", np.int64), strict=True):
             found = _looked_up(np.cumsum(state), states, *values)
-            rows.append({"kind": SUMS + LEVEL * (level - 1), "bucket": t.column("bucket")[0].as_py(), "block": block, **{c: _bytes(v) for c, v in zip("bc", found, strict=True)}})
+            rows.append({"kind": SUMS + LEVEL * (level - 1), "bucket": t.column("bucket")[0].as_py(), "block": block,
+                **{c: _bytes(v) for c, v in zip("bc", found, strict=True)}})
         return _packets(rows, id_type)
 
     return run
@@ -436,7 +441,8 @@ def _traverse(total: int, distinct: int, buckets: int):
         starts = x.bounds[:-1]
         return pa.table({
             "doc_id": x.texts.column("doc_id"), "held_out": x.texts.column("held_out"), "n_tokens": x.texts.column("n_tokens"),
-            "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)), "base_score": pa.array(np.add.reduceat(plain, starts)), "score": pa.array(np.add.reduceat(weight, starts)),
+            "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)), "base_score": pa.array(np.add.reduceat(plain, starts)),
+                "score": pa.array(np.add.reduceat(weight, starts)),
         })
 
     return run
@@ -475,12 +481,14 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
     def packets(given: DataFrame, kind: int, **columns: str) -> DataFrame:
         cols = {"block": "block", **columns}
-        return given.select(*[(F.lit(kind) if n == "kind" else F.col(cols[n]) if n in cols else F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in packet.split(", "))])
+        return given.select(*[(F.lit(kind) if n == "kind" else F.col(cols[n]) if n in cols else F.lit(None)).cast(t).alias(n) for n,
+            t in (x.split() for x in packet.split(", "))])
 
     def by(given: DataFrame, key: str, run, out: str = packet) -> DataFrame:
         return given.repartition(tasks, key).groupBy(key).applyInArrow(run, out)
 
-    own = packets(docs, TEXT, doc_id="doc_id", held_out="held_out", n_tokens="n_tokens", a="seq").unionByName(packets(counted, WORDS, a="locals", b="counts", c="words"))
+    own = packets(docs, TEXT, doc_id="doc_id", held_out="held_out", n_tokens="n_tokens",
+        a="seq").unionByName(packets(counted, WORDS, a="locals", b="counts", c="words"))
     known = own  # what the blocks have so far
     for level in (1, 2):
         dealt = by(known, "block", _deal(level, buckets, id_type))

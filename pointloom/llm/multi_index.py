@@ -82,7 +82,8 @@ def unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     out, valid = np.zeros((n, width)), sized.copy()
     if sized.any():
         values = pc.list_flatten(column.filter(pa.array(sized))).cast(pa.float64())
-        x = np.nan_to_num(values.to_numpy(zero_copy_only=False), nan=np.nan, posinf=np.nan, neginf=np.nan).reshape(-1, width)  # null, too, becomes nan
+        x = np.nan_to_num(values.to_numpy(zero_copy_only=False), nan=np.nan, posinf=np.nan, neginf=np.nan).reshape(-1,
+            width)  # null, too, becomes nan
         top = np.abs(x).max(1)
         good = np.isfinite(top) & (top > 0)
         valid[sized] = good
@@ -181,7 +182,8 @@ def links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thr
     """(id, n, root): parts of link counts and forest edges; None where nothing can link."""
     arrow_limits(df.sparkSession)
     vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
-    finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))) & F.exists("vec", lambda c: c != 0)
+    finite = F.forall("vec",
+        lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))) & F.exists("vec", lambda c: c != 0)
     out, lengths = None, vectors.where(finite).groupBy(F.size("vec").alias("w")).count().where("count > 1")
     for r in lengths.orderBy("w").toLocalIterator():  # as a rule, one
         grid = fit(vectors.where(finite), r.w, r["count"], threshold)
@@ -204,20 +206,26 @@ def _links_of(vectors: DataFrame, grid: Grid, width: int, threshold: float) -> D
             for at in range(0, len(x), 256):
                 part = x[at : at + 256]
                 cells = g.cells(part).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"id": ids[at : at + 256], "unit": pa.array([r.tobytes() for r in part], pa.binary()), "home": cells[:, 0], "visited": pa.array([r.tobytes() for r in cells], pa.binary()), "cells": pa.array(list(cells), pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"id": ids[at : at + 256], "unit": pa.array([r.tobytes() for r in part], pa.binary()),
+                    "home": cells[:, 0], "visited": pa.array([r.tobytes() for r in cells], pa.binary()),
+                    "cells": pa.array(list(cells), pa.list_(pa.int32()))})
 
     coded = materialise(vectors.mapInArrow(encode, "id long, unit binary, home int, visited binary, cells array<int>"), "multi-index")
     visit = coded.select("id", "unit", "home", F.explode("cells").alias("cell"))
     members = coded.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("members"))
     visitors = coded.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("visitors"))
     chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    sizes = materialise(members.join(visitors, "cell").where("visitors > 1").select("cell", chunks("members").alias("hs"), chunks("visitors").alias("ps")), "multi-index-cells")
+    sizes = materialise(members.join(visitors, "cell").where("visitors > 1").select("cell", chunks("members").alias("hs"),
+            chunks("visitors").alias("ps")), "multi-index-cells")
     sizes = F.broadcast(sizes)  # a row for each cell of the grid at most, 1024 x 1024
     of = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = coded.select("id", "unit", "visited", F.col("home").alias("cell")).join(sizes, "cell").select("id", "unit", "visited", "cell", of("hs").alias("h"), every("ps").alias("p"))
-    right = visit.join(sizes, "cell").select(F.col("id").alias("visitor"), F.col("unit").alias("its"), F.col("home").alias("its_home"), F.col("cell").alias("its_cell"), of("ps").alias("its_p"), every("hs").alias("its_h"))
-    return left.groupBy("cell", "h", "p").cogroup(right.groupBy("its_cell", "its_h", "its_p")).applyInArrow(_meet(threshold), "id long, n long, root long")
+    left = coded.select("id", "unit", "visited", F.col("home").alias("cell")).join(sizes, "cell").select("id", "unit", "visited", "cell",
+        of("hs").alias("h"), every("ps").alias("p"))
+    right = visit.join(sizes, "cell").select(F.col("id").alias("visitor"), F.col("unit").alias("its"), F.col("home").alias("its_home"),
+        F.col("cell").alias("its_cell"), of("ps").alias("its_p"), every("hs").alias("its_h"))
+    return left.groupBy("cell", "h", "p").cogroup(right.groupBy("its_cell", "its_h", "its_p")).applyInArrow(_meet(threshold),
+        "id long, n long, root long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -230,5 +238,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         parts = materialise(found, "multi-index-links")
         counts = parts.groupBy(F.col("id").alias("vec_id")).agg(F.sum("n").alias("n_links"))
         stars = star_edges(parts.select("id", "root"), "id", "root").withColumnsRenamed({"u": "vec_id", "v": "root"})
-        done = own.join(counts, "vec_id", "left").join(stars, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", F.col("vec_id").cast("long")).alias("component_id"))
+        done = own.join(counts, "vec_id", "left").join(stars, "vec_id", "left").select("vec_id",
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce("root", F.col("vec_id").cast("long")).alias("component_id"))
     return done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

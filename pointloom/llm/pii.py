@@ -47,9 +47,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 PROBABILITY = 0.9
 #: How often a form is personal data after a word that hints at its kind, after any other word, and after one of DOUBTS.
 RATES = {
-    "spelt address in brackets": (0.99, 0.97, 0.92), "spelt address in words": (0.97, 0.70, 0.30), "words around at": (0.06, 0.02, 0.01), "eight hexadecimal groups": (0.98, 0.94, 0.80), "clock time": (0.02, 0.01, 0.01),
-    "card number with its check digit": (0.99, 0.92, 0.40), "digits like a card": (0.05, 0.01, 0.01), "grouped phone number": (0.97, 0.35, 0.08), "date or sum": (0.03, 0.01, 0.01), "bracketed phone number": (0.99, 0.95, 0.60),
-    "account number with its check digits": (0.99, 0.98, 0.90), "letters and digits like an account": (0.10, 0.03, 0.01), "social number": (0.98, 0.45, 0.10), "number out of the social range": (0.05, 0.02, 0.01),
+    "spelt address in brackets": (0.99, 0.97, 0.92), "spelt address in words": (0.97, 0.70, 0.30), "words around at": (0.06, 0.02, 0.01),
+        "eight hexadecimal groups": (0.98, 0.94, 0.80), "clock time": (0.02, 0.01, 0.01),
+    "card number with its check digit": (0.99, 0.92, 0.40), "digits like a card": (0.05, 0.01, 0.01),
+        "grouped phone number": (0.97, 0.35, 0.08), "date or sum": (0.03, 0.01, 0.01), "bracketed phone number": (0.99, 0.95, 0.60),
+    "account number with its check digits": (0.99, 0.98, 0.90), "letters and digits like an account": (0.10, 0.03, 0.01),
+        "social number": (0.98, 0.45, 0.10), "number out of the social range": (0.05, 0.02, 0.01),
 }
 
 
@@ -93,7 +96,8 @@ DIGIT = re.compile(r"[0-9]")
 AT, DOT = (re.compile(rf"[(\[{{]\x20?{w}\x20?[)\]}}]") for w in ("at", "dot"))
 #: High-recall generators, by the kind that they propose.
 GENERATORS = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,63}){1,4}", re.I)),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,63}){1,4}",
+            re.I)),
     (1, re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])")),
     (2, re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([\x20./-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([\x20./-])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])")),
     (3, re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.\-/])[0-9]{2,4}(?:[\x20.\-/][0-9]{2,6}){1,3}(?![0-9A-Za-z])")),
@@ -128,11 +132,16 @@ def describe(text: str, start: int, kind: int, end: int) -> list[float]:
     before = re.findall(r"[a-z]+", text[max(0, start - 40) : start].lower())[-4:]
     seps = [span.count(c) for c in " -./():"]
     return [
-        float(kind), len(span), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
-        *map(float, seps), float(len({c for c in span if c in " -./"})), float(luhn(digits)) if 12 <= len(digits) <= 19 else -1.0, float(iban_valid(span)) if kind == 4 else -1.0,
-        float("at" in span.lower()), float("dot" in span.lower()), float(any(c in "([{" for c in span)), float(span.lower().endswith(ENDS)), float(len(re.split(r"[ .]", span)[-1])),
-        float(any(h in before for h in HINTS[kind])), float(any(h in before for k, hs in enumerate(HINTS) if k != kind for h in hs)), float(any(h in before for h in DOUBTS)),
-        float(bool(groups) and groups[0][:1] == "0"), float(int(digits[:4]) in range(1900, 2100)) if len(digits) >= 4 else 0.0, float(digits[:3] in ("000", "666") or digits[:1] == "9") if digits else 0.0,
+        float(kind), len(span), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
+            len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
+        *map(float, seps), float(len({c for c in span if c in " -./"})), float(luhn(digits)) if 12 <= len(digits) <= 19 else -1.0,
+            float(iban_valid(span)) if kind == 4 else -1.0,
+        float("at" in span.lower()), float("dot" in span.lower()), float(any(c in "([{" for c in span)), float(span.lower().endswith(ENDS)),
+            float(len(re.split(r"[ .]", span)[-1])),
+        float(any(h in before for h in HINTS[kind])), float(any(h in before for k, hs in enumerate(HINTS) if k != kind for h in hs)),
+            float(any(h in before for h in DOUBTS)),
+        float(bool(groups) and groups[0][:1] == "0"), float(int(digits[:4]) in range(1900, 2100)) if len(digits) >= 4 else 0.0,
+            float(digits[:3] in ("000", "666") or digits[:1] == "9") if digits else 0.0,
         float(start > 0 and text[start - 1] in "#$€£=/\\"), float(end < len(text) and text[end] in "%$€£/\\="), float(len(set(digits)) <= 2),
     ]
 
@@ -187,20 +196,24 @@ def examples(seed: int = 7, n: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         return name.upper() if r.random() < 0.1 else name
 
     forms = {
-        "spelt address in brackets": (0, lambda: address(*r.choice((("(at)", "(dot)"), (" [at] ", "."), (" (at) ", " dot "), ("{at}", "{dot}"), (" (at) ", " (dot) "))), r.choice(ENDS))),
+        "spelt address in brackets": (0, lambda: address(*r.choice((("(at)", "(dot)"), (" [at] ", "."), (" (at) ", " dot "),
+                    ("{at}", "{dot}"), (" (at) ", " (dot) "))), r.choice(ENDS))),
         "spelt address in words": (0, lambda: address(" at ", " dot ", r.choice(ENDS))),
         "words around at": (0, lambda: address(" at ", r.choice((".", " dot ")), word() + "xx")),
         "eight hexadecimal groups": (1, lambda: ":".join(f"{r.randrange(1 << 16):x}" for _ in range(8))),
         "clock time": (1, lambda: ":".join(f"{r.randint(0, 59):02d}" for _ in range(r.randint(3, 4)))),
         "card number with its check digit": (2, lambda: card(True)),
         "digits like a card": (2, lambda: card(False)),
-        "grouped phone number": (3, lambda: r.choice((f"0{num(2)}%s{num(3)}%s{num(4)}", f"{r.randint(2, 9)}{num(2)}%s555%s{num(4)}")).replace("%s", r.choice(" -."))),
+        "grouped phone number": (3, lambda: r.choice((f"0{num(2)}%s{num(3)}%s{num(4)}",
+                    f"{r.randint(2, 9)}{num(2)}%s555%s{num(4)}")).replace("%s", r.choice(" -."))),
         "bracketed phone number": (3, lambda: f"({num(3)}) {num(3)}-{num(4)}"),
-        "date or sum": (3, lambda: r.choice((f"{num(4)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(2)} {num(3)} {num(3)}", f"{num(4)}/{num(2)}/{num(2)}", f"{num(3)}.{num(3)}.{num(3)}.{num(2)}"))),
+        "date or sum": (3, lambda: r.choice((f"{num(4)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{num(2)}.{num(2)}.{num(4)}",
+                    f"{num(2)} {num(3)} {num(3)}", f"{num(4)}/{num(2)}/{num(2)}", f"{num(3)}.{num(3)}.{num(3)}.{num(2)}"))),
         "account number with its check digits": (4, lambda: iban(True)),
         "letters and digits like an account": (4, lambda: iban(False)),
         "social number": (5, lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"),
-        "number out of the social range": (5, lambda: f"{r.choice((0, 666, 900 + r.randint(0, 99))):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"),
+        "number out of the social range": (5,
+            lambda: f"{r.choice((0, 666, 900 + r.randint(0, 99))):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"),
     }
     xs, ys = [], []
     while len(xs) < n:
@@ -331,4 +344,5 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         return f
 
     longs = [(f"n_{k}", "long", pa.int64()) for k in KINDS[:4]]
-    return map_texts(df, id_col, text_col, make, [*longs, ("base_sha256", "string", pa.string()), ("spans", "string", pa.string()), ("n_added", "long", pa.int64())])
+    return map_texts(df, id_col, text_col, make, [*longs, ("base_sha256", "string", pa.string()), ("spans", "string", pa.string()),
+            ("n_added", "long", pa.int64())])

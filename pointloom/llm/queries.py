@@ -28,7 +28,8 @@ def op3_pii_spans(spark, sf_dir):
 
 
 def op4_token_rollups(spark, sf_dir):
-    return rollup.corpus_totals(documents(spark, sf_dir, "doc_id", "source", "lang", "text"), rollup.Rollup(spark, scratch_path(spark, "rollup")), tokenizer_path())
+    return rollup.corpus_totals(documents(spark, sf_dir, "doc_id", "source", "lang", "text"),
+        rollup.Rollup(spark, scratch_path(spark, "rollup")), tokenizer_path())
 
 
 def op5_lm_score(spark, sf_dir):

@@ -105,25 +105,32 @@ class Rollup:
         if batch in done:
             return False
         seq = len(done)
-        rows = changes.select("op", F.col("doc_id").cast("long"), "source", "lang", "tokenizer", F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"), "at")
-        new = rows.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "op"), F.struct("at", F.col("op") == "delete", "tokens", "source", "lang")).alias("n")).select(*KEY, "n.*")
+        rows = changes.select("op", F.col("doc_id").cast("long"), "source", "lang", "tokenizer",
+            F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"), "at")
+        new = rows.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "op"),
+                F.struct("at", F.col("op") == "delete", "tokens", "source", "lang")).alias("n")).select(*KEY, "n.*")
         new = materialise(new, "batch")
-        old = self.ledger(new).where("alive").select(F.col("doc_id").alias("o_id"), F.col("tokenizer").alias("o_tok"), F.col("source").alias("o_source"), F.col("lang").alias("o_lang"), F.col("tokens").alias("o_tokens"), F.lit(True).alias("had"))
+        old = self.ledger(new).where("alive").select(F.col("doc_id").alias("o_id"), F.col("tokenizer").alias("o_tok"),
+            F.col("source").alias("o_source"), F.col("lang").alias("o_lang"), F.col("tokens").alias("o_tokens"), F.lit(True).alias("had"))
         both = new.join(old, new.doc_id.eqNullSafe(old.o_id) & new.tokenizer.eqNullSafe(old.o_tok), "left").where("op <> 'delete' or had")
         folder = f"data-{uuid.uuid4().hex}"
         path = f"{self.path}/{folder}"
         gone = F.col("op") == "delete"
         kept = lambda a, b: F.when(gone, F.col(b)).otherwise(F.col(a))
-        both.select(*KEY, kept("source", "o_source").alias("source"), kept("lang", "o_lang").alias("lang"), "tokens", (~gone).alias("alive"), F.lit(seq).cast("long").alias("seq"), "o_source", "o_lang", "o_tokens", "had").write.parquet(f"{path}/ledger")
+        both.select(*KEY, kept("source", "o_source").alias("source"), kept("lang", "o_lang").alias("lang"), "tokens",
+            (~gone).alias("alive"), F.lit(seq).cast("long").alias("seq"), "o_source", "o_lang", "o_tokens",
+            "had").write.parquet(f"{path}/ledger")
         written = self.spark.read.parquet(f"{path}/ledger")
         plus = written.where("alive").select(*GROUP, F.lit(1).alias("docs"), "tokens")
-        minus = written.where("had").select(F.col("o_source").alias("source"), F.col("o_lang").alias("lang"), "tokenizer", F.lit(-1).alias("docs"), (-F.col("o_tokens")).alias("tokens"))
+        minus = written.where("had").select(F.col("o_source").alias("source"), F.col("o_lang").alias("lang"), "tokenizer",
+            F.lit(-1).alias("docs"), (-F.col("o_tokens")).alias("tokens"))
         plus.unionByName(minus).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{path}/deltas")
         snapshot = seq % SNAPSHOT == SNAPSHOT - 1
         if snapshot:
             columns = [c.split()[0] for c in LEDGER.split(", ")]
             every = self.ledger().select(*columns).unionByName(written.select(*columns))
-            every.groupBy(*KEY).agg(F.max_by(F.struct(*columns[2:]), "seq").alias("x")).select(*KEY, "x.*").where("alive").write.parquet(f"{path}/snapshot")
+            every.groupBy(*KEY).agg(F.max_by(F.struct(*columns[2:]), "seq").alias("x")).select(*KEY,
+                "x.*").where("alive").write.parquet(f"{path}/snapshot")
         self._commit(seq, batch, folder, snapshot)
         return True
 
@@ -149,7 +156,8 @@ def corpus_totals(docs: DataFrame, store: Rollup, tokenizer: str) -> DataFrame:
     body = body.withColumns({"bytes": F.octet_length("body").cast("long"), "digest": F.sha2(F.col("body").cast("binary"), 256)})
     columns = ["doc_id", "source", "lang", "bytes", "digest", "n_tokens"]
     counts = materialise(token_counts(body, tokenizer, text_col="body").select(*columns), "token-counts")
-    rows = lambda op, version, col: counts.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer"), col.cast("long").alias("tokens"), F.lit(0).alias("at"))
+    rows = lambda op, version, col: counts.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer"),
+        col.cast("long").alias("tokens"), F.lit(0).alias("at"))
     copies = counts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     several = copies.where("n > 1")
     copied = join_classes(counts.select("doc_id", "source", "lang", "digest"), several, "digest").where("doc_id <> first")
@@ -157,7 +165,8 @@ def corpus_totals(docs: DataFrame, store: Rollup, tokenizer: str) -> DataFrame:
     steps = [
         ("load", rows("insert", BPE, F.ceil(F.col("bytes") / 4))),
         ("recount", rows("revise", BPE, F.col("n_tokens")).unionByName(rows("insert", BYTES, F.col("bytes")))),
-        ("copies", deleted.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", "tokenizer", F.lit(0).alias("tokens"), F.lit(0).alias("at"))),
+        ("copies", deleted.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", "tokenizer", F.lit(0).alias("tokens"),
+                F.lit(0).alias("at"))),
     ]
     for name, changes in [*steps, steps[1], steps[0]]:  # the last two are repeated deliveries
         store.apply(name, changes)

@@ -137,7 +137,9 @@ def holds_secret(raw: bytes) -> bool:
 def blocks(text: str) -> list[tuple[int, int, str]]:
     """(start, end, body) of key blocks: a mark of the beginning, and as the next mark the end of the same name."""
     marks = list(MARK.finditer(text))
-    return [(a.start(), b.end(), text[a.end() : b.start()]) for a, b in zip(marks, marks[1:], strict=False) if a[1] == "BEGIN" and b[1] == "END" and a[2] == b[2] and BODY.fullmatch(text, a.end(), b.start())]
+    return [(a.start(), b.end(), text[a.end() : b.start()]) for a,
+        b in zip(marks, marks[1:], strict=False) if a[1] == "BEGIN" and b[1] == "END" and a[2] == b[2] and BODY.fullmatch(text, a.end(),
+            b.start())]
 
 
 def is_block(body: str) -> bool:
@@ -223,7 +225,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         return f
 
     longs = [(f"n_{k}", "long", pa.int64()) for k in KINDS[:3]]
-    return map_texts(df, id_col, text_col, make, [*longs, ("base_sha256", "string", pa.string()), ("spans", "string", pa.string()), ("n_confirmed", "long", pa.int64())])
+    return map_texts(df, id_col, text_col, make, [*longs, ("base_sha256", "string", pa.string()), ("spans", "string", pa.string()),
+            ("n_confirmed", "long", pa.int64())])
 
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,7 +82,8 @@ def linked_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
             hole = mask & ~(1 << (low + j))
             hole -= (1 << 64) if hole >= 1 << 63 else 0
             # 64 bits of segment do not fit beside a tag, so the tag is hashed in with the masked bits
-            signatures.append(F.struct(F.lit(64 * s + j).cast("short").alias("tag"), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(hole)), low).alias("key")))
+            signatures.append(F.struct(F.lit(64 * s + j).cast("short").alias("tag"),
+                F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(hole)), low).alias("key")))
     # a small table is read as one or two partitions, which would expand it 64-fold in as many tasks
     tasks = 1 + fps.count() // FINGERPRINTS
     met = fps.repartition(tasks).select("fp", F.explode(F.array(*signatures)).alias("s")).select("fp", "s.tag", "s.key")
@@ -97,8 +98,10 @@ def linked_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
             m = sum(1 << b for b in rest[cuts[p] : cuts[p + 1]])
             m -= (1 << 64) if m >= 1 << 63 else 0
             cases.append((s, p, m))
-    piece = F.array(*[F.when(F.col("tag").between(64 * s, 64 * s + 63), F.struct(F.lit(p).alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("v"))) for s, p, m in cases])
-    dealt = both.select("fp", "tag", "key", F.explode(F.filter(piece, lambda x: x.isNotNull())).alias("x")).select("fp", F.xxhash64("tag", "key", "x.p", "x.v").alias("k"))
+    piece = F.array(*[F.when(F.col("tag").between(64 * s, 64 * s + 63),
+            F.struct(F.lit(p).alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("v"))) for s, p, m in cases])
+    dealt = both.select("fp", "tag", "key", F.explode(F.filter(piece, lambda x: x.isNotNull())).alias("x")).select("fp",
+        F.xxhash64("tag", "key", "x.p", "x.v").alias("k"))
     a, b = dealt.withColumnRenamed("fp", "a"), dealt.withColumnRenamed("fp", "b")
     return a.join(b, "k").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
 
@@ -114,7 +117,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = materialise(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     classes = materialise(docs.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("n")), "classes")
     stars = star_edges(linked_pairs(classes.select("fp"), max_bits), "a", "b")  # components of fingerprints
-    rooted = classes.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").select("fp", "rep",
+        F.coalesce("root", "fp").alias("root"))
     moved = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
     # only classes in a component of two or more need the second look-up; alone, a class is its own component
     several = rooted.join(moved.where("size > 1"), "root").select("fp", F.col("component_id").alias("joined"))

@@ -118,7 +118,8 @@ def choose(rows: list[tuple[np.ndarray, int]]) -> tuple[float, float]:
     return min(GRID, key=lambda s: loss(fit(fitted, *s), rated))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN, folds: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_rows: int = MAX_TRAIN, folds: int = 5) -> Model:
     """Fit on labelled rows outside the held-out fold (crc32 of the id mod ``folds`` is 0)."""
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_remainder(id_col, folds) != 0))
@@ -137,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = materialise(rows.groupBy("__lid", "__label").agg(F.min_by("x", "__text_hash").alias("x")), "features")
     # at most max_rows rows: by hash, as many as have MAX_FEATURES features together
     before = F.sum(F.size("x")).over(Window.orderBy(F.xxhash64("__lid"), "__lid", "__label"))
-    within = rows.select("__lid", "__label", "x").join(F.broadcast(rows.select("__lid", "__label", before.alias("before")).where(F.col("before") <= MAX_FEATURES)), ["__lid", "__label"], "left_semi")
+    within = rows.select("__lid", "__label", "x").join(F.broadcast(rows.select("__lid", "__label",
+                before.alias("before")).where(F.col("before") <= MAX_FEATURES)), ["__lid", "__label"], "left_semi")
     got = within.toArrow()
     ids, ys, xs = got.column("__lid").to_pylist(), got.column("__label").to_pylist(), got.column("x").combine_chunks()
     del got
@@ -162,4 +164,5 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 def predictions(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = train(docs, labels, folds=folds)
-    return score(docs, model).select("doc_id", (crc_remainder("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", (crc_remainder("doc_id", folds) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))

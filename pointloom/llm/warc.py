@@ -72,7 +72,8 @@ def to_bytes(r: Record) -> bytes:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", r.url))
     if r.record_type == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_URN}{r.refers_to}>"]
-    head += [f"WARC-Payload-Digest: sha1:{r.payload_digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    head += [f"WARC-Payload-Digest: sha1:{r.payload_digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
+        "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -115,7 +116,8 @@ def from_bytes(raw: bytes) -> Record:
         x = fields.get(name, "").strip("<>").removeprefix(_URN)
         return int(x) if x not in ("", "null", "None") else None
 
-    return Record(page("warc-record-id"), fields.get("warc-target-uri"), payload, n, digest or base32_sha1(payload), kind, page("warc-refers-to") if kind == "revisit" else None)
+    return Record(page("warc-record-id"), fields.get("warc-target-uri"), payload, n, digest or base32_sha1(payload), kind,
+        page("warc-refers-to") if kind == "revisit" else None)
 
 
 def write_archive(records: list[bytes], level: int = 3) -> bytes:
@@ -133,7 +135,8 @@ def write_archive(records: list[bytes], level: int = 3) -> bytes:
         except zstandard.ZstdError:  # too little or too uniform to train on
             content = b""
     content = content or (samples[0][:DICTIONARY_BYTES] if samples else b"")
-    packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content) if content else None, write_checksum=True, write_content_size=True)
+    packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content) if content else None,
+        write_checksum=True, write_content_size=True)
     return struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content + b"".join(map(packer.compress, records))
 
 
@@ -209,11 +212,14 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     """(name, content) rows: archives of all pages, as many as the data needs."""
     spark = pages.sparkSession
     arrow_limits(spark)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
+        F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     digest = rows.select("id", F.sha1("payload").alias("digest"))
-    repeated = materialise(digest.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "repeated-payloads")
+    repeated = materialise(digest.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest",
+            "first"), "repeated-payloads")
     few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    typed = rows.withColumn("digest", F.sha1("payload")).join(F.broadcast(repeated) if few else repeated, "digest", "left").select("id", "url", "payload", "first")
+    typed = rows.withColumn("digest", F.sha1("payload")).join(F.broadcast(repeated) if few else repeated, "digest", "left").select("id",
+        "url", "payload", "first")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -222,14 +228,16 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
 
         def close():
             nonlocal k, kept, size
-            out = pa.RecordBatch.from_pydict({"name": [f"pages-{part:06d}-{k:04d}.warc.zst"], "content": pa.array([write_archive(kept)], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"name": [f"pages-{part:06d}-{k:04d}.warc.zst"],
+                "content": pa.array([write_archive(kept)], pa.binary())})
             k, kept, size = k + 1, [], 0
             return out
 
         for b in batches:
             for i, url, payload, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 again = first is not None and i != first
-                kept.append(to_bytes(Record(i, url, b"" if again else payload, len(payload), base32_sha1(payload), "revisit" if again else "response", first if again else None)))
+                kept.append(to_bytes(Record(i, url, b"" if again else payload, len(payload), base32_sha1(payload),
+                    "revisit" if again else "response", first if again else None)))
                 size += len(kept[-1])
                 if size >= ARCHIVE_BYTES:
                     yield close()
@@ -244,7 +252,8 @@ def records(found: DataFrame, content_col: str = "content", payload: bool = Fals
 
     A bad record fails the job, or with ``problems`` is a row of its own that says why in the column ``problem`` (null else).
     """
-    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("url", pa.string()), ("payload", pa.binary())] * payload
+    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
+        ("refers_to", pa.int64())] + [("url", pa.string()), ("payload", pa.binary())] * payload
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payload + ", problem string" * problems
     names = [n for n, _ in fields] + ["problem"] * problems
 
