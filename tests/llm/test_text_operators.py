@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, decontaminate, lm, pii, rollup, secrets, simhash, toxicity, warc
 from pointloom.llm.queries import tokenizer_path
@@ -196,6 +197,30 @@ def test_toxicity_settings_come_from_the_sample_and_features_are_bounded(spark,
     assert sum(len(x) for x, _ in seen[-1]) == 90 and toxicity.features(b"a b c d e f").size == 15
 
 
+def test_ftrl_equals_the_plain_rule():
+    r = random.Random(10)
+    rows = [(np.unique(np.array([r.randrange(40) for _ in range(6)], dtype=np.int32)), r.randrange(2)) for _ in range(200)]
+    alpha, l1, last = 0.7, 0.3, -1
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if i != last and abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (math.copysign(l1, z[i]) if i != last else 0.0)) / ((toxicity.BETA + math.sqrt(n[i])) / alpha + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in rows:
+            on = [*x.tolist(), last]
+            g = 1 / (1 + math.exp(-sum(map(weight, on)))) - y
+            for i in on:
+                w = weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w
+                n[i] += g * g
+    m = toxicity.fit(rows, alpha, l1)
+    assert m.bias == pytest.approx(weight(last))
+    assert dict(zip(m.index.tolist(), m.weight.tolist())) == pytest.approx({i: weight(i) for i in range(40) if weight(i)}, abs=1e-6)
+
+
 # --- personal data -----------------------------------------------------------------------------
 
 
@@ -490,6 +515,51 @@ def test_leaks_are_found_wherever_they_stand(spark, monkeypatch):
     assert decontaminate.leaks(half, bench).count() == 0  # a question without its answer
 
 
+def plain_leaks(items, texts):
+    """Every item against every passage of two strides, with statistics over all items."""
+    words = {i: decontaminate.words_of((t or "").encode()) for i, t in items}
+    words = {i: w for i, w in words.items() if w}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    df = Counter(t for w in words.values() for t in set(w))
+    out = set()
+    stride = max(decontaminate.STRIDE, *map(len, words.values()))
+    for k, text in enumerate(texts):
+        body = decontaminate.words_of((text or "").encode())
+        for at in range(0, max(1, len(body)), stride):
+            passage = body[at : at + 2 * stride]
+            have = set(passage)
+            for i, w in words.items():
+                norm = 1.2 * (0.25 + 0.75 * len(w) / mean)
+                share = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + norm) for t, c in Counter(w).items()}
+                if sum(x for t, x in share.items() if t in have) < 0.6 * sum(share.values()):
+                    continue
+                size = min(5, len(w))
+                grams = {tuple(w[a : a + size]) for a in range(len(w) - size + 1)}
+                seen = {tuple(passage[a : a + size]) for a in range(len(passage) - size + 1)}
+                halves = decontaminate.parts_of(dict(items)[i])
+                rates = [sum((Counter(h) & Counter(passage)).values()) / len(h) if h else 1.0 for h in halves]
+                if len(grams & seen) >= 0.8 * len(grams) and min(rates) >= 0.8:
+                    out.add((k, i))
+    return out
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
+    r = random.Random(21)
+    items = list(enumerate([*passages(1, 30, 30), *passages(5, 10, 12), "two words", "one", "the same item here.", "the same item here."]))
+    texts = passages(3, 20, 200)
+    for i, t in items:  # whole, damaged and rearranged items inside other text
+        w = t.split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = "other"
+        texts.append(" ".join([*passages(i, 1, r.randint(20, 90))[0].split(), *w, "end"]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_leaks(items, texts)
+    assert 20 < len(want) < len(items) + 10
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, texts), bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 100)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, texts), bench).collect()} == want
+
+
 def test_short_items_match_whole(spark):
     items = [(1, "What is the capital of France? Paris."), (2, "Blue whale"), (3, "zebra"), (4, "..."), (5, "Blue whale"), (6, "a b c d e f g h. i j k")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -539,6 +609,10 @@ def test_rollup_snapshots_and_taken_numbers(spark, tmp_path, monkeypatch):
         store.apply("late", change([("insert", 9, "a", "en", "v", 1, 0)]))
     assert len(store.batches()) == 5 and totals()["a"] == (1, 14)
     store.release(5)
+    broken = change([("insert", 9, "a", "en", "v", 1, 0)]).withColumn("tokens", F.raise_error(F.lit("torn delivery")).cast("long"))
+    with pytest.raises(Exception, match="torn delivery"):
+        store.apply("broken", broken)  # fails half-way: no batch, no change, and the name is free
+    assert len(store.batches()) == 5 and totals()["a"] == (1, 14)
     assert store.apply("late", change([("insert", 9, "a", "en", "v", 1, 0)])) and totals()["a"] == (2, 15)
 
 
