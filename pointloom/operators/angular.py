@@ -107,9 +107,34 @@ def seeded_sample(df: DataFrame, limit: int, seed: int = 4) -> DataFrame:
     return df.withColumn("__n", n).where(F.col("__n") <= limit).drop("__n")
 
 
-def colour(value: Column, low: Column, high: Column) -> Column:
-    """Place of a value on a ramp, 0 to 1; in the middle where the ramp has no length."""
-    return F.when(high <= low, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low))))
+#: Colours of range and of intensity, from low to high; fixed values.
+RANGE_STOPS = ((30, 60, 140), (40, 160, 180), (80, 180, 80), (230, 190, 40), (200, 50, 40))
+INTENSITY_STOPS = ((20, 20, 28), (70, 70, 90), (240, 210, 120))
+
+
+def colour(value: Column, low: Column, high: Column, stops: tuple[tuple[int, int, int], ...] = RANGE_STOPS) -> Column:
+    """red, green and blue of a value on a ramp between two limits; a ramp without length counts as one of length 1."""
+    span = F.when(high > low, high - low).otherwise(F.lit(1.0))
+    at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / span)) * (len(stops) - 1)
+    k = F.least(F.floor(at), F.lit(len(stops) - 2)).cast("int")
+    table = F.array(*[F.array(*[F.lit(float(c)) for c in s]) for s in stops])
+    below, above = F.element_at(table, k + 1), F.element_at(table, k + 2)
+    part = lambda n: F.rint(F.element_at(below, n) + (at - k) * (F.element_at(above, n) - F.element_at(below, n))).cast("int")
+    return F.struct(part(1).alias("red"), part(2).alias("green"), part(3).alias("blue"))
+
+
+def limits(df: DataFrame, value: str, pad: float = 1.0) -> DataFrame:
+    """``low`` and ``high`` of a frame's finite values with a margin; one metre apart at least, and -1 and 1 where there are none."""
+    finite = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
+    out = df.groupBy("frame_index").agg(F.min(finite).alias("low"), F.max(finite).alias("high"))
+    high = F.when(F.col("high") <= F.col("low"), F.col("low") + 1.0).otherwise(F.col("high"))
+    return out.select("frame_index", F.coalesce(F.col("low") - pad, F.lit(-1.0)).alias("low"), F.coalesce(high + pad, F.lit(1.0)).alias("high"))
+
+
+def cell_for(span: Column, cell_m: float = 0.25, most: int = 1400) -> Column:
+    """The side of display cells: doubled until a span has at most so many."""
+    times = F.ceil(F.log2(F.greatest(span / (cell_m * most), F.lit(1.0))))
+    return F.lit(cell_m) * F.pow(F.lit(2.0), times)
 
 
 def band(range_m: Column) -> Column:

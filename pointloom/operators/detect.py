@@ -252,11 +252,17 @@ def local_protrusions(queries: DataFrame, points: DataFrame, fit: str = "baselin
         "h").groupBy("frame_index").cogroup(rows.groupBy("its_frame")).applyInArrow(run, PROTRUSIONS)
 
 
-def straight_candidates(marked: DataFrame, fit: str = "baseline", protrusions: bool = True, cfg: Detector = DETECTOR) -> DataFrame:
-    """All candidates of a volume: components of the pool (L, R), and of the local protrusions in the ambiguous layer (P, Q)."""
+def straight_candidates(
+    marked: DataFrame, fit: str = "baseline", protrusions: bool = True, by_distance: bool = True, cfg: Detector = DETECTOR,
+) -> DataFrame:
+    """All candidates of a volume: components of the pool (L, R), and of the local protrusions in the ambiguous layer (P, Q).
+
+    ``by_distance`` and ``protrusions`` are the two choices of a variant; without the first, occupied cells that touch are linked.
+    """
     from . import spatial
 
-    found = candidates(spatial.components(object_pool(marked).withColumn("radius", spatial.link_radius(cfg))), cfg=cfg)
+    pool = object_pool(marked).withColumn("radius", spatial.link_radius(cfg))
+    found = candidates(spatial.components(pool) if by_distance else spatial.cell_components(pool, cfg.cell_gap_m), cfg=cfg)
     if not protrusions:
         return found.withColumn("model_id", F.lit(None).cast("int"))
     asked = marked.where("inside and ambiguous and not excluded")

@@ -31,18 +31,21 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CLOUD_SQL.replace("DIV", "div").replace("from lineitem", "from {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
-def grouped(records: DataFrame) -> DataFrame:
-    """Distinct places of a frame as rows with ``point_id``, in the order of (s, l, h); all of it dealt by frame."""
-    rows = records.withColumns({"s": -F.col("y"), "l": F.col("x"), "h": F.col("z")}).withColumn("range_m",
-        F.sqrt(F.col("s") * F.col("s") + F.col("l") * F.col("l") + F.col("h") * F.col("h")))
+def grouped(records: DataFrame, dealt: bool = False) -> DataFrame:
+    """Distinct places of a frame as rows with ``point_id``, in the order of (s, l, h); all of it dealt by frame.
+
+    ``dealt``: the records are so already, as after a window over their frames.
+    """
+    rows = records.withColumns({"s": -F.col("y"), "l": F.col("x"), "h": F.col("z")})
+    rows = rows.withColumn("range_m", F.sqrt(F.col("s") * F.col("s") + F.col("l") * F.col("l") + F.col("h") * F.col("h")))
     kept = [F.min(c).alias(n) for c, n in (("range_m", "range_m"), ("source_index", "first_index"), ("q", "q")) if c in rows.columns]
-    g = rows.repartition("frame_index").groupBy("frame_index", "s", "l", "h").agg(*kept)
+    g = (rows if dealt else rows.repartition("frame_index")).groupBy("frame_index", "s", "l", "h").agg(*kept)
     return g.withColumn("point_id", F.row_number().over(Window.partitionBy("frame_index").orderBy("s", "l", "h")).cast("long"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cloud's distinct places."""
-    return grouped(cloud(spark, sf_dir))
+    return grouped(cloud(spark, sf_dir), dealt=True)
 
 
 #: The same in DuckDB, as common table expressions.

@@ -47,7 +47,7 @@ def rounded(df, digits: int = 6):
 
 def surface(spark, sf_dir, pts=None):
     """Points, ground surfaces, local lines and the pooled residual. All of it is dealt by frame once."""
-    pts = frame_keyed(points(spark, sf_dir) if pts is None else pts)
+    pts = frame_keyed(points(spark, sf_dir) if pts is None else pts, dealt=True)
     tracks = materialise(ground.link_modes(ground.height_modes(ground.in_region(pts), SPARSE), SPARSE), "tracks")
     band = ground.band_rows(pts, tracks, SPARSE)
     lines = materialise(ground.local_lines(band), "lines")

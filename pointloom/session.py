@@ -61,16 +61,17 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-def frame_keyed(df: DataFrame, key: str = "frame_index") -> DataFrame:
+def frame_keyed(df: DataFrame, key: str = "frame_index", dealt: bool = False) -> DataFrame:
     """``df`` dealt by frame once, into a bucketed table in the shared folder.
 
     Whatever is grouped, windowed or joined by the frame, and by the frame and something else, then reads
-    its buckets and needs no further shuffle.
+    its buckets and needs no further shuffle. ``dealt``: the plan of ``df`` ends dealt by frame already.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     name, n = f"pointloom_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", scratch_path(spark, "by-frame")).saveAsTable(name)
+    rows = df if dealt else df.repartition(n, key)
+    rows.write.bucketBy(n, key).format("parquet").option("path", scratch_path(spark, "by-frame")).saveAsTable(name)
     atexit.register(_forget, spark, name)
     return spark.table(name)
 

@@ -182,3 +182,18 @@ STUDY_GATES = {
     "e03": "s > 1 and s < 30 and l > -3 and l < -0.4 and h > -1.7 and h < 2.2",
     "none": "false",
 }
+
+
+def compact(candidates: DataFrame) -> DataFrame:
+    """What a result says of its candidates: names, extents and ranges, without their members."""
+    given = [c for c in ("hypothesis", "evidence", "reason", "corridor_segment", "model_id") if c in candidates.columns]
+    extent = F.struct(*[F.col(f"extent_{a}_m").alias(f"{a}_m") for a in "slh"]).alias("observed_extent_m")
+    return candidates.select("frame_index", "candidate_id", *given, "kind", "branch", "unique_xyz", extent, "s_min_m", "h_min_m", "range_from_sensor_m",
+        F.lit(True).alias("conditional"))
+
+
+def cards(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One record for a frame: its decision with its compact candidates as an array, in the order of their names."""
+    each = compact(candidates)
+    packed = each.groupBy("frame_index").agg(F.sort_array(F.collect_list(F.struct(*[c for c in each.columns if c != "frame_index"]))).alias("listed"))
+    return decisions.join(packed, "frame_index", "left")

@@ -193,6 +193,7 @@ def test_protrusions_join_the_candidates(spark):
     rows = pts(spark, floor + bump + box).withColumns({"range_m": F.sqrt(F.col("s") ** 2), "inside": F.lit(True), "excluded": F.lit(False), "explained": F.lit(False), "ambiguous": F.col("h") < 0.1}).drop("radius")
     got = {x.candidate_id: (x.branch, x.unique_xyz) for x in detect.straight_candidates(rows).collect()}
     assert got["L1"] == ("volume_or_suspended", 27) and got["P1"][0] == "local_protrusion" and got["P1"][1] >= 9
+    assert {x.candidate_id for x in detect.straight_candidates(rows, protrusions=False, by_distance=False).collect()} == {"L1"}
     judged = rule.with_evidence(detect.straight_candidates(rows)).where("candidate_id = 'P1'").first()
     assert judged.evidence is None or judged.evidence == "low_protrusion"
 

@@ -152,3 +152,23 @@ def test_repeats(spark):
     assert [(r.lag, r.n) for r in cloud.repeat_lags(df).collect()] == [(1, 1), (2, 1)]
     r = cloud.repeat_at_offset(df, 2).first()
     assert (r.pairs, r.equal) == (2, 1)
+
+
+def test_colours_limits_and_cells(spark):
+    c = lambda v, lo, hi, *stops: tuple(spark.range(1).select(angular.colour(F.lit(v), F.lit(lo), F.lit(hi), *stops).alias("c")).first().c)
+    assert c(0.0, 0.0, 4.0) == (30, 60, 140) and c(4.0, 0.0, 4.0) == (200, 50, 40) and c(9.0, 0.0, 4.0) == (200, 50, 40)
+    assert c(0.5, 0.0, 4.0) == (35, 110, 160) and c(-3.0, 0.0, 4.0) == (30, 60, 140)
+    assert c(5.5, 5.0, 5.0, angular.INTENSITY_STOPS) == (70, 70, 90)  # no length: one of 1
+    v = spark.createDataFrame([(0, 2.0), (0, 5.0), (0, float("nan")), (1, float("inf")), (2, 3.0)], "frame_index long, v double")
+    assert {r.frame_index: (r.low, r.high) for r in angular.limits(v, "v").collect()} == {0: (1.0, 6.0), 1: (-1.0, 1.0), 2: (2.0, 5.0)}
+    cell = lambda x: spark.range(1).select(angular.cell_for(F.lit(x)).alias("c")).first().c
+    assert [cell(x) for x in (0.0, 350.0, 350.1, 700.0, 1400.5)] == [0.25, 0.25, 0.5, 0.5, 2.0]
+
+
+def test_cards(spark):
+    rows = [(0, "R1", "rare", 2, [5, 6]), (0, "L1", "large", 9, [1, 2, 3])]
+    df = spark.createDataFrame(rows, "frame_index long, candidate_id string, kind string, unique_xyz long, members array<long>")
+    df = df.withColumns({"branch": F.lit("volume_or_suspended"), **{f"extent_{a}_m": F.lit(1.0) for a in "slh"}, "s_min_m": F.lit(3.0), "h_min_m": F.lit(0.0), "range_from_sensor_m": F.lit(3.5)})
+    d = spark.createDataFrame([(0, "candidate_only"), (1, "no_intrusion_detected")], "frame_index long, decision string")
+    got = {r.frame_index: r.listed for r in journal.cards(d, df).collect()}
+    assert [x.candidate_id for x in got[0]] == ["L1", "R1"] and "members" not in got[0][0] and got[1] is None
