@@ -64,6 +64,7 @@ def map_texts(
             got = f(ids, texts)
             new = [pa.array(got[n], type=t) for n, _, t in fields]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(passed))] + new, names=passed + [n for n, _, _ in fields])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     mapped = inner.mapInArrow(run, ", ".join(out))
     return mapped.select(*[F.col(f"`{c}`") for c in df.columns if c in passed or c in names],

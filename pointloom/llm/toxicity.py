@@ -141,11 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     within = rows.select("__lid", "__label", "x").join(F.broadcast(rows.select("__lid", "__label",
                 before.alias("before")).where(F.col("before") <= MAX_FEATURES)), ["__lid", "__label"], "left_semi")
     got = within.toArrow()
-    ids, ys, xs = got.column("__lid").to_pylist(), got.column("__label").to_pylist(), got.column("x").combine_chunks()
-    del got
-    values, offsets = xs.values.to_numpy(), xs.offsets.to_numpy()
+    ids, ys = got.column("__lid").to_pylist(), got.column("__label").to_pylist()
+    xs: list[np.ndarray] = []
+    for part in got.column("x").chunks:  # views: the sample is in memory once
+        values, offsets = part.values.to_numpy(), part.offsets.to_numpy()
+        xs += [values[low:high] for low, high in zip(offsets[:-1], offsets[1:], strict=True)]
     order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(f"order{ids[k]}".encode()), str(ids[k]), ys[k]))
-    sample = [(values[offsets[k] : offsets[k + 1]], ys[k]) for k in order]
+    sample = [(xs[k], ys[k]) for k in order]
     return fit(sample, *choose(sample))
 
 
