@@ -83,6 +83,39 @@ FROM f
 """
 
 
+def pii_base_counts(spark, sf_dir):
+    """The counts of op3's base patterns, which SQL can follow."""
+    return op3_pii_spans(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+PII_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e,
+  regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS c,
+  regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS p FROM d),
+n AS (SELECT doc_id, e, i, list_filter(list_transform(c, lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: len(x) BETWEEN 14 AND 19) AS c,
+  list_transform(p, lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS p FROM m)
+SELECT doc_id, len(e)::BIGINT AS n_email,
+  len(list_filter(i, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda y: coalesce(try_cast(y AS HUGEINT) <= 255, false)))))::BIGINT AS n_ip,
+  len(list_filter(c, lambda x: list_sum(list_transform(range(0, len(x)), lambda k: CASE WHEN k % 2 = 0 THEN substr(x, len(x) - k, 1)::INT
+    ELSE substr(x, len(x) - k, 1)::INT * 2 - CASE WHEN substr(x, len(x) - k, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(p, lambda x: x BETWEEN 10 AND 15))::BIGINT AS n_phone FROM n
+"""
+
+
+def secret_base_counts(spark, sf_dir):
+    """The counts of op7's base patterns, which SQL can follow."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRETS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: len(x) >= 24))::BIGINT AS n_hex FROM d
+"""
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -90,8 +123,9 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k == "pipeline" or k.startswith("op") and callable(v)}
+    more = ("pii_base_counts", "secret_base_counts", "pipeline")
+    return {k: v for k, v in globals().items() if k in more or k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_embedding_near_dedup": OP6_SQL, "op8_warc_round_trip": OP8_SQL}
+    return {"op6_embedding_near_dedup": OP6_SQL, "op8_warc_round_trip": OP8_SQL, "pii_base_counts": PII_SQL, "secret_base_counts": SECRETS_SQL}
