@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DETECTOR, GROUND, PROFILE, Detector, Ground, Profile
+from . import spatial
+from .pairs import line_samples
 
 
 def in_profile(profile: Profile = PROFILE) -> Column:
@@ -209,8 +211,9 @@ def _protrusions(q: np.ndarray, a: np.ndarray, fit: str, cfg: Detector) -> list[
                 if far:
                     still.append(k)
                     continue
-                m = models.setdefault(n, None) or local_model(around(anchor[n], radius), fit, cfg)
-                models[n] = m
+                if n not in models:
+                    models[n] = local_model(around(anchor[n], radius), fit, cfg)
+                m = models[n]
                 outside = m.extent is not None and not (m.extent[0] <= q[k, 0] <= m.extent[1] and m.extent[2] <= q[k, 1] <= m.extent[3])
                 if m.reason or outside:
                     out[k] = (False, m.reason or "outside_of_support", None, None, None, None)
@@ -259,8 +262,6 @@ def straight_candidates(
 
     ``by_distance`` and ``protrusions`` are the two choices of a variant; without the first, occupied cells that touch are linked.
     """
-    from . import spatial
-
     pool = object_pool(marked).withColumn("radius", spatial.link_radius(cfg))
     found = candidates(spatial.components(pool) if by_distance else spatial.cell_components(pool, cfg.cell_gap_m), cfg=cfg)
     if not protrusions:
@@ -272,23 +273,21 @@ def straight_candidates(
     return found.withColumn("model_id", F.lit(None).cast("int")).unionByName(bumps)
 
 
-def inferred_candidates(points: DataFrame, inside: DataFrame, pair_of: DataFrame, fragments: DataFrame, lines: DataFrame,
+def inferred_candidates(points: DataFrame, placed: DataFrame, pair_of: DataFrame, fragments: DataFrame, lines: DataFrame,
     residual: DataFrame, ground: Ground = GROUND, cfg: Detector = DETECTOR) -> DataFrame:
     """Candidates of each hypothesis of each frame: its own points inside, without the volumes of its two lines.
 
-    ``points``: with dh and supported; ``inside``: frame_index, hypothesis, point_id; ``pair_of``: the tracks of each hypothesis.
-    Each (frame, hypothesis) is handled as a frame of its own.
+    ``points``: with dh and supported; ``placed``: frame_index, hypothesis, point_id and whether the point is ``inside``;
+    ``pair_of``: the tracks of each hypothesis. Each (frame, hypothesis) is handled as a frame of its own, with all points of
+    the frame, as those outside can support a local plane.
     """
-    from . import spatial
-    from .pairs import line_samples
-
     key = ["frame_index", "hypothesis"]
     numbered = pair_of.withColumn("number", F.row_number().over(Window.partitionBy("frame_index").orderBy("hypothesis")) - 1)
     code = (F.col("frame_index") * 4096 + F.col("number")).alias("code")  # at most max_live_tracks squared of them
     who = numbered.select(*key, "a_track", "b_track", code)
     mine = line_samples(numbered, fragments, lines, ground).join(who.select(*key, "code"), key)
     mine = mine.select(F.col("code").alias("frame_index"), "s_center", "l_median", "h_median", "width_m", "supported")
-    rows = inside.join(who.select(*key, "code"), key).join(points, ["frame_index", "point_id"]).withColumn("inside", F.lit(True))
+    rows = placed.join(who.select(*key, "code"), key).join(points, ["frame_index", "point_id"])
     band = residual.join(who.select("frame_index", "code"), "frame_index").select(F.col("code").alias("frame_index"), "p95_m")
     rows = rows.drop("frame_index", "hypothesis").withColumnRenamed("code", "frame_index")
     found = straight_candidates(surface_masks(line_masks(rows, mine, cfg), band, cfg), cfg=cfg)

@@ -544,9 +544,10 @@ def inferred_candidates(spark, sf_dir):
     of = F.format_string("H%d-%d", "a_track", "b_track").alias("hypothesis")
     rows = pairs.agreeing(sec).select("frame_index", of, F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
     v = materialise(corridor.vertices(rows, lines, cfg=SPARSE), "vertices")
-    inside = corridor.classify(pts, corridor.segments(v), v).where("relation = 'inside'").select("frame_index", "hypothesis", "point_id")
+    placed = corridor.classify(pts, corridor.segments(v), v)
+    placed = placed.select("frame_index", "hypothesis", "point_id", (F.col("relation") == "inside").alias("inside"))
     pair_of = sec.select("frame_index", of, "a_track", "b_track").distinct()
-    return rounded(detect.inferred_candidates(ground.above_ground(pts, lines, SPARSE), inside, pair_of, frag, lines, residual,
+    return rounded(detect.inferred_candidates(ground.above_ground(pts, lines, SPARSE), placed, pair_of, frag, lines, residual,
         SPARSE).drop("label", "members"))
 
 
