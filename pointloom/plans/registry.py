@@ -80,7 +80,7 @@ def marked(spark, sf_dir, pts=None, coarse_m: float | None = None):
     if coarse_m is not None:
         residual = residual.withColumn("p95_m", F.greatest("p95_m", F.lit(coarse_m)))
     rows = ground.above_ground(pts, lines, SPARSE).withColumns({"inside": detect.in_profile(), "excluded": F.lit(False)})
-    return tracks, materialise(detect.surface_masks(rows, residual), "masked")
+    return tracks, frame_keyed(detect.surface_masks(rows, residual), dealt=True)
 
 
 def decided(spark, sf_dir, pts=None):
