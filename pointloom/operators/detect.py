@@ -75,7 +75,8 @@ def candidates(labelled: DataFrame, branch: str = "volume_or_suspended", cfg: De
 
     Ids count in the order of the component's smallest (s, l, h), which doesn't depend on partitions.
     """
-    c = labelled.groupBy("frame_index", "label").agg(
+    # one exchange by frame serves the components and their numbering
+    c = labelled.repartition("frame_index").groupBy("frame_index", "label").agg(
         F.count("*").alias("unique_xyz"), (F.max("s") - F.min("s")).alias("extent_s_m"), (F.max("l") - F.min("l")).alias("extent_l_m"),
             (F.max("h") - F.min("h")).alias("extent_h_m"),
         F.min("s").alias("s_min_m"), F.min("l").alias("l_min_m"), F.min("h").alias("h_min_m"),
