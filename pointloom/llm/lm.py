@@ -207,6 +207,14 @@ def _first(x: np.ndarray) -> np.ndarray:
     return new
 
 
+def _ranged(number: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, rows) of 63 mixed bits by ranges, and ascending in each, which packs well."""
+    order = np.argsort(number, kind="stable").astype(np.int32)
+    at = (number[order].astype(np.uint64) // np.uint64((1 << 63) // buckets + 1)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(at)) + 1
+    return [(int(at[k]), rows) for k, rows in zip([0, *cuts.tolist()], np.split(order, cuts), strict=True)] if len(number) else []
+
+
 class _Level:
     """What follows the states of a block: distinct (state, word) codes, ascending, and the place of each position's code.
 
@@ -230,14 +238,14 @@ class _Level:
         self.state, self.word = state[~idle].astype(np.int32), (codes[~idle] & NOTHING).astype(np.uint32)
         self.known = self.word != NOTHING
 
-    def follow(self, number: np.ndarray, seen: np.ndarray, words: np.ndarray, buckets: int):
+    def follow(self, number: np.ndarray, seen: np.ndarray, words: np.ndarray, buckets: int, deal=_dealt):
         """The packets in their order: (kind, bucket, places of codes), by the states' numbers and how often they were seen."""
         several = (1 + seen // SPREAD)[self.state]
         mine = number[self.state]
         if not (several > 1).any():
-            return [(FOLLOW, b, r) for b, r in _dealt(mine, buckets)]
+            return [(FOLLOW, b, r) for b, r in deal(mine, buckets)]
         of = np.flatnonzero(several == 1)
-        out = [(FOLLOW, b, of[r]) for b, r in _dealt(mine[of], buckets)]
+        out = [(FOLLOW, b, of[r]) for b, r in deal(mine[of], buckets)]
         of = np.flatnonzero(several > 1)
         asked = of[_first(self.state[of])]
         out += [(ASK, b, asked[r]) for b, r in _dealt(mine[asked], buckets)]
@@ -303,7 +311,7 @@ class _Block:
         position = np.flatnonzero(state >= 0).astype(np.int32)
         level = _Level(position, state[position], self.seq[position], arc[position] >= 0)
         self.pair_number = self.numbers(pairs)
-        return level, level.follow(self.pair_number, n, self.word, buckets)
+        return level, level.follow(self.pair_number, n, self.word, buckets, _ranged)
 
     def numbers(self, pairs: _Level) -> np.ndarray:
         """The numbers of pairs: 63 mixed bits of their words' numbers."""
@@ -452,6 +460,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = df.sparkSession
     arrow_limits(spark)
+    before = _shuffles(spark)
     path = scratch_path(spark, "lm-blocks")
     kind_of_id = df.schema[id_col].dataType
     id_name, id_type = kind_of_id.simpleString(), to_arrow_type(kind_of_id)
@@ -477,7 +486,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     distinct = counted.agg(F.sum("distinct")).first()[0] or 0
     drop_path(spark, f"{path}/kind=1")
     del rows, lists
-    _release(spark)
+    _release(spark, before)
 
     def packets(given: DataFrame, kind: int, **columns: str) -> DataFrame:
         cols = {"block": "block", **columns}
@@ -494,7 +503,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         dealt = by(known, "block", _deal(level, buckets, id_type))
         added = _written(by(dealt, "bucket", _add(level, buckets, id_type)), "lm-arcs")
         del dealt
-        _release(spark)
+        _release(spark, before)
         frequent = F.col("kind").isin(ASK, PARTS)
         known = known.unionByName(added.where(~frequent)).unionByName(by(added.where(frequent), "bucket", _add_parts(level, id_type)))
     scored = by(known, "block", _traverse(total, distinct, buckets), SCORED.replace("ID", id_name))
@@ -510,12 +519,20 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _release(spark) -> None:
+def _shuffles(spark) -> int:
+    """How many shuffles have files now."""
+    return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+
+def _release(spark, before: int) -> None:
     """Let Spark delete the shuffled files of finished steps now, as nothing refers to them any more.
 
-    The first round frees what Python held, the second what that kept alive in the JVM.
+    Python's references go first, then what they kept alive in the JVM; that may take a few rounds. ``before``: the
+    shuffles there were before all steps.
     """
-    for _ in range(2):
+    for _ in range(20):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.3)
+        if _shuffles(spark) <= before:
+            break
