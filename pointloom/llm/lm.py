@@ -209,7 +209,7 @@ def _first(x: np.ndarray) -> np.ndarray:
 
 def _ranged(number: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, rows) of 63 mixed bits by ranges, and ascending in each, which packs well."""
-    order = np.argsort(number, kind="stable").astype(np.int32)
+    order = np.argsort(number).astype(np.int32)  # equal numbers in any order, but the same each time
     at = (number[order].astype(np.uint64) // np.uint64((1 << 63) // buckets + 1)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(at)) + 1
     return [(int(at[k]), rows) for k, rows in zip([0, *cuts.tolist()], np.split(order, cuts), strict=True)] if len(number) else []
@@ -473,8 +473,8 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     lists = blocks.where("kind = 1").select("block", "word", "local", "n")
     seen = docs.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("train"), F.sum("n_tokens").alias("every")).first()
     total, buckets = seen.train or 0, 1 + (seen.every or 0) // BUCKET_TOKENS
-    #: Tasks for blocks and for buckets: so many that few hold two.
-    tasks = 4 * (1 + (seen.every or 0) // BLOCK_TOKENS)
+    #: Tasks for blocks and for buckets: so many that few hold more than two.
+    tasks = 2 * (1 + (seen.every or 0) // BLOCK_TOKENS)
 
     by_word = Window.partitionBy("word")
     rows = (
