@@ -28,7 +28,12 @@ select frame_index, q, l as x, -s as y, h as z, s, l, h, sqrt(s*s + l*l + h*h) a
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records: frame_index, source_index, x, y, z, ring, intensity, and s, l, h, range_m."""
-    return spark.sql(CLOUD_SQL.replace("DIV", "div").replace("from lineitem", "from {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    return cloud_of(table(spark, sf_dir, "lineitem"))
+
+
+def cloud_of(lineitem: DataFrame) -> DataFrame:
+    """The same from rows of ``lineitem``; whole frames of it give the same records."""
+    return lineitem.sparkSession.sql(CLOUD_SQL.replace("DIV", "div").replace("from lineitem", "from {lineitem}"), lineitem=lineitem)
 
 
 def grouped(records: DataFrame, dealt: bool = False) -> DataFrame:

@@ -166,8 +166,10 @@ def ground_support(spark, sf_dir):
 
 @query(f"""with {_SIDES}, sm as (select d.*, coalesce(d.l_median between g.l_min and g.l_max, false) as supported from sd d left join ln g on g.frame_index = d.frame_index and g.segment = cast(floor((d.s_center - 5) / 2) as int)),
 hit as (select p.frame_index, p.point_id, bool_or(sm.supported and abs(p.h - sm.h_median) <= 0.05e0) as excluded, bool_or(not sm.supported) as maybe
-  from pts p join sm on sm.frame_index = p.frame_index and abs(p.s - sm.s_center) <= 0.5e0 and abs(p.l - sm.l_median) <= sm.width_m / 2 group by all)
-select p.frame_index, p.point_id, coalesce(excluded, false) as excluded, coalesce(maybe, false) and not coalesce(excluded, false) as possible from pts p left join hit using (frame_index, point_id)""")
+  from pts p join sm on sm.frame_index = p.frame_index and abs(p.s - sm.s_center) <= 0.5e0 and abs(p.l - sm.l_median) <= sm.width_m / 2 group by all),
+vol as materialized (select p.frame_index, p.point_id, coalesce(excluded, false) as excluded, coalesce(maybe, false) and not coalesce(excluded, false) as possible
+  from pts p left join hit using (frame_index, point_id))
+select * from vol""")
 def line_volumes(spark, sf_dir):
     """Points in the volumes around the sections of the two sides."""
     pts, _, lines, _ = surface(spark, sf_dir)

@@ -69,7 +69,8 @@ def on_ground(pts, tracks):
 
 def paired(spark, sf_dir):
     pts, tracks, lines, residual, rows = cross_sections(spark, sf_dir)
-    frag = materialise(sections.link_clusters(sections.clusters(rows, SPARSE), "robust", SPARSE), "fragments")
+    # fragments of two stations are too short for a candidate, yet they pair
+    frag = materialise(sections.link_clusters(sections.clusters(rows, SPARSE), "robust", SPARSE, 2), "fragments")
     slopes = ground.slopes_at(frag.select("frame_index", "s_center").distinct(), lines, ground.summary_plane(on_ground(pts, tracks), SPARSE), SPARSE)
     return pts, tracks, lines, residual, frag, materialise(pairs.measure_sections(frag, slopes), "pair-sections")
 
@@ -240,7 +241,7 @@ def fitting_residual(spark, sf_dir):
 
 
 _DH = _RESIDUAL + """,
-dh as (select p.*, p.h - (ln.intercept + ln.slope_dh_dl * p.l) as dh, coalesce(p.l between ln.l_min and ln.l_max, false) as supported from (select *, case when
+dh as materialized (select p.*, p.h - (ln.intercept + ln.slope_dh_dl * p.l) as dh, coalesce(p.l between ln.l_min and ln.l_max, false) as supported from (select *, case when
   s >= 5 and s < 30 then cast(floor((s - 5) / 2) as int) end as segment from pts) p left join ln on ln.frame_index = p.frame_index and ln.segment = p.segment)
 """
 
@@ -333,7 +334,7 @@ def line_fragments_fixed(spark, sf_dir):
 @query()
 def line_candidates(spark, sf_dir):
     lines, found = _clusters(spark, sf_dir)
-    return rounded(sections.line_candidates(sections.link_clusters(found, "robust", SPARSE), lines, SPARSE).drop("samples"))
+    return rounded(sections.line_candidates(sections.link_clusters(found, "robust", SPARSE, 2), lines, SPARSE).drop("samples"))
 
 
 @query()
@@ -465,13 +466,12 @@ def pair_poses(spark, sf_dir):
 
 
 @query(f"""with {_SIDES},
-sp as (select frame_index, greatest(min(s_center) filter (track = 0), min(s_center) filter (track = 1)) as lo, least(max(s_center) filter (track = 0), max(s_center)
-  filter (track = 1)) as hi from sd group by all having count(*) filter (track = 0) > 0 and count(*) filter (track = 1) > 0),
 f as (select coalesce(a.frame_index, b.frame_index) as frame_index, coalesce(a.s_center, b.s_center) as s_center, a.l_median as al, b.l_median as bl from (select *
   from sd where track = 0) a full join (select * from sd where track = 1) b on a.frame_index = b.frame_index and a.s_center = b.s_center),
-m as (select *, median(bl - al) over (partition by frame_index) as sep from f)
-select m.frame_index, 0 as a_track, 1 as b_track, s_center, round(coalesce(al, bl - sep), 6) as a_l_m, round(coalesce(bl, al + sep), 6) as b_l_m, case when al is
-  null then 'a' else 'b' end as assumed from m join sp using (frame_index) where (al is null or bl is null) and s_center between lo and hi""")
+m as (select *, median(bl - al) over w as sep, count(bl - al) over w as shared, min(s_center) filter (al is not null and bl is not null) over w as lo, max(s_center)
+  filter (al is not null and bl is not null) over w as hi from f window w as (partition by frame_index))
+select frame_index, 0 as a_track, 1 as b_track, s_center, round(coalesce(al, bl - sep), 6) as a_l_m, round(coalesce(bl, al + sep), 6) as b_l_m, case when al is
+  null then 'a' else 'b' end as assumed from m where shared >= 2 and (al is null or bl is null) and s_center between lo and hi""")
 def assumed_sections(spark, sf_dir):
     return rounded(pairs.assumed_sections(_sides(spark, sf_dir)))
 
@@ -659,7 +659,8 @@ def intrusion_evidence(spark, sf_dir):
     return decided(spark, sf_dir)[1].select("frame_index", "candidate_id", "evidence", "reason", "corridor_segment")
 
 
-_DECIDED = _JUDGED + """,
+#: Cards by the straight profile; also what the job that decides frames is held against.
+DECIDED = _DECIDED = _JUDGED + """,
 gf as (select distinct frame_index from gm),
 dc as (select f.frame_index, gf.frame_index is not null as ground, count(j.frame_index) as candidates, count(evidence) as intrusions, min(range_from_sensor_m)
   filter (evidence is not null) as nearest from (select distinct frame_index from pts) f left join gf using (frame_index) left join jd j on j.frame_index =
@@ -683,7 +684,12 @@ def frame_decisions(spark, sf_dir):
 
     Only a pair of lines that is known to be the own track can forbid the profile, and none is known here.
     """
-    _, judged, frames = decided(spark, sf_dir)
+    return straight_cards(spark, points(spark, sf_dir))
+
+
+def straight_cards(spark, pts):
+    """One card for each frame of ``pts`` (places dealt by frame, as ``fixtures.grouped`` gives them) by the straight profile."""
+    _, judged, frames = decided(spark, None, pts)
     return _card(frames.withColumn("profile_applicable", F.lit(True)), judged)
 
 
@@ -702,8 +708,7 @@ def packed_decisions(spark, sf_dir):
     messages = materialise(pointcloud.packed(records(spark, sf_dir).select("frame_index", "source_index", "x", "y", "z", "intensity",
                 "ring")), "messages")
     decoded = cloud.valid(pointcloud.points(messages, "double"))
-    _, judged, frames = decided(spark, sf_dir, grouped(decoded))
-    return _card(frames.withColumn("profile_applicable", F.lit(True)), judged)
+    return straight_cards(spark, grouped(decoded))
 
 
 @query(f"""with {_MASKS}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.marks import newest_picture
@@ -44,6 +47,58 @@ def write_journal(stream: DataFrame, path: str, checkpoint: str, keep_latest: bo
     return once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+def delivered_once(messages: DataFrame, key: list[str], event_time: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Each key of a stream once, with what ``Balance`` adds up: received before, written after.
+
+    The keys that were seen are the stream's state; with ``event_time`` only those within the watermark.
+    """
+    came = messages.observe("received", F.count(F.lit(1)).alias("received"))
+    once = came.withWatermark(event_time, late).dropDuplicatesWithinWatermark(key) if event_time else came.dropDuplicates(key)
+    return once.observe("written", F.count(F.lit(1)).alias("written"))
+
+
+class Balance(StreamingQueryListener):
+    """Adds up what running queries observe, batch by batch, so that received = written + dropped can be told at any time.
+
+    Register it before a query starts. ``failed`` counts queries that ended with an error; their last batch will be repeated.
+    """
+
+    def __init__(self):
+        self._counts: dict[str, Counter] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+
+    def _of(self, query_id) -> tuple[Counter, threading.Event]:
+        with self._lock:
+            return self._counts.setdefault(str(query_id), Counter()), self._ended.setdefault(str(query_id), threading.Event())
+
+    def onQueryStarted(self, event):
+        self._of(event.id)
+
+    def onQueryProgress(self, event):
+        seen = event.progress.observedMetrics
+        if seen:
+            counts, _ = self._of(event.progress.id)
+            counts["batches"] += 1
+            for row in seen.values():
+                counts.update({k: v or 0 for k, v in row.asDict().items()})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        counts, ended = self._of(event.id)
+        counts["failed"] += event.exception is not None
+        ended.set()
+
+    def of(self, query, wait_s: float = 60.0) -> dict:
+        """Counts of a query that has ended; its last events are waited for."""
+        counts, ended = self._of(query.id)
+        ended.wait(wait_s)
+        out = {k: counts.get(k, 0) for k in ("batches", "received", "written", "failed")}
+        return out | {"dropped": out["received"] - out["written"]}
+
+
 def track_stream(candidates: DataFrame, **settings) -> DataFrame:
     """``replay.track_frames`` as a stateful operator: state lives with the session key, frames come in order."""
 
