@@ -109,24 +109,25 @@ def pairs(sections: DataFrame, cfg: Pairs = PAIRS) -> DataFrame:
 
 
 def assumed_sections(fragments: DataFrame) -> DataFrame:
-    """Stations inside the common span of two lines where one side is missing; it stands the median separation away."""
+    """Stations between the first and the last that two lines share where one of them is missing.
+
+    The missing side is put the median separation of the shared stations away; it is never an observation. Lines that share
+    fewer than two stations say nothing of each other.
+    """
+    keys = ["frame_index", "a_track", "b_track"]
     f = fragments.select("frame_index", "track", "s_center", "l_median")
-    span = f.groupBy("frame_index", "track").agg(F.min("s_center").alias("lo"), F.max("s_center").alias("hi"), F.median("l_median").alias("l_track"))
-    two = span.select("frame_index", F.col("track").alias("a_track"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"),
-        F.col("l_track").alias("a_l")).join(
-        span.select("frame_index", F.col("track").alias("b_track"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"),
-                F.col("l_track").alias("b_l")), "frame_index"
-    ).where("(a_l, a_track) < (b_l, b_track)").select("frame_index", "a_track", "b_track", F.greatest("a_lo", "b_lo").alias("lo"),
-        F.least("a_hi", "b_hi").alias("hi"))
-    a = two.join(f.select("frame_index", F.col("track").alias("a_track"), "s_center", F.col("l_median").alias("a")), ["frame_index", "a_track"])
-    b = two.join(f.select("frame_index", F.col("track").alias("b_track"), "s_center", F.col("l_median").alias("b")), ["frame_index", "b_track"])
-    full = a.join(b.select("frame_index", "a_track", "b_track", "s_center", "b"), ["frame_index", "a_track", "b_track", "s_center"],
-        "full_outer").drop("lo", "hi").join(two, ["frame_index", "a_track", "b_track"])
-    w = Window.partitionBy("frame_index", "a_track", "b_track")
-    full = full.withColumn("separation", F.median(F.col("b") - F.col("a")).over(w)).where(F.col("s_center").between(F.col("lo"),
-            F.col("hi")) & (F.col("a").isNull() | F.col("b").isNull()))
-    return full.select("frame_index", "a_track", "b_track", "s_center", F.coalesce("a", F.col("b") - F.col("separation")).alias("a_l_m"),
-        F.coalesce("b", F.col("a") + F.col("separation")).alias("b_l_m"), F.when(F.col("a").isNull(), "a").otherwise("b").alias("assumed"))
+    tracks = f.groupBy("frame_index", "track").agg(F.median("l_median").alias("at"))
+    side = lambda p: tracks.select("frame_index", F.col("track").alias(f"{p}_track"), F.col("at").alias(f"{p}_at"))
+    two = side("a").join(side("b"), "frame_index").where("(a_at, a_track) < (b_at, b_track)").select(*keys)
+    seen = two.select(*keys, F.explode(F.array("a_track", "b_track")).alias("track")).join(f, ["frame_index", "track"])
+    own = lambda p: F.max(F.when(F.col("track") == F.col(f"{p}_track"), F.col("l_median")))
+    both = seen.groupBy(*keys, "s_center").agg(own("a").alias("a"), own("b").alias("b"))
+    w, gap = Window.partitionBy(*keys), F.col("b") - F.col("a")  # the gap is null where one side is missing
+    shared = F.when(gap.isNotNull(), F.col("s_center"))
+    both = both.withColumns({"separation": F.median(gap).over(w), "shared": F.count(gap).over(w), "lo": F.min(shared).over(w), "hi": F.max(shared).over(w)})
+    return both.where("shared >= 2 and s_center between lo and hi and (a is null or b is null)").select(*keys, "s_center",
+        F.coalesce("a", F.col("b") - F.col("separation")).alias("a_l_m"), F.coalesce("b", F.col("a") + F.col("separation")).alias("b_l_m"),
+        F.when(F.col("a").isNull(), "a").otherwise("b").alias("assumed"))
 
 
 def scores(sections: DataFrame, residual: DataFrame, assumed: DataFrame, cfg: Pairs = PAIRS) -> DataFrame:

@@ -3,8 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.config import Attachment
-from pointloom.operators import corridor, pairs
+from pointloom.config import SPARSE, Attachment
+from pointloom.operators import corridor, pairs, sections
 
 FR = "frame_index long, track int, s_center double, l_median double, h_median double, dh_median double, width_m double, groups long"
 STATIONS = (6.0, 10.0, 15.0, 20.0)
@@ -69,6 +69,34 @@ def test_assumed_sections_fill_the_missing_side(spark):
     assert [(x.s_center, x.assumed, x.b_l_m) for x in r] == [(10.0, "b", pytest.approx(0.76))]
 
 
+@pytest.mark.parametrize(("left", "right", "expected"), [
+    ((6, 10, 15), (6, 10, 20), []),  # 15 lies past the last station that both have
+    ((6, 10, 20), (6, 15, 20), [(10, "b"), (15, "a")]),
+    ((6, 10), (10, 15), []),  # one station in common says nothing
+    ((10, 15, 20), (6, 10, 20), [(15, "b")]),
+])
+def test_assumed_sections_lie_between_common_stations(spark, left, right, expected):
+    own = {0: left, 1: right}
+    f = fragments(spark, [lambda s: -0.76 + 0.01 * s, lambda s: 0.76 + 0.01 * s])
+    f = f.where(" or ".join(f"track = {t} and s_center = {s}" for t, at in own.items() for s in at))
+    r = pairs.assumed_sections(f).orderBy("s_center").collect()
+    assert [(x.s_center, x.assumed) for x in r] == expected
+    assert all(x.b_l_m - x.a_l_m == pytest.approx(1.52) for x in r)
+
+
+def test_lines_of_two_stations_pair_but_are_no_candidates(spark):
+    """Two stations of two lines: linked with a minimum of two they pair, and the candidates say that they are short."""
+    cols = "frame_index long, s_center double, l_median double, h_median double, dh_median double, width_m double, groups long, fate string"
+    found = spark.createDataFrame([(0, float(s), l, -0.9, 0.1, 0.06, 9, "kept") for s in (10, 15) for l in (-0.76, 0.76)], cols)  # noqa: E741
+    assert sections.link_clusters(found, "robust", SPARSE).count() == 0
+    short = sections.link_clusters(found, "robust", SPARSE, 2)
+    (pair,) = pairs.pairs(pairs.measure_sections(short, flat(spark))).collect()
+    assert (pair.sections, pair.distance_m) == (2, pytest.approx(1.52))
+    lines = spark.createDataFrame([(0, k, -1.0, 0.0, -3.0, 3.0) for k in range(13)], LINES)
+    told = sections.line_candidates(short, lines, SPARSE).collect()
+    assert len(told) == 2 and all(r.below_minimum and r.sections == 2 for r in told)
+
+
 LINES = "frame_index long, segment int, intercept double, slope_dh_dl double, l_min double, l_max double"
 
 
