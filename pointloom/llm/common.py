@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,6 +27,21 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Spark deletes the shuffled files of each query inside of the block as soon as it ends; for steps that are written out."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     arrow_limits(spark)
     docs = table(spark, sf_dir, "documents")

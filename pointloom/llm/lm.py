@@ -18,7 +18,10 @@ the failure arcs of its own states, by joins.
    to buckets by state, which add up the counts and answer each packet in its own order. What follows a very
    frequent state is dealt to several buckets, and the sums meet in a bucket of their own. An n-gram with a part that is
    no arc can't be an arc itself and stays.
-4. Each block, with all that, reads its texts from left to right, carries the state, and adds up log-probabilities.
+4. Each block, with all that, follows the automaton through its texts and adds up log-probabilities. The state that is carried
+   to a token is told by the two words before it, so the steps of all tokens are evaluated together, as array expressions.
+
+A step's shuffled files are deleted when its table is written, so the disk holds those of one step.
 
 Defined results: a null or empty text is one end token; texts without any training text
 (N = 0) score on the unseen class; repeated rows are scored each; null ids belong to the
@@ -28,16 +31,13 @@ empty result; columns other than id and text are not read. N-grams are known by
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import drop_path, materialise, scratch_path
-from .common import arrow_limits, crc32_text
+from .common import arrow_limits, crc32_text, shuffles_removed
 
 #: Tokens after which a block of texts is closed.
 BLOCK_TOKENS = 1_250_000
@@ -460,7 +460,6 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = df.sparkSession
     arrow_limits(spark)
-    before = _shuffles(spark)
     path = scratch_path(spark, "lm-blocks")
     kind_of_id = df.schema[id_col].dataType
     id_name, id_type = kind_of_id.simpleString(), to_arrow_type(kind_of_id)
@@ -482,11 +481,10 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         .withColumn("word_id", F.min(F.shiftleft("block", 24).bitwiseOR(F.col("local").cast("long"))).over(by_word))
         .select("block", "local", "c", "word_id")
     )
-    counted = materialise(rows.mapInArrow(_pack, PACKED), "lm-counts")
+    with shuffles_removed(spark):
+        counted = materialise(rows.mapInArrow(_pack, PACKED), "lm-counts")
     distinct = counted.agg(F.sum("distinct")).first()[0] or 0
     drop_path(spark, f"{path}/kind=1")
-    del rows, lists
-    _release(spark, before)
 
     def packets(given: DataFrame, kind: int, **columns: str) -> DataFrame:
         cols = {"block": "block", **columns}
@@ -501,9 +499,8 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     known = own  # what the blocks have so far
     for level in (1, 2):
         dealt = by(known, "block", _deal(level, buckets, id_type))
-        added = _written(by(dealt, "bucket", _add(level, buckets, id_type)), "lm-arcs")
-        del dealt
-        _release(spark, before)
+        with shuffles_removed(spark):
+            added = _written(by(dealt, "bucket", _add(level, buckets, id_type)), "lm-arcs")
         frequent = F.col("kind").isin(ASK, PARTS)
         known = known.unionByName(added.where(~frequent)).unionByName(by(added.where(frequent), "bucket", _add_parts(level, id_type)))
     scored = by(known, "block", _traverse(total, distinct, buckets), SCORED.replace("ID", id_name))
@@ -517,22 +514,3 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
     out._scratch_path = path
     return out
-
-
-def _shuffles(spark) -> int:
-    """How many shuffles have files now."""
-    return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
-
-
-def _release(spark, before: int) -> None:
-    """Let Spark delete the shuffled files of finished steps now, as nothing refers to them any more.
-
-    Python's references go first, then what they kept alive in the JVM; that may take a few rounds. ``before``: the
-    shuffles there were before all steps.
-    """
-    for _ in range(20):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-        if _shuffles(spark) <= before:
-            break
