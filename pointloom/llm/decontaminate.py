@@ -37,6 +37,7 @@ import heapq
 import itertools
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialise
-from .common import arrow_limits
+from .common import arrow_limits, join_classes
 
 #: BM25's constants, the retrieval threshold, shares of shingles and of words that verify.
 K1, B, THRESHOLD, SHINGLES, WORDS = 1.2, 0.75, 0.6, 0.8, 0.8
@@ -127,7 +128,8 @@ class Index:
         """Items of [low, high) whose score reaches ``floor``: cursors in item order, pivot by upper bounds."""
         lists = []
         for t in terms:
-            p = [x for x in self.postings[t] if low <= x[0] < high]
+            every = self.postings[t]  # in the order of items
+            p = every[bisect_left(every, (low,)) : bisect_left(every, (high,))]
             if p:
                 lists.append([p, 0, max(x for _, x in p)])
         heads = [(c[0][0][0], k) for k, c in enumerate(lists)]
@@ -226,8 +228,9 @@ def shards(items: DataFrame, item_id: str, item_text: str) -> Iterable[Index]:
     seen = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     corpus = Corpus(seen.n, seen.mean or 0.0)
     df = rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    each = rows.select("item", "body", F.size("words").alias("n"), F.explode(F.array_distinct("words")).alias("word")).join(df, "word")
-    each = each.groupBy("item", "body").agg(F.first("n").alias("n"), F.collect_list("word").alias("words"), F.collect_list("df").alias("dfs"))
+    each = rows.select("item", "body", F.size("words").alias("size"), F.explode(F.array_distinct("words")).alias("word"))
+    each = join_classes(each, df.withColumn("n", F.col("df")), "word")  # a frequent word is in every item
+    each = each.groupBy("item", "body").agg(F.first("size").alias("n"), F.collect_list("word").alias("words"), F.collect_list("df").alias("dfs"))
     held: list = []
     known: dict[bytes, int] = {}
     size = 0
