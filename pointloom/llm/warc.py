@@ -17,7 +17,8 @@ end mark and the payload's digest; what doesn't hold raises ``ValueError``.
 Defined results: null payloads count as empty and empty payloads repeat like any
 other; a null id is written as ``null`` and comes back as null, and refers to
 nothing when it alone has its payload; a null url leaves the target out; an empty table
-gives no archives and an empty result; other columns are not read.
+gives no archives and an empty result; other columns are not read. Ids are integers. A record of a foreign archive
+that doesn't tell its size may unpack to 1 GiB at most; a larger one is a bad record.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .common import arrow_limits
+from .common import HOT_PARTS, arrow_limits
 
 #: Magic number of the skippable frame with the dictionary, and of compressed frames.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -208,6 +209,20 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes | ValueError]]:
         at = end
 
 
+def with_first(rows: DataFrame, repeated: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with the ``first`` id of their digest, null where no other row has it; ``repeated``: digest, first, n.
+
+    Up to ``most`` digests are broadcast. Of more, only those are that many rows share (an empty page, an error page), so that no task of the
+    shuffle join gets the bodies of such a class.
+    """
+    if repeated.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(repeated.drop("n")), "digest", "left")
+    total = repeated.agg(F.sum("n")).first()[0]
+    hot = F.broadcast(repeated.where(F.col("n") > total / HOT_PARTS))  # at most HOT_PARTS
+    cold = repeated.where(F.col("n") <= total / HOT_PARTS).drop("n")
+    return rows.join(hot.drop("n"), "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest", "left"))
+
+
 def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(name, content) rows: archives of all pages, as many as the data needs."""
     spark = pages.sparkSession
@@ -215,11 +230,8 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     digest = rows.select("id", F.sha1("payload").alias("digest"))
-    repeated = materialise(digest.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest",
-            "first"), "repeated-payloads")
-    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    typed = rows.withColumn("digest", F.sha1("payload")).join(F.broadcast(repeated) if few else repeated, "digest", "left").select("id",
-        "url", "payload", "first")
+    repeated = materialise(digest.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated-payloads")
+    typed = with_first(rows.withColumn("digest", F.sha1("payload")), repeated).select("id", "url", "payload", "first")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
