@@ -20,7 +20,7 @@ so each link counts once for both ends.
 Defined results: vectors that are null, zero or hold null or non-finite components link with
 nothing and stay alone; vectors of each length link among themselves, on a grid of their own; rows with one vec_id never link to
 each other, and each gets the result of their id; null ids keep their row and link with nothing; an
-empty table gives an empty result; columns other than id and vector are not read.
+empty table gives an empty result; columns other than id and vector are not read. Ids are integers.
 """
 
 from __future__ import annotations

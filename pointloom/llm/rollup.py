@@ -22,7 +22,7 @@ Defined results: inserting what exists revises it, revising what doesn't inserts
 deleting what doesn't changes nothing; of several changes of one row in one batch the
 one with the largest ``at`` holds, then deletes, then the larger count; null counts are zero;
 null sources and languages are groups of their own, null ids a document of
-their own; an empty batch commits and changes nothing; other columns are not read.
+their own; an empty batch commits and changes nothing; other columns are not read. Ids are integers.
 """
 
 from __future__ import annotations

@@ -8,7 +8,13 @@ decoded, and it is reported when what comes out has the structure of a secret:
 * ``key``: a private key: DER whose nested lengths add up and whose fields are those of
   PKCS#1, PKCS#8 or SEC 1, or the OpenSSH container with its length-prefixed fields; bare, in a
   BEGIN/END block, in base64 or in hex;
-* ``nested``: base64 or hex of printable text that itself holds an assignment, an access key or a key block.
+* ``nested``: base64 or hex of printable UTF-8 text that itself holds an assignment, an access key, a key block, a signed token, or,
+  up to ``DEPTH`` times, another such run.
+
+What stands beside a candidate doesn't hide it. A run of base64 letters may be part of a path or of a dotted or dashed name, so it is read from
+its start and from after each ``/ + - _`` in it; where only its beginning decodes, it is read up to the next of these. The first 48 bytes tell
+whether a start is worth reading on, and a text that was read is not read again from inside. Dotted chains are tried at every three parts, and the first of them after each
+``- _`` in it.
 
 All candidates but assignments and key blocks are free of white space and of 16 characters or more,
 so texts without such a chunk need no search for them. All scans are linear in the text.
@@ -42,7 +48,15 @@ LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Shortest candidates that can hold a secret: the 12 bytes of "token=" and six characters.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![0-9A-Za-z])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
+#: Three dotted parts or more; the parts of a signed token are at least so long.
+CHAIN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+HEADER, PAYLOAD = 10, 4
+#: What may part a candidate from its neighbours inside of a run.
+APART = re.compile(r"[/+_-]")
+#: Beginning of a JSON object with a member.
+OBJECT = re.compile(rb'\{\s*"')
+#: Runs in decoded text are followed so many times.
+DEPTH = 3
 #: A key block; in a string literal its line ends, tabs and slashes may be escaped.
 MARK = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY)-----")
 BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*")
@@ -123,15 +137,109 @@ def is_token(header: str, payload: str, signature: str) -> bool:
     return not signature if parts[0]["alg"].lower() == "none" else len(unbase64(signature) or b"") >= 16
 
 
-def holds_secret(raw: bytes) -> bool:
-    """Whether decoded bytes are printable text with a secret in it."""
+def printable(raw: bytes) -> str:
+    """The longest beginning of ``raw`` that is printable UTF-8 text."""
     try:
-        text = raw.decode("ascii")
-    except UnicodeDecodeError:
-        return False
-    if not all(c.isprintable() or c in "\r\n\t" for c in text):
+        text = raw.decode()
+    except UnicodeDecodeError as e:
+        text = raw[: e.start].decode()
+    if text.isprintable():
+        return text
+    end = next((k for k, c in enumerate(text) if not (c.isprintable() or c in "\r\n\t")), len(text))
+    return text[:end]
+
+
+def holds_secret(raw: bytes, depth: int = DEPTH) -> bool:
+    """Whether decoded bytes are printable text with a secret in it."""
+    text = printable(raw)
+    if len(text.encode()) < len(raw):
         return False
-    return any(len(m[2]) >= 6 for m in ASSIGN.finditer(text)) or any(len(m[0]) >= 20 for m in ACCESS.finditer(text)) or bool(blocks(text))
+    if any(len(m[2]) >= 6 for m in ASSIGN.finditer(text)) or any(len(m[0]) >= 20 for m in ACCESS.finditer(text)) or blocks(text):
+        return True
+    return depth > 1 and bool(confirmed_spans(text, depth - 1))
+
+
+def loose(run: str) -> bytes:
+    """What base64 letters of either kind decode to, without a last letter that is no byte."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def key_bytes(raw: bytes) -> int:
+    """How many bytes an outermost DER item takes; 0 where it is none or doesn't fit."""
+    k = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    if k > 4 or len(raw) < 2 + k:
+        return 0
+    n = 2 + k + (int.from_bytes(raw[2 : 2 + k], "big") if k else raw[1])
+    return n if n <= len(raw) else 0
+
+
+def opens_key(head: bytes) -> bool:
+    """Whether bytes begin like a key: the container's name, or a sequence whose first item is a version or a sequence."""
+    if head[:1] != b"\x30" or len(head) < 9:
+        return head.startswith(b"openssh-key-v1\0")
+    k = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
+    return k <= 6 and (head[k : k + 2] == b"\2\1" and head[k + 2] <= 1 or head[k] == 0x30)
+
+
+def run_spans(text: str, start: int, end: int, depth: int) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of keys and of texts with secrets in a run of base64 letters."""
+    out: list[tuple[int, int, int]] = []
+    past = start  # nothing before it is looked at again
+    read = [0, 0, 0, 0]  # where texts that were read end, by start modulo 4
+    for at in [start, *(m.end() for m in APART.finditer(text, start, end))]:
+        if at < past or end - at < 16 or read[at % 4] > at:
+            continue
+        head = loose(text[at : min(end, at + 64)])
+        if opens_key(head):
+            raw = unbase64(text[at:end])
+            if raw and is_key(raw):
+                out.append((at, 4, end))
+                past = end
+            elif head[0] == 0x30 and 0 < (n := key_bytes(raw := loose(text[at:end]))) and is_key(raw[:n]):
+                past = at + -(-n * 4 // 3)
+                past += len(text[past:end]) - len(text[past:end].lstrip("="))
+                out.append((at, 4, past))
+            if past > at:
+                continue
+        if len(printable(head).encode()) < 12:
+            continue  # shorter than any secret
+        raw = loose(text[at:end])
+        said = printable(raw).encode()
+        whole = at + len(said) // 3 * 4  # the group of letters in which the text ends
+        read[at % 4] = whole
+        ends = [e for e in range(min(end, whole + 4), whole - 1, -1) if e == end or text[e] in "/+_-="]
+        if len(said) == len(raw) and end not in ends:
+            ends.insert(0, end)
+        if holds_secret(said, depth):  # then it may also end earlier: what follows can be letters that happen to decode
+            ends += [m.start() for m in reversed(list(APART.finditer(text, at + 16, whole)))]
+        for e in ends:
+            told = unbase64(text[at:e])
+            if told and holds_secret(told, depth):
+                out.append((at, 5, e))
+                past = e
+                break
+    return out
+
+
+def token_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of signed tokens in dotted chains."""
+    out = []
+    for m in CHAIN.finditer(text):
+        parts = m[0].split(".")
+        at, taken = m.start(), 0
+        for k in range(len(parts) - 2):
+            header, payload, signature = parts[k : k + 3]
+            if k >= taken and len(header) >= HEADER and len(payload) >= PAYLOAD:
+                for start in [0, *(x.end() for x in APART.finditer(header))]:
+                    own = header[start:]
+                    if len(own) >= HEADER and own[0] == "e" and OBJECT.match(loose(own[:16])) and is_token(own, payload, signature):
+                        out.append((at + start, 3, at + len(header) + len(payload) + len(signature) + 2))
+                        taken = k + 3
+                        break
+            at += len(header) + 1
+    return out
 
 
 def blocks(text: str) -> list[tuple[int, int, str]]:
@@ -166,24 +274,19 @@ def base_spans(text: str, chunks: bool) -> list[tuple[int, int, int]]:
     return out
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
+def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what decodes to a secret."""
-    out = []
-    out += [(start, 4, end) for start, end, body in blocks(text) if is_block(body)]
+    out = [(start, 4, end) for start, end, body in blocks(text) if is_block(body)]
     if "." in text:
-        out += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if m[1].startswith("e") and is_token(m[1], m[2], m[3])]
+        out += token_spans(text)
     for m in RUN.finditer(text):
         start = m.start() + (text[max(0, m.start() - 1)] == "\\" and m[0][0] in "nrt")  # the letter of an escape is no part of the run
-        raw = unbase64(text[start : m.end()])
-        if raw and is_key(raw):
-            out.append((start, 4, m.end()))
-        elif raw and holds_secret(raw):
-            out.append((start, 5, m.end()))
+        out += run_spans(text, start, m.end(), depth)
     for m in ANY_HEX.finditer(text):
         raw = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else b""
         if is_key(raw):
             out.append((m.start(), 4, m.end()))
-        elif holds_secret(raw):
+        elif raw and holds_secret(raw, depth):
             out.append((m.start(), 5, m.end()))
     return list(dict.fromkeys(out))
 
