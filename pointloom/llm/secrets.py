@@ -208,12 +208,13 @@ def run_spans(text: str, start: int, end: int, depth: int) -> list[tuple[int, in
         raw = loose(text[at:end])
         said = printable(raw).encode()
         whole = at + len(said) // 3 * 4  # the group of letters in which the text ends
-        read[at % 4] = whole
         ends = [e for e in range(min(end, whole + 4), whole - 1, -1) if e == end or text[e] in "/+_-="]
         if len(said) == len(raw) and end not in ends:
             ends.insert(0, end)
         if holds_secret(said, depth):  # then it may also end earlier: what follows can be letters that happen to decode
             ends += [m.start() for m in reversed(list(APART.finditer(text, at + 16, whole)))]
+        else:
+            read[at % 4] = whole
         for e in ends:
             told = unbase64(text[at:e])
             if told and holds_secret(told, depth):
