@@ -140,6 +140,14 @@ def _relations(points: dict, seg: list[dict], vertex: list[dict], lower_m: float
     return {"path_s_m": path, "lateral_m": lateral, "vertical_m": vertical, "support": support, "relation": relation, "uncertain_reason": reason}
 
 
+def paths(seg: DataFrame, vertex: DataFrame) -> DataFrame:
+    """One row for each hypothesis (frame_index, hypothesis, vertex, seg), its vertices and segments in order."""
+    pieces = seg.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("n", "s0", "l0", "h0", "k0", "ref0", "r0", "s1", "l1", "h1", "k1",
+        "ref1", "r1", "role", "length_m", "arc"))).alias("seg"))
+    ends = vertex.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("s", "l", "h_ref", "slope", "role"))).alias("vertex"))
+    return ends.join(pieces, list(KEY), "left")
+
+
 def classify(points: DataFrame, seg: DataFrame, vertex: DataFrame, lower_m: float | None = 0.0, profile: Profile = PROFILE,
     half_m: float = GROUND.section_half_m) -> DataFrame:
     """Each point against each hypothesis of its frame: place along, across and above, and the relation.
@@ -147,16 +155,13 @@ def classify(points: DataFrame, seg: DataFrame, vertex: DataFrame, lower_m: floa
     Points (frame_index, point_id, s, l, h) meet the few segments and vertices of their frame in one array kernel.
     Outside of the vertices' span a point is unsupported and has no place; a hypothesis of one vertex has no direction.
     """
-    pieces = seg.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("n", "s0", "l0", "h0", "k0", "ref0", "r0", "s1", "l1", "h1", "k1",
-        "ref1", "r1", "role", "length_m", "arc"))).alias("seg"))
-    ends = vertex.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("s", "l", "h_ref", "slope", "role"))).alias("vertex"))
-    paths = ends.join(pieces, list(KEY), "left").select(F.col("frame_index").alias("its_frame"), "hypothesis", "vertex", "seg")
+    found = paths(seg, vertex).select(F.col("frame_index").alias("its_frame"), "hypothesis", "vertex", "seg")
     names = [c.split()[0] for c in RELATIONS.split(", ")]
 
-    def run(pts: pa.Table, paths: pa.Table) -> pa.Table:
+    def run(pts: pa.Table, its: pa.Table) -> pa.Table:
         own = {c: pts.column(c).to_numpy() for c in ("point_id", "s", "l", "h")}
         out = []
-        for p in sorted(paths.to_pylist(), key=lambda p: p["hypothesis"]) if pts.num_rows else []:
+        for p in sorted(its.to_pylist(), key=lambda p: p["hypothesis"]) if pts.num_rows else []:
             got = _relations(own, p["seg"] or [], p["vertex"], lower_m, profile, half_m)
             cols = [pa.array(np.full(len(own["s"]), p["its_frame"])), pa.array([p["hypothesis"]] * len(own["s"])), pa.array(own["point_id"])]
             cols += [pa.array(got[c], pa.float64(), from_pandas=True) for c in names[3:6]] + [pa.array(got[c].tolist(),
@@ -166,7 +171,7 @@ def classify(points: DataFrame, seg: DataFrame, vertex: DataFrame, lower_m: floa
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
 
     return points.select("frame_index", "point_id", "s", "l",
-        "h").groupBy("frame_index").cogroup(paths.groupBy("its_frame")).applyInArrow(run, RELATIONS)
+        "h").groupBy("frame_index").cogroup(found.groupBy("its_frame")).applyInArrow(run, RELATIONS)
 
 
 def section_at(vertex: DataFrame, at: DataFrame) -> DataFrame:

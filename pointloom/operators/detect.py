@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import DETECTOR, GROUND, PROFILE, Detector, Ground, Profile
+from ..config import DETECTOR, PROFILE, Detector, Profile
 from . import spatial
-from .pairs import line_samples
 
 
 def in_profile(profile: Profile = PROFILE) -> Column:
@@ -183,24 +182,28 @@ def local_model(a: np.ndarray, fit: str = "baseline", cfg: Detector = DETECTOR)
 PROTRUSIONS = "frame_index long, point_id long, accepted boolean, reason string, radius_m double, model_id int, deviation_m double, threshold_m double"
 
 
-def _protrusions(q: np.ndarray, a: np.ndarray, fit: str, cfg: Detector) -> list[tuple]:
-    """(accepted, reason, radius, model, deviation, threshold) for each row of q against planes through rows of a."""
-    step = cfg.anchor_step_m
-    cells: dict[tuple, list[int]] = {}
-    for k, c in enumerate(map(tuple, np.floor(q[:, :2] / step).astype(int).tolist())):
-        cells.setdefault(c, []).append(k)  # anchors in the order in which their cells are first met
-    anchor = np.array([np.median(q[rows, :2], axis=0) for rows in cells.values()])
-    grid = np.floor(a[:, :2] / step).astype(np.int64)
-    order = np.lexsort((grid[:, 1], grid[:, 0]))
-    a, grid = a[order], grid[order]
-
-    def around(at: np.ndarray, radius: float) -> np.ndarray:
-        lo, hi = np.searchsorted(grid[:, 0], np.floor((at[0] - radius) / step)), np.searchsorted(grid[:, 0],
-            np.floor((at[0] + radius) / step), side="right")
-        part = a[lo:hi]
+class Support:
+    """All points of a frame by cells of (s, l), built once and asked for the rows around any place."""
+
+    def __init__(self, a: np.ndarray, step: float):
+        cell = np.floor(a[:, :2] / step).astype(np.int64)
+        order = np.lexsort((cell[:, 1], cell[:, 0]))
+        self.step, self.rows, self.first = step, a[order], cell[order, 0]
+
+    def around(self, at: np.ndarray, radius: float) -> np.ndarray:
+        lo, hi = np.searchsorted(self.first, np.floor((at[0] - radius) / self.step)), np.searchsorted(self.first,
+            np.floor((at[0] + radius) / self.step), side="right")
+        part = self.rows[lo:hi]
         part = part[(part[:, 0] - at[0]) ** 2 + (part[:, 1] - at[1]) ** 2 <= radius * radius]
         return part[np.lexsort((part[:, 1], part[:, 0], part[:, 2]))]
 
+
+def _protrusions(q: np.ndarray, support: Support, fit: str, cfg: Detector) -> list[tuple]:
+    """(accepted, reason, radius, model, deviation, threshold) for each row of q against planes through rows of the frame."""
+    cells: dict[tuple, list[int]] = {}
+    for k, c in enumerate(map(tuple, np.floor(q[:, :2] / cfg.anchor_step_m).astype(int).tolist())):
+        cells.setdefault(c, []).append(k)  # anchors in the order in which their cells are first met
+    anchor = np.array([np.median(q[rows, :2], axis=0) for rows in cells.values()])
     out: list = [(False, "no_local_model", None, None, None, None)] * len(q)
     left = np.arange(len(q))
     for r, radius in enumerate(cfg.radii_m):
@@ -213,7 +216,7 @@ def _protrusions(q: np.ndarray, a: np.ndarray, fit: str, cfg: Detector) -> list[
                     still.append(k)
                     continue
                 if n not in models:
-                    models[n] = local_model(around(anchor[n], radius), fit, cfg)
+                    models[n] = local_model(support.around(anchor[n], radius), fit, cfg)
                 m = models[n]
                 outside = m.extent is not None and not (m.extent[0] <= q[k, 0] <= m.extent[1] and m.extent[2] <= q[k, 1] <= m.extent[3])
                 if m.reason or outside:
@@ -246,7 +249,7 @@ def local_protrusions(queries: DataFrame, points: DataFrame, fit: str = "baselin
     def run(asked: pa.Table, every: pa.Table) -> pa.Table:
         asked = asked.sort_by("point_id")
         read = lambda t, cols: np.column_stack([t.column(c).to_numpy() for c in cols])
-        found = _protrusions(read(asked, "slh"), read(every, ("s0", "l0", "h0")), fit, cfg) if asked.num_rows else []
+        found = _protrusions(read(asked, "slh"), Support(read(every, ("s0", "l0", "h0")), cfg.anchor_step_m), fit, cfg) if asked.num_rows else []
         cols = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 6
         data = [asked.column("frame_index"), asked.column("point_id"), *cols]
         return pa.table({n: pa.chunked_array(x) if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for n, t,
@@ -272,26 +275,3 @@ def straight_candidates(
     rows = spatial.components(asked.join(up, ["frame_index", "point_id"]).withColumn("radius", spatial.link_radius(cfg)))
     bumps = candidates(rows, "local_protrusion", cfg, "P", "Q").join(dominant_model(rows), ["frame_index", "label"], "left")
     return found.withColumn("model_id", F.lit(None).cast("int")).unionByName(bumps)
-
-
-def inferred_candidates(points: DataFrame, placed: DataFrame, pair_of: DataFrame, fragments: DataFrame, lines: DataFrame,
-    residual: DataFrame, ground: Ground = GROUND, cfg: Detector = DETECTOR) -> DataFrame:
-    """Candidates of each hypothesis of each frame: its own points inside, without the volumes of its two lines.
-
-    ``points``: with dh and supported; ``placed``: frame_index, hypothesis, point_id and whether the point is ``inside``;
-    ``pair_of``: the tracks of each hypothesis. Each (frame, hypothesis) is handled as a frame of its own, with all points of
-    the frame, as those outside can support a local plane.
-    """
-    key = ["frame_index", "hypothesis"]
-    numbered = pair_of.withColumn("number", F.row_number().over(Window.partitionBy("frame_index").orderBy("hypothesis")) - 1)
-    code = (F.col("frame_index") * 4096 + F.col("number")).alias("code")  # at most max_live_tracks squared of them
-    who = numbered.select(*key, "a_track", "b_track", code)
-    mine = line_samples(numbered, fragments, lines, ground).join(who.select(*key, "code"), key)
-    mine = mine.select(F.col("code").alias("frame_index"), "s_center", "l_median", "h_median", "width_m", "supported")
-    rows = placed.join(who.select(*key, "code"), key).join(points, ["frame_index", "point_id"])
-    band = residual.join(who.select("frame_index", "code"), "frame_index").select(F.col("code").alias("frame_index"), "p95_m")
-    rows = rows.drop("frame_index", "hypothesis").withColumnRenamed("code", "frame_index")
-    found = straight_candidates(surface_masks(line_masks(rows, mine, cfg), band, cfg), cfg=cfg)
-    back = who.select(F.col("code").alias("frame_index"), F.col("frame_index").alias("frame"), "hypothesis")
-    return found.join(back, "frame_index").drop("frame_index").withColumnRenamed("frame", "frame_index").select("frame_index", "hypothesis",
-        *[c for c in found.columns if c != "frame_index"])

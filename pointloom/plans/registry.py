@@ -6,11 +6,13 @@ tables. Computed doubles are rounded, as sums depend on the order of rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window, functions as F
 
 from ..config import DETECTOR, SPARSE, Attachment
 from ..functions import scalars
-from ..operators import angular, cloud, corridor, detect, evaluate, ground, pairs, rule, sections, spatial, windows
+from ..operators import angular, cloud, corridor, detect, evaluate, ground, inferred, pairs, rule, sections, spatial, windows
 from ..session import frame_keyed, materialise, table
 from ..sources import pointcloud
 from ..streaming import replay
@@ -537,18 +539,53 @@ def corridor_relations(spark, sf_dir):
     return rounded(corridor.classify(pts, corridor.segments(v), v))
 
 
+def _inferred(spark, sf_dir, place: Attachment | None = None):
+    """Hypotheses of every frame, what was detected along each, and frames with their status."""
+    pts, tracks, lines, residual, frag, sec = paired(spark, sf_dir)
+    of = F.format_string("H%d-%d", "a_track", "b_track").alias("hypothesis")
+    midpoints = pairs.agreeing(sec).select("frame_index", of, F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
+    scored = pairs.scores(sec, residual, pairs.assumed_sections(frag)).withColumn("hypothesis", of)
+    return inferred_frames(pts, tracks, lines, residual, frag, midpoints, scored, place)
+
+
+def inferred_frames(pts, tracks, lines, residual, fragments, midpoints, scored, place: Attachment | None = None):
+    """(hypotheses with their counts, detected, frames with their status) along the corridors of ``scored`` hypotheses."""
+    midpoints, scored = materialise(midpoints, "midpoints"), materialise(scored, "hypotheses")
+    match = None if place is None else corridor.attachment_match(midpoints, place)
+    prior = None if place is None else (place.s_m, place.l_m)
+    paths, vertex = inferred.paths_of(midpoints, scored, fragments, lines, residual, SPARSE, prior)
+    known = materialise(inferred.hypotheses(scored, vertex, match), "known-hypotheses")
+    paths = materialise(paths.join(inferred.usable(known), ["frame_index", "hypothesis"], "left_semi"), "paths")
+    found = materialise(inferred.detect(ground.above_ground(pts, lines, SPARSE), paths), "detected")
+    have = tracks.where("role = 'ground'").select("frame_index").distinct().withColumn("ground_found", F.lit(True))
+    frames = pts.select("frame_index").distinct().join(have, "frame_index", "left").fillna(False, ["ground_found"])
+    return inferred.counted(known, found), found, inferred.frame_statuses(frames, known, place is not None)
+
+
 @query()
 def inferred_candidates(spark, sf_dir):
     """Candidates in the corridor of each hypothesis, without the volumes of the lines that it was made of."""
-    pts, _, lines, residual, frag, sec = paired(spark, sf_dir)
-    of = F.format_string("H%d-%d", "a_track", "b_track").alias("hypothesis")
-    rows = pairs.agreeing(sec).select("frame_index", of, F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
-    v = materialise(corridor.vertices(rows, lines, cfg=SPARSE), "vertices")
-    placed = corridor.classify(pts, corridor.segments(v), v)
-    placed = placed.select("frame_index", "hypothesis", "point_id", (F.col("relation") == "inside").alias("inside"))
-    pair_of = sec.select("frame_index", of, "a_track", "b_track").distinct()
-    return rounded(detect.inferred_candidates(ground.above_ground(pts, lines, SPARSE), placed, pair_of, frag, lines, residual,
-        SPARSE).drop("label", "members"))
+    return rounded(inferred.candidates(_inferred(spark, sf_dir)[1]).drop("label", "members"))
+
+
+@query()
+def inferred_hypotheses(spark, sf_dir):
+    """Each hypothesis with its observed span, the points that each mask leaves, and its candidates."""
+    return rounded(_inferred(spark, sf_dir)[0])
+
+
+@query()
+def inferred_decisions(spark, sf_dir):
+    """One decision for each frame of the inferred path: a status, and that without an explicit profile evidence is insufficient."""
+    _, found, frames = _inferred(spark, sf_dir)
+    return _inferred_card(frames, found)
+
+
+def _inferred_card(frames, found):
+    """Cards of the inferred path."""
+    judged = rule.with_evidence(inferred.candidates(found))
+    return rounded(rule.decide(frames.withColumn("profile_applicable", F.lit(True)), judged).select("frame_index", "status", "hypotheses", "compatible", "applicable",
+        "candidates", "intrusions", "decision", "reason"))
 
 
 @query(f"""with {_SCORED}, ar as (select frame_index, list(mid_l order by s_center) as m, list(s_center order by s_center) as st, avg(mid_l) as lateral_m, count(*)::int as sections from ag group by frame_index),
@@ -711,6 +748,79 @@ def packed_decisions(spark, sf_dir):
     return straight_cards(spark, grouped(decoded))
 
 
+def _along_sides(spark, sf_dir, place: Attachment | None = None):
+    """The inferred path along the middle of the two sides, which SQL can follow: hypothesis H1 of a frame."""
+    pts, tracks, lines, residual = surface(spark, sf_dir)
+    sides, sec = _side_sections(spark, sf_dir)
+    of = F.lit("H1").alias("hypothesis")
+    midpoints = pairs.agreeing(sec).select("frame_index", of, F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
+    scored = pairs.scores(sec, residual, pairs.assumed_sections(sides).where("false")).withColumn("hypothesis", of)
+    return inferred_frames(pts, tracks, lines, residual, sides, midpoints, scored, place)
+
+
+#: Where a session is attached in the queries: past the sections of its window, so that it adds no vertex.
+PLACE = Attachment(s_m=16.0, l_m=0.0, support_s_min_m=5.0, support_s_max_m=16.0, lateral_m=0.02, heading=0.0, heading_tolerance=0.002)
+_FITS = """,
+win as (select frame_index, arg_min(mid_l, abs(s_center - 16)) as near_l, arg_min(mid_l, s_center) as la, arg_max(mid_l, s_center) as lb, max(s_center) - min(s_center) as ds, count(*) as n
+  from ag where s_center between 5 and 16 group by frame_index),
+hy as materialized (select f.frame_index, win.frame_index is not null and abs(near_l) <= 0.02e0 and (n < 2 or abs((lb - la) / ds) <= 0.002e0) as fits from (select distinct frame_index from ag) f
+  left join win using (frame_index))
+"""
+_ALL_FIT = """,
+hy as materialized (select distinct frame_index, true as fits from ag)
+"""
+#: Points inside the corridor of a hypothesis that fits, without its lines and what the ground explains; then as along the straight profile.
+_ALONG = """,
+us as materialized (select frame_index from hy where fits and frame_index in (select frame_index from vg where role = 'observed' and hr is not null)),
+sm as (select d.*, coalesce(d.l_median between g.l_min and g.l_max, false) as held from sd d left join ln g on g.frame_index = d.frame_index and g.segment = cast(floor((d.s_center - 5) / 2) as int)),
+onl as materialized (select distinct p.frame_index, p.point_id from pts p join sm on sm.frame_index = p.frame_index and abs(p.s - sm.s_center) <= 0.5e0 and abs(p.l - sm.l_median) <= sm.width_m / 2
+  where sm.held and abs(p.h - sm.h_median) <= 0.05e0),
+ic as materialized (select r.frame_index, r.point_id from rl r join st on st.frame_index = r.frame_index join us on us.frame_index = r.frame_index where r.rel = 'inside' and not (r.ps < low or r.ps > far)),
+bs as (select d.*, f.p95_m, ic.point_id is not null as within, ic.point_id is not null and onl.point_id is null as inside, 32 * 2.220446049250313e-16 * greatest(1, abs(d.h)) as slack from dh d
+  left join fr f on f.frame_index = d.frame_index left join ic on ic.frame_index = d.frame_index and ic.point_id = d.point_id left join onl on onl.frame_index = d.frame_index and
+  onl.point_id = d.point_id),
+mk as materialized (select *, coalesce(inside and supported and dh >= -slack and p95_m < 0.05e0 and dh <= p95_m + slack, false) as explained, coalesce(inside
+  and supported and dh >= -slack and p95_m >= 0.05e0 and dh <= greatest(p95_m, 0.10e0), false) as ambiguous from bs)
+""" + re.sub(r"\bst\b", "steps", re.sub(r"\bsl\b", "pooled", _JUDGED[len(_MASKS) :]))  # the corridor has these names
+_SIDE_CARDS = """,
+gf as (select distinct frame_index from gm),
+cs as (select frame_index, count(*) as candidates from jd group by all),
+fs as (select f.frame_index, gf.frame_index is not null as ground, (hy.frame_index is not null)::int as hypotheses, coalesce(hy.fits, false)::int as compatible, (us.frame_index is not null)::int
+  as applicable, coalesce(candidates, 0) as candidates from (select distinct frame_index from pts) f left join gf using (frame_index) left join hy using (frame_index) left join us using
+  (frame_index) left join cs using (frame_index)),
+ss as (select *, case when not ground then 'insufficient_geometry' when hypotheses = 0 then EMPTY when compatible = 0 then 'attachment_conflict' when applicable = 0 then
+  'insufficient_geometry' else 'ok' end as status from fs)
+select frame_index, status, hypotheses::bigint as hypotheses, compatible::bigint as compatible, applicable::bigint as applicable, candidates, 0::bigint as intrusions,
+  case when status = 'insufficient_geometry' then status else 'insufficient_evidence' end as decision, case when status = 'insufficient_geometry' then 'ground_not_built' else
+  'no_explicit_profile' end as reason from ss
+"""
+
+
+@query(f"with recursive {_CORRIDOR}" + _ALL_FIT + _ALONG + _SIDE_CARDS.replace("EMPTY", "'no_hypotheses'"))
+def side_decisions(spark, sf_dir):
+    """One decision for each frame along the middle of its two sides."""
+    _, found, frames = _along_sides(spark, sf_dir)
+    return _inferred_card(frames, found)
+
+
+@query(f"with recursive {_CORRIDOR}" + _FITS + _ALONG + _SIDE_CARDS.replace("EMPTY", "'attachment_conflict'"))
+def attached_decisions(spark, sf_dir):
+    """The same in a session that is attached to a place: hypotheses that miss it are left alone."""
+    _, found, frames = _along_sides(spark, sf_dir, PLACE)
+    return _inferred_card(frames, found)
+
+
+@query(f"with recursive {_CORRIDOR}" + _ALL_FIT + _ALONG + """,
+ks as (select frame_index, count(*) filter (kind = 'large') as volume_large, count(*) filter (kind = 'rare') as volume_rare from jd group by all),
+fu as (select frame_index, count(*) as points, count(*) filter (within) as in_volume, count(*) filter (inside) as off_lines, count(*) filter (inside and not explained) as off_surface,
+  count(*) filter (inside and not explained and not ambiguous) as in_pool, count(*) filter (inside and ambiguous) as in_layer from mk group by all)
+select 'H1' as hypothesis, fu.*, coalesce(volume_large, 0) as volume_large, coalesce(volume_rare, 0) as volume_rare from us join fu using (frame_index) left join ks using (frame_index)""")
+def side_funnel(spark, sf_dir):
+    """Points of the hypothesis along the two sides after each mask, and its candidates by kind."""
+    names = ("points", "in_volume", "off_lines", "off_surface", "in_pool", "in_layer", "volume_large", "volume_rare")
+    return _along_sides(spark, sf_dir)[0].where("detected").select("frame_index", "hypothesis", *names)
+
+
 @query(f"""with {_MASKS}
 select frame_index, count(*) as points, count(*) filter (inside) as in_volume, count(*) filter (inside) as off_lines, count(*) filter (inside and not explained) as
   off_surface, count(*) filter (inside and not explained and not ambiguous) as in_pool from mk group by frame_index""")
