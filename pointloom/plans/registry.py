@@ -13,9 +13,9 @@ from pyspark.sql import Window, functions as F
 from ..config import DETECTOR, SPARSE, Attachment
 from ..functions import scalars
 from ..operators import angular, cloud, corridor, detect, evaluate, ground, inferred, pairs, rule, sections, spatial, windows
-from ..session import frame_keyed, materialise, table
+from ..session import frame_keyed, materialise, scratch_path, table
 from ..sources import pointcloud
-from ..streaming import replay
+from ..streaming import replay, stateful
 from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, grouped, points
 
 _QUERIES: dict = {}
@@ -1078,3 +1078,71 @@ def stream_tracks(spark, sf_dir):
 def stream_pair_histories(spark, sf_dir):
     """Histories of each user's events as widths of one pair."""
     return rounded(replay.histories_of(table(spark, sf_dir, "events")))
+
+
+# --- streams over what frames really gave -----------------------------------------------------
+
+
+def _streamed(spark, rows, run, parts: int = 3):
+    """``rows`` (with ``frame``) through a stream: written in the order of frames as so many files or more, one part a micro-batch."""
+    path, rows = scratch_path(spark, "stream"), materialise(rows, "stream-rows")
+    ends = rows.agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")).first()
+    if ends.lo is None:
+        return run(rows)
+    part = F.floor((F.col("frame") - ends.lo) * parts / (ends.hi - ends.lo + 1))
+    for k in range(parts):
+        rows.where(part == k).write.parquet(f"{path}/in/part={k}")
+    with stateful.rocksdb(spark):
+        for k in range(parts):  # the checkpoint carries the state from one run to the next
+            stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in/part={{{','.join(map(str, range(k + 1)))}}}")
+            out = run(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+            out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def _recordings(spark, sf_dir):
+    """Frames with the recording that they are of, as the key of its session."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame_index"), F.col("s_nationkey").cast("long").alias("session_key"))
+
+
+def _tracked(spark, sf_dir):
+    """Candidates of the flagship, tracked over the frames of their recording: places are the medians of their points."""
+    marks, judged, _ = decided(spark, sf_dir)
+    members = judged.select("frame_index", "candidate_id", F.explode("members").alias("point_id"))
+    places = members.join(marks.select("frame_index", "point_id", "s", "l", "h"), ["frame_index", "point_id"]).groupBy("frame_index", "candidate_id").agg(
+        *[F.median(c).alias(c) for c in "slh"])
+    rows = places.join(_recordings(spark, sf_dir), "frame_index").select("session_key", F.col("frame_index").alias("frame"), (F.col("frame_index") * 0.1).alias("stamp_s"),
+        "candidate_id", F.lit("configured_straight").alias("corridor_key"), "s", "l", "h")
+    return _streamed(spark, rows, stateful.track_stream)
+
+
+@query()
+def streamed_tracks(spark, sf_dir):
+    return _tracked(spark, sf_dir)
+
+
+@query(f"""with recursive {_JUDGED} select s_nationkey::bigint as session_key, frame_index as frame, count(*) as published from jd join supplier on s_suppkey = frame_index group by all""")
+def published_candidates(spark, sf_dir):
+    """Tracking hides nothing: every candidate of every frame comes out once, whatever became of it."""
+    return _tracked(spark, sf_dir).where("candidate_id is not null").groupBy("session_key", "frame").agg(F.count(F.lit(1)).alias("published"))
+
+
+@query()
+def streamed_pair_histories(spark, sf_dir):
+    """Histories of the pair of sides over the frames of a recording, with slope and place where its line is reliable."""
+    sides, sec = _side_sections(spark, sf_dir)
+    keys = ["frame_index", "a_track", "b_track"]
+    agreed = pairs.agreeing(sec)
+    fitted = pairs.median_slope_line(agreed, keys, "s_center", "mid_l")
+    pose = pairs.pose_at_reference(agreed, fitted, keys).join(fitted.select(*keys, "k"), keys, "left")
+    slope = F.when(F.col("reliable"), F.col("k"))
+    pair = F.struct(F.col("left_l_m").alias("left"), F.col("right_l_m").alias("right"), F.col("distance_m").alias("distance"), slope.alias("slope"), F.col("model_l_m").alias("place"))
+    measured = pairs.pairs(sec).join(pose.select(*keys, "reliable", "k", "model_l_m"), keys, "left").groupBy("frame_index").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    seen = sides.groupBy("frame_index", "track").agg(F.median("l_median").alias("at")).groupBy("frame_index").agg(F.sort_array(F.collect_list("at")).alias("lines"))
+    ground_found = surface(spark, sf_dir)[1].where("role = 'ground'").select("frame_index").distinct().withColumn("ground_found", F.lit(True))
+    frames = points(spark, sf_dir).select("frame_index").distinct()
+    for part in (measured, seen, ground_found):
+        frames = frames.join(part, "frame_index", "left")
+    rows = frames.join(_recordings(spark, sf_dir), "frame_index").select("session_key", F.col("frame_index").alias("frame"), F.coalesce("ground_found", F.lit(False)).alias("ground_found"),
+        "pairs", "lines")
+    return rounded(_streamed(spark, rows, stateful.history_stream))

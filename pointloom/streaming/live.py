@@ -5,17 +5,13 @@ from __future__ import annotations
 import threading
 import uuid
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.marks import newest_picture
-from .replay import TRACK_ROWS, posed, tracked
-from .tracker import Tracker
+from .stateful import history_stream, track_stream  # noqa: F401  live operators, too
 
 
 def frames_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
@@ -99,22 +95,6 @@ class Balance(StreamingQueryListener):
         return out | {"dropped": out["received"] - out["written"]}
 
 
-def track_stream(candidates: DataFrame, **settings) -> DataFrame:
-    """``replay.track_frames`` as a stateful operator: state lives with the session key, frames come in order."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        t = Tracker(**settings)
-        if state.exists:
-            t.state = json.loads(state.get[0])
-        rows = tracked(t, key[0], pd.concat(list(parts)))
-        state.update((json.dumps(t.state),))
-        yield rows
-
-    return posed(candidates).groupBy("session_key").applyInPandasWithState(run, TRACK_ROWS, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
 def within_budget(spark: SparkSession, action, seconds: float) -> dict:
     """Run an action (a function that starts Spark jobs) with a deadline: its jobs are cancelled when it is over.
 

@@ -29,12 +29,12 @@ def tracked(t: Tracker, session: int, pdf: pd.DataFrame) -> pd.DataFrame:
     return out.astype({"track_id": "Int32"})
 
 
-def posed(candidates: DataFrame) -> DataFrame:
-    """``candidates`` with the columns that tracking needs; without poses every frame stands at one place."""
+def posed(candidates: DataFrame, *more: str) -> DataFrame:
+    """``candidates`` with the columns that tracking needs, and ``more``; without poses every frame stands at one place."""
     eye = F.array(*[F.lit(float(i == j)) for i in range(4) for j in range(4)])
     given = {"pose": eye, "reliable": F.lit(True), "reference": F.lit(SENSOR_FRAME)}
     return candidates.withColumns({c: v for c,
-        v in given.items() if c not in candidates.columns}).select(*[c.split()[0] for c in CANDIDATES.split(", ")])
+        v in given.items() if c not in candidates.columns}).select(*[c.split()[0] for c in CANDIDATES.split(", ")], *more)
 
 
 def journal_of(events: DataFrame, slot: int = 200) -> DataFrame:

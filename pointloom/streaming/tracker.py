@@ -36,15 +36,17 @@ class Tracker:
     max_age_s: float = 0.5
     need: int = 2
     window: int = 3
-    state: dict[str, Any] = field(default_factory=lambda: {"seen": [], "reference": None, "next": 1, "tracks": []})
+    state: dict[str, Any] = field(default_factory=lambda: {"reference": None, "next": 1, "tracks": []})
+    #: The frames that were there: a set, or what a stream keeps of them.
+    seen: Any = field(default_factory=set)
 
     def step(self, frame: int, stamp_s: float, candidates: list[dict], reference: str = SENSOR_FRAME, pose: list[list[float]] | None = None,
         reliable: bool = True) -> list[dict]:
         """A row for each candidate, then one for each track without one: track_id, candidate_id, association, count, confirmed."""
         s = self.state
-        if frame in s["seen"]:
+        if frame in self.seen:
             return [self._alone(c, "repeated_frame") for c in candidates]
-        s["seen"].append(frame)
+        self.seen.add(frame)
         if s["reference"] not in (None, reference):
             s["tracks"] = []
         s["reference"] = reference
@@ -82,7 +84,7 @@ class Tracker:
                 out.append(self._row(track, "new", cand))
         for t, track in enumerate(s["tracks"]):
             if t not in used:
-                track |= {"seen": [*track["seen"], False], "missed": track["missed"] + 1, "status": "missed"}
+                track |= {"seen": [*track["seen"], False][-self.window - self.max_missed :], "missed": track["missed"] + 1, "status": "missed"}
         rest = [t for t in s["tracks"] if t["missed"] <= self.max_missed]
         s["tracks"] = rest + born
         return out + [self._row(t, "missed") for t in rest if t["status"] == "missed"]
@@ -160,11 +162,12 @@ class PairHistories:
         now = _tail(h["widths"], self.cfg.width_window)
         if now is None or len(h["widths"]) < self.cfg.admit_after or abs(p["distance"] - now) <= self.cfg.admit_m:
             h |= {"pending": [], "left": p["left"], "right": p["right"], "width_frame": frame}
-            h["widths"].append(p["distance"])
+            # no more than the medians look at
+            h["widths"] = [*h["widths"], p["distance"]][-max(self.cfg.width_window, self.cfg.admit_after) :]
             if p.get("slope") is not None:
-                h["slopes"].append(p["slope"])
+                h["slopes"] = [*h["slopes"], p["slope"]][-self.cfg.pose_window :]
             if p.get("place") is not None:
-                h["places"].append(p["place"])
+                h["places"] = [*h["places"], p["place"]][-self.cfg.pose_window :]
                 h["place_frame"] = frame
             return self._row(h, frame, "accepted", "admitted", raw=p["distance"])
         if h["pending"] and not (abs(p["distance"] - h["pending"][-1]["distance"]) <= self.cfg.admit_m and self._same_lines(p, h["pending"][-1])):

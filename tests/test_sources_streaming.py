@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.operators import evaluate, windows
 from pointloom.sources import bag, journal, pointcloud, settings
-from pointloom.streaming import live, replay
+from pointloom.streaming import live, replay, stateful
 from pointloom.streaming.tracker import PairHistories, Tracker, moved
 
 KINDS = {"x": 7, "y": 7, "z": 7, "intensity": 7, "ring": 4, "timestamp": 8}
@@ -194,12 +194,94 @@ def test_track_stream_equals_replay(spark, tmp_path):
     for f in range(8):
         spark.createDataFrame([x for x in rows if x[1] == f], CANDS).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{f}"))
     stream = spark.readStream.schema(CANDS).option("maxFilesPerTrigger", 3).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = live.track_stream(stream).writeStream.format("memory").queryName("tracks").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    with stateful.rocksdb(spark):
+        q = live.track_stream(stream).writeStream.format("memory").queryName("tracks").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("tracks")) == key(replay.track_frames(spark.createDataFrame(rows, CANDS)))
 
 
+def state_rows(spark, checkpoint):
+    """Rows and bytes of each state variable after the last batch."""
+    n = {}
+    for name in ("tracks", "seen", "due"):
+        reader = spark.read.format("statestore").option("stateVarName", name)
+        n[name] = reader.load(str(checkpoint)).count()
+    return n
+
+
+def test_track_state_stays_flat(spark, tmp_path):
+    """Frame keys expire with the watermark: 40 times as many frames leave as much state, and the rows of the replay."""
+    left = {}
+    for frames in (50, 2000):
+        base = tmp_path / str(frames)
+        rows = [(1, f, 0.1 * f, f"{f}", "H", 10.0 + 0.01 * (f % 7), 0.0, 0.0) for f in range(frames)]
+        for part in range(4):
+            at = [rows[k] for k in range(len(rows)) if k * 4 // len(rows) == part]
+            spark.createDataFrame(at, CANDS).coalesce(1).write.parquet(str(base / "in" / f"f{part}"))
+        stream = spark.readStream.schema(CANDS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(base / "in"))
+        with stateful.rocksdb(spark):
+            out = live.track_stream(stream, late="2 seconds")
+            out.writeStream.format("parquet").option("path", str(base / "out")).option("checkpointLocation", str(base / "c")).trigger(availableNow=True).start().awaitTermination()
+        left[frames] = state_rows(spark, base / "c")
+        key = lambda df: sorted(map(tuple, df.select(*[c.split()[0] for c in replay.TRACK_ROWS.split(", ")]).collect()))
+        assert key(spark.read.parquet(str(base / "out"))) == key(replay.track_frames(spark.createDataFrame(rows, CANDS)))
+    assert left[2000]["tracks"] <= left[50]["tracks"] and left[2000]["seen"] <= left[50]["seen"] + 1, left
+
+
+def test_track_stream_goes_on_after_a_restart(spark, tmp_path):
+    rows = [(1, f, 0.1 * f, f"{f}", "H", 10.0, 0.0, 0.0) for f in range(6)]
+
+    def run(part):
+        spark.createDataFrame(part, CANDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(CANDS).parquet(str(tmp_path / "in"))
+        with stateful.rocksdb(spark):
+            live.track_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    run(rows[:3])
+    run([*rows[3:], rows[2]])  # a frame comes again
+    got = sorted((r.frame, r.track_id, r.association) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.association != "repeated_frame")
+    assert got == [(0, 1, "new"), *[(f, 1, "linked") for f in range(1, 6)]]
+    assert [r.frame for r in spark.read.parquet(str(tmp_path / "out")).where("association = 'repeated_frame'").collect()] == [2]
+
+
+def test_history_stream_equals_replay(spark, tmp_path):
+    r = np.random.default_rng(4)
+    p = "array<struct<left:double,right:double,distance:double,slope:double,place:double>>"
+    schema = f"session_key long, frame long, ground_found boolean, pairs {p}, lines array<double>"
+    rows = []
+    for s in range(3):
+        for f in range(40):
+            d = float(1.52 + r.normal(0, 0.02) + (0.3 if 20 <= f < 26 else 0.0))
+            pairs = None if f % 7 == 3 else [(-d / 2, d / 2, d, 0.01, None if f % 5 == 0 else 0.0)] + ([(2.0, 3.5, 1.5, None, None)] if f % 11 == 0 else [])
+            rows.append((s, f, f % 13 != 5, pairs, [0.75] if f % 7 == 3 else None))
+    for part in range(4):
+        spark.createDataFrame([x for x in rows if x[1] // 10 == part], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{part}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    with stateful.rocksdb(spark):
+        out = live.history_stream(stream)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted((tuple(x) for x in df.select(*[c.split()[0] for c in replay.HISTORY_ROWS.split(", ")]).collect()), key=str)
+    want = key(replay.pair_histories(spark.createDataFrame(rows, schema)))
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == want
+    assert {x[3] for x in want} == {"accepted", "paused", "width_conflict"}
+
+
+def test_balance_of_a_running_query(spark, tmp_path):
+    """Received, written and dropped come from the query itself."""
+    schema = "session_id long, sequence long"
+    spark.createDataFrame([(1, k % 4) for k in range(10)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    balance = live.Balance()
+    spark.streams.addListener(balance)
+    try:
+        once = live.delivered_once(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["session_id", "sequence"])
+        q = once.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert balance.of(q) == {"batches": 1, "received": 10, "written": 4, "failed": 0, "dropped": 6}
+    finally:
+        spark.streams.removeListener(balance)
+
+
 def test_journal_stream_is_exactly_once(spark, tmp_path):
     schema = "session_id long, sequence long, reception long, status string"
     for k in range(3):
