@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..config import SPARSE
 from ..operators import angular, cloud, corridor, detect, evaluate, ground, marks, pairs, spatial, windows
-from ..session import materialise, table
+from ..session import materialise, scratch_path, table
 from ..sources import journal, pointcloud
 from ..streaming import live
 from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, points
 from .registry import (
-    _CORRIDOR, _JUDGED, _MASKS, _POOL, _SIDES, _STATUS, _frames, _midpoints, _pool, _sides, decided, marked, query, rounded, surface,
+    DECIDED, _CORRIDOR, _JUDGED, _MASKS, _POOL, _SIDES, _STATUS, _frames, _midpoints, _pool, _sides, decided, marked, query, rounded, surface,
 )
 
 # --- records and frames -----------------------------------------------------------------
@@ -324,3 +324,19 @@ def object_overlaps(spark, sf_dir):
     v = F.col("value")
     return rounded(table(spark, sf_dir, "events").select("event_id",
         corridor.object_overlap(v / 200, v / 100, F.lit(0.3), F.lit(0.8)).alias("overlap")))
+
+
+# --- from messages to a journal --------------------------------------------------------------
+
+
+@query(f"with recursive {DECIDED}")
+def journalled_decisions(spark, sf_dir):
+    """Messages of the cloud decided into a journal, the first half in a run of its own and the rest in a resumed one, read back."""
+    from . import offline
+
+    messages = materialise(pointcloud.packed(records(spark, sf_dir).select("frame_index", "source_index", "x", "y", "z", "intensity", "ring")), "messages")
+    folder, half = scratch_path(spark, "offline"), messages.agg(F.floor(F.median("frame_index")).cast("long")).first()[0]
+    if half is not None:
+        offline.run(spark, messages, folder, last=half)
+        offline.run(spark, messages, folder)
+    return rounded(offline.completed(spark, folder)).select("frame_index", "status", "candidates", "intrusions", "nearest_intrusion_m", "decision", "reason")

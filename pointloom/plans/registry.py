@@ -56,8 +56,8 @@ def surface(spark, sf_dir, pts=None):
     return pts, tracks, lines, ground.fitting_residual(band, lines)
 
 
-def cross_sections(spark, sf_dir):
-    pts, tracks, lines, residual = surface(spark, sf_dir)
+def cross_sections(spark, sf_dir, pts=None):
+    pts, tracks, lines, residual = surface(spark, sf_dir, pts)
     rows = sections.section_rows(ground.above_ground(ground.in_region(pts), lines, SPARSE), SPARSE)
     return pts, tracks, lines, residual, rows
 
@@ -69,8 +69,8 @@ def on_ground(pts, tracks):
         ["frame_index", "segment"]).where(F.abs(F.col("h") - F.col("h_mode")) <= 2 * SPARSE.height_bin_m)
 
 
-def paired(spark, sf_dir):
-    pts, tracks, lines, residual, rows = cross_sections(spark, sf_dir)
+def paired(spark, sf_dir, pts=None):
+    pts, tracks, lines, residual, rows = cross_sections(spark, sf_dir, pts)
     # fragments of two stations are too short for a candidate, yet they pair
     frag = materialise(sections.link_clusters(sections.clusters(rows, SPARSE), "robust", SPARSE, 2), "fragments")
     slopes = ground.slopes_at(frag.select("frame_index", "s_center").distinct(), lines, ground.summary_plane(on_ground(pts, tracks), SPARSE), SPARSE)
@@ -539,9 +539,9 @@ def corridor_relations(spark, sf_dir):
     return rounded(corridor.classify(pts, corridor.segments(v), v))
 
 
-def _inferred(spark, sf_dir, place: Attachment | None = None):
+def along_pairs(spark, sf_dir, place: Attachment | None = None, pts=None):
     """Hypotheses of every frame, what was detected along each, and frames with their status."""
-    pts, tracks, lines, residual, frag, sec = paired(spark, sf_dir)
+    pts, tracks, lines, residual, frag, sec = paired(spark, sf_dir, pts)
     of = F.format_string("H%d-%d", "a_track", "b_track").alias("hypothesis")
     midpoints = pairs.agreeing(sec).select("frame_index", of, F.col("s_center").alias("s"), F.col("mid_l").alias("l"))
     scored = pairs.scores(sec, residual, pairs.assumed_sections(frag)).withColumn("hypothesis", of)
@@ -565,19 +565,19 @@ def inferred_frames(pts, tracks, lines, residual, fragments, midpoints, scored,
 @query()
 def inferred_candidates(spark, sf_dir):
     """Candidates in the corridor of each hypothesis, without the volumes of the lines that it was made of."""
-    return rounded(inferred.candidates(_inferred(spark, sf_dir)[1]).drop("label", "members"))
+    return rounded(inferred.candidates(along_pairs(spark, sf_dir)[1]).drop("label", "members"))
 
 
 @query()
 def inferred_hypotheses(spark, sf_dir):
     """Each hypothesis with its observed span, the points that each mask leaves, and its candidates."""
-    return rounded(_inferred(spark, sf_dir)[0])
+    return rounded(along_pairs(spark, sf_dir)[0])
 
 
 @query()
 def inferred_decisions(spark, sf_dir):
     """One decision for each frame of the inferred path: a status, and that without an explicit profile evidence is insufficient."""
-    _, found, frames = _inferred(spark, sf_dir)
+    _, found, frames = along_pairs(spark, sf_dir)
     return _inferred_card(frames, found)
 
 

@@ -13,47 +13,27 @@ def write(frames: DataFrame, path: str, mode: str = "append") -> None:
     frames.write.mode(mode).json(path)
 
 
-def _torn_tails(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(file, text) of last lines that were not ended; only the ends of files are read."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = jvm.org.apache.hadoop.fs.Path(path)
-    fs = found.getFileSystem(conf)
-    out = []
-    for status in fs.globStatus(found) or []:
-        for s in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
-            name, size = s.getPath().getName(), s.getLen()
-            if s.isDirectory() or name.startswith(("_", ".")) or not size:
-                continue
-            stream, tail, at = fs.open(s.getPath()), b"", size
-            while at and b"\n" not in tail:
-                n = min(at, 1 << 16)
-                at -= n
-                stream.seek(at)
-                tail = bytes(stream.readNBytes(n)) + tail
-            stream.close()
-            if not tail.endswith(b"\n"):
-                out.append((s.getPath().toString(), tail.rpartition(b"\n")[2].decode("utf-8", "replace")))
-    return out
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of files (file, block, n, value) and, on a file's last line, whether it was ended.
+
+    Spark's reader splits files by bytes and finds the line ends. A file whose lines with their ends are one byte
+    longer than itself lacks its last end; no file is opened outside of the readers. Files must not be compressed. ``block`` and ``n`` order the lines of a file.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    ends = read.groupBy("file").agg((F.sum(F.octet_length("value") + 1) > F.first("size")).alias("torn"), F.max(F.struct("block", "n")).alias("last"))
+    torn = ends.where("torn").select("file", F.col("last.block").alias("block"), F.col("last.n").alias("n"), F.lit(False).alias("ended"))
+    return read.join(torn, ["file", "block", "n"], "left").select("file", "block", "n", F.coalesce("ended", F.lit(True)).alias("ended"), "value")
 
 
 def read_completed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The last complete record of each frame: a last line that was not ended is dropped.
 
-    Files are split at line ends by Spark; the driver looks at the last bytes of each file only.
+    Of several records of a frame the last of its file counts, of several files the one with the greatest name.
     """
-    place = F.col("_metadata.file_path").alias("file")
-    lines = spark.read.text(path).select(place, F.monotonically_increasing_id().alias("n"), "value")
-    torn = spark.createDataFrame(_torn_tails(spark, path), "file string, tail string")
-    clean = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    torn = torn.select(clean("file").alias("f"), "tail")
-    # of the lines that read like a file's torn one, the last is it
-    marked = lines.withColumn("f", clean("file")).join(F.broadcast(torn.withColumnRenamed("f", "torn_f")),
-        (F.col("f") == F.col("torn_f")) & (F.col("value") == F.col("tail")), "left")
-    last = marked.where("torn_f is not null").groupBy("f").agg(F.max("n").alias("n")).withColumn("gone", F.lit(True))
-    good = marked.select("f", "n", "value").join(F.broadcast(last), ["f", "n"], "left").where("gone is null and trim(value) <> ''")
-    rows = good.select("n", F.from_json("value", schema).alias("r")).where("r.frame_index is not null")
-    return rows.groupBy(F.col("r.frame_index").alias("k")).agg(F.max_by("r", "n").alias("r")).select("r.*")
+    good = lines(spark, path).where("ended and trim(value) <> ''")
+    rows = good.select(F.struct("file", "block", "n").alias("at"), F.from_json("value", schema).alias("r")).where("r.frame_index is not null")
+    return rows.groupBy(F.col("r.frame_index").alias("k")).agg(F.max_by("r", "at").alias("r")).select("r.*")
 
 
 def first_and_duplicates(rows: DataFrame, order: str) -> DataFrame:

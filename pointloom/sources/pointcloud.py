@@ -34,13 +34,20 @@ def check_fields(fields: list[dict]) -> dict[str, dict]:
     return by
 
 
-def field(m: dict, name: str) -> np.ndarray:
-    """One field of all points, by a strided view over rows that may be padded; any offset and byte order."""
+def place(m: dict, name: str) -> tuple[dict, np.dtype]:
+    """A field and its type, if it lies inside of the records; the payload may be given by its length."""
     f = {x["name"]: x for x in m["fields"]}[name]
     kind = np.dtype(("<", ">")[bool(m["is_bigendian"])] + TYPES[f["datatype"]])
-    h, w, step, row = m["height"], m["width"], m["point_step"], m["row_step"]
-    if f["offset"] + kind.itemsize > step or w * step > row or h * row > len(m["payload"]):
+    have = m["payload"] if isinstance(m["payload"], int) else len(m["payload"])
+    if f["offset"] + kind.itemsize > m["point_step"] or m["width"] * m["point_step"] > m["row_step"] or m["height"] * m["row_step"] > have:
         raise ValueError(f"field {name} runs over its record")
+    return f, kind
+
+
+def field(m: dict, name: str) -> np.ndarray:
+    """One field of all points, by a strided view over rows that may be padded; any offset and byte order."""
+    f, kind = place(m, name)
+    h, w, step, row = m["height"], m["width"], m["point_step"], m["row_step"]
     raw = np.frombuffer(m["payload"], dtype=np.uint8)[: h * row]
     rows = raw.reshape(h, row)[:, : w * step].reshape(h * w, step)
     return np.ascontiguousarray(rows[:, f["offset"] : f["offset"] + kind.itemsize]).view(kind)[:, 0].astype(kind.newbyteorder("="))
@@ -112,6 +119,29 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("frame_index", "source_index", *[n for n, _, _ in PACKED]).groupBy("frame_index").applyInArrow(run, MESSAGE)
 
 
+def with_errors(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``error``: why one can't be decoded (null: it can). Looks at descriptions and sizes, not at points."""
+    from pyspark.sql import functions as F
+
+    names = [c.split()[0] for c in MESSAGE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = []
+            for m in b.to_pylist():
+                try:
+                    for name in check_fields(m["fields"] or []):
+                        place(m, name)
+                    told.append(None)
+                except (ValueError, TypeError) as e:
+                    told.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.string())], names=["frame_index", "error"])
+
+    small = [F.length("payload").alias(n) if n == "payload" else F.col(n) for n in names]
+    found = messages.select(*small).mapInArrow(run, "frame_index long, error string").where("error is not null").groupBy("frame_index").agg(F.min("error").alias("error"))
+    return messages.join(F.broadcast(found) if found.limit(100_001).count() <= 100_000 else found, "frame_index", "left")
+
+
 def points(messages: DataFrame, kind: str = "float") -> DataFrame:
     """One row for each record of each message, every record kept, missing fields null and listed.
 
