@@ -3,7 +3,7 @@
 Two points are linked when their distance is at most the larger of their radii, the border
 included. Cells are as wide as the largest radius, so links lie in a cell and its 26
 neighbours; half of those are visited, so each pair meets once. Components come from
-``graph`` (any size of frame) or from a kernel for each frame (many small frames).
+cells that are joined over the table (any size of frame) or from a kernel for each frame (many small frames).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DETECTOR, Detector
+from ..session import materialise
 from .graph import connected_components
 
 
@@ -112,11 +113,11 @@ def _labels(points: np.ndarray, radius: np.ndarray) -> np.ndarray:
     return least[label[of]]
 
 
-def components(df: DataFrame, cell_m: float | None = None, by_frame: bool = True) -> DataFrame:
+def components(df: DataFrame, largest_m: float | None = None, by_frame: bool = True) -> DataFrame:
     """``df`` with ``label``: the smallest point_id of the frame's component that the row is in.
 
     ``by_frame`` runs a kernel for each frame (frames of a sensor are bounded); otherwise
-    links are joined and components found over the whole table, for frames of any size.
+    cells are joined and components found over the whole table, for frames of any size; ``largest_m`` is the largest radius where it is known.
     """
     if by_frame:
         schema = df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
@@ -127,11 +128,58 @@ def components(df: DataFrame, cell_m: float | None = None, by_frame: bool = True
             return table.append_column("label", pa.array(table.column("point_id").to_numpy()[at]))
 
         return df.groupBy("frame_index").applyInArrow(run, schema + ", label long")
-    links = radius_links(df, cell_m or df.agg(F.max("radius")).first()[0])
-    code = lambda c: F.col("frame_index") * (1 << 32) + F.col(c)
-    nodes = df.withColumn("__node", code("point_id"))
-    done = connected_components(nodes, "__node", links.select(code("a").alias("a"), code("b").alias("b")), "a", "b")
-    return done.withColumn("label", F.pmod("component_id", F.lit(1 << 32))).drop("__node", "component_id")
+    return _components_by_cells(df, largest_m)
+
+
+def _within_reach(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+    """Whether some point of one cell links with some point of the other, block by block and no further than the first."""
+    read = lambda t: (np.column_stack([t.column(c).to_numpy() for c in (2, 3, 4)]), t.column(5).to_numpy())
+    (p, r), (q, t) = read(a), read(b)
+    hit, many = False, max(1, PAIRS_AT_ONCE // max(1, len(q)))
+    for at in range(0, len(p), many):
+        d2 = ((p[at : at + many, None, :] - q[None, :, :]) ** 2).sum(2)
+        if (d2 <= np.maximum(r[at : at + many, None], t[None, :]) ** 2).any():
+            hit = True
+            break
+    return pa.table({"a": pa.array([key[0].as_py()] * hit, pa.int64()), "b": pa.array([key[1].as_py()] * hit, pa.int64())})
+
+
+def _components_by_cells(df: DataFrame, largest_m: float | None = None) -> DataFrame:
+    """``df`` with ``label`` for frames larger than a task: what the kernel of a frame does, over the table.
+
+    Cells have the smallest radius as their diagonal, so each is one node, however many points it holds. Cells whose first points are in
+    reach are linked; only cells that are in different components by then compare points, pair by pair of cells.
+    """
+    found = df.agg(F.min("radius").alias("lo"), F.max("radius").alias("hi")).first()
+    if found.lo is None:
+        return df.withColumn("label", F.lit(None).cast("long"))
+    side = max(found.lo, 1e-12) / 3**0.5 * (1 - 1e-9)
+    reach = int(np.ceil(max(found.hi, largest_m or 0.0) / side))
+    place, code = ("ci", "cj", "ck"), lambda c: F.col("frame_index") * (1 << 32) + F.col(c)
+    rows = df.withColumns({n: F.floor(F.col(c) / side).cast("long") for n, c in zip(place, "slh", strict=True)})
+    first = F.min_by(F.struct("s", "l", "h", "radius"), "point_id").alias("first")
+    cells = materialise(rows.groupBy("frame_index", *place).agg(F.min("point_id").alias("point_id"), first).withColumn("node", code("point_id")), "cells")
+    steps = [(x, y, z) for x in range(reach + 1) for y in range(-reach, reach + 1) for z in range(-reach, reach + 1) if (x, y, z) > (0, 0, 0)]
+    steps = [x for x in steps if sum(max(abs(c) - 1, 0) ** 2 for c in x) <= reach * reach]  # as far apart as two cells can link
+    offsets = F.array(*[F.struct(*[F.lit(c).alias(n) for n, c in zip("xyz", x, strict=True)]) for x in steps])
+    visit = cells.select("frame_index", F.col("node").alias("a"), F.col("first").alias("p"), *place, F.explode(offsets).alias("d"))
+    visit = visit.select("frame_index", "a", "p", *[(F.col(c) + F.col(f"d.{n}")).alias(c) for c, n in zip(place, "xyz", strict=True)])
+    near = visit.join(cells.select("frame_index", *place, F.col("node").alias("b"), F.col("first").alias("q")), ["frame_index", *place])
+    d2 = sum((F.col(f"p.{c}") - F.col(f"q.{c}")) ** 2 for c in "slh")
+    near = materialise(near.select("a", "b", (d2 <= F.greatest("p.radius", "q.radius") ** 2).alias("linked")), "near-cells")
+    nodes = cells.select("node")
+    known = materialise(connected_components(nodes, "node", near.where("linked").select("a", "b"), "a", "b").select("node", F.col("component_id").alias("part")), "parts")
+    part = lambda c: known.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+    apart = near.where("not linked").join(part("a"), "a").join(part("b"), "b").where("a_part <> b_part")
+    apart = materialise(apart, "cells-apart")
+    members = rows.join(cells.select("frame_index", *place, "node"), ["frame_index", *place]).select("node", "s", "l", "h", "radius")
+    # either side under names of its own, as both are of the same table
+    side_of = lambda c, o: apart.select("a", "b", F.col(c).alias("node")).join(members, "node").select(*[F.col(n).alias(o + n) for n in ("a", "b", "s", "l", "h", "radius")])
+    met = side_of("a", "p").groupBy("pa", "pb").cogroup(side_of("b", "q").groupBy("qa", "qb")).applyInArrow(_within_reach, "a long, b long")
+    more = met.join(part("a"), "a").join(part("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+    whole = connected_components(known.select("part").distinct(), "part", more, "a", "b").select("part", "component_id")
+    labels = cells.select("frame_index", *place, "node").join(known, "node").join(whole, "part").select("frame_index", *place, F.pmod("component_id", F.lit(1 << 32)).alias("label"))
+    return rows.join(labels, ["frame_index", *place]).drop(*place)
 
 
 def cell_components(df: DataFrame, gap_m: float = DETECTOR.cell_gap_m) -> DataFrame:

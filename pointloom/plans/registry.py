@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import Window, functions as F
 
-from ..config import DETECTOR, SPARSE, Attachment
+from ..config import DETECTOR, SPARSE, Attachment, Axis
 from ..functions import scalars
 from ..operators import angular, cloud, corridor, detect, evaluate, ground, inferred, pairs, rule, sections, spatial, windows
 from ..session import frame_keyed, materialise, scratch_path, table
@@ -637,7 +637,7 @@ def radius_components(spark, sf_dir):
 
 @query(f"with recursive {_POOL} select frame_index, point_id, label from lb")
 def radius_components_joined(spark, sf_dir):
-    return spatial.components(_pool(spark, sf_dir), DETECTOR.link_m, by_frame=False).select("frame_index", "point_id", "label")
+    return spatial.components(_pool(spark, sf_dir), by_frame=False).select("frame_index", "point_id", "label")
 
 
 @query(f"with recursive {_POOL} select frame_index, a, b from ed where a < b")
@@ -739,6 +739,32 @@ def assessed_decisions(spark, sf_dir):
     return _card(rule.applicable(frames, axis), judged)
 
 
+#: A change of heading that counts in ``owned_decisions``: small, as the lines of the cloud hardly turn.
+OWN_AXIS = Axis(heading=0.002)
+_OWNED = _SCORED + """,
+ar as (select frame_index, list(mid_l order by s_center) as m, list(s_center order by s_center) as stn, avg(mid_l) as lateral_m, count(*)::int as sections from ag group by frame_index),
+spn as (select *, stn[sections] - stn[1] as span_m, greatest(2, sections // 2) as half from ar where sections >= 2),
+tn as (select *, case when sections >= 3 and span_m >= 4 then abs((m[sections] - m[half]) / (stn[sections] - stn[half]) - (m[half] - m[1]) / (stn[half] - stn[1])) end as direction_change from spn),
+ag2 as (select t.frame_index from tn t join kd using (frame_index) join supplier on s_suppkey = frame_index where kind = 'consistent' and sections >= 3 and span_m >= 4 and abs(lateral_m) <= 1.05e0
+  and direction_change > 0.002e0 and s_acctbal > 0)
+""" + _DECIDED[len(_DH) : _DECIDED.index("select frame_index, 'ok' as status")] + """
+select d.frame_index, 'ok' as status, candidates, case when ground and a.frame_index is null then intrusions else 0 end as intrusions, round(case when ground and a.frame_index is null then nearest
+  end, 6) as nearest_intrusion_m, case when a.frame_index is not null or not ground then 'insufficient_evidence' when intrusions > 0 then 'conditional_intrusion' when candidates > 0 then
+  'candidate_only' else 'no_intrusion_detected' end as decision, case when a.frame_index is not null then 'profile_not_applicable' when not ground then 'no_ground_filter' when intrusions > 0 then
+  'unexplained_cluster_in_the_volume' when candidates > 0 then 'no_candidate_accepted' else 'nothing_in_the_volume' end as reason from dc d left join ag2 a on a.frame_index = d.frame_index
+"""
+
+
+@query(f"with recursive {_OWNED}")
+def owned_decisions(spark, sf_dir):
+    """Decisions where some tracks are known to be the own one: those of suppliers with a positive balance. If it turns, the straight profile is refused."""
+    _, judged, frames = decided(spark, sf_dir)
+    sections_, scored = _kinds(spark, sf_dir)
+    known = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("frame_index"), F.lit(0).alias("a_track"), F.lit(1).alias("b_track"))
+    axis = rule.axis_assessment(sections_, scored, known, OWN_AXIS)
+    return _card(rule.applicable(frames, axis), judged)
+
+
 @query(f"with recursive {_DECIDED}")
 def packed_decisions(spark, sf_dir):
     """The same from packed messages: decoded, valid records only, exact groups."""

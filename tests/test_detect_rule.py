@@ -27,6 +27,30 @@ def brute(xyz, radius):
     return label
 
 
+def test_cells_over_the_table_equal_the_kernel(spark):
+    """Dense, sparse and far frames with two radii: the joined form gives the labels of the kernel."""
+    r = np.random.default_rng(8)
+    rows = []
+    for f, (n, size) in enumerate(((400, 1.0), (600, 3.0), (300, 0.2), (1, 1.0), (250, 2.0))):
+        xyz = r.uniform(-size, size, (n, 3)) + (0 if f != 4 else 58)
+        rows += [(f, k, *map(float, x)) for k, x in enumerate(xyz)]
+    # a chain whose links lie exactly on the border, and two dense cells that only their outermost points link
+    rows += [(5, k, 0.15 * k, 0.0, 0.0) for k in range(8)] + [(6, k, float(x), 0.0, 0.0) for k, x in enumerate([*np.linspace(0, 0.05, 40), *np.linspace(0.19, 0.24, 40)])]
+    df = spark.createDataFrame(rows, "frame_index long, point_id long, s double, l double, h double").withColumn("radius", spatial.link_radius())
+    key = lambda x: sorted((p.frame_index, p.point_id, p.label) for p in x.collect())
+    one = key(spatial.components(df))
+    assert key(spatial.components(df, by_frame=False)) == one and len({(f, c) for f, _, c in one}) > 20
+    assert spatial.components(df.where("false"), by_frame=False).count() == 0
+
+
+def test_a_dense_cell_is_one_node(spark):
+    """A million places in a few cells: no pair of points of a cell is ever joined."""
+    dense = spark.range(1_000_000).select(F.lit(0).cast("long").alias("frame_index"), F.col("id").alias("point_id"), ((F.col("id") % 1000) * 1e-5).alias("s"),
+        (F.floor(F.col("id") / 1000) * 1e-5).alias("l"), F.when(F.col("id") < 500_000, 0.0).otherwise(5.0).alias("h"), F.lit(0.15).alias("radius"))
+    got = {(r.label, r["count"]) for r in spatial.components(dense, by_frame=False).groupBy("label").count().collect()}
+    assert got == {(0, 500_000), (500_000, 500_000)}
+
+
 @pytest.mark.parametrize("by_frame", [True, False])
 def test_components_equal_brute_force(spark, by_frame):
     r = np.random.default_rng(4)
