@@ -143,6 +143,24 @@ def join_cards(cards: DataFrame, clouds: DataFrame, late: str = "10 seconds") ->
     return c.join(d, F.expr(f"sequence = cloud_sequence and cloud_ts between ts - interval {late} and ts + interval {late}"))
 
 
+def live_view(cards: DataFrame, clouds: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Every result card once, with its cloud where one comes; a card whose cloud stays away is given out when the watermark has passed it.
+
+    ``cards``: ts, sequence, ...; ``clouds``: ts, sequence, points. The state holds what the watermark hasn't passed, on either side.
+    """
+    c = cards.withWatermark("ts", late)
+    d = clouds.select(F.col("sequence").alias("cloud_sequence"), F.col("ts").alias("cloud_ts"), F.col("points").alias("cloud_points")).withWatermark("cloud_ts", late)
+    met = c.join(d, F.expr(f"sequence = cloud_sequence and cloud_ts between ts - interval {late} and ts + interval {late}"), "leftOuter")
+    return met.withColumn("has_cloud", F.col("cloud_sequence").isNotNull())
+
+
+def view_rates(view: DataFrame, seconds: int = 5) -> DataFrame:
+    """The live view by tumbling windows, in the same query: its rate, how many cards had a cloud, the statuses that were seen."""
+    w = view.groupBy(F.window("ts", f"{seconds} seconds").alias("w"))
+    return w.agg((F.count(F.lit(1)) / seconds).alias("rate_hz"), F.count_if("has_cloud").alias("with_cloud"), F.array_sort(F.collect_set("status")).alias("statuses")).select(
+        F.col("w.start").alias("start"), "rate_hz", "with_cloud", "statuses")
+
+
 def windowed_rates(frames: DataFrame, seconds: int = 5, late: str = "10 seconds") -> DataFrame:
     """Frames a second in tumbling windows."""
     return frames.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds")).agg((F.count("*") / seconds).alias("rate_hz"))

@@ -282,6 +282,29 @@ def test_balance_of_a_running_query(spark, tmp_path):
         spark.streams.removeListener(balance)
 
 
+@pytest.mark.parametrize("rates", [False, True])
+def test_live_view_gives_every_card_once(spark, tmp_path, rates):
+    """Card 2 never gets its cloud and appears once, when the watermark has passed; clouds may come before or after their cards."""
+    cards, clouds = "sequence long, ts timestamp, status string", "sequence long, ts timestamp, points long"
+    at = lambda t: __import__("datetime").datetime.fromtimestamp(1000 + t)
+    batches = [([(1, 1, "ok"), (2, 2, "processing_timeout")], [(3, 3, 30)]), ([(3, 3, "ok")], [(1, 1, 10)]), ([(4, 100, "ok")], [(4, 100, 40)]), ([(5, 200, "ok")], [(5, 200, 50)])]
+    for c, d in batches:
+        spark.createDataFrame([(n, at(t), s) for n, t, s in c], cards).coalesce(1).write.mode("append").parquet(str(tmp_path / "cards"))
+        spark.createDataFrame([(n, at(t), p) for n, t, p in d], clouds).coalesce(1).write.mode("append").parquet(str(tmp_path / "clouds"))
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    view = live.live_view(read("cards", cards), read("clouds", clouds), "5 seconds")
+    view = live.view_rates(view) if rates else view
+    q = view.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    if rates:
+        first = min(got, key=lambda r: r.start)
+        assert (first.rate_hz, first.with_cloud, first.statuses) == (3 / 5, 2, ["ok", "processing_timeout"])
+    else:
+        told = sorted((r.sequence, r.has_cloud, r.cloud_points) for r in got)
+        assert told[:4] == [(1, True, 10), (2, False, None), (3, True, 30), (4, True, 40)] and len({r.sequence for r in got}) == len(got)
+
+
 def test_journal_stream_is_exactly_once(spark, tmp_path):
     schema = "session_id long, sequence long, reception long, status string"
     for k in range(3):
