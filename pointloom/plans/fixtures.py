@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import table
+from ..session import materialise, table
 
 #: The cloud of ``lineitem``: a floor, two lines, a ceiling and a box in each frame; DIV is the engine's integer division.
 CLOUD_SQL = """
@@ -36,6 +36,14 @@ def cloud_of(lineitem: DataFrame) -> DataFrame:
     return lineitem.sparkSession.sql(CLOUD_SQL.replace("DIV", "div").replace("from lineitem", "from {lineitem}"), lineitem=lineitem)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud as a table of its own, as recorded points are.
+
+    A filter on coordinates goes below the projection that derives them, and would compute each several times over, in code too long to be compiled.
+    """
+    return materialise(cloud(spark, sf_dir), "cloud")
+
+
 def grouped(records: DataFrame, dealt: bool = False) -> DataFrame:
     """Distinct places of a frame as rows with ``point_id``, in the order of (s, l, h); all of it dealt by frame.
 

@@ -9,7 +9,7 @@ from ..operators import angular, cloud, corridor, detect, evaluate, ground, mark
 from ..session import materialise, scratch_path, table
 from ..sources import journal, pointcloud
 from ..streaming import live
-from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, points
+from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, points, stored
 from .registry import (
     DECIDED, _CORRIDOR, _JUDGED, _MASKS, _POOL, _SIDES, _STATUS, _frames, _midpoints, _pool, _sides, decided, marked, query, rounded, surface,
 )
@@ -65,7 +65,7 @@ rg as (select *, least(cast(floor((case when degrees(atan2(y, x)) >= 180 then de
 
 @query(f"with {_RINGS} select frame_index, ring as row, col, round(min(range_m), 6) as value from rg group by frame_index, ring, col")
 def ring_raster(spark, sf_dir):
-    return rounded(angular.raster(angular.ring_grid(records(spark, sf_dir)), "min"))
+    return rounded(angular.raster(angular.ring_grid(stored(spark, sf_dir)), "min"))
 
 
 @query(f"with {DUCK_CLOUD} select frame_index, count(*) as records, count(*) as kept, 0::bigint as dropped, 0::bigint as duplicated from cloud group by frame_index")

@@ -16,7 +16,7 @@ from ..operators import angular, cloud, corridor, detect, evaluate, ground, infe
 from ..session import frame_keyed, materialise, scratch_path, table
 from ..sources import pointcloud
 from ..streaming import replay, stateful
-from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, grouped, points
+from .fixtures import DUCK_CLOUD, DUCK_POINTS, cloud as records, grouped, points, stored
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -122,7 +122,7 @@ select frame_index, round(x::double, 6) as x, round(y::double, 6) as y, round(z:
   count(*) = 1 then 0 else max(intensity) - min(intensity) end, 6) as intensity_span, count(distinct ring) as ring_nunique, list(source_index order by source_index)
   as member_index from f group by f.frame_index, f.x, f.y, f.z""")
 def exact_groups(spark, sf_dir):
-    f = records(spark, sf_dir).withColumns({c: F.col(c).cast("float") for c in "xyz"})
+    f = stored(spark, sf_dir).withColumns({c: F.col(c).cast("float") for c in "xyz"})
     return rounded(cloud.group_exact(cloud.valid(f)).withColumns({c: F.col(c).cast("double") for c in "xyz"}))
 
 
@@ -926,12 +926,12 @@ b as (select frame_index, row, col, count(*) as n, max(range_m) - min(range_m) a
 select frame_index, count(*) as bins, sum(n)::bigint as points, count(*) filter (n >= 2) as collisions, count(*) filter (n >= 2 and spread > 0.2e0) as
   multiple_returns, max(n) as fullest from b group by frame_index""")
 def angular_occupancy(spark, sf_dir):
-    return angular.occupancy(angular.grid(records(spark, sf_dir)))
+    return angular.occupancy(angular.grid(stored(spark, sf_dir)))
 
 
 @query(f"with {_GRID} select frame_index, row, col, round(arg_min(intensity, range_m), 6) as value from gd group by all")
 def angular_raster(spark, sf_dir):
-    return rounded(angular.raster(angular.grid(records(spark, sf_dir))))
+    return rounded(angular.raster(angular.grid(stored(spark, sf_dir))))
 
 
 @query(f"""with {_GRID},
@@ -940,7 +940,7 @@ e as (select frame_index, sqrt(power(range_m * cos(ce) * cos(ca) - x, 2) + power
   c)
 select frame_index, round(quantile_cont(err, 0.5), 6) as p50_m, round(quantile_cont(err, 0.95), 6) as p95_m, round(max(err), 6) as max_m from e group by frame_index""")
 def angular_error(spark, sf_dir):
-    return rounded(angular.quantisation(angular.grid(records(spark, sf_dir))))
+    return rounded(angular.quantisation(angular.grid(stored(spark, sf_dir))))
 
 
 @query(f"""with {DUCK_CLOUD}
