@@ -79,7 +79,7 @@ def colour_steps(spark, sf_dir):
     """On which of the ramp's stops each point's colour starts, by the red of the colour."""
     c = angular.colour(F.col("range_m"), F.lit(5.0), F.lit(30.0))
     at = F.least(F.lit(4), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("range_m") - 5) / 25.0)) * 4)).cast("int")
-    rows = records(spark, sf_dir).withColumns({"c": c, "step": at})
+    rows = stored(spark, sf_dir).withColumns({"c": c, "step": at})
     low = F.element_at(F.array(*[F.lit(s[0]) for s in angular.RANGE_STOPS]), at + 1)
     high = F.element_at(F.array(*[F.lit(s[0]) for s in angular.RANGE_STOPS]), F.least(at + 2, F.lit(5)))
     return rows.where(F.col("c.red").between(F.least(low, high), F.greatest(low, high))).groupBy("frame_index",
