@@ -1,7 +1,7 @@
 """Byte-level BPE with a minimal acyclic transducer as lexicon.
 
 The frequent words (those that the public vocabulary has whole, the ones its makers
-found frequent, and with ``frequent_words`` the most frequent others of a bounded sample of the texts, which
+found frequent, and with ``frequent_words`` the most frequent others of all the texts, which
 have several ids each) are compiled into a minimal acyclic automaton: words that end alike share their suffixes, and the
 outputs that the arcs carry add up to a word's place in the table of ids. The
 automaton is laid out as a double array of 32-bit numbers, broadcast once (its
@@ -45,10 +45,12 @@ CACHE_WORDS = 200_000
 LONG_WORD = 400
 #: Texts whose words are looked up together.
 TEXTS_AT_ONCE = 250
-#: Texts that frequent words are counted in, about; words of a task and words in all that are kept; shortest count; longest word.
-SAMPLE_TEXTS, TASK_WORDS, MORE_WORDS, LEAST, LONGEST = 2_000, 50_000, 20_000, 3, 64
+#: Words that a task counts before it passes them on; words that join the lexicon, their least count and greatest length.
+TASK_WORDS, MORE_WORDS, LEAST, LONGEST = 200_000, 20_000, 3, 64
 #: The pattern that splits text before the merges; fixed by the vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same over ASCII, where the standard module is faster.
+SPLIT_ASCII = SPLIT.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace("?A-Za-z+", "?[A-Za-z]+").replace("?0-9+", "?[0-9]+")
 _NONE = 1 << 62
 
 
@@ -348,24 +350,26 @@ def whole_words(vocab: Vocabulary, more: Iterable[bytes] = ()) -> dict[bytes, li
 
 
 def frequent_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[bytes]:
-    """The most frequent words, as the pattern splits them, of about SAMPLE_TEXTS texts, chosen by the hashes of ids and texts."""
+    """The most frequent words, as the pattern splits them, of all texts; each is counted wherever it occurs."""
     from pyspark.sql import functions as F
 
-    share = min(1.0, SAMPLE_TEXTS / max(1, df.count()))
-    chosen = df.select(F.col(text_col).alias("t")).where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(id_col, text_col),
-        F.lit(1 << 20)) < int(share * (1 << 20))))
+    def counted(n: Counter) -> pa.RecordBatch:
+        kept = [(w, k) for w, k in n.items() if len(w) <= LONGEST]
+        return pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([k for _, k in kept], pa.int64())})
 
     def run(batches):
-        split, n = regex.compile(SPLIT), Counter()
+        split, n = regex.compile(SPLIT).findall, Counter()
+        ascii_split = re.compile(SPLIT_ASCII, re.A).findall
         for b in batches:
             for t in b.column(0).to_pylist():
-                n.update(w for w in split.findall(t) if len(w) <= LONGEST)
-                if len(n) > 10 * TASK_WORDS:
-                    n = Counter(dict(n.most_common(TASK_WORDS)))
-        top = n.most_common(TASK_WORDS)
-        yield pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in top], pa.string()), "n": pa.array([c for _, c in top], pa.int64())})
-
-    found = chosen.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+                n.update(ascii_split(t) if t.isascii() else split(t))
+            if len(n) > TASK_WORDS:  # what a task holds is bounded, what is counted is not: the parts are added up
+                yield counted(n)
+                n.clear()
+        yield counted(n)
+
+    found = df.select(F.col(text_col).alias("t")).where(F.col(text_col).isNotNull()).mapInArrow(run, "w string, n long")
+    found = found.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     return [r.w.encode() for r in found.orderBy(F.desc("n"), "w").limit(MORE_WORDS).collect()]
 
 
@@ -375,9 +379,7 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, blob: bytes):
         self.vocab, self.lexicon = vocab, Lexicon.mapped(blob)
         self.split = regex.compile(SPLIT)
-        # the same over ASCII, where the standard module is faster
-        self.split_ascii = re.compile(SPLIT.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace("?A-Za-z+",
-                "?[A-Za-z]+").replace("?0-9+", "?[0-9]+"), re.A).findall
+        self.split_ascii = re.compile(SPLIT_ASCII, re.A).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
         # characters without a Unicode class here may be classed otherwise by the library, which then splits the text
         bare, low = [], None
