@@ -6,16 +6,15 @@ All but the last return the columns of their input. Rows whose id is null are ne
 removed by a decision on ids; rows that share an id stay or go together.
 
 1. toxicity: documents that the classifier rejects (score of 0.5 or more) go; without labels to learn from none does;
-2. near_duplicates: of each group linked by five-word Jaccard similarity of 0.8 or more the document with the
-   smallest id stays;
+2. near_duplicates: of each group linked by SimHash fingerprints or by five-word Jaccard similarity of 0.8 or more the
+   document with the smallest id stays;
 3. decontamination: documents that leak a test item go;
 4. secrets: secrets in the text are replaced by a mark, and n_chars follows;
 5. tokens: the text becomes token ids, which are decoded again and compared.
 
-Stage 2 belongs to the SimHash operator by name. Its one-wildcard signatures reach fingerprints that differ
-in a few of 64 bits; at a similarity of 0.8 some 10 +- 3 bits differ, up to 19 of them have to be allowed, and ten segments of
-6 or 7 bits would put a document into a share of all documents with every key. So the stage takes ``minhash``, which
-verifies the shingle sets themselves, as the README says with figures.
+Stage 2 takes the links of the SimHash operator (fingerprints at 2 or fewer differing bits) and, as these reach few of the near
+copies (at a similarity of 0.8 some 10 +- 3 of 64 bits differ), those of ``minhash``, which verifies the shingle sets themselves. A
+group is whatever both kinds of links hold together.
 
 SQL can express none of them whole (a trained model, minima of hashes,
 block-max search, decoded structures, merges in order of rank).
@@ -25,9 +24,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointloom.llm import bpe, decontaminate, minhash, secrets, toxicity
+from pointloom.llm import bpe, decontaminate, minhash, secrets, simhash, toxicity
 from pointloom.llm.common import broadcast_if_few, fresh
 from pointloom.llm.queries import tokenizer_path
+from pointloom.operators.graph import star_edges
 from pointloom.session import materialise, scratch_path, table
 
 ORACLE_SQL = None
@@ -50,8 +50,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    texts = docs.select("doc_id", "text")
+    moved = [f(texts).where("doc_id <> component_id").select("doc_id", "component_id") for f in (simhash.near_duplicates, minhash.near_duplicates)]
+    moved = materialise(moved[0].unionByName(moved[1]).distinct(), "moved")
+    # each kind moves a row to its smallest id; where both meet in a document their groups are one. An id that several rows share holds texts
+    # that may have nothing to do with each other, so it joins no groups
+    several = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    links = moved.join(several, "doc_id", "left_anti").join(several.withColumnRenamed("doc_id", "component_id"), "component_id", "left_anti")
+    joined = star_edges(links, "doc_id", "component_id").select(F.col("u").alias("doc_id"))
+    return _without(docs, moved.select("doc_id").unionByName(joined))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
