@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,11 +12,15 @@ from ..config import PAIRS, Pairs
 
 #: The coordinates in which places of two frames can be compared.
 SENSOR_FRAME = "sensor_working_prior_mount_unconfirmed"
+#: The pose of a sensor that stands where it stood.
+STILL = [[float(i == j) for j in range(4)] for i in range(4)]
 
 
 def moved(position: list[float], then: list[list[float]], now: list[list[float]]) -> np.ndarray:
     """A place (s, l, h) of an earlier frame in the path axes of this one; poses act on sensor axes (l, -s, h)."""
     s, l, h = position  # noqa: E741
+    if then == STILL and now == STILL:
+        return np.array([s, l, h], dtype=float)
     x, y, z, _ = np.linalg.inv(np.array(now, dtype=float)) @ np.array(then, dtype=float) @ np.array([l, -s, h, 1.0])
     return np.array([-y, x, z])
 
@@ -57,9 +62,9 @@ class Tracker:
         by_c: dict[int, set[int]] = {}
         by_t: dict[int, set[int]] = {}
         for t, track in enumerate(s["tracks"]):
-            here = moved(track["position"], track["pose"], pose)
+            here = moved(track["position"], track["pose"], pose).tolist()
             for c, cand in enumerate(candidates):
-                if cand["corridor_key"] and cand["corridor_key"] == track["corridor_key"] and np.linalg.norm(here - np.array(cand["position"])) <= self.link_m:
+                if cand["corridor_key"] and cand["corridor_key"] == track["corridor_key"] and self._near(here, cand["position"]):
                     by_c.setdefault(c, set()).add(t)
                     by_t.setdefault(t, set()).add(c)
         out, used, born = [], set(), []
@@ -89,6 +94,11 @@ class Tracker:
         s["tracks"] = rest + born
         return out + [self._row(t, "missed") for t in rest if t["status"] == "missed"]
 
+    def _near(self, a: list[float], b: tuple[float, float, float]) -> bool:
+        d = math.dist(a, b)
+        # plain arithmetic decides but for the border itself, where the last digit counts
+        return d <= self.link_m if abs(d - self.link_m) > 1e-9 else bool(np.linalg.norm(np.array(a) - np.array(b)) <= self.link_m)
+
     def _age(self, stamp_s: float) -> None:
         for t in self.state["tracks"]:
             t |= {"missed": t["missed"] + 1, "status": "missed"}
