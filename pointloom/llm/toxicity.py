@@ -132,22 +132,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = texts.withColumn("__text_hash", F.xxhash64(F.coalesce("__body", F.lit(""))))
 
     def make():
-        return lambda _, texts: {"x": [np.unique(features(t)) for t in texts]}
+        return lambda _, texts: {"x": [np.unique(features(t)).tobytes() for t in texts]}
 
-    rows = map_texts(texts, "__label", "__body", make, [("x", "array<int>", pa.list_(pa.int32()))], keep=True)
+    rows = map_texts(texts, "__label", "__body", make, [("x", "binary", pa.binary())], keep=True)
     rows = materialise(rows.groupBy("__lid", "__label").agg(F.min_by("x", "__text_hash").alias("x")), "features")
     # at most max_rows rows: by hash, as many as have MAX_FEATURES features together
-    before = F.sum(F.size("x")).over(Window.orderBy(F.xxhash64("__lid"), "__lid", "__label"))
-    within = rows.select("__lid", "__label", "x").join(F.broadcast(rows.select("__lid", "__label",
-                before.alias("before")).where(F.col("before") <= MAX_FEATURES)), ["__lid", "__label"], "left_semi")
-    got = within.toArrow()
-    ids, ys = got.column("__lid").to_pylist(), got.column("__label").to_pylist()
-    xs: list[np.ndarray] = []
-    for part in got.column("x").chunks:  # views: the sample is in memory once
-        values, offsets = part.values.to_numpy(), part.offsets.to_numpy()
-        xs += [values[low:high] for low, high in zip(offsets[:-1], offsets[1:], strict=True)]
-    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(f"order{ids[k]}".encode()), str(ids[k]), ys[k]))
-    sample = [(xs[k], ys[k]) for k in order]
+    n = (F.octet_length("x") / 4).cast("long")
+    before = F.sum(n).over(Window.orderBy(F.xxhash64("__lid"), "__lid", "__label"))
+    within = materialise(rows.select("__lid", "__label", n.alias("n"), before.alias("before")).where(F.col("before") <= MAX_FEATURES), "within")
+    total = within.agg(F.sum("n")).first()[0] or 0
+    chosen_rows = rows.join(F.broadcast(within.select("__lid", "__label")), ["__lid", "__label"], "left_semi")
+    # one partition at a time into one array: neither the JVM nor Python holds the sample a second time
+    every, at, sized = np.empty(total, dtype=np.int32), 0, []
+    for lid, y, x in chosen_rows.select("__lid", "__label", "x").toLocalIterator():
+        x = np.frombuffer(x, dtype=np.int32)
+        every[at : at + len(x)] = x
+        sized.append(((zlib.crc32(f"order{lid}".encode()), str(lid), y), at, at + len(x)))
+        at += len(x)
+    sample = [(every[low:high], key[2]) for key, low, high in sorted(sized)]
     return fit(sample, *choose(sample))
 
 

@@ -205,6 +205,19 @@ def test_toxicity_settings_come_from_the_sample_and_features_are_bounded(spark,
     assert sum(len(x) for x, _ in seen[-1]) == 90 and toxicity.features(b"a b c d e f").size == 15
 
 
+def test_toxicity_sample_comes_to_the_driver_by_partitions(spark, monkeypatch):
+    d = docs(spark, [f"word{k} word{k + 1} {'bad' if k % 2 else 'good'}" for k in range(60)])
+    seen, local = [], type(d).toLocalIterator
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *s: seen.append(rows) or toxicity.Model(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32), 0.0))
+    monkeypatch.setattr(type(d), "toArrow", lambda self: pytest.fail("the whole sample at once"))
+    monkeypatch.setattr(type(d), "toLocalIterator", lambda self, *a: seen.append("parts") or local(self, *a))
+    toxicity.train(d, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    held.sort(key=lambda k: (zlib.crc32(f"order{k}".encode()), str(k)))
+    own = lambda k: np.unique(toxicity.features(f"word{k} word{k + 1} {'bad' if k % 2 else 'good'}".encode())).tolist()
+    assert seen[0] == "parts" and [(x.tolist(), y) for x, y in seen[-1]] == [(own(k), k % 2) for k in held]
+
+
 def test_ftrl_equals_the_plain_rule():
     r = random.Random(10)
     rows = [(np.unique(np.array([r.randrange(40) for _ in range(6)], dtype=np.int32)), r.randrange(2)) for _ in range(200)]
