@@ -176,3 +176,25 @@ def test_wide_islands_split_where_both_parts_go_on(spark):
 def test_sparse_thresholds_only_change_counts():
     assert (SPARSE.min_groups_per_mode, SPARSE.section_min_groups, SPARSE.structure_min_groups) == (12, 8, 4)
     assert SPARSE.height_bin_m == GROUND.height_bin_m
+
+
+def test_summary_plane_of_all_triples_at_once_is_that_of_one_after_the_other(spark):
+    r = np.random.default_rng(3)
+    s, l = r.uniform(5, 30, 60), r.uniform(-3, 3, 60)  # noqa: E741
+    h = np.where(np.arange(60) < 45, -1 + 0.01 * s + 0.02 * l, r.uniform(0, 2, 60))
+    pts = spark.createDataFrame([(1, *map(float, x)) for x in zip(s, l, h)], "frame_index long, s double, l double, h double")
+    p = ground.summary_plane(pts).first()
+    assert abs(p.b_s - 0.01) < 1e-9 and abs(p.b_l - 0.02) < 1e-9 and abs(p.c + 1) < 1e-9 and (p.inliers, p.groups) == (45, 60)
+    assert ground.summary_plane(pts.limit(29)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["side_funnel", "corridor_vertices", "pair_kinds", "owned_decisions"])
+def test_a_query_builds_the_ground_once(spark, monkeypatch, name):
+    """The cloud and its ground, with all their passes over the points, are not made again for each use in a query."""
+    from pointloom.plans import library, registry
+
+    calls, surface = [], registry.surface
+    for module in (registry, library):
+        monkeypatch.setattr(module, "surface", lambda *a, **k: calls.append(1) or surface(*a, **k))
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
