@@ -234,3 +234,10 @@ def test_dominant_model_takes_the_smallest_on_ties(spark):
 
 def test_links_radius_constant():
     assert DETECTOR.link_m == 0.15 and DETECTOR.far_link_m == 0.23
+
+
+def test_quantile_of_a_few_values_is_that_of_numpy():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 3, 8, 41):
+        a = r.normal(size=n)
+        assert all(detect._quantile(a, q) == float(np.quantile(a, q)) for q in (0.0, 0.25, 0.35, 0.5, 0.95, 1.0))
