@@ -198,3 +198,15 @@ def test_a_query_builds_the_ground_once(spark, monkeypatch, name):
         monkeypatch.setattr(module, "surface", lambda *a, **k: calls.append(1) or surface(*a, **k))
     registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_lines_and_their_frames_residual_come_in_one_pass(spark):
+    r = np.random.default_rng(4)
+    rows = [(f, float(s), float(l), -1 + 0.02 * float(l) + float(e)) for f in (0, 1) for s, l, e in zip(r.uniform(5, 30, 700), r.uniform(-3, 3, 700), r.normal(0, 0.01, 700))]
+    df = spark.createDataFrame(rows, "frame_index long, s double, l double, h double")
+    band = ground.band_rows(df, ground.link_modes(ground.height_modes(df, SPARSE), SPARSE), SPARSE).cache()
+    got = ground.lines_and_residual(band)
+    pooled = ["frame_p50_m", "frame_p95_m", "frame_groups"]
+    key = lambda d: sorted(tuple(x) for x in d.collect())
+    assert key(got.drop(*pooled)) == key(ground.local_lines(band)) and got.count() == 26
+    assert key(got.select("frame_index", *pooled).distinct()) == key(ground.fitting_residual(band))
