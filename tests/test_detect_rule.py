@@ -241,3 +241,35 @@ def test_quantile_of_a_few_values_is_that_of_numpy():
     for n in (1, 2, 3, 8, 41):
         a = r.normal(size=n)
         assert all(detect._quantile(a, q) == float(np.quantile(a, q)) for q in (0.0, 0.25, 0.35, 0.5, 0.95, 1.0))
+
+
+def test_few_points_are_labelled_as_by_cells(monkeypatch):
+    r = np.random.default_rng(8)
+    xyz = r.uniform(0, 1.2, (200, 3))
+    radius = np.where(r.random(200) < 0.2, 0.23, 0.15)
+    few = spatial._labels(xyz, radius)
+    monkeypatch.setattr(spatial, "FEW_POINTS", 0)
+    assert len(set(few.tolist())) > 5 and (few == spatial._labels(xyz, radius)).all()
+
+
+@pytest.mark.parametrize("fit", ["baseline", "span_limit"])
+def test_planes_of_many_places_are_those_of_each(fit):
+    r = np.random.default_rng(9)
+    a = np.column_stack([np.round(r.uniform(0, 6, 400), 1), r.uniform(-2, 2, 400), 0.001 * r.integers(0, 9, 400) + np.where(r.random(400) < 0.3, 0.3, 0.0)])
+    support, at = detect.Support(a, DETECTOR.anchor_step_m), np.column_stack([r.uniform(-1, 7, 40), r.uniform(-2, 2, 40)])
+    for radius in DETECTOR.radii_m:
+        got = detect._models(support, at, radius, fit, DETECTOR)
+        assert got == [detect.local_model(support.around(x, radius), fit) for x in at]
+    assert {m.reason for radius in DETECTOR.radii_m for m in detect._models(support, at, radius, fit, DETECTOR)} >= {"too_few_points", "several_levels"}
+
+
+def test_masks_of_points_are_not_written_out(spark, monkeypatch):
+    """Only what is inside and unexplained is stored before candidates are made, once and with the columns that they need."""
+    from pointloom.plans import registry
+
+    stored, keyed = [], detect.frame_keyed
+    for module in (registry, detect):
+        monkeypatch.setattr(module, "frame_keyed", lambda df, *a, **k: stored.append(out := keyed(df, *a, **k)) or out)
+    registry.queries()["frame_decisions"](spark, "/root/testdata/sf0.001")
+    assert len(stored) == 2 and stored[1].count() < stored[0].count() / 2
+    assert set(stored[1].columns) == {"frame_index", "point_id", "s", "l", "h", "range_m", "ambiguous"}
