@@ -433,3 +433,12 @@ def test_a_sensor_that_stands_still_needs_no_inverse(monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(tracker, "STILL", None)
         assert got == links() and {r["association"] for r in got} >= {"linked", "new", "missed"}
+
+
+def test_messages_without_points_among_others(spark):
+    """Records of several messages are passed on together; a message without any, or without a stamp, disturbs none of them."""
+    kinds = {"x": 8, "y": 8, "z": 8, "ring": 4}
+    rows = [(k, None if k == 2 else 10 * k, "sensor", pointcloud.pack({c: [float(k)] * n if c != "ring" else [k] * n for c in kinds}, kinds)) for k, n in enumerate((2, 0, 3, 0, 1))]
+    messages = spark.createDataFrame([(k, stamp, name, *[m[c.split()[0]] for c in pointcloud.MESSAGE.split(", ")[3:]]) for k, stamp, name, m in rows], pointcloud.MESSAGE).coalesce(1)
+    got = [(r.frame_index, r.stamp_ns, r.source_index, r.x, r.ring, r.absent_fields) for r in pointcloud.points(messages, "double").collect()]
+    assert sorted(got, key=lambda r: r[:1] + r[2:3]) == [(k, None if k == 2 else 10 * k, i, float(k), k, ["intensity", "timestamp"]) for k, n in enumerate((2, 0, 3, 0, 1)) for i in range(n)]
