@@ -1,10 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pointloom.config import SPARSE, Attachment
 from pointloom.operators import corridor, pairs, sections
+from pointloom.plans import registry
 
 FR = "frame_index long, track int, s_center double, l_median double, h_median double, dh_median double, width_m double, groups long"
 STATIONS = (6.0, 10.0, 15.0, 20.0)
@@ -84,6 +86,36 @@ def test_assumed_sections_lie_between_common_stations(spark, left, right, expect
     assert all(x.b_l_m - x.a_l_m == pytest.approx(1.52) for x in r)
 
 
+KEPT = "frame_index long, s_center double, l_median double, h_median double, dh_median double, width_m double, groups long, fate string"
+
+
+def asked_of(spark, monkeypatch, places):
+    """What the query gives where the clusters (frame, station, l, groups) are these, and the clusters."""
+    found = spark.createDataFrame([(f, float(s), float(l), -0.9, 0.1, 0.06, n, "kept") for f, s, l, n in places], KEPT)  # noqa: E741
+    monkeypatch.setattr(registry, "_clusters", lambda *_: (None, found))
+    return registry.queries()["assumed_sections"](spark, ""), found
+
+
+def test_assumed_sections_are_asked_of_every_two_lines(spark, monkeypatch):
+    """A third line, with fewer points than the one beside it, lacks station 15; it pairs with both of the others."""
+    places = [(0, s, l, n) for s in (6, 10, 15, 20, 25) for l, n in ((-0.76, 9), (0.76, 9), (2.2, 5)) if (s, l) != (15, 2.2)]  # noqa: E741
+    r = asked_of(spark, monkeypatch, places)[0].orderBy("a_track").collect()
+    assert [(x.a_track, x.b_track, x.s_center, x.assumed, x.a_l_m, x.b_l_m) for x in r] == [(0, 2, 15, "b", -0.76, 2.2), (1, 2, 15, "b", 0.76, 2.2)]
+
+
+@pytest.mark.parametrize(("most", "apart"), [(4, 0.4), (12, 0.2), (45, 0.16)])  # the last has more lines than go on as branches
+def test_assumed_sections_of_forks_and_many_lines_equal_their_sql(spark, monkeypatch, most, apart):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(most)
+    places = [(f, s, (k + rng.random() / 4 - most / 2) * apart, rng.randint(4, 20)) for f in range(20) for s in (6, 10, 15, 20, 25) for k in range(most) if rng.random() < 0.7]
+    got, found = asked_of(spark, monkeypatch, places)
+    con = duckdb.connect()
+    con.register("cl", found.toArrow())
+    sql = registry.oracle_sql()["assumed_sections"].replace(registry._SECTIONS + ",", "")
+    want = sorted(con.execute(sql).fetchall())
+    assert want and sorted(map(tuple, got.collect())) == want
+
+
 def test_lines_of_two_stations_pair_but_are_no_candidates(spark):
     """Two stations of two lines: linked with a minimum of two they pair, and the candidates say that they are short."""
     cols = "frame_index long, s_center double, l_median double, h_median double, dh_median double, width_m double, groups long, fate string"
